@@ -28,7 +28,7 @@ OUTPUT_FILE = r"(?i)[A-Za-z0-9_\-./]+\.(?:csv|md|png|parquet|json|txt|tsv|h5|nc)
 
 def re_escape(x: Column) -> Column:
     """A text as a pattern that matches just it."""
-    return F.regexp_replace(x, r"([^A-Za-z0-9_])", r"\\$1")
+    return F.regexp_replace(x, r"([()\[\]{}?*+\-|^$\\.&~# \t\n\r\x0b\f])", r"\\$1")
 
 
 def class_and_instance(key: Column) -> tuple[Column, Column]:

@@ -50,11 +50,11 @@ def first_tool(turns: DataFrame) -> DataFrame:
 
 
 def top_tools(first: DataFrame, sets: list[str], k: int = 5) -> DataFrame:
-    """The k most frequent first tools of each value of each column, and overall (``by`` all); ties go to the smaller name."""
+    """The k most frequent first tools of each value of each column, and overall (``dim`` all); ties go to the smaller name."""
     base = first.withColumn("all", F.lit("all"))
-    each = base.select("first_tool", F.explode(F.array(*[F.struct(F.lit(c).alias("by"), F.col(c).cast("string").alias("value")) for c in [*sets, "all"]])).alias("g"))
-    n = each.groupBy("g.by", "g.value", "first_tool").agg(F.count(F.lit(1)).alias("n"))
-    own = Window.partitionBy("by", "value")
+    each = base.select("first_tool", F.explode(F.array(*[F.struct(F.lit(c).alias("dim"), F.col(c).cast("string").alias("value")) for c in [*sets, "all"]])).alias("g"))
+    n = each.groupBy("g.dim", "g.value", "first_tool").agg(F.count(F.lit(1)).alias("n"))
+    own = Window.partitionBy("dim", "value")
     ranked = n.withColumns({"total": F.sum("n").over(own), "rank": F.row_number().over(own.orderBy(F.desc("n"), "first_tool"))})
     return ranked.where(F.col("rank") <= k).withColumn("share", F.col("n") / F.col("total"))
 

@@ -149,7 +149,7 @@ r as (
       when cls = 'day' then concat('\\bday', case when inst like '0%' then concat('[- _]?0?', coalesce(nullif(ltrim(inst, '0'), ''), '0')) else concat('[- _]?', inst) end, '\\b|\\b', inst, '\\b|/', inst, '/')
       when cls = 'band' then concat('\\bband[- _]?0?', coalesce(nullif(ltrim(inst, '0'), ''), '0'), '\\b|\\b', inst, '\\b')
       else concat('\\bsubject[- _]?sub\\-', substr(inst, 5), '\\b|\\b(?:sub\\-', substr(inst, 5), '|', substr(inst, 5), ')\\b') end, bucket from n where cls <> ''
-  union all select workload, 3, pos, concat(bucket, '_signal'), case bucket when 'output_csv' then concat('out\\/', workload, '\\_table\\.csv') else '\\.png\\b' end, bucket from n where bucket like 'output_%'
+  union all select workload, 3, pos, concat(bucket, '_signal'), case bucket when 'output_csv' then concat('out/', workload, '_table\\.csv') else '\\.png\\b' end, bucket from n where bucket like 'output_%'
   union all select workload, 4, 0, 'report_out', 'report\\.md|report markdown', '' from w),
 a as (select workload, cast(row_number() over (partition by workload order by part, pos) - 1 as integer) as ord, name, pattern, targets, 'auto' as origin from r)
 """

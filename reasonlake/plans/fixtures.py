@@ -102,4 +102,5 @@ def sql(text: str) -> str:
     views = ", ".join(f"{v} as ({_SQL[v]})" for v in need)
     if not views:
         return text
-    return f"with {views}, {text[5:]}" if text.startswith("with ") else f"with {views} {text}"
+    head = re.match(r"with (recursive )?", text)
+    return f"with {head[1] or ''}{views}, {text[head.end():]}" if head else f"with {views} {text}"
