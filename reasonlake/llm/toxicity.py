@@ -3,9 +3,9 @@
 A text is a bag of sentences. Each sentence has a logistic score of the words in it, and
 the text's score is their noisy-or: 1 - product(1 - p). Only texts have labels, so the
 weights are trained through the noisy-or; afterwards the sentence scores tell which
-sentences offend. Spark counts, over all labelled texts, in how many of either label
-each word occurs, and the most telling words become features. The weights are fitted on a bounded
-sample of labelled texts; all texts are scored in Arrow batches.
+sentences offend. The model is fitted on a bounded sample of labelled texts: Spark counts in how
+many texts of either label each word occurs, the most telling words become features, and their
+weights are learned on the driver. All texts are scored in Arrow batches.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .common import read, stage_table
 
-#: Bounds of the fit: labelled texts of either label, words that are features, and texts of the rare label that a feature needs.
+#: Bounds of the fit: labelled texts of either label (about so many, by a hash of their ids), words that are features, and texts of label 1 that a feature needs.
 FIT_TEXTS, FEATURES, LEAST_TEXTS = 10_000, 2_000, 3
 #: Steps of the fit and its penalty on weights.
 STEPS, PENALTY = 400, 0.02
@@ -102,7 +102,7 @@ def _bags(docs: DataFrame, vocabulary: dict[str, int]) -> DataFrame:
 def fit(bags: list, features: int, weight: dict[int, float]) -> tuple[np.ndarray, float]:
     """Weights and bias that maximise the likelihood of labels under the noisy-or, by Adam. Sentences without features share one score."""
     y = np.array([b["label"] for b in bags], float)
-    importance = np.array([weight[b["label"]] for b in bags])
+    importance = np.array([weight[b["label"]] for b in bags], float)
     importance /= importance.sum()
     doc, row, col, bare, at = [], [], [], np.zeros(len(bags)), 0
     for i, b in enumerate(bags):
@@ -132,16 +132,17 @@ def fit(bags: list, features: int, weight: dict[int, float]) -> tuple[np.ndarray
     return w, float(bias)
 
 
-def train(docs: DataFrame, fit_texts: int = FIT_TEXTS) -> Model:
-    """A model from (doc_id, text, label 0/1). Words are counted over all rows; weights are fitted on at most ``fit_texts`` of either label, chosen by a hash of their id and text. Without rows of both labels every score is the share of label 1 (0 without rows)."""
-    vocabulary = {w: i for i, w in enumerate(telling_words(docs))}
+def train(docs: DataFrame, weight: dict[int, float]) -> Model:
+    """A model from a sample (text, label 0/1), each row of which stands for ``weight`` rows of its label.
+
+    Without rows of both labels every score is near the only label (near 0 without rows).
+    """
     n = {r["label"]: r["count"] for r in docs.groupBy("label").count().collect()}
     if not n.get(0) or not n.get(1):
         return Model({}, 12.0 if n.get(1) else -12.0)
-    order = F.xxhash64("doc_id", "text")
-    picked = [docs.where(F.col("label") == x).orderBy(order).limit(fit_texts) if n[x] > fit_texts else docs.where(F.col("label") == x) for x in (0, 1)]
-    bags = _bags(picked[0].unionByName(picked[1]), vocabulary).collect()  # 2 * fit_texts rows at most
-    w, bias = fit(bags, len(vocabulary), {x: n[x] / min(n[x], fit_texts) for x in (0, 1)})
+    vocabulary = {w: i for i, w in enumerate(telling_words(docs))}
+    bags = _bags(docs, vocabulary).collect()  # a bounded sample, of each text its features alone
+    w, bias = fit(bags, len(vocabulary), weight)
     return Model({x: float(w[i]) for x, i in vocabulary.items()}, bias)
 
 
@@ -149,10 +150,21 @@ def held_out(doc: str = "doc_id"):
     return F.crc32(F.coalesce(F.col(doc).cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
-def labelled(docs: DataFrame, labels: DataFrame, doc: str = "doc_id", text: str = "text", label: str = "toxic") -> DataFrame:
-    """(doc_id, text, label) of the rows that may be learned from. Null ids and labels are left out; of several labels of an id the highest counts."""
-    marks = labels.where(F.col(label).isNotNull() & F.col(doc).isNotNull()).groupBy(F.col(doc).alias("doc_id")).agg(F.max(F.col(label).cast("int")).alias("label"))
-    return docs.select(F.col(doc).alias("doc_id"), F.col(text).alias("text")).join(marks.where(~held_out()), "doc_id")
+def labelled(docs: DataFrame, labels: DataFrame, doc: str = "doc_id", text: str = "text", label: str = "toxic", fit_texts: int = FIT_TEXTS) -> tuple[DataFrame, dict[int, float]]:
+    """The sample (text, label) to learn from, about ``fit_texts`` ids of either label, and how many rows one row of a label stands for.
+
+    Held-out ids, null ids and null labels are left out; of several labels of an id the
+    highest counts. The sample's ids are broadcast: their number is bounded.
+    """
+    marks = labels.where(F.col(label).isNotNull() & F.col(doc).isNotNull()).groupBy(F.col(doc).alias("doc_id")).agg(F.max(F.col(label).cast("int")).alias("label")).where(~held_out())
+    n = {r["label"]: r["count"] for r in marks.groupBy("label").count().collect()}
+    share = {x: min(1.0, fit_texts / k) for x, k in n.items()}
+    cut = F.lit(0.0)
+    for x, p in share.items():
+        cut = F.when(F.col("label") == x, p).otherwise(cut)
+    ids = marks.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < cut * 1_000_000)
+    texts = docs.select(F.col(doc).alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(ids), "doc_id").select("text", "label")
+    return texts, {x: 1 / p for x, p in share.items()}
 
 
 def score_texts(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
@@ -177,7 +189,8 @@ def score_texts(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
 
 def model_for(docs: DataFrame, labels: DataFrame) -> Model:
-    return train(stage_table(labelled(docs, labels), "op10-labelled"))
+    sample, weight = labelled(docs, labels)
+    return train(stage_table(sample, "op10-sample"), weight)
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
