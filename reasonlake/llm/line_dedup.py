@@ -13,7 +13,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import read, stage_table
 
 #: Sites from which a line is boilerplate; log2 of a sketch's registers; standard errors within which an estimate is checked.
 MIN_SITES, LOG_K, ERRORS = 10, 10, 4.0
@@ -52,7 +52,8 @@ def dedup_lines(df: DataFrame, doc: str = "doc_id", text: str = "text", site: st
     """
     df = df.drop("n_removed")
     lines = lines_of(df, doc, text, site)
-    hit = lines.join(boilerplate(lines, min_sites), "line_hash")
+    found = stage_table(boilerplate(lines, min_sites), "op7-boilerplate")  # a table of its own, so that a line of many documents can be split in the join
+    hit = lines.join(found, "line_hash")
     if keep_first:
         hit = hit.where(~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash")) & (F.col("line_no") == F.col("first.line_no"))))
     cut = hit.groupBy(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).agg(F.collect_set("line_no").alias("__cut"))
