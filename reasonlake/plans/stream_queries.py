@@ -1,4 +1,63 @@
+"""Streaming operators over the given tables: the tables are read as streams until they end, and the sink's table is returned."""
+
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+import tempfile
+import uuid
+
+from pyspark.sql import functions as F
+
+from ..streaming import live
+from . import fixtures as X
+
+
+def _drained(df, name, mode="append"):
+    """Run a stream over what is there and return what it wrote. Checkpoint and sink are in the folder that the executors share."""
+    spark = df.sparkSession
+    root = spark.conf.get("spark.checkpoint.dir", None) or ("file://" + tempfile.mkdtemp(prefix="spark-reasonlake-") if spark.sparkContext.master.startswith("local[") else spark.conf.get("spark.sql.warehouse.dir"))
+    out = f"{root}/{name}-{uuid.uuid4().hex}"
+    q = df.writeStream.format("parquet").outputMode(mode).option("path", f"{out}/sink").option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.schema(df.schema).parquet(f"{out}/sink")
+
+
+def _stream(spark, sf, name):
+    """A given table as a stream of its files."""
+    return spark.readStream.schema(spark.read.parquet(f"{sf}/{name}.parquet").schema).option("recursiveFileLookup", True).parquet(f"{sf}/{name}.parquet") if _is_dir(spark, sf, name) else spark.readStream.schema(spark.read.parquet(f"{sf}/{name}.parquet").schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
+
+
+def _is_dir(spark, sf, name):
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{sf}/{name}.parquet")
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory()
+
+
+def stage_rollup_stream(spark, sf):
+    """Events by hour and type, as a stream. The last windows stay open until the watermark passes them, so they are not in the result."""
+    e = _stream(spark, sf, "events").select(F.col("ts").cast("timestamp").alias("event_ts"), F.col("event_type").alias("outcome"), F.col("user_id").alias("size_bytes"), F.col("value").alias("fetch_ms"))
+    return _drained(live.stage_rollup(e, window="1 hour", delay="0 seconds"), "rollup").select("start", "outcome", "n", "bytes", "max_ms")
+
+
+def stage_rollup_batch(spark, sf):
+    """The same rollup over the whole table at once."""
+    e = X.table(spark, sf, "events").select(F.col("ts").alias("event_ts"), F.col("event_type").alias("outcome"), F.col("user_id").alias("size_bytes"), F.col("value").alias("fetch_ms"))
+    return live.stage_rollup(e, window="1 hour").select("start", "outcome", "n", "bytes", "max_ms")
+
+
+def live_rule_firing(spark, sf):
+    """Rules over the conversations as streamed deltas, one a turn, in event time. Sessions that the last watermark has not passed stay open, so they are not in the result."""
+    c = _stream(spark, sf, "conversations").where("role <> 'system'").select(F.col("conv_id").alias("session_id"), F.col("turn").cast("string").alias("block"), (F.col("turn") * 1000.0).alias("t_ms"), F.col("turn").alias("seq"), F.lit("text").alias("kind"), F.col("text").alias("chunk"), F.timestamp_millis((F.col("turn") * 1000).cast("long")).alias("event_ts"))
+    fired = live.fire_live(c, [(r[1], r[2]) for r in X.RULES], delay="0 seconds", idle_ms=1)
+    return _drained(fired, "fired")
+
+
+def session_slack_batch(spark, sf):
+    """First thinking to first tool use by session window."""
+    b = X.blocks(spark, sf).withColumns({"kind": F.col("type"), "t_ms": F.col("t_first").cast("double"), "event_ts": F.timestamp_millis(F.col("t_first").cast("long"))})
+    return live.session_slack(b).select("session_id", "slack_ms")
+
+
+QUERIES = {f.__name__: f for f in (stage_rollup_stream, stage_rollup_batch, live_rule_firing, session_slack_batch)}
+SQL = {
+    "stage_rollup_batch": "select date_trunc('hour', ts) as start, event_type as outcome, count(*) as n, cast(sum(user_id) as bigint) as bytes, max(value) as max_ms from events group by 1, 2",
+    "session_slack_batch": "select session_id, cast(min(t_first) filter (type = 'tool_use') - min(t_first) filter (type = 'thinking') as double) as slack_ms from fx_blocks group by session_id",
+}

@@ -178,7 +178,7 @@ def inventory(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
 
 
 def tree_paths(trees: DataFrame, text: str = "tree", root: str = "") -> DataFrame:
-    """(id, path, is_dir) of indented folder trees: a line's depth is half its dashes; names that end in a slash are directories.
+    """(id, path, is_dir) of indented folder trees: a line's depth is half its dashes, from 1; names that end in a slash are directories.
 
     A file's directory is, at each smaller depth, the last directory line before it: windows over the
     lines of a tree instead of a stack.
@@ -186,7 +186,7 @@ def tree_paths(trees: DataFrame, text: str = "tree", root: str = "") -> DataFram
     line = trees.select("id", F.posexplode(F.split(text, "\n")).alias("pos", "line")).where(F.trim("line").rlike(r"^(\|?-*)\s*\S"))
     l = line.select("id", "pos", (F.length(F.regexp_extract("line", r"^\|?(-*)", 1)) / 2).cast("int").alias("depth"), F.trim(F.regexp_replace("line", r"^\|?-*\s*", "")).alias("name"))
     upto = Window.partitionBy("id").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    stack = F.aggregate(F.collect_list(F.struct("depth", "name")).over(upto), F.array().cast("array<string>"), lambda a, x: F.concat(F.slice(a, 1, F.greatest(F.lit(0), F.least(F.size(a), x.depth))), F.array(F.rtrim(x["name"], F.lit("/")))))
+    stack = F.aggregate(F.collect_list(F.struct("depth", "name")).over(upto), F.array().cast("array<string>"), lambda a, x: F.concat(F.slice(a, 1, F.greatest(F.lit(0), F.least(F.size(a), x.depth - 1))), F.array(F.rtrim(x["name"], F.lit("/")))))
     return l.select("id", "pos", F.concat(F.lit(root), F.array_join(stack, "/")).alias("path"), F.col("name").endswith("/").alias("is_dir"))
 
 
