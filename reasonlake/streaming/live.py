@@ -20,7 +20,7 @@ from ..functions.labels import LIVE, tier
 from ..operators.matching import SCANNED
 
 FIRED = "session_id string, block string, name string, fired_at_ms double, match_start long"
-STATE = "t array<double>, seq array<long>, block array<string>, chunk array<string>, fired array<string>, done double"
+STATE = "t array<double>, seq array<long>, block array<string>, chunk array<string>, at array<long>, fired array<string>, done int"
 
 
 def normalise(events: DataFrame, provider: str) -> DataFrame:
@@ -49,33 +49,29 @@ def fire_live(deltas: DataFrame, rules: list[tuple[str, str]], start: str = "eve
     compiled = [(n, re.compile(p, re.IGNORECASE)) for n, p in rules]
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = list(state.get) if state.exists else [[], [], [], [], [], float("-inf")]
-        t, seq, block, chunk, fired, done = [list(x) if not isinstance(x, float) else x for x in held]
-        rows = list(zip(t, seq, block, chunk, strict=True))
+        t, seq, block, chunk, at, fired, done = state.get if state.exists else ([], [], [], [], [], [], 0)
+        rows = [*zip(t, seq, block, chunk, at, strict=True)]
+        mark = float("inf")  # a closing session takes all it has
         if not state.hasTimedOut:
+            mark = state.getCurrentWatermarkMs()
             for b in batches:
-                rows += [(float(a), int(s), str(k), str(c or "")) for a, s, k, c in zip(b.t_ms, b.seq, b.block, b.chunk, strict=True)]
+                when = b[start].astype("datetime64[ms]").astype("int64")
+                rows += [(float(a), int(s), str(k), str(c or ""), int(w)) for a, s, k, c, w in zip(b.t_ms, b.seq, b.block, b.chunk, when, strict=True)]
         rows.sort()
-        mark = state.getCurrentWatermarkMs()
-        out, text, known, ready = [], {}, set(fired), done
-        for a, _, k, c in rows:
-            if not state.hasTimedOut and a > mark:
-                break
+        ready = next((i for i, r in enumerate(rows) if r[4] > mark), len(rows))  # deltas that no earlier one can precede any more
+        out, text, known = [], {}, {str(x) for x in fired}
+        for i, (a, _, k, c, _) in enumerate(rows[:ready]):
             own = k if scope == "block" else ""
             text[own] = text.get(own, "") + c
-            ready = max(ready, a)
-            if a <= done:
-                continue
-            for name, pattern in compiled:
+            for name, pattern in compiled if i >= done else ():
                 if name not in known and (m := pattern.search(text[own])):
                     known.add(name)
                     out.append((key[0], k, name, a, m.start()))
         if state.hasTimedOut:
             state.remove()
         else:
-            t, seq, block, chunk = (list(x) for x in zip(*rows, strict=True)) if rows else ([], [], [], [])
-            state.update((t, seq, block, chunk, sorted(known), ready))
-            state.setTimeoutTimestamp(max(int(mark), int(max((r[0] for r in rows), default=0))) + idle_ms)
+            state.update((*([*x] for x in zip(*rows, strict=True)), sorted(known), max(int(done), ready)))
+            state.setTimeoutTimestamp(max(int(mark), *(r[4] for r in rows)) + idle_ms)
         yield pd.DataFrame(out, columns=["session_id", "block", "name", "fired_at_ms", "match_start"])
 
     scanned = deltas.where(F.col("kind").isin(*SCANNED)).withColumn("session_id", F.col("session_id").cast("string")).withWatermark(start, delay)

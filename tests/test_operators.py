@@ -204,7 +204,7 @@ def test_live_firing_does_not_depend_on_arrival(spark, tmp_path):
     schema = "session_id string, block string, t_ms double, seq long, kind string, chunk string, event_ts timestamp"
     src = tmp_path / "in"
     for n, part in enumerate(([deltas[1]], [deltas[2], deltas[0]], [deltas[3]])):
-        rows = [(*d, dt.datetime.fromtimestamp(d[2] / 1000, dt.timezone.utc)) for d in part]
+        rows = [(*d, dt.datetime.fromtimestamp(1_700_000_000 + d[2] / 1000, dt.timezone.utc)) for d in part]
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(src / f"p{n}"))
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{src}/*")
     q = live.fire_live(stream, [("band", r"band\s*08")], delay="100 seconds", idle_ms=1000).writeStream.format("memory").queryName("fired_live").outputMode("append").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "ck")).start()
