@@ -33,7 +33,11 @@ def load_ranks(path: str) -> dict[bytes, int]:
 
 
 class Codec:
-    """Encoder and decoder of one rank table, held by a Python worker."""
+    """Encoder and decoder of one rank table, held by a Python worker.
+
+    Ranks are in the order of training: the parts of a token come before it. Tokens without
+    such parts are used for whole pieces alone.
+    """
 
     def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
         self.ranks, self.find = ranks, regex.compile(pattern).findall
