@@ -1,20 +1,23 @@
 """Operator 8: repeated passages by prefix-partitioned suffix trees.
 
 A suffix starts at a word; the tree is cut off at ``window`` words, as deeper nodes remove
-nothing more. A suffix whose window occurs in one document alone is a leaf, so most
-suffixes are left out early: of every window the k-word piece with the smallest hash is its
-anchor, equal windows have equal anchors, and windows whose anchor occurs in one document
-are dropped. The rest are dealt by a prefix of their suffix: its first k words, or the whole
-window where the anchor is in so many documents that the group would not be memory-sized. Each
-group arrives sorted, so its subtree is walked depth first in bounded memory: a node at the full
-depth with two documents is a repeat, and all its places but those in the smallest document are removed.
-Places on one batch are merged before they are sent, so a passage that a third of the
-documents share arrives once a batch, not once a document.
+nothing more. Each suffix has a 64-bit code whose leading bits name its first words and whose
+other bits name the whole window, so codes sort as the leaves of the tree do. Suffixes are dealt to groups by
+the leading bits of their codes; a group that is too large for memory is split by longer
+prefixes. In a group, a node at the full depth that two documents reach is a repeat, and all documents but the smallest
+lose the words under it.
+
+A window that occurs in one document alone is a leaf, so most suffixes are left out early: of
+every window the k-word piece with the smallest hash is its anchor, equal windows have
+equal anchors, and windows whose anchor one document has alone are not dealt. What meets in one Arrow batch
+is settled there and sent once, so a passage that a third of the documents share arrives
+once a batch, not once a document. Codes travel as sorted arrays, one a batch and group.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import itertools
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,10 +26,12 @@ from pyspark.sql import functions as F
 
 from .common import BASE_2, CODES, read, signed, windows
 
-#: Words of a window and of an anchor; documents from which an anchor's windows are dealt by their whole words.
-WINDOW, ANCHOR, HEAVY = 13, 5, 10_000
-#: Bits of an anchor's hash. Fewer make the shuffle smaller; clashes only let more windows through to the exact step.
+#: Words of a window and of an anchor, and bits of a code that name the first words.
+WINDOW, ANCHOR, PREFIX_BITS = 13, 5, 20
+#: Bits of an anchor's code. Fewer make the shuffle smaller; clashes only let more windows through to the exact step.
 ANCHOR_BITS = 44
+#: Groups for each shuffle partition, and codes of a group that are walked at once.
+GROUPS, GROUP_CODES = 16, 4_000_000
 
 
 def _sliding(x: np.ndarray, width: int, of) -> np.ndarray:
@@ -46,129 +51,193 @@ def window_anchors(codes: np.ndarray, window: int, anchor: int) -> np.ndarray:
     return _sliding(windows(codes, anchor) >> np.uint64(64 - ANCHOR_BITS), window - anchor + 1, np.minimum)
 
 
-def _anchors(docs: DataFrame, window: int, anchor: int) -> DataFrame:
-    """(doc_id, tag, anchor): the distinct anchors of each document."""
+def suffix_codes(codes: np.ndarray, window: int, prefix: int) -> np.ndarray:
+    """Codes of the suffixes at each window: some bits for the first ``prefix`` words, then the rest for the window."""
+    whole = windows(codes, window, BASE_2)
+    bits = np.uint64(PREFIX_BITS)
+    return (windows(codes, prefix)[: len(whole)] >> (np.uint64(64) - bits)) << (np.uint64(64) - bits) | whole >> bits
+
+
+#: A dealt row: the sorted codes of one batch in one group and their documents. Asks wait for an answer, answers have it, marks tell that a code has documents already.
+DEALT = "grp int, kind string, n int, codes binary, docs binary"
+ASK, ANSWER, MARK = "ask", "answer", "mark"
+ANSWERS = "doc_id long, codes array<long>"
+
+#: For each of the asks (codes, documents; sorted by both) whether it is answered, given the marked codes.
+Decide = Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]
+
+
+def _pack(codes: np.ndarray, docs: np.ndarray, shift: int, kind: str) -> Iterator[pa.RecordBatch]:
+    """Pairs as one row for each group. Gaps between sorted codes and document ids take four bytes where they fit."""
+    if not len(codes):
+        return
+    order = np.lexsort((docs, codes))
+    codes, docs = codes[order], docs[order]
+    grp = (codes >> np.uint64(shift)).astype(np.int32)
+    heads = [0, *(np.flatnonzero(grp[1:] != grp[:-1]) + 1).tolist(), len(grp)]
+    n, gaps, ids = [], [], []
+    for s, e in itertools.pairwise(heads):
+        gap, own = np.diff(codes[s:e]), docs[s:e]
+        gaps.append(codes[s : s + 1].tobytes() + (gap.astype("<u4") if len(gap) and int(gap.max()) < 2**32 else gap).tobytes())
+        ids.append(b"" if kind == MARK else (own.astype("<u4") if own.min() >= 0 and own.max() < 2**32 else own).tobytes())
+        n.append(e - s)
+    yield pa.RecordBatch.from_arrays([pa.array(grp[heads[:-1]]), pa.array([kind] * len(n)), pa.array(n, pa.int32()), pa.array(gaps, pa.binary()), pa.array(ids, pa.binary())], names=["grp", "kind", "n", "codes", "docs"])
+
+
+def _unpack(n: int, gaps: bytes, ids: bytes) -> tuple[np.ndarray, np.ndarray]:
+    rest = np.frombuffer(gaps[8:], "<u4" if len(gaps) - 8 == 4 * (n - 1) else "<u8").astype(np.uint64)
+    codes = np.cumsum(np.concatenate([np.frombuffer(gaps[:8], "<u8"), rest]), dtype=np.uint64)
+    return codes, np.frombuffer(ids, "<u4" if len(ids) == 4 * n else "<i8").astype(np.int64) if ids else np.zeros(n, np.int64)
+
+
+def _meet(dealt: DataFrame, shift: int, decide: Decide) -> DataFrame:
+    """(doc_id, codes): all answers, one row or more a document. Each group is walked in code order, in parts by longer prefixes if it is large."""
+
+    most = GROUP_CODES
+
+    def split(rows: list[tuple], kind: str, extra: int, part: int) -> tuple[np.ndarray, np.ndarray]:
+        codes, docs = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+        for k, n, a, b in rows:
+            if k == kind:
+                c, d = _unpack(n, a, b)
+                if extra:
+                    own = (c >> np.uint64(shift - extra)) & np.uint64(2**extra - 1) == part
+                    c, d = c[own], d[own]
+                codes.append(c)
+                docs.append(d)
+        return np.concatenate(codes), np.concatenate(docs)
+
+    def walk(rows: list[tuple]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        extra = min(shift, max(0, (sum(r[1] for r in rows) - 1) // most).bit_length())
+        for part in range(2**extra):
+            yield split(rows, ANSWER, extra, part)
+            codes, docs = split(rows, ASK, extra, part)
+            order = np.lexsort((docs, codes))
+            codes, docs = codes[order], docs[order]
+            if len(codes):
+                yes = decide(codes, docs, split(rows, MARK, extra, part)[0])
+                yield codes[yes], docs[yes]
+
+    def flush(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        codes, docs = (np.concatenate(x) for x in zip(*held, strict=True))
+        order = np.argsort(docs, kind="stable")
+        codes, docs = codes[order], docs[order]
+        heads = np.flatnonzero(np.append(True, docs[1:] != docs[:-1])) if len(docs) else np.empty(0, int)
+        return pa.RecordBatch.from_arrays([pa.array(docs[heads]), pa.ListArray.from_arrays(pa.array(np.append(heads, len(docs)).astype(np.int32)), pa.array(signed(codes)))], names=["doc_id", "codes"])
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, rows, held = None, [], [(np.empty(0, np.uint64), np.empty(0, np.int64))]
+
+        def full(last: bool) -> bool:
+            held.extend(walk(rows))
+            rows.clear()
+            return last or sum(len(c) for c, _ in held) > most // 4
+
         for b in it:
-            found = [np.unique(window_anchors(CODES.array((t or b"").split()), window, anchor)) for t in b.column("text").to_pylist()]
-            ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
-            flat = signed(np.concatenate([*found, np.empty(0, np.uint64)]))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("tag"), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["doc_id", "tag", "anchors"])
+            for grp, *row in zip(*(b.column(c).to_pylist() for c in ("grp", "kind", "n", "codes", "docs")), strict=True):
+                if grp != now:
+                    if rows and full(False):
+                        yield flush(held)
+                        del held[1:]
+                    now = grp
+                rows.append(tuple(row))
+        full(True)
+        yield flush(held)
 
-    return docs.select("doc_id", "tag", "text").mapInArrow(batches, "doc_id long, tag int, anchors array<long>").select("doc_id", "tag", F.explode("anchors").alias("anchor"))
+    return dealt.repartition("grp").sortWithinPartitions("grp").mapInArrow(batches, ANSWERS)
 
 
-def _suffixes(docs: DataFrame, window: int, anchor: int) -> DataFrame:
-    """Suffixes at windows whose anchor is shared, with their group and path; and places already known to be repeats.
+def _runs(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each of sorted codes where its run begins, and how long the run is."""
+    heads = np.flatnonzero(np.append(True, codes[1:] != codes[:-1])) if len(codes) else np.empty(0, int)
+    size = np.diff(np.append(heads, len(codes)))
+    return np.repeat(heads, size), np.repeat(size, size)
 
-    Rows (grp, path, doc_id, tag, at, marks): a suffix has a path, its window's hash;
-    marks are the repeats of a document that meet an earlier one in the same batch.
-    """
 
-    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _pairs(per: list[np.ndarray], ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of documents and the documents, sorted by both."""
+    codes, docs = np.concatenate([*per, np.empty(0, np.uint64)]), np.repeat(ids, [len(x) for x in per])
+    order = np.lexsort((docs, codes))
+    return codes[order], docs[order]
+
+
+def _shared_anchors(docs: DataFrame, window: int, anchor: int, bits: int) -> DataFrame:
+    """(doc_id, codes): anchors of a document that another one has too."""
+    shift = ANCHOR_BITS - bits
+
+    def deal(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            ids, tags = b.column("doc_id").to_numpy(), b.column("tag").to_numpy()
-            rows, at, path, grp = [], [], [], []
-            for i, (text, shared, heavy) in enumerate(zip(b.column("text").to_pylist(), b.column("shared").to_pylist(), b.column("heavy").to_pylist(), strict=True)):
+            per = [np.unique(window_anchors(CODES.array(t.split()), window, anchor)) for t in b.column("text").to_pylist()]
+            codes, own = _pairs(per, b.column("doc_id").to_numpy())
+            many = _runs(codes)[1] > 1
+            yield from _pack(codes[~many], own[~many], shift, ASK)
+            yield from _pack(codes[many], own[many], shift, ANSWER)
+            yield from _pack(one := np.unique(codes[many]), np.zeros(len(one), np.int64), shift, MARK)
+
+    def decide(codes: np.ndarray, _: np.ndarray, marked: np.ndarray) -> np.ndarray:
+        return (_runs(codes)[1] > 1) | np.isin(codes, marked)
+
+    return _meet(docs.select("doc_id", "text").mapInArrow(deal, DEALT), shift, decide)
+
+
+def _repeats(docs: DataFrame, window: int, anchor: int, bits: int) -> DataFrame:
+    """(doc_id, codes): suffixes of a document whose window also starts in a smaller one, from (doc_id, text, shared)."""
+    shift = 64 - bits
+
+    def deal(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            per = []
+            for text, shared in zip(b.column("text").to_pylist(), b.column("shared").to_pylist(), strict=True):
                 codes = CODES.array(text.split())
-                own = window_anchors(codes, window, anchor)
-                start = np.flatnonzero(np.isin(own, np.array(shared, np.int64).view(np.uint64)))
-                if len(start):
-                    whole = windows(codes, window, BASE_2)[start]
-                    prefix = windows(codes, anchor)[start]
-                    if heavy:
-                        prefix = np.where(np.isin(own[start], np.array(heavy, np.int64).view(np.uint64)), whole, prefix)
-                    rows.append(np.full(len(start), i))
-                    at.append(start.astype(np.int32))
-                    path.append(whole)
-                    grp.append((prefix & np.uint64(0x7FFFFFFF)).astype(np.int32))
-            if not rows:
-                continue
-            rows, at, path, grp = map(np.concatenate, (rows, at, path, grp))
-            order = np.lexsort((at, ids[rows], path))
-            rows, at, path, grp = rows[order], at[order], path[order], grp[order]
-            new = np.append(True, path[1:] != path[:-1])
-            first = ids[rows][np.flatnonzero(new)[np.cumsum(new) - 1]]
-            later = ids[rows] > first
-            own, n = rows[~later], int((~later).sum())
-            yield _rows(grp[~later], signed(path[~later].copy()), ids[own], tags[own], at[~later], None, n)
-            if later.any():
-                rows, at = rows[later], at[later]
-                order = np.lexsort((at, rows))
-                rows, at = rows[order], at[order]
-                head = np.flatnonzero(np.append(True, rows[1:] != rows[:-1]))
-                marks = pa.ListArray.from_arrays(pa.array(np.append(head, len(rows)).astype(np.int32)), pa.array(at))
-                own = rows[head]
-                yield _rows((ids[own] & 0x7FFFFFFF).astype(np.int32), None, ids[own], tags[own], None, marks, len(own))
-
-    return docs.mapInArrow(batches, "grp int, path long, doc_id long, tag int, at int, marks array<int>")
-
-
-def _rows(grp, path, ids, tags, at, marks, n: int) -> pa.RecordBatch:
-    cols = [pa.array(grp), pa.nulls(n, pa.int64()) if path is None else pa.array(path), pa.array(ids), pa.array(tags), pa.nulls(n, pa.int32()) if at is None else pa.array(at), pa.nulls(n, pa.list_(pa.int32())) if marks is None else marks]
-    return pa.RecordBatch.from_arrays(cols, names=["grp", "path", "doc_id", "tag", "at", "marks"])
-
-
-def _walk(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Walk subtrees in sorted order (grp, path, doc_id). Rows below a node whose first document is smaller are repeats."""
-    node = None
-    for b in it:
-        path = b.column("path")
-        known = path.is_null().to_numpy(zero_copy_only=False)
-        if known.any():
-            told = b.filter(pa.array(known))
-            yield pa.RecordBatch.from_arrays([told.column("doc_id"), told.column("tag"), told.column("marks")], names=["doc_id", "tag", "marks"])
-            b = b.filter(pa.array(~known))
-        if not b.num_rows:
-            continue
-        grp, path, ids = (b.column(c).to_numpy() for c in ("grp", "path", "doc_id"))
-        new = np.append(True, (path[1:] != path[:-1]) | (grp[1:] != grp[:-1]))
-        heads = np.flatnonzero(new)
-        first = ids[heads].copy()
-        if node is not None and node[:2] == (grp[0], path[0]):
-            first[0] = node[2]
-        node = grp[-1], path[-1], first[-1]
-        rows = np.flatnonzero(ids > first[np.cumsum(new) - 1])
-        if len(rows):
-            took = b.take(pa.array(rows))
-            marks = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32)), took.column("at"))
-            yield pa.RecordBatch.from_arrays([took.column("doc_id"), took.column("tag"), marks], names=["doc_id", "tag", "marks"])
-
-
-def repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, heavy: int = HEAVY) -> DataFrame:
-    """(doc_id, tag, marks) from (doc_id, tag, text binary): the starts of windows that also start in a document with a smaller id."""
-    ids = docs.where("doc_id is not null")
-    seen = _anchors(ids, window, anchor)
-    shared = seen.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi").select("anchor", (F.col("n") > heavy).alias("heavy"))
-    own = seen.join(shared, "anchor").groupBy("doc_id", "tag").agg(F.collect_set("anchor").alias("shared"), F.collect_set(F.when(F.col("heavy"), F.col("anchor"))).alias("heavy"))
-    texts = docs.join(own, ["doc_id", "tag"], "left").where("shared is not null").select("doc_id", "tag", "text", "shared", "heavy")
-    dealt = _suffixes(texts, window, anchor).repartition("grp").sortWithinPartitions("grp", "path", "doc_id")
-    marks = dealt.select("grp", "path", "doc_id", "tag", "at", "marks").mapInArrow(_walk, "doc_id long, tag int, marks array<int>")
-    return marks.groupBy("doc_id", "tag").agg(F.flatten(F.collect_list("marks")).alias("marks"))
-
-
-def covered(marks: list[int] | None, n: int, window: int) -> np.ndarray:
-    """Which of n words lie in a window at one of the marks."""
+                own = np.isin(window_anchors(codes, window, anchor), np.array(shared, np.int64).view(np.uint64))
+                per.append(np.unique(suffix_codes(codes, window, anchor)[own]))
+            codes, own = _pairs(per, b.column("doc_id").to_numpy())
+            later = own > own[_runs(codes)[0]] if len(codes) else np.empty(0, bool)
+            new = np.append(True, codes[1:] != codes[:-1])[: len(codes)]
+            yield from _pack(codes[new], own[new], shift, ASK)
+            yield from _pack(codes[later], own[later], shift, ANSWER)
+
+    def decide(codes: np.ndarray, own: np.ndarray, _: np.ndarray) -> np.ndarray:
+        return own > own[_runs(codes)[0]]
+
+    return _meet(docs.select("doc_id", "text", "shared").mapInArrow(deal, DEALT), shift, decide)
+
+
+def _by_document(answers: DataFrame, name: str) -> DataFrame:
+    return answers.groupBy("doc_id").agg(F.flatten(F.collect_list("codes")).alias(name))
+
+
+def marked(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
+    """(doc_id, text, marks) of (doc_id, text binary), ids not null: the codes of suffixes to remove, null for none."""
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bits = min(30, (parts * GROUPS - 1).bit_length())
+    shared = _by_document(_shared_anchors(docs, window, anchor, bits), "shared")
+    # both joins read one exchange of the texts
+    repeats = _by_document(_repeats(docs.join(shared, "doc_id"), window, anchor, bits), "marks")
+    return docs.join(repeats, "doc_id", "left").select("doc_id", "text", "marks")
+
+
+def covered(starts: np.ndarray, n: int, window: int) -> np.ndarray:
+    """Which of n words lie in a window at one of the starts."""
     edge = np.zeros(n + 1, np.int32)
-    if marks:
-        at = np.array(marks)
-        np.add.at(edge, at, 1)
-        np.add.at(edge, np.minimum(at + window, n), -1)
+    np.add.at(edge, starts, 1)
+    np.add.at(edge, np.minimum(starts + window, n), -1)
     return np.cumsum(edge[:-1]) > 0
 
 
-def dedup_substrings(df: DataFrame, doc: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
+def dedup_substrings(df: DataFrame, doc: str = "doc_id", text: str = "text", window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
     """One row per row of ``df``: doc_id, n_words, n_removed, spans (start and length in words of each removed run) and kept_text (the words left, joined by blanks).
 
     Words are cut at \\x20 and \\x09-\\x0D, unchanged otherwise. A word is removed if a window of
     ``window`` words over it also starts in a document with a smaller id; windows are judged on
     the input. Null, empty and shorter texts lose nothing. Ids are integers; rows with a null id
     lose nothing and make no other lose anything. Rows with the same id do not
-    affect each other; each is cut by its own text.
+    affect each other; each is cut by its own windows.
     """
-    docs = df.select(F.col(doc).cast("long").alias("doc_id"), F.hash(F.col(text)).alias("tag"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"))
-    marked = docs.join(repeats(docs, window), ["doc_id", "tag"], "left").select("doc_id", "tag", "text", "marks")
+    id_ = F.col(doc) if (doc, "bigint") in df.dtypes and doc == "doc_id" else F.col(doc).cast("long").alias("doc_id")  # a needless alias would keep the exchange from being shared
+    docs = df.select(id_, F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"))
+    named = marked(docs.where("doc_id is not null"), window, anchor)
+    rest = docs.where("doc_id is null").select("doc_id", "text", F.lit(None).cast("array<long>").alias("marks"))
     spans = pa.list_(pa.struct([("start", pa.int32()), ("n", pa.int32())]))
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,11 +247,12 @@ def dedup_substrings(df: DataFrame, doc: str = "doc_id", text: str = "text", win
                 words = t.split()
                 n_words.append(len(words))
                 if marks:
-                    gone = covered(marks, len(words), window)
+                    codes = suffix_codes(CODES.array(words), window, anchor)
+                    gone = covered(np.flatnonzero(np.isin(codes, np.array(marks, np.int64).view(np.uint64))), len(words), window)
                     turn = np.flatnonzero(np.diff(np.concatenate(([0], gone, [0]))))
                     runs.append([{"start": int(s), "n": int(e - s)} for s, e in zip(turn[::2], turn[1::2], strict=True)])
                     n_gone.append(int(gone.sum()))
-                    words = [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
+                    words = list(itertools.compress(words, (~gone).tolist()))
                 else:
                     runs.append([])
                     n_gone.append(0)
@@ -190,7 +260,7 @@ def dedup_substrings(df: DataFrame, doc: str = "doc_id", text: str = "text", win
             cols = [b.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(n_gone, pa.int64()), pa.array(runs, spans), pa.array(kept, pa.binary())]
             yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_words", "n_removed", "spans", "kept_text"])
 
-    return marked.mapInArrow(batches, "doc_id long, n_words long, n_removed long, spans array<struct<start:int,n:int>>, kept_text binary").withColumn("kept_text", F.col("kept_text").cast("string"))
+    return named.unionByName(rest).mapInArrow(batches, "doc_id long, n_words long, n_removed long, spans array<struct<start:int,n:int>>, kept_text binary").withColumn("kept_text", F.col("kept_text").cast("string"))
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

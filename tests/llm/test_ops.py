@@ -346,10 +346,11 @@ def kept(out):
     return collections.Counter((r["doc_id"], r["n_words"], r["n_removed"], r["kept_text"]) for r in out.collect())
 
 
-@pytest.mark.parametrize("heavy", [0, 1, 10_000])
-def test_substring_dedup(spark, heavy, monkeypatch):
+@pytest.mark.parametrize("groups,codes", [(1, 50), (16, 4_000_000)])
+def test_substring_dedup(spark, groups, codes, monkeypatch):
     rows = corpus(21, 100) + [(500, "a " * 40), (501, "a " * 30), (502, "a " * 12), (7, "b " * 20 + "a " * 14), (None, "a " * 30), (500, "c " * 15), (499, "c " * 14), (503, None), (504, "")]
-    monkeypatch.setattr(substring_dedup.repeats, "__defaults__", (13, 5, heavy))
+    monkeypatch.setattr(substring_dedup, "GROUPS", groups)
+    monkeypatch.setattr(substring_dedup, "GROUP_CODES", codes)
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5).withColumn("tag", F.lit("x"))
     assert kept(substring_dedup.dedup_substrings(df)) == brute_removed(rows)
 
