@@ -155,7 +155,9 @@ def _runs(it: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[tuple
 def _cluster(members: DataFrame, index: Index, keys: list[str], near: int, tie: int) -> DataFrame:
     """Edges (a, b) from each member to the leaders of its key within ``tie`` symbols; a member with no leader within ``near`` becomes one.
 
-    Only the leaders of the current key are held. Leaders come out as edges to themselves.
+    Members come by falling ``weight``, how many members they meet over all keys, so that the
+    centre of a group leads in every key that has it and a member has few leaders. Only the
+    leaders of the current key are held. Leaders come out as edges to themselves.
     """
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,7 +189,7 @@ def _cluster(members: DataFrame, index: Index, keys: list[str], near: int, tie:
             yield pa.RecordBatch.from_arrays([*(pa.array(k, b.schema.field(name).type) for k, name in zip(kept, keys, strict=True)), pa.array(ones, pa.int64()), pa.array(twos, pa.int64())], names=[*keys, "a", "b"])
 
     kinds = dict(members.dtypes)
-    dealt = members.select(*keys, "node", "sig").repartition(*keys).sortWithinPartitions(*keys, "node")
+    dealt = members.select(*keys, "weight", "node", "sig").repartition(*keys).sortWithinPartitions(*keys, F.desc("weight"), "node")
     return dealt.mapInArrow(batches, "".join(f"{k} {kinds[k]}, " for k in keys) + "a long, b long")
 
 
@@ -299,11 +301,13 @@ def classes(df: DataFrame, words: int = 5, percent: int = 80, doc: str = "doc_id
 
     keys = _keys(items, index)
     shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("node") % 1_000_000_007).alias("s"), F.min("node").alias("m")).where("n > 1")
-    shared = shared.groupBy("n", "s", "m").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("n") / key_members).cast("int").alias("salts"))  # of keys with the same members one is enough
+    shared = shared.groupBy("n", "s", "m").agg(F.min("key").alias("key")).select("key", "n")  # of keys with the same members one is enough
     near, reach = index.distance // 2, index.distance
-    members = keys.join(shared, "key").withColumn("salt", F.pmod(F.xxhash64("node"), F.col("salts")).cast("int")).join(items.select("node", "sig"), "node")
-    tied = stage_table(_cluster(members.withColumn("salt", F.when(F.col("salts") > 1, F.col("salt")).otherwise(-1)), index, ["key", "salt"], near, near + reach), "op1-tied")
-    heads = tied.where("salt >= 0 AND a = b").select("key", F.col("a").alias("node")).join(items.select("node", "sig"), "node")
+    salts = F.ceil(F.col("n") / key_members)
+    met = stage_table(keys.join(shared, "key").select("key", "node", "n", F.when(salts > 1, F.pmod(F.xxhash64("node"), salts)).otherwise(-1).cast("int").alias("salt")), "op1-members")
+    known = met.groupBy("node").agg(F.sum("n").alias("weight")).join(items.select("node", "sig"), "node")
+    tied = stage_table(_cluster(met.join(known, "node"), index, ["key", "salt"], near, near + reach), "op1-tied")
+    heads = tied.where("salt >= 0 AND a = b").select("key", F.col("a").alias("node")).join(known, "node")
     edges = tied.select("a", "b").unionAll(_cluster(heads, index, ["key"], near, 2 * near + reach).select("a", "b"))
     groups = stage_table(connected(edges, "op1-groups"), "op1-groups")
 
@@ -314,7 +318,7 @@ def classes(df: DataFrame, words: int = 5, percent: int = 80, doc: str = "doc_id
     places = places.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("blocks = 1 OR other != block")
     places = places.select("node", F.col("root").alias("gid"), F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "doc_id", "text_hash")
     texts = docs.join(places, ["doc_id", "text_hash"]).dropDuplicates(["doc_id", "text_hash", "node", "one", "two"])  # a row may be repeated
-    links = _link(texts, words, percent, 100)
+    links = stage_table(_link(texts, words, percent, 100), "op1-linked")
     roots = connected(links, "op1-links") if cut else links.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
     part = items.select("node", "set_a", "set_b", "doc_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
