@@ -208,3 +208,45 @@ def tier_times(fired: DataFrame, sizes: DataFrame) -> DataFrame:
     """Earliest firing of each session's rules, by their own tier."""
     at = lambda k: F.min(F.when(F.col("tier") == k, F.col("t_first")))
     return fired.join(sizes.select("name", "tier"), "name").groupBy("session_id").agg(at(1).alias("t_tier_1"), at(2).alias("t_tier_2"), at(3).alias("t_tier_3"))
+
+
+def prefix_fire(blocks: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
+    """First firing of each rule (name, pattern) in a session when thinking is tested at every character.
+
+    Returns session_id, name, block_seq, turn, type and first_known_at, the code points known
+    when the rule fires: for thinking the shortest prefix of the transcript that matches, which may match where the full
+    text does not (a word border at its end); for other blocks the end of the block, if the leftmost match starts in it.
+    Each prefix is searched, so the time grows with the square of a block's length for patterns
+    that tell no literal; a literal skips the prefixes before it. One session is held at a time.
+    """
+    compiled_ = [(n, re.compile(p, re.IGNORECASE), literals_of(p)) for n, p in rules]
+
+    def session(df):
+        import pandas as pd
+
+        text, known, out = "", set(), []
+        for b in df.sort_values("block_seq").itertuples():
+            base, text = len(text), text + b.text
+            low = text.lower()
+            for name, pattern, literals in compiled_:
+                if name in known:
+                    continue
+                if b.type == "thinking":
+                    start = base + 1
+                    if literals is not None and len(low) == len(text):
+                        ends = [low.find(x) + len(x) for x in literals if x in low]
+                        if not ends:
+                            continue
+                        start = max(start, min(ends))
+                    at = next((e for e in range(start, len(text) + 1) if pattern.search(text, 0, e)), None)
+                else:
+                    m = pattern.search(text)
+                    at = len(text) if m and m.start() >= base else None
+                if at is not None:
+                    known.add(name)
+                    out.append((b.session_id, name, b.block_seq, b.turn, b.type, at))
+        return pd.DataFrame(out, columns=["session_id", "name", "block_seq", "turn", "type", "first_known_at"])
+
+    told = blocks.where(F.col("type").isin(*SCANNED) & (F.col("text") != "")).select("session_id", "block_seq", "turn", "type", "text")
+    kinds = dict(told.dtypes)
+    return told.groupBy("session_id").applyInPandas(session, f"session_id {kinds['session_id']}, name string, block_seq {kinds['block_seq']}, turn {kinds['turn']}, type string, first_known_at long")

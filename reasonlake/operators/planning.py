@@ -12,10 +12,8 @@ def placement(files: DataFrame, keys: list[str], order: str, capacity: int, path
     A fold over the files of a key: the only state is the used size, so it is an aggregate
     over a sorted array, not a running sum. A key's files are held in one row; keys are hosts or directories.
     """
-    item = F.struct(order, path, size)
     acc = F.expr(f"""aggregate(sort_array(collect_list(struct({order}, {path}, {size}))), struct(cast(0 as bigint) as used, cast(array() as array<struct<p:{dict(files.dtypes)[path]},s:bigint,primary:boolean>>) as out),
       (a, x) -> struct(case when a.used + x.{size} <= {capacity}L then a.used + x.{size} else a.used end as used, concat(a.out, array(struct(x.{path} as p, cast(x.{size} as bigint) as s, a.used + x.{size} <= {capacity}L as primary))) as out))""")
-    del item
     folded = files.groupBy(*keys).agg(acc.alias("f"))
     return folded.select(*keys, F.inline("f.out")).withColumnsRenamed({"p": path, "s": size})
 

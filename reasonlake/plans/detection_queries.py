@@ -56,6 +56,11 @@ def rule_first_fire_transcript(spark, sf):
     return f.select("session_id", "name", "block_seq", F.col("match_start").cast("long").alias("char_offset"), F.col("char_base").cast("long").alias("char_base"))
 
 
+def rule_prefix_fire(spark, sf):
+    """Firing with thinking tested at every character. Java and Python dialects agree on these patterns."""
+    return M.prefix_fire(X.blocks(spark, sf), [(r[1], r[2]) for r in X.RULES])
+
+
 def activation_summary(spark, sf):
     of = lambda k: F.count(F.when(F.col("type") == k, 1))
     g = fired(spark, sf).groupBy("session_id").agg(F.count(F.lit(1)).alias("n"), of("thinking").alias("n_thinking"), of("text").alias("n_text"), of("tool_result").alias("n_tool_result"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", "name"))), lambda x: x.turn.cast("string")), ",").alias("turns"), F.array_join(F.sort_array(F.collect_set("name")), ",").alias("names"))
@@ -193,7 +198,7 @@ def hit_files_by_family(spark, sf):
     return g.withColumn("lift", F.round((F.col("tier_1") - F.col("hot")) / F.col("n"), 4))
 
 
-QUERIES = {f.__name__: f for f in (tier1_byte_score, score_grid, rule_first_fire, rule_first_fire_transcript, activation_summary, tier_cumulative_files, live_tiers, naive_overfetch, subset_metrics, falsepos_report, loo_rules, rule_origin_counts, auto_rules, rule_fingerprint, enrich_policies, staged_before_open, stage_report, hit_files_by_family)}
+QUERIES = {f.__name__: f for f in (tier1_byte_score, score_grid, rule_first_fire, rule_first_fire_transcript, rule_prefix_fire, activation_summary, tier_cumulative_files, live_tiers, naive_overfetch, subset_metrics, falsepos_report, loo_rules, rule_origin_counts, auto_rules, rule_fingerprint, enrich_policies, staged_before_open, stage_report, hit_files_by_family)}
 
 _SCORES = """count(*) as n_detected, max(tot.n) as n_ground_truth, count(t.path) as n_overlap, cast(sum(p.bytes) as bigint) as bytes_detected, cast(max(tot.b) as bigint) as bytes_ground_truth, cast(coalesce(sum(case when t.path is not null then p.bytes end), 0) as bigint) as bytes_overlap,
  round(coalesce(sum(case when t.path is not null then p.bytes end), 0) / max(tot.b), 4) as byte_recall, round(sum(p.bytes) / max(tot.b), 4) as byte_overfetch, round(count(t.path) / max(tot.n), 4) as file_recall, round(count(t.path) / count(*), 4) as file_precision"""

@@ -122,8 +122,8 @@ def campaign_filter(spark, sf):
     """Sessions by provider family and model key, without the ill-defined task, with defaults for missing fields."""
     o = X.table(spark, sf, "orders")
     names = F.array(*[F.lit(x) for x in ("claude-haiku-x", "claude-sonnet-y", "gemini-2.5-flash", "Qwen3", "deepseek-v", "other")])
-    s = o.select(F.concat(F.lit("aiob_"), (100 + F.col("o_custkey") % 5).cast("string")).alias("task"), F.element_at(names, (F.col("o_orderkey") % 6 + 1).cast("int")).alias("model"), F.when(F.col("o_orderkey") % 4 == 0, "openrouter").otherwise("").alias("provider"), F.coalesce(F.nullif(F.col("o_shippriority") if "o_shippriority" in o.columns else F.lit(0), F.lit(0)), F.lit(1)).alias("turn"), F.col("o_totalprice").cast("decimal(18,2)").alias("v"))
-    k = s.where(L.is_well_defined(F.col("task")))
+    s = o.select(F.concat(F.lit("task_"), (100 + F.col("o_custkey") % 5).cast("string")).alias("task"), F.element_at(names, (F.col("o_orderkey") % 6 + 1).cast("int")).alias("model"), F.when(F.col("o_orderkey") % 4 == 0, "openrouter").otherwise("").alias("provider"), F.coalesce(F.nullif(F.col("o_shippriority") if "o_shippriority" in o.columns else F.lit(0), F.lit(0)), F.lit(1)).alias("turn"), F.col("o_totalprice").cast("decimal(18,2)").alias("v"))
+    k = s.where(L.is_well_defined(F.col("task"), ("task_101",)))
     return k.groupBy("task", L.provider_family(F.col("provider"), F.col("model")).alias("family"), L.model_key(F.col("model")).alias("key"), F.col("turn").cast("int").alias("turn")).agg(F.count(F.lit(1)).alias("n"), F.sum("v").cast("double").alias("total"))
 
 
@@ -176,7 +176,7 @@ SQL = {
     "path_compliance": "with e as (select distinct e.user_id as session_id, f.path, e.event_type = 'view' as named from events e join fx_files f on f.doc_id = cast(json_extract_string(e.props, '$.k') as bigint) where e.event_type in ('view', 'click', 'signup')), g as (select session_id, path, bool_or(named) as n, bool_or(not named) as a from e group by session_id, path) select session_id, count(*) filter (a) as n_accessed, count(*) filter (a and n) as n_hit, count(*) filter (n) as n_named, round(count(*) filter (a and n) / nullif(count(*) filter (a), 0), 4) as compliance from g group by session_id",
     "paired_prompt_delta": f"with r as ({_RUNS}), g as (select task, model, arg_min(elapsed, run) filter (mode = 'baseline') as b, arg_min(elapsed, run) filter (mode = 'pathful') as o from r group by task, model) select task, model, cast(b as double) as base, cast(o as double) as other, cast(o - b as double) as delta, round(cast(o - b as double) / greatest(1.0, cast(b as double)) * 100, 4) as overhead_pct from g where b is not null and o is not null",
     "against_median": f"with r as (select run, task, model, mode, cast(elapsed as double) as e from ({_RUNS})), m as (select task, model, quantile_cont(e, 0.5) as med from r where mode = 'baseline' group by task, model) select r.run, r.task, r.model, round((e - med) / greatest(1.0, med) * 100, 3) as overhead_pct from r join m on m.task = r.task and m.model = r.model where mode <> 'baseline'",
-    "campaign_filter": "with s as (select concat('aiob_', cast(100 + o_custkey % 5 as varchar)) as task, o_orderkey % 6 as k, o_orderkey % 4 = 0 as p, cast(o_totalprice as decimal(18,2)) as v from orders) select task, case when k in (0, 1) then 'anthropic' when k = 2 then 'gemini' when p or k = 4 then 'openrouter' else 'oss' end as family, case k when 0 then 'haiku' when 1 then 'sonnet' when 2 then 'flash' when 3 then 'qwen3' end as key, 1 as turn, count(*) as n, cast(sum(v) as double) as total from s where task <> 'aiob_101' group by 1, 2, 3",
+    "campaign_filter": "with s as (select concat('task_', cast(100 + o_custkey % 5 as varchar)) as task, o_orderkey % 6 as k, o_orderkey % 4 = 0 as p, cast(o_totalprice as decimal(18,2)) as v from orders) select task, case when k in (0, 1) then 'anthropic' when k = 2 then 'gemini' when p or k = 4 then 'openrouter' else 'oss' end as family, case k when 0 then 'haiku' when 1 then 'sonnet' when 2 then 'flash' when 3 then 'qwen3' end as key, 1 as turn, count(*) as n, cast(sum(v) as double) as total from s where task <> 'task_101' group by 1, 2, 3",
     "segment_time": "with t as (select session_id, coalesce(sum(length(text)) over (partition by session_id order by block_seq rows between unbounded preceding and 1 preceding), 0) as s, length(text) as n, t_first::double as f, t_stop::double as l from fx_blocks where type in ('thinking', 'text', 'tool_result')), e as (select session_id, max(s + n) as n from t group by session_id), p as (select session_id, unnest(range(0, cast(n + 51 as bigint), 100)) as pos from e) select p.session_id, p.pos as point, round(f + (l - f) * (pos - s) / greatest(1, t.n), 4) as t_ms from p left join t on t.session_id = p.session_id and pos >= s and pos < s + t.n",
     "pass_fractions": f"select session_id % 7 as family, count(*) as n, round(avg(cast(total_s >= 3000 as int)), 4) as long, round(avg(cast(shell_s * 5 >= total_s as int)), 4) as shell_heavy, quantile_cont(cast(total_s as double), 0.5) as median_s from ({_SPLIT}) group by 1 having count(*) >= 3",
     "new_per_turn": "with t as (select user_id, cast(json_extract_string(props, '$.k') as bigint) as doc_id, row_number() over (partition by user_id order by ts) - 1 as turn from events where event_type = 'click'), f as (select user_id, doc_id, min(turn) as turn from t group by user_id, doc_id) select user_id, turn, count(*) as n_new from f group by user_id, turn",

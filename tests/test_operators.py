@@ -211,3 +211,26 @@ def test_live_firing_does_not_depend_on_arrival(spark, tmp_path):
     q.awaitTermination()
     got = {(r["session_id"], r["name"], r["fired_at_ms"], r["match_start"]) for r in spark.table("fired_live").collect()}
     assert got == {("s", "band", 1000.0, 0), ("u", "band", 500.0, 0)}
+
+
+def test_prefix_firing_is_that_of_every_prefix(spark):
+    r = random.Random(9)
+    rules = [("id", r"\bHG000\b"), ("conf", r"\bconfig\b(?!\.py)"), ("all", "all|each"), ("far", "b.{0,3}d")]
+    rows = [(f"s{s}", i, i, r.choice(["thinking", "text", "tool_result"]), "".join(r.choice(["HG000", "HG0001 ", "config", ".py", "all", "eac", "h", "b", "d", " "]) for _ in range(r.randint(1, 6)))) for s in range(40) for i in range(4)]
+    want = set()
+    for s in {x[0] for x in rows}:
+        text, known = "", set()
+        for _, i, _, kind, t in sorted(x for x in rows if x[0] == s):
+            for name, p in rules:
+                if name not in known and kind == "thinking":
+                    for e in range(1, len(t) + 1):
+                        if re.search(p, text + t[:e], re.IGNORECASE):
+                            want.add((s, name, i, len(text) + e))
+                            known.add(name)
+                            break
+                elif name not in known and (m := re.search(p, text + t, re.IGNORECASE)) and m.start() >= len(text):
+                    want.add((s, name, i, len(text) + len(t)))
+                    known.add(name)
+            text += t
+    df = spark.createDataFrame(rows, "session_id string, block_seq int, turn int, type string, text string")
+    assert {(x["session_id"], x["name"], x["block_seq"], x["first_known_at"]) for x in M.prefix_fire(df, rules).collect()} == want
