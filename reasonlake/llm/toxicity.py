@@ -1,15 +1,16 @@
 """Operator 10: toxicity by multiple-instance learning.
 
-A text is a bag of sentences. Each sentence has a logistic score of the words in it, and
+A text is a bag of sentences. Each sentence has a logistic score of the words in it and of their beginnings, and
 the text's score is their noisy-or: 1 - product(1 - p). Only texts have labels, so the
 weights are trained through the noisy-or; afterwards the sentence scores tell which
 sentences offend. The model is fitted on a bounded sample of labelled texts: Spark counts in how
-many texts of either label each word occurs, the most telling words become features, and their
+many texts of either label each word or beginning occurs, the most telling ones become features, and their
 weights are learned on the driver. All texts are scored in Arrow batches.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -22,9 +23,11 @@ from pyspark.sql import functions as F
 from .common import read, stage_table
 
 #: Bounds of the fit: labelled texts of either label (about so many, by a hash of their ids), words that are features, and texts of label 1 that a feature needs.
-FIT_TEXTS, FEATURES, LEAST_TEXTS = 10_000, 2_000, 3
+FIT_TEXTS, FEATURES, LEAST_TEXTS = 10_000, 2_000, 5
+#: Lengths of the word beginnings that may be features, so that a stem counts whatever follows it. Words whose weight a Python worker remembers.
+STEMS, MEMO_WORDS = range(4, 9), 200_000
 #: Steps of the fit and its penalty on weights.
-STEPS, PENALTY = 400, 0.02
+STEPS, PENALTY = 600, 0.01
 
 SENTENCE = re.compile(r"[^.!?…。！？\n]+[.!?…。！？]*")
 WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
@@ -39,14 +42,33 @@ def words(sentence: str) -> set[str]:
     return set(WORD.findall(sentence.lower()))
 
 
+def features(word: str) -> list[str]:
+    """The word and its beginnings, which end in a star."""
+    return [word, *(word[:n] + "*" for n in STEMS if n < len(word))]
+
+
+class WordWeights(dict):
+    """Sums of the weights of words' features, remembered; bounded."""
+
+    def __init__(self, weights: dict[str, float]) -> None:
+        super().__init__()
+        self.weights = weights
+
+    def __missing__(self, word: str) -> float:
+        if len(self) >= MEMO_WORDS:
+            self.clear()
+        w = self[word] = sum(self.weights.get(f, 0.0) for f in features(word))
+        return w
+
+
 @dataclass(frozen=True)
 class Model:
     weights: dict[str, float]
     bias: float
 
-    def sentence_scores(self, text: str) -> list[tuple[int, int, float]]:
-        get, bias = self.weights.get, self.bias
-        return [(a, b, 1 / (1 + np.exp(-(bias + sum(get(w, 0.0) for w in words(s)))))) for a, b, s in sentences(text)]
+    def sentence_scores(self, text: str, known: WordWeights | None = None) -> list[tuple[int, int, float]]:
+        look = (WordWeights(self.weights) if known is None else known).__getitem__
+        return [(a, b, 1 / (1 + math.exp(-min(max(self.bias + sum(map(look, words(s))), -700.0), 700.0)))) for a, b, s in sentences(text)]
 
     def score(self, scores: list[tuple[int, int, float]]) -> float:
         """Noisy-or of sentence scores; a text without sentences counts as one sentence without words."""
@@ -56,18 +78,18 @@ class Model:
 
 
 def _word_sets(docs: DataFrame) -> DataFrame:
-    """(label, words) of (label, text)."""
+    """(label, words) of (label, text): words and their beginnings."""
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            sets = [sorted(words(t or "")) for t in b.column("text").to_pylist()]
+            sets = [sorted({f for w in words(t or "") for f in features(w)}) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("label"), pa.array(sets, pa.list_(pa.string()))], names=["label", "words"])
 
     return docs.select("label", "text").mapInArrow(batches, "label int, words array<string>")
 
 
-def telling_words(docs: DataFrame, features: int = FEATURES, least: int = LEAST_TEXTS) -> list[str]:
-    """The words whose share of texts differs most between the labels (likelihood ratio), at most ``features``, of those that label 1 favours."""
+def telling_words(docs: DataFrame, most: int = FEATURES, least: int = LEAST_TEXTS) -> list[str]:
+    """The words whose share of texts differs most between the labels (likelihood ratio), at most ``most``, of those that label 1 favours; with beginnings."""
     total = docs.groupBy("label").count().collect()
     n = {r["label"]: r["count"] for r in total}
     n1, n0 = n.get(1, 0), n.get(0, 0)
@@ -78,7 +100,7 @@ def telling_words(docs: DataFrame, features: int = FEATURES, least: int = LEAST_
     a, b = F.col("a"), F.col("b")
     with_, without = a + b, (n1 + n0) - a - b
     g = part(a, n1, with_, 0) + part(b, n0, with_, 0) + part(n1 - a, n1, without, 0) + part(n0 - b, n0, without, 0)
-    rows = by.where((a >= least) & (a * n0 > b * n1)).withColumn("g", F.round(g, 6)).where("g > 3").orderBy(F.desc("g"), "word").limit(features).select("word").collect()
+    rows = by.where((a >= least) & (a * n0 > b * n1)).withColumn("g", F.round(g, 6)).where("g > 20").orderBy(F.desc("g"), "word").limit(most).select("word").collect()
     return [r["word"] for r in rows]
 
 
@@ -90,7 +112,7 @@ def _bags(docs: DataFrame, vocabulary: dict[str, int]) -> DataFrame:
             n, rows, cols = [], [], []
             for t in b.column("text").to_pylist():
                 s = sentences(t or "")
-                got = [(i, vocabulary[w]) for i, (_, _, x) in enumerate(s) for w in words(x) if w in vocabulary]
+                got = [(i, vocabulary[f]) for i, (_, _, x) in enumerate(s) for w in words(x) for f in features(w) if f in vocabulary]
                 n.append(max(1, len(s)))
                 rows.append([x for x, _ in got])
                 cols.append([x for _, x in got])
@@ -99,7 +121,7 @@ def _bags(docs: DataFrame, vocabulary: dict[str, int]) -> DataFrame:
     return docs.select("label", "text").mapInArrow(batches, "label int, n int, row array<int>, col array<int>")
 
 
-def fit(bags: list, features: int, weight: dict[int, float]) -> tuple[np.ndarray, float]:
+def fit(bags: list, n_features: int, weight: dict[int, float]) -> tuple[np.ndarray, float]:
     """Weights and bias that maximise the likelihood of labels under the noisy-or, by Adam. Sentences without features share one score."""
     y = np.array([b["label"] for b in bags], float)
     importance = np.array([weight[b["label"]] for b in bags], float)
@@ -113,8 +135,8 @@ def fit(bags: list, features: int, weight: dict[int, float]) -> tuple[np.ndarray
         bare[i] = b["n"] - len(of)
         at += len(of)
     doc, row, col = np.array(doc, int), np.array(row, int), np.array(col, int)
-    w, bias = np.zeros(features), -5.0
-    m, v = np.zeros(features + 1), np.zeros(features + 1)
+    w, bias = np.zeros(n_features), -5.0
+    m, v = np.zeros(n_features + 1), np.zeros(n_features + 1)
     for step in range(1, STEPS + 1):
         z = bias + np.bincount(row, w[col], at)
         log_not = -np.logaddexp(0, z)  # log(1 - p)
@@ -124,7 +146,7 @@ def fit(bags: list, features: int, weight: dict[int, float]) -> tuple[np.ndarray
         # d log-likelihood / d log(1 - P): for label 0 it is 1, for label 1 it is -(1 - P) / P
         slope = np.where(y == 1, -clean / np.maximum(1 - clean, 1e-9), 1.0) * importance
         each = -slope[doc] * np.exp(z + log_not) if at else np.zeros(0)  # d log(1 - p) / dz = -p
-        grad = np.append(np.bincount(col, each[row], features) if at else np.zeros(features), each.sum() - (slope * bare).sum() * np.exp(bias + none))
+        grad = np.append(np.bincount(col, each[row], n_features) if at else np.zeros(n_features), each.sum() - (slope * bare).sum() * np.exp(bias + none))
         grad[:-1] -= PENALTY / len(bags) * w
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
         move = 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-10)
@@ -178,8 +200,9 @@ def score_texts(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
     span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = WordWeights(model.weights)
         for b in it:
-            per = [model.sentence_scores(t or "") for t in b.column(at).to_pylist()]
+            per = [model.sentence_scores(t or "", known) for t in b.column(at).to_pylist()]
             bad = [[{"start": s, "end": e, "score": float(p)} for s, e, p in x if p >= 0.5] for x in per]
             cols = [pa.array([model.score(x) for x in per], pa.float64()), pa.array(bad, span)]
             yield pa.RecordBatch.from_arrays([*b.columns, *cols], names=[*b.schema.names, "score", "offending"])
