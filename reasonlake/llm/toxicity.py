@@ -27,7 +27,7 @@ FIT_TEXTS, FEATURES, LEAST_TEXTS = 10_000, 2_000, 5
 #: Lengths of the word beginnings that may be features, so that a stem counts whatever follows it. Words whose weight a Python worker remembers.
 STEMS, MEMO_WORDS = range(4, 9), 200_000
 #: Steps of the fit and its penalty on weights.
-STEPS, PENALTY = 600, 0.01
+STEPS, PENALTY = 600, 0.05
 
 SENTENCE = re.compile(r"[^.!?…。！？\n]+[.!?…。！？]*")
 WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
