@@ -24,14 +24,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BASE_2, CODES, read, signed, windows
+from .common import BASE_2, CODES, mix, read, signed, windows
 
 #: Words of a window and of an anchor, and bits of a code that name the first words.
 WINDOW, ANCHOR, PREFIX_BITS = 13, 5, 20
 #: Bits of an anchor's code. Fewer make the shuffle smaller; clashes only let more windows through to the exact step.
 ANCHOR_BITS = 44
 #: Groups for each shuffle partition, and codes of a group that are walked at once.
-GROUPS, GROUP_CODES = 16, 4_000_000
+GROUPS, GROUP_CODES = 2, 4_000_000
 
 
 def _sliding(x: np.ndarray, width: int, of) -> np.ndarray:
@@ -58,93 +58,119 @@ def suffix_codes(codes: np.ndarray, window: int, prefix: int) -> np.ndarray:
     return (windows(codes, prefix)[: len(whole)] >> (np.uint64(64) - bits)) << (np.uint64(64) - bits) | whole >> bits
 
 
-#: A dealt row: the sorted codes of one batch in one group and their documents. Asks wait for an answer, answers have it, marks tell that a code has documents already.
-DEALT = "grp int, kind string, n int, codes binary, docs binary"
-ASK, ANSWER, MARK = "ask", "answer", "mark"
+#: A dealt row: what one batch has for one group, as sorted codes and their documents. Asks (0) wait for an
+#: answer, answers (1) have it, marks (2) tell that a code has documents already.
+DEALT = "grp int, n array<int>, codes array<binary>, docs array<binary>"
+ASK, ANSWER, MARK = range(3)
+#: Answers on their way to their documents, and the documents with theirs.
+SENT = "grp int, n int, codes binary, docs binary"
 ANSWERS = "doc_id long, codes array<long>"
 
 #: For each of the asks (codes, documents; sorted by both) whether it is answered, given the marked codes.
 Decide = Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]
+Pairs = tuple[np.ndarray, np.ndarray]
+NONE: Pairs = (np.empty(0, np.uint64), np.empty(0, np.int64))
 
 
-def _pack(codes: np.ndarray, docs: np.ndarray, shift: int, kind: str) -> Iterator[pa.RecordBatch]:
-    """Pairs as one row for each group. Gaps between sorted codes and document ids take four bytes where they fit."""
+def _encode(codes: np.ndarray, docs: np.ndarray) -> tuple[bytes, bytes]:
+    """Sorted codes as the first and the gaps, and document ids; both in four bytes each where they fit."""
     if not len(codes):
-        return
-    order = np.lexsort((docs, codes))
-    codes, docs = codes[order], docs[order]
-    grp = (codes >> np.uint64(shift)).astype(np.int32)
-    heads = [0, *(np.flatnonzero(grp[1:] != grp[:-1]) + 1).tolist(), len(grp)]
-    n, gaps, ids = [], [], []
-    for s, e in itertools.pairwise(heads):
-        gap, own = np.diff(codes[s:e]), docs[s:e]
-        gaps.append(codes[s : s + 1].tobytes() + (gap.astype("<u4") if len(gap) and int(gap.max()) < 2**32 else gap).tobytes())
-        ids.append(b"" if kind == MARK else (own.astype("<u4") if own.min() >= 0 and own.max() < 2**32 else own).tobytes())
-        n.append(e - s)
-    yield pa.RecordBatch.from_arrays([pa.array(grp[heads[:-1]]), pa.array([kind] * len(n)), pa.array(n, pa.int32()), pa.array(gaps, pa.binary()), pa.array(ids, pa.binary())], names=["grp", "kind", "n", "codes", "docs"])
-
-
-def _unpack(n: int, gaps: bytes, ids: bytes) -> tuple[np.ndarray, np.ndarray]:
+        return b"", b""
+    gap = np.diff(codes)
+    return codes[:1].tobytes() + (gap.astype("<u4") if len(gap) and int(gap.max()) < 2**32 else gap).tobytes(), (docs.astype("<u4") if docs.min() >= 0 and docs.max() < 2**32 else docs).tobytes()
+
+
+def _decode(n: int, gaps: bytes, ids: bytes) -> Pairs:
+    if not n:
+        return NONE
     rest = np.frombuffer(gaps[8:], "<u4" if len(gaps) - 8 == 4 * (n - 1) else "<u8").astype(np.uint64)
     codes = np.cumsum(np.concatenate([np.frombuffer(gaps[:8], "<u8"), rest]), dtype=np.uint64)
-    return codes, np.frombuffer(ids, "<u4" if len(ids) == 4 * n else "<i8").astype(np.int64) if ids else np.zeros(n, np.int64)
+    return codes, np.frombuffer(ids, "<u4" if len(ids) == 4 * n else "<i8").astype(np.int64)
+
+
+def _pack(shift: int, *kinds: Pairs) -> pa.RecordBatch:
+    """One row for each group that asks, answers or marks fall in."""
+    kinds = [(c[o], d[o]) for c, d in (*kinds, *[NONE] * (3 - len(kinds))) for o in [np.lexsort((d, c))]]
+    own = [(c >> np.uint64(shift)).astype(np.int32) for c, _ in kinds]
+    groups = np.unique(np.concatenate(own))
+    ends = [(np.searchsorted(g, groups), np.searchsorted(g, groups, "right")) for g in own]
+    made = [[_encode(c[s[i] : e[i]], d[s[i] : e[i]]) for (c, d), (s, e) in zip(kinds, ends, strict=True)] for i in range(len(groups))]
+    n = [[int(e[i] - s[i]) for s, e in ends] for i in range(len(groups))]
+    return pa.RecordBatch.from_arrays([pa.array(groups, pa.int32()), pa.array(n, pa.list_(pa.int32())), pa.array([[x[0] for x in m] for m in made], pa.list_(pa.binary())), pa.array([[x[1] for x in m] for m in made], pa.list_(pa.binary()))], names=["grp", "n", "codes", "docs"])
+
+
+def _concat(pairs: list[Pairs]) -> Pairs:
+    codes, docs = zip(NONE, *pairs, strict=True)
+    return np.concatenate(codes), np.concatenate(docs)
+
 
+def _groups(it: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+    """Rows of each group, from batches sorted by group."""
+    now, rows = None, []
+    for b in it:
+        for grp, *row in zip(*(b.column(c).to_pylist() for c in ("grp", "n", "codes", "docs")), strict=True):
+            if grp != now and rows:
+                yield rows
+                rows = []
+            now = grp
+            rows.append(tuple(row))
+    if rows:
+        yield rows
 
-def _meet(dealt: DataFrame, shift: int, decide: Decide) -> DataFrame:
-    """(doc_id, codes): all answers, one row or more a document. Each group is walked in code order, in parts by longer prefixes if it is large."""
 
+def _meet(dealt: DataFrame, shift: int, groups: int, decide: Decide) -> DataFrame:
+    """(doc_id, codes): all answers of each document that has any. Each group is walked in code order, in parts by longer prefixes if it is large; answers are then gathered by document."""
     most = GROUP_CODES
 
-    def split(rows: list[tuple], kind: str, extra: int, part: int) -> tuple[np.ndarray, np.ndarray]:
-        codes, docs = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
-        for k, n, a, b in rows:
-            if k == kind:
-                c, d = _unpack(n, a, b)
-                if extra:
-                    own = (c >> np.uint64(shift - extra)) & np.uint64(2**extra - 1) == part
-                    c, d = c[own], d[own]
-                codes.append(c)
-                docs.append(d)
-        return np.concatenate(codes), np.concatenate(docs)
-
-    def walk(rows: list[tuple]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        extra = min(shift, max(0, (sum(r[1] for r in rows) - 1) // most).bit_length())
-        for part in range(2**extra):
-            yield split(rows, ANSWER, extra, part)
-            codes, docs = split(rows, ASK, extra, part)
+    def part(rows: list[tuple], kind: int, extra: int, at: int) -> Pairs:
+        out = []
+        for n, codes, docs in rows:
+            c, d = _decode(n[kind], codes[kind], docs[kind])
+            if extra:
+                own = (c >> np.uint64(shift - extra)) & np.uint64(2**extra - 1) == at
+                c, d = c[own], d[own]
+            out.append((c, d))
+        return _concat(out)
+
+    def walk(rows: list[tuple]) -> Iterator[Pairs]:
+        extra = min(shift, max(0, (sum(sum(r[0]) for r in rows) - 1) // most).bit_length())
+        for at in range(2**extra):
+            yield part(rows, ANSWER, extra, at)
+            codes, docs = part(rows, ASK, extra, at)
             order = np.lexsort((docs, codes))
             codes, docs = codes[order], docs[order]
             if len(codes):
-                yes = decide(codes, docs, split(rows, MARK, extra, part)[0])
+                yes = decide(codes, docs, part(rows, MARK, extra, at)[0])
                 yield codes[yes], docs[yes]
 
-    def flush(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-        codes, docs = (np.concatenate(x) for x in zip(*held, strict=True))
-        order = np.argsort(docs, kind="stable")
-        codes, docs = codes[order], docs[order]
-        heads = np.flatnonzero(np.append(True, docs[1:] != docs[:-1])) if len(docs) else np.empty(0, int)
-        return pa.RecordBatch.from_arrays([pa.array(docs[heads]), pa.ListArray.from_arrays(pa.array(np.append(heads, len(docs)).astype(np.int32)), pa.array(signed(codes)))], names=["doc_id", "codes"])
-
-    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, rows, held = None, [], [(np.empty(0, np.uint64), np.empty(0, np.int64))]
-
-        def full(last: bool) -> bool:
-            held.extend(walk(rows))
-            rows.clear()
-            return last or sum(len(c) for c, _ in held) > most // 4
-
-        for b in it:
-            for grp, *row in zip(*(b.column(c).to_pylist() for c in ("grp", "kind", "n", "codes", "docs")), strict=True):
-                if grp != now:
-                    if rows and full(False):
-                        yield flush(held)
-                        del held[1:]
-                    now = grp
-                rows.append(tuple(row))
-        full(True)
-        yield flush(held)
+    def send(held: list[Pairs]) -> pa.RecordBatch:
+        codes, docs = _concat(held)
+        to = (mix(docs.view(np.uint64)) % np.uint64(groups)).astype(np.int32)
+        order = np.lexsort((docs, codes, to))
+        codes, docs, to = codes[order], docs[order], to[order]
+        heads = [*np.flatnonzero(np.append(True, to[1:] != to[:-1]))[: len(to)].tolist(), len(to)]
+        made = [_encode(codes[s:e], docs[s:e]) for s, e in itertools.pairwise(heads)]
+        return pa.RecordBatch.from_arrays([pa.array(to[heads[:-1]], pa.int32()), pa.array(np.diff(heads), pa.int32()), pa.array([m[0] for m in made], pa.binary()), pa.array([m[1] for m in made], pa.binary())], names=["grp", "n", "codes", "docs"])
+
+    def answer(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[Pairs] = []
+        for rows in _groups(it):
+            held += walk(rows)
+            if sum(len(c) for c, _ in held) > most // 4:
+                yield send(held)
+                held = []
+        yield send(held)
+
+    def gather(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _groups(it):
+            codes, docs = _concat([_decode(*r) for r in rows])
+            order = np.argsort(docs, kind="stable")
+            codes, docs = codes[order], docs[order]
+            heads = np.flatnonzero(np.append(True, docs[1:] != docs[:-1]))
+            yield pa.RecordBatch.from_arrays([pa.array(docs[heads]), pa.ListArray.from_arrays(pa.array(np.append(heads, len(docs)).astype(np.int32)), pa.array(signed(codes)))], names=["doc_id", "codes"])
 
-    return dealt.repartition("grp").sortWithinPartitions("grp").mapInArrow(batches, ANSWERS)
+    sent = dealt.repartition("grp").sortWithinPartitions("grp").mapInArrow(answer, SENT)
+    return sent.repartition("grp").sortWithinPartitions("grp").mapInArrow(gather, ANSWERS)
 
 
 def _runs(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -170,14 +196,13 @@ def _shared_anchors(docs: DataFrame, window: int, anchor: int, bits: int) -> Dat
             per = [np.unique(window_anchors(CODES.array(t.split()), window, anchor)) for t in b.column("text").to_pylist()]
             codes, own = _pairs(per, b.column("doc_id").to_numpy())
             many = _runs(codes)[1] > 1
-            yield from _pack(codes[~many], own[~many], shift, ASK)
-            yield from _pack(codes[many], own[many], shift, ANSWER)
-            yield from _pack(one := np.unique(codes[many]), np.zeros(len(one), np.int64), shift, MARK)
+            one = np.unique(codes[many])
+            yield _pack(shift, (codes[~many], own[~many]), (codes[many], own[many]), (one, np.zeros(len(one), np.int64)))
 
     def decide(codes: np.ndarray, _: np.ndarray, marked: np.ndarray) -> np.ndarray:
         return (_runs(codes)[1] > 1) | np.isin(codes, marked)
 
-    return _meet(docs.select("doc_id", "text").mapInArrow(deal, DEALT), shift, decide)
+    return _meet(docs.select("doc_id", "text").mapInArrow(deal, DEALT), shift, 2**bits, decide)
 
 
 def _repeats(docs: DataFrame, window: int, anchor: int, bits: int) -> DataFrame:
@@ -194,26 +219,21 @@ def _repeats(docs: DataFrame, window: int, anchor: int, bits: int) -> DataFrame:
             codes, own = _pairs(per, b.column("doc_id").to_numpy())
             later = own > own[_runs(codes)[0]] if len(codes) else np.empty(0, bool)
             new = np.append(True, codes[1:] != codes[:-1])[: len(codes)]
-            yield from _pack(codes[new], own[new], shift, ASK)
-            yield from _pack(codes[later], own[later], shift, ANSWER)
+            yield _pack(shift, (codes[new], own[new]), (codes[later], own[later]))
 
     def decide(codes: np.ndarray, own: np.ndarray, _: np.ndarray) -> np.ndarray:
         return own > own[_runs(codes)[0]]
 
-    return _meet(docs.select("doc_id", "text", "shared").mapInArrow(deal, DEALT), shift, decide)
-
-
-def _by_document(answers: DataFrame, name: str) -> DataFrame:
-    return answers.groupBy("doc_id").agg(F.flatten(F.collect_list("codes")).alias(name))
+    return _meet(docs.select("doc_id", "text", "shared").mapInArrow(deal, DEALT), shift, 2**bits, decide)
 
 
 def marked(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
     """(doc_id, text, marks) of (doc_id, text binary), ids not null: the codes of suffixes to remove, null for none."""
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     bits = min(30, (parts * GROUPS - 1).bit_length())
-    shared = _by_document(_shared_anchors(docs, window, anchor, bits), "shared")
+    shared = _shared_anchors(docs, window, anchor, bits).withColumnRenamed("codes", "shared")
     # both joins read one exchange of the texts
-    repeats = _by_document(_repeats(docs.join(shared, "doc_id"), window, anchor, bits), "marks")
+    repeats = _repeats(docs.join(shared, "doc_id"), window, anchor, bits).withColumnRenamed("codes", "marks")
     return docs.join(repeats, "doc_id", "left").select("doc_id", "text", "marks")
 
 
