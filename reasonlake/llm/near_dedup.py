@@ -153,40 +153,53 @@ def _runs(it: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[tuple
 
 
 def _cluster(members: DataFrame, index: Index, keys: list[str], near: int, tie: int) -> DataFrame:
-    """Edges (a, b) from each member to the leaders of its key within ``tie`` symbols; a member with no leader within ``near`` becomes one.
+    """Edges (a, b) that tie each member to all leaders of its key within ``tie`` symbols; a member with no leader within ``near`` becomes one.
 
     Members come by falling ``weight``, how many members they meet over all keys, so that the
-    centre of a group leads in every key that has it and a member has few leaders. Only the
-    leaders of the current key are held. Leaders come out as edges to themselves.
+    centre of a group leads in every key that has it and a member has few leaders. A member
+    has one edge, to its first leader; leaders that it ties together have one where they were not tied before, so a key has fewer
+    than twice as many edges as members. Only the leaders of the current key are held. They come out as edges to themselves as well.
     """
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, heads, ids, n = None, None, [], 0
+        key, heads, ids, up = None, None, [], []
+
+        def find(i: int) -> int:
+            while up[i] != i:
+                up[i] = up[up[i]]
+                i = up[i]
+            return i
+
         for b in it:
             cols = [b.column(k).to_numpy(zero_copy_only=False).tolist() for k in keys]
             nodes = b.column("node").to_pylist()
             sigs = np.frombuffer(b"".join(b.column("sig").to_pylist()), np.uint16).reshape(b.num_rows, index.symbols)
-            kept: list[list] = [[] for _ in keys]
-            ones, twos = [], []
+            made: list[tuple] = []
             for i, node in enumerate(nodes):
                 own = tuple(c[i] for c in cols)
                 if own != key:
-                    key, heads, ids, n = own, np.empty((16, index.symbols), np.uint16), [], 0
-                far = (heads[:n] != sigs[i]).sum(axis=1) if n else np.empty(0, int)
-                tied = [ids[j] for j in np.flatnonzero(far <= tie)]
-                if not n or far.min() > near:
-                    if n == len(heads):
+                    key, heads, ids, up = own, np.empty((16, index.symbols), np.uint16), [], []
+                far = (heads[: len(ids)] != sigs[i]).sum(axis=1)
+                tied = np.flatnonzero(far <= tie).tolist()
+                if not ids or far.min() > near:
+                    if len(ids) == len(heads):
                         heads = np.concatenate([heads, np.empty_like(heads)])
-                    heads[n] = sigs[i]
+                    heads[len(ids)] = sigs[i]
+                    tied.append(len(ids))
+                    up.append(len(ids))
                     ids.append(node)
-                    n += 1
-                    tied.append(node)
-                for t in tied:
-                    ones.append(node)
-                    twos.append(t)
-                    for k, v in zip(kept, own, strict=True):
-                        k.append(v)
-            yield pa.RecordBatch.from_arrays([*(pa.array(k, b.schema.field(name).type) for k, name in zip(kept, keys, strict=True)), pa.array(ones, pa.int64()), pa.array(twos, pa.int64())], names=[*keys, "a", "b"])
+                    made.append((*own, node, node))
+                first = tied[0]
+                if ids[first] != node:
+                    made.append((*own, node, ids[first]))
+                for j in tied[1:]:
+                    x, y = find(first), find(j)
+                    if x != y:
+                        up[max(x, y)] = min(x, y)
+                        if ids[j] != node:
+                            made.append((*own, ids[j], ids[first]))
+            values = list(zip(*made, strict=True)) or [[] for _ in range(len(keys) + 2)]
+            yield pa.RecordBatch.from_arrays([pa.array(v, b.schema.field(k).type if k in keys else pa.int64()) for v, k in zip(values, [*keys, "a", "b"], strict=True)], names=[*keys, "a", "b"])
 
     kinds = dict(members.dtypes)
     dealt = members.select(*keys, "weight", "node", "sig").repartition(*keys).sortWithinPartitions(*keys, F.desc("weight"), "node")
