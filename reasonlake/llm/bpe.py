@@ -20,10 +20,10 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import read, small
 
 #: Pieces and token pairs that a Python worker remembers before it starts afresh, and the longest piece kept.
-MEMO_PIECES, MEMO_PAIRS, MEMO_BYTES = 300_000, 1_000_000, 64
+MEMO_PIECES, MEMO_PAIRS, MEMO_BYTES = 250_000, 300_000, 64
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -180,7 +180,7 @@ def _added(df: DataFrame, source: str, of: str, make, new: list[tuple[str, str]]
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = make()
-        for b in it:
+        for b in small(it):
             got = [f(x) for x in b.column(at).to_pylist()]
             cols = [pa.array([g[i] for g in got], types[t]) for i, (_, t) in enumerate(new)]
             yield pa.RecordBatch.from_arrays([*b.columns, *cols], names=[*b.schema.names, *(n for n, _ in new)])

@@ -9,6 +9,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import xxhash
@@ -77,6 +78,13 @@ class WordCodes(dict):
 CODES = WordCodes()
 
 
+def small(it: Iterator, rows: int = 512) -> Iterator:
+    """Slices of Arrow batches, so that few texts are Python objects at a time."""
+    for b in it:
+        for i in range(0, b.num_rows, rows):
+            yield b.slice(i, rows)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Scramble 64-bit values so that every bit depends on all (a finaliser in the splitmix form)."""
     x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)

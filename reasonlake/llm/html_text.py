@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import read, small
 
 #: Elements that end a block of text.
 BLOCK = set("html body head title address article aside blockquote center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr legend li main menu nav ol optgroup option p pre section select summary table tbody td tfoot th thead tr ul caption noscript template iframe object button textarea".split())
@@ -179,7 +179,7 @@ def extract_text(pages: DataFrame, html: str = "html") -> DataFrame:
     names = [*(c for c in pages.columns if c != html), "text"]
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
+        for b in small(it):
             text = pa.array([main_text(h) for h in b.column(at).to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([*b.columns[:at], *b.columns[at + 1 :], text], names=names)
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BASE, BASE_2, CODES, mix, read, signed, stage_table, windows
+from .common import BASE, BASE_2, CODES, mix, read, signed, small, stage_table, windows
 
 #: Chance that a pair at the threshold is beyond the distance that the keys guarantee.
 MISS = 1e-6
@@ -96,7 +96,7 @@ def _sets(docs: DataFrame, words: int, index: Index) -> DataFrame:
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by = multipliers(index.symbols)
-        for b in it:
+        for b in small(it):
             n, set_a, set_b, sig = [], [], [], []
             for t in b.column("text").to_pylist():
                 s = shingles(t or b"", words)

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import _path, load_ranks
-from .common import MEMO_WORDS, read
+from .common import MEMO_WORDS, read, small
 
 NONE = -1
 
@@ -113,7 +113,7 @@ def count_tokens(df: DataFrame, text: str = "text", ranks: str = "byte_bpe_50k.t
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         look = counts_for(ranks).__getitem__
-        for b in it:
+        for b in small(it):
             words = [(t or b"").split() for t in b.column(at).to_pylist()]
             made = [pa.array([len(w) for w in words], pa.int64()), pa.array([sum(map(look, w)) for w in words], pa.int64())]
             yield pa.RecordBatch.from_arrays([*b.columns, *made], names=[*b.schema.names, "n_words", "n_tokens"])

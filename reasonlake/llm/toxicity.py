@@ -20,12 +20,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read, stage_table
+from .common import read, small, stage_table
 
 #: Bounds of the fit: labelled texts of either label (about so many, by a hash of their ids), words that are features, and texts of label 1 that a feature needs.
 FIT_TEXTS, FEATURES, LEAST_TEXTS = 10_000, 2_000, 5
 #: Lengths of the word beginnings that may be features, so that a stem counts whatever follows it. Words whose weight a Python worker remembers.
-STEMS, MEMO_WORDS = range(4, 9), 200_000
+STEMS, MEMO_WORDS = range(4, 9), 100_000
 #: Steps of the fit and its penalty on weights.
 STEPS, PENALTY = 600, 0.05
 
@@ -81,7 +81,7 @@ def _word_sets(docs: DataFrame) -> DataFrame:
     """(label, words) of (label, text): words and their beginnings."""
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
+        for b in small(it):
             sets = [sorted({f for w in words(t or "") for f in features(w)}) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("label"), pa.array(sets, pa.list_(pa.string()))], names=["label", "words"])
 
@@ -108,7 +108,7 @@ def _bags(docs: DataFrame, vocabulary: dict[str, int]) -> DataFrame:
     """(label, n sentences, sentence of each feature, feature) of texts."""
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
+        for b in small(it):
             n, rows, cols = [], [], []
             for t in b.column("text").to_pylist():
                 s = sentences(t or "")
@@ -201,7 +201,7 @@ def score_texts(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordWeights(model.weights)
-        for b in it:
+        for b in small(it):
             per = [model.sentence_scores(t or "", known) for t in b.column(at).to_pylist()]
             bad = [[{"start": s, "end": e, "score": float(p)} for s, e, p in x if p >= 0.5] for x in per]
             cols = [pa.array([model.score(x) for x in per], pa.float64()), pa.array(bad, span)]
