@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read, small
+from .common import read, small, using
 
 #: Pieces and token pairs that a Python worker remembers before it starts afresh, and the longest piece kept.
 MEMO_PIECES, MEMO_PAIRS, MEMO_BYTES = 250_000, 300_000, 64
@@ -154,6 +154,7 @@ _codecs: dict[tuple[str, str], Codec] = {}
 
 def codec(path: str, pattern: str) -> Codec:
     """The worker's codec of a rank file that every node has installed."""
+    using("bpe", _codecs.clear)
     if (path, pattern) not in _codecs:
         _codecs[path, pattern] = Codec(load_ranks(path), pattern)
     return _codecs[path, pattern]

@@ -9,7 +9,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import xxhash
@@ -78,6 +78,22 @@ class WordCodes(dict):
 CODES = WordCodes()
 
 
+def word_codes() -> WordCodes:
+    """The worker's word codes, for the task that begins."""
+    using("words", CODES.clear)
+    return CODES
+
+
+_memos: dict[str, Callable[[], None]] = {}
+
+
+def using(name: str, clear: Callable[[], None]) -> None:
+    """Say at the start of a task which memo it uses. Python workers are reused, so those of other operators are dropped first."""
+    for other in [n for n in _memos if n != name]:
+        _memos.pop(other)()
+    _memos[name] = clear
+
+
 def small(it: Iterator, rows: int = 512) -> Iterator:
     """Slices of Arrow batches, so that few texts are Python objects at a time."""
     for b in it:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BASE, BASE_2, CODES, mix, read, signed, small, stage_table, windows
+from .common import BASE, BASE_2, CODES, mix, read, signed, small, stage_table, windows, word_codes
 
 #: Chance that a pair at the threshold is beyond the distance that the keys guarantee.
 MISS = 1e-6
@@ -95,6 +95,7 @@ def _sets(docs: DataFrame, words: int, index: Index) -> DataFrame:
     """(doc_id, text_hash, n, set_a, set_b, sig) of (doc_id, text_hash, text binary). set_a and set_b name a set by 128 bits."""
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        word_codes()
         by = multipliers(index.symbols)
         for b in small(it):
             n, set_a, set_b, sig = [], [], [], []
@@ -280,6 +281,7 @@ def _link(members: DataFrame, words: int, per: int, of: int) -> DataFrame:
     """Edges (a, b) of a spanning forest of the links in each group (gid, one, two)."""
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        word_codes()
         ones, twos = [], []
         for _, parts in _runs(it, ["gid", "one", "two"]):
             texts = [t for p in parts for t in p.column("text").to_pylist()]

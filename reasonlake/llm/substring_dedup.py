@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BASE_2, CODES, mix, read, signed, windows
+from .common import BASE_2, CODES, mix, read, signed, windows, word_codes
 
 #: Words of a window and of an anchor, and bits of a code that name the first words.
 WINDOW, ANCHOR, PREFIX_BITS = 13, 5, 20
@@ -192,6 +192,7 @@ def _shared_anchors(docs: DataFrame, window: int, anchor: int, bits: int) -> Dat
     shift = ANCHOR_BITS - bits
 
     def deal(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        word_codes()
         for b in it:
             per = [np.unique(window_anchors(CODES.array(t.split()), window, anchor)) for t in b.column("text").to_pylist()]
             codes, own = _pairs(per, b.column("doc_id").to_numpy())
@@ -210,6 +211,7 @@ def _repeats(docs: DataFrame, window: int, anchor: int, bits: int) -> DataFrame:
     shift = 64 - bits
 
     def deal(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        word_codes()
         for b in it:
             per = []
             for text, shared in zip(b.column("text").to_pylist(), b.column("shared").to_pylist(), strict=True):

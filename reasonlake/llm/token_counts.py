@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import _path, load_ranks
-from .common import MEMO_WORDS, read, small
+from .common import MEMO_WORDS, read, small, using
 
 NONE = -1
 
@@ -95,6 +95,7 @@ _counts: dict[str, Counts] = {}
 
 def counts_for(ranks: str) -> Counts:
     """The worker's counts over a byte vocabulary: tokens with a leading blank begin words, the others go on with them."""
+    using("pieces", _counts.clear)
     if ranks not in _counts:
         tokens = load_ranks(_path(ranks))
         _counts[ranks] = Counts(Automaton((t for t in tokens if t[:1] == b" "), (t for t in tokens if t[:1] != b" ")), b" ")

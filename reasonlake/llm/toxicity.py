@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read, small, stage_table
+from .common import read, small, stage_table, using
 
 #: Bounds of the fit: labelled texts of either label (about so many, by a hash of their ids), words that are features, and texts of label 1 that a feature needs.
 FIT_TEXTS, FEATURES, LEAST_TEXTS = 10_000, 2_000, 5
@@ -201,6 +201,7 @@ def score_texts(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordWeights(model.weights)
+        using("weights", known.clear)
         for b in small(it):
             per = [model.sentence_scores(t or "", known) for t in b.column(at).to_pylist()]
             bad = [[{"start": s, "end": e, "score": float(p)} for s, e, p in x if p >= 0.5] for x in per]
