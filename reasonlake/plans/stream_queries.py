@@ -11,11 +11,28 @@ from ..streaming import live
 from . import fixtures as X
 
 
+#: Event time of the row that ends a stream: later than any event, and a time that pandas can hold.
+END = "2261-01-01 00:00:00"
+
+
+def _folder(spark, name):
+    """A new folder that the executors share."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or ("file://" + tempfile.mkdtemp(prefix="spark-reasonlake-") if spark.sparkContext.master.startswith("local[") else spark.conf.get("spark.sql.warehouse.dir"))
+    return f"{root}/{name}-{uuid.uuid4().hex}"
+
+
+def _ended(df, time, **values):
+    """A stream with one more row at ``END``, so that the watermark passes every event once the input ends. What holds that row itself stays open and is never emitted."""
+    out = _folder(df.sparkSession, "end")
+    values |= {time: END}
+    df.sparkSession.range(1).select(*[F.lit(values.get(f.name)).cast(f.dataType).alias(f.name) for f in df.schema]).write.parquet(out)
+    return df.union(df.sparkSession.readStream.schema(df.schema).parquet(out))
+
+
 def _drained(df, name, mode="append"):
     """Run a stream over what is there and return what it wrote. Checkpoint and sink are in the folder that the executors share."""
     spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or ("file://" + tempfile.mkdtemp(prefix="spark-reasonlake-") if spark.sparkContext.master.startswith("local[") else spark.conf.get("spark.sql.warehouse.dir"))
-    out = f"{root}/{name}-{uuid.uuid4().hex}"
+    out = _folder(spark, name)
     q = df.writeStream.format("parquet").outputMode(mode).option("path", f"{out}/sink").option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.schema(df.schema).parquet(f"{out}/sink")
@@ -32,9 +49,9 @@ def _is_dir(spark, sf, name):
 
 
 def stage_rollup_stream(spark, sf):
-    """Events by hour and type, as a stream. The last windows stay open until the watermark passes them, so they are not in the result."""
+    """Events by hour and type, as a stream. The input ends, so the last windows close too."""
     e = _stream(spark, sf, "events").select(F.col("ts").cast("timestamp").alias("event_ts"), F.col("event_type").alias("outcome"), F.col("user_id").alias("size_bytes"), F.col("value").alias("fetch_ms"))
-    return _drained(live.stage_rollup(e, window="1 hour", delay="0 seconds"), "rollup").select("start", "outcome", "n", "bytes", "max_ms")
+    return _drained(live.stage_rollup(_ended(e, "event_ts"), window="1 hour", delay="0 seconds"), "rollup").select("start", "outcome", "n", "bytes", "max_ms")
 
 
 def stage_rollup_batch(spark, sf):
@@ -44,9 +61,9 @@ def stage_rollup_batch(spark, sf):
 
 
 def live_rule_firing(spark, sf):
-    """Rules over the conversations as streamed deltas, one a turn, in event time. Sessions that the last watermark has not passed stay open, so they are not in the result."""
-    c = _stream(spark, sf, "conversations").where("role <> 'system'").select(F.col("conv_id").alias("session_id"), F.col("turn").cast("string").alias("block"), (F.col("turn") * 1000.0).alias("t_ms"), F.col("turn").alias("seq"), F.lit("text").alias("kind"), F.col("text").alias("chunk"), F.timestamp_millis((F.col("turn") * 1000).cast("long")).alias("event_ts"))
-    fired = live.fire_live(c, [(r[1], r[2]) for r in X.RULES], delay="0 seconds", idle_ms=1)
+    """Rules over the conversations as streamed deltas, one a turn, in event time. The input ends, so every session closes. A turn's event time is its end: what is not past the first watermark, 0, would be late."""
+    c = _stream(spark, sf, "conversations").where("role <> 'system'").select(F.col("conv_id").cast("string").alias("session_id"), F.col("turn").cast("string").alias("block"), (F.col("turn") * 1000.0).alias("t_ms"), F.col("turn").alias("seq"), F.lit("text").alias("kind"), F.col("text").alias("chunk"), F.timestamp_millis(((F.col("turn") + 1) * 1000).cast("long")).alias("event_ts"))
+    fired = live.fire_live(_ended(c, "event_ts", session_id="end of input", kind="text", t_ms=0.0, seq=0), [(r[1], r[2]) for r in X.RULES], delay="0 seconds", idle_ms=1)
     return _drained(fired, "fired")
 
 
