@@ -3,9 +3,10 @@
 A page is cut into text blocks, each with the path of block elements from the root to
 it. Text length and punctuation are summed for each path and divided by its blocks;
 the two ratios are fused with the smoothed ratios along the page, and paths above a
-threshold are content. The deepest element that holds nearly all of that text is the article: its
-blocks are the main text. Parts that are never main text by their element, role or
-class are left out before.
+threshold are content. The main text is all that is in an article or main element with content, or in the
+deepest element that holds nearly all of that text, and headings and content outside but for links. A list, table,
+quote or section is a part of an article: what stands beside it counts too, but for links. Parts that are never main text by their
+element, role or class are left out before.
 """
 
 from __future__ import annotations
@@ -31,6 +32,9 @@ SKIP = set("head title script style noscript template iframe object svg math can
 SKIP_NAMES = set("ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner banners nav navbar navigation menu menus breadcrumb breadcrumbs header masthead footer foot sidebar side aside widget widgets cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended comment comments commentlist disqus respond reply replies pagination pager toolbar skip complementary contentinfo search form tags hidden toc".split())
 #: An element closes open ones of these kinds when it starts, up to an element of the last kinds.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
+#: Elements that name the article, and elements that are parts of one.
+ARTICLE = {"article", "main"}
+PARTS = set("blockquote center dd details dl dt figure li menu ol p pre section table tbody td tfoot th thead tr ul".split())
 STOPS = re.compile("[.,;:!?…。，、！？；：]")
 WHITE = re.compile(r"\s+")
 NAME_PARTS = re.compile(r"[a-z]+")
@@ -161,10 +165,21 @@ def main_text(html: str | None) -> str:
                 held[path[:i]] += len(text)
     total = held[()]
     article = max((p for p, m in held.items() if m >= ARTICLE_SHARE * total), key=len, default=())
-    if article and article[-1].partition(".")[0] not in ("html", "body"):
-        kept = [t for p, t, _ in blocks if p[: len(article)] == article]
-    else:  # no element of its own: the content paths, and headings
-        kept = [t for p, t, _ in blocks if p in content or p and re.fullmatch("h[1-6]", p[-1].partition(".")[0])]
+    names = lambda path: [n.partition(".")[0] for n in path]
+    around = article
+    while around and names(around)[-1] in PARTS:
+        around = around[:-1]
+    whole = {p[: next(i for i, n in enumerate(names(p), 1) if n in ARTICLE)] for p in content if not ARTICLE.isdisjoint(names(p))}
+    if article and names(article)[-1] not in ("html", "body"):
+        whole.add(article)
+
+    def keep(path: tuple[str, ...], text: str, linked: int) -> bool:
+        if any(path[: len(w)] == w for w in whole) or path and re.fullmatch("h[1-6]", names(path)[-1]):
+            return True
+        beside = around != article and path[: len(around)] == around
+        return (path in content or beside) and (not whole or 2 * linked < len(text))
+
+    kept = [t for p, t, linked in blocks if keep(p, t, linked)]
     return "\n".join(kept)
 
 

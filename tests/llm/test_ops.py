@@ -138,6 +138,37 @@ def test_main_text_by_ratios_without_semantic_elements():
     assert text.split("\n") == [f"Sentence number {i}, which is long enough, has stops. And goes on, too." for i in range(6)]
 
 
+ITEMS = [f"Item {i} of a list, which is long, has stops, and goes on. And on, too, for a while." for i in range(12)]
+
+
+@pytest.mark.parametrize("article", ["<article{}>", "<main{}>", "<div{}>"])
+@pytest.mark.parametrize(
+    "inner",
+    [
+        "<h1>T</h1><p>intro</p><ul>" + "".join(f"<li>{x}</li>" for x in ITEMS) + "</ul>",
+        "<h1>T</h1><p>intro</p><blockquote>" + "".join(f"<p>{x}</p>" for x in ITEMS) + "</blockquote>",
+        "<h1>T</h1><p>intro</p><section>" + "".join(f"<p>{x}</p>" for x in ITEMS) + "</section>",
+        "<h1>T</h1><p>intro</p><table>" + "".join(f"<tr><td>{x}</td></tr>" for x in ITEMS) + "</table>",
+    ],
+)
+def test_main_text_is_not_one_part_of_the_article(article, inner):
+    page = f"<html><body><nav>menu</nav>{article.format(' class=x')}{inner}</{article[1:-3]}><footer>end</footer></body></html>"
+    assert html_text.main_text(page).split("\n") == ["T", "intro", *ITEMS]
+
+
+def test_main_text_with_lead_beside_the_body():
+    body = "".join(f"<p>{x}</p>" for x in ITEMS)
+    assert html_text.main_text(f"<article><h1>T</h1><div class=lead>Short lead</div><div class=body>{body}</div></article>").split("\n") == ["T", "Short lead", *ITEMS]
+    two = html_text.main_text(f"<body><h1>T</h1><article class=a><p>{ITEMS[0]}</p><div>note</div></article><article class=b>{body}</article></body>")
+    assert two.split("\n") == ["T", ITEMS[0], "note", *ITEMS]
+
+
+def test_main_text_leaves_links_beside_a_layout_cell():
+    links = "".join(f'<a href="/{i}">item {i}</a> ' for i in range(20))
+    text = html_text.main_text(f"<body><table><tr><td class=l>{links}</td><td class=r>{''.join(f'<p>{x}</p>' for x in ITEMS)}</td></tr></table></body>")
+    assert text.split("\n") == ITEMS
+
+
 def test_pages_of_any_kind(spark):
     df = spark.createDataFrame([(1, None, "old"), (2, "", "old"), (3, "plain words only.", "old"), (4, "<p>unclosed <b>x", "old"), (5, PAGE, "old"), (5, PAGE, None), (None, "<nav>menu</nav>", "old"), (6, "<" * 5000, "old")], "page_id long, html string, text string")
     got = collections.Counter((r["page_id"], r["text"]) for r in html_text.extract_text(df).collect())
