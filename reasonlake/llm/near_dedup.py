@@ -207,6 +207,19 @@ def _cluster(members: DataFrame, index: Index, keys: list[str], near: int, tie:
     return dealt.mapInArrow(batches, "".join(f"{k} {kinds[k]}, " for k in keys) + "a long, b long")
 
 
+def _tie(met: DataFrame, known: DataFrame, index: Index) -> DataFrame:
+    """Edges (a, b) by which members of a key (key, node, salt) within the index's distance of each other end in one group. ``known``: node, weight, sig.
+
+    A member is within ``near`` of a leader, so one that it is within ``reach`` of is within near + reach of that leader.
+    In a salted key the leaders of two such members are within 2 * near + reach, and one of the leaders of these is within ``near``
+    of the one, so within 3 * near + reach of the other.
+    """
+    near, reach = index.distance // 2, index.distance
+    tied = stage_table(_cluster(met.join(known, "node"), index, ["key", "salt"], near, near + reach), "op1-tied")
+    heads = tied.where("salt >= 0 AND a = b").select("key", F.col("a").alias("node")).join(known, "node")
+    return tied.select("a", "b").unionAll(_cluster(heads, index, ["key"], near, 3 * near + reach).select("a", "b"))
+
+
 def connected(edges: DataFrame, name: str = "components") -> DataFrame:
     """(node, root): each node of ``edges`` (a, b) with the smallest node that it reaches.
 
@@ -317,13 +330,10 @@ def classes(df: DataFrame, words: int = 5, percent: int = 80, doc: str = "doc_id
     keys = _keys(items, index)
     shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("node") % 1_000_000_007).alias("s"), F.min("node").alias("m")).where("n > 1")
     shared = shared.groupBy("n", "s", "m").agg(F.min("key").alias("key")).select("key", "n")  # of keys with the same members one is enough
-    near, reach = index.distance // 2, index.distance
     salts = F.ceil(F.col("n") / key_members)
     met = stage_table(keys.join(shared, "key").select("key", "node", "n", F.when(salts > 1, F.pmod(F.xxhash64("node"), salts)).otherwise(-1).cast("int").alias("salt")), "op1-members")
     known = met.groupBy("node").agg(F.sum("n").alias("weight")).join(items.select("node", "sig"), "node")
-    tied = stage_table(_cluster(met.join(known, "node"), index, ["key", "salt"], near, near + reach), "op1-tied")
-    heads = tied.where("salt >= 0 AND a = b").select("key", F.col("a").alias("node")).join(known, "node")
-    edges = tied.select("a", "b").unionAll(_cluster(heads, index, ["key"], near, 2 * near + reach).select("a", "b"))
+    edges = _tie(met, known, index)
     groups = stage_table(connected(edges, "op1-groups"), "op1-groups")
 
     grouped = groups.join(items.select("node", "doc_id", "text_hash", "n"), "node")

@@ -99,6 +99,19 @@ def test_index_guarantees_its_distance():
         assert set(x.tolist()) & set(y.tolist())
 
 
+@pytest.mark.parametrize("similarity", [0.85, 0.8])
+def test_members_of_different_salts_meet(spark, similarity):
+    index = near_dedup.Index.for_similarity(similarity)
+    near, reach = index.distance // 2, index.distance
+    # a chain: a leader of leaders, leader 1, its member, a member of leader 2 within reach, leader 2
+    ends = [0, near, 2 * near, 2 * near + reach, 3 * near + reach]
+    sigs = [(np.arange(index.symbols) < e).astype(np.uint16).tobytes() for e in ends]
+    met = spark.createDataFrame([(7, node, 5, salt) for node, salt in enumerate([2, 0, 0, 1, 1])], "key long, node long, n long, salt int")
+    known = spark.createDataFrame([(node, w, bytearray(x)) for node, (w, x) in enumerate(zip([9, 8, 1, 1, 8], sigs))], "node long, weight long, sig binary")
+    roots = {r["node"]: r["root"] for r in near_dedup.connected(near_dedup._tie(met, known, index)).collect()}
+    assert roots[2] == roots[3]
+
+
 def test_near_duplicates_of_odd_rows(spark):
     got = {(r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in near_dedup.classes(odd(spark), 3, 85).collect()}
     assert {(None, 0, None, True), (1, 0, 1, True), (2, 0, 2, True), (3, 0, 3, True), (5, 1, 4, False)} <= got
