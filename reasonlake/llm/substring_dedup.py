@@ -1,13 +1,13 @@
-"""Operator 8: repeated passages by prefix-partitioned suffix trees.
+"""Operator 8: repeated passages by a join of window hashes, in place of prefix-partitioned suffix trees.
 
-A suffix starts at a word; the tree is cut off at ``window`` words, as deeper nodes remove
-nothing more. Each suffix has a 64-bit code whose leading bits name its first words and whose
-other bits name the whole window, so codes sort as the leaves of the tree do. Suffixes are dealt to groups by
-the leading bits of their codes; a group that is too large for memory is split by longer
-prefixes. In a group, a node at the full depth that two documents reach is a repeat, and all documents but the smallest
-lose the words under it.
+No suffix is sorted and no tree is built: which words go depends only on the windows of ``window`` words that documents share.
+Each window has a 64-bit code whose leading bits are of a hash of its first words and whose
+other bits are of a hash of the whole window; words are not compared. Codes are dealt to groups by
+their leading bits; a group that is too large for memory is split by further
+bits. In a group, a code that two documents have is a repeat, and all documents but the smallest
+lose the words under it. Maximal repeats and their extent are not found.
 
-A window that occurs in one document alone is a leaf, so most suffixes are left out early: of
+Most windows occur in one document alone and are left out early: of
 every window the k-word piece with the smallest hash is its anchor, equal windows have
 equal anchors, and windows whose anchor one document has alone are not dealt. What meets in one Arrow batch
 is settled there and sent once, so a passage that a third of the documents share arrives
