@@ -2,7 +2,7 @@
 
 Arrival order is not event order, so a session's state holds (t_ms, seq, chunk) entries and its text is
 put together in that order when the watermark has passed them. Deltas behind the
-watermark are late: they are left out and counted. A session that is idle for long is closed
+watermark are late: they are left out, and not counted here. A session that is idle for long is closed
 and its state dropped.
 """
 
