@@ -56,10 +56,9 @@ def stage_table(df: DataFrame, name: str) -> DataFrame:
 def words_of(text: Column, gap: str = SPACE) -> Column:
     """Words of a text, cut at ``gap``, as an array; empty for null. JVM-side.
 
-    A gap at either end would leave an empty string there, so gaps are cut off first.
+    A gap takes all white space in a row, so only one at either end leaves an empty string.
     """
-    inner = F.regexp_replace(F.coalesce(text, F.lit("")), f"^{gap}|{gap}$", "")
-    return F.when(inner == "", F.array().cast("array<string>")).otherwise(F.split(inner, gap))
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), gap), "")
 
 
 class WordCodes(dict):

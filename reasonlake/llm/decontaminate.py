@@ -1,9 +1,10 @@
 """Operator 6: benchmark decontamination with DataFrame functions only.
 
-The windows of the benchmark items are the hash set. Document windows are looked up in
-it by a hash of their first three words; the few that match are compared word by word.
-The set is broadcast while its counted size is below ``BROADCAST_WINDOWS``; a larger one
-is joined by a shuffle on the same hash, which adaptive execution splits where it is skewed.
+The windows of the benchmark items, by the hash of all their words, are the hash set. One pass over the
+texts makes (document, start, hash) of each window and keeps those in the set; the
+few texts with hits are then read again and compared with the windows word by word.
+The set is broadcast while its counted size is at most ``BROADCAST_KEYS``; a larger one
+is joined by a shuffle of these narrow rows. Both ways give the same rows.
 """
 
 from __future__ import annotations
@@ -11,18 +12,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read, words_of
+from .common import read, stage_table, words_of
 
 #: Everything but digits, a-z and bytes above 127 parts words, after A-Z is lower-cased.
 GAP = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-#: About 40 MB of 13-word windows.
-BROADCAST_WINDOWS = 200_000
+#: Hashes that are broadcast: about 40 MB in an executor.
+BROADCAST_KEYS = 1_000_000
 
 
 def norm_words(text: Column) -> Column:
-    return words_of(F.translate(text, UPPER, LOWER), GAP)
+    """Words with A-Z lower-cased. ``lower`` does just that where all characters are ASCII."""
+    ascii_only = F.octet_length(text) == F.length(text)
+    return words_of(F.when(ascii_only, F.lower(text)).otherwise(F.translate(text, UPPER, LOWER)), GAP)
 
 
 def item_windows(benchmark: DataFrame, size: int, item: str = "item_id", text: str = "text") -> DataFrame:
@@ -32,25 +35,45 @@ def item_windows(benchmark: DataFrame, size: int, item: str = "item_id", text: s
     return ws.select("item", F.explode(F.transform(starts, lambda i: F.slice("ws", i, size))).alias("window")).distinct()
 
 
-def _first(ws: list[Column]) -> Column:
-    return F.xxhash64(*ws)
+def _hashes(ws: Column) -> Column:
+    return F.transform(ws, lambda w: F.xxhash64(w))
 
 
-def hits(docs: DataFrame, windows: DataFrame, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
-    """Rows (doc_id, text_hash, start, n, item) for each occurrence of a window in ``docs`` (doc_id, text_hash, ws)."""
-    lengths = [r[0] for r in windows.select(F.least(F.size("window"), F.lit(3)).alias("p")).distinct().collect()]
-    small = windows.count() <= broadcast_windows
-    out = None
-    for p in sorted(lengths, reverse=True):
-        keyed = windows.where((F.size("window") >= 3) if p == 3 else (F.size("window") == p)).select("item", "window", _first([F.get("window", F.lit(i)) for i in range(p)]).alias("key"))
-        n = F.size("ws") - (p - 1)
-        heads = F.arrays_zip(*[F.slice("ws", i + 1, n).alias(f"w{i}") for i in range(p)])
-        some = docs.where(F.size("ws") >= p).select("doc_id", "text_hash", "ws", F.posexplode(heads).alias("start", "head"))
-        at = some.select("doc_id", "text_hash", "ws", "start", _first([F.col(f"head.w{i}") for i in range(p)]).alias("key"))
-        found = at.join(F.broadcast(keyed) if small else keyed, "key").where(F.slice("ws", F.col("start") + 1, F.size("window")) == F.col("window"))
-        found = found.select("doc_id", "text_hash", "start", F.size("window").alias("n"), "item")
-        out = found if out is None else out.unionAll(found)
-    return out if out is not None else docs.sparkSession.createDataFrame([], f"doc_id {dict(docs.dtypes)['doc_id']}, text_hash long, start int, n int, item {dict(windows.dtypes)['item']}")
+def _positions(docs: DataFrame, lengths: list[int]) -> DataFrame:
+    """(doc_id, text_hash, start, key) of (doc_id, text_hash, text): the hash of the window of each length at each start.
+
+    Each text has one more row, without a key, at its end, whose start is its number of words.
+    """
+    hashes = docs.select("doc_id", "text_hash", _hashes(norm_words(F.col("text"))).alias("h"))
+    most = max(lengths)
+    # the words at each start side by side, null beyond the end
+    side = [F.array_append("h", F.lit(None).cast("long")), *[F.slice("h", i + 1, F.greatest(F.size("h") - i, F.lit(0))) for i in range(1, most)]]
+    heads = hashes.select("doc_id", "text_hash", F.posexplode(F.arrays_zip(*[a.alias(f"w{i}") for i, a in enumerate(side)])).alias("start", "head"))
+    w = [F.col(f"head.w{i}") for i in range(most)]
+    keys = [F.when(w[n - 1].isNotNull(), F.xxhash64(*w[:n])) for n in lengths]
+    if len(keys) == 1:
+        key = keys[0]
+    else:  # the row at the end stays one row
+        key = F.explode(F.when(w[0].isNull(), F.array(F.lit(None).cast("long"))).otherwise(F.filter(F.array(*keys), lambda k: k.isNotNull())))
+    return heads.select("doc_id", "text_hash", "start", key.alias("key"), w[0].isNull().alias("end"))
+
+
+def hits(docs: DataFrame, windows: DataFrame, broadcast_keys: int = BROADCAST_KEYS) -> tuple[DataFrame, DataFrame]:
+    """Of ``docs`` (doc_id, text_hash, text): the number of words of each row (doc_id, text_hash, n_words), and (doc_id, text_hash, start, n, item) for each occurrence of a window."""
+    windows = stage_table(windows.withColumns({"n": F.size("window"), "key": F.xxhash64(_hashes(F.col("window")))}), "op6-windows")
+    keys = windows.select("key", "n").distinct()
+    lengths = sorted(r[0] for r in keys.select("n").distinct().collect()) or [1]  # at most the size of a window
+    at = _positions(docs, lengths)
+    if keys.count() <= broadcast_keys:
+        found = at.join(F.broadcast(keys), "key", "left").where("end OR n IS NOT NULL")
+    else:
+        found = at.where("end").withColumn("n", F.lit(None).cast("int")).unionByName(at.where("key IS NOT NULL").join(keys, "key"))
+    found = stage_table(found.select("doc_id", "text_hash", "start", "n"), "op6-found")
+    counts = found.where("n IS NULL").select("doc_id", "text_hash", F.col("start").cast("long").alias("n_words"))
+    some = found.where("n IS NOT NULL").groupBy(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).agg(F.collect_set(F.struct("start", "n")).alias("at"))
+    texts = docs.join(some, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_hash") == F.col("__hash"))).select("doc_id", "text_hash", norm_words(F.col("text")).alias("ws"), "at")
+    each = texts.select("doc_id", "text_hash", F.explode(F.transform("at", lambda a: F.struct(a.start.alias("start"), a.n.alias("n"), F.slice("ws", a.start + 1, a.n).alias("window")))).alias("a"))
+    return counts, each.select("doc_id", "text_hash", "a.*").join(windows.select("item", "window"), "window").select("doc_id", "text_hash", "start", "n", "item")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 13, share: tuple[int, int] = (1, 20), doc: str = "doc_id", text: str = "text") -> DataFrame:
@@ -63,9 +86,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 13, share:
     apart if their texts differ; equal rows give equal rows. Other columns of either table
     play no part, so their names can't clash.
     """
-    base = docs.select(F.col(doc).alias("doc_id"), F.xxhash64(F.col(text)).alias("text_hash"), norm_words(F.col(text)).alias("ws"))
-    found = hits(base, item_windows(benchmark, size))
-    rows = base.select("doc_id", "text_hash", F.size("ws").cast("long").alias("n_words"), F.lit(None).cast("struct<start:int,n:int>").alias("span"), F.lit(None).cast("string").alias("item"))
+    base = docs.select(F.col(doc).alias("doc_id"), F.xxhash64(F.col(text)).alias("text_hash"), F.col(text).alias("text"))
+    counts, found = hits(base, item_windows(benchmark, size))
+    rows = counts.select("doc_id", "text_hash", "n_words", F.lit(None).cast("struct<start:int,n:int>").alias("span"), F.lit(None).cast("string").alias("item"))
     marks = found.select("doc_id", "text_hash", F.lit(None).cast("long").alias("n_words"), F.struct("start", "n").alias("span"), F.col("item").cast("string").alias("item"))
     each = rows.unionAll(marks).groupBy("doc_id", "text_hash").agg(F.max("n_words").alias("n_words"), F.count("n_words").cast("int").alias("copies"), F.sort_array(F.collect_set("span")).alias("spans"), F.sort_array(F.collect_set("item")).alias("items"))
     covered = F.size(F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s.start, s.start + s.n - 1))))).cast("long")
