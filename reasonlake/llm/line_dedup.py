@@ -21,7 +21,7 @@ MIN_SITES, LOG_K, ERRORS = 10, 10, 4.0
 
 def norm_line(line: Column) -> Column:
     """A line without white space at its ends (\\x20, \\x09-\\x0D)."""
-    return F.regexp_replace(line, "^[\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+$", "")
+    return F.trim(line, F.lit(" \t\n\x0b\f\r"))
 
 
 def lines_of(df: DataFrame, doc: str, text: str, site: str) -> DataFrame:
@@ -51,7 +51,7 @@ def dedup_lines(df: DataFrame, doc: str = "doc_id", text: str = "text", site: st
     other columns are kept, a column named n_removed is replaced.
     """
     df = df.drop("n_removed")
-    lines = lines_of(df, doc, text, site)
+    lines = stage_table(lines_of(df, doc, text, site), "op7-lines")  # hashes and places alone; texts are cut once
     found = stage_table(boilerplate(lines, min_sites), "op7-boilerplate")  # a table of its own, so that a line of many documents can be split in the join
     hit = lines.join(found, "line_hash")
     if keep_first:
