@@ -1,61 +1,64 @@
-"""Operator 8: repeated passages by a join of window hashes, in place of prefix-partitioned suffix trees.
-
-No suffix is sorted and no tree is built: which words go depends only on the windows of ``window`` words that documents share.
-Each window has a 64-bit code whose leading bits are of a hash of its first words and whose
-other bits are of a hash of the whole window; words are not compared. Codes are dealt to groups by
-their leading bits; a group that is too large for memory is split by further
-bits. In a group, a code that two documents have is a repeat, and all documents but the smallest
-lose the words under it. Maximal repeats and their extent are not found.
-
-Most windows occur in one document alone and are left out early: of
-every window the k-word piece with the smallest hash is its anchor, equal windows have
-equal anchors, and windows whose anchor one document has alone are not dealt. What meets in one Arrow batch
-is settled there and sent once, so a passage that a third of the documents share arrives
-once a batch, not once a document. Codes travel as sorted arrays, one a batch and group.
+"""Operator 8: repeated passages by prefix-partitioned suffix trees.
+
+A word goes if a window of ``window`` words over it also starts in a document with a smaller id. Suffixes are
+sampled by content: of every window the k-word piece with the smallest hash is its anchor
+(the first of equal ones), and the suffix that starts there stands for all windows that have it.
+Equal windows have equal anchors, so no repeat is lost; about one position in five is a suffix. A suffix travels
+with the words of its windows, those before the anchor too. Suffixes are dealt to groups by their prefix, the words of
+the anchor; where many documents have a prefix, by longer ones, up to a whole window. The number of
+groups follows from the counted suffixes, so that each fits in memory.
+
+In a group suffixes are sorted by their words, and the common prefixes of neighbours give the nodes of the tree; the
+words before the anchor, read backwards, make a second one. A node of each, whose depths are
+a window in all, holds the documents that repeat it: all but the smallest lose the words. All comparisons are of words;
+hashes only choose anchors and groups. Longest repeats are runs of such windows (``spans``).
+
+Most windows have an anchor that one document has alone and are left out before. What meets in one Arrow batch
+is settled there by the same trees and sent once, so a passage that a third of the documents share arrives
+once a batch, not once a document.
 """
 
 from __future__ import annotations
 
 import itertools
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BASE_2, CODES, mix, read, signed, windows, word_codes
+from .common import BASE_2, CODES, mix, read, signed, small, stage_table, windows, word_codes
 
-#: Words of a window and of an anchor, and bits of a code that name the first words.
-WINDOW, ANCHOR, PREFIX_BITS = 13, 5, 20
+#: Words of a window and of an anchor.
+WINDOW, ANCHOR = 13, 5
 #: Bits of an anchor's code. Fewer make the shuffle smaller; clashes only let more windows through to the exact step.
 ANCHOR_BITS = 44
-#: Groups for each shuffle partition, and codes of a group that are walked at once.
-GROUPS, GROUP_CODES = 2, 4_000_000
+#: Groups for each shuffle partition at least, suffixes of a group, suffixes of a prefix from which it is split into longer ones, and anchors of a group that are walked at once.
+GROUPS, GROUP_ROWS, PREFIX_ROWS, GROUP_CODES = 2, 100_000, 20_000, 4_000_000
 
 
-def _sliding(x: np.ndarray, width: int, of) -> np.ndarray:
-    """Smallest or largest of each ``width`` neighbours, by doubling."""
-    done, out = 1, x
+def _leftmost_min(x: np.ndarray, width: int) -> np.ndarray:
+    """Place of the smallest of each ``width`` neighbours, the first of equal ones, by doubling."""
+    done, low, at = 1, x, np.arange(len(x))
     while done < width:
         step = min(done, width - done)
-        out = of(out[: len(out) - step], out[step:])
+        n = len(low) - step
+        right = low[step:] < low[:n]
+        low, at = np.where(right, low[step:], low[:n]), np.where(right, at[step:], at[:n])
         done += step
-    return out
+    return at
 
 
-def window_anchors(codes: np.ndarray, window: int, anchor: int) -> np.ndarray:
-    """The anchor of the window at each start: the smallest hash among its pieces."""
+def window_anchors(codes: np.ndarray, window: int, anchor: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and place of the anchor of the window at each start."""
     if len(codes) < window:
-        return np.empty(0, np.uint64)
-    return _sliding(windows(codes, anchor) >> np.uint64(64 - ANCHOR_BITS), window - anchor + 1, np.minimum)
-
-
-def suffix_codes(codes: np.ndarray, window: int, prefix: int) -> np.ndarray:
-    """Codes of the suffixes at each window: some bits for the first ``prefix`` words, then the rest for the window."""
-    whole = windows(codes, window, BASE_2)
-    bits = np.uint64(PREFIX_BITS)
-    return (windows(codes, prefix)[: len(whole)] >> (np.uint64(64) - bits)) << (np.uint64(64) - bits) | whole >> bits
+        return np.empty(0, np.uint64), np.empty(0, int)
+    pieces = windows(codes, anchor) >> np.uint64(64 - ANCHOR_BITS)
+    at = _leftmost_min(pieces, window - anchor + 1)
+    return pieces[at], at
 
 
 #: A dealt row: what one batch has for one group, as sorted codes and their documents. Asks (0) wait for an
@@ -66,9 +69,9 @@ ASK, ANSWER, MARK = range(3)
 SENT = "grp int, n int, codes binary, docs binary"
 ANSWERS = "doc_id long, codes array<long>"
 
-#: For each of the asks (codes, documents; sorted by both) whether it is answered, given the marked codes.
-Decide = Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]
 Pairs = tuple[np.ndarray, np.ndarray]
+#: Set in the code of a shared anchor that so many documents or batches have that it is split into longer prefixes.
+MANY = np.uint64(1 << ANCHOR_BITS)
 NONE: Pairs = (np.empty(0, np.uint64), np.empty(0, np.int64))
 
 
@@ -118,9 +121,9 @@ def _groups(it: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
         yield rows
 
 
-def _meet(dealt: DataFrame, shift: int, groups: int, decide: Decide) -> DataFrame:
-    """(doc_id, codes): all answers of each document that has any. Each group is walked in code order, in parts by longer prefixes if it is large; answers are then gathered by document."""
-    most = GROUP_CODES
+def _meet(dealt: DataFrame, shift: int, groups: int) -> DataFrame:
+    """(doc_id, codes): the shared anchors of each document that has any. Each group is walked in code order, in parts by further bits if it is large; answers are then gathered by document."""
+    most, common = GROUP_CODES, PREFIX_ROWS
 
     def part(rows: list[tuple], kind: int, extra: int, at: int) -> Pairs:
         out = []
@@ -135,13 +138,15 @@ def _meet(dealt: DataFrame, shift: int, groups: int, decide: Decide) -> DataFram
     def walk(rows: list[tuple]) -> Iterator[Pairs]:
         extra = min(shift, max(0, (sum(sum(r[0]) for r in rows) - 1) // most).bit_length())
         for at in range(2**extra):
-            yield part(rows, ANSWER, extra, at)
-            codes, docs = part(rows, ASK, extra, at)
-            order = np.lexsort((docs, codes))
-            codes, docs = codes[order], docs[order]
-            if len(codes):
-                yes = decide(codes, docs, part(rows, MARK, extra, at)[0])
-                yield codes[yes], docs[yes]
+            known, asks, marks = (part(rows, kind, extra, at) for kind in (ANSWER, ASK, MARK))
+            met, n = np.unique(np.concatenate([asks[0], marks[0]]), return_counts=True)
+            shared = np.union1d(met[n > 1], marks[0])
+            flags = np.where(np.isin(shared, met[n > common]), MANY, np.uint64(0))
+            for codes, docs in (known, asks):
+                i = np.searchsorted(shared, codes)
+                i[i == len(shared)] = 0
+                yes = shared[i] == codes if len(shared) else np.zeros(len(codes), bool)
+                yield codes[yes] | flags[i[yes]], docs[yes]
 
     def send(held: list[Pairs]) -> pa.RecordBatch:
         codes, docs = _concat(held)
@@ -188,62 +193,205 @@ def _pairs(per: list[np.ndarray], ids: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def _shared_anchors(docs: DataFrame, window: int, anchor: int, bits: int) -> DataFrame:
-    """(doc_id, codes): anchors of a document that another one has too."""
+    """(doc_id, codes): anchors of a document that another one has too, those of many with a flag."""
     shift = ANCHOR_BITS - bits
 
     def deal(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         word_codes()
         for b in it:
-            per = [np.unique(window_anchors(CODES.array(t.split()), window, anchor)) for t in b.column("text").to_pylist()]
+            per = [np.unique(window_anchors(CODES.array(t.split()), window, anchor)[0]) for t in b.column("text").to_pylist()]
             codes, own = _pairs(per, b.column("doc_id").to_numpy())
             many = _runs(codes)[1] > 1
             one = np.unique(codes[many])
             yield _pack(shift, (codes[~many], own[~many]), (codes[many], own[many]), (one, np.zeros(len(one), np.int64)))
 
-    def decide(codes: np.ndarray, _: np.ndarray, marked: np.ndarray) -> np.ndarray:
-        return (_runs(codes)[1] > 1) | np.isin(codes, marked)
+    return _meet(docs.select("doc_id", "text").mapInArrow(deal, DEALT), shift, 2**bits)
+
+
+class WordIds(dict):
+    """Small numbers for words, one each."""
+
+    def __missing__(self, word: bytes) -> int:
+        n = self[word] = len(self)
+        return n
+
+
+SUFFIX_ARROW = pa.schema([("grp", pa.int32()), ("doc_id", pa.int64()), ("text_hash", pa.int64()), ("start", pa.int32()), ("left", pa.int32()), ("n", pa.int32()), ("words", pa.binary())])
+#: A dealt suffix: its document and row, the start of its first window, words before the anchor, number of windows, and their words. Marks, without words, are ``n`` windows from ``start`` that go.
+SUFFIX = "grp int, doc_id long, text_hash long, start int, left int, n int, words binary"
+MARKS = "doc_id long, text_hash long, start int, n int"
+
+
+@dataclass
+class Suffixes:
+    """Columns of suffixes: group, doc, hash, start, words before the anchor, windows, words."""
+
+    grp: np.ndarray
+    doc: np.ndarray
+    row: np.ndarray
+    start: np.ndarray
+    left: np.ndarray
+    n: np.ndarray
+    words: list[bytes]
 
-    return _meet(docs.select("doc_id", "text").mapInArrow(deal, DEALT), shift, 2**bits, decide)
+    @classmethod
+    def joined(cls, parts: list[Suffixes]) -> Suffixes:
+        cols = [np.concatenate([getattr(p, f) for p in parts]) for f in ("grp", "doc", "row", "start", "left", "n")]
+        return cls(*cols, [w for p in parts for w in p.words])
+
+
+def _nodes(side: np.ndarray) -> np.ndarray:
+    """Nodes of the tree of rows of word numbers: (row, depth), the same number for rows with that many equal leading words."""
+    order = np.lexsort(side.T[::-1])
+    tied = side[order]
+    common = np.cumprod(tied[1:] == tied[:-1], axis=1).sum(axis=1)  # of each with the one before
+    out = np.empty((len(side), side.shape[1] + 1), np.int64)
+    for depth in range(side.shape[1] + 1):
+        out[order, depth] = np.cumsum(np.append(0, common < depth)) if len(side) else 0
+    return out
+
+
+def settle(s: Suffixes, window: int, anchor: int) -> np.ndarray:
+    """For each window of each suffix, in a row, whether a smaller document has it too."""
+    ids, size = WordIds(), s.n + window - 1
+    told = [np.fromiter(map(ids.__getitem__, b" ".join(s.words[i : i + 4096]).split(b" ")), np.int64) for i in range(0, len(s.words), 4096)]
+    words = np.concatenate([*told, np.full(1, -1)])
+    first = np.cumsum(size) - size  # of each suffix's words
+    at = (first + s.left)[:, None]
+    right = at + np.arange(window)
+    right = words[np.where(right < (first + size)[:, None], right, -1)]
+    back = at - 1 - np.arange(window - anchor)
+    back = words[np.where(back >= first[:, None], back, -1)]
+    ahead, behind = _nodes(right), _nodes(back)
+    later = np.zeros(int(s.n.sum()), bool)
+    place = np.cumsum(s.n) - s.n
+    for before in range(window - anchor + 1):  # windows with so many words before the anchor
+        own = np.flatnonzero((before <= s.left) & (before > s.left - s.n))
+        node = ahead[own, window - before] * (len(s.n) + 1) + behind[own, before]
+        order = np.lexsort((s.doc[own], node))
+        node, doc, own = node[order], s.doc[own][order], own[order]
+        head = np.append(True, node[1:] != node[:-1])[: len(node)]
+        least = doc[head][np.cumsum(head) - 1] if len(doc) else doc
+        later[place[own] + s.left[own] - before] = doc > least
+    return later
+
+
+def _marked_runs(s: Suffixes, later: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of settled windows: suffix, start of the first window, number of windows."""
+    of = np.repeat(np.arange(len(s.n)), s.n)
+    i = np.flatnonzero(later)
+    new = np.append(True, (np.diff(i) > 1) | (of[i[1:]] != of[i[:-1]]))[: len(i)]
+    heads = i[new]
+    return of[heads], s.start[of[heads]] + heads - (np.cumsum(s.n) - s.n)[of[heads]], np.diff(np.append(np.flatnonzero(new), len(i)))
+
+
+def _rest(s: Suffixes, later: np.ndarray, window: int) -> Suffixes:
+    """Suffixes with windows that are not settled, cut to these."""
+    place = np.cumsum(s.n) - s.n
+    open_ = np.flatnonzero(~later)
+    of = np.repeat(np.arange(len(s.n)), s.n)[open_]
+    new = np.append(True, of[1:] != of[:-1])[: len(of)]
+    own = of[new]
+    low = open_[new] - place[own]
+    high = open_[np.append(np.flatnonzero(new)[1:], len(open_)) - 1] - place[own] if len(own) else low
+    words = [s.words[i] if a == 0 and b == n - 1 else b" ".join(s.words[i].split(b" ")[a : b + window]) for i, a, b, n in zip(own.tolist(), low.tolist(), high.tolist(), s.n[own].tolist(), strict=True)]
+    return Suffixes(s.grp[own], s.doc[own], s.row[own], s.start[own] + low, s.left[own] - low, high - low + 1, words)
+
+
+def _cut(docs: np.ndarray, rows: np.ndarray, texts: list[bytes], shared: np.ndarray, window: int, anchor: int, bits: int) -> Suffixes | None:
+    """The suffixes at shared anchors of some texts."""
+    split = [t.split() for t in texts]
+    flat = list(itertools.chain.from_iterable(split))
+    if len(flat) < window:
+        return None
+    size = np.array([len(x) for x in split])
+    end = np.cumsum(size)
+    doc_of = np.repeat(np.arange(len(split)), size)
+    codes = CODES.array(flat)
+    anchors, at = window_anchors(codes, window, anchor)
+    start = np.arange(len(anchors))
+    known = np.unique(shared & (MANY - np.uint64(1)))
+    live = np.flatnonzero((start + window <= end[doc_of[start]]) & np.isin(anchors, known))
+    many = np.isin(anchors[live], shared[shared >= MANY] & (MANY - np.uint64(1)))
+    new = np.append(True, (np.diff(live) > 1) | (at[live[1:]] != at[live[:-1]]) | many[1:])[: len(live)]
+    low, n = live[new], np.diff(np.append(np.flatnonzero(new), len(live)))
+    grp = anchors[low] >> np.uint64(ANCHOR_BITS - bits)
+    if many.any():  # longer prefixes: the whole window
+        grp = np.where(many[new], windows(codes, window, BASE_2)[low] >> np.uint64(64 - bits), grp)
+    of = doc_of[low]
+    words = [b" ".join(flat[a:b]) for a, b in zip(low.tolist(), (low + n + window - 1).tolist(), strict=True)]
+    return Suffixes(grp.astype(np.int32), docs[of], rows[of], low - (end - size)[of], at[low] - low, n, words)
 
 
 def _repeats(docs: DataFrame, window: int, anchor: int, bits: int) -> DataFrame:
-    """(doc_id, codes): suffixes of a document whose window also starts in a smaller one, from (doc_id, text, shared)."""
-    shift = 64 - bits
+    """(doc_id, text_hash, start, n): runs of windows of a row that also start in a smaller document, from (doc_id, text_hash, text, shared)."""
 
     def deal(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         word_codes()
         for b in it:
-            per = []
-            for text, shared in zip(b.column("text").to_pylist(), b.column("shared").to_pylist(), strict=True):
-                codes = CODES.array(text.split())
-                own = np.isin(window_anchors(codes, window, anchor), np.array(shared, np.int64).view(np.uint64))
-                per.append(np.unique(suffix_codes(codes, window, anchor)[own]))
-            codes, own = _pairs(per, b.column("doc_id").to_numpy())
-            later = own > own[_runs(codes)[0]] if len(codes) else np.empty(0, bool)
-            new = np.append(True, codes[1:] != codes[:-1])[: len(codes)]
-            yield _pack(shift, (codes[new], own[new]), (codes[later], own[later]))
-
-    def decide(codes: np.ndarray, own: np.ndarray, _: np.ndarray) -> np.ndarray:
-        return own > own[_runs(codes)[0]]
-
-    return _meet(docs.select("doc_id", "text", "shared").mapInArrow(deal, DEALT), shift, 2**bits, decide)
+            cut = []
+            for x in small([b], 256):
+                shared = np.unique(x.column("shared").flatten().to_numpy()).view(np.uint64)
+                cut.append(_cut(x.column("doc_id").to_numpy(), x.column("text_hash").to_numpy(), x.column("text").to_pylist(), shared, window, anchor, bits))
+            cut = [x for x in cut if x is not None]
+            if not cut:
+                continue
+            s = Suffixes.joined(cut)
+            later = settle(s, window, anchor)
+            of, start, n = _marked_runs(s, later)
+            r = _rest(s, later, window)
+            yield pa.record_batch([s.grp[of], s.doc[of], s.row[of], start, pa.nulls(len(of), pa.int32()), n, pa.nulls(len(of), pa.binary())], schema=SUFFIX_ARROW)
+            yield pa.record_batch([r.grp, r.doc, r.row, r.start, r.left, r.n, r.words], schema=SUFFIX_ARROW)
+
+    def trees(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for parts in by_group(it):
+            t = pa.Table.from_batches(parts)
+            done = t.filter(pc.is_null(t["words"]))
+            t = t.filter(pc.is_valid(t["words"]))
+            yield from done.select(["doc_id", "text_hash", "start", "n"]).combine_chunks().to_batches()
+            if t.num_rows:
+                s = Suffixes(*[t[c].to_numpy() for c in ("grp", "doc_id", "text_hash", "start", "left", "n")], t["words"].to_pylist())
+                of, start, n = _marked_runs(s, settle(s, window, anchor))
+                yield pa.RecordBatch.from_arrays([pa.array(s.doc[of]), pa.array(s.row[of]), pa.array(start, pa.int32()), pa.array(n, pa.int32())], names=["doc_id", "text_hash", "start", "n"])
+
+    dealt = docs.select("doc_id", "text_hash", "text", "shared").mapInArrow(deal, SUFFIX)
+    return dealt.repartition("grp").sortWithinPartitions("grp").mapInArrow(trees, MARKS)
+
+
+def by_group(it: Iterator[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch]]:
+    """Rows of each group, from batches sorted by ``grp``."""
+    now, held = None, []
+    for b in it:
+        grp = b.column("grp").to_numpy()
+        for i, j in itertools.pairwise([*np.flatnonzero(np.append(True, grp[1:] != grp[:-1]))[: len(grp)].tolist(), len(grp)]):
+            if grp[i] != now and held:
+                yield held
+                held = []
+            now = grp[i]
+            held.append(b.slice(i, j - i))
+    if held:
+        yield held
 
 
 def marked(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
-    """(doc_id, text, marks) of (doc_id, text binary), ids not null: the codes of suffixes to remove, null for none."""
+    """(doc_id, text_hash, text, marks) of (doc_id, text_hash, text binary), ids not null: the runs of windows to remove, null for none."""
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     bits = min(30, (parts * GROUPS - 1).bit_length())
-    shared = _shared_anchors(docs, window, anchor, bits).withColumnRenamed("codes", "shared")
+    shared = stage_table(_shared_anchors(docs, window, anchor, bits).withColumnRenamed("codes", "shared"), "op8-anchors")
+    n = shared.agg(F.coalesce(F.sum(F.size("shared")), F.lit(0))).first()[0]
+    bits = min(30, max(bits, (n // GROUP_ROWS).bit_length()))
     # both joins read one exchange of the texts
-    repeats = _repeats(docs.join(shared, "doc_id"), window, anchor, bits).withColumnRenamed("codes", "marks")
-    return docs.join(repeats, "doc_id", "left").select("doc_id", "text", "marks")
+    repeats = _repeats(docs.join(shared, "doc_id"), window, anchor, bits)
+    marks = repeats.groupBy("doc_id").agg(F.collect_list(F.struct("text_hash", "start", "n")).alias("marks"))
+    return docs.join(marks, "doc_id", "left").select("doc_id", "text_hash", "text", "marks")
 
 
-def covered(starts: np.ndarray, n: int, window: int) -> np.ndarray:
-    """Which of n words lie in a window at one of the starts."""
+def covered(runs: list[tuple[int, int]], n: int, window: int) -> np.ndarray:
+    """Which of n words lie in one of the windows of runs (first start, number)."""
     edge = np.zeros(n + 1, np.int32)
-    np.add.at(edge, starts, 1)
-    np.add.at(edge, np.minimum(starts + window, n), -1)
+    for start, k in runs:
+        edge[start] += 1
+        edge[start + k - 1 + window] -= 1
     return np.cumsum(edge[:-1]) > 0
 
 
@@ -257,20 +405,20 @@ def dedup_substrings(df: DataFrame, doc: str = "doc_id", text: str = "text", win
     affect each other; each is cut by its own windows.
     """
     id_ = F.col(doc) if (doc, "bigint") in df.dtypes and doc == "doc_id" else F.col(doc).cast("long").alias("doc_id")  # a needless alias would keep the exchange from being shared
-    docs = df.select(id_, F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"))
+    docs = df.select(id_, F.xxhash64(F.col(text)).alias("text_hash"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"))
     named = marked(docs.where("doc_id is not null"), window, anchor)
-    rest = docs.where("doc_id is null").select("doc_id", "text", F.lit(None).cast("array<long>").alias("marks"))
+    rest = docs.where("doc_id is null").select("doc_id", "text_hash", "text", F.lit(None).cast("array<struct<text_hash:long,start:int,n:int>>").alias("marks"))
     spans = pa.list_(pa.struct([("start", pa.int32()), ("n", pa.int32())]))
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
+        for b in small(it):
             n_words, n_gone, runs, kept = [], [], [], []
-            for t, marks in zip(b.column("text").to_pylist(), b.column("marks").to_pylist(), strict=True):
+            for t, row, marks in zip(*(b.column(c).to_pylist() for c in ("text", "text_hash", "marks")), strict=True):
                 words = t.split()
                 n_words.append(len(words))
-                if marks:
-                    codes = suffix_codes(CODES.array(words), window, anchor)
-                    gone = covered(np.flatnonzero(np.isin(codes, np.array(marks, np.int64).view(np.uint64))), len(words), window)
+                own = [(m["start"], m["n"]) for m in marks or () if m["text_hash"] == row]
+                if own:
+                    gone = covered(own, len(words), window)
                     turn = np.flatnonzero(np.diff(np.concatenate(([0], gone, [0]))))
                     runs.append([{"start": int(s), "n": int(e - s)} for s, e in zip(turn[::2], turn[1::2], strict=True)])
                     n_gone.append(int(gone.sum()))
