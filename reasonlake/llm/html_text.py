@@ -1,12 +1,19 @@
 """Operator 2: main text of web pages by tag-path ratios.
 
 A page is cut into text blocks, each with the path of block elements from the root to
-it. Text length and punctuation are summed for each path and divided by its blocks;
+it; the text of inline elements is part of their block. Text length and punctuation are summed for each path and divided by its blocks;
 the two ratios are fused with the smoothed ratios along the page, and paths above a
-threshold are content. The main text is all that is in an article or main element with content, or in the
-deepest element that holds nearly all of that text, and headings and content outside but for links. A list, table,
-quote or section is a part of an article: what stands beside it counts too, but for links. Parts that are never main text by their
-element, role or class are left out before.
+threshold are content. Names of classes, ids and parts that tell of adverts, menus, comments and the like lower a path's ratio, so
+a path below them is content only if there is hardly any other text.
+
+Paths select; the main text is what they select with the short blocks that belong to it (headings, captions, one-word
+paragraphs): all that no such name marks in an article or main element with content, or in the
+deepest element that holds nearly all of the content, and content outside but for links. A list, table,
+quote or section is a part of an article: what stands beside it counts too, but for links. A heading outside counts if it stands
+beside an element that holds content, a title (``h1``) in an element of its own too. Elements that are never main text are left out before.
+
+Paths are nodes of a tree, with one parent each; all sums are one pass over the tree, so the time is in
+proportion to the page however deep it is nested.
 """
 
 from __future__ import annotations
@@ -24,79 +31,136 @@ from pyspark.sql import functions as F
 from .common import read, small
 
 #: Elements that end a block of text.
-BLOCK = set("html body head title address article aside blockquote center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr legend li main menu nav ol optgroup option p pre section select summary table tbody td tfoot th thead tr ul caption noscript template iframe object button textarea".split())
-#: Elements without content, and elements that are never main text.
+BLOCK = set(
+    "html body head title address article aside blockquote center dd details dialog div dl dt fieldset figcaption figure "
+    "footer form h1 h2 h3 h4 h5 h6 header hgroup hr legend li main menu nav ol optgroup option p pre section select summary "
+    "table tbody td tfoot th thead tr ul caption noscript template iframe object button textarea".split()
+)
+#: Elements without content, and elements that are never main text; a header is, but for one in an article.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-SKIP = set("head title script style noscript template iframe object svg math canvas audio video nav aside footer header form button select textarea input label menu dialog fieldset option datalist map".split())
-#: Parts of class, id and role names that are never main text.
-SKIP_NAMES = set("ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner banners nav navbar navigation menu menus breadcrumb breadcrumbs header masthead footer foot sidebar side aside widget widgets cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended comment comments commentlist disqus respond reply replies pagination pager toolbar skip complementary contentinfo search form tags hidden toc".split())
+SKIP = set(
+    "head title script style noscript template iframe object svg math canvas audio video nav aside footer form button "
+    "select textarea input label menu dialog fieldset option datalist map".split()
+)
+#: Roles of elements that are never main text.
+SKIP_ROLES = set("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar tablist".split())
+#: Words in class and id names that lower a path: a name counts if it is made of these and of words that tell nothing.
+CUES = set(
+    "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner banners nav navbar "
+    "navigation menu menus breadcrumb breadcrumbs header masthead footer foot sidebar aside widget widgets cookie cookies "
+    "consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login share sharing "
+    "social related recommended comment comments commentlist disqus respond reply replies pagination pager toolbar "
+    "search form tags hidden toc".split()
+)
+NEUTRAL = set(
+    "site page main global top bottom left right primary secondary box wrap wrapper container area list section block inner "
+    "outer group bar col column item items links reader user the post entry article content story body mobile desktop".split()
+)
+#: With one of these a header is that of the article.
+OWN = {"post", "entry", "article", "content", "story"}
 #: An element closes open ones of these kinds when it starts, up to an element of the last kinds.
-CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
+CLOSES = {
+    "li": ({"li"}, {"ul", "ol", "menu"}),
+    "dt": ({"dt", "dd"}, {"dl"}),
+    "dd": ({"dt", "dd"}, {"dl"}),
+    "tr": ({"tr", "td", "th"}, {"table"}),
+    "td": ({"td", "th"}, {"tr", "table"}),
+    "th": ({"td", "th"}, {"tr", "table"}),
+    "option": ({"option"}, {"select"}),
+}
 #: Elements that name the article, and elements that are parts of one.
 ARTICLE = {"article", "main"}
 PARTS = set("blockquote center dd details dl dt figure li menu ol p pre section table tbody td tfoot th thead tr ul".split())
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 STOPS = re.compile("[.,;:!?…。，、！？；：]")
 WHITE = re.compile(r"\s+")
-NAME_PARTS = re.compile(r"[a-z]+")
+NAME_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
+HIDDEN = re.compile(r"(?:display\s*:\s*none|visibility\s*:\s*hidden)", re.IGNORECASE)
+
+#: Share of the weighted mean ratio that a path must reach; what a cue leaves of a path's ratio; share of content text that the article must hold; spread of the smoothing in blocks.
+LEAST_RATIO, CUED, ARTICLE_SHARE, SPREAD = 0.1, 0.001, 0.8, 1.0
 
-#: Share of the weighted mean ratio that a path must reach; share of content text that the article must hold; spread of the smoothing in blocks.
-LEAST_RATIO, ARTICLE_SHARE, SPREAD = 0.1, 0.8, 1.0
+
+def cue(names: str) -> bool:
+    """Whether a name among class or id names is made of cue words and neutral ones."""
+    for name in names.split():
+        parts = {x.lower() for x in NAME_PARTS.findall(name)}
+        known = parts & CUES
+        if known == {"header"} and parts & OWN:
+            continue
+        if known and parts <= CUES | NEUTRAL:
+            return True
+    return False
 
 
-class _Blocks(HTMLParser):
-    """Cuts a page into blocks: (path, text, characters in links)."""
+class Page(HTMLParser):
+    """Cuts a page into blocks (path, text, characters in links). Paths are nodes: ``parent`` and ``tag`` hold what each is, ``marked`` whether a cue names it."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, str, bool]] = []  # element, name in paths, skipped
-        self.blocks: list[tuple[tuple[str, ...], str, int]] = []
+        self.parent, self.tag, self.marked = [0], [""], [False]
+        self.child: dict[tuple[int, str, bool], int] = {}
+        self.open: list[tuple[str, int, bool]] = []  # element, its path, skipped
+        self.at: dict[str, list[int]] = defaultdict(list)  # places of open elements by kind
+        self.walls: list[int] = []  # places of open block elements
+        self.blocks: list[tuple[int, str, int]] = []
         self.text: list[str] = []
         self.linked = 0
 
+    def _last(self, kinds: set[str]) -> int:
+        return max((self.at[k][-1] for k in kinds if self.at.get(k)), default=-1)
+
     def flush(self) -> None:
         if self.text:
             text = WHITE.sub(" ", "".join(self.text)).strip()
             if text:
-                self.blocks.append((tuple(n for e, n, _ in self.open if e in BLOCK), text, self.linked))
+                self.blocks.append((self.open[-1][1] if self.open else 0, text, self.linked))
             self.text, self.linked = [], 0
 
+    def _drop(self, i: int) -> None:
+        while len(self.open) > i:
+            self.at[self.open.pop()[0]].pop()
+            if self.walls and self.walls[-1] == len(self.open):
+                self.walls.pop()
+
     def _pop_to(self, i: int) -> None:
         self.flush()
-        del self.open[i:]
+        self._drop(i)
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in BLOCK:
             self.flush()
-            if tag == "body" or tag == "html":
-                for i, (e, _, _) in enumerate(self.open):
-                    if e == "head":
-                        self._pop_to(i)
-                        break
-            for i in range(len(self.open) - 1, -1, -1):  # a block ends an open paragraph and what is open in it
-                if self.open[i][0] == "p":
-                    self._pop_to(i)
-                    break
-                if self.open[i][0] in BLOCK:
-                    break
+            if tag in ("body", "html") and self.at.get("head"):
+                self._pop_to(self.at["head"][0])
+            if self.walls and self.open[self.walls[-1]][0] == "p":  # a block ends an open paragraph and what is open in it
+                self._pop_to(self.walls[-1])
             if tag in CLOSES:
                 ends, scope = CLOSES[tag]
-                for i in range(len(self.open) - 1, -1, -1):
-                    if self.open[i][0] in scope:
+                while (i := self._last(ends)) > self._last(scope):
+                    self._pop_to(i)
+                    if tag != "tr":
                         break
-                    if self.open[i][0] in ends:
-                        self._pop_to(i)
-                        if tag != "tr":
-                            break
         if tag == "br":
             self.text.append(" ")
         if tag in VOID:
             return
         a = dict(attrs)
-        names = " ".join(filter(None, (a.get("class"), a.get("id"), a.get("role")))).lower()
-        skip = bool(self.open and self.open[-1][2]) or tag in SKIP or "hidden" in a or a.get("aria-hidden") == "true"
-        if not skip and tag not in ("html", "body", "article", "main"):
-            skip = not SKIP_NAMES.isdisjoint(NAME_PARTS.findall(names))
-        self.open.append((tag, f"{tag}.{a['class']}" if a.get("class") else tag, skip))
+        path, above = (self.open[-1][1], self.open[-1][2]) if self.open else (0, False)
+        role = (a.get("role") or "").lower().split()
+        skip = above or tag in SKIP or "hidden" in a or a.get("aria-hidden") == "true" or bool(HIDDEN.search(a.get("style") or ""))
+        skip = skip or not SKIP_ROLES.isdisjoint(role) or tag == "header" and self._last(ARTICLE) < 0
+        if tag in BLOCK:
+            marked = tag not in ("html", "body", *ARTICLE) and (cue(a.get("class") or "") or cue(a.get("id") or ""))
+            key = path, f"{tag}.{a['class']}" if a.get("class") else tag, marked
+            if key not in self.child:
+                self.child[key] = len(self.parent)
+                self.parent.append(path)
+                self.tag.append(tag)
+                self.marked.append(marked)
+            path = self.child[key]
+            self.walls.append(len(self.open))
+        self.at[tag].append(len(self.open))
+        self.open.append((tag, path, skip))
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
@@ -104,36 +168,25 @@ class _Blocks(HTMLParser):
             self.handle_endtag(tag)
 
     def handle_endtag(self, tag: str) -> None:
-        for i in range(len(self.open) - 1, -1, -1):
-            if self.open[i][0] == tag:
-                if tag in BLOCK:
-                    self._pop_to(i)
-                else:
-                    del self.open[i]
-                return
-            if self.open[i][0] in BLOCK and tag not in BLOCK:
-                return  # a stray end of an inline element
-        if tag in BLOCK:
-            self.flush()
+        i = self._last({tag})
+        if i < 0:
+            if tag in BLOCK:
+                self.flush()
+        elif tag in BLOCK:
+            self._pop_to(i)
+        elif not self.walls or i > self.walls[-1]:  # else a stray end of an inline element
+            self._drop(i)
 
     def handle_data(self, data: str) -> None:
         if self.open and self.open[-1][2]:
             return
         self.text.append(data)
-        if any(e == "a" for e, _, _ in self.open):
+        if self.at.get("a"):
             self.linked += len(data)
 
 
-def page_blocks(html: str) -> list[tuple[tuple[str, ...], str, int]]:
-    p = _Blocks()
-    p.feed(html)
-    p.close()
-    p.flush()
-    return p.blocks
-
-
-def _ratios(blocks: list[tuple[tuple[str, ...], str, int]]) -> dict[tuple[str, ...], float]:
-    """Fused ratio of each path."""
+def ratios(blocks: list[tuple[int, str, int]]) -> dict[int, float]:
+    """Fused ratio of each path, cues apart: text length a block times punctuation a block, less what is in links, and its smoothed neighbours."""
     size, stops, links, n = defaultdict(int), defaultdict(int), defaultdict(int), defaultdict(int)
     for path, text, linked in blocks:
         size[path] += len(text)
@@ -151,36 +204,62 @@ def _ratios(blocks: list[tuple[tuple[str, ...], str, int]]) -> dict[tuple[str, .
 
 def main_text(html: str | None) -> str:
     """Main text of one page: its blocks in page order, one a line."""
-    blocks = page_blocks(html) if html else []
+    page = Page()
+    if html:
+        page.feed(html)
+        page.close()
+        page.flush()
+    blocks, parent, tag, marked = page.blocks, page.parent, page.tag, page.marked
     if not blocks:
         return ""
-    ratio = _ratios(blocks)
+    nodes = range(1, len(parent))  # parents come before their children
+    cues = [0] * len(parent)
+    for p in nodes:
+        cues[p] = cues[parent[p]] + marked[p]
+    ratio = {p: r * CUED ** min(cues[p], 9) for p, r in ratios(blocks).items()}
     mass = sum(len(t) for _, t, _ in blocks)
     least = LEAST_RATIO * sum(ratio[p] * len(t) for p, t, _ in blocks) / mass
     content = {p for p, r in ratio.items() if r >= least}
-    held = defaultdict(int)
-    for path, text, _ in blocks:
-        if path in content:
-            for i in range(len(path)):
-                held[path[:i]] += len(text)
-    total = held[()]
-    article = max((p for p, m in held.items() if m >= ARTICLE_SHARE * total), key=len, default=())
-    names = lambda path: [n.partition(".")[0] for n in path]
+
+    below = [0] * len(parent)  # content text under each path
+    own = [0] * len(parent)
+    for p, t, _ in blocks:
+        if p in content:
+            own[p] += len(t)
+    for p in reversed(nodes):
+        below[parent[p]] += below[p] + own[p]
+    article, depth, named = 0, [0] * len(parent), [0] * len(parent)  # named: the outermost article or main element
+    for p in nodes:
+        depth[p] = depth[parent[p]] + 1
+        named[p] = named[parent[p]] or (p if tag[p] in ARTICLE else 0)
+        if below[p] >= ARTICLE_SHARE * below[0] and depth[p] > depth[article]:
+            article = p
     around = article
-    while around and names(around)[-1] in PARTS:
-        around = around[:-1]
-    whole = {p[: next(i for i, n in enumerate(names(p), 1) if n in ARTICLE)] for p in content if not ARTICLE.isdisjoint(names(p))}
-    if article and names(article)[-1] not in ("html", "body"):
+    while around and tag[around] in PARTS:
+        around = parent[around]
+    whole = {named[p] for p in content} - {0}
+    if article and tag[article] not in ("html", "body"):
         whole.add(article)
+    inside, beside, off = ([False] * len(parent) for _ in range(3))
+    beside[0] = around == 0 != article
+    holder = [0] * len(parent)  # the element that a block is a part of
+    for p in nodes:
+        inside[p] = p in whole or inside[parent[p]]
+        beside[p] = beside[parent[p]] or around == p != article
+        off[p] = off[parent[p]] or marked[p] and not below[p] + own[p]
+        holder[p] = holder[parent[p]] if tag[parent[p]] in PARTS else parent[p]
 
-    def keep(path: tuple[str, ...], text: str, linked: int) -> bool:
-        if any(path[: len(w)] == w for w in whole) or path and re.fullmatch("h[1-6]", names(path)[-1]):
+    def keep(path: int, text: str, linked: int) -> bool:
+        if path in content:
+            return inside[path] or not whole or 2 * linked < len(text)
+        beside_content = below[holder[path]] or tag[path] == "h1" and below[parent[holder[path]]]  # a title may have an element of its own
+        if off[path] or not named[path] and not beside_content:  # of a part that a cue names, or an element without content
+            return False
+        if inside[path] or tag[path] in HEADINGS:
             return True
-        beside = around != article and path[: len(around)] == around
-        return (path in content or beside) and (not whole or 2 * linked < len(text))
+        return beside[path] and (not whole or 2 * linked < len(text))
 
-    kept = [t for p, t, linked in blocks if keep(p, t, linked)]
-    return "\n".join(kept)
+    return "\n".join(t for p, t, linked in blocks if keep(p, t, linked))
 
 
 def extract_text(pages: DataFrame, html: str = "html") -> DataFrame:

@@ -182,6 +182,84 @@ def test_main_text_leaves_links_beside_a_layout_cell():
     assert text.split("\n") == ITEMS
 
 
+PROSE = "".join(f"<p>{x}</p>" for x in ITEMS)
+
+
+@pytest.mark.parametrize(
+    "page,want",
+    [
+        ('<div class="site no-sidebar"><article><h1>T</h1>{}</article></div>', ["T", *ITEMS]),
+        ('<div class="post comments-open">{}</div>', ITEMS),
+        ('<header><p>Site, name.</p></header><article><header><h1>Title</h1></header>{}<footer>by me, today.</footer></article>', ["Title", *ITEMS]),
+        ('<article>{}<p style="display: none">hid, this. den.</p><div style="visibility:hidden">And, this.</div></article>', ITEMS),
+        ('<div class="promo9"><h2>Buy, now</h2></div><h1>T</h1><div class="a">{}</div>', ["T", *ITEMS]),
+        ('<div class="sidebar"><h1>T</h1>{}<div class="ad">Buy, this. Now, please.</div></div>', ["T", *ITEMS]),
+        ('<div id="content">{}</div><div id="comments"><p>A long comment, with stops. And more, and more.</p></div>', ITEMS),
+        ('<div role="navigation"><p>This, that. And more, too.</p></div><div class="cookieNotice">Cookies, here. Yes, please.</div>{}', ITEMS),
+        ('<div class="main-nav"><p>One, two. Three, four.</p></div><div class="entry-header"><h1>T</h1></div><div class="entry">{}</div>', ["T", *ITEMS]),
+    ],
+)
+def test_main_text_by_paths_and_cues(page, want):
+    assert html_text.main_text(f"<html><body>{page.format(PROSE)}</body></html>").split("\n") == want
+
+
+def test_ratios_of_paths_by_brute_force():
+    r = random.Random(12)
+
+    def made(path, depth):
+        """A page and its blocks, each with its path as text."""
+        html, blocks = "", []
+        for _ in range(r.randint(1, 4)):
+            tag, name = r.choice(["div", "section", "ul"]), r.choice(["", "x", "y"])
+            own = f"{path}/{tag}.{name}"
+            if depth and r.random() < 0.6:
+                inner, more = made(own, depth - 1)
+            else:
+                linked = "".join(r.choice("ab .,") for _ in range(r.randint(0, 20))).strip()
+                text = " ".join(r.choice(["word", "stop.", "comma,", "x"]) for _ in range(r.randint(1, 30)))
+                inner, more = f"{text} <a href=z>{linked}</a>", [(own, " ".join(f"{text} {linked}".split()), len(linked))]
+            html += f"<{tag}{f' class={name}' if name else ''}>{inner}</{tag}>"
+            blocks += more
+        return html, blocks
+
+    for _ in range(60):
+        html, want = made("", 5)
+        page = html_text.Page()
+        page.feed(html)
+        page.close()
+        assert [(t, k) for _, t, k in page.blocks] == [(t, k) for _, t, k in want]
+        first = {}
+        for p, t, k in want:
+            own = [(len(t2), sum(c in ".," for c in t2), min(k2, len(t2))) for p2, t2, k2 in want if p2 == p]
+            n, size = len(own), sum(x[0] for x in own)
+            first[p] = size / n * (1 + sum(x[1] for x in own)) / n * (1 - sum(x[2] for x in own) / size)
+        smooth = collections.defaultdict(list)
+        for i, (p, _, _) in enumerate(want):
+            near = [(np.exp(-((j - i) ** 2) / 2), first[want[j][0]]) for j in range(max(0, i - 2), min(len(want), i + 3))]
+            smooth[p].append(sum(w * x for w, x in near) / sum(w for w, _ in near))
+        got = html_text.ratios(page.blocks)
+        for (node, _, _), (p, _, _) in zip(page.blocks, want):
+            assert got[node] == pytest.approx((first[p] * np.mean(smooth[p])) ** 0.5)
+
+
+def test_deep_and_long_pages_take_time_in_proportion():
+    import time
+
+    for page in ("<div>x, y." * 20_000, "<p><button>" + "<b>" * 20_000 + "<div></div>" * 20_000 + "</i>" * 20_000, "<li><div>" * 20_000, "<ul>" + "<li>word, and. more" * 60_000):
+        began = time.process_time()
+        html_text.main_text(page)
+        assert time.process_time() - began < 5
+    text = html_text.main_text(f"<article>{PROSE * 3000}</article>")
+    assert text.count("\n") == 36_000 - 1
+
+
+def test_pages_keep_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "u", PAGE, 5, 2, "x", "y"), (2, None, None, None, None, None, None)], "page_id long, url string, html string, n_chars int, path int, parent string, `a b` string")
+    out = html_text.extract_text(df)
+    assert out.columns == ["page_id", "url", "n_chars", "path", "parent", "a b", "text"]
+    assert {tuple(r) for r in out.collect()} == {(1, "u", 5, 2, "x", "y", html_text.main_text(PAGE)), (2, None, None, None, None, None, "")}
+
+
 def test_pages_of_any_kind(spark):
     df = spark.createDataFrame([(1, None, "old"), (2, "", "old"), (3, "plain words only.", "old"), (4, "<p>unclosed <b>x", "old"), (5, PAGE, "old"), (5, PAGE, None), (None, "<nav>menu</nav>", "old"), (6, "<" * 5000, "old")], "page_id long, html string, text string")
     got = collections.Counter((r["page_id"], r["text"]) for r in html_text.extract_text(df).collect())
@@ -390,15 +468,48 @@ def kept(out):
     return collections.Counter((r["doc_id"], r["n_words"], r["n_removed"], r["kept_text"]) for r in out.collect())
 
 
-@pytest.mark.parametrize("groups,codes", [(1, 50), (16, 4_000_000)])
-def test_substring_dedup(spark, groups, codes, monkeypatch):
+@pytest.mark.parametrize("groups,codes,common", [(1, 50, 20_000), (16, 4_000_000, 20_000), (16, 50, 1)])
+def test_substring_dedup(spark, groups, codes, common, monkeypatch):
     rows = corpus(21, 100) + [(500, "a " * 40), (501, "a " * 30), (502, "a " * 12), (7, "b " * 20 + "a " * 14), (None, "a " * 30), (500, "c " * 15), (499, "c " * 14), (503, None), (504, "")]
     monkeypatch.setattr(substring_dedup, "GROUPS", groups)
     monkeypatch.setattr(substring_dedup, "GROUP_CODES", codes)
+    monkeypatch.setattr(substring_dedup, "PREFIX_ROWS", common)
+    monkeypatch.setattr(substring_dedup, "GROUP_ROWS", codes)
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5).withColumn("tag", F.lit("x"))
     assert kept(substring_dedup.dedup_substrings(df)) == brute_removed(rows)
 
 
+@pytest.mark.parametrize("code", [lambda w: 7, lambda w: w[0] % 3, lambda w: sum(w) * 0x9E3779B97F4A7C15 % 2**64])
+def test_trees_compare_words_whatever_their_hashes(code, monkeypatch):
+    """Without Spark: the suffixes of a corpus in one tree, when hashes of words clash."""
+    monkeypatch.setattr(common.WordCodes, "__missing__", lambda self, w: code(w))
+    monkeypatch.setattr(substring_dedup, "CODES", common.WordCodes())
+    rows = [(d, t) for d, t in corpus(31, 80) if words(t)] + [(900, "a " * 40), (901, "a " * 30), (902, "b a a a a a a a a a a a a a")]
+    texts, ids = [t.encode() for _, t in rows], np.array([d for d, _ in rows])
+    anchors = np.concatenate([substring_dedup.window_anchors(substring_dedup.CODES.array(t.split()), 13, 5)[0] for t in texts])
+    s = substring_dedup._cut(ids, ids, texts, np.unique(anchors), 13, 5, 4)
+    of, start, n = substring_dedup._marked_runs(s, substring_dedup.settle(s, 13, 5))
+    gone = collections.defaultdict(list)
+    for i, a, k in zip(of.tolist(), start.tolist(), n.tolist()):
+        gone[int(s.doc[i])].append((a, k))
+    got = collections.Counter()
+    for d, t in rows:
+        w = words(t)
+        cut = substring_dedup.covered(gone[d], len(w), 13)
+        got[d, len(w), int(cut.sum()), " ".join(x for x, c in zip(w, cut) if not c)] += 1
+    assert got == brute_removed(rows)
+
+
+def test_what_a_batch_settles_need_not_travel(monkeypatch):
+    text = b" ".join(b"w%d" % i for i in range(60))
+    ids = np.arange(5)
+    anchors = substring_dedup.window_anchors(common.CODES.array(text.split()), 13, 5)[0]
+    s = substring_dedup._cut(ids, ids, [text] * 4 + [text + b" x y z"], np.unique(anchors), 13, 5, 4)
+    later = substring_dedup.settle(s, 13, 5)
+    rest = substring_dedup._rest(s, later, 13)
+    assert int(later.sum()) == 4 * 48 and dict(zip(rest.doc.tolist(), rest.n.tolist())).keys() == {0, 4} and int(rest.n[rest.doc == 0].sum()) == 48 and int(rest.n[rest.doc == 4].sum()) <= 3
+
+
 def test_substring_dedup_over_many_batches(spark):
     rows = corpus(22, 80)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
