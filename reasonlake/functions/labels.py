@@ -28,6 +28,59 @@ def model_key(model: Column) -> Column:
     return F.when(m.contains("claude-haiku"), "haiku").when(m.contains("claude-sonnet"), "sonnet").when(m.contains("gemini-2.5-flash") | m.contains("gemini-flash"), "flash").when(m.contains("qwen"), "qwen3")
 
 
+# Display names of models.
+MODEL_LABELS = {"claude-haiku-4-5": "Haiku", "claude-sonnet-4-5": "Sonnet", "gemini-2.5-flash": "Flash", "Qwen/Qwen3.6-27B": "Qwen"}
+# Device classes of file-system types, types that hold no data, and prompt modes by bucket.
+FS_CLASSES = {
+    "tmpfs": "memory", "ramfs": "memory", "devtmpfs": "memory", "nfs": "network", "nfs4": "network", "cifs": "network", "smb3": "network",
+    "smbfs": "network", "lustre": "network", "gpfs": "network", "9p": "network", "ceph": "network", "fuse.s3fs": "object",
+    "fuse.mountpoint-s3": "object", "fuse.goofys": "object", "fuse": "object",
+}
+SKIPPED_FS = (
+    "proc", "sysfs", "devpts", "tracefs", "debugfs", "cgroup", "cgroup2", "securityfs", "pstore", "autofs", "binfmt_misc", "configfs",
+    "fusectl", "hugetlbfs", "mqueue", "nsfs", "selinuxfs", "bpf", "rpc_pipefs", "squashfs", "overlay", "overlayfs",
+)
+# Milliseconds of a first open from the object store and from the network mount.
+OBJECT_OPEN_MS, NETWORK_OPEN_MS = 754.5, 35.0
+
+
+def lookup(key: Column, table: dict[str, str]) -> Column:
+    """The value of a key in a small table of fixed values; null if it has none."""
+    return F.create_map(*[F.lit(x) for kv in table.items() for x in kv])[key]
+
+
+def model_label(model: Column) -> Column:
+    """Display name of a model; the model itself if it has none."""
+    return F.coalesce(lookup(model, MODEL_LABELS), model)
+
+
+def bench_of(task: Column) -> Column:
+    """Benchmark of a task by its name."""
+    mle = task.startswith("mle_") | task.contains("integrity")
+    return F.when(task.startswith("aiob_"), "AIOB").when(mle, "MLE").when(task.startswith("kb_"), "KB").otherwise("DSB")
+
+
+def prompt_bucket(mode: Column, variant: Column, baseline: tuple[str, ...], pathful: tuple[str, ...]) -> Column:
+    """Bucket of a prompt by its mode, or its variant where the mode is empty; null for others."""
+    own = F.coalesce(F.nullif(mode, F.lit("")), F.nullif(variant, F.lit("")))
+    return F.when(own.isin(*baseline), "baseline").when(own.isin(*pathful), "pathful")
+
+
+def device_class(fs_type: Column, device: Column, rotational: Column) -> Column:
+    """memory, network, object, nvme, ssd, hdd or unknown, by file-system type, else by whether the device rotates."""
+    base = F.regexp_replace(F.element_at(F.split(device, "/"), -1), "[0-9]+$", "")
+    still = F.when(base.startswith("nvme"), "nvme").otherwise("ssd")
+    disk = F.when((base == "") | rotational.isNull(), "unknown").when(rotational, "hdd").otherwise(still)
+    return F.coalesce(lookup(fs_type, FS_CLASSES), disk)
+
+
+def projections(job_s: Column, io_s: Column) -> dict[str, Column]:
+    """I/O share, speedup without I/O, and the total and speedup if every open came from the object store."""
+    share = F.when(job_s > 0, io_s / job_s).otherwise(0.0)
+    far = job_s - io_s + io_s * (OBJECT_OPEN_MS / NETWORK_OPEN_MS)
+    return {"io_frac": share, "elim_speedup": 1.0 / F.greatest(F.lit(1e-9), 1.0 - share), "far_total_s": far, "far_speedup": far / F.greatest(F.lit(1e-9), job_s - io_s)}
+
+
 def is_well_defined(task: Column, excluded: tuple[str, ...]) -> Column:
     """Whether a task is not one of those that are left out of headline numbers."""
     return ~task.isin(*excluded)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Prefixes of output paths and of output bucket names.
@@ -99,6 +99,14 @@ def path_tokens(text: Column) -> Column:
     return F.array_distinct(F.filter(cut, lambda p: p.rlike(r"\.[A-Za-z0-9]{1,6}$")))
 
 
+def command_paths(commands: DataFrame, prior: DataFrame, prefixes: list[tuple[str, str]], command: str = "cmd") -> DataFrame:
+    """(session_id, path, real): logical paths that a shell command names and the prior has, with the real path; each once a session."""
+    raw = F.transform(F.regexp_extract_all(command, F.lit(r"/data/[A-Za-z0-9_./\-]+"), 0), lambda p: F.rtrim(p, F.lit(".,;:'\")")))
+    named = commands.select("session_id", F.explode(F.array_distinct(raw)).alias("path")).distinct()
+    known = named.join(prior.select("path").distinct(), "path", "left_semi")
+    return known.select("session_id", "path", resolve(F.col("path"), prefixes).alias("real"))
+
+
 def ancestors(path: Column) -> Column:
     """The path and every directory above it, so that prefix joins become equi joins."""
     parts = F.split(path, "/")
@@ -111,22 +119,74 @@ def child_of(prefix: Column, path: Column) -> Column:
     return F.when(path.startswith(F.concat(norm, F.lit("/"))), F.split(F.substr(path, F.length(norm) + 2), "/")[0])
 
 
+# Buckets of competition files, by whole name, and by ending with a part of the name; the first that fits counts. No bucket: left out.
+ROLE_NAMES = {"description.md": None, "sample_submission.csv": "sample_csv", "train.csv": "train_csv", "test.csv": "test_csv"}
+ROLE_ENDINGS = (
+    (".csv", "", "extra_csv"), (".zip", "train", "train_zip"), (".zip", "test", "test_zip"), (".zip", "", "data_zip"),
+    *((e, "", "extra_data") for e in (".tsv", ".parquet", ".feather", ".jsonl", ".npy", ".npz", ".h5", ".hdf5")),
+    *((e, "", "media") for e in (".jpg", ".jpeg", ".png", ".tif", ".tiff", ".wav", ".mp3", ".flac")),
+)
+# File endings of a code tree, its buckets by path or start of the path; the first that fits counts.
+CODE_ENDINGS = (".py", ".yaml", ".sh", ".md")
+CODE_BUCKETS = (
+    ("agentiobench/runner.py", "core_runner"), ("agentiobench/tools.py", "core_tools"), ("agentiobench/llm.py", "core_llm"),
+    ("agentiobench/config/", "config_files"), ("agentiobench/", "core_other"), ("paper_evals/", "tests"), ("scripts/", "scripts_dir"), ("dftracer/", "tracing_files"),
+)
+# Patterns whose first group is the instance of a bucket, by the bucket's class.
+INSTANCES = {
+    "band": r"M6C(08|09|10)", "day": r"/\d{4}/(\d{3})/\d{2}/", "detector": r"_(nrc[ab][1234])_", "sample": r"/data/([A-Z]{2}\d{5})/",
+    "subject": r"/(sub-[A-Za-z0-9]+)[/_]",
+}
+MONTH = r"_(\d{4})(\d{2})\d{2}"
+
+
+def first_fit(tests: list[tuple[Column, str | None]]) -> Column:
+    """The value of the first test that holds; null if none does."""
+    out = F.lit(None).cast("string")
+    for test, value in reversed(tests):
+        out = F.when(test, F.lit(value).cast("string")).otherwise(out)
+    return out
+
+
 def role_bucket(name: Column) -> Column:
     """Bucket of a competition file by its name; null for descriptions and other files."""
     low = F.lower(name)
-    ends = lambda *e: _any([low.endswith(x) for x in e])
-    return (
-        F.when(low == "description.md", F.lit(None))
-        .when(low == "sample_submission.csv", "sample_csv")
-        .when(low == "train.csv", "train_csv")
-        .when(low == "test.csv", "test_csv")
-        .when(ends(".csv"), "extra_csv")
-        .when(ends(".zip") & low.contains("train"), "train_zip")
-        .when(ends(".zip") & low.contains("test"), "test_zip")
-        .when(ends(".zip"), "data_zip")
-        .when(ends(".tsv", ".parquet", ".feather", ".jsonl", ".npy", ".npz", ".h5", ".hdf5"), "extra_data")
-        .when(ends(".jpg", ".jpeg", ".png", ".tif", ".tiff", ".wav", ".mp3", ".flac"), "media")
-    )
+    return first_fit([*((low == n, v) for n, v in ROLE_NAMES.items()), *((low.endswith(e) & low.contains(part), v) for e, part, v in ROLE_ENDINGS)])
+
+
+def code_bucket(relative: Column) -> Column:
+    """Bucket of a file of a code tree by its path below the root; null for others, caches and other kinds of files."""
+    own = first_fit([(relative.startswith(p) if p.endswith("/") else relative == p, v) for p, v in CODE_BUCKETS])
+    return F.when(_any([relative.endswith(e) for e in CODE_ENDINGS]) & ~relative.contains("__pycache__") & ~relative.contains(".git"), own)
+
+
+def csv_role(name: Column) -> Column:
+    """Bucket of the files of a table task: train, test, sample and submission; null for others."""
+    return first_fit([(name == f"{f}.csv", v) for f, v in (("train", "train_csv"), ("test", "test_csv"), ("sample_submission", "sample_csv"), ("submission", "output_submission"))])
+
+
+def csv_bucket(name: Column) -> Column:
+    """A bucket for each CSV file of a folder, by its stem; null for others."""
+    return F.when(F.lower(name).endswith(".csv"), F.concat(F.lit("csv_"), F.translate(stem(name), "-.", "__")))
+
+
+def class_bucket(name: Column, classes: dict[str, str]) -> Column:
+    """Bucket of a file by the class that its name starts with, up to the first dot; null for others."""
+    return first_fit([(name.startswith(k + "."), v) for k, v in classes.items()])
+
+
+def merged_prior(tasks: DataFrame, files: DataFrame, root: str) -> DataFrame:
+    """(bucket, path) of many tasks in one prior: for each task (task) its files (task, name) train.csv and test.csv, each in a bucket of its own, and all in one."""
+    own = files.where(F.col("name").isin("train.csv", "test.csv")).join(tasks.select("task").distinct(), "task")
+    path = F.concat(F.lit(root + "/"), "task", F.lit("/"), "name")
+    bucket = F.concat(F.regexp_replace("name", r"\.csv$", "_"), F.translate("task", "-", "_"))
+    return own.select(F.explode(F.array(bucket, F.lit("all_files"))).alias("bucket"), path.alias("path")).distinct()
+
+
+def instance_buckets(path: Column) -> Column:
+    """All buckets ``class_instance`` of a path: bands, days, detectors, samples, subjects, and months as ``month_YYYY-MM``."""
+    month = F.when(F.regexp_extract(path, MONTH, 1) != "", F.concat(F.lit("month_"), F.regexp_extract(path, MONTH, 1), F.lit("-"), F.regexp_extract(path, MONTH, 2)))
+    return F.array_compact(F.concat(pattern_buckets(path, INSTANCES), F.array(month)))
 
 
 def group_bucket(relative: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Position (from 0) of a percentile p among n sorted values, by convention. Linear ones are ``percentile``.
+#: Position (from 0) of a percentile p among n sorted values, by convention.
 POSITIONS = {
     "upper_median": lambda n, p: F.floor(n / 2),
     "nearest": lambda n, p: F.greatest(F.lit(0), F.least(n - 1, F.bround(p * (n - 1)))),
@@ -13,35 +13,45 @@ POSITIONS = {
     "floor_count": lambda n, p: F.least(n - 1, F.floor(n * p)),
     "quarter": lambda n, p: F.floor(n / 4) if p < 0.5 else F.floor(3 * n / 4),
 }
+#: Conventions between two neighbours: position from 0, clamped to the ends.
+BETWEEN = {
+    "linear": lambda n, p: p * (n - 1),
+    "exclusive": lambda n, p: F.greatest(F.lit(0.0), F.least(n - 1.0, p * (n + 1) - 1)),
+}
 
 
-def position_percentiles(df: DataFrame, group: list[str], value: str, asked: dict[str, tuple[str, float]]) -> DataFrame:
-    """One row a group with one column for each (convention, p) asked.
+def counted(df: DataFrame, group: list[str], value: str) -> DataFrame:
+    """Distinct values of each group with ``n`` rows, ``upto`` rows at or below, and the group's ``total``. Nulls are left out.
 
-    Values are ranked by a window, so a large group is sorted with spilling instead of being
-    collected into an array. Nulls are left out.
+    Rows are counted by value before anything is sorted, so repeated values cost one row each.
     """
-    rows = df.where(F.col(value).isNotNull())
+    n = df.where(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count(F.lit(1)).alias("n"))
     own = Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0))
-    ranked = rows.withColumns({"__i": F.row_number().over(own.orderBy(value)) - 1, "__n": F.count(F.lit(1)).over(own)})
-    picks = [F.max(F.when(F.col("__i") == POSITIONS[kind](F.col("__n"), p).cast("long"), F.col(value))).alias(name) for name, (kind, p) in asked.items()]
-    return ranked.groupBy(*group).agg(*picks)
-
+    return n.withColumns({"upto": F.sum("n").over(own.orderBy(value)), "total": F.sum("n").over(own)})
 
-def linear_percentile(value: Column, p: float) -> Column:
-    return F.percentile(value, p)
 
-
-def exclusive_percentile(df: DataFrame, group: list[str], value: str, p: float, name: str) -> DataFrame:
-    """The exclusive definition: position p * (n + 1), linear between neighbours, clamped to the ends."""
-    own = Window.partitionBy(*group)
-    ranked = df.where(F.col(value).isNotNull()).withColumns({"__i": F.row_number().over(own.orderBy(value)), "__n": F.count(F.lit(1)).over(own)})
-    at = F.col("__n") + 1
-    low = F.greatest(F.lit(1), F.least(F.col("__n") - 1, F.floor(at * p)))
-    part = at * p - low
-    lo = F.max(F.when(F.col("__i") == low, F.col(value)))
-    hi = F.max(F.when(F.col("__i") == low + 1, F.col(value)))
-    return ranked.groupBy(*group).agg((lo + (hi - lo) * F.max(part)).alias(name))
+def position_percentiles(df: DataFrame, group: list[str], value: str, asked: dict[str, tuple[str, float]]) -> DataFrame:
+    """One row a group with one column for each (convention, p) asked."""
+
+    def at(position: Column) -> Column:
+        return F.max(F.when((F.col("upto") - F.col("n") <= position) & (position < F.col("upto")), F.col(value)))
+
+    picks = []
+    for name, (kind, p) in asked.items():
+        if kind in BETWEEN:
+            where = BETWEEN[kind](F.col("total"), p)
+            low, high = at(F.floor(where).cast("long")), at(F.ceil(where).cast("long"))
+            picks.append((low + (high - low) * F.max(where - F.floor(where))).alias(name))
+        else:
+            picks.append(at(POSITIONS[kind](F.col("total"), p).cast("long")).alias(name))
+    return counted(df, group, value).groupBy(*group).agg(*picks)
+
+
+def medians(df: DataFrame, group: list[str], columns: list[str], prefix: str = "") -> DataFrame:
+    """One row a group with the median of each column, null where a group has no value: all columns in one pass."""
+    each = df.select(*group, F.explode(F.array(*[F.struct(F.lit(c).alias("k"), F.col(c).cast("double").alias("v")) for c in columns])).alias("x")).select(*group, "x.*")
+    m = position_percentiles(each, [*group, "k"], "v", {"m": ("linear", 0.5)})
+    return m.groupBy(*group).agg(*[F.max(F.when(F.col("k") == c, F.col("m"))).alias(prefix + c) for c in columns])
 
 
 def geometric_mean(x: Column) -> Column:

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import stats as T
+
 
 def pivot_modes(runs: DataFrame, keys: list[str], mode: str, value: str, modes: tuple[str, str] = ("cold", "staged")) -> DataFrame:
     """One row a key with the value of either mode; keys with one mode alone have a null."""
@@ -16,13 +20,21 @@ def canonical(cells: DataFrame, wanted: DataFrame, on: list[str]) -> DataFrame:
 
 
 def speedup_block(cells: DataFrame, sets: list[list[str]], cold: str = "cold_amt", staged: str = "staged_amt") -> DataFrame:
-    """n, arithmetic, geometric and median mean, ratio of sums and maximum of cold / staged, for each grouping set in one pass. ``by`` names the set."""
+    """n, arithmetic, geometric and median mean, ratio of sums and maximum of cold / staged, for each grouping set; other keys are null.
+
+    Medians come from counts by value, as no buffer may hold the ratios of all cells.
+    """
     cols = sorted({c for s in sets for c in s})
+    kinds = dict(cells.dtypes)
+    own = [F.struct(F.lit(i).alias("__set"), *[(F.col(c) if c in s else F.lit(None).cast(kinds[c])).alias(c) for c in cols]) for i, s in enumerate(sets)]
     c, s = F.col(cold).cast("double"), F.col(staged).cast("double")
-    x = c / s
-    base = cells.withColumns({"__x": x, "__c": c, "__s": s})
-    aggs = [F.count(F.lit(1)).alias("n"), F.avg("__x").alias("am"), F.exp(F.avg(F.when(F.col("__x") > 0, F.log("__x")))).alias("gm"), F.percentile("__x", 0.5).alias("med"), (F.sum("__c") / F.sum("__s")).alias("agg"), F.max("__x").alias("max")]
-    return base.groupingSets([[F.col(y) for y in g] for g in sets], *[F.col(y) for y in cols]).agg(*aggs)
+    x = cells.select((c / s).alias("__x"), c.alias("__c"), s.alias("__s"), F.explode(F.array(*own)).alias("g")).select("g.*", "__x", "__c", "__s")
+    gm = F.exp(F.avg(F.when(F.col("__x") > 0, F.log("__x"))))
+    keys = ["__set", *cols]
+    main = x.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg("__x").alias("am"), gm.alias("gm"), (F.sum("__c") / F.sum("__s")).alias("agg"), F.max("__x").alias("max"))
+    med = T.position_percentiles(x, keys, "__x", {"med": ("linear", 0.5)}).withColumnsRenamed({k: f"__m_{k}" for k in keys})
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__m_{k}")) for k in keys])
+    return main.join(med, same, "left").select(*cols, "n", "am", "gm", "med", "agg", "max")
 
 
 def latest(runs: DataFrame, keys: list[str], order: list[Column], n: int = 3) -> DataFrame:
@@ -30,13 +42,23 @@ def latest(runs: DataFrame, keys: list[str], order: list[Column], n: int = 3) ->
     return runs.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("rank") <= n)
 
 
-def cell_speedup(runs: DataFrame, keys: list[str], mode: str, value: str, order: list[Column], base: str, n: int = 3, least: int = 2, least_value: float = 5.0) -> DataFrame:
-    """Median of the latest base runs over that of the latest others, with at least ``least`` on either side; shorter runs are left out."""
-    kept = latest(runs.where(F.col(value) >= least_value).withColumn("__base", F.col(mode) == base), [*keys, "__base"], order, n)
+def cell_speedup(runs: DataFrame, keys: list[str], mode: str, value: str, order: list[Column], base: str, n: int = 3, least: int = 2, least_value: float = 5.0, rc: str | None = None) -> DataFrame:
+    """Median of the latest base runs over that of the latest others, with at least ``least`` on either side; shorter runs are left out, and with ``rc`` those that did not end with 0. ``saved`` is the difference."""
+    fine = runs.where(F.col(value) >= least_value) if rc is None else runs.where((F.col(value) >= least_value) & (F.col(rc) == 0))
+    kept = latest(fine.withColumn("__base", F.col(mode) == base), [*keys, "__base"], order, n)
     side = lambda b, f: f(F.when(F.col("__base") == b, F.col(value)))
-    med = lambda c: F.percentile(c, 0.5)
+    med = lambda c: F.percentile(c, 0.5)  # noqa: E731 - of at most n runs
     g = kept.groupBy(*keys).agg(side(True, F.count).alias("n_base"), side(False, F.count).alias("n_other"), side(True, med).alias("base"), side(False, med).alias("other"))
-    return g.where((F.col("n_base") >= least) & (F.col("n_other") >= least)).withColumn("speedup", F.col("base") / F.col("other")).withColumn("outcome", F.when(F.col("speedup") >= 1.20, "win").when(F.col("speedup") < 0.85, "loss").otherwise("even"))
+    g = g.where((F.col("n_base") >= least) & (F.col("n_other") >= least)).withColumns({"speedup": F.col("base") / F.col("other"), "saved": F.col("base") - F.col("other")})
+    return g.withColumn("outcome", F.when(F.col("speedup") >= 1.20, "win").when(F.col("speedup") < 0.85, "loss").otherwise("even"))
+
+
+def rep_medians(runs: DataFrame, keys: list[str], mode: str, value: str, rc: str, base: str) -> DataFrame:
+    """Upper medians of the runs of either side that ended with 0, their ratio and the seconds saved; null where a side has none."""
+    r = runs.where(F.col(rc) == 0).withColumn("__side", F.when(F.col(mode) == base, "base").otherwise("other"))
+    m = T.position_percentiles(r, [*keys, "__side"], value, {"m": ("upper_median", 0.5)})
+    p = m.groupBy(*keys).agg(F.max(F.when(F.col("__side") == "base", F.col("m"))).alias("base"), F.max(F.when(F.col("__side") == "other", F.col("m"))).alias("other"))
+    return p.withColumns({"speedup": F.try_divide("base", "other"), "saved": F.col("base") - F.col("other")})
 
 
 def efficiency_fit(cells: DataFrame, observed: str, ceiling: str, keys: list[str], least: int = 3) -> DataFrame:

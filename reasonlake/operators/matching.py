@@ -9,9 +9,13 @@ from pyspark.sql import functions as F
 
 from ..functions.labels import OFFLINE, tier
 
+_sre = re._constants
+
 SCANNED = ("thinking", "text", "tool_result")
-#: Rules that are broadcast at most. Rule libraries are configuration of a few hundred rows; a larger table is refused.
+#: Rules that are broadcast at most. Rule libraries are configuration of a few hundred rows.
 MOST_RULES = 20_000
+#: Characters that a match may have for its rule to be searched piece by piece.
+MOST_WIDTH = 2_000
 
 # Bucket-name prefixes and their class labels, in order.
 CLASS_PREFIXES = ("sample", "subject", "band", "channel", "detector", "scene", "files", "train", "test", "day", "month", "year", "session", "trial")
@@ -95,24 +99,87 @@ def filter_origin(rules: DataFrame, dropped: list[str]) -> DataFrame:
     return rules.where((F.col("origin") == "general") | ~F.col("origin").isin(*dropped))
 
 
-def fingerprint(rules: DataFrame) -> DataFrame:
-    """One row: SHA-256 of the rules in order, one line of tab-separated fields each."""
+def fingerprint(rules: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """SHA-256 of the rules of each key in order, one line of tab-separated fields each: name, pattern, targets, origin."""
     line = F.concat_ws("\t", "name", "pattern", F.array_join("target_keys", ","), "origin")
-    return rules.agg(F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ord", line.alias("line")))), lambda x: x.line), "\n").cast("binary"), 256).alias("fingerprint"), F.count(F.lit(1)).alias("n_rules"))
+    lines = F.transform(F.sort_array(F.collect_list(F.struct("ord", line.alias("line")))), lambda x: x.line)
+    return rules.groupBy(*keys).agg(
+        F.sha2(F.array_join(lines, "\n").cast("binary"), 256).alias("fingerprint"), F.count(F.lit(1)).alias("n_rules")
+    )
+
+
+def _needs(items) -> list[list[str]]:
+    """Sets of texts, any match of a parsed pattern holds one of each set."""
+    out, run = [], ""
+    for op, arg in items:
+        if op is _sre.LITERAL and arg < 128:
+            run += chr(arg).lower()
+            continue
+        if run:
+            out.append([run])
+        run = ""
+        if op is _sre.SUBPATTERN and not arg[1] and not arg[2]:
+            out += _needs(arg[3])
+        elif op is _sre.ATOMIC_GROUP:
+            out += _needs(arg)
+        elif op in (_sre.MAX_REPEAT, _sre.MIN_REPEAT, _sre.POSSESSIVE_REPEAT) and arg[0] > 0:
+            out += _needs(arg[2])
+        elif op is _sre.BRANCH:
+            best = [_best(_needs(x)) for x in arg[1]]
+            if all(best):
+                out.append([x for b in best for x in b])
+    return [*out, [run]] if run else out
+
+
+def _best(needs: list[list[str]]) -> list[str] | None:
+    """The set whose shortest text is longest."""
+    return max(needs, key=lambda n: (min(map(len, n)), -len(n)), default=None)
+
+
+def parsed(pattern: str):
+    """The pattern as Python's parser reads it; null for what only Java knows, or reads otherwise."""
+    if "\\0" in pattern:
+        return None
+    try:
+        return re._parser.parse(pattern)
+    except (re.error, OverflowError):
+        return None
 
 
 def literals_of(pattern: str) -> list[str] | None:
-    """Lower-case texts of which any match of the pattern holds one; null if none can be told.
+    """Lower-case ASCII texts of which any match of the pattern holds one, folded as ``folded`` does; null if none can be told."""
+    tree = parsed(pattern)
+    best = tree and _best(_needs(tree))
+    return best if best and min(map(len, best)) > 1 else None
 
-    Only patterns whose alternatives are plain words, or that hold a plain run outside groups, tell some.
-    """
-    body = re.sub(r"^\(\?[a-z]+\)", "", pattern)
-    if re.fullmatch(r"[A-Za-z0-9_ |]+", body):
-        return [x.lower() for x in body.split("|")] if all(body.split("|")) else None
-    if "|" in body:
+
+def folded(text: Column) -> Column:
+    """Lower case, with the letters that match ASCII ones when case is ignored as these."""
+    out = F.lower(text)
+    for letter, plain in (("\u017f", "s"), ("\u0131", "i"), ("i\u0307", "i")):
+        out = F.replace(out, F.lit(letter), F.lit(plain))
+    return out
+
+
+def most_width(pattern: str) -> int | None:
+    """The longest match in characters, where a match depends on its own characters alone; null if it has no bound, or looks at what is around it."""
+    tree = parsed(pattern)
+    if tree is None:
         return None
-    runs = re.findall(r"(?<![\\(\[])\b[A-Za-z0-9_]{3,}(?![?*{+A-Za-z0-9_])", re.sub(r"\([^()]*\)[?*+]?|\[[^\]]*\]|\{[^}]*\}|\\.", "\0", body))
-    return [max(runs, key=len).lower()] if runs and "(" not in re.sub(r"\([^()]*\)", "", body) else None
+    width = tree.getwidth()[1]
+    return width if width <= MOST_WIDTH and not _looks_around(tree) else None
+
+
+def _looks_around(items) -> bool:
+    for op, arg in items:
+        if op in (_sre.AT, _sre.ASSERT, _sre.ASSERT_NOT, _sre.GROUPREF_EXISTS):
+            return True
+        inner = arg[1] if op is _sre.BRANCH else [arg[3]] if op is _sre.SUBPATTERN else [arg] if op is _sre.ATOMIC_GROUP else []
+        if op in (_sre.MAX_REPEAT, _sre.MIN_REPEAT, _sre.POSSESSIVE_REPEAT):
+            inner = [arg[2]]
+        if any(_looks_around(x) for x in inner):
+            return True
+    return False
 
 
 def compiled(pattern: Column) -> Column:
@@ -121,17 +188,23 @@ def compiled(pattern: Column) -> Column:
 
 
 def with_literals(rules: DataFrame) -> DataFrame:
-    """Rules with the literals that let most texts skip the regular expression. Reads the rules on the driver: they are configuration, and their number is checked."""
-    rows = rules.limit(MOST_RULES + 1).collect()
-    if len(rows) > MOST_RULES:
-        raise ValueError(f"more than {MOST_RULES} rules: give fewer, or split them by workload")
-    return rules.sparkSession.createDataFrame([(*r, literals_of(r["pattern"])) for r in rows], _schema(rules))
-
+    """Rules with the literals that let most texts skip the regular expression, as a join side.
 
-def _schema(rules: DataFrame):
+    Rules are configuration: up to ``MOST_RULES`` are read on the driver and broadcast. More are
+    told their literals by tasks, and the join is left to Spark.
+    """
     from pyspark.sql import types as T
 
-    return T.StructType([*rules.schema.fields, T.StructField("literals", T.ArrayType(T.StringType()))])
+    schema = T.StructType([*rules.schema.fields, T.StructField("literals", T.ArrayType(T.StringType()))])
+    rows = rules.limit(MOST_RULES + 1).collect()
+    if len(rows) <= MOST_RULES:
+        return F.broadcast(rules.sparkSession.createDataFrame([(*r, literals_of(r["pattern"])) for r in rows], schema))
+
+    def batches(it):
+        for df in it:
+            yield df.assign(literals=[literals_of(p) for p in df["pattern"]])
+
+    return rules.mapInPandas(batches, schema)
 
 
 def matches(blocks: DataFrame, rules: DataFrame) -> DataFrame:
@@ -140,8 +213,8 @@ def matches(blocks: DataFrame, rules: DataFrame) -> DataFrame:
     Adds ord, name, target_keys and match_start in code points. The join is a nested loop
     over broadcast rules; the literal test before the pattern decides most pairs.
     """
-    scanned = blocks.where(F.col("type").isin(*SCANNED) & (F.col("text") != "")).withColumn("__low", F.lower("text"))
-    r = F.broadcast(with_literals(rules).select("ord", "name", "pattern", "target_keys", "literals"))
+    scanned = blocks.where(F.col("type").isin(*SCANNED) & (F.col("text") != "")).withColumn("__low", folded(F.col("text")))
+    r = with_literals(rules.select("ord", "name", "pattern", "target_keys"))
     near = F.col("literals").isNull() | F.exists("literals", lambda x: F.contains(F.col("__low"), x))
     pairs = scanned.join(r, near & F.expr("text rlike concat('(?iud)', pattern)"))
     start = F.length(F.expr("regexp_extract(text, concat('(?s)^(.*?)(?-s:', '(?iud)', pattern, ')'), 1)"))
@@ -158,14 +231,38 @@ def transcript_matches(blocks: DataFrame, rules: DataFrame) -> DataFrame:
     """Each rule that fires at a block in transcript mode: the leftmost match over all text up to the block's end starts in it.
 
     A match across two blocks thus keeps its rule from firing later, as reading the running
-    transcript does. Text is joined per session.
+    transcript does. A rule whose matches are no longer than ``MOST_WIDTH`` and look at nothing around them is
+    searched in each block and the characters before it that a match may reach back to: the first
+    block with a match decides. Other rules are searched in the joined text, block by block.
     """
-    upto = Window.partitionBy("session_id").orderBy("block_seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    told = transcript(blocks).withColumn("__upto", F.array_join(F.collect_list("text").over(upto), ""))
-    r = F.broadcast(with_literals(rules).select("ord", "name", "pattern", "target_keys"))
-    pairs = told.join(r, F.expr("__upto rlike concat('(?iud)', pattern)"))
-    start = F.length(F.expr("regexp_extract(__upto, concat('(?s)^(.*?)(?-s:', '(?iud)', pattern, ')'), 1)"))
-    return pairs.withColumn("match_start", start).where("match_start >= char_base").drop("__upto", "pattern")
+    told = transcript(blocks)
+    width = {r["pattern"]: most_width(r["pattern"]) for r in rules.select("pattern").distinct().limit(MOST_RULES).collect()}
+    short = [p for p, w in width.items() if w is not None]
+    reach = max([w for w in width.values() if w is not None], default=0)
+    out = None
+    if short:
+        before = Window.partitionBy("session_id").orderBy("block_seq").rowsBetween(-max(1, reach), -1)  # a block has a character at least
+        tail = F.right(F.array_join(F.collect_list(F.right("text", F.lit(reach))).over(before), ""), F.lit(reach))
+        near = told.withColumn("__tail", tail).withColumn("__seen", F.concat("__tail", "text"))
+        found = _found(near, rules.where(F.col("pattern").isin(short)), "__seen")
+        found = found.withColumn("match_start", F.col("match_start") - F.length("__tail") + F.col("char_base"))
+        first = Window.partitionBy("session_id", "ord").orderBy("block_seq")
+        out = found.withColumn("__n", F.row_number().over(first)).where("__n = 1").drop("__n", "__tail", "__seen")
+    if len(short) < len(width) or out is None:
+        upto = Window.partitionBy("session_id").orderBy("block_seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        whole = told.withColumn("__upto", F.array_join(F.collect_list("text").over(upto), ""))
+        found = _found(whole, rules.where(~F.col("pattern").isin(short)), "__upto").drop("__upto")
+        out = found if out is None else out.unionByName(found)
+    return out.where("match_start >= char_base")
+
+
+def _found(blocks: DataFrame, rules: DataFrame, text: str) -> DataFrame:
+    """Rules found in a text column, with match_start in it."""
+    r = with_literals(rules.select("ord", "name", "pattern", "target_keys"))
+    near = F.col("literals").isNull() | F.exists("literals", lambda x: F.contains(F.col("__low"), x))
+    pairs = blocks.withColumn("__low", folded(F.col(text))).join(r, near & F.expr(f"{text} rlike concat('(?iud)', pattern)"))
+    start = F.length(F.expr(f"regexp_extract({text}, concat('(?s)^(.*?)(?-s:', '(?iud)', pattern, ')'), 1)"))
+    return pairs.withColumn("match_start", start).drop("__low", "literals", "pattern")
 
 
 def first_fire(found: DataFrame) -> DataFrame:
@@ -210,25 +307,37 @@ def tier_times(fired: DataFrame, sizes: DataFrame) -> DataFrame:
     return fired.join(sizes.select("name", "tier"), "name").groupBy("session_id").agg(at(1).alias("t_tier_1"), at(2).alias("t_tier_2"), at(3).alias("t_tier_3"))
 
 
+def reach_of(pattern: str) -> int | None:
+    """How far back from a prefix's end a match may start that no shorter prefix has; null without a bound. Borders of words and ends are seen from the prefix, look-ahead isn't."""
+    tree = parsed(pattern)
+    if tree is None or re.search(r"\(\?<?[=!]|\(\?\(", pattern):
+        return None
+    width = tree.getwidth()[1]
+    return width if width <= MOST_WIDTH else None
+
+
 def prefix_fire(blocks: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
     """First firing of each rule (name, pattern) in a session when thinking is tested at every character.
 
     Returns session_id, name, block_seq, turn, type and first_known_at, the code points known
     when the rule fires: for thinking the shortest prefix of the transcript that matches, which may match where the full
     text does not (a word border at its end); for other blocks the end of the block, if the leftmost match starts in it.
-    Each prefix is searched, so the time grows with the square of a block's length for patterns
-    that tell no literal; a literal skips the prefixes before it. One session is held at a time.
+    A new match ends where a prefix ends, so for rules of bounded width only that many characters are searched at each
+    one, and the time grows with the text; rules without a bound are searched over each prefix, unless a literal that they
+    need is not there yet. One session is held at a time.
     """
-    compiled_ = [(n, re.compile(p, re.IGNORECASE), literals_of(p)) for n, p in rules]
+    compiled_ = [(n, re.compile(p, re.IGNORECASE), literals_of(p), reach_of(p)) for n, p in rules]
+
+    most = {n: most_width(p) for n, p in rules}
 
     def session(df):
         import pandas as pd
 
-        text, known, out = "", set(), []
+        text, known, past, out = "", set(), set(), []
         for b in df.sort_values("block_seq").itertuples():
             base, text = len(text), text + b.text
             low = text.lower()
-            for name, pattern, literals in compiled_:
+            for name, pattern, literals, reach in compiled_:
                 if name in known:
                     continue
                 if b.type == "thinking":
@@ -238,10 +347,16 @@ def prefix_fire(blocks: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
                         if not ends:
                             continue
                         start = max(start, min(ends))
-                    at = next((e for e in range(start, len(text) + 1) if pattern.search(text, 0, e)), None)
+                    back = len(text) if reach is None else reach + 1  # an end may stand before a last line break
+                    low_ = lambda e: 0 if e == start else max(0, e - back)  # noqa: B023, E731 - an older match, of which no rule was told, counts at once
+                    at = next((e for e in range(start, len(text) + 1) if pattern.search(text, low_(e), e)), None)
+                elif name in past:
+                    at = None
                 else:
-                    m = pattern.search(text)
+                    m = pattern.search(text, 0 if most[name] is None else max(0, base - most[name]))
                     at = len(text) if m and m.start() >= base else None
+                    if m and at is None and most[name] is not None:
+                        past.add(name)  # a match across blocks keeps its rule from firing at a later one
                 if at is not None:
                     known.add(name)
                     out.append((b.session_id, name, b.block_seq, b.turn, b.type, at))

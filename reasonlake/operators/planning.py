@@ -2,20 +2,34 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def placement(files: DataFrame, keys: list[str], order: str, capacity: int, path: str = "path", size: str = "bytes") -> DataFrame:
-    """Primary or overflow for each file in order: primary while it fits; a later smaller file may still fit.
+    """``files`` with ``primary``, whether each is placed there in order: while it fits; a later smaller file may still fit.
 
-    A fold over the files of a key: the only state is the used size, so it is an aggregate
-    over a sorted array, not a running sum. A key's files are held in one row; keys are hosts or directories.
+    A fold over the files of a key, whose only state is the used size: the files come sorted and pass through
+    one by one, so a key may have any number of them. Null sizes count as 0.
     """
-    acc = F.expr(f"""aggregate(sort_array(collect_list(struct({order}, {path}, {size}))), struct(cast(0 as bigint) as used, cast(array() as array<struct<p:{dict(files.dtypes)[path]},s:bigint,primary:boolean>>) as out),
-      (a, x) -> struct(case when a.used + x.{size} <= {capacity}L then a.used + x.{size} else a.used end as used, concat(a.out, array(struct(x.{path} as p, cast(x.{size} as bigint) as s, a.used + x.{size} <= {capacity}L as primary))) as out))""")
-    folded = files.groupBy(*keys).agg(acc.alias("f"))
-    return folded.select(*keys, F.inline("f.out")).withColumnsRenamed({"p": path, "s": size})
+
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, used = None, 0
+        for b in it:
+            fits = []
+            for *key, n in zip(*(b.column(c).to_pylist() for c in [*keys, size]), strict=True):
+                if key != now:
+                    now, used = key, 0
+                fits.append(used + (n or 0) <= capacity)
+                used += (n or 0) if fits[-1] else 0
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(fits, pa.bool_())], names=[*b.schema.names, "primary"])
+
+    kept = files.drop("primary").repartition(*keys).sortWithinPartitions(*keys, order, path, size)
+    return kept.mapInArrow(batches, T.StructType([*kept.schema.fields, T.StructField("primary", T.BooleanType())]))
 
 
 def retention(files: DataFrame, keys: list[str], order: list[str], to_free: Column, size: str = "bytes", protected: Column | None = None) -> DataFrame:
@@ -69,3 +83,36 @@ def top_up(seen: DataFrame, truth: DataFrame, key: str, order: str, least: int =
     more = truth.select(key, "path").distinct().join(s.select(key, "path"), [key, "path"], "left_anti").join(n, key, "left").where(F.coalesce("__n", F.lit(0)) < least)
     more = more.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy("path"))).where(F.col("rank") <= most)
     return s.select(key, "path", F.lit("seen").alias("origin"), F.row_number().over(Window.partitionBy(key).orderBy(order, "path")).alias("rank")).unionByName(more.select(key, "path", F.lit("truth").alias("origin"), "rank"))
+
+
+def staged_paths(wanted: DataFrame, hot: DataFrame, roots: list[str]) -> DataFrame:
+    """``wanted`` (path) with whether its mirror is below one of the hot roots."""
+    from ..functions.paths import mirror
+
+    named = wanted.select("path", F.explode(F.array(*[mirror(r, F.col("path")) for r in roots])).alias("__m")).distinct()
+    found = named.join(hot.select(F.col("path").alias("__m")).distinct(), "__m", "left_semi").select("path").distinct().withColumn("staged", F.lit(True))
+    return wanted.join(found, "path", "left").withColumn("staged", F.coalesce("staged", F.lit(False)))
+
+
+def smallest_trees(tasks: DataFrame, domain: str, task: str, tree: str, most: int = 3) -> DataFrame:
+    """The task with the fewest tree lines of each of the first domains by name; ties go to the smaller id."""
+    lines = F.size(F.filter(F.split(tree, "\n"), lambda x, i: (x != "") | (i < F.size(F.split(tree, "\n")) - 1)))
+    low = tasks.withColumn("n_lines", lines).groupBy(domain).agg(F.min(F.struct("n_lines", task)).alias("x"))
+    return low.orderBy(domain).limit(most).select(domain, f"x.{task}", "x.n_lines")
+
+
+def target_choice(calls: DataFrame, events: DataFrame, inventory: DataFrame) -> DataFrame:
+    """The file to measure of each session: that of its first tool call (session_id, seq, name, path) whose path exists, else its first staged or hit event (session_id, seq, path, outcome) that does.
+
+    Returns session_id, path and ``source``: tool or staged. Sessions without either have no row.
+    """
+    there = inventory.select("path").distinct()
+    of = lambda df, n: df.join(there, "path", "left_semi").select("session_id", F.struct(F.lit(n).alias("rank"), "seq", "path").alias("x"))
+    both = of(calls, 0).unionByName(of(events.where(F.col("outcome").isin("staged", "hit")), 1))
+    best = both.groupBy("session_id").agg(F.min("x").alias("x"))
+    return best.select("session_id", "x.path", F.when(F.col("x.rank") == 0, "tool").otherwise("staged").alias("source"))
+
+
+def first_samples(files: DataFrame, n: int) -> DataFrame:
+    """The first ``n`` of (path, tier): tier 1 by path, then tier 3 by path, each path once."""
+    return files.where(F.col("tier").isin(1, 3)).groupBy("path").agg(F.min("tier").alias("tier")).orderBy("tier", "path").limit(n)

@@ -13,13 +13,28 @@ def with_sizes(paths: DataFrame, inventory: DataFrame) -> DataFrame:
 
 
 def overlap(predicted: DataFrame, truth: DataFrame, keys: list[str]) -> DataFrame:
-    """Full outer join of two deduplicated sets on keys + path: in_p, in_t, bytes. ``truth`` may lack the keys: then it holds for each of them."""
-    if keys and not set(keys) <= set(truth.columns):
-        truth = predicted.select(*keys).distinct().crossJoin(truth)  # as many rows as keys times the truth set
+    """Full outer join of two deduplicated sets on keys + path: in_p, in_t, bytes. A truth that all keys share goes to ``shared_metrics`` instead."""
     on = [*keys, "path"]
     p = predicted.groupBy(*on).agg(F.max("bytes").alias("pb")).withColumn("in_p", F.lit(1))
     t = truth.groupBy(*on).agg(F.max("bytes").alias("tb")).withColumn("in_t", F.lit(1))
-    return p.join(t, on, "full").select(*on, F.coalesce("in_p", F.lit(0)).alias("in_p"), F.coalesce("in_t", F.lit(0)).alias("in_t"), F.coalesce("pb", F.lit(0)).alias("pb"), F.coalesce("tb", F.lit(0)).alias("tb"))
+    zero = [F.coalesce(c, F.lit(0)).alias(c) for c in ("in_p", "in_t", "pb", "tb")]
+    return p.join(t, on, "full").select(*on, *zero)
+
+
+def shared_metrics(predicted: DataFrame, truth: DataFrame, keys: list[str]) -> DataFrame:
+    """Hits, sizes, precision, recall and Jaccard of each key's paths against one truth; null where a side is empty.
+
+    Paths of the truth that a key lacks are its size less the hits, so no key is paired with the whole truth.
+    """
+    t = truth.select("path").distinct().withColumn("__t", F.lit(1))
+    p = predicted.select(*keys, "path").distinct().join(t, "path", "left")
+    n = p.groupBy(*keys).agg(F.count("__t").alias("hits"), F.count(F.lit(1)).alias("predicted_size"))
+    n = n.crossJoin(F.broadcast(t.agg(F.count(F.lit(1)).alias("gt_size"))))  # one row
+    return n.withColumns({
+        "precision": F.try_divide("hits", "predicted_size"),
+        "recall": F.try_divide("hits", "gt_size"),
+        "jaccard": F.try_divide(F.col("hits"), F.col("predicted_size") + F.col("gt_size") - F.col("hits")),
+    })
 
 
 def byte_score(predicted: DataFrame, truth: DataFrame, keys: list[str]) -> DataFrame:
@@ -46,12 +61,6 @@ def ratios(df: DataFrame) -> DataFrame:
     })
 
 
-def set_metrics(both: DataFrame, keys: list[str]) -> DataFrame:
-    """Precision, recall and Jaccard of an overlap; null where a side is empty."""
-    hits, p, t = F.sum(F.col("in_p") * F.col("in_t")), F.sum("in_p"), F.sum("in_t")
-    return both.groupBy(*keys).agg(hits.alias("hits"), p.alias("predicted_size"), t.alias("gt_size"), F.try_divide(hits, p).alias("precision"), F.try_divide(hits, t).alias("recall"), F.try_divide(hits, F.count(F.lit(1))).alias("jaccard"))
-
-
 def falsepos(both: DataFrame, keys: list[str]) -> DataFrame:
     """Hits, waste and misses in files and bytes, with precisions, recalls, overfetch and both Jaccards; null where undefined."""
     hit, waste, miss = F.col("in_p") * F.col("in_t"), F.col("in_p") * (1 - F.col("in_t")), F.col("in_t") * (1 - F.col("in_p"))
@@ -83,7 +92,13 @@ def leave_one_out(files: DataFrame, rules: DataFrame, truth: DataFrame, bearing:
 
 
 def robustness(loo: DataFrame, least: float = 0.80) -> DataFrame:
-    return loo.agg(F.min("recall").alias("min_recall"), F.sum(F.col("load_bearing").cast("int")).alias("n_load_bearing"), (F.min("recall") >= least).alias("robust"))
+    """One row: the least recall with a rule dropped, how many rules bear load, and whether the set is robust."""
+    return loo.agg(F.min("recall").alias("min_recall"), F.sum(F.col("load_bearing").cast("int")).cast("long").alias("n_load_bearing"), (F.min("recall") >= least).alias("robust"))
+
+
+def top_rules(loo: DataFrame, k: int = 5) -> DataFrame:
+    """The rules whose loss costs most recall; ties go to the smaller name."""
+    return loo.orderBy(F.desc("delta"), "dropped").limit(k)
 
 
 def evaluate_policy(kept: DataFrame, opens: DataFrame, keys: list[str]) -> DataFrame:
@@ -95,10 +110,17 @@ def evaluate_policy(kept: DataFrame, opens: DataFrame, keys: list[str]) -> DataF
 
 
 def stage_summary(events: DataFrame, keys: list[str]) -> DataFrame:
-    """Counts by outcome, bytes staged and fetch times of staged events. Oversized skips have a count of their own."""
+    """Counts by outcome, bytes staged and fetch times of staged events: median, nearest-rank p95, maximum and mean. Oversized skips have a count of their own."""
+    from ..functions import stats as T
+
     of = lambda o: F.count(F.when(F.col("outcome") == o, 1))
     staged = lambda c: F.when(F.col("outcome") == "staged", F.col(c))
-    return events.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_events"), of("staged").alias("n_staged"), of("hit").alias("n_hits"), of("error").alias("n_errors"), of("skip_oversize").alias("n_skipped"), F.coalesce(F.sum(staged("size_bytes")), F.lit(0)).alias("total_bytes_staged"), F.percentile(staged("fetch_ms"), 0.5).alias("p50"), F.max(staged("fetch_ms")).alias("max_ms"), F.avg(staged("fetch_ms")).alias("mean_ms"))
+    sums = events.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n_events"), of("staged").alias("n_staged"), of("hit").alias("n_hits"), of("error").alias("n_errors"),
+        of("skip_oversize").alias("n_skipped"), F.coalesce(F.sum(staged("size_bytes")), F.lit(0)).alias("total_bytes_staged"),
+        F.max(staged("fetch_ms")).alias("max_ms"), F.avg(staged("fetch_ms")).alias("mean_ms"))
+    times = T.position_percentiles(events.where("outcome = 'staged'"), keys, "fetch_ms", {"p50": ("linear", 0.5), "p95": ("nearest", 0.95)})
+    return sums.join(times, keys, "left")
 
 
 def longest_prefix(paths: DataFrame, mounts: DataFrame, path: str = "path") -> DataFrame:
@@ -111,28 +133,56 @@ def longest_prefix(paths: DataFrame, mounts: DataFrame, path: str = "path") -> D
     return paths.join(best, path, "left").select(*paths.columns, *[F.col(f"__m.{c}").alias(c) for c in mounts.columns])
 
 
+#: Lengths of the pieces by which needles are looked up in texts.
+GRAMS = (1, 2, 4, 8)
+
+
+def _grams(text: Column, n: int) -> Column:
+    """Distinct pieces of ``n`` characters: one look-ahead at each place, so that long texts are read once."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), 1))
+
+
+def needles_of(prior: DataFrame) -> DataFrame:
+    """(path, needle): the full path of each input file, and its base name, stem and short stem where it alone has them."""
+    from ..functions.paths import is_output_key, is_output_path, short_stem, stem
+
+    inputs = prior.where(~is_output_key(F.col("bucket")) & ~is_output_path(F.col("path"))).select("path")
+    names = [F.element_at(F.split("path", "/"), -1).alias("base"), stem(F.col("path")).alias("stem"), short_stem(F.col("path")).alias("short")]
+    each = inputs.groupBy("path").agg(F.count(F.lit(1)).alias("copies")).select("path", "copies", *names)
+    each = each.withColumns({f"n_{c}": F.sum("copies").over(Window.partitionBy(c)) for c in ("base", "stem", "short")})
+    forms = F.array(
+        "path", F.when(F.col("n_base") == 1, F.col("base")), F.when((F.col("stem") != F.col("base")) & (F.col("n_stem") == 1), F.col("stem")),
+        F.when((F.col("short") != F.col("stem")) & (F.col("n_short") == 1), F.col("short")))
+    return each.select("path", F.explode(F.array_distinct(F.array_compact(forms))).alias("needle")).where("needle != ''")
+
+
+def keyed_needles(needles: DataFrame) -> DataFrame:
+    """Needles with ``gram``, the piece of each that fewest needles have (of the longest kind that fits)."""
+    kind = F.coalesce(*[F.when(F.length("needle") >= n, F.lit(n)) for n in reversed(GRAMS)])
+    pieces = F.coalesce(*[F.when(kind == n, _grams(F.col("needle"), n)) for n in GRAMS])
+    each = needles.select("path", "needle", F.explode(pieces).alias("gram"))
+    n = each.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    return each.join(n, "gram").groupBy("path", "needle").agg(F.min(F.struct("n", "gram")).alias("g")).select("path", "needle", "g.gram")
+
+
 def literal_scan(blocks: DataFrame, prior: DataFrame) -> DataFrame:
     """(session_id, path, start): files that a session's text names by path, or by a base name, stem or short stem that one file has alone; the earliest mention counts.
 
-    Texts are cut into tokens of path characters, and needles are joined by equality on tokens
-    and on their tails after a slash and stems: no substring join of all texts with all files.
-    Mentions inside longer words are thus not hits. Offsets are in code points of the session's text.
+    Needles are found anywhere in the text, across the borders of blocks too: each block is searched with the
+    characters after it that a needle may reach. Needles are joined with the distinct pieces of a block by
+    their rarest piece, and those that meet are then searched in the block. Offsets are in code points of the session's text.
     """
-    from ..functions.paths import is_output_key, is_output_path, short_stem, stem
     from .matching import transcript
 
-    inputs = prior.where(~is_output_key(F.col("bucket")) & ~is_output_path(F.col("path"))).select("path")
-    each = inputs.select("path", F.element_at(F.split("path", "/"), -1).alias("base"), stem(F.col("path")).alias("stem"), short_stem(F.col("path")).alias("short"))
-    one = each.groupBy("path").agg(F.first("base").alias("base"), F.first("stem").alias("stem"), F.first("short").alias("short"), F.count(F.lit(1)).alias("copies"))
-    alone = lambda c: F.sum("copies").over(Window.partitionBy(c)) == 1
-    needles = one.select("path", F.array_compact(F.array("path", F.when(alone("base"), F.col("base")), F.when((F.col("stem") != F.col("base")) & alone("stem"), F.col("stem")), F.when((F.col("short") != F.col("stem")) & alone("short"), F.col("short")))).alias("n")).select("path", F.explode(F.array_distinct("n")).alias("needle"))
-    told = transcript(blocks)
-    token = r"[A-Za-z0-9_/][A-Za-z0-9_./\-]*[A-Za-z0-9_]|[A-Za-z0-9_]"
-    spoken = told.select("session_id", "char_base", "text", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(token), 0))).alias("token"))
-    forms = F.array_distinct(F.array("token", F.element_at(F.split("token", "/"), -1), stem(F.col("token")), short_stem(F.col("token"))))
-    hit = spoken.select("session_id", "char_base", "text", "token", F.explode(forms).alias("needle")).join(needles, "needle")
-    start = F.col("char_base") + F.instr("text", F.col("token")) + F.instr("token", F.col("needle")) - 2
-    return hit.groupBy("session_id", "path").agg(F.min(start).alias("start"))
+    needles = keyed_needles(needles_of(prior))
+    longest, kinds = needles.agg(F.coalesce(F.max(F.length("needle")), F.lit(1)), F.sort_array(F.collect_set(F.length("gram")))).first()
+    after = Window.partitionBy("session_id").orderBy("block_seq").rowsBetween(1, max(1, longest - 1))  # a block has a character at least
+    ahead = F.left(F.array_join(F.collect_list(F.left("text", F.lit(longest))).over(after), ""), F.lit(longest - 1))
+    told = transcript(blocks).select("session_id", "block_seq", "char_base", F.length("text").alias("own"), F.concat("text", ahead).alias("seen"))
+    pieces = F.flatten(F.array(*[_grams(F.col("seen"), n) for n in kinds or GRAMS[:1]]))
+    met = told.select("session_id", "block_seq", F.explode(pieces).alias("gram")).join(needles, "gram").select("session_id", "block_seq", "path", "needle")
+    hit = met.join(told, ["session_id", "block_seq"]).withColumn("at", F.instr("seen", F.col("needle"))).where("at > 0 AND at <= own")
+    return hit.groupBy("session_id", "path").agg(F.min(F.col("char_base") + F.col("at") - 1).alias("start"))
 
 
 def source_of(targets: DataFrame, inventory: DataFrame) -> DataFrame:

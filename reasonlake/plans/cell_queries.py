@@ -64,7 +64,8 @@ def speedup_quantiles(spark, sf):
 
 def coverage_audit(spark, sf):
     o = _orders(spark, sf)
-    expected = o.select("task").distinct().crossJoin(F.broadcast(X.table(spark, sf, "region").select(F.col("r_name").alias("model")).unionByName(o.select("model").distinct())))
+    models = X.table(spark, sf, "region").select(F.col("r_name").alias("model")).unionByName(o.select("model").distinct())
+    expected = o.select("task").distinct().crossJoin(models)  # the grid asked for
     canon = C.canonical(o, X.table(spark, sf, "customer").select((F.col("c_custkey") % 80).alias("task")).where("task % 2 = 0").distinct(), ["task"])
     return C.coverage(canon, expected, ["task", "model"]).select("task", "model", "n")
 
@@ -104,7 +105,8 @@ def bandwidth_curve(spark, sf):
 
 def latency_ecdf(spark, sf):
     e = X.table(spark, sf, "events").select("event_type", F.round("value", 0).alias("ms"))
-    return C.ecdf(e, ["event_type"], "ms", 3).select("event_type", "ms", "n", *_r(("ecdf",), 6))
+    both = e.unionByName(e.withColumn("event_type", F.lit("all")))  # each type, and all pooled
+    return C.ecdf(both, ["event_type"], "ms", 3).select("event_type", "ms", "n", *_r(("ecdf",), 6))
 
 
 def ks_statistic(spark, sf):
@@ -121,18 +123,19 @@ def queue_delay(spark, sf):
 
 def percentile_family(spark, sf):
     l = X.table(spark, sf, "lineitem").select("l_linenumber", F.col("l_extendedprice").alias("v"))
-    asked = {"p50_upper": ("upper_median", 0.5), "p95_nearest": ("nearest", 0.95), "p95_floor_last": ("floor_last", 0.95), "p95_floor_count": ("floor_count", 0.95), "q1": ("quarter", 0.25), "q3": ("quarter", 0.75)}
+    asked = {
+        "p50_upper": ("upper_median", 0.5), "p95_nearest": ("nearest", 0.95), "p95_floor_last": ("floor_last", 0.95), "p95_floor_count": ("floor_count", 0.95),
+        "q1": ("quarter", 0.25), "q3": ("quarter", 0.75), "p50_linear": ("linear", 0.5), "p95_exclusive": ("exclusive", 0.95)}
     p = T.position_percentiles(l, ["l_linenumber"], "v", asked)
-    m = l.groupBy("l_linenumber").agg(F.round(F.percentile("v", 0.5), 3).alias("p50_linear"))
-    return p.join(m, "l_linenumber").join(T.exclusive_percentile(l, ["l_linenumber"], "v", 0.95, "x"), "l_linenumber").select(*p.columns, "p50_linear", F.round("x", 3).alias("p95_exclusive"))
+    return p.withColumns({c: F.round(c, 3) for c in ("p50_linear", "p95_exclusive")})
 
 
 def overhead_latency(spark, sf):
-    """Mean and nearest-rank percentiles of event values by type, and the ratio of their p99 to that of all."""
+    """Mean, extremes and nearest-rank percentiles of event values by type, and how far the p99 is from the median."""
     e = X.table(spark, sf, "events").select("event_type", "value")
-    p = T.position_percentiles(e, ["event_type"], "value", {"p50": ("nearest", 0.5), "p95": ("nearest", 0.95), "p99": ("nearest", 0.99)})
-    m = e.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.max("value").alias("max"))
-    return p.join(m, "event_type").select("event_type", "n", "p50", "p95", "p99", "max", F.round(F.col("p99") / F.col("p50"), 4).alias("tail"))
+    p = T.position_percentiles(e, ["event_type"], "value", {f"p{q}": ("nearest", q / 100) for q in (50, 75, 95, 99)})
+    m = e.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("min"), F.max("value").alias("max"), F.round(F.avg(F.col("value").cast("decimal(18,4)")).cast("double"), 3).alias("mean"))
+    return p.join(m, "event_type").select("event_type", "n", "p50", "p75", "p95", "p99", "min", "max", "mean", F.round(F.col("p99") / F.col("p50"), 4).alias("tail"))
 
 
 def set_ops(spark, sf):
@@ -150,14 +153,22 @@ def set_ops(spark, sf):
     return out
 
 
-def io_report(spark, sf):
-    """Reads of reports, one an order, with a file for each line: totals of the files with enough reads."""
+def reports(spark, sf):
+    """I/O reports, one an order, with a file for each line and seconds by function."""
     l = X.table(spark, sf, "lineitem")
     view = F.struct(F.concat(F.when(F.col("l_partkey") % 10 == 0, "/output/").otherwise("/data/"), F.col("l_partkey").cast("string")).alias("file_name"), F.col("l_quantity").cast("long").alias("posix_count_sum"), F.floor("l_extendedprice").alias("posix_read_size_sum"), F.lit(1).cast("long").alias("posix_metadata_count_sum"), (F.col("l_linenumber") * 0.5).cast("double").alias("posix_time_sum"))
-    func = F.struct(F.lit("read").alias("func_name"), (F.col("l_linenumber") * 0.5).cast("double").alias("posix_time_sum"))
-    r = l.groupBy((F.col("l_orderkey") % 500).alias("file")).agg(F.collect_list(view).alias("file_name_view"), F.collect_list(func).alias("func_name_view"), F.count(F.lit(1)).cast("double").alias("job_time"))
+    one = F.col("l_returnflag")
+    r = l.groupBy(F.col("l_orderkey").alias("file")).agg(F.collect_list(view).alias("file_name_view"), F.sum(F.when(one == "A", F.col("l_linenumber") * 0.5)).alias("a"), F.sum(F.when(one != "A", F.col("l_linenumber") * 0.5)).alias("b"), (F.count(F.lit(1)) * 10.0).alias("job_time"))
+    func = F.array(*[F.struct(F.lit(n).alias("func_name"), F.col(c).cast("double").alias("posix_time_sum")) for n, c in (("read", "a"), ("open", "b"))])
+    return r.select("file", "file_name_view", func.alias("func_name_view"), "job_time")
+
+
+def io_report(spark, sf):
+    """Reads of the reports: totals of each, seconds by function, and the files with enough reads."""
+    r = reports(spark, sf)
     reads = logs.io_reads(r, least_bytes=1000, least_count=5).groupBy("file").agg(F.count(F.lit(1)).alias("n_reads"), F.sum("bytes_read").alias("bytes_read"))
-    return logs.io_totals(r).join(reads, "file", "left").select("file", "job_time", F.col("n_files").cast("long").alias("n_files"), "posix_s", F.coalesce("n_reads", F.lit(0)).alias("n_reads"), F.coalesce("bytes_read", F.lit(0)).alias("bytes_read"))
+    t = logs.io_totals(r).join(reads, "file", "left")
+    return t.select("file", "job_time", F.col("n_files").cast("long").alias("n_files"), "posix_s", F.col("by_function")["read"].alias("read_s"), F.col("by_function")["open"].alias("open_s"), F.coalesce("n_reads", F.lit(0)).alias("n_reads"), F.coalesce("bytes_read", F.lit(0)).alias("bytes_read"))
 
 
 QUERIES = {f.__name__: f for f in (speedup_blocks, amdahl_cells, amdahl_corr, io_share, latest_reps, cell_medians, speedup_quantiles, coverage_audit, median_run, best_baseline, paired_modes, tier_bandwidth, tool_ratio, bandwidth_curve, latency_ecdf, ks_statistic, queue_delay, percentile_family, overhead_latency, set_ops, io_report)}
@@ -184,7 +195,7 @@ SQL = {
     "tier_bandwidth": "with l as (select l_returnflag as tier, l_linenumber, cast(l_quantity as double) as q from lineitem) select tier, l_linenumber, count(*) as n, round(avg(q), 4) as mean, min(q) as min, max(q) as max, round(coalesce(stddev_samp(q), 0), 4) as sd, round(4000 / avg(q), 4) as ms_per_4mib from l group by tier, l_linenumber",
     "tool_ratio": "with l as (select l_linenumber, avg(l_quantity) filter (l_returnflag = 'A') as a, avg(l_quantity) filter (l_returnflag = 'R') as r from lineitem group by l_linenumber) select l_linenumber, round(a, 4) as \"A\", round(r, 4) as \"R\", round(a / r, 4) as ratio from l",
     "bandwidth_curve": "with g as (select l_partkey % 50 as curve, l_quantity as x, cast(sum(cast(l_extendedprice as decimal(18,2))) as double) as y from lineitem group by 1, 2), p as (select curve, y, coalesce(y >= lag(y) over (partition by curve order by x) * 0.5, true) as ok from g) select curve, bool_and(ok) as monotonic, max(y) >= 50 * min(y) as spread from p group by curve",
-    "latency_ecdf": "with n as (select event_type, round(value, 0) as ms, count(*) as n from events group by 1, 2) select event_type, ms, n, round(sum(n) over (partition by event_type order by ms) / sum(n) over (partition by event_type), 6) as ecdf from n",
+    "latency_ecdf": "with e as (select event_type, round(value, 0) as ms from events union all select 'all', round(value, 0) from events), n as (select event_type, ms, count(*) as n from e group by 1, 2) select event_type, ms, n, round(sum(n) over (partition by event_type order by ms) / sum(n) over (partition by event_type), 6) as ecdf from n",
     "ks_statistic": "with n as (select user_id % 6 as g, value, count(*) filter (event_id % 2 = 0) as a, count(*) filter (event_id % 2 = 1) as b from events group by 1, 2), d as (select g, abs(sum(a) over (partition by g order by value) / sum(a) over (partition by g) - sum(b) over (partition by g order by value) / sum(b) over (partition by g)) as d from n) select g, round(max(d), 6) as ks from d group by g",
     "queue_delay": """with recursive e as (select user_id, row_number() over (partition by user_id order by event_id) as i, cast(value as decimal(18,2)) as proc from events),
       q as (select user_id, i, cast(greatest(20, 0) + proc as decimal(28,2)) as recv from e where i = 1 union all select e.user_id, e.i, cast(greatest(20 * e.i, q.recv) + e.proc as decimal(28,2)) from q join e on e.user_id = q.user_id and e.i = q.i + 1)
@@ -192,9 +203,11 @@ SQL = {
     "percentile_family": """with v as (select l_linenumber, l_extendedprice as v, row_number() over (partition by l_linenumber order by l_extendedprice) - 1 as i, count(*) over (partition by l_linenumber) as n from lineitem)
       select l_linenumber, max(v) filter (i = n // 2) as p50_upper, max(v) filter (i = cast(round_even(0.95 * (n - 1), 0) as bigint)) as p95_nearest, max(v) filter (i = cast(floor(0.95 * (n - 1)) as bigint)) as p95_floor_last, max(v) filter (i = cast(floor(n * 0.95) as bigint)) as p95_floor_count, max(v) filter (i = n // 4) as q1, max(v) filter (i = 3 * n // 4) as q3, round(quantile_cont(v, 0.5), 3) as p50_linear,
       round(max(v) filter (i + 1 = floor((n + 1) * 0.95)) + (max(v) filter (i = floor((n + 1) * 0.95)) - max(v) filter (i + 1 = floor((n + 1) * 0.95))) * max((n + 1) * 0.95 - floor((n + 1) * 0.95)), 3) as p95_exclusive from v group by l_linenumber""",
-    "overhead_latency": "with v as (select event_type, value as v, row_number() over (partition by event_type order by value) - 1 as i, count(*) over (partition by event_type) as n from events), g as (select event_type, count(*) as n, max(v) filter (i = cast(round_even(0.5 * (n - 1), 0) as bigint)) as p50, max(v) filter (i = cast(round_even(0.95 * (n - 1), 0) as bigint)) as p95, max(v) filter (i = cast(round_even(0.99 * (n - 1), 0) as bigint)) as p99, max(v) as max from v group by event_type) select *, round(p99 / p50, 4) as tail from g",
+    "overhead_latency": """with v as (select event_type, value as v, row_number() over (partition by event_type order by value) - 1 as i, count(*) over (partition by event_type) as n from events),
+      g as (select event_type, count(*) as n, max(v) filter (i = cast(round_even(0.5 * (n - 1), 0) as bigint)) as p50, max(v) filter (i = cast(round_even(0.75 * (n - 1), 0) as bigint)) as p75, max(v) filter (i = cast(round_even(0.95 * (n - 1), 0) as bigint)) as p95, max(v) filter (i = cast(round_even(0.99 * (n - 1), 0) as bigint)) as p99, min(v) as min, max(v) as max, round(cast(sum(cast(v as decimal(18,4))) as double) / count(*), 3) as mean from v group by event_type)
+      select *, round(p99 / p50, 4) as tail from g""",
     "set_ops": """with a as (select path from fx_files where bytes % 2 = 0), b as (select path from fx_files where bytes % 3 = 0)
       select 'union' as what, count(*) as n from (select path from a union select path from b) union all select 'both', count(*) from (select path from a intersect select path from b) union all select 'left', count(*) from (select path from a except select path from b)
       union all select 'rerun', 2 * count(*) from fx_files where bytes % 5 = 0 and bytes > 0 union all select 'dedup', count(*) from (select distinct source, lang from documents) union all select 'sum', cast(sum(case when bytes % 5 = 0 then bytes * 10 else bytes end) as bigint) from fx_files""",
-    "io_report": "select l_orderkey % 500 as file, cast(count(*) as double) as job_time, count(*) as n_files, cast(sum(l_linenumber * 0.5) as double) as posix_s, count(*) filter (l_partkey % 10 <> 0 and l_extendedprice >= 1000 and l_quantity >= 5) as n_reads, cast(coalesce(sum(cast(floor(l_extendedprice) as bigint)) filter (l_partkey % 10 <> 0 and l_extendedprice >= 1000 and l_quantity >= 5), 0) as bigint) as bytes_read from lineitem group by 1",
+    "io_report": "select l_orderkey as file, cast(count(*) * 10 as double) as job_time, count(*) as n_files, cast(sum(l_linenumber * 0.5) as double) as posix_s, cast(coalesce(sum(l_linenumber * 0.5) filter (l_returnflag = 'A'), 0) as double) as read_s, cast(coalesce(sum(l_linenumber * 0.5) filter (l_returnflag <> 'A'), 0) as double) as open_s, count(*) filter (l_partkey % 10 <> 0 and l_extendedprice >= 1000 and l_quantity >= 5) as n_reads, cast(coalesce(sum(cast(floor(l_extendedprice) as bigint)) filter (l_partkey % 10 <> 0 and l_extendedprice >= 1000 and l_quantity >= 5), 0) as bigint) as bytes_read from lineitem group by 1",
 }

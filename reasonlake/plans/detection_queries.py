@@ -34,10 +34,17 @@ def tier1_byte_score(spark, sf):
 
 
 def layers(spark, sf):
-    """(layer, path, bytes): cumulative tiers over all sessions, and everything."""
+    """(layer, path, bytes): cumulative tiers over all sessions, files named in texts, and everything."""
     low = rule_files(spark, sf).join(sizes(spark, sf).select("name", "tier"), "name").groupBy("path", "bytes").agg(F.min("tier").alias("tier"))
     t = low.select("path", "bytes", F.explode(F.sequence("tier", F.lit(3))).alias("layer")).withColumn("layer", F.concat(F.lit("tier_"), F.col("layer").cast("string")))
-    return t.select("layer", "path", "bytes").unionByName(X.files(spark, sf).select(F.lit("naive").alias("layer"), "path", "bytes").distinct())
+    hot = hot_files(spark, sf).select("path", "bytes").distinct().withColumn("layer", F.lit("hot"))
+    return t.select("layer", "path", "bytes").unionByName(hot).unionByName(X.files(spark, sf).select(F.lit("naive").alias("layer"), "path", "bytes").distinct())
+
+
+def hot_files(spark, sf):
+    """(session_id, path, bytes): files that a session's text names."""
+    named = S.literal_scan(X.talk(spark, sf), X.prior(spark, sf).where("bucket = 'all_files'"))
+    return named.select("session_id", "path").join(X.files(spark, sf).select("path", "bytes"), "path")
 
 
 def score_grid(spark, sf):
@@ -91,9 +98,12 @@ def naive_overfetch(spark, sf):
 
 
 def subset_metrics(spark, sf):
-    hit = rule_files(spark, sf)
-    both = S.overlap(hit, X.truth(spark, sf), ["name"])
-    return S.set_metrics(both, ["name"]).select("name", "hits", "predicted_size", "gt_size", *[F.round(c, 4).alias(c) for c in ("precision", "recall", "jaccard")])
+    """Each rule's files against what is needed and against what any session opened."""
+    hit, out = rule_files(spark, sf), None
+    for name, truth in (("needed", X.truth(spark, sf)), ("opened", _opens(spark, sf))):
+        m = S.shared_metrics(hit, truth, ["name"]).select(F.lit(name).alias("truth"), "name", "hits", "predicted_size", "gt_size", *[F.round(c, 4).alias(c) for c in ("precision", "recall", "jaccard")])
+        out = m if out is None else out.unionByName(m)
+    return out
 
 
 def _opens(spark, sf):
@@ -113,9 +123,21 @@ def falsepos_report(spark, sf):
     return out.select("session_id", *[F.round(c, 4).alias(c) if t == "double" else F.col(c).cast("long").alias(c) for c, t in out.dtypes if c in kept])
 
 
+def _loo(spark, sf):
+    return S.leave_one_out(rule_files(spark, sf), X.rules(spark), X.truth(spark, sf))
+
+
 def loo_rules(spark, sf):
-    loo = S.leave_one_out(rule_files(spark, sf), X.rules(spark), X.truth(spark, sf))
-    return loo.select("dropped", F.col("hits").cast("long").alias("hits"), F.round("recall", 4).alias("recall"), F.round("delta", 4).alias("delta"), "load_bearing")
+    return _loo(spark, sf).select("dropped", F.col("hits").cast("long").alias("hits"), F.round("recall", 4).alias("recall"), F.round("delta", 4).alias("delta"), "load_bearing")
+
+
+def loo_robustness(spark, sf):
+    return S.robustness(_loo(spark, sf)).select(F.round("min_recall", 4).alias("min_recall"), "n_load_bearing", "robust")
+
+
+def loo_top(spark, sf):
+    """The five rules whose loss costs most."""
+    return S.top_rules(_loo(spark, sf)).select("dropped", F.round("recall", 4).alias("recall"), F.round("delta", 4).alias("delta"))
 
 
 def rule_origin_counts(spark, sf):
@@ -126,21 +148,24 @@ def rule_origin_counts(spark, sf):
 
 def rule_fingerprint(spark, sf):
     """Fingerprint of the rules generated for the sources."""
-    r = auto_rules(spark, sf)
-    return r.groupBy("workload").agg(F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ord", F.concat_ws("\t", "name", "targets", "origin").alias("line")))), lambda x: x.line), "\n").cast("binary"), 256).alias("fingerprint"), F.count(F.lit(1)).alias("n_rules"))
+    return M.fingerprint(_auto(spark, sf), ("workload",))
 
 
 _TASK = "concat('Read every csv and NetCDF file of ', source, ' and write result/report.md and out/', source, '_table.csv')"
 
 
 def auto_rules(spark, sf):
+    return _auto(spark, sf).select("workload", "ord", "name", "pattern", F.array_join("target_keys", ",").alias("targets"), "origin")
+
+
+def _auto(spark, sf):
     """Rules of a workload for each source: its buckets are days by document number, languages and aggregates."""
     d = X.table(spark, sf, "documents")
     w = d.select(F.col("source").alias("workload"), F.expr(_TASK).alias("task")).distinct()
     names = F.array(F.concat(F.lit("day_"), F.lpad((F.col("doc_id") % 40).cast("string"), 3, "0")), F.concat(F.lit("band_0"), (F.col("doc_id") % 8).cast("string")), F.concat(F.lit("subject_sub-"), F.col("lang"), F.lit("x")), F.lit("all_files"), F.lit("output_csv"), F.lit("output_png"))
     b = d.select(F.col("source").alias("workload"), F.explode(names).alias("bucket")).distinct()
     b = b.withColumn("pos", F.expr("row_number() over (partition by workload order by bucket)"))
-    return M.auto_rules(w, b).select("workload", "ord", "name", "pattern", F.array_join("target_keys", ",").alias("targets"), "origin")
+    return M.auto_rules(w, b)
 
 
 _AUTO_SQL = f"""
@@ -161,17 +186,21 @@ a as (select workload, cast(row_number() over (partition by workload order by pa
 
 
 def enrich_policies(spark, sf):
-    """Listings are the documents that a conversation's number selects; policies keep all, the first three, one extension, or names that the text mentions."""
-    conv = X.table(spark, sf, "conversations").where("turn < 3").select("conv_id", "turn")
-    n = X.table(spark, sf, "documents")
-    listed = n.select(F.col("doc_id").alias("seq"), (F.col("doc_id") % 97).alias("conv_id"), F.concat(X.doc_path(), F.when(F.col("doc_id") % 3 == 0, ".csv").otherwise("")).alias("path"), F.col("n_chars").alias("bytes"))
-    listed = listed.join(conv.select("conv_id").distinct(), "conv_id", "left_semi")
-    opens = listed.where("seq % 5 = 0").select("path")
-    tokens = n.where("doc_id % 11 = 0").select(F.concat(F.lit("DOC_"), F.col("doc_id").cast("string")).alias("token"))
+    """Listings are what a session viewed; policies keep all, the first three a session, one extension, or names that a list of good documents mentions."""
     from pyspark.sql import Window
 
-    first = listed.withColumn("r", F.row_number().over(Window.partitionBy("conv_id").orderBy("seq"))).where("r <= 3").drop("r")
-    kept = listed.withColumn("policy", F.lit("all")).unionByName(first.withColumn("policy", F.lit("cap_3"))).unionByName(listed.where(F.col("path").endswith(".csv")).withColumn("policy", F.lit("csv"))).unionByName(S.mentioned(listed, tokens).withColumn("policy", F.lit("mentioned")))
+    name = F.concat(X.doc_path(), F.when(F.col("lang") == "en", ".csv").otherwise(""))
+    docs = X.table(spark, sf, "documents").select("doc_id", name.alias("path"), F.col("n_chars").alias("bytes"))
+    e = X.table(spark, sf, "events").select("event_type", F.col("user_id").alias("session_id"), F.col("event_id").alias("seq"), F.get_json_object("props", "$.k").cast("long").alias("doc_id")).join(docs, "doc_id")
+    listed = e.where("event_type = 'view'").select("session_id", "seq", "path", "bytes")
+    opens = e.where("event_type in ('click', 'signup')").select("path")
+    tokens = X.table(spark, sf, "labels").where("quality = 1").select(F.concat(F.lit("DOC_"), F.col("doc_id").cast("string")).alias("token"))
+    first = listed.withColumn("r", F.row_number().over(Window.partitionBy("session_id").orderBy("seq"))).where("r <= 3").drop("r")
+    policies = {"all": listed, "cap_3": first, "csv": listed.where(F.col("path").endswith(".csv")), "mentioned": S.mentioned(listed, tokens)}
+    kept = None
+    for policy, rows in policies.items():
+        one = rows.withColumn("policy", F.lit(policy))
+        kept = one if kept is None else kept.unionByName(one)
     out = S.evaluate_policy(kept, opens, ["policy"])
     return out.select("policy", "kept_files", "kept_bytes", "agent_opens", "hits", *[F.round(c, 4).alias(c) for c in ("recall", "precision", "byte_overfetch_vs_hits")])
 
@@ -186,26 +215,28 @@ def staged_before_open(spark, sf):
 
 def stage_report(spark, sf):
     s = S.stage_summary(X.stage_events(spark, sf), ["tier"])
-    return s.select("tier", "n_events", "n_staged", "n_hits", "n_errors", "n_skipped", "total_bytes_staged", "p50", "max_ms", F.round("mean_ms", 4).alias("mean_ms"))
+    return s.select("tier", "n_events", "n_staged", "n_hits", "n_errors", "n_skipped", "total_bytes_staged", F.col("p50").cast("double").alias("p50"), F.col("p95").cast("double").alias("p95"), "max_ms", F.round("mean_ms", 4).alias("mean_ms"))
 
 
 def hit_files_by_family(spark, sf):
     """Recall of the literal layer and of tier 1, and their difference, by language (semantic lift)."""
     t1 = layers(spark, sf).where("layer = 'tier_1'").select("path").distinct()
-    hot = rule_files(spark, sf).where("name = 'first_inspect'").select("path").distinct()
+    hot = hot_files(spark, sf).select("path").distinct()
     truth = X.truth(spark, sf).join(X.files(spark, sf).select("path", "lang"), "path").join(t1.withColumn("a", F.lit(1)), "path", "left").join(hot.withColumn("b", F.lit(1)), "path", "left")
     g = truth.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.count("a").alias("tier_1"), F.count("b").alias("hot"))
     return g.withColumn("lift", F.round((F.col("tier_1") - F.col("hot")) / F.col("n"), 4))
 
 
-QUERIES = {f.__name__: f for f in (tier1_byte_score, score_grid, rule_first_fire, rule_first_fire_transcript, rule_prefix_fire, activation_summary, tier_cumulative_files, live_tiers, naive_overfetch, subset_metrics, falsepos_report, loo_rules, rule_origin_counts, auto_rules, rule_fingerprint, enrich_policies, staged_before_open, stage_report, hit_files_by_family)}
+QUERIES = {f.__name__: f for f in (tier1_byte_score, score_grid, rule_first_fire, rule_first_fire_transcript, rule_prefix_fire, activation_summary, tier_cumulative_files, live_tiers, naive_overfetch, subset_metrics, falsepos_report, loo_rules, loo_robustness, loo_top, rule_origin_counts, auto_rules, rule_fingerprint, enrich_policies, staged_before_open, stage_report, hit_files_by_family)}
 
 _SCORES = """count(*) as n_detected, max(tot.n) as n_ground_truth, count(t.path) as n_overlap, cast(sum(p.bytes) as bigint) as bytes_detected, cast(max(tot.b) as bigint) as bytes_ground_truth, cast(coalesce(sum(case when t.path is not null then p.bytes end), 0) as bigint) as bytes_overlap,
  round(coalesce(sum(case when t.path is not null then p.bytes end), 0) / max(tot.b), 4) as byte_recall, round(sum(p.bytes) / max(tot.b), 4) as byte_overfetch, round(count(t.path) / max(tot.n), 4) as file_recall, round(count(t.path) / count(*), 4) as file_precision"""
 
+_LOO_SQL = "h as (select distinct h.name, h.path from fx_hit h join fx_truth t on t.path = h.path), n as (select count(*) as n from fx_truth), f as (select count(distinct path) as full_hits from h), k as (select r.name as dropped, (select count(distinct path) from h where h.name <> r.name) as hits from fx_rules r)"
+
 SQL = {
     "tier1_byte_score": f"with tot as (select count(*) as n, sum(bytes) as b from fx_truth) select p.session_id, {_SCORES} from (select * from fx_tier where tier = 1) p left join fx_truth t on t.path = p.path cross join tot group by p.session_id",
-    "score_grid": f"""with p as (select distinct concat('tier_', cast(l as varchar)) as layer, path, bytes from fx_tier, (values (1), (2), (3)) as v(l) where l >= tier union all select 'naive', path, bytes from fx_files),
+    "score_grid": f"""with p as (select distinct concat('tier_', cast(l as varchar)) as layer, path, bytes from fx_tier, (values (1), (2), (3)) as v(l) where l >= tier union all select distinct 'hot', f.path, f.bytes from fx_hot h join fx_files f on f.path = h.path union all select 'naive', path, bytes from fx_files),
       truth1 as (select t.path, t.bytes from fx_truth t join fx_files f on f.path = t.path where f.source = 'src1')
       select 'full' as flavour, layer, {_SCORES} from p left join fx_truth t on t.path = p.path cross join (select count(*) as n, sum(bytes) as b from fx_truth) tot group by layer
       union all select 'src1', layer, {_SCORES} from p left join truth1 t on t.path = p.path cross join (select count(*) as n, sum(bytes) as b from truth1) tot group by layer""",
@@ -217,23 +248,29 @@ SQL = {
     "tier_cumulative_files": "with n as (select session_id, count(*) filter (tier <= 1) as n_tier_1, count(*) filter (tier <= 2) as n_tier_2, count(*) filter (tier <= 3) as n_tier_3 from fx_tier group by session_id), t as (select f.session_id, cast(min(f.t_first) filter (t.tier = 1) as double) as t_tier_1, cast(min(f.t_first) filter (t.tier = 3) as double) as t_tier_3 from fx_first f join fx_rule_tier t on t.session_id = f.session_id and t.name = f.name group by f.session_id) select n.*, t_tier_1, t_tier_3 from n join t using (session_id)",
     "live_tiers": "with s as (select bucket, count(*) as n from fx_prior group by bucket), g as (select f.session_id, f.name, sum(s.n) as n from fx_first f join s on s.bucket = f.target_key group by f.session_id, f.name), k as (select *, case when n <= 10 then 1 when n <= 200 then 2 else 3 end as tier from g) select name, tier, count(*) as sessions, cast(max(n) as bigint) as files, tier = 1 as dispatch from k group by name, tier",
     "naive_overfetch": f"select 'naive' as layer, {_SCORES} from fx_files p left join fx_truth t on t.path = p.path cross join (select count(*) as n, sum(bytes) as b from fx_truth) tot",
-    "subset_metrics": "with p as (select distinct name, path from fx_hit), n as (select distinct name from p), u as (select coalesce(p.name, t.name) as name, p.path is not null as in_p, t.path is not null as in_t from p full join (select n.name, t.path from n cross join fx_truth t) t on t.name = p.name and t.path = p.path) select name, count(*) filter (in_p and in_t) as hits, count(*) filter (in_p) as predicted_size, count(*) filter (in_t) as gt_size, round(count(*) filter (in_p and in_t) / count(*) filter (in_p), 4) as precision, round(count(*) filter (in_p and in_t) / count(*) filter (in_t), 4) as recall, round(count(*) filter (in_p and in_t) / count(*), 4) as jaccard from u group by name",
+    "subset_metrics": """with p as (select distinct name, path from fx_hit), t as (select distinct 'needed' as truth, path from fx_truth union select distinct 'opened', path from fx_opens), z as (select truth, count(*) as n from t group by truth),
+      m as (select z.truth, p.name, count(t.path) as hits, count(*) as predicted_size, max(z.n) as gt_size from p cross join z left join t on t.truth = z.truth and t.path = p.path group by z.truth, p.name)
+      select *, round(hits / predicted_size, 4) as precision, round(hits / gt_size, 4) as recall, round(hits / (predicted_size + gt_size - hits), 4) as jaccard from m""",
     "falsepos_report": f"""with o as (select distinct session_id, path, bytes from ({_OPENS_SQL})),
       p as (select distinct e.user_id as session_id, f.path, f.bytes from events e join fx_files f on f.doc_id = cast(json_extract_string(e.props, '$.k') as bigint) where e.event_type = 'view'),
       u as (select coalesce(p.session_id, o.session_id) as session_id, coalesce(p.bytes, 0) as pb, coalesce(o.bytes, 0) as ob, p.path is not null as i, o.path is not null as j from p full join o on o.session_id = p.session_id and o.path = p.path),
       s as (select session_id, count(*) filter (i) as prefetched, count(*) filter (j) as opened, count(*) filter (i and j) as hits, count(*) filter (i and not j) as wasted, count(*) filter (j and not i) as missed, cast(sum(pb) as bigint) as prefetched_bytes, cast(sum(ob) as bigint) as opened_bytes, cast(coalesce(sum(pb) filter (i and j), 0) as bigint) as hit_bytes, cast(coalesce(sum(pb) filter (not j), 0) as bigint) as wasted_bytes, cast(coalesce(sum(ob) filter (not i), 0) as bigint) as missed_bytes from u group by session_id)
       select *, round(hits / nullif(prefetched, 0), 4) as precision_files, round(hits / nullif(opened, 0), 4) as recall_files, round(prefetched_bytes / nullif(opened_bytes, 0), 4) as byte_overfetch, round(hit_bytes / nullif(prefetched_bytes, 0), 4) as byte_precision, round(hit_bytes / nullif(opened_bytes, 0), 4) as byte_recall, round(hits / nullif(prefetched + opened - hits, 0), 4) as jaccard_files, round(hit_bytes / nullif(prefetched_bytes + opened_bytes - hit_bytes, 0), 4) as jaccard_bytes from s""",
-    "loo_rules": "with h as (select distinct h.name, h.path from fx_hit h join fx_truth t on t.path = h.path), n as (select count(*) as n from fx_truth), f as (select count(distinct path) as full_hits from h), k as (select r.name as dropped, (select count(distinct path) from h where h.name <> r.name) as hits from fx_rules r) select dropped, hits, round(hits / n, 4) as recall, round((full_hits - hits) / n, 4) as delta, (full_hits - hits) / n >= 0.10 as load_bearing from k, n, f",
+    "loo_rules": f"with {_LOO_SQL} select dropped, hits, round(hits / n, 4) as recall, round((full_hits - hits) / n, 4) as delta, (full_hits - hits) / n >= 0.10 as load_bearing from k, n, f",
+    "loo_robustness": f"with {_LOO_SQL} select round(min(hits / n), 4) as min_recall, count(*) filter ((full_hits - hits) / n >= 0.10) as n_load_bearing, min(hits / n) >= 0.80 as robust from k, n, f",
+    "loo_top": f"with {_LOO_SQL} select dropped, round(hits / n, 4) as recall, round((full_hits - hits) / n, 4) as delta from k, n, f order by (full_hits - hits) / n desc, dropped limit 5",
     "rule_origin_counts": "with w as (select distinct source as workload from documents), r as (select 'all' as variant, origin from fx_rules union all select 'general', origin from fx_rules where origin = 'general') select workload, variant, origin, count(*) as n from w, r group by workload, variant, origin",
     "auto_rules": f"with {_AUTO_SQL} select * from a",
-    "rule_fingerprint": f"with {_AUTO_SQL} select workload, sha256(string_agg(concat_ws(chr(9), name, targets, origin), chr(10) order by ord)) as fingerprint, count(*) as n_rules from a group by workload",
-    "enrich_policies": """with l as (select doc_id as seq, doc_id % 97 as conv_id, concat(path, case when doc_id % 3 = 0 then '.csv' else '' end) as path, bytes from fx_files where doc_id % 97 in (select conv_id from conversations where turn < 3)),
-      o as (select path from l where seq % 5 = 0), k as (
-      select 'all' as policy, * from l union all (select 'cap_3', * from l qualify row_number() over (partition by conv_id order by seq) <= 3) union all select 'csv', * from l where path like '%.csv'
-      union all select 'mentioned', l.* from l where exists (select 1 from documents d where d.doc_id % 11 = 0 and contains(lower(regexp_extract(l.path, '[^/]*$')), concat('doc_', cast(d.doc_id as varchar)))))
+    "rule_fingerprint": f"with {_AUTO_SQL} select workload, sha256(string_agg(concat_ws(chr(9), name, pattern, targets, origin), chr(10) order by ord)) as fingerprint, count(*) as n_rules from a group by workload",
+    "enrich_policies": """with d as (select doc_id, concat(path, case when lang = 'en' then '.csv' else '' end) as path, bytes from fx_files),
+      e as (select e.event_type, e.user_id as session_id, e.event_id as seq, d.path, d.bytes from events e join d on d.doc_id = cast(json_extract_string(e.props, '$.k') as bigint)),
+      l as (select session_id, seq, path, bytes from e where event_type = 'view'), o as (select distinct path from e where event_type in ('click', 'signup')),
+      m as (select distinct p.path from (select distinct path from l) p join labels x on x.quality = 1 and contains(lower(regexp_extract(p.path, '[^/]*$')), concat('doc_', cast(x.doc_id as varchar)))),
+      a as (select 'all' as policy, * from l union all (select 'cap_3', * from l qualify row_number() over (partition by session_id order by seq) <= 3) union all select 'csv', * from l where path like '%.csv' union all select 'mentioned', l.* from l where path in (select path from m)),
+      k as (select policy, path, max(bytes) as bytes from a group by policy, path)
       select policy, count(*) as kept_files, cast(sum(bytes) as bigint) as kept_bytes, (select count(*) from o) as agent_opens, count(o.path) as hits, round(count(o.path) / (select count(*) from o), 4) as recall, round(count(o.path) / count(*), 4) as precision, round(sum(bytes) / sum(case when o.path is not null then bytes end), 4) as byte_overfetch_vs_hits from k left join o on o.path = k.path group by policy""",
     "staged_before_open": f"""with o as ({_OPENS_SQL}), v as (select f.path, min(e.ts) as done from events e join fx_files f on f.doc_id = cast(json_extract_string(e.props, '$.k') as bigint) where e.event_type = 'view' group by f.path)
       select source, count(*) as opens, count(*) filter (done <= ts) as hits, cast(sum(bytes) as bigint) as bytes, cast(coalesce(sum(bytes) filter (done <= ts), 0) as bigint) as hot_bytes, cast(sum(case when done <= ts then bytes else bytes * 20 end) as bigint) as read_us from o left join v on v.path = o.path group by source""",
-    "stage_report": "select tier, count(*) as n_events, count(*) filter (outcome = 'staged') as n_staged, count(*) filter (outcome = 'hit') as n_hits, count(*) filter (outcome = 'error') as n_errors, cast(0 as bigint) as n_skipped, cast(coalesce(sum(size_bytes) filter (outcome = 'staged'), 0) as bigint) as total_bytes_staged, cast(quantile_cont(fetch_ms, 0.5) filter (outcome = 'staged') as double) as p50, max(fetch_ms) filter (outcome = 'staged') as max_ms, round(avg(fetch_ms) filter (outcome = 'staged'), 4) as mean_ms from fx_stage_events group by tier",
-    "hit_files_by_family": "with t as (select f.lang, f.path from fx_truth t join fx_files f on f.path = t.path) select lang, count(*) as n, count(*) filter (path in (select path from fx_tier where tier = 1)) as tier_1, count(*) filter (path in (select path from fx_hit where name = 'first_inspect')) as hot, round((count(*) filter (path in (select path from fx_tier where tier = 1)) - count(*) filter (path in (select path from fx_hit where name = 'first_inspect'))) / count(*), 4) as lift from t group by lang",
+    "stage_report": "select tier, count(*) as n_events, count(*) filter (outcome = 'staged') as n_staged, count(*) filter (outcome = 'hit') as n_hits, count(*) filter (outcome = 'error') as n_errors, cast(0 as bigint) as n_skipped, cast(coalesce(sum(size_bytes) filter (outcome = 'staged'), 0) as bigint) as total_bytes_staged, cast(quantile_cont(fetch_ms, 0.5) filter (outcome = 'staged') as double) as p50, (select cast(s2.fetch_ms as double) from (select tier, fetch_ms, row_number() over (partition by tier order by fetch_ms) - 1 as i, count(*) over (partition by tier) as n from fx_stage_events where outcome = 'staged') s2 where s2.tier = e.tier and s2.i = cast(round_even(0.95 * (s2.n - 1), 0) as bigint)) as p95, max(fetch_ms) filter (outcome = 'staged') as max_ms, round(avg(fetch_ms) filter (outcome = 'staged'), 4) as mean_ms from fx_stage_events e group by tier",
+    "hit_files_by_family": "with t as (select f.lang, f.path from fx_truth t join fx_files f on f.path = t.path) select lang, count(*) as n, count(*) filter (path in (select path from fx_tier where tier = 1)) as tier_1, count(*) filter (path in (select path from fx_hot)) as hot, round((count(*) filter (path in (select path from fx_tier where tier = 1)) - count(*) filter (path in (select path from fx_hot))) / count(*), 4) as lift from t group by lang",
 }

@@ -27,6 +27,16 @@ def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("session_id"), F.col("turn").alias("block_seq"), "turn", kind.alias("type"), (F.col("turn") * 1000.0).alias("t_first"), ((F.col("turn") + 1) * 1000.0).alias("t_stop"), "text")
 
 
+def talk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations whose turns name paths: as they are, within longer names, and across the borders of turns."""
+    c, turn = F.col("conv_id"), F.col("turn")
+    text = F.concat(
+        F.lit("txt "), F.col("text"), F.lit(" open /data/src"), (turn % 20).cast("string"), F.lit("/en/doc_"), (c * 7 % 500).cast("string"),
+        F.lit(".txt, then data/x/file.csv. and xdata/no.csv or mydoc_"), (c % 300).cast("string"), F.lit(".txt and doc_"), (c % 90).cast("string"), F.lit("."))
+    kind = F.when(turn % 4 == 1, "thinking").otherwise("text")
+    return table(spark, sf_dir, "conversations").select(c.alias("session_id"), turn.alias("block_seq"), kind.alias("type"), text.alias("text"))
+
+
 def doc_path(id_: str = "doc_id"):
     return F.concat(F.lit("/data/"), "source", F.lit("/"), "lang", F.lit("/doc_"), F.col(id_).cast("string"), F.lit(".txt"))
 
@@ -76,6 +86,11 @@ _SQL = {
     "fx_truth": "select f.path, f.bytes from fx_files f join labels l on f.doc_id = l.doc_id where l.quality = 1",
     "fx_rules": "select * from (values " + ", ".join(str(r) for r in RULES) + ") as r(ord, name, pattern, target_key, origin)",
     "fx_turns": "select user_id as session_id, row_number() over (partition by user_id order by ts) - 1 as turn, case event_type when 'view' then 'list_dir' when 'click' then 'open_file' when 'signup' then 'read_file' when 'error' then 'write_file' else 'run_shell_command' end as tool_name, value as duration_s, ts, event_id, props from events",
+    "fx_talk": "select conv_id as session_id, turn as block_seq, case when turn % 4 = 1 then 'thinking' else 'text' end as type, concat('txt ', text, ' open /data/src', cast(turn % 20 as varchar), '/en/doc_', cast(conv_id * 7 % 500 as varchar), '.txt, then data/x/file.csv. and xdata/no.csv or mydoc_', cast(conv_id % 300 as varchar), '.txt and doc_', cast(conv_id % 90 as varchar), '.') as text from conversations",
+    "fx_said": "select session_id, string_agg(text, '' order by block_seq) as text from fx_talk group by session_id",
+    "fx_needles": "select path, unnest(list_distinct([path, regexp_extract(path, '[^/]*$'), regexp_replace(regexp_extract(path, '[^/]*$'), '\\.txt$', '')])) as needle from fx_files",
+    "fx_hot": "select s.session_id, n.path, min(instr(s.text, n.needle)) - 1 as start from fx_said s join fx_needles n on contains(s.text, n.needle) group by s.session_id, n.path",
+    "fx_opens": "select e.user_id as session_id, f.path, f.bytes, e.ts, f.source from events e join fx_files f on f.doc_id = cast(json_extract_string(e.props, '$.k') as bigint) where e.event_type in ('click', 'signup')",
     "fx_stage_events": "select l_partkey as cold_path, cast(floor(l_extendedprice) as bigint) as size_bytes, l_quantity as fetch_ms, l_linenumber as tier, case l_returnflag when 'A' then 'staged' when 'N' then 'hit' else 'error' end as outcome, l_shipdate as t_completed from lineitem",
     "fx_cells": "select o.o_orderkey as cell, o.o_orderpriority as task, o.o_orderstatus as model, sum(cast(l.l_extendedprice as decimal(12,2))) as cold_amt, sum(cast(l.l_extendedprice as decimal(12,2)) * (1 - cast(l.l_discount as decimal(4,2)))) as staged_amt, count(*) as n_rows from orders o join lineitem l on o.o_orderkey = l.l_orderkey group by o.o_orderkey, o.o_orderpriority, o.o_orderstatus",
     # what the rules of fx_rules fire at, block by block and first in the session

@@ -69,20 +69,12 @@ def file_buckets(spark, sf):
     return f.groupBy(P.role_bucket(F.col("name")).alias("role"), P.group_bucket(F.concat_ws("/", F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("a-b."), F.col("lang"))), F.col("name"))).alias("grp"), F.array_join(P.pattern_buckets(F.col("path"), {"source": "/(src1[0-9]*)/", "lang": "/(en|de)/"}), ",").alias("tags")).agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes"))
 
 
-_TEXT = "concat(text, ' open /data/src', cast(turn % 20 as varchar), '/en/doc_', cast(conv_id * 7 % 500 as varchar), '.txt, then data/x/file.csv. and xdata/no.csv or doc_', cast(conv_id % 300 as varchar), '.txt')"
-
-
-def _talk(spark, sf):
-    text = F.concat(F.col("text"), F.lit(" open /data/src"), (F.col("turn") % 20).cast("string"), F.lit("/en/doc_"), (F.col("conv_id") * 7 % 500).cast("string"), F.lit(".txt, then data/x/file.csv. and xdata/no.csv or doc_"), (F.col("conv_id") % 300).cast("string"), F.lit(".txt"))
-    return X.table(spark, sf, "conversations").select(F.col("conv_id").alias("session_id"), F.col("turn").alias("block_seq"), F.lit("text").alias("type"), text.alias("text"))
-
-
 def path_tokens(spark, sf):
-    return _talk(spark, sf).select("session_id", "block_seq", F.array_join(P.path_tokens(F.col("text")), " ").alias("paths"))
+    return X.talk(spark, sf).select("session_id", "block_seq", F.array_join(P.path_tokens(F.col("text")), " ").alias("paths"))
 
 
 def hot_literal_scan(spark, sf):
-    return S.literal_scan(_talk(spark, sf), X.prior(spark, sf).where("bucket = 'all_files'")).select("session_id", "path", F.col("start").cast("long").alias("start"))
+    return S.literal_scan(X.talk(spark, sf), X.prior(spark, sf).where("bucket = 'all_files'")).select("session_id", "path", F.col("start").cast("long").alias("start"))
 
 
 def listing_growth(spark, sf):
@@ -96,7 +88,8 @@ def listing_growth(spark, sf):
 def directory_policy(spark, sf):
     f = X.files(spark, sf).withColumn("dir", F.concat(F.lit("/data/"), "source", F.lit("/"), "lang"))
     kept = N.directory_policy(f, "dir", "path", 20, 3)
-    zips = f.where("doc_id % 29 = 0").select(F.concat("dir", F.lit(".zip")).alias("path")).distinct()
+    bad = X.table(spark, sf, "labels").where("quality = 0 AND toxic = 1").select("doc_id")
+    zips = f.join(bad, "doc_id", "left_semi").select(F.concat("dir", F.lit(".zip")).alias("path")).distinct()
     open_ = S.without_zip_sibling(f.select(F.col("dir").alias("path")).distinct(), zips).select(F.col("path").alias("dir"))
     return kept.groupBy("dir").agg(F.count(F.lit(1)).alias("kept"), F.max("n_in_dir").alias("n"), F.sum("bytes").alias("bytes")).join(open_, "dir", "left_semi")
 
@@ -123,7 +116,7 @@ def cap_per_rule(spark, sf):
 def accessed_top_up(spark, sf):
     e = X.table(spark, sf, "events").where("event_type = 'error'").select("user_id", F.get_json_object("props", "$.k").cast("long").alias("doc_id"), "ts").join(X.files(spark, sf).select("doc_id", "path", "source"), "doc_id")
     truth = X.truth(spark, sf).join(X.files(spark, sf).select("path", F.col("source").alias("key")), "path").select("key", "path")
-    seen = e.where("user_id % 9 = 0").select(F.col("source").alias("key"), "path", "ts")
+    seen = e.select(F.col("source").alias("key"), "path", "ts")
     out = N.top_up(seen, truth, "key", "ts", 12, 5)
     return out.select("key", "path", "origin", F.col("rank").cast("long").alias("rank"))
 
@@ -157,21 +150,16 @@ SQL = {
       select [null, 'sample_csv', 'train_csv', 'test_csv', 'extra_csv', 'train_zip', 'test_zip', 'data_zip', 'extra_data', 'media', null][doc_id % 11 + 1] as role, case when doc_id % 2 = 0 then concat('files_a_b_', lang) else 'files_root' end as grp,
       concat_ws(',', case when source like 'src1%' then concat('source_', source) end, case when lang in ('en', 'de') then concat('lang_', lang) end) as tags, count(*) as n, cast(sum(bytes) as bigint) as bytes from n group by 1, 2, 3""",
     "path_tokens": "select conv_id as session_id, turn as block_seq, concat('data/src', cast(turn % 20 as varchar), '/en/doc_', cast(conv_id * 7 % 500 as varchar), '.txt data/x/file.csv') as paths from conversations",
-    "hot_literal_scan": f"""with t as (select conv_id as session_id, turn, {_TEXT} as text from conversations), s as (select session_id, string_agg(text, '' order by turn) as text from t group by session_id),
-      n as (select path, unnest([path, regexp_extract(path, '[^/]*$'), regexp_replace(regexp_extract(path, '[^/]*$'), '\\.txt$', '')]) as needle from fx_files),
-      w as (select session_id, turn, text, unnest(list_distinct(regexp_extract_all(text, '[A-Za-z0-9_/][A-Za-z0-9_./\\-]*[A-Za-z0-9_]|[A-Za-z0-9_]'))) as token from t),
-      b as (select session_id, turn, coalesce(sum(length(text)) over (partition by session_id order by turn rows between unbounded preceding and 1 preceding), 0) as base from t),
-      h as (select w.session_id, n.path, b.base + instr(w.text, w.token) + instr(w.token, n.needle) - 2 as start from w join n on n.needle in (w.token, regexp_extract(w.token, '[^/]*$'), regexp_replace(regexp_extract(w.token, '[^/]*$'), '\\.[^.]*$', '')) join b on b.session_id = w.session_id and b.turn = w.turn)
-      select session_id, path, cast(min(start) as bigint) as start from h group by session_id, path""",
+    "hot_literal_scan": "select session_id, path, cast(start as bigint) as start from fx_hot",
     "listing_growth": "with l as (select concat('/data/', source, '/', lang, '/doc_', cast(doc_id * 2 as varchar), '.txt') as path, n_chars as bytes from documents where doc_id % 5 <> 0) select path, max(bytes) as bytes from l where path not in (select path from fx_files) group by path",
-    "directory_policy": "with f as (select *, concat('/data/', source, '/', lang) as dir, count(*) over (partition by source, lang) as n, row_number() over (partition by source, lang order by path) as r from fx_files), z as (select distinct concat('/data/', source, '/', lang) as dir from fx_files where doc_id % 29 = 0) select dir, count(*) as kept, max(n) as n, cast(sum(bytes) as bigint) as bytes from f where (n <= 20 or r <= 3) and dir not in (select dir from z) group by dir",
+    "directory_policy": "with f as (select *, concat('/data/', source, '/', lang) as dir, count(*) over (partition by source, lang) as n, row_number() over (partition by source, lang order by path) as r from fx_files), z as (select distinct concat('/data/', source, '/', lang) as dir from fx_files where doc_id in (select doc_id from labels where quality = 0 and toxic = 1)) select dir, count(*) as kept, max(n) as n, cast(sum(bytes) as bigint) as bytes from f where (n <= 20 or r <= 3) and dir not in (select dir from z) group by dir",
     "retention_plan": "with f as (select e.user_id, f.path, f.bytes, max(e.ts) as atime from events e join fx_files f on f.doc_id = cast(json_extract_string(e.props, '$.k') as bigint) where f.path not like '%0.txt' group by e.user_id, f.path, f.bytes), w as (select *, coalesce(sum(bytes) over (partition by user_id order by atime, path rows between unbounded preceding and 1 preceding), 0) as b, sum(bytes) over (partition by user_id) as a from f) select user_id, count(*) filter (b < 20000) as n_evict, cast(coalesce(sum(bytes) filter (b < 20000), 0) as bigint) as freed, bool_and(a >= 20000) as possible from w group by user_id",
     "placement_plan": """with recursive f as (select *, row_number() over (partition by source, lang order by doc_id) as i from fx_files),
       p as (select source, lang, i, bytes <= 8000 as prim, case when bytes <= 8000 then bytes else 0 end as used from f where i = 1
         union all select f.source, f.lang, f.i, p.used + f.bytes <= 8000, case when p.used + f.bytes <= 8000 then p.used + f.bytes else p.used end from p join f on f.source = p.source and f.lang = p.lang and f.i = p.i + 1)
       select source, lang, count(*) filter (prim) as n_primary, count(*) as n, cast(max(used) as bigint) as used from p group by source, lang""",
 
-    "accessed_top_up": """with s as (select f.source as key, f.path, min(e.ts) as ts from events e join fx_files f on f.doc_id = cast(json_extract_string(e.props, '$.k') as bigint) where e.event_type = 'error' and e.user_id % 9 = 0 group by 1, 2), n as (select key, count(*) as n from s group by key),
+    "accessed_top_up": """with s as (select f.source as key, f.path, min(e.ts) as ts from events e join fx_files f on f.doc_id = cast(json_extract_string(e.props, '$.k') as bigint) where e.event_type = 'error' group by 1, 2), n as (select key, count(*) as n from s group by key),
       m as (select f.source as key, t.path, row_number() over (partition by f.source order by t.path) as rank from fx_truth t join fx_files f on f.path = t.path left join n on n.key = f.source where coalesce(n.n, 0) < 12 and not exists (select 1 from s where s.key = f.source and s.path = t.path))
       select key, path, 'seen' as origin, row_number() over (partition by key order by ts, path) as rank from s union all select key, path, 'truth', rank from m where rank <= 5""",
     "token_bag": "with t as (select distinct session_id, unnest(regexp_extract_all(text, '[A-Za-z0-9_]{4,}')) as token from fx_blocks where type = 'thinking') select lower(token) as token, count(distinct session_id) as sessions from t group by lower(token)",

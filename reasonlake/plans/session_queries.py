@@ -74,10 +74,12 @@ def thinking_slack(spark, sf):
 
 
 def _calls(spark, sf):
+    """Every turn as a tool use; writes have no result. Long calls were killed, reads failed."""
     t = _money(spark, sf)
-    out = F.concat(F.lit("run_shell_command (rc="), F.when(F.col("event_id") % 5 == 0, "-9").when(F.col("event_id") % 7 == 0, "1").otherwise("0"), F.lit(", "), F.col("duration_s").cast("string"), F.lit("s) done"))
-    uses = t.where("event_id % 4 < 3").select("session_id", (F.col("turn") / 3).cast("long").alias("turn"), F.col("event_id").alias("id"), "duration_s")
-    results = t.where("event_id % 4 < 2").select(F.col("event_id").alias("tool_use_id"), "turn", out.alias("content"))
+    rc = F.when(F.col("duration_s") >= 40, "-9").when(F.col("tool_name") == "read_file", "1").otherwise("0")
+    out = F.concat(F.lit("run_shell_command (rc="), rc, F.lit(", "), F.col("duration_s").cast("string"), F.lit("s) done"))
+    uses = t.select("session_id", (F.col("turn") / 3).cast("long").alias("turn"), F.col("event_id").alias("id"), "duration_s")
+    results = t.where("tool_name <> 'write_file'").select(F.col("event_id").alias("tool_use_id"), "turn", out.alias("content"))
     p = S.pair_results(uses, results)
     return p.select("session_id", "turn", "id", S.exit_code(F.col("content")).alias("rc"), S.exit_seconds(F.col("content")).cast("decimal(18,2)").alias("seconds"), "duration_s", F.lit(1).cast("decimal(18,2)").alias("last_delta_s"))
 
@@ -157,8 +159,8 @@ _T = "select session_id, turn, tool_name, cast(duration_s as decimal(18,2)) as d
 _SPLIT = f"select session_id, count(*) as n_turns, sum(d) as total_s, coalesce(sum(d) filter (tool_name = 'run_shell_command'), 0) as shell_s from ({_T}) group by session_id"
 _FIRST = "select session_id, arg_min(tool_name, turn) as first_tool from fx_turns group by session_id"
 _RUNS = "select o_orderkey as run, o_custkey % 60 as task, o_orderpriority as model, case when o_orderkey % 2 = 0 then 'baseline' else 'pathful' end as mode, cast(o_totalprice as decimal(18,2)) as elapsed from orders"
-_CALLS = f"""select t.session_id, t.turn // 3 as turn, t.event_id as id, case when event_id % 4 < 2 then (case when event_id % 5 = 0 then -9 when event_id % 7 = 0 then 1 else 0 end) end as rc,
-  case when event_id % 4 < 2 then d end as seconds, d from ({_T}) t where event_id % 4 < 3"""
+_CALLS = f"""select t.session_id, t.turn // 3 as turn, t.event_id as id, case when tool_name <> 'write_file' then (case when d >= 40 then -9 when tool_name = 'read_file' then 1 else 0 end) end as rc,
+  case when tool_name <> 'write_file' then d end as seconds, d from ({_T}) t"""
 
 SQL = {
     "session_shell_split": f"select session_id, n_turns, cast(total_s as double) as total_s, cast(shell_s as double) as shell_s, cast(total_s - shell_s as double) as llm_s, cast(total_s - shell_s as double) as rest_s from ({_SPLIT})",

@@ -5,6 +5,11 @@ Directories are read by explicit globs: recursive listing leaves out names that
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+from functools import reduce
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -14,7 +19,17 @@ RECORDER = "type string, t_ms double, t_ms_in_turn double, block_idx int, block_
 DELTAS = "t_ms double, delta string, kind string, block_id string"
 TOOL_USE = "id string, name string, parsed_input struct<path:string,cmd:string>"
 TOOL_RESULT = "tool_use_id string, content string"
-SUMMARY = "task string, task_id string, mode string, model string, provider string, prompt_mode string, crash boolean, submitted boolean, session_elapsed_s double, elapsed_s double, n_turns int, n_predicted_files int, n_detected_files int, per_turn array<struct<turn:int,duration_s:double,tool_names:array<string>,fired_rules:array<string>,dispatched_prefetches:array<string>>>"
+READS = (
+    "mode string, workload string, bucket string, n_samples int, throttle_mbps double, ld_preload_set boolean, shim_in_ld_preload boolean, "
+    "aggregate struct<full_read_ms:struct<p50:double,p95:double,mean:double,min:double,max:double>,"
+    "throughput_mbps:struct<p50:double,p95:double,mean:double>,total_bytes:bigint>, "
+    "per_file array<struct<path:string,size_bytes:bigint,full_read_ms:double,throughput_mbps:double>>"
+)
+CELL = (
+    "cell string, task string, model string, rep int, cold_elapsed_s double, staged_elapsed_s double, cold_shell_elapsed_s double, "
+    "staged_shell_elapsed_s double, read_bytes bigint, rchar bigint, n_prefetched_staged int"
+)
+SUMMARY = "task string, task_id string, mode string, model string, provider string, prompt_mode string, turn int, seed int, planning_prompt boolean, thinking_budget int, via_azure boolean, prompt_variant string, crash boolean, submitted boolean, session_elapsed_s double, elapsed_s double, n_turns int, n_predicted_files int, n_detected_files int, per_turn array<struct<turn:int,duration_s:double,tool_names:array<string>,fired_rules:array<string>,dispatched_prefetches:array<string>>>"
 IO_REPORT = "file_name_view array<struct<file_name:string,posix_count_sum:bigint,posix_read_size_sum:bigint,posix_metadata_count_sum:bigint,posix_time_sum:double>>, func_name_view array<struct<func_name:string,posix_time_sum:double>>, job_time double"
 STAGING = "events array<struct<cold_path:string,hot_path:string,size_bytes:bigint,fetch_ms:double,tier:int,rule_id:string,t_detected_ms:double,t_completed_ms:double,outcome:string,error:string>>"
 TIER_CSV = "host string, tier string, tool string, op string, file_size string, block string, tasks int, rep int, mib_s double, ms_per_4mib double, run string"
@@ -64,11 +79,62 @@ def stream_shape(events: DataFrame) -> DataFrame:
     return events.withColumn("shape", shape).where("shape is not null").groupBy("session_id").agg(F.min_by("shape", "seq").alias("shape"))
 
 
+#: Parts of provider names that tell a log's shape.
+SHAPES = {"anthropic": "anthropic", "openrouter": "anthropic", "azure": "anthropic", "gemini": "gemini", "google": "gemini"}
+
+
+def parse_stream(events: DataFrame, provider: str | None = None) -> DataFrame:
+    """Blocks of logs of either shape: by the provider's name if that tells, else by the first event of each session that does. Sessions without such an event have none."""
+    kind = next((v for k, v in SHAPES.items() if provider and k in provider.lower()), None)
+    if kind:
+        events = events.withColumn("shape", F.lit(kind))
+    else:
+        events = events.join(stream_shape(events), "session_id")
+    names = ["session_id", "block_seq", "type", "t_first", "t_stop", "text", "chunks", "tool_name"]
+    a = assemble_blocks(events.where("shape = 'anthropic'")).select(*names)
+    return a.unionByName(gemini_blocks(events.where("shape = 'gemini'").withColumn("args", F.col("args") if "args" in events.columns else F.lit(None).cast("string"))).select(*names))
+
+
 def from_recorder(events: DataFrame) -> DataFrame:
     """Recorder rows in the first shape: the event's name is in ``type``."""
     return events.withColumnRenamed("type", "event")
 
 
+def content_text(content: Column) -> Column:
+    """The text of a tool result: as it is, or the texts of a list's parts, one a line."""
+    parts = F.from_json(content, "array<struct<type:string,text:string>>")
+    texts = F.transform(F.filter(parts, lambda p: p.type == "text"), lambda p: F.coalesce(p.text, F.lit("")))
+    return F.when(content.rlike(r"^\s*\[") & parts.isNotNull(), F.array_join(texts, "\n")).otherwise(content)
+
+
+def recorder_directory(spark: SparkSession, glob: str, turn_ms: float = 10_000.0, result_ms: float = 1_000.0) -> DataFrame:
+    """Blocks of a recorder's turn directories: thinking and text from stream.jsonl, tool results from tool_result.jsonl.
+
+    Times count from the start of their turn, and each turn directory of a run begins ``turn_ms`` after the one before it. A tool
+    result stands at ``result_ms`` * (turn + 1/2) of its turn and belongs to the next one. Opened blocks with text count, in order of
+    their index, results after them. Turns may lack either file.
+    """
+    rows = read_lines(spark, f"{glob}/{{stream,tool_result}}.jsonl", RECORDER + ", content string")
+    rows = rows.withColumns(run_and_turn(F.col("file"))).withColumn("result", F.col("file").endswith("/tool_result.jsonl"))
+    turns = rows.select("session_id", "turn").distinct()
+    base = turns.withColumn("base", (F.row_number().over(Window.partitionBy("session_id").orderBy("turn")) - 1) * turn_ms)
+    rows = rows.join(base, ["session_id", "turn"])
+    start, delta = F.col("type") == "content_block_start", F.col("type") == "content_block_delta"
+    kind = F.min_by("block_type", F.when(start, F.col("seq")))
+    said = delta & (F.col("delta_type") == F.concat("kind", F.lit("_delta")))
+    of = Window.partitionBy("session_id", "turn", "block_idx")
+    b = rows.where(~F.col("result")).withColumn("kind", F.max(F.when(start, F.col("block_type"))).over(of))
+    parts = F.transform(F.sort_array(F.collect_list(F.when(said, F.struct("seq", "chunk")))), lambda x: F.coalesce(x.chunk, F.lit("")))
+    first = F.max("base") + F.coalesce(F.min(F.when(start, F.col("t_ms"))), F.lit(0.0))
+    b = b.groupBy("session_id", "turn", "block_idx").agg(
+        kind.alias("type"), first.alias("t_first"), (F.max("base") + F.coalesce(F.max(F.when(delta, F.col("t_ms"))), first)).alias("t_stop"), F.array_join(parts, "").alias("text"))
+    b = b.where("type in ('thinking', 'text') and text <> ''").select("session_id", "turn", F.lit(0).alias("rank"), F.col("block_idx").cast("long").alias("at"), "type", "t_first", "t_stop", "text", F.col("turn").alias("stamp"))
+    at = F.col("base") + result_ms * (F.col("turn") + 0.5)
+    r = rows.where("result").select("session_id", "turn", F.lit(1).alias("rank"), F.col("seq").alias("at"), F.lit("tool_result").alias("type"), at.alias("t_first"), at.alias("t_stop"), F.coalesce(content_text(F.col("content")), F.lit("")).alias("text"), (F.col("turn") + 1).alias("stamp"))
+    seq = F.row_number().over(Window.partitionBy("session_id").orderBy("turn", "rank", "at")) - 1
+    return b.unionByName(r).withColumn("block_seq", seq).drop("turn", "rank", "at").withColumnRenamed("stamp", "turn")
+
+
 def rebase(events: DataFrame, time: str = "t_ms", least: int = 2) -> DataFrame:
     """Times from the start of each session; sessions with fewer rows are left out."""
     own = Window.partitionBy("session_id")
@@ -93,17 +159,23 @@ def message_blocks(messages: DataFrame, base_ms: float = 0.0, per_turn_ms: float
 
 
 def turn_directory(spark: SparkSession, glob: str, per_turn_ms: float = 1000.0, result_turn: str = "same") -> DataFrame:
-    """Blocks of turns/ directories: thinking, text and tool results of each turn, in this order. ``result_turn`` same or next."""
-    parts = None
-    for rank, (kind, name, field) in enumerate((("thinking", "thinking", "delta"), ("text", "text", "delta"), ("tool_result", "tool_result", "content"))):
-        rows = read_lines(spark, f"{glob}/{name}.jsonl", "delta string, content string")
-        rows = rows.withColumns(run_and_turn(F.col("file")))
-        joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seq", F.col(field).alias("c")))), lambda x: F.coalesce(x.c, F.lit(""))), "\n" if kind == "tool_result" else "")
-        got = rows.groupBy("session_id", "turn").agg(joined.alias("text")).select("session_id", "turn", F.lit(rank).alias("rank"), F.lit(kind).alias("type"), "text")
-        parts = got if parts is None else parts.unionByName(got)
-    shift = F.when((F.col("type") == "tool_result") & F.lit(result_turn == "next"), F.col("turn") + 1).otherwise(F.col("turn"))
-    seq = F.row_number().over(Window.partitionBy("session_id").orderBy("turn", "rank")) - 1
-    return parts.where("text <> ''").withColumns({"block_seq": seq, "t_first": F.col("turn") * per_turn_ms, "t_stop": (F.col("turn") + 1) * per_turn_ms}).withColumn("turn", shift).drop("rank")
+    """Blocks of turns/ directories: thinking, text and tool results of each turn, in this order. ``result_turn`` same or next.
+
+    A tool result begins half a turn later. Any of the three files may be missing in any turn.
+    """
+    rows = read_lines(spark, f"{glob}/{{thinking,text,tool_result}}.jsonl", "delta string, content string").withColumns(run_and_turn(F.col("file")))
+    kind = F.regexp_extract("file", r"([a-z_]+)\.jsonl$", 1)
+    result = F.col("type") == "tool_result"
+    rows = rows.withColumn("type", kind).withColumn("c", F.when(result, content_text(F.col("content"))).otherwise(F.col("delta")))
+    parts = F.transform(F.sort_array(F.collect_list(F.when(~result | (F.col("c") != ""), F.struct("seq", "c")))), lambda x: F.coalesce(x.c, F.lit("")))
+    got = rows.groupBy("session_id", "turn", "type").agg(parts.alias("c"))
+    got = got.select("session_id", "turn", "type", F.when(result, F.array_join("c", "\n")).otherwise(F.array_join("c", "")).alias("text"))
+    rank = F.when(F.col("type") == "thinking", 0).when(F.col("type") == "text", 1).otherwise(2)
+    shift = F.when(result & F.lit(result_turn == "next"), F.col("turn") + 1).otherwise(F.col("turn"))
+    seq = F.row_number().over(Window.partitionBy("session_id").orderBy("turn", rank)) - 1
+    start = F.col("turn") * per_turn_ms
+    timed = got.where("text <> ''").withColumns({"block_seq": seq, "t_first": F.when(result, start + per_turn_ms / 2).otherwise(start), "t_stop": start + per_turn_ms})
+    return timed.withColumn("turn", shift)
 
 
 def trajectory(deltas: DataFrame) -> DataFrame:
@@ -124,8 +196,12 @@ def io_reads(reports: DataFrame, outputs: bool = False, least_bytes: int = 1, le
 
 
 def io_totals(reports: DataFrame) -> DataFrame:
-    """Job time, number of files and POSIX seconds of each report."""
-    return reports.select("file", F.coalesce("job_time", F.lit(0.0)).alias("job_time"), F.size("file_name_view").alias("n_files"), F.aggregate("func_name_view", F.lit(0.0), lambda a, x: a + F.coalesce(x.posix_time_sum, F.lit(0.0))).alias("posix_s"))
+    """Job time, number of files, POSIX seconds of each report, and a map of seconds by function (the last of a name counts)."""
+    seconds = F.transform("func_name_view", lambda x: F.coalesce(x.posix_time_sum, F.lit(0.0)))
+    names = F.transform("func_name_view", lambda x: F.coalesce(x.func_name, F.lit("?")))
+    last = F.filter(F.arrays_zip(names.alias("k"), seconds.alias("v"), F.sequence(F.lit(1), F.size(names)).alias("i")), lambda e: ~F.array_contains(F.slice(names, e["i"] + 1, F.size(names)), e["k"]))
+    by = F.when(F.size("func_name_view") > 0, F.map_from_entries(F.transform(last, lambda e: F.struct(e["k"], e["v"])))).otherwise(F.create_map().cast("map<string,double>"))
+    return reports.select("file", F.coalesce("job_time", F.lit(0.0)).alias("job_time"), F.size("file_name_view").alias("n_files"), F.aggregate(seconds, F.lit(0.0), lambda a, x: a + x).alias("posix_s"), by.alias("by_function"))
 
 
 def find_report(reports: DataFrame, task: str, model: str, seed: str) -> DataFrame:
@@ -134,10 +210,68 @@ def find_report(reports: DataFrame, task: str, model: str, seed: str) -> DataFra
     return fit.orderBy("file").limit(1)
 
 
+def _below(spark: SparkSession, root: str, name: str, schema: str, levels: tuple[int, ...]) -> DataFrame:
+    """JSON files of a name at some levels below a root, with ``parts``, the path below the root. Levels may be empty; folders that start with an underscore or dot are left out."""
+    top = root.rstrip("/")
+    df = spark.read.schema(schema).option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", name).json(top)
+    file = F.col("_metadata.file_path")
+    parts = F.split(F.element_at(F.split(file, F.lit("/" + re.escape(top.rsplit("/", 1)[-1]) + "/"), -1), -1), "/")
+    return df.withColumn("file", file).withColumn("parts", parts).where(F.size("parts").isin(*[x + 1 for x in levels]))
+
+
 def campaign(spark: SparkSession, root: str) -> DataFrame:
-    """One row for each directory with a summary, one or two levels below the root; older field names fill in for newer ones."""
-    s = spark.read.schema(SUMMARY).option("multiLine", True).json([f"{root}/*/summary.json", f"{root}/*/*/summary.json"]).withColumn("file", F.col("_metadata.file_path"))
-    return s.withColumns({"task": F.coalesce("task", "task_id", F.lit("")), "model": F.coalesce("model", F.lit("")), "provider": F.coalesce("provider", F.lit("")), "session_elapsed_s": F.coalesce("session_elapsed_s", "elapsed_s"), "n_detected_files": F.coalesce("n_detected_files", "n_predicted_files"), "run": F.element_at(F.split("file", "/"), -2)}).where(~F.element_at(F.split("file", "/"), -3).startswith("_"))
+    """One row for each directory with a summary, one or two levels below the root; older field names fill in for newer ones, and missing fields have defaults.
+
+    Below a directory that has a summary of its own none counts. Turn is 1 and seed 0 where they are missing.
+    """
+    s = _below(spark, root, "summary.json", SUMMARY, (1, 2))
+    tops = s.where(F.size("parts") == 2).select(F.col("parts")[0].alias("top")).distinct()
+    s = s.join(tops, (F.size("parts") == 3) & (F.col("parts")[0] == F.col("top")), "left_anti")
+    text = {c: F.coalesce(c, F.lit("")) for c in ("model", "provider")}
+    flags = {c: F.coalesce(c, F.lit(False)) for c in ("planning_prompt", "via_azure")}
+    numbers = {"turn": F.coalesce(F.nullif("turn", F.lit(0)), F.lit(1)), "seed": F.coalesce("seed", F.lit(0)), "thinking_budget": F.coalesce("thinking_budget", F.lit(0))}
+    rest = {
+        "task": F.coalesce("task", "task_id", F.lit("")), "session_elapsed_s": F.coalesce("session_elapsed_s", "elapsed_s"),
+        "n_detected_files": F.coalesce("n_detected_files", "n_predicted_files"), "prompt_mode": F.coalesce(F.nullif("prompt_mode", F.lit("")), F.nullif("prompt_variant", F.lit(""))),
+        "run": F.element_at("parts", -2)}
+    return s.withColumns(text | flags | numbers | rest).drop("parts")
+
+
+def replay_cells(spark: SparkSession, root: str) -> DataFrame:
+    """Cells of the results.json lists of all campaigns one level below a root that have both sides; campaigns that start with an underscore are left out."""
+    c = _below(spark, root, "results.json", CELL, (1,)).withColumn("campaign", F.col("parts")[0]).drop("parts")
+    return c.where(~F.col("campaign").startswith("_") & F.col("cold_elapsed_s").isNotNull() & F.col("staged_elapsed_s").isNotNull())
+
+
+def measurements(spark: SparkSession, glob: str) -> tuple[DataFrame, DataFrame]:
+    """Read measurements: one row a file with its aggregate's fields, and one row for each measured file."""
+    m = spark.read.schema(READS).option("multiLine", True).json(glob).withColumn("file", F.col("_metadata.file_path"))
+    flat = [F.col(f"aggregate.{a}.{b}").alias(f"{a}_{b}") for a, bs in (("full_read_ms", ("p50", "p95", "mean", "min", "max")), ("throughput_mbps", ("p50", "p95", "mean"))) for b in bs]
+    whole = m.select("file", "mode", "workload", "bucket", "n_samples", "throttle_mbps", *flat, F.col("aggregate.total_bytes").alias("total_bytes"))
+    return whole, m.select("file", "mode", "workload", F.inline("per_file"))
+
+
+def filter_campaign(
+    runs: DataFrame, *, task: str | None = None, exclude_tasks: tuple[str, ...] = (), model: str | None = None, family: str | None = None,
+    planning_prompt: bool | None = None, turn: int | None = None, ill_defined: tuple[str, ...] | None = None, with_thinking: bool | None = None, has_metrics: bool | None = None,
+) -> DataFrame:
+    """Runs that meet all conditions that are given: the task, none of some tasks, a part of the model's name, the provider's family, prompt, turn, tasks not among the ill-defined ones, and whether they have thinking and metrics.
+
+    ``with_thinking`` reads ``has_thinking`` and ``has_metrics`` the column of that name.
+    """
+    from ..functions.labels import provider_family
+
+    tests = [~F.col("task").isin(*exclude_tasks)] if exclude_tasks else []
+    for value, test in (
+        (task, F.col("task") == task), (model, F.contains("model", F.lit(model or ""))), (family, provider_family(F.col("provider"), F.col("model")) == family),
+        (planning_prompt, F.col("planning_prompt") == F.lit(planning_prompt)), (turn, F.col("turn") == F.lit(turn)), (ill_defined, ~F.col("task").isin(*(ill_defined or ("",))))):
+        if value is not None:
+            tests.append(test)
+    if with_thinking is not None:
+        tests.append(F.col("has_thinking") == with_thinking)
+    if has_metrics is not None:
+        tests.append(F.col("has_metrics") == has_metrics)
+    return runs.where(reduce(lambda a, b: a & b, tests, F.lit(True)))
 
 
 def campaign_turns(campaign: DataFrame) -> DataFrame:
@@ -172,22 +306,53 @@ def tier_bandwidth(spark: SparkSession, glob: str, tool: str = "ior", op: str =
     return b.where((F.col("tool") == tool) & (F.col("op") == op)).join(b.agg(F.max("file").alias("file")), "file", "left_semi")
 
 
-def inventory(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
-    """(path, bytes) of the files below a root, without reading them."""
-    return spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(root).select("path", F.col("length").alias("bytes")).distinct()
+def inventory(spark: SparkSession, root: str, *globs: str) -> DataFrame:
+    """(path, bytes) of the files below a root whose names fit any of the globs (all files without one), each once, without reading them."""
+    found = [spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", g).load(root).select("path", F.col("length").alias("bytes")) for g in globs or ("*",)]
+    return reduce(DataFrame.unionAll, found).distinct()
 
 
 def tree_paths(trees: DataFrame, text: str = "tree", root: str = "") -> DataFrame:
-    """(id, path, is_dir) of indented folder trees: a line's depth is half its dashes, from 1; names that end in a slash are directories.
+    """(id, pos, path, is_dir) of indented folder trees: a line's depth is half its dashes, from 1; names that end in a slash are directories.
 
-    A file's directory is, at each smaller depth, the last directory line before it: windows over the
-    lines of a tree instead of a stack.
+    Lines are read once, with the names above the current one at hand. A tree is one text, so it is read in one task.
     """
-    line = trees.select("id", F.posexplode(F.split(text, "\n")).alias("pos", "line")).where(F.trim("line").rlike(r"^(\|?-*)\s*\S"))
-    l = line.select("id", "pos", (F.length(F.regexp_extract("line", r"^\|?(-*)", 1)) / 2).cast("int").alias("depth"), F.trim(F.regexp_replace("line", r"^\|?-*\s*", "")).alias("name"))
-    upto = Window.partitionBy("id").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    stack = F.aggregate(F.collect_list(F.struct("depth", "name")).over(upto), F.array().cast("array<string>"), lambda a, x: F.concat(F.slice(a, 1, F.greatest(F.lit(0), F.least(F.size(a), x.depth - 1))), F.array(F.rtrim(x["name"], F.lit("/")))))
-    return l.select("id", "pos", F.concat(F.lit(root), F.array_join(stack, "/")).alias("path"), F.col("name").endswith("/").alias("is_dir"))
+    line = re.compile(r"^(\|?-*)\s*(\S.*?)\s*$")
+
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            ids, places, paths, dirs = [], [], [], []
+            for at, tree in enumerate(b.column("tree").to_pylist()):
+                above: list[str] = []
+                for pos, x in enumerate((tree or "").split("\n")):
+                    if not (m := line.match(x.strip(" "))):
+                        continue
+                    depth = len(m[1].removeprefix("|")) // 2
+                    above = [*above[: max(0, depth - 1)], m[2].rstrip("/")]
+                    ids.append(at)
+                    places.append(pos)
+                    paths.append(root + "/".join(above))
+                    dirs.append(m[2].endswith("/"))
+            yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(ids, pa.int64())), pa.array(places, pa.int32()), pa.array(paths, pa.string()), pa.array(dirs, pa.bool_())], names=["id", "pos", "path", "is_dir"])
+
+    of = trees.select("id", F.col(text).alias("tree"))
+    return of.mapInArrow(batches, f"id {of.schema['id'].dataType.simpleString()}, pos int, path string, is_dir boolean")
+
+
+def detection_report(fired: DataFrame, tiers: DataFrame) -> DataFrame:
+    """One row a session, as a report to write: its firings in order, and its files by tier (session_id, path, tier)."""
+    acts = fired.groupBy("session_id").agg(F.sort_array(F.collect_list(F.struct("block_seq", "name", "type", "turn", "match_start"))).alias("activations"))
+    of = lambda k: F.sort_array(F.collect_set(F.when(F.col("tier") == k, F.col("path")))).alias(f"tier_{k}")
+    return acts.join(tiers.groupBy("session_id").agg(of(1), of(2), of(3)), "session_id", "left")
+
+
+def staging_report(events: DataFrame, keys: list[str]) -> DataFrame:
+    """One row a key, as a report to write: its staging events by time of completion, and their summary."""
+    from ..operators.scoring import stage_summary
+
+    each = events.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("t_completed", "cold_path", "size_bytes", "fetch_ms", "outcome"))).alias("events"))
+    s = stage_summary(events, keys)
+    return each.join(s.select(*keys, F.struct(*[c for c in s.columns if c not in keys]).alias("summary")), keys)
 
 
 def reencode(spark: SparkSession, glob: str, out: str, fmt: str = "csv", **options) -> None:

@@ -81,20 +81,96 @@ def test_generated_rules_are_ordered(spark):
     assert r[3]["pattern"] == r"out\.csv" and r[4]["pattern"] == r"\.report\b"
 
 
-@pytest.mark.parametrize("pattern,texts", [("all|each", ["all", "each"]), ("(?i)sch", ["sch"]), ("(a|b)c", None), (r"start.{0,3}with", ["start"]), (r"\bx\b", None)])
+@pytest.mark.parametrize(
+    "pattern,texts",
+    [
+        ("all|each", ["all", "each"]),
+        ("(?i)sch", ["sch"]),
+        ("(a|b)c", None),
+        (r"start.{0,3}with", ["start"]),
+        (r"\bx\b", None),
+        ("abcd{0,1} x", ["abc"]),
+        (r"\x41bcd", ["abcd"]),
+        (r"\0101bc", None),
+        (r"\Qab.c\E", None),
+        ("(?:foo|ba+r)baz?", ["ba"]),
+    ],
+)
 def test_literals(pattern, texts):
     assert M.literals_of(pattern) == texts
 
 
+def made_pattern(r, depth=3):
+    """A pattern at random: words, groups, alternatives, classes and all kinds of repeats."""
+    kind = r.random()
+    if depth == 0 or kind < 0.35:
+        return r.choice(["ab", "abc", "k", "s", "ist", "c", r"\x41", r"a\.b", "i"])
+    if kind < 0.5:
+        return f"(?:{made_pattern(r, depth - 1)}|{made_pattern(r, depth - 1)})"
+    if kind < 0.6:
+        return r.choice(["[abc]", "[^a]", ".", r"\b", r"\w", "a{0,1}", "b{2}", "(?=a)"])
+    if kind < 0.75:
+        return f"(?:{made_pattern(r, depth - 1)}){r.choice(['?', '*', '+', '{0,2}', '{1,3}', '{2}', '??'])}"
+    return made_pattern(r, depth - 1) + made_pattern(r, depth - 1)
+
+
 def test_literals_never_lose_a_match():
-    random.seed(3)
-    patterns = ["all|each|every", "(?i)(the|le).{0,30}one", r"iterate.{0,4}file", r"report\.md", r"colou?r data", r"x+yzz[ab]c", "eau"]
-    for _ in range(3000):
-        text = "".join(random.choice(["all", "each ", "the", "one", "iterate", "file", "report.md", "color data", "colour", "xyzzac", "eau", " ", "q"]) for _ in range(5))
-        for p in patterns:
-            lits = M.literals_of(p)
+    r = random.Random(3)
+    fixed = ["all|each|every", "(?i)(the|le).{0,30}one", r"iterate.{0,4}file", r"report\.md", r"colou?r data", r"x+yzz[ab]c", "eau", "abcd{0,1} x"]
+    told = 0
+    for i in range(4000):
+        p = fixed[i % 8] if i % 5 == 0 else made_pattern(r)
+        lits = M.literals_of(p)
+        for _ in range(6):
+            text = "".join(r.choice(["all", "each ", "the", "one", "iterate", "file", "report.md", "colour data", "ab", "abc", "k", "s", "ist", "a.b", "A", " x", "i", "q"]) for _ in range(5))
             if lits is not None and re.search(p, text, re.IGNORECASE):
+                told += 1
                 assert any(x in text.lower() for x in lits), (p, text)
+    assert told > 500
+
+
+def test_no_match_is_lost_to_folding(spark):
+    words = ["abc x", "\u017ftart", "m\u0131st", "M\u0130ST", "\u212aelvin", "Start", "none"]
+    blocks = spark.createDataFrame([("s", i, 0, "text", 0.0, 1.0, w) for i, w in enumerate(words)], "session_id string, block_seq int, turn int, type string, t_first double, t_stop double, text string")
+    rules = spark.createDataFrame([(i, p, p, ["k"], "x") for i, p in enumerate(["abcd{0,1} x", "start", "mist", "kelvin"])], "ord int, name string, pattern string, target_keys array<string>, origin string")
+    found = {(r["name"], r["text"]) for r in M.matches(blocks, rules).collect()}
+    all_pairs = {(r["name"], r["text"]) for r in blocks.join(rules, F.expr("text rlike concat('(?iud)', pattern)")).collect()}
+    assert found == all_pairs and ("abcd{0,1} x", "abc x") in found and ("start", "\u017ftart") in found
+
+
+def test_many_rules_are_matched_too(spark, monkeypatch):
+    monkeypatch.setattr(M, "MOST_RULES", 3)
+    blocks = spark.createDataFrame([("s", i, 0, "text", 0.0, 1.0, f"word{i}") for i in range(6)], "session_id string, block_seq int, turn int, type string, t_first double, t_stop double, text string")
+    rules = spark.createDataFrame([(i, f"r{i}", f"word{i}", ["k"], "x") for i in range(6)], "ord int, name string, pattern string, target_keys array<string>, origin string")
+    assert sorted((r["name"], r["block_seq"]) for r in M.matches(blocks, rules).collect()) == [(f"r{i}", i) for i in range(6)]
+
+
+def test_transcript_mode_is_that_of_the_joined_text(spark):
+    r = random.Random(9)
+    patterns = ["band", "ab.{0,4}c", r"\bab\b", "a+b", "x$", "b{2,3}c"]
+    rows = [(f"s{s}", i, r.choice(["text", "thinking", "tool_result", "tool_use"]), "".join(r.choice(["a", "b", "c", "ba", "nd", " ", "x"]) for _ in range(r.randint(0, 5)))) for s in range(60) for i in range(6)]
+    blocks = spark.createDataFrame([(a, b, b, c, 0.0, 1.0, d) for a, b, c, d in rows], "session_id string, block_seq int, turn int, type string, t_first double, t_stop double, text string")
+    rules = spark.createDataFrame([(i, p, p, ["k"], "x") for i, p in enumerate(patterns)], "ord int, name string, pattern string, target_keys array<string>, origin string")
+    want = set()
+    for s in {x[0] for x in rows}:
+        text, known = "", set()
+        for _, seq, kind, t in sorted(x for x in rows if x[0] == s):
+            if kind == "tool_use" or not t:
+                continue
+            base, text = len(text), text + t
+            for p in patterns:
+                m = re.search(p, text)
+                if p not in known and m and m.start() >= base:
+                    known.add(p)
+                    want.add((s, p, seq, m.start()))
+    got = {(x["session_id"], x["name"], x["block_seq"], x["match_start"]) for x in M.first_fire(M.transcript_matches(blocks, rules)).collect()}
+    assert got == want
+
+
+def test_fingerprints_differ_by_pattern(spark):
+    rule = lambda *p: spark.createDataFrame([(i, "r", x, ["k"], "o") for i, x in enumerate(p)], "ord int, name string, pattern string, target_keys array<string>, origin string")
+    prints = {M.fingerprint(rule(*p)).first()["fingerprint"] for p in (("a",), ("b",), ("a", "b"), ("b", "a"))}
+    assert len(prints) == 4 and M.fingerprint(rule("a")).first()["fingerprint"] in prints
 
 
 def test_transcript_mode_suppresses_straddles(spark):

@@ -1,5 +1,6 @@
 """Every query with SQL against DuckDB on the smallest tables."""
 
+import numbers
 import os
 
 import duckdb
@@ -21,10 +22,12 @@ def duck():
 
 
 def rows(df: pd.DataFrame) -> list:
-    df = df[sorted(df.columns)]
-    out = []
-    for r in df.itertuples(index=False):
-        out.append(tuple("nan" if v is None or v is pd.NaT or v != v else repr(float(v)) if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v) for v in r))
+    def plain(v) -> str:
+        if v is None or pd.api.types.is_scalar(v) and pd.isna(v):
+            return "nan"
+        return repr(float(v)) if isinstance(v, numbers.Number) and not isinstance(v, bool) else str(v)
+
+    out = [tuple(map(plain, r)) for r in df[sorted(df.columns)].itertuples(index=False)]
     return sorted(out)
 
 
