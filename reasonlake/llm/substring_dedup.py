@@ -277,12 +277,12 @@ def settle(s: Suffixes, window: int, anchor: int) -> np.ndarray:
 
 
 def _marked_runs(s: Suffixes, later: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of settled windows: suffix, start of the first window, number of windows."""
+    """Runs of settled windows, over suffixes that follow each other in a row: the suffix that a run begins in, its first start, its number of windows."""
     of = np.repeat(np.arange(len(s.n)), s.n)
     i = np.flatnonzero(later)
-    new = np.append(True, (np.diff(i) > 1) | (of[i[1:]] != of[i[:-1]]))[: len(i)]
-    heads = i[new]
-    return of[heads], s.start[of[heads]] + heads - (np.cumsum(s.n) - s.n)[of[heads]], np.diff(np.append(np.flatnonzero(new), len(i)))
+    of, at = of[i], (s.start - np.cumsum(s.n) + s.n)[of[i]] + i
+    new = np.append(True, (np.diff(at) != 1) | (np.diff(s.doc[of]) != 0) | (np.diff(s.row[of]) != 0))[: len(i)]
+    return of[new], at[new], np.diff(np.append(np.flatnonzero(new), len(i)))
 
 
 def _rest(s: Suffixes, later: np.ndarray, window: int) -> Suffixes:
@@ -340,7 +340,8 @@ def _repeats(docs: DataFrame, window: int, anchor: int, bits: int) -> DataFrame:
             later = settle(s, window, anchor)
             of, start, n = _marked_runs(s, later)
             r = _rest(s, later, window)
-            yield pa.record_batch([s.grp[of], s.doc[of], s.row[of], start, pa.nulls(len(of), pa.int32()), n, pa.nulls(len(of), pa.binary())], schema=SUFFIX_ARROW)
+            spread = (mix(s.doc[of].view(np.uint64)) >> np.uint64(64 - bits)).astype(np.int32)  # marks belong to no group
+            yield pa.record_batch([spread, s.doc[of], s.row[of], start, pa.nulls(len(of), pa.int32()), n, pa.nulls(len(of), pa.binary())], schema=SUFFIX_ARROW)
             yield pa.record_batch([r.grp, r.doc, r.row, r.start, r.left, r.n, r.words], schema=SUFFIX_ARROW)
 
     def trees(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
