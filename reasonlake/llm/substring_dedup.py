@@ -216,9 +216,9 @@ class WordIds(dict):
         return n
 
 
-SUFFIX_ARROW = pa.schema([("grp", pa.int32()), ("doc_id", pa.int64()), ("text_hash", pa.int64()), ("start", pa.int32()), ("left", pa.int32()), ("n", pa.int32()), ("words", pa.binary())])
-#: A dealt suffix: its document and row, the start of its first window, words before the anchor, number of windows, and their words. Marks, without words, are ``n`` windows from ``start`` that go.
-SUFFIX = "grp int, doc_id long, text_hash long, start int, left int, n int, words binary"
+SUFFIX_ARROW = pa.schema([("grp", pa.int32()), ("doc_id", pa.int64()), ("text_hash", pa.int64()), ("starts", pa.list_(pa.int32())), ("left", pa.int32()), ("n", pa.int32()), ("words", pa.binary())])
+#: A dealt suffix: its document and row, where its first window starts (in more than one place if its words repeat), words before the anchor, number of windows, and their words. Marks, without words, are ``n`` windows from each start that go.
+SUFFIX = "grp int, doc_id long, text_hash long, starts array<int>, left int, n int, words binary"
 MARKS = "doc_id long, text_hash long, start int, n int"
 
 
@@ -298,6 +298,14 @@ def _rest(s: Suffixes, later: np.ndarray, window: int) -> Suffixes:
     return Suffixes(s.grp[own], s.doc[own], s.row[own], s.start[own] + low, s.left[own] - low, high - low + 1, words)
 
 
+def _places(s: Suffixes) -> tuple[np.ndarray, list[list[int]]]:
+    """Of equal suffixes of a row the first, and the starts of all."""
+    at: dict[tuple, list[int]] = {}
+    for i, key in enumerate(zip(s.doc.tolist(), s.row.tolist(), s.left.tolist(), s.words, strict=True)):
+        at.setdefault(key, []).append(i)
+    return np.array([x[0] for x in at.values()], int), [s.start[x].tolist() for x in at.values()]
+
+
 def _cut(docs: np.ndarray, rows: np.ndarray, texts: list[bytes], shared: np.ndarray, window: int, anchor: int, bits: int) -> Suffixes | None:
     """The suffixes at shared anchors of some texts."""
     split = [t.split() for t in texts]
@@ -341,19 +349,27 @@ def _repeats(docs: DataFrame, window: int, anchor: int, bits: int) -> DataFrame:
             of, start, n = _marked_runs(s, later)
             r = _rest(s, later, window)
             spread = (mix(s.doc[of].view(np.uint64)) >> np.uint64(64 - bits)).astype(np.int32)  # marks belong to no group
-            yield pa.record_batch([spread, s.doc[of], s.row[of], start, pa.nulls(len(of), pa.int32()), n, pa.nulls(len(of), pa.binary())], schema=SUFFIX_ARROW)
-            yield pa.record_batch([r.grp, r.doc, r.row, r.start, r.left, r.n, r.words], schema=SUFFIX_ARROW)
+            yield pa.record_batch([spread, s.doc[of], s.row[of], start[:, None].tolist(), pa.nulls(len(of), pa.int32()), n, pa.nulls(len(of), pa.binary())], schema=SUFFIX_ARROW)
+            one, starts = _places(r)
+            yield pa.record_batch([r.grp[one], r.doc[one], r.row[one], starts, r.left[one], r.n[one], [r.words[i] for i in one.tolist()]], schema=SUFFIX_ARROW)
+
+    def told(doc: np.ndarray, row: np.ndarray, starts: pa.ListArray, n: np.ndarray, ahead: np.ndarray) -> pa.RecordBatch:
+        """One mark for each start."""
+        k = starts.value_lengths().to_numpy()
+        return pa.record_batch([np.repeat(doc, k), np.repeat(row, k), pa.array(starts.flatten().to_numpy() + np.repeat(ahead, k), pa.int32()), pa.array(np.repeat(n, k), pa.int32())], names=["doc_id", "text_hash", "start", "n"])
 
     def trees(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for parts in by_group(it):
-            t = pa.Table.from_batches(parts)
-            done = t.filter(pc.is_null(t["words"]))
-            t = t.filter(pc.is_valid(t["words"]))
-            yield from done.select(["doc_id", "text_hash", "start", "n"]).combine_chunks().to_batches()
+            t = pa.Table.from_batches(parts).combine_chunks()
+            done, t = t.filter(pc.is_null(t["words"])), t.filter(pc.is_valid(t["words"]))
+            if done.num_rows:
+                yield told(*[done[c].to_numpy() for c in ("doc_id", "text_hash")], done["starts"].combine_chunks(), done["n"].to_numpy(), np.zeros(done.num_rows, int))
             if t.num_rows:
-                s = Suffixes(*[t[c].to_numpy() for c in ("grp", "doc_id", "text_hash", "start", "left", "n")], t["words"].to_pylist())
-                of, start, n = _marked_runs(s, settle(s, window, anchor))
-                yield pa.RecordBatch.from_arrays([pa.array(s.doc[of]), pa.array(s.row[of]), pa.array(start, pa.int32()), pa.array(n, pa.int32())], names=["doc_id", "text_hash", "start", "n"])
+                grp, doc, row, left, n = (t[c].to_numpy() for c in ("grp", "doc_id", "text_hash", "left", "n"))
+                base = np.arange(t.num_rows) * 2 * window  # apart, so that no run goes on from one suffix to the next
+                s = Suffixes(grp, doc, row, base, left, n, t["words"].to_pylist())
+                of, at, k = _marked_runs(s, settle(s, window, anchor))
+                yield told(doc[of], row[of], t["starts"].combine_chunks().take(pa.array(of)), k, at - base[of])
 
     dealt = docs.select("doc_id", "text_hash", "text", "shared").mapInArrow(deal, SUFFIX)
     return dealt.repartition("grp").sortWithinPartitions("grp").mapInArrow(trees, MARKS)
