@@ -137,7 +137,7 @@ def longest_prefix(paths: DataFrame, mounts: DataFrame, path: str = "path") -> D
 GRAMS = (1, 2, 4, 8)
 
 
-def _grams(text: Column, n: int) -> Column:
+def grams(text: Column, n: int) -> Column:
     """Distinct pieces of ``n`` characters: one look-ahead at each place, so that long texts are read once."""
     return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), 1))
 
@@ -159,7 +159,7 @@ def needles_of(prior: DataFrame) -> DataFrame:
 def keyed_needles(needles: DataFrame) -> DataFrame:
     """Needles with ``gram``, the piece of each that fewest needles have (of the longest kind that fits)."""
     kind = F.coalesce(*[F.when(F.length("needle") >= n, F.lit(n)) for n in reversed(GRAMS)])
-    pieces = F.coalesce(*[F.when(kind == n, _grams(F.col("needle"), n)) for n in GRAMS])
+    pieces = F.coalesce(*[F.when(kind == n, grams(F.col("needle"), n)) for n in GRAMS])
     each = needles.select("path", "needle", F.explode(pieces).alias("gram"))
     n = each.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
     return each.join(n, "gram").groupBy("path", "needle").agg(F.min(F.struct("n", "gram")).alias("g")).select("path", "needle", "g.gram")
@@ -179,7 +179,7 @@ def literal_scan(blocks: DataFrame, prior: DataFrame) -> DataFrame:
     after = Window.partitionBy("session_id").orderBy("block_seq").rowsBetween(1, max(1, longest - 1))  # a block has a character at least
     ahead = F.left(F.array_join(F.collect_list(F.left("text", F.lit(longest))).over(after), ""), F.lit(longest - 1))
     told = transcript(blocks).select("session_id", "block_seq", "char_base", F.length("text").alias("own"), F.concat("text", ahead).alias("seen"))
-    pieces = F.flatten(F.array(*[_grams(F.col("seen"), n) for n in kinds or GRAMS[:1]]))
+    pieces = F.flatten(F.array(*[grams(F.col("seen"), n) for n in kinds or GRAMS[:1]]))
     met = told.select("session_id", "block_seq", F.explode(pieces).alias("gram")).join(needles, "gram").select("session_id", "block_seq", "path", "needle")
     hit = met.join(told, ["session_id", "block_seq"]).withColumn("at", F.instr("seen", F.col("needle"))).where("at > 0 AND at <= own")
     return hit.groupBy("session_id", "path").agg(F.min(F.col("char_base") + F.col("at") - 1).alias("start"))

@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from ..operators import scoring as S
 from ..streaming import live
 from . import fixtures as X
 
@@ -39,13 +40,8 @@ def _drained(df, name, mode="append"):
 
 
 def _stream(spark, sf, name):
-    """A given table as a stream of its files."""
-    return spark.readStream.schema(spark.read.parquet(f"{sf}/{name}.parquet").schema).option("recursiveFileLookup", True).parquet(f"{sf}/{name}.parquet") if _is_dir(spark, sf, name) else spark.readStream.schema(spark.read.parquet(f"{sf}/{name}.parquet").schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
-
-
-def _is_dir(spark, sf, name):
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{sf}/{name}.parquet")
-    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory()
+    """A given table as a stream of its files, be it one file or a folder of them."""
+    return spark.readStream.schema(spark.read.parquet(f"{sf}/{name}.parquet").schema).parquet(f"{sf}/{name}.parque[t]")
 
 
 def stage_rollup_stream(spark, sf):
@@ -67,14 +63,46 @@ def live_rule_firing(spark, sf):
     return _drained(fired, "fired")
 
 
+def _turns(spark, sf):
+    """Conversations as a stream of deltas, one a turn; a user's turn is a tool use, every fourth other one thinking."""
+    kind = F.when(F.col("role") == "user", "tool_use").when(F.col("turn") % 4 == 1, "thinking").otherwise("text")
+    return _stream(spark, sf, "conversations").where("role <> 'system'").select(F.col("conv_id").cast("string").alias("session_id"), F.col("turn").cast("string").alias("block"), (F.col("turn") * 1000.0).alias("t_ms"), F.col("turn").alias("seq"), kind.alias("kind"), F.col("text").alias("chunk"), F.timestamp_millis(((F.col("turn") + 1) * 1000).cast("long")).alias("event_ts"))
+
+
+def slack_stream(spark, sf):
+    """Slack of each session, told at its first tool use."""
+    return _drained(live.slack_live(_ended(_turns(spark, sf), "event_ts", session_id="end of input", kind="text", t_ms=0.0, seq=0), delay="0 seconds", idle_ms=1), "slack")
+
+
+def literal_delta_stream(spark, sf):
+    """Files that a session's turns name, each at the first that does: a stream joined with a table of needles."""
+    keyed = S.keyed_needles(S.needles_of(X.prior(spark, sf).where("bucket = 'all_files'")))
+    out = _folder(spark, "needles")
+    keyed.write.parquet(out)
+    keyed = spark.read.schema(keyed.schema).parquet(out)
+    kinds = keyed.agg(F.sort_array(F.collect_set(F.length("gram")))).first()[0] or [1]
+    c, turn = F.col("conv_id"), F.col("turn")
+    text = F.concat(F.col("text"), F.lit(" /data/src"), (turn % 20).cast("string"), F.lit("/en/doc_"), (c * 7 % 500).cast("string"), F.lit(".txt, doc_"), ((c + turn) % 90).cast("string"), F.lit("."))
+    e = _stream(spark, sf, "conversations").select(c.alias("session_id"), turn.alias("block"), (turn * 1000.0).alias("t_ms"), text.alias("chunk"), F.timestamp_millis(((turn + 1) * 1000).cast("long")).alias("event_ts"))
+    named = live.literal_stream(e.where("block = 1"), keyed, kinds, delay="1 hour")
+    return _drained(named, "literals").select("session_id", "path", "block")
+
+
 def session_slack_batch(spark, sf):
     """First thinking to first tool use by session window."""
     b = X.blocks(spark, sf).withColumns({"kind": F.col("type"), "t_ms": F.col("t_first").cast("double"), "event_ts": F.timestamp_millis(F.col("t_first").cast("long"))})
     return live.session_slack(b).select("session_id", "slack_ms")
 
 
-QUERIES = {f.__name__: f for f in (stage_rollup_stream, stage_rollup_batch, live_rule_firing, session_slack_batch)}
+QUERIES = {f.__name__: f for f in (stage_rollup_stream, stage_rollup_batch, live_rule_firing, slack_stream, literal_delta_stream, session_slack_batch)}
+_ROLLUP = "select date_trunc('hour', ts) as start, event_type as outcome, count(*) as n, cast(sum(user_id) as bigint) as bytes, max(value) as max_ms from events group by 1, 2"
 SQL = {
+    "stage_rollup_stream": _ROLLUP,
+    "live_rule_firing": """with u as (select conv_id, turn, string_agg(text, '') over (partition by conv_id order by turn rows between unbounded preceding and current row) as upto from conversations where role <> 'system'),
+      m as (select u.conv_id, u.turn, r.name, length(regexp_extract(upto, '(?s)^(.*?)(?-s:(?i)' || r.pattern || ')', 1)) as o from u join fx_rules r on regexp_matches(upto, '(?i)' || r.pattern))
+      select cast(conv_id as varchar) as session_id, cast(turn as varchar) as block, name, turn * 1000.0::double as fired_at_ms, cast(o as bigint) as match_start from m qualify row_number() over (partition by conv_id, name order by turn) = 1""",
+    "slack_stream": "with k as (select conv_id, turn, case when role = 'user' then 'u' when turn % 4 = 1 then 't' end as k from conversations where role <> 'system'), g as (select conv_id, min(turn) filter (k = 'u') as u, min(turn) filter (k = 't') as t from k group by conv_id) select cast(conv_id as varchar) as session_id, u * 1000.0::double as t_ms, case when t < u then (u - t) * 1000.0::double end as slack_ms from g where u is not null",
+    "literal_delta_stream": "with t as (select conv_id as session_id, turn as block, concat(text, ' /data/src', cast(turn % 20 as varchar), '/en/doc_', cast(conv_id * 7 % 500 as varchar), '.txt, doc_', cast((conv_id + turn) % 90 as varchar), '.') as text from conversations where turn = 1) select distinct t.session_id, n.path, t.block from t join fx_needles n on contains(t.text, n.needle)",
     "stage_rollup_batch": "select date_trunc('hour', ts) as start, event_type as outcome, count(*) as n, cast(sum(user_id) as bigint) as bytes, max(value) as max_ms from events group by 1, 2",
     "session_slack_batch": "select session_id, cast(min(t_first) filter (type = 'tool_use') - min(t_first) filter (type = 'thinking') as double) as slack_ms from fx_blocks group by session_id",
 }

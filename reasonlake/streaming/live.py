@@ -1,30 +1,35 @@
-"""Live rule firing over streams of text deltas, and rollups of staging events.
+"""Live work over streams of text deltas, and rollups of staging events.
 
-Arrival order is not event order, so a session's state holds (t_ms, seq, chunk) entries and its text is
-put together in that order when the watermark has passed them. Deltas behind the
-watermark are late: they are left out, and not counted here. A session that is idle for long is closed
+Arrival order is not event order, so a session's state holds the deltas that an earlier one may still precede, and
+folds the others into a small memory, in order of (t_ms, seq), once the watermark has passed them. Deltas behind the
+watermark are late: Spark leaves them out and counts them (``late_rows``). A session that is idle for long is closed
 and its state dropped.
 """
 
 from __future__ import annotations
 
+import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.labels import LIVE, tier
-from ..operators.matching import SCANNED
+from ..operators.matching import SCANNED, most_width
 
 FIRED = "session_id string, block string, name string, fired_at_ms double, match_start long"
-STATE = "t array<double>, seq array<long>, block array<string>, chunk array<string>, at array<long>, fired array<string>, done int"
+STATE = "t array<double>, seq array<long>, block array<string>, kind array<string>, chunk array<string>, at array<long>, memory string"
+
+#: Takes a session's memory and one delta (t_ms, seq, block, kind, chunk) and gives the rows that follow from it, without the session.
+Fold = Callable[[dict, tuple], Iterator[tuple]]
 
 
 def normalise(events: DataFrame, provider: str) -> DataFrame:
-    """Deltas of one provider in a common form: session_id, block, t_ms, seq, kind, chunk. Reasoning may come under either of two names."""
+    """Deltas of one provider in a common form: session_id, block, t_ms, seq, kind, chunk. Reasoning may come under either of two names; fragments of tool arguments have a block for each call."""
     c = F.col
     if provider == "openai":
         kind = F.when(F.coalesce(c("reasoning"), c("reasoning_content")).isNotNull(), "thinking").when(c("content").isNotNull(), "text").when(c("arguments").isNotNull(), "tool_use")
@@ -39,43 +44,137 @@ def normalise(events: DataFrame, provider: str) -> DataFrame:
     return events.select("session_id", block.alias("block"), "t_ms", "seq", kind.alias("kind"), chunk.alias("chunk")).where("kind is not null")
 
 
-def fire_live(deltas: DataFrame, rules: list[tuple[str, str]], start: str = "event_ts", delay: str = "10 seconds", idle_ms: int = 600_000, scope: str = "session") -> DataFrame:
-    """Each rule (name, pattern) once a session, when its pattern is first found in the text so far.
+def in_order(deltas: DataFrame, fold: Fold, columns: str, start: str, delay: str, idle_ms: int, close: Callable[[dict], Iterator[tuple]] | None = None) -> DataFrame:
+    """Rows (session_id and ``columns``) that ``fold`` gives for the deltas of each session in event order, and ``close`` for its end.
 
-    ``deltas``: session_id, block, t_ms, seq, kind, chunk and the event time ``start``. With scope
-    ``block`` each block's text is searched alone. Rows are emitted when the watermark has passed the delta that completes the
-    match, so that the result does not depend on the order of arrival.
+    Rows come when the watermark has passed their delta, so the result does not depend on the order of
+    arrival. The memory is kept as JSON; deltas are dropped once they are folded.
     """
-    compiled = [(n, re.compile(p, re.IGNORECASE)) for n, p in rules]
+    names = ["session_id", *(x.split()[0] for x in columns.split(","))]
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        t, seq, block, chunk, at, fired, done = state.get if state.exists else ([], [], [], [], [], [], 0)
-        rows = [*zip(t, seq, block, chunk, at, strict=True)]
+        *held, memory = state.get if state.exists else ([], [], [], [], [], [], "{}")
+        rows, memory = [*zip(*held, strict=True)], json.loads(memory)
         mark = float("inf")  # a closing session takes all it has
         if not state.hasTimedOut:
             mark = state.getCurrentWatermarkMs()
             for b in batches:
                 when = b[start].astype("datetime64[ms]").astype("int64")
-                rows += [(float(a), int(s), str(k), str(c or ""), int(w)) for a, s, k, c, w in zip(b.t_ms, b.seq, b.block, b.chunk, when, strict=True)]
+                rows += [(float(a), int(s), str(k), str(x), str(c or ""), int(w)) for a, s, k, x, c, w in zip(b.t_ms, b.seq, b.block, b.kind, b.chunk, when, strict=True)]
         rows.sort()
-        ready = next((i for i, r in enumerate(rows) if r[4] > mark), len(rows))  # deltas that no earlier one can precede any more
-        out, text, known = [], {}, {str(x) for x in fired}
-        for i, (a, _, k, c, _) in enumerate(rows[:ready]):
-            own = k if scope == "block" else ""
-            text[own] = text.get(own, "") + c
-            for name, pattern in compiled if i >= done else ():
-                if name not in known and (m := pattern.search(text[own])):
-                    known.add(name)
-                    out.append((key[0], k, name, a, m.start()))
+        ready = next((i for i, r in enumerate(rows) if r[5] > mark), len(rows))  # deltas that no earlier one can precede any more
+        out = [(key[0], *x) for r in rows[:ready] for x in fold(memory, r[:5])]
+        last = max([int(mark) if mark != float("inf") else 0, *(r[5] for r in rows)])
         if state.hasTimedOut:
+            out += [(key[0], *x) for x in close(memory)] if close else []
             state.remove()
         else:
-            state.update((*([*x] for x in zip(*rows, strict=True)), sorted(known), max(int(done), ready)))
-            state.setTimeoutTimestamp(max(int(mark), *(r[4] for r in rows)) + idle_ms)
-        yield pd.DataFrame(out, columns=["session_id", "block", "name", "fired_at_ms", "match_start"])
+            left = rows[ready:]
+            state.update((*([x[i] for x in left] for i in range(6)), json.dumps(memory)))
+            state.setTimeoutTimestamp(last + idle_ms)
+        yield pd.DataFrame(out, columns=names)
+
+    told = deltas.select(F.col("session_id").cast("string").alias("session_id"), "block", "t_ms", "seq", "kind", "chunk", start).withWatermark(start, delay)
+    return told.groupBy("session_id").applyInPandasWithState(step, f"session_id string, {columns}", STATE, "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def late_rows(query: StreamingQuery) -> int:
+    """Deltas that a query left out because they came behind its watermark, over its recent progress."""
+    return sum(o["numRowsDroppedByWatermark"] for p in query.recentProgress for o in p["stateOperators"])
+
+
+def fire_live(deltas: DataFrame, rules: list[tuple[str, str]], start: str = "event_ts", delay: str = "10 seconds", idle_ms: int = 600_000, scope: str = "session") -> DataFrame:
+    """Each rule (name, pattern) once a session, when its pattern is first found in the text so far.
+
+    ``deltas``: session_id, block, t_ms, seq, kind, chunk and the event time ``start``. With scope
+    ``block`` each block's text is searched alone. A new match ends in the new delta, so for rules of bounded width only
+    as many characters before it are kept and searched; rules without a bound are searched in the whole text.
+    """
+    compiled = [(n, re.compile(p, re.IGNORECASE), most_width(p)) for n, p in rules]
+    reach = None if any(w is None for _, _, w in compiled) else max([w for _, _, w in compiled], default=0)
+
+    def fold(memory: dict, delta: tuple) -> Iterator[tuple]:
+        t, _, block, _, chunk = delta
+        known, texts = memory.setdefault("known", []), memory.setdefault("texts", {})
+        own = block if scope == "block" else ""
+        text, cut = texts.get(own, ("", 0))
+        before, text = len(text), text + chunk
+        for name, pattern, width in compiled:
+            if name not in known and (m := pattern.search(text, 0 if width is None else max(0, before - width))):
+                known.append(name)
+                yield block, name, t, cut + m.start()
+        drop = 0 if reach is None else max(0, len(text) - reach)
+        texts[own] = text[drop:], cut + drop
+
+    return in_order(deltas.where(F.col("kind").isin(*SCANNED)), fold, FIRED.split(", ", 1)[1], start, delay, idle_ms)
+
+
+LISTED = re.compile(r"^\s*FILE\s+(\S+)\s+\(\d+\s+bytes\)\s*$", re.MULTILINE)
+
+
+def literal_deltas(deltas: DataFrame, needles: list[tuple[str, str]], start: str = "event_ts", delay: str = "10 seconds", idle_ms: int = 600_000) -> DataFrame:
+    """(session_id, block, path, t_ms, listed): each file once a session, when its path or another needle (needle, path) is first named.
+
+    The files that listings in tool results show join what is looked for, by their paths, from the next delta on (``listed``). Needles of a
+    workload are configuration; for needles that grow with the data join a stream with a table of them (``literal_stream``).
+    """
+    longest = max([len(n) for n, _ in needles], default=0)
+
+    def fold(memory: dict, delta: tuple) -> Iterator[tuple]:
+        t, _, block, kind, chunk = delta
+        seen, grown = memory.setdefault("seen", []), memory.setdefault("grown", [])
+        most = max([longest, *map(len, grown)])
+        text = memory.get("text", "") + chunk
+        for needle, path, listed in [*((n, p, False) for n, p in needles), *((p, p, True) for p in grown)]:
+            if path not in seen and needle in text:
+                seen.append(path)
+                yield block, path, t, listed
+        memory["text"] = text[-(most - 1) :] if most > 1 else ""
+        if kind == "tool_result":
+            grown += [p for p in dict.fromkeys(LISTED.findall(chunk)) if p not in grown and p not in seen]
+
+    return in_order(deltas.where(F.col("kind").isin(*SCANNED)), fold, "block string, path string, t_ms double, listed boolean", start, delay, idle_ms)
+
+
+def literal_stream(deltas: DataFrame, keyed: DataFrame, kinds: list[int], start: str = "event_ts", delay: str = "10 minutes") -> DataFrame:
+    """Each file once a session, when a delta names it: a stream joined with a table of needles (path, needle, gram, as ``keyed_needles`` gives them; ``kinds`` are the lengths of the grams). Needles across deltas are not seen."""
+    from ..operators.scoring import grams
+
+    pieces = F.array_distinct(F.flatten(F.array(*[grams(F.col("chunk"), n) for n in kinds])))
+    met = deltas.withWatermark(start, delay).select("session_id", "block", "t_ms", start, "chunk", F.explode(pieces).alias("gram")).join(keyed, "gram")
+    return met.where(F.contains("chunk", F.col("needle"))).select("session_id", "block", "path", "t_ms", start).dropDuplicatesWithinWatermark(["session_id", "path"])
+
+
+def slack_live(deltas: DataFrame, start: str = "event_ts", delay: str = "10 seconds", idle_ms: int = 600_000) -> DataFrame:
+    """(session_id, t_ms, slack_ms): at the first tool use of a session, the time since its first thinking; null without any before."""
+
+    def fold(memory: dict, delta: tuple) -> Iterator[tuple]:
+        t, _, _, kind, _ = delta
+        if kind == "thinking":
+            memory.setdefault("thought", t)
+        if kind == "tool_use" and not memory.get("told"):
+            memory["told"] = True
+            yield t, None if memory.get("thought") is None else t - memory["thought"]
+
+    return in_order(deltas, fold, "t_ms double, slack_ms double", start, delay, idle_ms)
+
+
+def tool_arguments(deltas: DataFrame, start: str = "event_ts", delay: str = "10 seconds", idle_ms: int = 600_000) -> DataFrame:
+    """(session_id, block, t_ms, arguments): the fragments of each tool call put together, once a delta of another call or kind follows, or the session ends."""
+
+    def done(memory: dict) -> Iterator[tuple]:
+        if memory.get("block") is not None:
+            yield memory["block"], memory["t"], memory["text"]
+        memory.clear()
+
+    def fold(memory: dict, delta: tuple) -> Iterator[tuple]:
+        t, _, block, kind, chunk = delta
+        if kind != "tool_use" or block != memory.get("block"):
+            yield from done(memory)
+        if kind == "tool_use":
+            memory.update(block=block, t=memory.get("t", t), text=memory.get("text", "") + chunk)
 
-    scanned = deltas.where(F.col("kind").isin(*SCANNED)).withColumn("session_id", F.col("session_id").cast("string")).withWatermark(start, delay)
-    return scanned.groupBy("session_id").applyInPandasWithState(step, FIRED, STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    return in_order(deltas, fold, "block string, t_ms double, arguments string", start, delay, idle_ms, done)
 
 
 def gate(fired: DataFrame, sizes: DataFrame) -> DataFrame:
