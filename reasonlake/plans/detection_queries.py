@@ -244,6 +244,10 @@ SQL = {
     "rule_first_fire_transcript": r"""with s as (select *, coalesce(sum(length(text)) over (partition by session_id order by block_seq rows between unbounded preceding and 1 preceding), 0) as char_base, string_agg(text, '') over (partition by session_id order by block_seq rows between unbounded preceding and current row) as upto from fx_blocks where type in ('thinking', 'text', 'tool_result')),
       m as (select s.session_id, s.block_seq, s.char_base, r.name, r.ord, length(regexp_extract(upto, '(?s)^(.*?)(?-s:(?i)' || r.pattern || ')', 1)) as o from s join fx_rules r on regexp_matches(upto, '(?i)' || r.pattern))
       select session_id, name, block_seq, cast(o as bigint) as char_offset, cast(char_base as bigint) as char_base from m where o >= char_base qualify row_number() over (partition by session_id, name order by block_seq, o, ord) = 1""",
+    "rule_prefix_fire": r"""with s as (select *, coalesce(string_agg(text, '') over (partition by session_id order by block_seq rows between unbounded preceding and 1 preceding), '') as before from fx_blocks where type in ('thinking', 'text', 'tool_result') and text <> ''),
+      e as (select session_id, block_seq, turn, type, before, text, unnest(case when type = 'thinking' then range(1, length(text) + 1) else [length(text)] end) as n from s),
+      m as (select e.session_id, r.name, e.block_seq, e.turn, e.type, length(before) + n as k, length(before) as base, length(regexp_extract(before || left(text, n), '(?s)^(.*?)(?-s:(?i)' || r.pattern || ')', 1)) as o from e join fx_rules r on regexp_matches(before || left(text, n), '(?i)' || r.pattern))
+      select session_id, name, block_seq, turn, type, cast(k as bigint) as first_known_at from m where type = 'thinking' or o >= base qualify row_number() over (partition by session_id, name order by block_seq, k) = 1""",
     "activation_summary": "select session_id, count(*) as n, count(*) filter (type = 'thinking') as n_thinking, count(*) filter (type = 'text') as n_text, count(*) filter (type = 'tool_result') as n_tool_result, string_agg(cast(turn as varchar), ',' order by turn, name) as turns, string_agg(name, ',' order by name) as names from fx_first group by session_id",
     "tier_cumulative_files": "with n as (select session_id, count(*) filter (tier <= 1) as n_tier_1, count(*) filter (tier <= 2) as n_tier_2, count(*) filter (tier <= 3) as n_tier_3 from fx_tier group by session_id), t as (select f.session_id, cast(min(f.t_first) filter (t.tier = 1) as double) as t_tier_1, cast(min(f.t_first) filter (t.tier = 3) as double) as t_tier_3 from fx_first f join fx_rule_tier t on t.session_id = f.session_id and t.name = f.name group by f.session_id) select n.*, t_tier_1, t_tier_3 from n join t using (session_id)",
     "live_tiers": "with s as (select bucket, count(*) as n from fx_prior group by bucket), g as (select f.session_id, f.name, sum(s.n) as n from fx_first f join s on s.bucket = f.target_key group by f.session_id, f.name), k as (select *, case when n <= 10 then 1 when n <= 200 then 2 else 3 end as tier from g) select name, tier, count(*) as sessions, cast(max(n) as bigint) as files, tier = 1 as dispatch from k group by name, tier",

@@ -75,7 +75,7 @@ def slack_stream(spark, sf):
 
 
 def literal_delta_stream(spark, sf):
-    """Files that a session's turns name, each at the first that does: a stream joined with a table of needles."""
+    """Files that a session's turns name, each once: a stream joined with a table of needles."""
     keyed = S.keyed_needles(S.needles_of(X.prior(spark, sf).where("bucket = 'all_files'")))
     out = _folder(spark, "needles")
     keyed.write.parquet(out)
@@ -84,8 +84,8 @@ def literal_delta_stream(spark, sf):
     c, turn = F.col("conv_id"), F.col("turn")
     text = F.concat(F.col("text"), F.lit(" /data/src"), (turn % 20).cast("string"), F.lit("/en/doc_"), (c * 7 % 500).cast("string"), F.lit(".txt, doc_"), ((c + turn) % 90).cast("string"), F.lit("."))
     e = _stream(spark, sf, "conversations").select(c.alias("session_id"), turn.alias("block"), (turn * 1000.0).alias("t_ms"), text.alias("chunk"), F.timestamp_millis(((turn + 1) * 1000).cast("long")).alias("event_ts"))
-    named = live.literal_stream(e.where("block = 1"), keyed, kinds, delay="1 hour")
-    return _drained(named, "literals").select("session_id", "path", "block")
+    named = live.literal_stream(e, keyed, kinds, delay="1 hour")
+    return _drained(named, "literals").select("session_id", "path")
 
 
 def session_slack_batch(spark, sf):
@@ -102,7 +102,7 @@ SQL = {
       m as (select u.conv_id, u.turn, r.name, length(regexp_extract(upto, '(?s)^(.*?)(?-s:(?i)' || r.pattern || ')', 1)) as o from u join fx_rules r on regexp_matches(upto, '(?i)' || r.pattern))
       select cast(conv_id as varchar) as session_id, cast(turn as varchar) as block, name, turn * 1000.0::double as fired_at_ms, cast(o as bigint) as match_start from m qualify row_number() over (partition by conv_id, name order by turn) = 1""",
     "slack_stream": "with k as (select conv_id, turn, case when role = 'user' then 'u' when turn % 4 = 1 then 't' end as k from conversations where role <> 'system'), g as (select conv_id, min(turn) filter (k = 'u') as u, min(turn) filter (k = 't') as t from k group by conv_id) select cast(conv_id as varchar) as session_id, u * 1000.0::double as t_ms, case when t < u then (u - t) * 1000.0::double end as slack_ms from g where u is not null",
-    "literal_delta_stream": "with t as (select conv_id as session_id, turn as block, concat(text, ' /data/src', cast(turn % 20 as varchar), '/en/doc_', cast(conv_id * 7 % 500 as varchar), '.txt, doc_', cast((conv_id + turn) % 90 as varchar), '.') as text from conversations where turn = 1) select distinct t.session_id, n.path, t.block from t join fx_needles n on contains(t.text, n.needle)",
+    "literal_delta_stream": "with t as (select conv_id as session_id, turn as block, concat(text, ' /data/src', cast(turn % 20 as varchar), '/en/doc_', cast(conv_id * 7 % 500 as varchar), '.txt, doc_', cast((conv_id + turn) % 90 as varchar), '.') as text from conversations) select distinct t.session_id, n.path from t join fx_needles n on contains(t.text, n.needle)",
     "stage_rollup_batch": "select date_trunc('hour', ts) as start, event_type as outcome, count(*) as n, cast(sum(user_id) as bigint) as bytes, max(value) as max_ms from events group by 1, 2",
     "session_slack_batch": "select session_id, cast(min(t_first) filter (type = 'tool_use') - min(t_first) filter (type = 'thinking') as double) as slack_ms from fx_blocks group by session_id",
 }

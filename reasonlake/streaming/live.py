@@ -72,7 +72,8 @@ def in_order(deltas: DataFrame, fold: Fold, columns: str, start: str, delay: str
             left = rows[ready:]
             state.update((*([x[i] for x in left] for i in range(6)), json.dumps(memory)))
             state.setTimeoutTimestamp(last + idle_ms)
-        yield pd.DataFrame(out, columns=names)
+        if out:
+            yield pd.DataFrame(out, columns=names)
 
     told = deltas.select(F.col("session_id").cast("string").alias("session_id"), "block", "t_ms", "seq", "kind", "chunk", start).withWatermark(start, delay)
     return told.groupBy("session_id").applyInPandasWithState(step, f"session_id string, {columns}", STATE, "append", GroupStateTimeout.EventTimeTimeout)
