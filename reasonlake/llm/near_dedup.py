@@ -10,7 +10,8 @@ over that distance with a chance below ``MISS``.
 Keys with several members are clustered by leaders instead of by pairs: a member is tied to the
 leaders within a radius from which, by the triangle inequality, any two signatures
 within the distance end in the same group. Each group is then linked by its full
-sets, with an inverted index of shingles, and only a spanning forest of the links is kept.
+sets, with an inverted index of shingles, and only a spanning forest of the links is kept. In a group that is too large for a task, all
+members are first compared with one of them, and only those that it doesn't link are compared with all.
 """
 
 from __future__ import annotations
@@ -251,12 +252,12 @@ def connected(edges: DataFrame, name: str = "components") -> DataFrame:
     return roots.unionAll(roots.select(F.col("root").alias("node"), "root").distinct())
 
 
-def link_group(sets: list[np.ndarray], per: int, of: int) -> np.ndarray:
+def link_group(sets: list[np.ndarray], per: int, of: int, only: list[int] | None = None) -> np.ndarray:
     """Roots of the components of sets, linked where ``of * |a & b| >= per * |a | b|``: for each set the smallest index that it reaches.
 
     One set is compared with all others at a time, through postings of shingles. Sets
     of the largest component found so far need not be compared with each other, so
-    only the others are looked up after the first pass.
+    only the others are looked up after the first pass. With ``only``, just these sets are compared with all.
     """
     n = len(sets)
     root = np.arange(n)
@@ -282,6 +283,10 @@ def link_group(sets: list[np.ndarray], per: int, of: int) -> np.ndarray:
             if a != b:
                 root[max(a, b)] = min(a, b)
 
+    if only is not None:
+        for i in only:
+            compare(i)
+        return np.array([find(i) for i in range(n)])
     hub = int(np.argmax(np.add.reduceat(np.bincount(token)[token], np.append(0, np.cumsum(size)[:-1])) / size))  # its shingles are the most common
     compare(hub)
     for i in range(n):
@@ -290,25 +295,81 @@ def link_group(sets: list[np.ndarray], per: int, of: int) -> np.ndarray:
     return np.array([find(i) for i in range(n)])
 
 
+LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+
+def _linked(a: list[int], b: list[int]) -> pa.RecordBatch:
+    return pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=LINKS)
+
+
 def _link(members: DataFrame, words: int, per: int, of: int) -> DataFrame:
-    """Edges (a, b) of a spanning forest of the links in each group (gid, one, two)."""
+    """Edges (a, b) of a spanning forest of the links in each part (gid, one, two); where it has ``open`` members, of the links that these have."""
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         word_codes()
         ones, twos = [], []
         for _, parts in _runs(it, ["gid", "one", "two"]):
-            texts = [t for p in parts for t in p.column("text").to_pylist()]
-            nodes = [x for p in parts for x in p.column("node").to_pylist()]
-            for i, r in enumerate(link_group([shingles(t, words) for t in texts], per, of).tolist()):
+            texts, nodes, open_ = ([x for p in parts for x in p.column(c).to_pylist()] for c in ("text", "node", "open"))
+            only = None if None in open_ else [i for i, x in enumerate(open_) if x]
+            for i, r in enumerate(link_group([shingles(t, words) for t in texts], per, of, only).tolist()):
                 if r != i:
                     ones.append(nodes[i])
                     twos.append(nodes[r])
             if len(ones) > 10_000:
-                yield pa.RecordBatch.from_arrays([pa.array(ones, pa.int64()), pa.array(twos, pa.int64())], names=["a", "b"])
+                yield _linked(ones, twos)
                 ones, twos = [], []
-        yield pa.RecordBatch.from_arrays([pa.array(ones, pa.int64()), pa.array(twos, pa.int64())], names=["a", "b"])
+        yield _linked(ones, twos)
 
-    return members.select("gid", "one", "two", "node", "text").repartition("gid", "one", "two").sortWithinPartitions("gid", "one", "two", "node").mapInArrow(batches, "a long, b long")
+    by = ["gid", "one", "two"]
+    return members.select(*by, "node", "text", "open").repartition(*by).sortWithinPartitions(*by, "node").mapInArrow(batches, "a long, b long")
+
+
+def _link_hub(members: DataFrame, words: int, per: int, of: int) -> DataFrame:
+    """Edges (a, b) from members of parts (gid, one) to the hub of their group, which each part has (``hub``) and reads first. Members pass through one by one."""
+
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        word_codes()
+        for _, parts in _runs(it, ["gid", "one"]):
+            hub, name, found = None, None, []
+            for p in parts:
+                for node, text, first in zip(*(p.column(c).to_pylist() for c in ("node", "text", "hub")), strict=True):
+                    own = shingles(text, words)
+                    if first:
+                        hub, name = own, node
+                    elif of * (both := int(np.isin(own, hub, assume_unique=True).sum())) >= per * (len(own) + len(hub) - both):
+                        found.append(node)
+            yield _linked(found, [name] * len(found))
+
+    by = ["gid", "one"]
+    return members.select(*by, "node", "text", "hub").repartition(*by).sortWithinPartitions(*by, F.desc("hub")).mapInArrow(batches, "a long, b long")
+
+
+def _with_texts(docs: DataFrame, places: DataFrame, keys: list[str]) -> DataFrame:
+    return docs.join(places, ["doc_id", "text_hash"]).dropDuplicates(["doc_id", "text_hash", "node", *keys])  # a row may be repeated
+
+
+def _link_large(docs: DataFrame, members: DataFrame, words: int, percent: int, group_shingles: int) -> DataFrame:
+    """Edges of the links in groups that no task holds: members are root, node, doc_id, text_hash, n, weight and blocks.
+
+    The member that most keys have is the hub, and all are compared with it first, block by block. Members that link with it
+    are in one class, so only the others, the open ones, are compared with all: every text is sent twice, and once more for each further block of open members.
+    """
+    block = F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks")).cast("int")
+    hubs = members.groupBy("root").agg(F.max(F.struct("weight", "node", "doc_id", "text_hash", "blocks")).alias("h")).select("root", "h.*")
+    own = members.join(hubs.select("node"), "node", "left_anti").select("node", F.col("root").alias("gid"), block.alias("one"), "doc_id", "text_hash", F.lit(False).alias("hub"))
+    each = hubs.select("node", F.col("root").alias("gid"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("one"), "doc_id", "text_hash", F.lit(True).alias("hub"))
+    near = stage_table(_link_hub(_with_texts(docs, own.unionByName(each), ["one"]), words, percent, 100), "op1-hubs")
+    settled = near.select(F.col("a").alias("node")).unionAll(hubs.select("node"))
+    rest = stage_table(members.join(settled, "node", "left_anti").select("root", "node", "n"), "op1-open")
+    cut = rest.groupBy("root").agg(F.ceil(2 * F.sum("n") / group_shingles).cast("int").alias("cuts"))
+    at = members.join(cut, "root").join(rest.select("node", F.lit(True).alias("open")), "node", "left").withColumn("block", block)
+    keep = ["node", F.col("root").alias("gid"), "doc_id", "text_hash"]
+    part = F.pmod(F.xxhash64("node", F.lit(2)), F.col("cuts")).cast("int")
+    # an open member is in its own cut, for all blocks, and in its own block, for the other cuts
+    all_ = at.select(*keep, F.col("block").alias("one"), F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("two"), (F.coalesce("open", F.lit(False)) & (part == F.col("two"))).alias("open"))
+    more = at.where("open").select(*keep, F.explode(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: x != F.col("block"))).alias("one"), part.alias("two"), F.lit(True).alias("open"))
+    places = all_.withColumns({c: F.col(c).cast("int") for c in ("one", "two")}).unionByName(more.withColumns({c: F.col(c).cast("int") for c in ("one", "two")}))
+    return near.unionAll(_link(_with_texts(docs, places, ["one", "two"]), words, percent, 100))
 
 
 def classes(df: DataFrame, words: int = 5, percent: int = 80, doc: str = "doc_id", text: str = "text", key_members: int = KEY_MEMBERS, group_shingles: int = GROUP_SHINGLES) -> DataFrame:
@@ -325,26 +386,29 @@ def classes(df: DataFrame, words: int = 5, percent: int = 80, doc: str = "doc_id
     rows = stage_table(_sets(docs, words, index), "op1-sets")
     first = F.min(F.struct("doc_id", "text_hash", "sig", "n")).alias("f")
     items = rows.where("n > 0 AND doc_id IS NOT NULL").groupBy("set_a", "set_b").agg(first)
-    items = stage_table(items.select(F.xxhash64("set_a", "set_b").alias("node"), "set_a", "set_b", "f.*"), "op1-items")
+    items = stage_table(items.select(F.monotonically_increasing_id().alias("node"), "set_a", "set_b", "f.*"), "op1-items")  # numbers hold once they are written
 
     keys = _keys(items, index)
-    shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("node") % 1_000_000_007).alias("s"), F.min("node").alias("m")).where("n > 1")
-    shared = shared.groupBy("n", "s", "m").agg(F.min("key").alias("key")).select("key", "n")  # of keys with the same members one is enough
+    prints = [F.bit_xor(F.xxhash64("node", F.lit(i))).alias(f"p{i}") for i in (0, 1)]
+    shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("m"), *prints).where("n > 1")
+    shared = shared.groupBy("n", "m", "p0", "p1").agg(F.min("key").alias("key")).select("key", "n")  # of keys with the same members one is enough
     salts = F.ceil(F.col("n") / key_members)
     met = stage_table(keys.join(shared, "key").select("key", "node", "n", F.when(salts > 1, F.pmod(F.xxhash64("node"), salts)).otherwise(-1).cast("int").alias("salt")), "op1-members")
     known = met.groupBy("node").agg(F.sum("n").alias("weight")).join(items.select("node", "sig"), "node")
     edges = _tie(met, known, index)
     groups = stage_table(connected(edges, "op1-groups"), "op1-groups")
 
-    grouped = groups.join(items.select("node", "doc_id", "text_hash", "n"), "node")
-    blocks = grouped.groupBy("root").agg(F.ceil(2 * F.sum("n") / group_shingles).cast("int").alias("blocks")).select("root", F.when(F.col("blocks") <= 2, 1).otherwise(F.col("blocks")).alias("blocks"))
-    cut = bool(blocks.where("blocks > 1").limit(1).count())
-    places = grouped.join(blocks, "root").withColumn("block", F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks")).cast("int"))
-    places = places.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("blocks = 1 OR other != block")
-    places = places.select("node", F.col("root").alias("gid"), F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "doc_id", "text_hash")
-    texts = docs.join(places, ["doc_id", "text_hash"]).dropDuplicates(["doc_id", "text_hash", "node", "one", "two"])  # a row may be repeated
-    links = stage_table(_link(texts, words, percent, 100), "op1-linked")
-    roots = connected(links, "op1-links") if cut else links.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    grouped = groups.join(items.select("node", "doc_id", "text_hash", "n"), "node").join(known.select("node", "weight"), "node")
+    blocks = grouped.groupBy("root").agg(F.ceil(2 * F.sum("n") / group_shingles).cast("int").alias("blocks"))
+    blocks = stage_table(blocks, "op1-blocks")
+    fits = grouped.join(blocks.where("blocks <= 2").select("root"), "root", "left_semi")
+    places = fits.select("node", F.col("root").alias("gid"), F.lit(0).alias("one"), F.lit(0).alias("two"), "doc_id", "text_hash", F.lit(None).cast("boolean").alias("open"))
+    links = _link(_with_texts(docs, places, ["one", "two"]), words, percent, 100)
+    large = bool(blocks.where("blocks > 2").limit(1).count())
+    if large:
+        links = links.unionAll(_link_large(docs, grouped.join(blocks.where("blocks > 2"), "root"), words, percent, group_shingles))
+    links = stage_table(links, "op1-linked")
+    roots = connected(links, "op1-links") if large else links.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
     part = items.select("node", "set_a", "set_b", "doc_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     low = part.groupBy("root").agg(F.min("doc_id").alias("component"))

@@ -79,7 +79,7 @@ def brute_classes(rows, k, percent):
     return {d: (len(sets[d]), find(d)) for d in sets}
 
 
-@pytest.mark.parametrize("k,percent,limits", [(3, 85, {}), (5, 80, {"key_members": 3, "group_shingles": 400})])
+@pytest.mark.parametrize("k,percent,limits", [(3, 85, {}), (5, 80, {"key_members": 3, "group_shingles": 400}), (3, 85, {"group_shingles": 60})])
 def test_near_duplicate_classes(spark, k, percent, limits):
     rows = corpus(k)
     got = near_dedup.classes(spark.createDataFrame(rows, "doc_id long, text string"), k, percent, **limits).collect()
@@ -87,6 +87,16 @@ def test_near_duplicate_classes(spark, k, percent, limits):
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got)
 
 
+def test_links_of_large_groups(spark):
+    """A chain of texts, each near the next alone: nearly all members stay open after the hub."""
+    w = [f"w{i}" for i in range(400)]
+    rows = [(i + 1, " ".join(w[3 * i : 3 * i + 60])) for i in range(60)] + [(100 + i, " ".join(w[200:300] + [f"x{i}"])) for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for limits in ({"group_shingles": 300}, {"group_shingles": 90, "key_members": 2}, {}):
+        got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dedup.classes(df, 3, 85, **limits).collect()}
+        assert got == brute_classes(rows, 3, 85)
+
+
 def test_index_guarantees_its_distance():
     index = near_dedup.Index.for_similarity(0.85)
     r = np.random.default_rng(0)
