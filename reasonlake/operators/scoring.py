@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -101,6 +104,25 @@ def top_rules(loo: DataFrame, k: int = 5) -> DataFrame:
     return loo.orderBy(F.desc("delta"), "dropped").limit(k)
 
 
+#: What a policy is: the listed files (session_id, seq, path, bytes) that it keeps of all that are listed.
+Policy = Callable[[DataFrame], DataFrame]
+
+
+def first_listed(n: int) -> Policy:
+    """The first ``n`` files of each session's listings."""
+    own = Window.partitionBy("session_id").orderBy("seq")
+    return lambda listed: listed.withColumn("__n", F.row_number().over(own)).where(F.col("__n") <= n).drop("__n")
+
+
+def with_extension(*extensions: str) -> Policy:
+    return lambda listed: listed.where(reduce(lambda a, b: a | b, [F.col("path").endswith(e) for e in extensions]))
+
+
+def apply_policies(listed: DataFrame, policies: dict[str, Policy]) -> DataFrame:
+    """What each policy keeps, with its name in ``policy``."""
+    return reduce(DataFrame.unionByName, [keep(listed).withColumn("policy", F.lit(name)) for name, keep in policies.items()])
+
+
 def evaluate_policy(kept: DataFrame, opens: DataFrame, keys: list[str]) -> DataFrame:
     """Kept listings against opened paths: files, bytes, hits, recall, precision and overfetch against hits. Of repeated paths the last size counts (``seq``)."""
     n = opens.select("path").distinct().agg(F.count(F.lit(1)).alias("agent_opens"))

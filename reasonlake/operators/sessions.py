@@ -80,6 +80,13 @@ def thinking(blocks: DataFrame) -> DataFrame:
     return blocks.groupBy("session_id").agg(F.max(own).alias("has_thinking"), F.sum(F.when(own, F.length("text")).otherwise(0)).alias("thinking_chars"))
 
 
+def thinking_chars(blocks: DataFrame, deltas: DataFrame) -> DataFrame:
+    """(session_id, thinking_chars): characters of thinking blocks, or where a session's blocks have none, of its thinking deltas (session_id, delta)."""
+    own = thinking(blocks).select("session_id", F.nullif("thinking_chars", F.lit(0)).alias("a"))
+    said = deltas.groupBy("session_id").agg(F.sum(F.length("delta")).alias("b"))
+    return own.join(said, "session_id", "full").select("session_id", F.coalesce("a", "b", F.lit(0)).alias("thinking_chars"))
+
+
 def replay_turns(calls: DataFrame) -> DataFrame:
     """Per session and turn: shell seconds, those of killed calls (rc -9), and the implied stream time, at least the last delta. Calls: rc, seconds, duration_s, last_delta_s."""
     s = calls.groupBy("session_id", "turn").agg(F.sum("seconds").alias("shell_s"), F.sum(F.when(F.col("rc") == -9, F.col("seconds")).otherwise(0)).alias("killed_s"), F.max("duration_s").alias("duration_s"), F.max("last_delta_s").alias("last_delta_s"))

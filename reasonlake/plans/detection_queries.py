@@ -187,20 +187,14 @@ a as (select workload, cast(row_number() over (partition by workload order by pa
 
 def enrich_policies(spark, sf):
     """Listings are what a session viewed; policies keep all, the first three a session, one extension, or names that a list of good documents mentions."""
-    from pyspark.sql import Window
-
     name = F.concat(X.doc_path(), F.when(F.col("lang") == "en", ".csv").otherwise(""))
     docs = X.table(spark, sf, "documents").select("doc_id", name.alias("path"), F.col("n_chars").alias("bytes"))
     e = X.table(spark, sf, "events").select("event_type", F.col("user_id").alias("session_id"), F.col("event_id").alias("seq"), F.get_json_object("props", "$.k").cast("long").alias("doc_id")).join(docs, "doc_id")
     listed = e.where("event_type = 'view'").select("session_id", "seq", "path", "bytes")
     opens = e.where("event_type in ('click', 'signup')").select("path")
     tokens = X.table(spark, sf, "labels").where("quality = 1").select(F.concat(F.lit("DOC_"), F.col("doc_id").cast("string")).alias("token"))
-    first = listed.withColumn("r", F.row_number().over(Window.partitionBy("session_id").orderBy("seq"))).where("r <= 3").drop("r")
-    policies = {"all": listed, "cap_3": first, "csv": listed.where(F.col("path").endswith(".csv")), "mentioned": S.mentioned(listed, tokens)}
-    kept = None
-    for policy, rows in policies.items():
-        one = rows.withColumn("policy", F.lit(policy))
-        kept = one if kept is None else kept.unionByName(one)
+    policies = {"all": lambda x: x, "cap_3": S.first_listed(3), "csv": S.with_extension(".csv"), "mentioned": lambda x: S.mentioned(x, tokens)}
+    kept = S.apply_policies(listed, policies)
     out = S.evaluate_policy(kept, opens, ["policy"])
     return out.select("policy", "kept_files", "kept_bytes", "agent_opens", "hits", *[F.round(c, 4).alias(c) for c in ("recall", "precision", "byte_overfetch_vs_hits")])
 

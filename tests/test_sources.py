@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from reasonlake.functions import labels as L
 from reasonlake.operators import planning as N
 from reasonlake.operators import scoring as S
+from reasonlake.operators import sessions as E
 from reasonlake.plans import fixtures as X
 from reasonlake.sources import logs
 
@@ -193,6 +194,12 @@ def test_choices(spark):
     assert rows(staged, "path", "staged") == [("/a", True), ("/b", False)]
 
 
+def test_thinking_falls_back_to_deltas(spark):
+    b = spark.createDataFrame([("a", "thinking", "xyz"), ("b", "text", "x"), ("c", "thinking", "")], "session_id string, type string, text string")
+    d = spark.createDataFrame([("a", "no"), ("b", "12345"), ("d", "1"), ("d", None)], "session_id string, delta string")
+    assert rows(E.thinking_chars(b, d), "session_id", "thinking_chars") == [("a", 3), ("b", 5), ("c", 0), ("d", 1)]
+
+
 def test_literals_across_blocks_and_within_words(spark):
     b = spark.createDataFrame([("s", 0, "text", "see xal"), ("s", 1, "text", "ph"), ("s", 2, "thinking", "a.csv, betab"), ("t", 0, "tool_use", "alpha.csv"), ("t", 1, "text", "é😀beta")], "session_id string, block_seq int, type string, text string")
     p = spark.createDataFrame([("k", "/d/alpha.csv"), ("k", "/e/beta.txt"), ("k", "/e/q.txt")], "bucket string, path string")
