@@ -25,11 +25,15 @@ def provider_family(provider: Column, model: Column) -> Column:
 
 def model_key(model: Column) -> Column:
     m = F.lower(F.coalesce(model, F.lit("")))
-    return F.when(m.contains("claude-haiku"), "haiku").when(m.contains("claude-sonnet"), "sonnet").when(m.contains("gemini-2.5-flash") | m.contains("gemini-flash"), "flash").when(m.contains("qwen"), "qwen3")
+    return F.when(m.contains("claude-haiku"), "haiku").when(m.contains("claude-sonnet"), "sonnet").when(
+        m.contains("gemini-2.5-flash") | m.contains("gemini-flash"), "flash"
+    ).when(m.contains("qwen"), "qwen3")
 
 
 # Display names of models.
-MODEL_LABELS = {"claude-haiku-4-5": "Haiku", "claude-sonnet-4-5": "Sonnet", "gemini-2.5-flash": "Flash", "Qwen/Qwen3.6-27B": "Qwen"}
+MODEL_LABELS = {
+    "claude-haiku-4-5": "Haiku", "claude-sonnet-4-5": "Sonnet", "gemini-2.5-flash": "Flash", "Qwen/Qwen3.6-27B": "Qwen"
+}
 # Device classes of file-system types, types that hold no data, and prompt modes by bucket.
 FS_CLASSES = {
     "tmpfs": "memory", "ramfs": "memory", "devtmpfs": "memory", "nfs": "network", "nfs4": "network", "cifs": "network", "smb3": "network",
@@ -78,7 +82,10 @@ def projections(job_s: Column, io_s: Column) -> dict[str, Column]:
     """I/O share, speedup without I/O, and the total and speedup if every open came from the object store."""
     share = F.when(job_s > 0, io_s / job_s).otherwise(0.0)
     far = job_s - io_s + io_s * (OBJECT_OPEN_MS / NETWORK_OPEN_MS)
-    return {"io_frac": share, "elim_speedup": 1.0 / F.greatest(F.lit(1e-9), 1.0 - share), "far_total_s": far, "far_speedup": far / F.greatest(F.lit(1e-9), job_s - io_s)}
+    return {
+        "io_frac": share, "elim_speedup": 1.0 / F.greatest(F.lit(1e-9), 1.0 - share), "far_total_s": far,
+        "far_speedup": far / F.greatest(F.lit(1e-9), job_s - io_s)
+    }
 
 
 def is_well_defined(task: Column, excluded: tuple[str, ...]) -> Column:
@@ -116,7 +123,10 @@ def amdahl(cold: Column, staged: Column, cold_shell: Column, staged_shell: Colum
     io = F.when(shell > 1, F.greatest(F.lit(0.0), 1 - 1 / shell)).otherwise(0.0)
     rest = F.when(shell > 1, 1 - part * io * (1 - 1 / shell)).otherwise(1.0)
     ceiling = F.when(rest > 0, 1 / rest).otherwise(float("inf"))
-    return {"session_speedup": session, "shell_speedup": shell, "shell_share": part, "io_share": io, "ceiling": ceiling, "efficiency": F.when(rest > 0, session * rest).otherwise(0.0)}
+    return {
+        "session_speedup": session, "shell_speedup": shell, "shell_share": part, "io_share": io, "ceiling": ceiling,
+        "efficiency": F.when(rest > 0, session * rest).otherwise(0.0)
+    }
 
 
 def io_split(cold: Column, cold_shell: Column, read_bytes: Column, cold_bw: float, hot_bw: float) -> dict[str, Column]:

@@ -12,11 +12,16 @@ OUTPUT_PATHS = ("/output/", "/repo/result/")
 OUTPUT_KEYS = ("output_",)
 
 # File extensions that a listing may add to the inventory.
-LISTED = (".nc", ".csv", ".parquet", ".json", ".h5", ".hdf5", ".tsv", ".txt", ".md", ".bam", ".vcf", ".nwb", ".npy", ".npz", ".pkl")
+LISTED = (
+    ".nc", ".csv", ".parquet", ".json", ".h5", ".hdf5", ".tsv", ".txt", ".md", ".bam", ".vcf", ".nwb", ".npy", ".npz", ".pkl"
+)
 
 # Compressed forms in the order they are tried, and index files by primary suffix.
 CODECS = (".gz", ".zst", ".bz2", ".xz")
-COMPANIONS = {".bam": (".bai",), ".cram": (".crai",), ".vcf": (".tbi", ".csi"), ".bcf": (".csi",), ".fasta": (".fai",), ".fa": (".fai",), ".fastq": (".fai",)}
+COMPANIONS = {
+    ".bam": (".bai",), ".cram": (".crai",), ".vcf": (".tbi", ".csi"), ".bcf": (".csi",), ".fasta": (".fai",), ".fa": (".fai",),
+    ".fastq": (".fai",)
+}
 FALLBACK_RATIO = 4
 
 
@@ -49,7 +54,9 @@ def resolve(path: Column, prefixes: list[tuple[str, str]]) -> Column:
     """Path with the first matching logical prefix replaced; unchanged if none matches."""
     out = path
     for logical, real in reversed(prefixes):
-        out = F.when(path.startswith(logical), F.concat(F.lit(real), F.substring(path, len(logical) + 1, 2_000_000_000))).otherwise(out)
+        out = F.when(
+            path.startswith(logical), F.concat(F.lit(real), F.substring(path, len(logical) + 1, 2_000_000_000))
+        ).otherwise(out)
     return out
 
 
@@ -59,7 +66,9 @@ def resolve_under(path: Column, prefixes: list[tuple[str, str]], root: str) -> C
     cut = rel
     for logical, _ in reversed(prefixes):
         own = logical[len("/data/"):].rstrip("/")
-        cut = F.when(rel.startswith(own + "/"), F.substring(rel, len(own) + 2, 2_000_000_000)).when(rel == own, F.lit("")).otherwise(cut)
+        cut = F.when(
+            rel.startswith(own + "/"), F.substring(rel, len(own) + 2, 2_000_000_000)
+        ).when(rel == own, F.lit("")).otherwise(cut)
     base = root.rstrip("/")
     aliased = F.when(cut == "", F.lit(base)).otherwise(F.concat(F.lit(base + "/"), cut))
     known = _any([path.startswith(logical) for logical, _ in prefixes])
@@ -85,7 +94,9 @@ def listing_files(text: Column) -> Column:
 
 
 def listing_sizes(text: Column) -> Column:
-    return F.transform(F.regexp_extract_all(text, F.lit(r"(?m)^\s*FILE\s+\S+\s+\((\d+)\s+bytes\)\s*$"), 1), lambda x: x.cast("long"))
+    return F.transform(
+        F.regexp_extract_all(text, F.lit(r"(?m)^\s*FILE\s+\S+\s+\((\d+)\s+bytes\)\s*$"), 1), lambda x: x.cast("long")
+    )
 
 
 def path_tokens(text: Column) -> Column:
@@ -100,8 +111,12 @@ def path_tokens(text: Column) -> Column:
 
 
 def command_paths(commands: DataFrame, prior: DataFrame, prefixes: list[tuple[str, str]], command: str = "cmd") -> DataFrame:
-    """(session_id, path, real): logical paths that a shell command names and the prior has, with the real path; each once a session."""
-    raw = F.transform(F.regexp_extract_all(command, F.lit(r"/data/[A-Za-z0-9_./\-]+"), 0), lambda p: F.rtrim(p, F.lit(".,;:'\")")))
+    """(session_id, path, real): logical paths that a shell command names and the prior has, with the real path; each
+    once a session.
+    """
+    raw = F.transform(
+        F.regexp_extract_all(command, F.lit(r"/data/[A-Za-z0-9_./\-]+"), 0), lambda p: F.rtrim(p, F.lit(".,;:'\")"))
+    )
     named = commands.select("session_id", F.explode(F.array_distinct(raw)).alias("path")).distinct()
     known = named.join(prior.select("path").distinct(), "path", "left_semi")
     return known.select("session_id", "path", resolve(F.col("path"), prefixes).alias("real"))
@@ -119,7 +134,8 @@ def child_of(prefix: Column, path: Column) -> Column:
     return F.when(path.startswith(F.concat(norm, F.lit("/"))), F.split(F.substr(path, F.length(norm) + 2), "/")[0])
 
 
-# Buckets of competition files, by whole name, and by ending with a part of the name; the first that fits counts. No bucket: left out.
+# Buckets of competition files, by whole name, and by ending with a part of the name; the first that fits
+# counts. No bucket: left out.
 ROLE_NAMES = {"description.md": None, "sample_submission.csv": "sample_csv", "train.csv": "train_csv", "test.csv": "test_csv"}
 ROLE_ENDINGS = (
     (".csv", "", "extra_csv"), (".zip", "train", "train_zip"), (".zip", "test", "test_zip"), (".zip", "", "data_zip"),
@@ -151,18 +167,33 @@ def first_fit(tests: list[tuple[Column, str | None]]) -> Column:
 def role_bucket(name: Column) -> Column:
     """Bucket of a competition file by its name; null for descriptions and other files."""
     low = F.lower(name)
-    return first_fit([*((low == n, v) for n, v in ROLE_NAMES.items()), *((low.endswith(e) & low.contains(part), v) for e, part, v in ROLE_ENDINGS)])
+    return first_fit(
+        [
+            *((low == n, v) for n, v in ROLE_NAMES.items()),
+            *((low.endswith(e) & low.contains(part), v) for e, part, v in ROLE_ENDINGS)
+        ]
+    )
 
 
 def code_bucket(relative: Column) -> Column:
     """Bucket of a file of a code tree by its path below the root; null for others, caches and other kinds of files."""
     own = first_fit([(relative.startswith(p) if p.endswith("/") else relative == p, v) for p, v in CODE_BUCKETS])
-    return F.when(_any([relative.endswith(e) for e in CODE_ENDINGS]) & ~relative.contains("__pycache__") & ~relative.contains(".git"), own)
+    return F.when(
+        _any([relative.endswith(e) for e in CODE_ENDINGS]) & ~relative.contains("__pycache__") & ~relative.contains(".git"), own
+    )
 
 
 def csv_role(name: Column) -> Column:
     """Bucket of the files of a table task: train, test, sample and submission; null for others."""
-    return first_fit([(name == f"{f}.csv", v) for f, v in (("train", "train_csv"), ("test", "test_csv"), ("sample_submission", "sample_csv"), ("submission", "output_submission"))])
+    return first_fit(
+        [
+            (name == f"{f}.csv", v) for f,
+            v in (
+                ("train", "train_csv"), ("test", "test_csv"), ("sample_submission", "sample_csv"),
+                ("submission", "output_submission")
+            )
+        ]
+    )
 
 
 def csv_bucket(name: Column) -> Column:
@@ -176,7 +207,9 @@ def class_bucket(name: Column, classes: dict[str, str]) -> Column:
 
 
 def merged_prior(tasks: DataFrame, files: DataFrame, root: str) -> DataFrame:
-    """(bucket, path) of many tasks in one prior: for each task (task) its files (task, name) train.csv and test.csv, each in a bucket of its own, and all in one."""
+    """(bucket, path) of many tasks in one prior: for each task (task) its files (task, name) train.csv and test.csv,
+    each in a bucket of its own, and all in one.
+    """
     own = files.where(F.col("name").isin("train.csv", "test.csv")).join(tasks.select("task").distinct(), "task")
     path = F.concat(F.lit(root + "/"), "task", F.lit("/"), "name")
     bucket = F.concat(F.regexp_replace("name", r"\.csv$", "_"), F.translate("task", "-", "_"))
@@ -185,7 +218,10 @@ def merged_prior(tasks: DataFrame, files: DataFrame, root: str) -> DataFrame:
 
 def instance_buckets(path: Column) -> Column:
     """All buckets ``class_instance`` of a path: bands, days, detectors, samples, subjects, and months as ``month_YYYY-MM``."""
-    month = F.when(F.regexp_extract(path, MONTH, 1) != "", F.concat(F.lit("month_"), F.regexp_extract(path, MONTH, 1), F.lit("-"), F.regexp_extract(path, MONTH, 2)))
+    month = F.when(
+        F.regexp_extract(path, MONTH, 1) != "",
+        F.concat(F.lit("month_"), F.regexp_extract(path, MONTH, 1), F.lit("-"), F.regexp_extract(path, MONTH, 2))
+    )
     return F.array_compact(F.concat(pattern_buckets(path, INSTANCES), F.array(month)))
 
 
@@ -197,7 +233,10 @@ def group_bucket(relative: Column) -> Column:
 
 def pattern_buckets(path: Column, patterns: dict[str, str]) -> Column:
     """All buckets ``name_value`` of a path, one for each pattern whose first group matches."""
-    found = [F.when(F.regexp_extract(path, p, 1) != "", F.concat(F.lit(k + "_"), F.regexp_extract(path, p, 1))) for k, p in patterns.items()]
+    found = [
+        F.when(F.regexp_extract(path, p, 1) != "", F.concat(F.lit(k + "_"), F.regexp_extract(path, p, 1))) for k,
+        p in patterns.items()
+    ]
     return F.array_compact(F.array(*found))
 
 

@@ -49,7 +49,10 @@ def position_percentiles(df: DataFrame, group: list[str], value: str, asked: dic
 
 def medians(df: DataFrame, group: list[str], columns: list[str], prefix: str = "") -> DataFrame:
     """One row a group with the median of each column, null where a group has no value: all columns in one pass."""
-    each = df.select(*group, F.explode(F.array(*[F.struct(F.lit(c).alias("k"), F.col(c).cast("double").alias("v")) for c in columns])).alias("x")).select(*group, "x.*")
+    each = df.select(
+        *group,
+        F.explode(F.array(*[F.struct(F.lit(c).alias("k"), F.col(c).cast("double").alias("v")) for c in columns])).alias("x")
+    ).select(*group, "x.*")
     m = position_percentiles(each, [*group, "k"], "v", {"m": ("linear", 0.5)})
     return m.groupBy(*group).agg(*[F.max(F.when(F.col("k") == c, F.col("m"))).alias(prefix + c) for c in columns])
 

@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from ..functions import stats as T
 
 
-def pivot_modes(runs: DataFrame, keys: list[str], mode: str, value: str, modes: tuple[str, str] = ("cold", "staged")) -> DataFrame:
+def pivot_modes(
+    runs: DataFrame, keys: list[str], mode: str, value: str, modes: tuple[str, str] = ("cold", "staged")
+) -> DataFrame:
     """One row a key with the value of either mode; keys with one mode alone have a null."""
     return runs.groupBy(*keys).pivot(mode, list(modes)).agg(F.max(value))
 
@@ -20,18 +22,27 @@ def canonical(cells: DataFrame, wanted: DataFrame, on: list[str]) -> DataFrame:
 
 
 def speedup_block(cells: DataFrame, sets: list[list[str]], cold: str = "cold_amt", staged: str = "staged_amt") -> DataFrame:
-    """n, arithmetic, geometric and median mean, ratio of sums and maximum of cold / staged, for each grouping set; other keys are null.
+    """n, arithmetic, geometric and median mean, ratio of sums and maximum of cold / staged, for each grouping set;
+    other keys are null.
 
     Medians come from counts by value, as no buffer may hold the ratios of all cells.
     """
     cols = sorted({c for s in sets for c in s})
     kinds = dict(cells.dtypes)
-    own = [F.struct(F.lit(i).alias("__set"), *[(F.col(c) if c in s else F.lit(None).cast(kinds[c])).alias(c) for c in cols]) for i, s in enumerate(sets)]
+    own = [
+        F.struct(F.lit(i).alias("__set"), *[(F.col(c) if c in s else F.lit(None).cast(kinds[c])).alias(c) for c in cols]) for i,
+        s in enumerate(sets)
+    ]
     c, s = F.col(cold).cast("double"), F.col(staged).cast("double")
-    x = cells.select((c / s).alias("__x"), c.alias("__c"), s.alias("__s"), F.explode(F.array(*own)).alias("g")).select("g.*", "__x", "__c", "__s")
+    x = cells.select(
+        (c / s).alias("__x"), c.alias("__c"), s.alias("__s"), F.explode(F.array(*own)).alias("g")
+    ).select("g.*", "__x", "__c", "__s")
     gm = F.exp(F.avg(F.when(F.col("__x") > 0, F.log("__x"))))
     keys = ["__set", *cols]
-    main = x.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg("__x").alias("am"), gm.alias("gm"), (F.sum("__c") / F.sum("__s")).alias("agg"), F.max("__x").alias("max"))
+    main = x.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"), F.avg("__x").alias("am"), gm.alias("gm"), (F.sum("__c") / F.sum("__s")).alias("agg"),
+        F.max("__x").alias("max")
+    )
     med = T.position_percentiles(x, keys, "__x", {"med": ("linear", 0.5)}).withColumnsRenamed({k: f"__m_{k}" for k in keys})
     same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__m_{k}")) for k in keys])
     return main.join(med, same, "left").select(*cols, "n", "am", "gm", "med", "agg", "max")
@@ -42,29 +53,51 @@ def latest(runs: DataFrame, keys: list[str], order: list[Column], n: int = 3) ->
     return runs.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("rank") <= n)
 
 
-def cell_speedup(runs: DataFrame, keys: list[str], mode: str, value: str, order: list[Column], base: str, n: int = 3, least: int = 2, least_value: float = 5.0, rc: str | None = None) -> DataFrame:
-    """Median of the latest base runs over that of the latest others, with at least ``least`` on either side; shorter runs are left out, and with ``rc`` those that did not end with 0. ``saved`` is the difference."""
+def cell_speedup(
+    runs: DataFrame, keys: list[str], mode: str, value: str, order: list[Column], base: str, n: int = 3, least: int = 2,
+    least_value: float = 5.0, rc: str | None = None
+) -> DataFrame:
+    """Median of the latest base runs over that of the latest others, with at least ``least`` on either side; shorter
+    runs are left out, and with ``rc`` those that did not end with 0. ``saved`` is the difference.
+    """
     fine = runs.where(F.col(value) >= least_value) if rc is None else runs.where((F.col(value) >= least_value) & (F.col(rc) == 0))
     kept = latest(fine.withColumn("__base", F.col(mode) == base), [*keys, "__base"], order, n)
     side = lambda b, f: f(F.when(F.col("__base") == b, F.col(value)))
     med = lambda c: F.percentile(c, 0.5)  # noqa: E731 - of at most n runs
-    g = kept.groupBy(*keys).agg(side(True, F.count).alias("n_base"), side(False, F.count).alias("n_other"), side(True, med).alias("base"), side(False, med).alias("other"))
-    g = g.where((F.col("n_base") >= least) & (F.col("n_other") >= least)).withColumns({"speedup": F.col("base") / F.col("other"), "saved": F.col("base") - F.col("other")})
-    return g.withColumn("outcome", F.when(F.col("speedup") >= 1.20, "win").when(F.col("speedup") < 0.85, "loss").otherwise("even"))
+    g = kept.groupBy(*keys).agg(
+        side(True, F.count).alias("n_base"), side(False, F.count).alias("n_other"), side(True, med).alias("base"),
+        side(False, med).alias("other")
+    )
+    g = g.where((F.col("n_base") >= least) & (F.col("n_other") >= least)).withColumns(
+        {"speedup": F.col("base") / F.col("other"), "saved": F.col("base") - F.col("other")}
+    )
+    return g.withColumn(
+        "outcome", F.when(F.col("speedup") >= 1.20, "win").when(F.col("speedup") < 0.85, "loss").otherwise("even")
+    )
 
 
 def rep_medians(runs: DataFrame, keys: list[str], mode: str, value: str, rc: str, base: str) -> DataFrame:
-    """Upper medians of the runs of either side that ended with 0, their ratio and the seconds saved; null where a side has none."""
+    """Upper medians of the runs of either side that ended with 0, their ratio and the seconds saved; null where a side
+    has none.
+    """
     r = runs.where(F.col(rc) == 0).withColumn("__side", F.when(F.col(mode) == base, "base").otherwise("other"))
     m = T.position_percentiles(r, [*keys, "__side"], value, {"m": ("upper_median", 0.5)})
-    p = m.groupBy(*keys).agg(F.max(F.when(F.col("__side") == "base", F.col("m"))).alias("base"), F.max(F.when(F.col("__side") == "other", F.col("m"))).alias("other"))
+    p = m.groupBy(*keys).agg(
+        F.max(F.when(F.col("__side") == "base", F.col("m"))).alias("base"),
+        F.max(F.when(F.col("__side") == "other", F.col("m"))).alias("other")
+    )
     return p.withColumns({"speedup": F.try_divide("base", "other"), "saved": F.col("base") - F.col("other")})
 
 
 def efficiency_fit(cells: DataFrame, observed: str, ceiling: str, keys: list[str], least: int = 3) -> DataFrame:
     """Pearson r, its square and the mean efficiency over finite pairs; keys with fewer pairs are left out."""
-    fine = cells.where(F.col(observed).isNotNull() & F.col(ceiling).isNotNull() & (F.abs(F.col(ceiling)) != float("inf")) & ~F.isnan(ceiling))
-    g = fine.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.corr(observed, ceiling).alias("r"), F.avg(F.col(observed) / F.col(ceiling)).alias("efficiency"))
+    fine = cells.where(
+        F.col(observed).isNotNull() & F.col(ceiling).isNotNull() & (F.abs(F.col(ceiling)) != float("inf")) & ~F.isnan(ceiling)
+    )
+    g = fine.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"), F.corr(observed, ceiling).alias("r"),
+        F.avg(F.col(observed) / F.col(ceiling)).alias("efficiency")
+    )
     return g.where(F.col("n") >= least).withColumn("r2", F.col("r") * F.col("r"))
 
 
@@ -82,14 +115,21 @@ def median_row(runs: DataFrame, keys: list[str], value: str, tie: str) -> DataFr
 
 
 def best_baseline(runs: DataFrame, keys: list[str], least: float, most_kills: int) -> DataFrame:
-    """For each key the run with most rc-0 seconds among those submitted, with few kills and enough seconds; ties go to the smaller run."""
+    """For each key the run with most rc-0 seconds among those submitted, with few kills and enough seconds; ties go to
+    the smaller run.
+    """
     fit = runs.where(F.col("submitted") & (F.col("n_kills") <= most_kills) & (F.col("rc0_s") >= least))
-    return fit.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("rc0_s"), "run"))).where("__n = 1").drop("__n")
+    return fit.withColumn(
+        "__n", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("rc0_s"), "run"))
+    ).where("__n = 1").drop("__n")
 
 
 def bandwidth_rollup(samples: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Mean, extremes, sample deviation (0 for one sample) and milliseconds for 4 MiB at the mean."""
-    g = samples.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"), F.min(value).alias("min"), F.max(value).alias("max"), F.coalesce(F.stddev_samp(value), F.lit(0.0)).alias("sd"))
+    g = samples.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"), F.min(value).alias("min"), F.max(value).alias("max"),
+        F.coalesce(F.stddev_samp(value), F.lit(0.0)).alias("sd")
+    )
     return g.withColumn("ms_per_4mib", F.try_divide(F.lit(4000.0), F.col("mean")))
 
 
@@ -102,7 +142,9 @@ def monotonic(points: DataFrame, keys: list[str], x: str, y: str, tolerance: flo
     """Whether y never falls by more than the tolerance as x grows, and whether its largest is ``spread`` times its smallest."""
     prev = F.lag(y).over(Window.partitionBy(*keys).orderBy(x))
     ok = points.withColumn("__ok", F.coalesce(F.col(y) >= prev * (1 - tolerance), F.lit(True)))
-    return ok.groupBy(*keys).agg(F.bool_and("__ok").alias("monotonic"), F.coalesce(F.max(y) >= spread * F.min(y), F.lit(False)).alias("spread"))
+    return ok.groupBy(*keys).agg(
+        F.bool_and("__ok").alias("monotonic"), F.coalesce(F.max(y) >= spread * F.min(y), F.lit(False)).alias("spread")
+    )
 
 
 def attributed(cells: DataFrame, saved: str, base: str, staged: str) -> DataFrame:
@@ -111,7 +153,9 @@ def attributed(cells: DataFrame, saved: str, base: str, staged: str) -> DataFram
 
 
 def ecdf(df: DataFrame, keys: list[str], value: str, least: int = 1) -> DataFrame:
-    """Each distinct value with the share of rows at or below it; keys with few rows are left out. Counts come before the running sum, so ties and large groups are cheap."""
+    """Each distinct value with the share of rows at or below it; keys with few rows are left out. Counts come before
+    the running sum, so ties and large groups are cheap.
+    """
     n = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
     own = Window.partitionBy(*keys)
     run = n.withColumns({"__total": F.sum("n").over(own), "__upto": F.sum("n").over(own.orderBy(value))})
@@ -120,7 +164,9 @@ def ecdf(df: DataFrame, keys: list[str], value: str, least: int = 1) -> DataFram
 
 def ks_statistic(df: DataFrame, keys: list[str], side: str, one: str, other: str, value: str) -> DataFrame:
     """Largest distance between the ECDFs of two sides."""
-    n = df.where(F.col(side).isin(one, other) & F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.when(F.col(side) == one, 1)).alias("a"), F.count(F.when(F.col(side) == other, 1)).alias("b"))
+    n = df.where(F.col(side).isin(one, other) & F.col(value).isNotNull()).groupBy(*keys, value).agg(
+        F.count(F.when(F.col(side) == one, 1)).alias("a"), F.count(F.when(F.col(side) == other, 1)).alias("b")
+    )
     own = Window.partitionBy(*keys)
     up = own.orderBy(value)
     d = n.select(*keys, F.abs(F.sum("a").over(up) / F.sum("a").over(own) - F.sum("b").over(up) / F.sum("b").over(own)).alias("d"))

@@ -18,14 +18,26 @@ MOST_RULES = 20_000
 MOST_WIDTH = 2_000
 
 # Bucket-name prefixes and their class labels, in order.
-CLASS_PREFIXES = ("sample", "subject", "band", "channel", "detector", "scene", "files", "train", "test", "day", "month", "year", "session", "trial")
+CLASS_PREFIXES = (
+    "sample", "subject", "band", "channel", "detector", "scene", "files", "train", "test", "day", "month", "year", "session",
+    "trial"
+)
 # File-format words looked for in task texts, in order.
-FORMAT_WORDS = ("NetCDF", "netCDF", "netcdf", "nc", "BAM", "bam", "BAI", "bai", "BAS", "bas", "NWB", "nwb", "VCF", "vcf", "CSV", "csv", "Parquet", "parquet", "HDF5", "hdf5", "h5", "Zarr", "zarr", "FITS", "fits", "GeoTIFF", "tiff", "tif", "JSON", "json", "NPY", "npy")
+FORMAT_WORDS = (
+    "NetCDF", "netCDF", "netcdf", "nc", "BAM", "bam", "BAI", "bai", "BAS", "bas", "NWB", "nwb", "VCF", "vcf", "CSV", "csv",
+    "Parquet", "parquet", "HDF5", "hdf5", "h5", "Zarr", "zarr", "FITS", "fits", "GeoTIFF", "tiff", "tif", "JSON", "json", "NPY",
+    "npy"
+)
 # Names of buckets that hold everything, in order of preference.
 AGGREGATES = ("all_files", "all_samples", "all_subjects", "all_bands", "all_sessions")
 # Patterns of the general rules around the format words, and of the report rule.
-FIRST_INSPECT = (r"(?:first|one|single|sample|representative).{0,30}(?:", r")|\bstart with\b|\bbegin with\b|inspect.{0,20}(?:one|a single|first)")
-ALL_SIGNAL = (r"(?:all|each|every).{0,30}(?:", r")|iterate.{0,40}(?:", r")|(?:the )?(?:entire|whole|complete) (?:dataset|workspace|corpus)")
+FIRST_INSPECT = (
+    r"(?:first|one|single|sample|representative).{0,30}(?:",
+    r")|\bstart with\b|\bbegin with\b|inspect.{0,20}(?:one|a single|first)"
+)
+ALL_SIGNAL = (
+    r"(?:all|each|every).{0,30}(?:", r")|iterate.{0,40}(?:", r")|(?:the )?(?:entire|whole|complete) (?:dataset|workspace|corpus)"
+)
 REPORT = r"report\.md|report markdown"
 OUTPUT_FILE = r"(?i)[A-Za-z0-9_\-./]+\.(?:csv|md|png|parquet|json|txt|tsv|h5|nc)\b"
 
@@ -50,16 +62,26 @@ def instance_pattern(label: Column, instance: Column) -> Column:
     esc, digits = re_escape(instance), instance.rlike("^[0-9]+$")
     bare = F.coalesce(F.nullif(F.ltrim(instance, F.lit("0")), F.lit("")), F.lit("0"))
     padded = digits & instance.startswith("0") & (F.length(instance) > 1)
-    with_class = F.when(label != "", F.concat(F.lit(r"\b"), label, F.when(padded, F.concat(F.lit("[- _]?0?"), bare)).otherwise(F.concat(F.lit("[- _]?"), esc)), F.lit(r"\b")))
+    with_class = F.when(
+        label != "",
+        F.concat(
+            F.lit(r"\b"), label, F.when(padded, F.concat(F.lit("[- _]?0?"), bare)).otherwise(F.concat(F.lit("[- _]?"), esc)),
+            F.lit(r"\b")
+        )
+    )
     tail = F.regexp_extract(instance, "^[^-]*-(.*)$", 1)
     hyphen = instance.contains("-") & ~F.substring(instance, 1, 1).rlike("[0-9]") & (F.length(tail) >= 3)
-    alone = F.when(hyphen, F.concat(F.lit(r"\b(?:"), esc, F.lit("|"), re_escape(tail), F.lit(r")\b"))).otherwise(F.concat(F.lit(r"\b"), esc, F.lit(r"\b")))
+    alone = F.when(
+        hyphen, F.concat(F.lit(r"\b(?:"), esc, F.lit("|"), re_escape(tail), F.lit(r")\b"))
+    ).otherwise(F.concat(F.lit(r"\b"), esc, F.lit(r"\b")))
     part = F.when(label.isin("day", "month", "year", "session") & digits, F.concat(F.lit("/"), esc, F.lit("/")))
     return F.concat_ws("|", with_class, alone, part)
 
 
 def format_alternation(task: Column) -> Column:
-    """Format words in a task text, found by plain substring, first spelling of each kept, and the word file; only that if there are none."""
+    """Format words in a task text, found by plain substring, first spelling of each kept, and the word file; only that
+    if there are none.
+    """
     found = F.array_compact(F.array(*[F.when(task.contains(w), F.lit(w)) for w in FORMAT_WORDS]))
     once = F.filter(found, lambda w, i: ~F.exists(F.slice(found, 1, i), lambda o: F.lower(o) == F.lower(w)))
     return F.concat_ws("|", once, F.lit("file"))
@@ -72,26 +94,64 @@ def auto_rules(workloads: DataFrame, buckets: DataFrame) -> DataFrame:
     pattern, target_keys and origin: general rules, one for each bucket, output signals and the report
     rule, which stages nothing. One group of bucket names a workload, no loops.
     """
-    keys = buckets.groupBy("workload").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "bucket"))), lambda x: x.bucket).alias("keys"))
+    keys = buckets.groupBy("workload").agg(
+        F.transform(F.sort_array(F.collect_list(F.struct("pos", "bucket"))), lambda x: x.bucket).alias("keys")
+    )
     w = workloads.join(keys, "workload")
     k = F.col("keys")
-    named = F.coalesce(*[F.when(F.array_contains(k, a), F.lit(a)) for a in AGGREGATES], F.get(F.filter(k, lambda x: x.startswith("all_")), F.lit(0)))
-    w = w.withColumns({"alt": format_alternation(F.col("task")), "all_key": named, "files": F.array_distinct(F.regexp_extract_all("task", F.lit(OUTPUT_FILE), 0))})
+    named = F.coalesce(
+        *[F.when(F.array_contains(k, a), F.lit(a)) for a in AGGREGATES],
+        F.get(F.filter(k, lambda x: x.startswith("all_")), F.lit(0))
+    )
+    w = w.withColumns(
+        {
+            "alt": format_alternation(F.col("task")), "all_key": named,
+            "files": F.array_distinct(F.regexp_extract_all("task", F.lit(OUTPUT_FILE), 0))
+        }
+    )
     none = F.array().cast("array<string>")
-    first_keys = F.when(F.array_contains(k, "first_file"), F.array(F.lit("first_file"))).when(F.array_contains(k, "all_files"), F.array(F.lit("all_files"))).when(F.col("all_key").isNotNull(), F.array("all_key")).otherwise(none)
-    first = w.select("workload", F.lit(0).alias("part"), F.lit(0).alias("pos"), F.lit("first_inspect").alias("name"), F.concat(F.lit(FIRST_INSPECT[0]), "alt", F.lit(FIRST_INSPECT[1])).alias("pattern"), first_keys.alias("target_keys"))
-    every = w.where("all_key is not null").select("workload", F.lit(1).alias("part"), F.lit(0).alias("pos"), F.lit("all_signal").alias("name"), F.concat(F.lit(ALL_SIGNAL[0]), "alt", F.lit(ALL_SIGNAL[1]), "alt", F.lit(ALL_SIGNAL[2])).alias("pattern"), F.array("all_key").alias("target_keys"))
+    first_keys = F.when(
+        F.array_contains(k, "first_file"), F.array(F.lit("first_file"))
+    ).when(
+        F.array_contains(k, "all_files"), F.array(F.lit("all_files"))
+    ).when(F.col("all_key").isNotNull(), F.array("all_key")).otherwise(none)
+    first = w.select(
+        "workload", F.lit(0).alias("part"), F.lit(0).alias("pos"), F.lit("first_inspect").alias("name"),
+        F.concat(F.lit(FIRST_INSPECT[0]), "alt", F.lit(FIRST_INSPECT[1])).alias("pattern"), first_keys.alias("target_keys")
+    )
+    every = w.where("all_key is not null").select(
+        "workload", F.lit(1).alias("part"), F.lit(0).alias("pos"), F.lit("all_signal").alias("name"),
+        F.concat(F.lit(ALL_SIGNAL[0]), "alt", F.lit(ALL_SIGNAL[1]), "alt", F.lit(ALL_SIGNAL[2])).alias("pattern"),
+        F.array("all_key").alias("target_keys")
+    )
     each = w.select("workload", "files", F.posexplode("keys").alias("pos", "key"))
     label, instance = class_and_instance(F.col("key"))
     once = Window.partitionBy("workload", "key").orderBy("pos")
-    own = each.where(~F.col("key").rlike("^(output_|all_|first_)") & (instance != "")).withColumn("__n", F.row_number().over(once)).where("__n = 1")
-    own = own.select("workload", F.lit(2).alias("part"), "pos", F.col("key").alias("name"), instance_pattern(label, instance).alias("pattern"), F.array("key").alias("target_keys"))
+    own = each.where(
+        ~F.col("key").rlike("^(output_|all_|first_)") & (instance != "")
+    ).withColumn("__n", F.row_number().over(once)).where("__n = 1")
+    own = own.select(
+        "workload", F.lit(2).alias("part"), "pos", F.col("key").alias("name"), instance_pattern(label, instance).alias("pattern"),
+        F.array("key").alias("target_keys")
+    )
     suffix = F.substring("key", len("output_") + 1, 1_000_000)
     named_files = F.filter("files", lambda f: F.contains(F.lower(f), suffix) | F.lower(f).endswith(F.concat(F.lit("."), suffix)))
-    output = each.where(F.col("key").startswith("output_")).select("workload", F.lit(3).alias("part"), "pos", F.concat("key", F.lit("_signal")).alias("name"), F.when(F.size(named_files) > 0, F.array_join(F.transform(named_files, re_escape), "|")).otherwise(F.concat(F.lit(r"\."), re_escape(suffix), F.lit(r"\b"))).alias("pattern"), F.array("key").alias("target_keys"))
-    report = w.select("workload", F.lit(4).alias("part"), F.lit(0).alias("pos"), F.lit("report_out").alias("name"), F.lit(REPORT).alias("pattern"), none.alias("target_keys"))
+    output = each.where(F.col("key").startswith("output_")).select(
+        "workload", F.lit(3).alias("part"), "pos", F.concat("key", F.lit("_signal")).alias("name"),
+        F.when(
+            F.size(named_files) > 0, F.array_join(F.transform(named_files, re_escape), "|")
+        ).otherwise(F.concat(F.lit(r"\."), re_escape(suffix), F.lit(r"\b"))).alias("pattern"),
+        F.array("key").alias("target_keys")
+    )
+    report = w.select(
+        "workload", F.lit(4).alias("part"), F.lit(0).alias("pos"), F.lit("report_out").alias("name"),
+        F.lit(REPORT).alias("pattern"), none.alias("target_keys")
+    )
     rules = first.unionByName(every).unionByName(own).unionByName(output).unionByName(report)
-    return rules.select("workload", (F.row_number().over(Window.partitionBy("workload").orderBy("part", "pos")) - 1).alias("ord"), "name", "pattern", "target_keys", F.lit("auto").alias("origin"))
+    return rules.select(
+        "workload", (F.row_number().over(Window.partitionBy("workload").orderBy("part", "pos")) - 1).alias("ord"), "name",
+        "pattern", "target_keys", F.lit("auto").alias("origin")
+    )
 
 
 def filter_origin(rules: DataFrame, dropped: list[str]) -> DataFrame:
@@ -162,7 +222,9 @@ def folded(text: Column) -> Column:
 
 
 def most_width(pattern: str) -> int | None:
-    """The longest match in characters, where a match depends on its own characters alone; null if it has no bound, or looks at what is around it."""
+    """The longest match in characters, where a match depends on its own characters alone; null if it has no bound, or
+    looks at what is around it.
+    """
     tree = parsed(pattern)
     if tree is None:
         return None
@@ -224,7 +286,9 @@ def matches(blocks: DataFrame, rules: DataFrame) -> DataFrame:
 def transcript(blocks: DataFrame) -> DataFrame:
     """Scanned blocks with ``char_base``, the code points of the session before each, in order."""
     before = Window.partitionBy("session_id").orderBy("block_seq").rowsBetween(Window.unboundedPreceding, -1)
-    return blocks.where(F.col("type").isin(*SCANNED) & (F.col("text") != "")).withColumn("char_base", F.coalesce(F.sum(F.length("text")).over(before), F.lit(0)))
+    return blocks.where(F.col("type").isin(*SCANNED) & (F.col("text") != "")).withColumn(
+        "char_base", F.coalesce(F.sum(F.length("text")).over(before), F.lit(0))
+    )
 
 
 def transcript_matches(blocks: DataFrame, rules: DataFrame) -> DataFrame:
@@ -273,7 +337,9 @@ def first_fire(found: DataFrame) -> DataFrame:
 
 def fired_at(t_first: Column, t_stop: Column, done: Column, length: Column) -> Column:
     """Time of a position in a block, linear between its first and last delta; the known end if one is missing."""
-    return F.when(t_first.isNull(), t_stop).when(t_stop.isNull(), t_first).otherwise(t_first + (t_stop - t_first) * done / F.greatest(F.lit(1), length))
+    return F.when(t_first.isNull(), t_stop).when(t_stop.isNull(), t_first).otherwise(
+        t_first + (t_stop - t_first) * done / F.greatest(F.lit(1), length)
+    )
 
 
 def target_sizes(rules: DataFrame, prior: DataFrame, bounds: tuple[int, int] = OFFLINE) -> DataFrame:
@@ -284,13 +350,19 @@ def target_sizes(rules: DataFrame, prior: DataFrame, bounds: tuple[int, int] = O
 
 
 def tier_files(fired: DataFrame, sizes: DataFrame, prior: DataFrame, upto: int) -> DataFrame:
-    """(session_id, path, bytes) of the rules of a tier up to ``upto``. Tier 1 holds few files a rule; for higher ones ask for mixes instead."""
-    keys = fired.join(sizes.where(F.col("tier") <= upto).select("name"), "name").select("session_id", F.explode("target_keys").alias("bucket")).distinct()
+    """(session_id, path, bytes) of the rules of a tier up to ``upto``. Tier 1 holds few files a rule; for higher ones
+    ask for mixes instead.
+    """
+    keys = fired.join(
+        sizes.where(F.col("tier") <= upto).select("name"), "name"
+    ).select("session_id", F.explode("target_keys").alias("bucket")).distinct()
     return keys.join(prior.select("bucket", "path", "bytes"), "bucket").select("session_id", "path", "bytes").distinct()
 
 
 def mixes(fired: DataFrame, sizes: DataFrame) -> DataFrame:
-    """(session_id, mix): the sorted (tier, bucket) pairs that a session's rules point to. Many sessions have the same mix, so files are counted once a mix."""
+    """(session_id, mix): the sorted (tier, bucket) pairs that a session's rules point to. Many sessions have the same
+    mix, so files are counted once a mix.
+    """
     own = fired.join(sizes.select("name", "tier"), "name").select("session_id", "tier", F.explode("target_keys").alias("bucket"))
     return own.groupBy("session_id").agg(F.sort_array(F.collect_set(F.struct("tier", "bucket"))).alias("mix"))
 
@@ -298,17 +370,23 @@ def mixes(fired: DataFrame, sizes: DataFrame) -> DataFrame:
 def mix_files(of: DataFrame, prior: DataFrame) -> DataFrame:
     """(mix, path, bytes, tier): each file of each distinct mix, in its lowest tier."""
     keys = of.select("mix").distinct().select("mix", F.inline("mix"))
-    return keys.join(prior.select("bucket", "path", "bytes"), "bucket").groupBy("mix", "path", "bytes").agg(F.min("tier").alias("tier"))
+    return keys.join(
+        prior.select("bucket", "path", "bytes"), "bucket"
+    ).groupBy("mix", "path", "bytes").agg(F.min("tier").alias("tier"))
 
 
 def tier_times(fired: DataFrame, sizes: DataFrame) -> DataFrame:
     """Earliest firing of each session's rules, by their own tier."""
     at = lambda k: F.min(F.when(F.col("tier") == k, F.col("t_first")))
-    return fired.join(sizes.select("name", "tier"), "name").groupBy("session_id").agg(at(1).alias("t_tier_1"), at(2).alias("t_tier_2"), at(3).alias("t_tier_3"))
+    return fired.join(sizes.select("name", "tier"), "name").groupBy("session_id").agg(
+        at(1).alias("t_tier_1"), at(2).alias("t_tier_2"), at(3).alias("t_tier_3")
+    )
 
 
 def reach_of(pattern: str) -> int | None:
-    """How far back from a prefix's end a match may start that no shorter prefix has; null without a bound. Borders of words and ends are seen from the prefix, look-ahead isn't."""
+    """How far back from a prefix's end a match may start that no shorter prefix has; null without a bound. Borders of
+    words and ends are seen from the prefix, look-ahead isn't.
+    """
     tree = parsed(pattern)
     if tree is None or re.search(r"\(\?<?[=!]|\(\?\(", pattern):
         return None
@@ -362,6 +440,11 @@ def prefix_fire(blocks: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
                     out.append((b.session_id, name, b.block_seq, b.turn, b.type, at))
         return pd.DataFrame(out, columns=["session_id", "name", "block_seq", "turn", "type", "first_known_at"])
 
-    told = blocks.where(F.col("type").isin(*SCANNED) & (F.col("text") != "")).select("session_id", "block_seq", "turn", "type", "text")
+    told = blocks.where(
+        F.col("type").isin(*SCANNED) & (F.col("text") != "")
+    ).select("session_id", "block_seq", "turn", "type", "text")
     kinds = dict(told.dtypes)
-    return told.groupBy("session_id").applyInPandas(session, f"session_id {kinds['session_id']}, name string, block_seq {kinds['block_seq']}, turn {kinds['turn']}, type string, first_known_at long")
+    return told.groupBy("session_id").applyInPandas(
+        session,
+        f"session_id {kinds['session_id']}, name string, block_seq {kinds['block_seq']}, turn {kinds['turn']}, type string, first_known_at long"
+    )

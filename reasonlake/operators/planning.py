@@ -32,19 +32,31 @@ def placement(files: DataFrame, keys: list[str], order: str, capacity: int, path
     return kept.mapInArrow(batches, T.StructType([*kept.schema.fields, T.StructField("primary", T.BooleanType())]))
 
 
-def retention(files: DataFrame, keys: list[str], order: list[str], to_free: Column, size: str = "bytes", protected: Column | None = None) -> DataFrame:
-    """Files to evict, oldest access first, until enough bytes are freed: each file has evict and, for its key, possible. Protected files stay."""
+def retention(
+    files: DataFrame, keys: list[str], order: list[str], to_free: Column, size: str = "bytes", protected: Column | None = None
+) -> DataFrame:
+    """Files to evict, oldest access first, until enough bytes are freed: each file has evict and, for its key,
+    possible. Protected files stay.
+    """
     free = files if protected is None else files.where(~protected)
     own = Window.partitionBy(*keys)
     before = own.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    need = free.withColumns({"__before": F.coalesce(F.sum(size).over(before), F.lit(0)), "__all": F.sum(size).over(own), "__need": to_free})
-    return need.withColumns({"evict": F.col("__before") < F.col("__need"), "possible": F.col("__all") >= F.col("__need")}).drop("__before", "__all", "__need")
+    need = free.withColumns(
+        {"__before": F.coalesce(F.sum(size).over(before), F.lit(0)), "__all": F.sum(size).over(own), "__need": to_free}
+    )
+    return need.withColumns(
+        {"evict": F.col("__before") < F.col("__need"), "possible": F.col("__all") >= F.col("__need")}
+    ).drop("__before", "__all", "__need")
 
 
 def cap_per_rule(requests: DataFrame, keys: list[str], rule_order: str, path: str, cap: int) -> DataFrame:
     """At most ``cap`` paths a rule; a path goes to the first rule that asks for it."""
-    first = requests.withColumn("__n", F.row_number().over(Window.partitionBy(*keys, path).orderBy(rule_order))).where("__n = 1").drop("__n")
-    return first.withColumn("rank", F.row_number().over(Window.partitionBy(*keys, rule_order).orderBy(path))).where(F.col("rank") <= cap)
+    first = requests.withColumn(
+        "__n", F.row_number().over(Window.partitionBy(*keys, path).orderBy(rule_order))
+    ).where("__n = 1").drop("__n")
+    return first.withColumn(
+        "rank", F.row_number().over(Window.partitionBy(*keys, rule_order).orderBy(path))
+    ).where(F.col("rank") <= cap)
 
 
 def directory_policy(files: DataFrame, directory: str, path: str, most: int, sample: int) -> DataFrame:
@@ -57,8 +69,12 @@ def directory_policy(files: DataFrame, directory: str, path: str, most: int, sam
 def tier_roles(tiers: DataFrame) -> DataFrame:
     """Tiers by first-byte latency: the fastest is hot, the slowest cold, the others warm."""
     own = Window.partitionBy(F.lit(0))  # a few mounts
-    r = tiers.withColumns({"rank": F.row_number().over(own.orderBy("first_byte_ms", "mount")), "__n": F.count(F.lit(1)).over(own)})
-    return r.withColumn("role", F.when(F.col("rank") == 1, "hot").when(F.col("rank") == F.col("__n"), "cold").otherwise("warm")).drop("__n")
+    r = tiers.withColumns(
+        {"rank": F.row_number().over(own.orderBy("first_byte_ms", "mount")), "__n": F.count(F.lit(1)).over(own)}
+    )
+    return r.withColumn(
+        "role", F.when(F.col("rank") == 1, "hot").when(F.col("rank") == F.col("__n"), "cold").otherwise("warm")
+    ).drop("__n")
 
 
 def ordered_dedup(df: DataFrame, keys: list[str], value: str, order: str) -> DataFrame:
@@ -80,9 +96,14 @@ def top_up(seen: DataFrame, truth: DataFrame, key: str, order: str, least: int =
     """Seen paths in order; a key with fewer than ``least`` gets up to ``most`` of its other true paths after them."""
     s = ordered_dedup(seen, [key], "path", order)
     n = s.groupBy(key).agg(F.count(F.lit(1)).alias("__n"))
-    more = truth.select(key, "path").distinct().join(s.select(key, "path"), [key, "path"], "left_anti").join(n, key, "left").where(F.coalesce("__n", F.lit(0)) < least)
+    more = truth.select(key, "path").distinct().join(
+        s.select(key, "path"), [key, "path"], "left_anti"
+    ).join(n, key, "left").where(F.coalesce("__n", F.lit(0)) < least)
     more = more.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy("path"))).where(F.col("rank") <= most)
-    return s.select(key, "path", F.lit("seen").alias("origin"), F.row_number().over(Window.partitionBy(key).orderBy(order, "path")).alias("rank")).unionByName(more.select(key, "path", F.lit("truth").alias("origin"), "rank"))
+    return s.select(
+        key, "path", F.lit("seen").alias("origin"),
+        F.row_number().over(Window.partitionBy(key).orderBy(order, "path")).alias("rank")
+    ).unionByName(more.select(key, "path", F.lit("truth").alias("origin"), "rank"))
 
 
 def staged_paths(wanted: DataFrame, hot: DataFrame, roots: list[str]) -> DataFrame:
@@ -90,7 +111,9 @@ def staged_paths(wanted: DataFrame, hot: DataFrame, roots: list[str]) -> DataFra
     from ..functions.paths import mirror
 
     named = wanted.select("path", F.explode(F.array(*[mirror(r, F.col("path")) for r in roots])).alias("__m")).distinct()
-    found = named.join(hot.select(F.col("path").alias("__m")).distinct(), "__m", "left_semi").select("path").distinct().withColumn("staged", F.lit(True))
+    found = named.join(
+        hot.select(F.col("path").alias("__m")).distinct(), "__m", "left_semi"
+    ).select("path").distinct().withColumn("staged", F.lit(True))
     return wanted.join(found, "path", "left").withColumn("staged", F.coalesce("staged", F.lit(False)))
 
 
@@ -102,7 +125,8 @@ def smallest_trees(tasks: DataFrame, domain: str, task: str, tree: str, most: in
 
 
 def target_choice(calls: DataFrame, events: DataFrame, inventory: DataFrame) -> DataFrame:
-    """The file to measure of each session: that of its first tool call (session_id, seq, name, path) whose path exists, else its first staged or hit event (session_id, seq, path, outcome) that does.
+    """The file to measure of each session: that of its first tool call (session_id, seq, name, path) whose path exists,
+    else its first staged or hit event (session_id, seq, path, outcome) that does.
 
     Returns session_id, path and ``source``: tool or staged. Sessions without either have no row.
     """

@@ -16,7 +16,9 @@ def with_sizes(paths: DataFrame, inventory: DataFrame) -> DataFrame:
 
 
 def overlap(predicted: DataFrame, truth: DataFrame, keys: list[str]) -> DataFrame:
-    """Full outer join of two deduplicated sets on keys + path: in_p, in_t, bytes. A truth that all keys share goes to ``shared_metrics`` instead."""
+    """Full outer join of two deduplicated sets on keys + path: in_p, in_t, bytes. A truth that all keys share goes to
+    ``shared_metrics`` instead.
+    """
     on = [*keys, "path"]
     p = predicted.groupBy(*on).agg(F.max("bytes").alias("pb")).withColumn("in_p", F.lit(1))
     t = truth.groupBy(*on).agg(F.max("bytes").alias("tb")).withColumn("in_t", F.lit(1))
@@ -41,16 +43,22 @@ def shared_metrics(predicted: DataFrame, truth: DataFrame, keys: list[str]) -> D
 
 
 def byte_score(predicted: DataFrame, truth: DataFrame, keys: list[str]) -> DataFrame:
-    """Counts, bytes and ratios for each key. An empty truth gives recall 0 and infinite overfetch; an empty prediction precision 0.
+    """Counts, bytes and ratios for each key. An empty truth gives recall 0 and infinite overfetch; an empty prediction
+    precision 0.
 
     Truth is shared by all keys: its totals are one small row, and only predicted paths
     are joined with it, so nothing is multiplied by the number of keys.
     """
     t = truth.groupBy("path").agg(F.max("bytes").alias("tb"))
-    total = t.agg(F.count(F.lit(1)).alias("n_ground_truth"), F.coalesce(F.sum("tb"), F.lit(0)).cast("long").alias("bytes_ground_truth"))
+    total = t.agg(
+        F.count(F.lit(1)).alias("n_ground_truth"), F.coalesce(F.sum("tb"), F.lit(0)).cast("long").alias("bytes_ground_truth")
+    )
     p = predicted.groupBy(*keys, "path").agg(F.max("bytes").alias("pb")).join(t, "path", "left")
     hit = F.col("tb").isNotNull()
-    sums = p.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_detected"), F.count("tb").alias("n_overlap"), F.sum("pb").cast("long").alias("bytes_detected"), F.sum(F.when(hit, F.col("pb")).otherwise(0)).cast("long").alias("bytes_overlap"))
+    sums = p.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n_detected"), F.count("tb").alias("n_overlap"), F.sum("pb").cast("long").alias("bytes_detected"),
+        F.sum(F.when(hit, F.col("pb")).otherwise(0)).cast("long").alias("bytes_overlap")
+    )
     return ratios(sums.crossJoin(F.broadcast(total)))  # one row
 
 
@@ -58,7 +66,9 @@ def ratios(df: DataFrame) -> DataFrame:
     c = F.col
     return df.withColumns({
         "byte_recall": F.when(c("bytes_ground_truth") > 0, c("bytes_overlap") / c("bytes_ground_truth")).otherwise(0.0),
-        "byte_overfetch": F.when(c("bytes_ground_truth") > 0, c("bytes_detected") / c("bytes_ground_truth")).otherwise(float("inf")),
+        "byte_overfetch": F.when(
+            c("bytes_ground_truth") > 0, c("bytes_detected") / c("bytes_ground_truth")
+        ).otherwise(float("inf")),
         "file_recall": F.when(c("n_ground_truth") > 0, c("n_overlap") / c("n_ground_truth")).otherwise(0.0),
         "file_precision": F.when(c("n_detected") > 0, c("n_overlap") / c("n_detected")).otherwise(0.0),
     })
@@ -73,8 +83,12 @@ def falsepos(both: DataFrame, keys: list[str]) -> DataFrame:
     c = F.col
     return s.withColumns({
         "precision_files": F.try_divide(c("hits"), c("prefetched")), "recall_files": F.try_divide(c("hits"), c("opened")),
-        "byte_overfetch": F.try_divide(c("prefetched_bytes"), c("opened_bytes")), "byte_precision": F.try_divide(c("hit_bytes"), c("prefetched_bytes")), "byte_recall": F.try_divide(c("hit_bytes"), c("opened_bytes")),
-        "jaccard_files": F.try_divide(c("hits"), c("prefetched") + c("opened") - c("hits")), "jaccard_bytes": F.try_divide(c("hit_bytes"), c("prefetched_bytes") + c("opened_bytes") - c("hit_bytes"))})
+        "byte_overfetch": F.try_divide(
+            c("prefetched_bytes"), c("opened_bytes")
+        ), "byte_precision": F.try_divide(c("hit_bytes"), c("prefetched_bytes")), "byte_recall": F.try_divide(c("hit_bytes"), c("opened_bytes")),
+        "jaccard_files": F.try_divide(c("hits"), c("prefetched") + c("opened") - c("hits")), "jaccard_bytes": F.try_divide(
+            c("hit_bytes"), c("prefetched_bytes") + c("opened_bytes") - c("hit_bytes")
+        )})
 
 
 def leave_one_out(files: DataFrame, rules: DataFrame, truth: DataFrame, bearing: float = 0.10) -> DataFrame:
@@ -88,15 +102,22 @@ def leave_one_out(files: DataFrame, rules: DataFrame, truth: DataFrame, bearing:
     only = reach.groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.min("name").alias("name"))
     total = only.agg(F.count(F.lit(1)).alias("full_hits")).crossJoin(t.agg(F.count(F.lit(1)).alias("n_truth")))
     lost = only.where("n = 1").groupBy("name").agg(F.count(F.lit(1)).alias("lost"))
-    out = rules.select(F.col("name").alias("dropped")).distinct().join(lost.withColumnRenamed("name", "dropped"), "dropped", "left").crossJoin(F.broadcast(total))
+    out = rules.select(F.col("name").alias("dropped")).distinct().join(
+        lost.withColumnRenamed("name", "dropped"), "dropped", "left"
+    ).crossJoin(F.broadcast(total))
     out = out.select("dropped", (F.col("full_hits") - F.coalesce("lost", F.lit(0))).alias("hits"), "full_hits", "n_truth")
-    out = out.withColumns({"recall": F.try_divide("hits", "n_truth"), "delta": F.try_divide(F.col("full_hits") - F.col("hits"), F.col("n_truth"))})
+    out = out.withColumns(
+        {"recall": F.try_divide("hits", "n_truth"), "delta": F.try_divide(F.col("full_hits") - F.col("hits"), F.col("n_truth"))}
+    )
     return out.withColumn("load_bearing", F.col("delta") >= bearing)
 
 
 def robustness(loo: DataFrame, least: float = 0.80) -> DataFrame:
     """One row: the least recall with a rule dropped, how many rules bear load, and whether the set is robust."""
-    return loo.agg(F.min("recall").alias("min_recall"), F.sum(F.col("load_bearing").cast("int")).cast("long").alias("n_load_bearing"), (F.min("recall") >= least).alias("robust"))
+    return loo.agg(
+        F.min("recall").alias("min_recall"), F.sum(F.col("load_bearing").cast("int")).cast("long").alias("n_load_bearing"),
+        (F.min("recall") >= least).alias("robust")
+    )
 
 
 def top_rules(loo: DataFrame, k: int = 5) -> DataFrame:
@@ -124,15 +145,29 @@ def apply_policies(listed: DataFrame, policies: dict[str, Policy]) -> DataFrame:
 
 
 def evaluate_policy(kept: DataFrame, opens: DataFrame, keys: list[str]) -> DataFrame:
-    """Kept listings against opened paths: files, bytes, hits, recall, precision and overfetch against hits. Of repeated paths the last size counts (``seq``)."""
+    """Kept listings against opened paths: files, bytes, hits, recall, precision and overfetch against hits. Of repeated
+    paths the last size counts (``seq``).
+    """
     n = opens.select("path").distinct().agg(F.count(F.lit(1)).alias("agent_opens"))
-    last = kept.groupBy(*keys, "path").agg(F.max_by("bytes", "seq").alias("bytes")).join(opens.select("path").distinct().withColumn("open", F.lit(1)), "path", "left")
-    s = last.groupBy(*keys).agg(F.count(F.lit(1)).alias("kept_files"), F.sum("bytes").alias("kept_bytes"), F.count("open").alias("hits"), F.sum(F.when(F.col("open") == 1, F.col("bytes"))).alias("hit_bytes")).crossJoin(F.broadcast(n))
-    return s.withColumns({"recall": F.try_divide("hits", "agent_opens"), "precision": F.try_divide("hits", "kept_files"), "byte_overfetch_vs_hits": F.try_divide("kept_bytes", "hit_bytes")}).drop("hit_bytes")
+    last = kept.groupBy(*keys, "path").agg(F.max_by("bytes", "seq").alias("bytes")).join(
+        opens.select("path").distinct().withColumn("open", F.lit(1)), "path", "left"
+    )
+    s = last.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("kept_files"), F.sum("bytes").alias("kept_bytes"), F.count("open").alias("hits"),
+        F.sum(F.when(F.col("open") == 1, F.col("bytes"))).alias("hit_bytes")
+    ).crossJoin(F.broadcast(n))
+    return s.withColumns(
+        {
+            "recall": F.try_divide("hits", "agent_opens"), "precision": F.try_divide("hits", "kept_files"),
+            "byte_overfetch_vs_hits": F.try_divide("kept_bytes", "hit_bytes")
+        }
+    ).drop("hit_bytes")
 
 
 def stage_summary(events: DataFrame, keys: list[str]) -> DataFrame:
-    """Counts by outcome, bytes staged and fetch times of staged events: median, nearest-rank p95, maximum and mean. Oversized skips have a count of their own."""
+    """Counts by outcome, bytes staged and fetch times of staged events: median, nearest-rank p95, maximum and mean.
+    Oversized skips have a count of their own.
+    """
     from ..functions import stats as T
 
     of = lambda o: F.count(F.when(F.col("outcome") == o, 1))
@@ -141,15 +176,22 @@ def stage_summary(events: DataFrame, keys: list[str]) -> DataFrame:
         F.count(F.lit(1)).alias("n_events"), of("staged").alias("n_staged"), of("hit").alias("n_hits"), of("error").alias("n_errors"),
         of("skip_oversize").alias("n_skipped"), F.coalesce(F.sum(staged("size_bytes")), F.lit(0)).alias("total_bytes_staged"),
         F.max(staged("fetch_ms")).alias("max_ms"), F.avg(staged("fetch_ms")).alias("mean_ms"))
-    times = T.position_percentiles(events.where("outcome = 'staged'"), keys, "fetch_ms", {"p50": ("linear", 0.5), "p95": ("nearest", 0.95)})
+    times = T.position_percentiles(
+        events.where("outcome = 'staged'"), keys, "fetch_ms", {"p50": ("linear", 0.5), "p95": ("nearest", 0.95)}
+    )
     return sums.join(times, keys, "left")
 
 
 def longest_prefix(paths: DataFrame, mounts: DataFrame, path: str = "path") -> DataFrame:
-    """Each path with the longest mount that is it or above it; null if none. An equi join over ancestors, so mounts may be many."""
+    """Each path with the longest mount that is it or above it; null if none. An equi join over ancestors, so mounts may
+    be many.
+    """
     from ..functions.paths import ancestors
 
-    m = mounts.select(F.when(F.col("mount") == "/", F.lit("")).otherwise(F.rtrim("mount", F.lit("/"))).alias("__at"), F.struct(*mounts.columns).alias("__m"))
+    m = mounts.select(
+        F.when(F.col("mount") == "/", F.lit("")).otherwise(F.rtrim("mount", F.lit("/"))).alias("__at"),
+        F.struct(*mounts.columns).alias("__m")
+    )
     up = paths.select(path).distinct().select(path, F.explode(ancestors(F.col(path))).alias("__at"))
     best = up.join(m, "__at").groupBy(path).agg(F.max_by("__m", F.length("__at")).alias("__m"))
     return paths.join(best, path, "left").select(*paths.columns, *[F.col(f"__m.{c}").alias(c) for c in mounts.columns])
@@ -169,11 +211,16 @@ def needles_of(prior: DataFrame) -> DataFrame:
     from ..functions.paths import is_output_key, is_output_path, short_stem, stem
 
     inputs = prior.where(~is_output_key(F.col("bucket")) & ~is_output_path(F.col("path"))).select("path")
-    names = [F.element_at(F.split("path", "/"), -1).alias("base"), stem(F.col("path")).alias("stem"), short_stem(F.col("path")).alias("short")]
+    names = [
+        F.element_at(F.split("path", "/"), -1).alias("base"), stem(F.col("path")).alias("stem"),
+        short_stem(F.col("path")).alias("short")
+    ]
     each = inputs.groupBy("path").agg(F.count(F.lit(1)).alias("copies")).select("path", "copies", *names)
     each = each.withColumns({f"n_{c}": F.sum("copies").over(Window.partitionBy(c)) for c in ("base", "stem", "short")})
     forms = F.array(
-        "path", F.when(F.col("n_base") == 1, F.col("base")), F.when((F.col("stem") != F.col("base")) & (F.col("n_stem") == 1), F.col("stem")),
+        "path", F.when(F.col("n_base") == 1, F.col("base")), F.when(
+            (F.col("stem") != F.col("base")) & (F.col("n_stem") == 1), F.col("stem")
+        ),
         F.when((F.col("short") != F.col("stem")) & (F.col("n_short") == 1), F.col("short")))
     return each.select("path", F.explode(F.array_distinct(F.array_compact(forms))).alias("needle")).where("needle != ''")
 
@@ -188,7 +235,8 @@ def keyed_needles(needles: DataFrame) -> DataFrame:
 
 
 def literal_scan(blocks: DataFrame, prior: DataFrame) -> DataFrame:
-    """(session_id, path, start): files that a session's text names by path, or by a base name, stem or short stem that one file has alone; the earliest mention counts.
+    """(session_id, path, start): files that a session's text names by path, or by a base name, stem or short stem that
+    one file has alone; the earliest mention counts.
 
     Needles are found anywhere in the text, across the borders of blocks too: each block is searched with the
     characters after it that a needle may reach. Needles are joined with the distinct pieces of a block by
@@ -197,24 +245,45 @@ def literal_scan(blocks: DataFrame, prior: DataFrame) -> DataFrame:
     from .matching import transcript
 
     needles = keyed_needles(needles_of(prior))
-    longest, kinds = needles.agg(F.coalesce(F.max(F.length("needle")), F.lit(1)), F.sort_array(F.collect_set(F.length("gram")))).first()
+    longest, kinds = needles.agg(
+        F.coalesce(F.max(F.length("needle")), F.lit(1)), F.sort_array(F.collect_set(F.length("gram")))
+    ).first()
     after = Window.partitionBy("session_id").orderBy("block_seq").rowsBetween(1, max(1, longest - 1))  # a block has a character at least
     ahead = F.left(F.array_join(F.collect_list(F.left("text", F.lit(longest))).over(after), ""), F.lit(longest - 1))
-    told = transcript(blocks).select("session_id", "block_seq", "char_base", F.length("text").alias("own"), F.concat("text", ahead).alias("seen"))
+    told = transcript(blocks).select(
+        "session_id", "block_seq", "char_base", F.length("text").alias("own"), F.concat("text", ahead).alias("seen")
+    )
     pieces = F.flatten(F.array(*[grams(F.col("seen"), n) for n in kinds or GRAMS[:1]]))
-    met = told.select("session_id", "block_seq", F.explode(pieces).alias("gram")).join(needles, "gram").select("session_id", "block_seq", "path", "needle")
+    met = told.select(
+        "session_id", "block_seq", F.explode(pieces).alias("gram")
+    ).join(needles, "gram").select("session_id", "block_seq", "path", "needle")
     hit = met.join(told, ["session_id", "block_seq"]).withColumn("at", F.instr("seen", F.col("needle"))).where("at > 0 AND at <= own")
     return hit.groupBy("session_id", "path").agg(F.min(F.col("char_base") + F.col("at") - 1).alias("start"))
 
 
 def source_of(targets: DataFrame, inventory: DataFrame) -> DataFrame:
-    """Each target path with its source: itself if it exists, else the first compressed form that does, with codec and expected size; null if none."""
+    """Each target path with its source: itself if it exists, else the first compressed form that does, with codec and
+    expected size; null if none.
+    """
     from ..functions.paths import CODECS, expanded_size
 
-    options = F.array(F.struct(F.lit(0).alias("rank"), F.lit(None).cast("string").alias("codec"), F.col("path").alias("source")), *[F.struct(F.lit(i).alias("rank"), F.lit(c).alias("codec"), F.concat("path", F.lit(c)).alias("source")) for i, c in enumerate(CODECS, 1)])
+    options = F.array(
+        F.struct(F.lit(0).alias("rank"), F.lit(None).cast("string").alias("codec"), F.col("path").alias("source")),
+        *[
+            F.struct(F.lit(i).alias("rank"), F.lit(c).alias("codec"), F.concat("path", F.lit(c)).alias("source")) for i,
+            c in enumerate(CODECS, 1)
+        ]
+    )
     tries = targets.select("path").distinct().select("path", F.inline(options))
-    inv = inventory.select(F.col("path").alias("source"), F.col("bytes").alias("__b"), *([F.col("trailer")] if "trailer" in inventory.columns else [F.lit(None).cast("long").alias("trailer")]))
-    best = tries.join(inv, "source").groupBy("path").agg(F.min_by(F.struct("source", "codec", expanded_size(F.col("codec"), F.col("__b"), F.col("trailer")).alias("size_bytes")), "rank").alias("s"))
+    inv = inventory.select(
+        F.col("path").alias("source"), F.col("bytes").alias("__b"),
+        *([F.col("trailer")] if "trailer" in inventory.columns else [F.lit(None).cast("long").alias("trailer")])
+    )
+    best = tries.join(inv, "source").groupBy("path").agg(
+        F.min_by(
+            F.struct("source", "codec", expanded_size(F.col("codec"), F.col("__b"), F.col("trailer")).alias("size_bytes")), "rank"
+        ).alias("s")
+    )
     return targets.join(best, "path", "left").select(*targets.columns, "s.source", "s.codec", "s.size_bytes")
 
 
@@ -223,7 +292,9 @@ def companions(paths: DataFrame, inventory: DataFrame) -> DataFrame:
     from ..functions.paths import companion_names
 
     names = paths.select("path", F.explode(companion_names(F.col("path"))).alias("companion"))
-    return names.join(inventory.select(F.col("path").alias("companion")).distinct(), "companion", "left_semi").select("path", "companion")
+    return names.join(
+        inventory.select(F.col("path").alias("companion")).distinct(), "companion", "left_semi"
+    ).select("path", "companion")
 
 
 def without_zip_sibling(dirs: DataFrame, files: DataFrame) -> DataFrame:
@@ -243,7 +314,14 @@ def mentioned(listed: DataFrame, tokens: DataFrame, least: int = 4) -> DataFrame
     tested in full, so the join is by equality.
     """
     low = F.lower(F.element_at(F.split("path", "/"), -1))
-    grams = listed.select("path").distinct().withColumn("__b", low).where(F.length("__b") >= least).select("path", "__b", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("__b") - least + 1), lambda i: F.substr("__b", i, F.lit(least))))).alias("__g"))
+    grams = listed.select("path").distinct().withColumn("__b", low).where(F.length("__b") >= least).select(
+        "path", "__b",
+        F.explode(
+            F.array_distinct(
+                F.transform(F.sequence(F.lit(1), F.length("__b") - least + 1), lambda i: F.substr("__b", i, F.lit(least)))
+            )
+        ).alias("__g")
+    )
     t = tokens.select(F.lower("token").alias("token")).where(F.length("token") >= least).distinct().withColumn("__g", F.substring("token", 1, least))
     found = grams.join(t, "__g").where(F.contains("__b", "token")).select("path").distinct()
     return listed.join(found, "path", "left_semi")

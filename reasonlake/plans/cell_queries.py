@@ -22,34 +22,63 @@ def speedup_blocks(spark, sf):
 
 
 def _amdahl(spark, sf):
-    c = X.cells(spark, sf).select("cell", "task", "model", F.col("cold_amt").cast("double").alias("cold"), F.col("staged_amt").cast("double").alias("staged"), F.when(F.col("cell") % 13 == 0, 0.0).otherwise(F.col("cold_amt").cast("double") * 0.5).alias("csh"), F.when(F.col("cell") % 13 == 0, 0.0).otherwise(F.col("staged_amt").cast("double") * 0.25 + F.col("n_rows")).alias("ssh"))
+    c = X.cells(spark, sf).select(
+        "cell", "task", "model", F.col("cold_amt").cast("double").alias("cold"),
+        F.col("staged_amt").cast("double").alias("staged"),
+        F.when(F.col("cell") % 13 == 0, 0.0).otherwise(F.col("cold_amt").cast("double") * 0.5).alias("csh"),
+        F.when(F.col("cell") % 13 == 0, 0.0).otherwise(F.col("staged_amt").cast("double") * 0.25 + F.col("n_rows")).alias("ssh")
+    )
     return c.withColumns(L.amdahl(F.col("cold"), F.col("staged"), F.col("csh"), F.col("ssh")))
 
 
 def amdahl_cells(spark, sf):
-    return _amdahl(spark, sf).select("cell", *_r(("session_speedup", "shell_speedup", "shell_share", "io_share", "ceiling", "efficiency")))
+    return _amdahl(spark, sf).select(
+        "cell", *_r(("session_speedup", "shell_speedup", "shell_share", "io_share", "ceiling", "efficiency"))
+    )
 
 
 def amdahl_corr(spark, sf):
-    return C.efficiency_fit(_amdahl(spark, sf), "session_speedup", "ceiling", ["task"]).select("task", "n", *_r(("r", "r2", "efficiency")))
+    return C.efficiency_fit(
+        _amdahl(spark, sf), "session_speedup", "ceiling", ["task"]
+    ).select("task", "n", *_r(("r", "r2", "efficiency")))
 
 
 def io_share(spark, sf):
-    c = X.cells(spark, sf).select("cell", F.col("cold_amt").cast("double").alias("cold"), (F.col("n_rows") * 1000000).alias("read"), "n_rows")
+    c = X.cells(spark, sf).select(
+        "cell", F.col("cold_amt").cast("double").alias("cold"), (F.col("n_rows") * 1000000).alias("read"), "n_rows"
+    )
     split = L.io_split(F.col("cold"), F.col("cold") * 0.25, F.col("read"), 1000.0, 50000.0)
-    c = c.withColumns(split).withColumns({"regime": L.regime_io_share(F.col("cold"), F.col("read"), F.col("n_rows"), 2000.0, 0.5), "timely": L.timely(F.col("read"), F.col("n_rows"), F.col("cold") * 0.125, 1000.0, 0.25), "moveable": F.col("cold") * 50000.0, "mb_s": L.throughput(F.col("read"), F.col("cold")), "passes": L.pass_count(F.col("read"), F.lit(2_000_000))["passes"], "meets": L.pass_count(F.col("read"), F.lit(2_000_000))["meets"], "expanded": F.col("read") * 4})
-    return c.select("cell", *_r(("llm_s", "io_s", "compute_s", "ideal_s")), *_r(("amdahl_max", "regime"), 3), "timely", F.round("moveable", 0).alias("moveable"), *_r(("mb_s",), 6), "passes", "meets")
+    c = c.withColumns(split).withColumns(
+        {
+            "regime": L.regime_io_share(F.col("cold"), F.col("read"), F.col("n_rows"), 2000.0, 0.5),
+            "timely": L.timely(F.col("read"), F.col("n_rows"), F.col("cold") * 0.125, 1000.0, 0.25),
+            "moveable": F.col("cold") * 50000.0, "mb_s": L.throughput(F.col("read"), F.col("cold")),
+            "passes": L.pass_count(F.col("read"), F.lit(2_000_000))["passes"],
+            "meets": L.pass_count(F.col("read"), F.lit(2_000_000))["meets"], "expanded": F.col("read") * 4
+        }
+    )
+    return c.select(
+        "cell", *_r(("llm_s", "io_s", "compute_s", "ideal_s")), *_r(("amdahl_max", "regime"), 3), "timely",
+        F.round("moveable", 0).alias("moveable"), *_r(("mb_s",), 6), "passes", "meets"
+    )
 
 
 def latest_reps(spark, sf):
-    o = X.table(spark, sf, "orders").select("o_orderkey", (F.col("o_custkey") % 50).alias("task"), "o_orderstatus", F.col("o_totalprice").cast("double").alias("v"), "o_orderdate")
+    o = X.table(spark, sf, "orders").select(
+        "o_orderkey", (F.col("o_custkey") % 50).alias("task"), "o_orderstatus", F.col("o_totalprice").cast("double").alias("v"),
+        "o_orderdate"
+    )
     a = C.latest(o, ["task", "o_orderstatus"], [F.desc("o_orderdate"), F.desc("o_orderkey")]).withColumn("order", F.lit("latest"))
     b = C.latest(o, ["task", "o_orderstatus"], [F.asc("o_orderkey")]).withColumn("order", F.lit("first"))
     return a.unionByName(b).select("task", "o_orderstatus", "order", "o_orderkey", F.col("rank").cast("long").alias("rank"))
 
 
 def _orders(spark, sf):
-    return X.table(spark, sf, "orders").select(F.col("o_orderkey").alias("run"), (F.col("o_custkey") % 80).alias("task"), F.col("o_orderpriority").alias("model"), F.when(F.col("o_orderkey") % 3 == 0, "baseline").otherwise("staged").alias("mode"), F.col("o_totalprice").cast("double").alias("v"), "o_orderdate")
+    return X.table(spark, sf, "orders").select(
+        F.col("o_orderkey").alias("run"), (F.col("o_custkey") % 80).alias("task"), F.col("o_orderpriority").alias("model"),
+        F.when(F.col("o_orderkey") % 3 == 0, "baseline").otherwise("staged").alias("mode"),
+        F.col("o_totalprice").cast("double").alias("v"), "o_orderdate"
+    )
 
 
 def cell_medians(spark, sf):
@@ -59,14 +88,22 @@ def cell_medians(spark, sf):
 
 def speedup_quantiles(spark, sf):
     c = C.cell_speedup(_orders(spark, sf), ["task", "model"], "mode", "v", [F.desc("run")], "baseline")
-    return c.groupBy("model").agg(F.count(F.lit(1)).alias("n"), *[F.round(F.percentile("speedup", q), 3).alias(f"q{int(q * 100)}") for q in (0.25, 0.5, 0.75)], F.round(F.max("speedup"), 4).alias("best"), F.count(F.when(F.col("outcome") == "win", 1)).alias("wins"), F.count(F.when(F.col("outcome") == "loss", 1)).alias("losses"))
+    return c.groupBy("model").agg(
+        F.count(F.lit(1)).alias("n"),
+        *[F.round(F.percentile("speedup", q), 3).alias(f"q{int(q * 100)}") for q in (0.25, 0.5, 0.75)],
+        F.round(F.max("speedup"), 4).alias("best"), F.count(F.when(F.col("outcome") == "win", 1)).alias("wins"),
+        F.count(F.when(F.col("outcome") == "loss", 1)).alias("losses")
+    )
 
 
 def coverage_audit(spark, sf):
     o = _orders(spark, sf)
     models = X.table(spark, sf, "region").select(F.col("r_name").alias("model")).unionByName(o.select("model").distinct())
     expected = o.select("task").distinct().crossJoin(models)  # the grid asked for
-    canon = C.canonical(o, X.table(spark, sf, "customer").select((F.col("c_custkey") % 80).alias("task")).where("task % 2 = 0").distinct(), ["task"])
+    canon = C.canonical(
+        o, X.table(spark, sf, "customer").select((F.col("c_custkey") % 80).alias("task")).where("task % 2 = 0").distinct(),
+        ["task"]
+    )
     return C.coverage(canon, expected, ["task", "model"]).select("task", "model", "n")
 
 
@@ -83,7 +120,9 @@ def paired_modes(spark, sf):
     """Largest run of either mode side by side, and the saved share where there is a gain."""
     p = C.pivot_modes(_orders(spark, sf), ["task", "model"], "mode", "v", ("baseline", "staged"))
     a = C.attributed(p.withColumn("saved", F.col("baseline") * 0.125), "saved", "baseline", "staged")
-    return p.join(a.select("task", "model", "attribution"), ["task", "model"], "left").select("task", "model", "baseline", "staged", *_r(("attribution",), 3))
+    return p.join(
+        a.select("task", "model", "attribution"), ["task", "model"], "left"
+    ).select("task", "model", "baseline", "staged", *_r(("attribution",), 3))
 
 
 def tier_bandwidth(spark, sf):
@@ -99,7 +138,9 @@ def tool_ratio(spark, sf):
 
 
 def bandwidth_curve(spark, sf):
-    l = X.table(spark, sf, "lineitem").groupBy((F.col("l_partkey") % 50).alias("curve"), F.col("l_quantity").alias("x")).agg(F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).cast("double").alias("y"))
+    l = X.table(spark, sf, "lineitem").groupBy((F.col("l_partkey") % 50).alias("curve"), F.col("l_quantity").alias("x")).agg(
+        F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).cast("double").alias("y")
+    )
     return C.monotonic(l, ["curve"], "x", "y", 0.5, 50.0)
 
 
@@ -110,15 +151,24 @@ def latency_ecdf(spark, sf):
 
 
 def ks_statistic(spark, sf):
-    e = X.table(spark, sf, "events").select((F.col("user_id") % 6).alias("g"), F.when(F.col("event_id") % 2 == 0, "a").otherwise("b").alias("side"), "value")
+    e = X.table(spark, sf, "events").select(
+        (F.col("user_id") % 6).alias("g"), F.when(F.col("event_id") % 2 == 0, "a").otherwise("b").alias("side"), "value"
+    )
     return C.ks_statistic(e, ["g"], "side", "a", "b", "value").select("g", *_r(("ks",), 6))
 
 
 def queue_delay(spark, sf):
     """Delivery of events one at a time for each user: emitted a second apart, with the value as work."""
-    e = X.table(spark, sf, "events").select("user_id", "event_id", (F.expr("row_number() over (partition by user_id order by event_id)") * 20).cast("decimal(18,2)").alias("emit"), F.col("value").cast("decimal(18,2)").alias("proc"))
+    e = X.table(spark, sf, "events").select(
+        "user_id", "event_id",
+        (F.expr("row_number() over (partition by user_id order by event_id)") * 20).cast("decimal(18,2)").alias("emit"),
+        F.col("value").cast("decimal(18,2)").alias("proc")
+    )
     d = C.delivery(e, ["user_id"], "event_id", "emit", "proc")
-    return d.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.max("recv").cast("double").alias("last"), F.max("delay").cast("double").alias("most"), F.sum("delay").cast("double").alias("total"))
+    return d.groupBy("user_id").agg(
+        F.count(F.lit(1)).alias("n"), F.max("recv").cast("double").alias("last"), F.max("delay").cast("double").alias("most"),
+        F.sum("delay").cast("double").alias("total")
+    )
 
 
 def percentile_family(spark, sf):
@@ -134,19 +184,29 @@ def overhead_latency(spark, sf):
     """Mean, extremes and nearest-rank percentiles of event values by type, and how far the p99 is from the median."""
     e = X.table(spark, sf, "events").select("event_type", "value")
     p = T.position_percentiles(e, ["event_type"], "value", {f"p{q}": ("nearest", q / 100) for q in (50, 75, 95, 99)})
-    m = e.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("min"), F.max("value").alias("max"), F.round(F.avg(F.col("value").cast("decimal(18,4)")).cast("double"), 3).alias("mean"))
-    return p.join(m, "event_type").select("event_type", "n", "p50", "p75", "p95", "p99", "min", "max", "mean", F.round(F.col("p99") / F.col("p50"), 4).alias("tail"))
+    m = e.groupBy("event_type").agg(
+        F.count(F.lit(1)).alias("n"), F.min("value").alias("min"), F.max("value").alias("max"),
+        F.round(F.avg(F.col("value").cast("decimal(18,4)")).cast("double"), 3).alias("mean")
+    )
+    return p.join(m, "event_type").select(
+        "event_type", "n", "p50", "p75", "p95", "p99", "min", "max", "mean", F.round(F.col("p99") / F.col("p50"), 4).alias("tail")
+    )
 
 
 def set_ops(spark, sf):
-    """Sizes of union, intersection and differences of two path sets, of a partial rerun, and of the row differences of two tables."""
+    """Sizes of union, intersection and differences of two path sets, of a partial rerun, and of the row differences of
+    two tables.
+    """
     d = X.files(spark, sf).select("path", "bytes")
     a, b = d.where("bytes % 2 = 0").select("path"), d.where("bytes % 3 = 0").select("path")
     rerun = d.where("bytes % 5 = 0").withColumn("bytes", F.col("bytes") * 10)
     n = lambda name, x: x.agg(F.lit(name).alias("what"), F.count(F.lit(1)).alias("n"))
     merged = N.replace_part(d, rerun, ["path"])
     once = N.ordered_dedup(X.table(spark, sf, "documents").select("source", "lang", "doc_id"), ["source"], "lang", "doc_id")
-    parts = [n("union", a.union(b).distinct()), n("both", a.intersect(b)), n("left", a.subtract(b)), n("rerun", N.differences(d, merged)), n("dedup", once), merged.agg(F.lit("sum").alias("what"), F.sum("bytes").alias("n"))]
+    parts = [
+        n("union", a.union(b).distinct()), n("both", a.intersect(b)), n("left", a.subtract(b)),
+        n("rerun", N.differences(d, merged)), n("dedup", once), merged.agg(F.lit("sum").alias("what"), F.sum("bytes").alias("n"))
+    ]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -156,22 +216,49 @@ def set_ops(spark, sf):
 def reports(spark, sf):
     """I/O reports, one an order, with a file for each line and seconds by function."""
     l = X.table(spark, sf, "lineitem")
-    view = F.struct(F.concat(F.when(F.col("l_partkey") % 10 == 0, "/output/").otherwise("/data/"), F.col("l_partkey").cast("string")).alias("file_name"), F.col("l_quantity").cast("long").alias("posix_count_sum"), F.floor("l_extendedprice").alias("posix_read_size_sum"), F.lit(1).cast("long").alias("posix_metadata_count_sum"), (F.col("l_linenumber") * 0.5).cast("double").alias("posix_time_sum"))
+    view = F.struct(
+        F.concat(
+            F.when(F.col("l_partkey") % 10 == 0, "/output/").otherwise("/data/"), F.col("l_partkey").cast("string")
+        ).alias("file_name"),
+        F.col("l_quantity").cast("long").alias("posix_count_sum"), F.floor("l_extendedprice").alias("posix_read_size_sum"),
+        F.lit(1).cast("long").alias("posix_metadata_count_sum"),
+        (F.col("l_linenumber") * 0.5).cast("double").alias("posix_time_sum")
+    )
     one = F.col("l_returnflag")
-    r = l.groupBy(F.col("l_orderkey").alias("file")).agg(F.collect_list(view).alias("file_name_view"), F.sum(F.when(one == "A", F.col("l_linenumber") * 0.5)).alias("a"), F.sum(F.when(one != "A", F.col("l_linenumber") * 0.5)).alias("b"), (F.count(F.lit(1)) * 10.0).alias("job_time"))
-    func = F.array(*[F.struct(F.lit(n).alias("func_name"), F.col(c).cast("double").alias("posix_time_sum")) for n, c in (("read", "a"), ("open", "b"))])
+    r = l.groupBy(F.col("l_orderkey").alias("file")).agg(
+        F.collect_list(view).alias("file_name_view"), F.sum(F.when(one == "A", F.col("l_linenumber") * 0.5)).alias("a"),
+        F.sum(F.when(one != "A", F.col("l_linenumber") * 0.5)).alias("b"), (F.count(F.lit(1)) * 10.0).alias("job_time")
+    )
+    func = F.array(
+        *[
+            F.struct(F.lit(n).alias("func_name"), F.col(c).cast("double").alias("posix_time_sum")) for n,
+            c in (("read", "a"), ("open", "b"))
+        ]
+    )
     return r.select("file", "file_name_view", func.alias("func_name_view"), "job_time")
 
 
 def io_report(spark, sf):
     """Reads of the reports: totals of each, seconds by function, and the files with enough reads."""
     r = reports(spark, sf)
-    reads = logs.io_reads(r, least_bytes=1000, least_count=5).groupBy("file").agg(F.count(F.lit(1)).alias("n_reads"), F.sum("bytes_read").alias("bytes_read"))
+    reads = logs.io_reads(r, least_bytes=1000, least_count=5).groupBy("file").agg(
+        F.count(F.lit(1)).alias("n_reads"), F.sum("bytes_read").alias("bytes_read")
+    )
     t = logs.io_totals(r).join(reads, "file", "left")
-    return t.select("file", "job_time", F.col("n_files").cast("long").alias("n_files"), "posix_s", F.col("by_function")["read"].alias("read_s"), F.col("by_function")["open"].alias("open_s"), F.coalesce("n_reads", F.lit(0)).alias("n_reads"), F.coalesce("bytes_read", F.lit(0)).alias("bytes_read"))
-
-
-QUERIES = {f.__name__: f for f in (speedup_blocks, amdahl_cells, amdahl_corr, io_share, latest_reps, cell_medians, speedup_quantiles, coverage_audit, median_run, best_baseline, paired_modes, tier_bandwidth, tool_ratio, bandwidth_curve, latency_ecdf, ks_statistic, queue_delay, percentile_family, overhead_latency, set_ops, io_report)}
+    return t.select(
+        "file", "job_time", F.col("n_files").cast("long").alias("n_files"), "posix_s",
+        F.col("by_function")["read"].alias("read_s"), F.col("by_function")["open"].alias("open_s"),
+        F.coalesce("n_reads", F.lit(0)).alias("n_reads"), F.coalesce("bytes_read", F.lit(0)).alias("bytes_read")
+    )
+
+
+QUERIES = {
+    f.__name__: f for f in (
+        speedup_blocks, amdahl_cells, amdahl_corr, io_share, latest_reps, cell_medians, speedup_quantiles, coverage_audit,
+        median_run, best_baseline, paired_modes, tier_bandwidth, tool_ratio, bandwidth_curve, latency_ecdf, ks_statistic,
+        queue_delay, percentile_family, overhead_latency, set_ops, io_report
+    )
+}
 
 _X = "select task, model, cast(cold_amt as double) / cast(staged_amt as double) as x, cast(cold_amt as double) as c, cast(staged_amt as double) as s from fx_cells"
 _AM = "select cell, task, cast(cold_amt as double) as cold, cast(staged_amt as double) as staged, case when cell % 13 = 0 then 0.0 else cast(cold_amt as double) * 0.5 end as csh, case when cell % 13 = 0 then 0.0 else cast(staged_amt as double) * 0.25 + n_rows end as ssh from fx_cells"

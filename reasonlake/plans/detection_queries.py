@@ -25,7 +25,9 @@ def rule_files(spark, sf):
 
 def _scores(s, *keys):
     names = ["n_detected", "n_ground_truth", "n_overlap", "bytes_detected", "bytes_ground_truth", "bytes_overlap"]
-    return s.select(*keys, *names, *[F.round(c, 4).alias(c) for c in ("byte_recall", "byte_overfetch", "file_recall", "file_precision")])
+    return s.select(
+        *keys, *names, *[F.round(c, 4).alias(c) for c in ("byte_recall", "byte_overfetch", "file_recall", "file_precision")]
+    )
 
 
 def tier1_byte_score(spark, sf):
@@ -35,10 +37,16 @@ def tier1_byte_score(spark, sf):
 
 def layers(spark, sf):
     """(layer, path, bytes): cumulative tiers over all sessions, files named in texts, and everything."""
-    low = rule_files(spark, sf).join(sizes(spark, sf).select("name", "tier"), "name").groupBy("path", "bytes").agg(F.min("tier").alias("tier"))
-    t = low.select("path", "bytes", F.explode(F.sequence("tier", F.lit(3))).alias("layer")).withColumn("layer", F.concat(F.lit("tier_"), F.col("layer").cast("string")))
+    low = rule_files(spark, sf).join(
+        sizes(spark, sf).select("name", "tier"), "name"
+    ).groupBy("path", "bytes").agg(F.min("tier").alias("tier"))
+    t = low.select(
+        "path", "bytes", F.explode(F.sequence("tier", F.lit(3))).alias("layer")
+    ).withColumn("layer", F.concat(F.lit("tier_"), F.col("layer").cast("string")))
     hot = hot_files(spark, sf).select("path", "bytes").distinct().withColumn("layer", F.lit("hot"))
-    return t.select("layer", "path", "bytes").unionByName(hot).unionByName(X.files(spark, sf).select(F.lit("naive").alias("layer"), "path", "bytes").distinct())
+    return t.select("layer", "path", "bytes").unionByName(hot).unionByName(
+        X.files(spark, sf).select(F.lit("naive").alias("layer"), "path", "bytes").distinct()
+    )
 
 
 def hot_files(spark, sf):
@@ -55,12 +63,18 @@ def score_grid(spark, sf):
 
 
 def rule_first_fire(spark, sf):
-    return fired(spark, sf).select("session_id", "name", "block_seq", "turn", F.col("type").alias("source"), "match_start", F.round(M.fired_at(F.col("t_first"), F.col("t_stop"), F.col("match_start"), F.length("text")), 4).alias("fired_at_ms"))
+    return fired(spark, sf).select(
+        "session_id", "name", "block_seq", "turn", F.col("type").alias("source"), "match_start",
+        F.round(M.fired_at(F.col("t_first"), F.col("t_stop"), F.col("match_start"), F.length("text")), 4).alias("fired_at_ms")
+    )
 
 
 def rule_first_fire_transcript(spark, sf):
     f = M.first_fire(M.transcript_matches(X.blocks(spark, sf), X.rules(spark)))
-    return f.select("session_id", "name", "block_seq", F.col("match_start").cast("long").alias("char_offset"), F.col("char_base").cast("long").alias("char_base"))
+    return f.select(
+        "session_id", "name", "block_seq", F.col("match_start").cast("long").alias("char_offset"),
+        F.col("char_base").cast("long").alias("char_base")
+    )
 
 
 def rule_prefix_fire(spark, sf):
@@ -70,7 +84,14 @@ def rule_prefix_fire(spark, sf):
 
 def activation_summary(spark, sf):
     of = lambda k: F.count(F.when(F.col("type") == k, 1))
-    g = fired(spark, sf).groupBy("session_id").agg(F.count(F.lit(1)).alias("n"), of("thinking").alias("n_thinking"), of("text").alias("n_text"), of("tool_result").alias("n_tool_result"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", "name"))), lambda x: x.turn.cast("string")), ",").alias("turns"), F.array_join(F.sort_array(F.collect_set("name")), ",").alias("names"))
+    g = fired(spark, sf).groupBy("session_id").agg(
+        F.count(F.lit(1)).alias("n"), of("thinking").alias("n_thinking"), of("text").alias("n_text"),
+        of("tool_result").alias("n_tool_result"),
+        F.array_join(
+            F.transform(F.sort_array(F.collect_list(F.struct("turn", "name"))), lambda x: x.turn.cast("string")), ","
+        ).alias("turns"),
+        F.array_join(F.sort_array(F.collect_set("name")), ",").alias("names")
+    )
     return g
 
 
@@ -78,8 +99,12 @@ def tier_cumulative_files(spark, sf):
     f, z = fired(spark, sf), sizes(spark, sf)
     of = M.mixes(f, z)
     upto = lambda k: F.count(F.when(F.col("tier") <= k, 1))
-    n = M.mix_files(of, X.prior(spark, sf)).groupBy("mix").agg(upto(1).alias("n_tier_1"), upto(2).alias("n_tier_2"), upto(3).alias("n_tier_3"))
-    return of.join(n, "mix").join(M.tier_times(f, z), "session_id").select("session_id", "n_tier_1", "n_tier_2", "n_tier_3", "t_tier_1", "t_tier_3")
+    n = M.mix_files(of, X.prior(spark, sf)).groupBy("mix").agg(
+        upto(1).alias("n_tier_1"), upto(2).alias("n_tier_2"), upto(3).alias("n_tier_3")
+    )
+    return of.join(n, "mix").join(M.tier_times(f, z), "session_id").select(
+        "session_id", "n_tier_1", "n_tier_2", "n_tier_3", "t_tier_1", "t_tier_3"
+    )
 
 
 def live_tiers(spark, sf):
@@ -89,7 +114,9 @@ def live_tiers(spark, sf):
     from ..functions.labels import LIVE, tier
 
     g = f.join(size, "bucket").groupBy("session_id", "name").agg(F.sum("n").alias("n")).withColumn("tier", tier(F.col("n"), LIVE))
-    return g.groupBy("name", "tier").agg(F.count(F.lit(1)).alias("sessions"), F.max("n").alias("files")).withColumn("dispatch", F.col("tier") == 1)
+    return g.groupBy("name", "tier").agg(
+        F.count(F.lit(1)).alias("sessions"), F.max("n").alias("files")
+    ).withColumn("dispatch", F.col("tier") == 1)
 
 
 def naive_overfetch(spark, sf):
@@ -101,14 +128,19 @@ def subset_metrics(spark, sf):
     """Each rule's files against what is needed and against what any session opened."""
     hit, out = rule_files(spark, sf), None
     for name, truth in (("needed", X.truth(spark, sf)), ("opened", _opens(spark, sf))):
-        m = S.shared_metrics(hit, truth, ["name"]).select(F.lit(name).alias("truth"), "name", "hits", "predicted_size", "gt_size", *[F.round(c, 4).alias(c) for c in ("precision", "recall", "jaccard")])
+        m = S.shared_metrics(hit, truth, ["name"]).select(
+            F.lit(name).alias("truth"), "name", "hits", "predicted_size", "gt_size",
+            *[F.round(c, 4).alias(c) for c in ("precision", "recall", "jaccard")]
+        )
         out = m if out is None else out.unionByName(m)
     return out
 
 
 def _opens(spark, sf):
     """Files that a session opened: props holds the document's number."""
-    e = X.table(spark, sf, "events").where("event_type in ('click', 'signup')").select(F.col("user_id").alias("session_id"), F.get_json_object("props", "$.k").cast("long").alias("doc_id"), "ts")
+    e = X.table(spark, sf, "events").where("event_type in ('click', 'signup')").select(
+        F.col("user_id").alias("session_id"), F.get_json_object("props", "$.k").cast("long").alias("doc_id"), "ts"
+    )
     return e.join(X.files(spark, sf), "doc_id").select("session_id", "path", "bytes", "ts", "source")
 
 
@@ -117,10 +149,15 @@ _OPENS_SQL = "select e.user_id as session_id, f.path, f.bytes, e.ts, f.source fr
 
 def falsepos_report(spark, sf):
     opened = _opens(spark, sf).select("session_id", "path", "bytes").distinct()
-    pre = X.table(spark, sf, "events").where("event_type = 'view'").select(F.col("user_id").alias("session_id"), F.get_json_object("props", "$.k").cast("long").alias("doc_id")).join(X.files(spark, sf), "doc_id").select("session_id", "path", "bytes").distinct()
+    pre = X.table(spark, sf, "events").where("event_type = 'view'").select(
+        F.col("user_id").alias("session_id"), F.get_json_object("props", "$.k").cast("long").alias("doc_id")
+    ).join(X.files(spark, sf), "doc_id").select("session_id", "path", "bytes").distinct()
     out = S.falsepos(S.overlap(pre, opened, ["session_id"]), ["session_id"])
     kept = [c for c in out.columns if c != "session_id"]
-    return out.select("session_id", *[F.round(c, 4).alias(c) if t == "double" else F.col(c).cast("long").alias(c) for c, t in out.dtypes if c in kept])
+    return out.select(
+        "session_id",
+        *[F.round(c, 4).alias(c) if t == "double" else F.col(c).cast("long").alias(c) for c, t in out.dtypes if c in kept]
+    )
 
 
 def _loo(spark, sf):
@@ -128,7 +165,10 @@ def _loo(spark, sf):
 
 
 def loo_rules(spark, sf):
-    return _loo(spark, sf).select("dropped", F.col("hits").cast("long").alias("hits"), F.round("recall", 4).alias("recall"), F.round("delta", 4).alias("delta"), "load_bearing")
+    return _loo(spark, sf).select(
+        "dropped", F.col("hits").cast("long").alias("hits"), F.round("recall", 4).alias("recall"),
+        F.round("delta", 4).alias("delta"), "load_bearing"
+    )
 
 
 def loo_robustness(spark, sf):
@@ -137,12 +177,16 @@ def loo_robustness(spark, sf):
 
 def loo_top(spark, sf):
     """The five rules whose loss costs most."""
-    return S.top_rules(_loo(spark, sf)).select("dropped", F.round("recall", 4).alias("recall"), F.round("delta", 4).alias("delta"))
+    return S.top_rules(_loo(spark, sf)).select(
+        "dropped", F.round("recall", 4).alias("recall"), F.round("delta", 4).alias("delta")
+    )
 
 
 def rule_origin_counts(spark, sf):
     w = X.table(spark, sf, "documents").select(F.col("source").alias("workload")).distinct()
-    kept = M.filter_origin(X.rules(spark), ["fx"]).withColumn("variant", F.lit("general")).unionByName(X.rules(spark).withColumn("variant", F.lit("all")))
+    kept = M.filter_origin(X.rules(spark), ["fx"]).withColumn("variant", F.lit("general")).unionByName(
+        X.rules(spark).withColumn("variant", F.lit("all"))
+    )
     return w.crossJoin(F.broadcast(kept)).groupBy("workload", "variant", "origin").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -155,14 +199,20 @@ _TASK = "concat('Read every csv and NetCDF file of ', source, ' and write result
 
 
 def auto_rules(spark, sf):
-    return _auto(spark, sf).select("workload", "ord", "name", "pattern", F.array_join("target_keys", ",").alias("targets"), "origin")
+    return _auto(spark, sf).select(
+        "workload", "ord", "name", "pattern", F.array_join("target_keys", ",").alias("targets"), "origin"
+    )
 
 
 def _auto(spark, sf):
     """Rules of a workload for each source: its buckets are days by document number, languages and aggregates."""
     d = X.table(spark, sf, "documents")
     w = d.select(F.col("source").alias("workload"), F.expr(_TASK).alias("task")).distinct()
-    names = F.array(F.concat(F.lit("day_"), F.lpad((F.col("doc_id") % 40).cast("string"), 3, "0")), F.concat(F.lit("band_0"), (F.col("doc_id") % 8).cast("string")), F.concat(F.lit("subject_sub-"), F.col("lang"), F.lit("x")), F.lit("all_files"), F.lit("output_csv"), F.lit("output_png"))
+    names = F.array(
+        F.concat(F.lit("day_"), F.lpad((F.col("doc_id") % 40).cast("string"), 3, "0")),
+        F.concat(F.lit("band_0"), (F.col("doc_id") % 8).cast("string")),
+        F.concat(F.lit("subject_sub-"), F.col("lang"), F.lit("x")), F.lit("all_files"), F.lit("output_csv"), F.lit("output_png")
+    )
     b = d.select(F.col("source").alias("workload"), F.explode(names).alias("bucket")).distinct()
     b = b.withColumn("pos", F.expr("row_number() over (partition by workload order by bucket)"))
     return M.auto_rules(w, b)
@@ -186,42 +236,73 @@ a as (select workload, cast(row_number() over (partition by workload order by pa
 
 
 def enrich_policies(spark, sf):
-    """Listings are what a session viewed; policies keep all, the first three a session, one extension, or names that a list of good documents mentions."""
+    """Listings are what a session viewed; policies keep all, the first three a session, one extension, or names that a
+    list of good documents mentions.
+    """
     name = F.concat(X.doc_path(), F.when(F.col("lang") == "en", ".csv").otherwise(""))
     docs = X.table(spark, sf, "documents").select("doc_id", name.alias("path"), F.col("n_chars").alias("bytes"))
-    e = X.table(spark, sf, "events").select("event_type", F.col("user_id").alias("session_id"), F.col("event_id").alias("seq"), F.get_json_object("props", "$.k").cast("long").alias("doc_id")).join(docs, "doc_id")
+    e = X.table(spark, sf, "events").select(
+        "event_type", F.col("user_id").alias("session_id"), F.col("event_id").alias("seq"),
+        F.get_json_object("props", "$.k").cast("long").alias("doc_id")
+    ).join(docs, "doc_id")
     listed = e.where("event_type = 'view'").select("session_id", "seq", "path", "bytes")
     opens = e.where("event_type in ('click', 'signup')").select("path")
-    tokens = X.table(spark, sf, "labels").where("quality = 1").select(F.concat(F.lit("DOC_"), F.col("doc_id").cast("string")).alias("token"))
-    policies = {"all": lambda x: x, "cap_3": S.first_listed(3), "csv": S.with_extension(".csv"), "mentioned": lambda x: S.mentioned(x, tokens)}
+    tokens = X.table(spark, sf, "labels").where("quality = 1").select(
+        F.concat(F.lit("DOC_"), F.col("doc_id").cast("string")).alias("token")
+    )
+    policies = {
+        "all": lambda x: x, "cap_3": S.first_listed(3), "csv": S.with_extension(".csv"),
+        "mentioned": lambda x: S.mentioned(x, tokens)
+    }
     kept = S.apply_policies(listed, policies)
     out = S.evaluate_policy(kept, opens, ["policy"])
-    return out.select("policy", "kept_files", "kept_bytes", "agent_opens", "hits", *[F.round(c, 4).alias(c) for c in ("recall", "precision", "byte_overfetch_vs_hits")])
+    return out.select(
+        "policy", "kept_files", "kept_bytes", "agent_opens", "hits",
+        *[F.round(c, 4).alias(c) for c in ("recall", "precision", "byte_overfetch_vs_hits")]
+    )
 
 
 def staged_before_open(spark, sf):
     """Was a document staged (seen in a view) by the time a session opened it?"""
-    views = X.table(spark, sf, "events").where("event_type = 'view'").select(F.get_json_object("props", "$.k").cast("long").alias("doc_id"), F.col("ts").alias("t_completed")).join(X.files(spark, sf), "doc_id").select("path", "t_completed")
+    views = X.table(spark, sf, "events").where("event_type = 'view'").select(
+        F.get_json_object("props", "$.k").cast("long").alias("doc_id"), F.col("ts").alias("t_completed")
+    ).join(X.files(spark, sf), "doc_id").select("path", "t_completed")
     opens = _opens(spark, sf).select("session_id", "path", F.col("ts").alias("t_open"), "bytes", "source")
     s = S.staged_in_time(opens, views)
-    return s.groupBy("source").agg(F.count(F.lit(1)).alias("opens"), F.count(F.when(F.col("hit"), 1)).alias("hits"), F.sum("bytes").alias("bytes"), F.sum(F.when(F.col("hit"), F.col("bytes")).otherwise(0)).alias("hot_bytes"), F.sum(F.when(F.col("hit"), F.col("bytes")).otherwise(F.col("bytes") * 20)).alias("read_us"))
+    return s.groupBy("source").agg(
+        F.count(F.lit(1)).alias("opens"), F.count(F.when(F.col("hit"), 1)).alias("hits"), F.sum("bytes").alias("bytes"),
+        F.sum(F.when(F.col("hit"), F.col("bytes")).otherwise(0)).alias("hot_bytes"),
+        F.sum(F.when(F.col("hit"), F.col("bytes")).otherwise(F.col("bytes") * 20)).alias("read_us")
+    )
 
 
 def stage_report(spark, sf):
     s = S.stage_summary(X.stage_events(spark, sf), ["tier"])
-    return s.select("tier", "n_events", "n_staged", "n_hits", "n_errors", "n_skipped", "total_bytes_staged", F.col("p50").cast("double").alias("p50"), F.col("p95").cast("double").alias("p95"), "max_ms", F.round("mean_ms", 4).alias("mean_ms"))
+    return s.select(
+        "tier", "n_events", "n_staged", "n_hits", "n_errors", "n_skipped", "total_bytes_staged",
+        F.col("p50").cast("double").alias("p50"), F.col("p95").cast("double").alias("p95"), "max_ms",
+        F.round("mean_ms", 4).alias("mean_ms")
+    )
 
 
 def hit_files_by_family(spark, sf):
     """Recall of the literal layer and of tier 1, and their difference, by language (semantic lift)."""
     t1 = layers(spark, sf).where("layer = 'tier_1'").select("path").distinct()
     hot = hot_files(spark, sf).select("path").distinct()
-    truth = X.truth(spark, sf).join(X.files(spark, sf).select("path", "lang"), "path").join(t1.withColumn("a", F.lit(1)), "path", "left").join(hot.withColumn("b", F.lit(1)), "path", "left")
+    truth = X.truth(spark, sf).join(
+        X.files(spark, sf).select("path", "lang"), "path"
+    ).join(t1.withColumn("a", F.lit(1)), "path", "left").join(hot.withColumn("b", F.lit(1)), "path", "left")
     g = truth.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.count("a").alias("tier_1"), F.count("b").alias("hot"))
     return g.withColumn("lift", F.round((F.col("tier_1") - F.col("hot")) / F.col("n"), 4))
 
 
-QUERIES = {f.__name__: f for f in (tier1_byte_score, score_grid, rule_first_fire, rule_first_fire_transcript, rule_prefix_fire, activation_summary, tier_cumulative_files, live_tiers, naive_overfetch, subset_metrics, falsepos_report, loo_rules, loo_robustness, loo_top, rule_origin_counts, auto_rules, rule_fingerprint, enrich_policies, staged_before_open, stage_report, hit_files_by_family)}
+QUERIES = {
+    f.__name__: f for f in (
+        tier1_byte_score, score_grid, rule_first_fire, rule_first_fire_transcript, rule_prefix_fire, activation_summary,
+        tier_cumulative_files, live_tiers, naive_overfetch, subset_metrics, falsepos_report, loo_rules, loo_robustness, loo_top,
+        rule_origin_counts, auto_rules, rule_fingerprint, enrich_policies, staged_before_open, stage_report, hit_files_by_family
+    )
+}
 
 _SCORES = """count(*) as n_detected, max(tot.n) as n_ground_truth, count(t.path) as n_overlap, cast(sum(p.bytes) as bigint) as bytes_detected, cast(max(tot.b) as bigint) as bytes_ground_truth, cast(coalesce(sum(case when t.path is not null then p.bytes end), 0) as bigint) as bytes_overlap,
  round(coalesce(sum(case when t.path is not null then p.bytes end), 0) / max(tot.b), 4) as byte_recall, round(sum(p.bytes) / max(tot.b), 4) as byte_overfetch, round(count(t.path) / max(tot.n), 4) as file_recall, round(count(t.path) / count(*), 4) as file_precision"""

@@ -24,7 +24,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.when(F.col("role") == "user", "tool_result").when(F.col("role") == "system", "tool_use").when(F.col("turn") % 4 == 1, "thinking").otherwise("text")
-    return table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("session_id"), F.col("turn").alias("block_seq"), "turn", kind.alias("type"), (F.col("turn") * 1000.0).alias("t_first"), ((F.col("turn") + 1) * 1000.0).alias("t_stop"), "text")
+    return table(spark, sf_dir, "conversations").select(
+        F.col("conv_id").alias("session_id"), F.col("turn").alias("block_seq"), "turn", kind.alias("type"),
+        (F.col("turn") * 1000.0).alias("t_first"), ((F.col("turn") + 1) * 1000.0).alias("t_stop"), "text"
+    )
 
 
 def talk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,9 +35,13 @@ def talk(spark: SparkSession, sf_dir: str) -> DataFrame:
     c, turn = F.col("conv_id"), F.col("turn")
     text = F.concat(
         F.lit("txt "), F.col("text"), F.lit(" open /data/src"), (turn % 20).cast("string"), F.lit("/en/doc_"), (c * 7 % 500).cast("string"),
-        F.lit(".txt, then data/x/file.csv. and xdata/no.csv or mydoc_"), (c % 300).cast("string"), F.lit(".txt and doc_"), (c % 90).cast("string"), F.lit("."))
+        F.lit(
+            ".txt, then data/x/file.csv. and xdata/no.csv or mydoc_"
+        ), (c % 300).cast("string"), F.lit(".txt and doc_"), (c % 90).cast("string"), F.lit("."))
     kind = F.when(turn % 4 == 1, "thinking").otherwise("text")
-    return table(spark, sf_dir, "conversations").select(c.alias("session_id"), turn.alias("block_seq"), kind.alias("type"), text.alias("text"))
+    return table(spark, sf_dir, "conversations").select(
+        c.alias("session_id"), turn.alias("block_seq"), kind.alias("type"), text.alias("text")
+    )
 
 
 def doc_path(id_: str = "doc_id"):
@@ -42,11 +49,16 @@ def doc_path(id_: str = "doc_id"):
 
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", doc_path().alias("path"), F.col("n_chars").alias("bytes"), "lang", "source")
+    return table(spark, sf_dir, "documents").select(
+        "doc_id", doc_path().alias("path"), F.col("n_chars").alias("bytes"), "lang", "source"
+    )
 
 
 def prior(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = F.array(F.concat(F.lit("source_"), "source"), F.concat(F.lit("lang_"), "lang"), F.lit("all_files"), F.when(F.col("doc_id") == 0, "first_file"))
+    names = F.array(
+        F.concat(F.lit("source_"), "source"), F.concat(F.lit("lang_"), "lang"), F.lit("all_files"),
+        F.when(F.col("doc_id") == 0, "first_file")
+    )
     return files(spark, sf_dir).select(F.explode(F.array_compact(names)).alias("bucket"), "path", "bytes")
 
 
@@ -56,7 +68,9 @@ def truth(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rules(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(RULES, "ord int, name string, pattern string, target_key string, origin string").select("ord", "name", "pattern", F.array("target_key").alias("target_keys"), "origin")
+    return spark.createDataFrame(
+        RULES, "ord int, name string, pattern string, target_key string, origin string"
+    ).select("ord", "name", "pattern", F.array("target_key").alias("target_keys"), "origin")
 
 
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,19 +78,31 @@ def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, v in TOOLS.items():
         tool = F.when(F.col("event_type") == k, v).otherwise(tool)
     rank = F.expr("row_number() over (partition by user_id order by ts) - 1")
-    return table(spark, sf_dir, "events").select(F.col("user_id").alias("session_id"), rank.alias("turn"), tool.alias("tool_name"), F.col("value").alias("duration_s"), "ts", "event_id", "props")
+    return table(spark, sf_dir, "events").select(
+        F.col("user_id").alias("session_id"), rank.alias("turn"), tool.alias("tool_name"), F.col("value").alias("duration_s"),
+        "ts", "event_id", "props"
+    )
 
 
 def stage_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.when(F.col("l_returnflag") == "A", "staged").when(F.col("l_returnflag") == "N", "hit").otherwise("error")
-    return table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("cold_path"), F.floor("l_extendedprice").cast("long").alias("size_bytes"), F.col("l_quantity").alias("fetch_ms"), F.col("l_linenumber").alias("tier"), kind.alias("outcome"), F.col("l_shipdate").alias("t_completed"))
+    return table(spark, sf_dir, "lineitem").select(
+        F.col("l_partkey").alias("cold_path"), F.floor("l_extendedprice").cast("long").alias("size_bytes"),
+        F.col("l_quantity").alias("fetch_ms"), F.col("l_linenumber").alias("tier"), kind.alias("outcome"),
+        F.col("l_shipdate").alias("t_completed")
+    )
 
 
 def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", "o_orderstatus")
     price, off = F.col("l_extendedprice").cast("decimal(12,2)"), F.col("l_discount").cast("decimal(4,2)")
-    items = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sum(price).alias("cold_amt"), F.sum(price * (1 - off)).alias("staged_amt"), F.count(F.lit(1)).alias("n_rows"))
-    return o.join(items, o.o_orderkey == items.l_orderkey).select(F.col("o_orderkey").alias("cell"), F.col("o_orderpriority").alias("task"), F.col("o_orderstatus").alias("model"), "cold_amt", "staged_amt", "n_rows")
+    items = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(
+        F.sum(price).alias("cold_amt"), F.sum(price * (1 - off)).alias("staged_amt"), F.count(F.lit(1)).alias("n_rows")
+    )
+    return o.join(items, o.o_orderkey == items.l_orderkey).select(
+        F.col("o_orderkey").alias("cell"), F.col("o_orderpriority").alias("task"), F.col("o_orderstatus").alias("model"),
+        "cold_amt", "staged_amt", "n_rows"
+    )
 
 
 _SQL = {

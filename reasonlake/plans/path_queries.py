@@ -11,7 +11,10 @@ from ..operators import scoring as S
 from . import fixtures as X
 
 PREFIXES = [("/data/src1/", "/cold/a/"), ("/data/src", "/cold/b")]
-MOUNTS = [("/", "disk", 9.0, 100.0), ("/data", "nfs", 5.0, 400.0), ("/data/src1", "ssd", 0.5, 900.0), ("/data/src1/en", "ram", 0.05, 4000.0), ("/data/src2", "s3", 80.0, 0.0)]
+MOUNTS = [
+    ("/", "disk", 9.0, 100.0), ("/data", "nfs", 5.0, 400.0), ("/data/src1", "ssd", 0.5, 900.0),
+    ("/data/src1/en", "ram", 0.05, 4000.0), ("/data/src2", "s3", 80.0, 0.0)
+]
 _MOUNTS = "(values " + ", ".join(str(m) for m in MOUNTS) + ") as m(mount, kind, first_byte_ms, throughput)"
 
 
@@ -22,13 +25,27 @@ def mounts(spark):
 def prefix_map_resolve(spark, sf):
     f = X.files(spark, sf)
     p = F.col("path")
-    return f.select("path", P.resolve(p, PREFIXES).alias("real"), P.resolve_under(F.concat(F.lit("/data/x/"), F.col("doc_id").cast("string")), [("/data/x/", "/y/")], "/cold").alias("mapped"), P.resolve_under(p, [("/data/src1/en/", "/z/")], "/cold/").alias("under"), P.mirror("/hot/", p).alias("mirror"), P.is_output_path(p).alias("is_output"), P.under_root(p, F.lit("/data/src1")).alias("in_root"))
+    return f.select(
+        "path", P.resolve(p, PREFIXES).alias("real"),
+        P.resolve_under(
+            F.concat(F.lit("/data/x/"), F.col("doc_id").cast("string")), [("/data/x/", "/y/")], "/cold"
+        ).alias("mapped"),
+        P.resolve_under(p, [("/data/src1/en/", "/z/")], "/cold/").alias("under"), P.mirror("/hot/", p).alias("mirror"),
+        P.is_output_path(p).alias("is_output"), P.under_root(p, F.lit("/data/src1")).alias("in_root")
+    )
 
 
 def path_parts(spark, sf):
     p = F.col("path")
-    f = X.files(spark, sf).select(F.concat("path", F.when(F.col("doc_id") % 3 == 0, ".gz").when(F.col("doc_id") % 7 == 0, "T120000.x").otherwise("")).alias("path"))
-    return f.select("path", P.basename(p).alias("base"), P.stem(p).alias("stem"), P.short_stem(p).alias("short"), P.child_of(F.lit("/data/"), p).alias("child"), F.size(P.ancestors(p)).alias("depth"))
+    f = X.files(spark, sf).select(
+        F.concat(
+            "path", F.when(F.col("doc_id") % 3 == 0, ".gz").when(F.col("doc_id") % 7 == 0, "T120000.x").otherwise("")
+        ).alias("path")
+    )
+    return f.select(
+        "path", P.basename(p).alias("base"), P.stem(p).alias("stem"), P.short_stem(p).alias("short"),
+        P.child_of(F.lit("/data/"), p).alias("child"), F.size(P.ancestors(p)).alias("depth")
+    )
 
 
 def longest_prefix_join(spark, sf):
@@ -39,34 +56,65 @@ def stage_decision(spark, sf):
     f = S.longest_prefix(X.files(spark, sf).select("doc_id", "path", "bytes"), mounts(spark))
     cost = L.stage_cost_ms(F.col("first_byte_ms"), F.col("throughput"), F.col("bytes"))
     d = f.select("doc_id", "mount", cost.alias("cost"), (F.col("doc_id") % 10).cast("double").alias("slack"))
-    return d.select("doc_id", "mount", F.when(F.col("cost") != float("inf"), F.round("cost", 4)).alias("cost_ms"), L.stage_decision(F.col("mount"), F.lit("/data/src1/en"), F.col("cost"), F.col("slack")).alias("d")).select("doc_id", "mount", "cost_ms", "d.stage", "d.reason")
+    return d.select(
+        "doc_id", "mount", F.when(F.col("cost") != float("inf"), F.round("cost", 4)).alias("cost_ms"),
+        L.stage_decision(F.col("mount"), F.lit("/data/src1/en"), F.col("cost"), F.col("slack")).alias("d")
+    ).select("doc_id", "mount", "cost_ms", "d.stage", "d.reason")
 
 
 def tier_roles(spark, sf):
     """Roles of the mounts, with the files and bytes that each holds."""
-    f = S.longest_prefix(X.files(spark, sf).select("path", "bytes"), mounts(spark)).groupBy("mount").agg(F.count(F.lit(1)).alias("n_files"), F.sum("bytes").alias("bytes"))
-    return N.tier_roles(mounts(spark).select("mount", "first_byte_ms")).join(f, "mount", "left").select("mount", "role", "rank", F.coalesce("n_files", F.lit(0)).alias("n_files"), F.coalesce("bytes", F.lit(0)).alias("bytes"))
+    f = S.longest_prefix(X.files(spark, sf).select("path", "bytes"), mounts(spark)).groupBy("mount").agg(
+        F.count(F.lit(1)).alias("n_files"), F.sum("bytes").alias("bytes")
+    )
+    return N.tier_roles(mounts(spark).select("mount", "first_byte_ms")).join(f, "mount", "left").select(
+        "mount", "role", "rank", F.coalesce("n_files", F.lit(0)).alias("n_files"), F.coalesce("bytes", F.lit(0)).alias("bytes")
+    )
 
 
 def source_resolution(spark, sf):
     f = X.files(spark, sf)
     ext = F.when(F.col("doc_id") % 4 == 0, ".gz").when(F.col("doc_id") % 4 == 1, ".xz").when(F.col("doc_id") % 4 == 2, "")
-    inv = f.where("doc_id % 4 < 3").select(F.concat("path", ext).alias("path"), "bytes", (F.col("bytes") + (F.col("doc_id") % 8) * 100 - 200).alias("trailer"))
+    inv = f.where("doc_id % 4 < 3").select(
+        F.concat("path", ext).alias("path"), "bytes", (F.col("bytes") + (F.col("doc_id") % 8) * 100 - 200).alias("trailer")
+    )
     return S.source_of(f.select("path"), inv)
 
 
 def companion_files(spark, sf):
     f = X.files(spark, sf)
     base = F.regexp_replace("path", "txt$", "vcf.gz")
-    prim = f.select(F.when(F.col("doc_id") % 2 == 0, F.regexp_replace("path", "txt$", "bam")).otherwise(base).alias("path"), "doc_id")
-    inv = prim.select(F.when(F.col("doc_id") % 4 == 0, F.concat("path", F.lit(".bai"))).when(F.col("doc_id") % 4 == 2, F.regexp_replace("path", "bam$", "bai")).when(F.col("doc_id") % 4 == 1, F.concat("path", F.lit(".csi"))).otherwise(F.concat("path", F.lit(".zzz"))).alias("path"))
+    prim = f.select(
+        F.when(F.col("doc_id") % 2 == 0, F.regexp_replace("path", "txt$", "bam")).otherwise(base).alias("path"), "doc_id"
+    )
+    inv = prim.select(
+        F.when(F.col("doc_id") % 4 == 0, F.concat("path", F.lit(".bai"))).when(
+            F.col("doc_id") % 4 == 2, F.regexp_replace("path", "bam$", "bai")
+        ).when(F.col("doc_id") % 4 == 1, F.concat("path", F.lit(".csi"))).otherwise(F.concat("path", F.lit(".zzz"))).alias("path")
+    )
     return S.companions(prim, inv)
 
 
 def file_buckets(spark, sf):
-    n = F.element_at(F.array(*[F.lit(x) for x in ("description.md", "sample_submission.csv", "train.csv", "test.csv", "more.csv", "train_a.zip", "Test_b.ZIP", "c.zip", "d.parquet", "e.PNG", "f.txt")]), (F.col("doc_id") % 11 + 1).cast("int"))
+    n = F.element_at(
+        F.array(
+            *[
+                F.lit(x) for x in (
+                    "description.md", "sample_submission.csv", "train.csv", "test.csv", "more.csv", "train_a.zip", "Test_b.ZIP",
+                    "c.zip", "d.parquet", "e.PNG", "f.txt"
+                )
+            ]
+        ),
+        (F.col("doc_id") % 11 + 1).cast("int")
+    )
     f = X.files(spark, sf).withColumn("name", n)
-    return f.groupBy(P.role_bucket(F.col("name")).alias("role"), P.group_bucket(F.concat_ws("/", F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("a-b."), F.col("lang"))), F.col("name"))).alias("grp"), F.array_join(P.pattern_buckets(F.col("path"), {"source": "/(src1[0-9]*)/", "lang": "/(en|de)/"}), ",").alias("tags")).agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes"))
+    return f.groupBy(
+        P.role_bucket(F.col("name")).alias("role"),
+        P.group_bucket(
+            F.concat_ws("/", F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("a-b."), F.col("lang"))), F.col("name"))
+        ).alias("grp"),
+        F.array_join(P.pattern_buckets(F.col("path"), {"source": "/(src1[0-9]*)/", "lang": "/(en|de)/"}), ",").alias("tags")
+    ).agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes"))
 
 
 def path_tokens(spark, sf):
@@ -74,14 +122,24 @@ def path_tokens(spark, sf):
 
 
 def hot_literal_scan(spark, sf):
-    return S.literal_scan(X.talk(spark, sf), X.prior(spark, sf).where("bucket = 'all_files'")).select("session_id", "path", F.col("start").cast("long").alias("start"))
+    return S.literal_scan(
+        X.talk(spark, sf), X.prior(spark, sf).where("bucket = 'all_files'")
+    ).select("session_id", "path", F.col("start").cast("long").alias("start"))
 
 
 def listing_growth(spark, sf):
     """Files that listings in the text name and the inventory lacks."""
-    line = F.concat(F.lit("  FILE  /data/"), F.col("source"), F.lit("/"), F.col("lang"), F.lit("/doc_"), (F.col("doc_id") * 2).cast("string"), F.when(F.col("doc_id") % 5 == 0, ".bin").otherwise(".txt"), F.lit("  ("), F.col("n_chars").cast("string"), F.lit(" bytes)"))
+    line = F.concat(
+        F.lit("  FILE  /data/"), F.col("source"), F.lit("/"), F.col("lang"), F.lit("/doc_"), (F.col("doc_id") * 2).cast("string"),
+        F.when(F.col("doc_id") % 5 == 0, ".bin").otherwise(".txt"), F.lit("  ("), F.col("n_chars").cast("string"),
+        F.lit(" bytes)")
+    )
     text = X.table(spark, sf, "documents").select(F.concat(F.lit("Listing\n"), line, F.lit("\n  DIR   x/\n")).alias("text"))
-    listed = text.select(F.explode(F.arrays_zip(P.listing_files(F.col("text")).alias("path"), P.listing_sizes(F.col("text")).alias("bytes"))).alias("f")).select("f.path", "f.bytes").where(P.listed_extension(F.col("path")))
+    listed = text.select(
+        F.explode(
+            F.arrays_zip(P.listing_files(F.col("text")).alias("path"), P.listing_sizes(F.col("text")).alias("bytes"))
+        ).alias("f")
+    ).select("f.path", "f.bytes").where(P.listed_extension(F.col("path")))
     return S.new_listed(listed, X.files(spark, sf)).join(listed.groupBy("path").agg(F.max("bytes").alias("bytes")), "path")
 
 
@@ -91,30 +149,46 @@ def directory_policy(spark, sf):
     bad = X.table(spark, sf, "labels").where("quality = 0 AND toxic = 1").select("doc_id")
     zips = f.join(bad, "doc_id", "left_semi").select(F.concat("dir", F.lit(".zip")).alias("path")).distinct()
     open_ = S.without_zip_sibling(f.select(F.col("dir").alias("path")).distinct(), zips).select(F.col("path").alias("dir"))
-    return kept.groupBy("dir").agg(F.count(F.lit(1)).alias("kept"), F.max("n_in_dir").alias("n"), F.sum("bytes").alias("bytes")).join(open_, "dir", "left_semi")
+    return kept.groupBy("dir").agg(
+        F.count(F.lit(1)).alias("kept"), F.max("n_in_dir").alias("n"), F.sum("bytes").alias("bytes")
+    ).join(open_, "dir", "left_semi")
 
 
 def retention_plan(spark, sf):
     e = X.table(spark, sf, "events").select("user_id", F.get_json_object("props", "$.k").cast("long").alias("doc_id"), "ts")
-    f = e.join(X.files(spark, sf).select("doc_id", "path", "bytes"), "doc_id").groupBy("user_id", "path", "bytes").agg(F.max("ts").alias("atime"))
+    f = e.join(
+        X.files(spark, sf).select("doc_id", "path", "bytes"), "doc_id"
+    ).groupBy("user_id", "path", "bytes").agg(F.max("ts").alias("atime"))
     plan = N.retention(f, ["user_id"], ["atime", "path"], F.lit(20_000), protected=F.col("path").like("%0.txt"))
-    return plan.groupBy("user_id").agg(F.count(F.when(F.col("evict"), 1)).alias("n_evict"), F.sum(F.when(F.col("evict"), F.col("bytes")).otherwise(0)).alias("freed"), F.bool_and("possible").alias("possible"))
+    return plan.groupBy("user_id").agg(
+        F.count(F.when(F.col("evict"), 1)).alias("n_evict"),
+        F.sum(F.when(F.col("evict"), F.col("bytes")).otherwise(0)).alias("freed"), F.bool_and("possible").alias("possible")
+    )
 
 
 def placement_plan(spark, sf):
     f = X.files(spark, sf).select("source", "lang", "doc_id", "path", "bytes")
     p = N.placement(f, ["source", "lang"], "doc_id", 8_000)
-    return p.groupBy("source", "lang").agg(F.count(F.when(F.col("primary"), 1)).alias("n_primary"), F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("primary"), F.col("bytes")).otherwise(0)).alias("used"))
+    return p.groupBy("source", "lang").agg(
+        F.count(F.when(F.col("primary"), 1)).alias("n_primary"), F.count(F.lit(1)).alias("n"),
+        F.sum(F.when(F.col("primary"), F.col("bytes")).otherwise(0)).alias("used")
+    )
 
 
 def cap_per_rule(spark, sf):
     """At most 40 files a rule and session half; the first rule that asks takes a file."""
-    ask = X.rules(spark).select("ord", F.explode("target_keys").alias("bucket")).where("ord > 1").join(X.prior(spark, sf), "bucket").withColumn("half", F.length("path") % 2)
-    return N.cap_per_rule(ask, ["half"], "ord", "path", 40).select("half", "ord", "path", F.col("rank").cast("long").alias("rank"))
+    ask = X.rules(spark).select(
+        "ord", F.explode("target_keys").alias("bucket")
+    ).where("ord > 1").join(X.prior(spark, sf), "bucket").withColumn("half", F.length("path") % 2)
+    return N.cap_per_rule(ask, ["half"], "ord", "path", 40).select(
+        "half", "ord", "path", F.col("rank").cast("long").alias("rank")
+    )
 
 
 def accessed_top_up(spark, sf):
-    e = X.table(spark, sf, "events").where("event_type = 'error'").select("user_id", F.get_json_object("props", "$.k").cast("long").alias("doc_id"), "ts").join(X.files(spark, sf).select("doc_id", "path", "source"), "doc_id")
+    e = X.table(spark, sf, "events").where("event_type = 'error'").select(
+        "user_id", F.get_json_object("props", "$.k").cast("long").alias("doc_id"), "ts"
+    ).join(X.files(spark, sf).select("doc_id", "path", "source"), "doc_id")
     truth = X.truth(spark, sf).join(X.files(spark, sf).select("path", F.col("source").alias("key")), "path").select("key", "path")
     seen = e.select(F.col("source").alias("key"), "path", "ts")
     out = N.top_up(seen, truth, "key", "ts", 12, 5)
@@ -122,7 +196,9 @@ def accessed_top_up(spark, sf):
 
 
 def token_bag(spark, sf):
-    t = X.blocks(spark, sf).where("type = 'thinking'").select("session_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("[A-Za-z0-9_]{4,}"), 0))).alias("token"))
+    t = X.blocks(spark, sf).where("type = 'thinking'").select(
+        "session_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("[A-Za-z0-9_]{4,}"), 0))).alias("token")
+    )
     return t.groupBy(F.lower("token").alias("token")).agg(F.count_distinct("session_id").alias("sessions"))
 
 
@@ -131,10 +207,18 @@ def source_files(spark, sf):
     from pyspark.sql import Window
 
     f = X.files(spark, sf).select("source", "path", "bytes")
-    return f.withColumn("rank", F.row_number().over(Window.partitionBy("source").orderBy(F.desc("bytes"), "path")).cast("long")).where("rank <= 10")
+    return f.withColumn(
+        "rank", F.row_number().over(Window.partitionBy("source").orderBy(F.desc("bytes"), "path")).cast("long")
+    ).where("rank <= 10")
 
 
-QUERIES = {f.__name__: f for f in (prefix_map_resolve, path_parts, longest_prefix_join, stage_decision, tier_roles, source_resolution, companion_files, file_buckets, path_tokens, hot_literal_scan, listing_growth, directory_policy, retention_plan, placement_plan, cap_per_rule, accessed_top_up, token_bag, source_files)}
+QUERIES = {
+    f.__name__: f for f in (
+        prefix_map_resolve, path_parts, longest_prefix_join, stage_decision, tier_roles, source_resolution, companion_files,
+        file_buckets, path_tokens, hot_literal_scan, listing_growth, directory_policy, retention_plan, placement_plan,
+        cap_per_rule, accessed_top_up, token_bag, source_files
+    )
+}
 
 _BEST = f"(select f.doc_id, f.path, f.bytes, arg_max(m.mount, length(m.mount)) as mount, arg_max(m.kind, length(m.mount)) as kind, arg_max(m.first_byte_ms, length(m.mount)) as fb, arg_max(m.throughput, length(m.mount)) as tp from fx_files f join {_MOUNTS} on m.mount = '/' or f.path = m.mount or starts_with(f.path, concat(m.mount, '/')) group by f.doc_id, f.path, f.bytes)"
 

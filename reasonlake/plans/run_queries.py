@@ -25,7 +25,9 @@ def _r(names, d=4):
 
 # ---- sessions
 
-_SHARES = ("total_s", "comm_s", "stream_s", "tool_s", "other_s", "harness_s", "tool_exec_pct", "reasoning_pct", "comm_pct", "harness_pct")
+_SHARES = (
+    "total_s", "comm_s", "stream_s", "tool_s", "other_s", "harness_s", "tool_exec_pct", "reasoning_pct", "comm_pct", "harness_pct"
+)
 
 
 def share_medians(spark, sf):
@@ -38,13 +40,18 @@ def share_medians(spark, sf):
 def _deltas(spark, sf):
     """Events as deltas, three to a turn: the value is the time in the turn."""
     t = X.turns(spark, sf)
-    return t.select("session_id", (F.col("turn") / 3).cast("long").alias("turn"), (F.col("duration_s") * 1000).cast("decimal(18,0)").alias("t_ms"))
+    return t.select(
+        "session_id", (F.col("turn") / 3).cast("long").alias("turn"),
+        (F.col("duration_s") * 1000).cast("decimal(18,0)").alias("t_ms")
+    )
 
 
 def _slack(spark, sf):
     money = session_queries._money(spark, sf)
     split = E.shell_split(money, ["session_id"]).select("session_id", "total_s", "shell_s")
-    return R.slack_metrics(split, R.streaming_seconds(_deltas(spark, sf)), E.prefetch_window(money, F.col("tool_name") == "open_file"))
+    return R.slack_metrics(
+        split, R.streaming_seconds(_deltas(spark, sf)), E.prefetch_window(money, F.col("tool_name") == "open_file")
+    )
 
 
 def slack_metrics(spark, sf):
@@ -52,63 +59,103 @@ def slack_metrics(spark, sf):
 
 
 def slack_cells(spark, sf):
-    m = _slack(spark, sf).withColumns({"task": F.col("session_id") % 10, "mode": F.when(F.col("session_id") % 2 == 0, "baseline").otherwise("staged")})
-    return R.slack_cells(m, ["task", "mode"]).select("task", "mode", "n", *_r([f"med_{c}" for c in ("total_s", "shell_s", "streaming_s", "window_s", "slack_frac")], 3))
+    m = _slack(spark, sf).withColumns(
+        {"task": F.col("session_id") % 10, "mode": F.when(F.col("session_id") % 2 == 0, "baseline").otherwise("staged")}
+    )
+    return R.slack_cells(m, ["task", "mode"]).select(
+        "task", "mode", "n", *_r([f"med_{c}" for c in ("total_s", "shell_s", "streaming_s", "window_s", "slack_frac")], 3)
+    )
 
 
 def io_counters(spark, sf):
     """Counters of the shell calls of each session; reads of cached files are missing."""
     t = X.turns(spark, sf).where("tool_name = 'run_shell_command'")
     size = F.floor(F.col("duration_s") * 1000)
-    c = t.select("session_id", size.alias("rchar"), F.when(F.col("duration_s") >= 20, size * 4).alias("read_bytes"), F.lit(None).cast("long").alias("wchar"), F.col("duration_s").cast("decimal(18,2)").alias("elapsed_s"))
-    return R.io_counters(c, ["session_id"]).select("session_id", "rchar", "read_bytes", "wchar", "n_shell_calls", F.col("shell_elapsed_total_s").cast("double").alias("shell_elapsed_total_s"))
+    c = t.select(
+        "session_id", size.alias("rchar"), F.when(F.col("duration_s") >= 20, size * 4).alias("read_bytes"),
+        F.lit(None).cast("long").alias("wchar"), F.col("duration_s").cast("decimal(18,2)").alias("elapsed_s")
+    )
+    return R.io_counters(c, ["session_id"]).select(
+        "session_id", "rchar", "read_bytes", "wchar", "n_shell_calls",
+        F.col("shell_elapsed_total_s").cast("double").alias("shell_elapsed_total_s")
+    )
 
 
 def _named(spark, sf):
     """(session_id, path, absolute): complete paths that a session's reasoning names."""
-    said = X.talk(spark, sf).where("type = 'thinking'").select("session_id", F.explode(P.path_tokens(F.col("text"))).alias("path"), "text")
-    return said.select("session_id", "path", F.contains("text", F.concat(F.lit("/"), "path")).alias("absolute")).groupBy("session_id", "path").agg(F.max("absolute").alias("absolute"))
+    said = X.talk(spark, sf).where("type = 'thinking'").select(
+        "session_id", F.explode(P.path_tokens(F.col("text"))).alias("path"), "text"
+    )
+    return said.select(
+        "session_id", "path", F.contains("text", F.concat(F.lit("/"), "path")).alias("absolute")
+    ).groupBy("session_id", "path").agg(F.max("absolute").alias("absolute"))
 
 
 def pathfulness(spark, sf):
     sessions = X.talk(spark, sf).select("session_id").distinct()
-    n = _named(spark, sf).groupBy("session_id").agg(F.count(F.lit(1)).alias("n_complete"), F.count(F.when(F.col("absolute"), 1)).alias("n_abs"))
-    runs = sessions.join(n, "session_id", "left").select((F.col("session_id") % 3).alias("bench"), F.coalesce("n_complete", F.lit(0)).alias("n_complete"), F.coalesce("n_abs", F.lit(0)).alias("n_abs"))
+    n = _named(spark, sf).groupBy("session_id").agg(
+        F.count(F.lit(1)).alias("n_complete"), F.count(F.when(F.col("absolute"), 1)).alias("n_abs")
+    )
+    runs = sessions.join(n, "session_id", "left").select(
+        (F.col("session_id") % 3).alias("bench"), F.coalesce("n_complete", F.lit(0)).alias("n_complete"),
+        F.coalesce("n_abs", F.lit(0)).alias("n_abs")
+    )
     return R.pathfulness(runs, ["bench"])
 
 
 def compliance_report(spark, sf):
-    runs = session_queries.path_compliance(spark, sf).withColumn("model", F.concat(F.lit("m"), (F.col("session_id") % 3).cast("string")))
+    runs = session_queries.path_compliance(spark, sf).withColumn(
+        "model", F.concat(F.lit("m"), (F.col("session_id") % 3).cast("string"))
+    )
     out = R.compliance_report(runs, ["model"]).unionByName(R.compliance_report(runs, []).withColumn("model", F.lit("all")))
     return out.select("model", "n_runs", "n_with_access", "total_named", "zero_named", *_r(("median_compliance",)))
 
 
 def real_run_means(spark, sf):
     """Means of runs by priority, for the models that are kept."""
-    o = X.table(spark, sf, "orders").where("o_orderstatus in ('F', 'O')").select(F.col("o_orderkey").alias("file"), F.col("o_orderpriority").alias("workload"))
+    o = X.table(spark, sf, "orders").where("o_orderstatus in ('F', 'O')").select(
+        F.col("o_orderkey").alias("file"), F.col("o_orderpriority").alias("workload")
+    )
     t = logs.io_totals(cell_queries.reports(spark, sf)).join(o, "file")
-    return R.real_runs(t, ["workload"]).select("workload", "n_runs", *_r(("mean_job_time", "mean_io_frac", "mean_elim_speedup", "mean_far_speedup"), 3))
+    return R.real_runs(t, ["workload"]).select(
+        "workload", "n_runs", *_r(("mean_job_time", "mean_io_frac", "mean_elim_speedup", "mean_far_speedup"), 3)
+    )
 
 
 def rep_medians(spark, sf):
     o = cell_queries._orders(spark, sf)
-    rc = X.table(spark, sf, "orders").select(F.col("o_orderkey").alias("run"), F.when(F.col("o_orderstatus") == "P", 1).otherwise(0).alias("rc"))
-    return C.rep_medians(o.join(rc, "run"), ["task"], "mode", "v", "rc", "baseline").select("task", "base", "other", *_r(("speedup", "saved"), 3))
+    rc = X.table(spark, sf, "orders").select(
+        F.col("o_orderkey").alias("run"), F.when(F.col("o_orderstatus") == "P", 1).otherwise(0).alias("rc")
+    )
+    return C.rep_medians(
+        o.join(rc, "run"), ["task"], "mode", "v", "rc", "baseline"
+    ).select("task", "base", "other", *_r(("speedup", "saved"), 3))
 
 
 def campaign_runs(spark, sf):
     """Runs by benchmark, model and prompt, after the full campaign filter."""
     o = X.table(spark, sf, "orders")
     tasks = F.array(*[F.lit(x) for x in ("aiob_1", "mle_2", "kb_3", "data_integrity", "other_5", "ill_6", "skip_7")])
-    models = F.array(*[F.lit(x) for x in ("claude-haiku-4-5", "claude-sonnet-4-5", "gemini-2.5-flash", "Qwen/Qwen3.6-27B", "deepseek-v")])
+    models = F.array(
+        *[F.lit(x) for x in ("claude-haiku-4-5", "claude-sonnet-4-5", "gemini-2.5-flash", "Qwen/Qwen3.6-27B", "deepseek-v")]
+    )
     k = F.col("o_orderkey")
     runs = o.select(
-        F.element_at(tasks, (F.col("o_custkey") % 7 + 1).cast("int")).alias("task"), F.element_at(models, (k % 5 + 1).cast("int")).alias("model"), F.lit("").alias("provider"),
+        F.element_at(
+            tasks, (F.col("o_custkey") % 7 + 1).cast("int")
+        ).alias("task"), F.element_at(models, (k % 5 + 1).cast("int")).alias("model"), F.lit("").alias("provider"),
         (F.col("o_orderpriority") == "1-URGENT").alias("planning_prompt"), F.lit(1).alias("turn"), (F.col("o_orderstatus") != "P").alias("has_thinking"), (F.col("o_totalprice") > 1000).alias("has_metrics"),
-        F.when(F.col("o_orderstatus") == "F", "").otherwise("hinted").alias("prompt_mode"), F.when(F.col("o_orderpriority") == "5-LOW", "pathful_v4").otherwise("plain").alias("prompt_variant"))
-    kept = logs.filter_campaign(runs, exclude_tasks=("skip_7",), ill_defined=("ill_6",), model="-", family="anthropic", planning_prompt=False, turn=1, with_thinking=True, has_metrics=True)
+        F.when(F.col("o_orderstatus") == "F", "").otherwise("hinted").alias("prompt_mode"), F.when(
+            F.col("o_orderpriority") == "5-LOW", "pathful_v4"
+        ).otherwise("plain").alias("prompt_variant"))
+    kept = logs.filter_campaign(
+        runs, exclude_tasks=("skip_7",), ill_defined=("ill_6",), model="-", family="anthropic", planning_prompt=False, turn=1,
+        with_thinking=True, has_metrics=True
+    )
     bucket = L.prompt_bucket(F.col("prompt_mode"), F.col("prompt_variant"), ("plain", "hinted"), ("pathful_v4",))
-    return kept.groupBy(L.bench_of(F.col("task")).alias("bench"), L.model_label(F.col("model")).alias("label"), bucket.alias("prompt")).agg(F.count(F.lit(1)).alias("n"))
+    return kept.groupBy(
+        L.bench_of(F.col("task")).alias("bench"), L.model_label(F.col("model")).alias("label"), bucket.alias("prompt")
+    ).agg(F.count(F.lit(1)).alias("n"))
 
 
 # ---- lookups
@@ -118,12 +165,20 @@ def mount_classes(spark, sf):
     """Device classes of mounts made of the suppliers; types that hold no data are left out."""
     kinds = F.array(*[F.lit(x) for x in ("tmpfs", "nfs4", "fuse.s3fs", "ext4", "xfs", "proc", "overlay")])
     devices = F.array(*[F.lit(x) for x in ("/dev/nvme0n1", "/dev/sda1", "/dev/sdb", "none", "")])
-    s = X.table(spark, sf, "supplier").select("s_suppkey", F.element_at(kinds, (F.col("s_suppkey") % 7 + 1).cast("int")).alias("fs"), F.element_at(devices, (F.col("s_nationkey") % 5 + 1).cast("int")).alias("device"), F.when(F.col("s_nationkey") % 3 < 2, F.col("s_nationkey") % 3 == 0).alias("rotational"))
+    s = X.table(spark, sf, "supplier").select(
+        "s_suppkey", F.element_at(kinds, (F.col("s_suppkey") % 7 + 1).cast("int")).alias("fs"),
+        F.element_at(devices, (F.col("s_nationkey") % 5 + 1).cast("int")).alias("device"),
+        F.when(F.col("s_nationkey") % 3 < 2, F.col("s_nationkey") % 3 == 0).alias("rotational")
+    )
     s = s.where(~F.col("fs").isin(*L.SKIPPED_FS))
     return s.select("s_suppkey", "fs", L.device_class(F.col("fs"), F.col("device"), F.col("rotational")).alias("class"))
 
 
-_NAMES = ("agentiobench/runner.py", "agentiobench/config/a.yaml", "agentiobench/x.py", "paper_evals/t.py", "scripts/run.sh", "dftracer/readme.md", "other/x.py", "scripts/pic.png", "scripts/__pycache__/x.py", "train.csv", "test.csv", "sample_submission.csv", "submission.csv", "a-b.c.csv", "cat.7.jpg", "dog.8.jpg")
+_NAMES = (
+    "agentiobench/runner.py", "agentiobench/config/a.yaml", "agentiobench/x.py", "paper_evals/t.py", "scripts/run.sh",
+    "dftracer/readme.md", "other/x.py", "scripts/pic.png", "scripts/__pycache__/x.py", "train.csv", "test.csv",
+    "sample_submission.csv", "submission.csv", "a-b.c.csv", "cat.7.jpg", "dog.8.jpg"
+)
 
 
 def name_buckets(spark, sf):
@@ -131,15 +186,27 @@ def name_buckets(spark, sf):
     n = F.element_at(F.array(*[F.lit(x) for x in _NAMES]), (F.col("doc_id") % len(_NAMES) + 1).cast("int"))
     f = X.files(spark, sf).withColumn("name", n)
     c = F.col("name")
-    return f.groupBy("name", P.code_bucket(c).alias("code"), P.csv_role(c).alias("role"), P.csv_bucket(P.basename(c)).alias("csv"), P.class_bucket(c, {"cat": "train_cats", "dog": "train_dogs"}).alias("class")).agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes"))
+    return f.groupBy(
+        "name", P.code_bucket(c).alias("code"), P.csv_role(c).alias("role"), P.csv_bucket(P.basename(c)).alias("csv"),
+        P.class_bucket(c, {"cat": "train_cats", "dog": "train_dogs"}).alias("class")
+    ).agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes"))
 
 
 def instance_buckets(spark, sf):
     """Buckets of paths that hold bands, days, months, detectors, samples and subjects."""
     d = F.col("doc_id")
-    kind = F.when(d % 5 == 0, F.concat(F.lit("/g/2024/"), F.lpad((d % 366).cast("string"), 3, "0"), F.lit("/00/x_M6C0"), F.lit(8) + d % 2, F.lit("_s.nc")))
-    kind = kind.when(d % 5 == 1, F.concat(F.lit("/s/T10_2024"), F.lpad((d % 12 + 1).cast("string"), 2, "0"), F.lit("12T1_L2A.tif"))).when(d % 5 == 2, F.concat(F.lit("/j/jw_nrca"), d % 4 + 1, F.lit("_cal.fits")))
-    kind = kind.when(d % 5 == 3, F.concat(F.lit("/b/data/HG"), F.lpad((d % 100).cast("string"), 5, "0"), F.lit("/e/x.bam"))).otherwise(F.concat(F.lit("/n/sub-"), F.col("lang"), F.lit("/x.nwb")))
+    kind = F.when(
+        d % 5 == 0,
+        F.concat(
+            F.lit("/g/2024/"), F.lpad((d % 366).cast("string"), 3, "0"), F.lit("/00/x_M6C0"), F.lit(8) + d % 2, F.lit("_s.nc")
+        )
+    )
+    kind = kind.when(
+        d % 5 == 1, F.concat(F.lit("/s/T10_2024"), F.lpad((d % 12 + 1).cast("string"), 2, "0"), F.lit("12T1_L2A.tif"))
+    ).when(d % 5 == 2, F.concat(F.lit("/j/jw_nrca"), d % 4 + 1, F.lit("_cal.fits")))
+    kind = kind.when(
+        d % 5 == 3, F.concat(F.lit("/b/data/HG"), F.lpad((d % 100).cast("string"), 5, "0"), F.lit("/e/x.bam"))
+    ).otherwise(F.concat(F.lit("/n/sub-"), F.col("lang"), F.lit("/x.nwb")))
     f = X.files(spark, sf).select(F.explode(P.instance_buckets(kind)).alias("bucket"), "bytes")
     return f.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes"))
 
@@ -148,7 +215,10 @@ def merged_prior(spark, sf):
     """One prior over many tasks: the files of the documents' sources."""
     d = X.table(spark, sf, "documents")
     tasks = d.where("lang = 'en'").select(F.concat("source", F.lit("-a")).alias("task"))
-    files = d.select(F.concat("source", F.lit("-a")).alias("task"), F.when(F.col("lang") == "en", "train.csv").when(F.col("lang") == "de", "test.csv").otherwise("notes.csv").alias("name"))
+    files = d.select(
+        F.concat("source", F.lit("-a")).alias("task"),
+        F.when(F.col("lang") == "en", "train.csv").when(F.col("lang") == "de", "test.csv").otherwise("notes.csv").alias("name")
+    )
     return P.merged_prior(tasks, files, "/data")
 
 
@@ -179,21 +249,31 @@ def variant_recall(spark, sf):
     All variants are matched in one pass; sessions with the same mix of rules share one score.
     """
     v = rule_variants(spark)
-    rules = v.select("ord", F.concat_ws("|", "variant", "rule").alias("name"), "pattern", F.array("target_key").alias("target_keys"))
+    rules = v.select(
+        "ord", F.concat_ws("|", "variant", "rule").alias("name"), "pattern", F.array("target_key").alias("target_keys")
+    )
     hit = M.matches(X.blocks(spark, sf), rules).withColumn("variant", F.substring_index("name", "|", 1))
     hit = hit.where("variant <> 'no_listing' OR type <> 'tool_result'")
     mix = hit.groupBy("session_id", "variant").agg(F.sort_array(F.collect_set(F.col("target_keys")[0])).alias("mix"))
     found = mix.select("mix").distinct().select("mix", F.explode("mix").alias("bucket")).join(X.prior(spark, sf), "bucket").select("mix", "path", "bytes").distinct()
     score = S.byte_score(found, X.truth(spark, sf), ["mix"]).select("mix", "byte_recall")
-    every = X.blocks(spark, sf).select("session_id").distinct().select("session_id", F.explode(F.array(*[F.lit(x) for x in ("hand", "no_listing", "frozen")])).alias("variant"))
-    s = every.join(mix, ["session_id", "variant"], "left").join(score, "mix", "left").select("variant", (F.col("session_id") % 3).alias("bench"), F.coalesce("byte_recall", F.lit(0.0)).alias("byte_recall"))
+    every = X.blocks(spark, sf).select("session_id").distinct().select(
+        "session_id", F.explode(F.array(*[F.lit(x) for x in ("hand", "no_listing", "frozen")])).alias("variant")
+    )
+    s = every.join(mix, ["session_id", "variant"], "left").join(score, "mix", "left").select(
+        "variant", (F.col("session_id") % 3).alias("bench"), F.coalesce("byte_recall", F.lit(0.0)).alias("byte_recall")
+    )
     return R.variant_report(s, ["bench"]).select("variant", "bench", "n", "no_detection", *_r(("median_recall",)))
 
 
 def brace_matches(spark, sf):
     """Blocks that rules with optional and repeated characters match."""
-    v = rule_variants(spark).where("variant = 'frozen'").select("ord", F.col("rule").alias("name"), "pattern", F.array("target_key").alias("target_keys"))
-    return M.matches(X.blocks(spark, sf), v).groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.sum("match_start").alias("starts"))
+    v = rule_variants(spark).where("variant = 'frozen'").select(
+        "ord", F.col("rule").alias("name"), "pattern", F.array("target_key").alias("target_keys")
+    )
+    return M.matches(X.blocks(spark, sf), v).groupBy("name").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("match_start").alias("starts")
+    )
 
 
 def semantic_lift(spark, sf):
@@ -203,7 +283,9 @@ def semantic_lift(spark, sf):
     hot = S.byte_score(D.hot_files(spark, sf), truth, ["session_id"])
     lift = R.lift(t1, hot, ["session_id"])
     n = lift.agg(F.count(F.lit(1)).alias("n"))
-    q = T.position_percentiles(lift, [], "lift", {"p25": ("quarter", 0.25), "median": ("upper_median", 0.5), "p75": ("quarter", 0.75)})
+    q = T.position_percentiles(
+        lift, [], "lift", {"p25": ("quarter", 0.25), "median": ("upper_median", 0.5), "p75": ("quarter", 0.75)}
+    )
     return n.crossJoin(q).select("n", *_r(("p25", "median", "p75")))
 
 
@@ -214,8 +296,12 @@ def used_bytes(spark, sf):
     """Bytes and files below a hot root, and how many of the needed files are staged there."""
     f = X.files(spark, sf)
     hot = f.where("lang IN ('en', 'de')").select(P.mirror("/hot", F.col("path")).alias("path"), "bytes")
-    s = N.staged_paths(X.truth(spark, sf), hot, ["/hot", "/warm"]).agg(F.count(F.lit(1)).alias("needed"), F.count(F.when(F.col("staged"), 1)).alias("staged"))
-    return hot.where(P.under_root(F.col("path"), F.lit("/hot"))).agg(F.count(F.lit(1)).alias("n_files"), F.sum("bytes").alias("bytes")).crossJoin(s)
+    s = N.staged_paths(X.truth(spark, sf), hot, ["/hot", "/warm"]).agg(
+        F.count(F.lit(1)).alias("needed"), F.count(F.when(F.col("staged"), 1)).alias("staged")
+    )
+    return hot.where(P.under_root(F.col("path"), F.lit("/hot"))).agg(
+        F.count(F.lit(1)).alias("n_files"), F.sum("bytes").alias("bytes")
+    ).crossJoin(s)
 
 
 def smallest_trees(spark, sf):
@@ -226,9 +312,16 @@ def smallest_trees(spark, sf):
 
 def target_choice(spark, sf):
     """The file to measure of each session: of its opens, of those that exist, else of what was staged."""
-    e = X.table(spark, sf, "events").select(F.col("user_id").alias("session_id"), F.col("event_id").alias("seq"), "event_type", F.concat(F.lit("doc_"), F.get_json_object("props", "$.k")).alias("path"))
-    inv = X.table(spark, sf, "documents").where("lang = 'en'").select(F.concat(F.lit("doc_"), F.col("doc_id").cast("string")).alias("path"))
-    staged = e.where("event_type IN ('view', 'error')").withColumn("outcome", F.when(F.col("event_type") == "view", "staged").otherwise("error"))
+    e = X.table(spark, sf, "events").select(
+        F.col("user_id").alias("session_id"), F.col("event_id").alias("seq"), "event_type",
+        F.concat(F.lit("doc_"), F.get_json_object("props", "$.k")).alias("path")
+    )
+    inv = X.table(spark, sf, "documents").where("lang = 'en'").select(
+        F.concat(F.lit("doc_"), F.col("doc_id").cast("string")).alias("path")
+    )
+    staged = e.where("event_type IN ('view', 'error')").withColumn(
+        "outcome", F.when(F.col("event_type") == "view", "staged").otherwise("error")
+    )
     return N.target_choice(e.where("event_type = 'signup'"), staged, inv)
 
 
@@ -238,7 +331,13 @@ def first_samples(spark, sf):
     return N.first_samples(f, 40)
 
 
-QUERIES = {f.__name__: f for f in (share_medians, slack_metrics, slack_cells, io_counters, pathfulness, compliance_report, real_run_means, rep_medians, campaign_runs, mount_classes, name_buckets, instance_buckets, merged_prior, command_paths, variant_recall, brace_matches, semantic_lift, used_bytes, smallest_trees, target_choice, first_samples)}
+QUERIES = {
+    f.__name__: f for f in (
+        share_medians, slack_metrics, slack_cells, io_counters, pathfulness, compliance_report, real_run_means, rep_medians,
+        campaign_runs, mount_classes, name_buckets, instance_buckets, merged_prior, command_paths, variant_recall, brace_matches,
+        semantic_lift, used_bytes, smallest_trees, target_choice, first_samples
+    )
+}
 
 _WALL = session_queries.SQL["wall_split"]
 _MED = ", ".join(f"round(quantile_cont({c}, 0.5), 3) as {c}" for c in _SHARES)

@@ -22,7 +22,9 @@ def _d(*names):
 
 
 def session_shell_split(spark, sf):
-    return S.shell_split(_money(spark, sf), ["session_id"]).select("session_id", "n_turns", *_d("total_s", "shell_s", "llm_s", "rest_s"))
+    return S.shell_split(_money(spark, sf), ["session_id"]).select(
+        "session_id", "n_turns", *_d("total_s", "shell_s", "llm_s", "rest_s")
+    )
 
 
 def prefetch_window(spark, sf):
@@ -31,46 +33,97 @@ def prefetch_window(spark, sf):
 
 
 def wall_split(spark, sf):
-    t = _money(spark, sf).withColumns({"t_first": F.when(F.col("event_id") % 3 > 0, (F.col("event_id") % 7) * 10), "t_last": F.when(F.col("event_id") % 3 > 0, (F.col("event_id") % 7) * 10 + (F.col("event_id") % 11) * 5)})
+    t = _money(spark, sf).withColumns(
+        {
+            "t_first": F.when(F.col("event_id") % 3 > 0, (F.col("event_id") % 7) * 10),
+            "t_last": F.when(F.col("event_id") % 3 > 0, (F.col("event_id") % 7) * 10 + (F.col("event_id") % 11) * 5)
+        }
+    )
     out = S.wall_split(t, ["session_id"])
-    return out.select("session_id", *[F.round(F.col(c).cast("double"), 4).alias(c) for c in ("comm_s", "stream_s", "tool_s", "other_s", "total_s", "harness_s")])
+    return out.select(
+        "session_id",
+        *[
+            F.round(F.col(c).cast("double"), 4).alias(c) for c in (
+                "comm_s", "stream_s", "tool_s", "other_s", "total_s", "harness_s"
+            )
+        ]
+    )
 
 
 def first_tool_dist(spark, sf):
-    f = S.first_tool(X.turns(spark, sf)).withColumns({"workload": F.concat(F.lit("w"), (F.col("session_id") % 5).cast("string")), "model": F.concat(F.lit("m"), (F.col("session_id") % 3).cast("string"))})
-    return S.top_tools(f, ["workload", "model"]).select("dim", "value", "first_tool", "n", "total", F.col("rank").cast("long").alias("rank"), F.round("share", 4).alias("share"))
+    f = S.first_tool(X.turns(spark, sf)).withColumns(
+        {
+            "workload": F.concat(F.lit("w"), (F.col("session_id") % 5).cast("string")),
+            "model": F.concat(F.lit("m"), (F.col("session_id") % 3).cast("string"))
+        }
+    )
+    return S.top_tools(f, ["workload", "model"]).select(
+        "dim", "value", "first_tool", "n", "total", F.col("rank").cast("long").alias("rank"), F.round("share", 4).alias("share")
+    )
 
 
 def probe_share(spark, sf):
     """Share of sessions whose first tool lists a directory, by model, and whether it reaches a fifth."""
-    f = S.first_tool(X.turns(spark, sf)).groupBy((F.col("session_id") % 3).alias("model")).agg(F.count(F.lit(1)).alias("n"), F.round(T.share(F.col("first_tool") == "list_dir"), 4).alias("share"))
+    f = S.first_tool(X.turns(spark, sf)).groupBy((F.col("session_id") % 3).alias("model")).agg(
+        F.count(F.lit(1)).alias("n"), F.round(T.share(F.col("first_tool") == "list_dir"), 4).alias("share")
+    )
     return f.withColumn("meets", F.col("share") >= 0.2)
 
 
 def timeout_audit(spark, sf):
-    t = X.turns(spark, sf).withColumns({"task": F.col("session_id") % 40, "mode": F.when(F.col("session_id") % 2 == 0, "baseline").otherwise("staged")})
+    t = X.turns(spark, sf).withColumns(
+        {"task": F.col("session_id") % 40, "mode": F.when(F.col("session_id") % 2 == 0, "baseline").otherwise("staged")}
+    )
     return S.timeout_audit(t, ["task"], "mode", "baseline", 40.0)
 
 
 def stream_blocks(spark, sf):
     """Deltas of one word each, shuffled by reading order, back into blocks."""
     c = X.table(spark, sf, "conversations").where("role <> 'system'")
-    words = c.select(F.col("conv_id").alias("session_id"), F.col("turn").alias("block_idx"), "role", F.posexplode(F.split("text", "(?<= )")).alias("seq", "chunk"))
-    e = words.select("session_id", "block_idx", F.col("seq").cast("long").alias("seq"), F.lit("content_block_delta").alias("event"), (F.col("block_idx") * 1000.0 + F.col("seq")).alias("t_ms"), F.lit(None).cast("string").alias("block_type"), F.lit(None).cast("string").alias("tool_name"), F.when(F.col("role") == "user", "text_delta").otherwise("thinking_delta").alias("delta_type"), "chunk")
-    start = c.select(F.col("conv_id").alias("session_id"), F.col("turn").alias("block_idx"), F.lit(-1).cast("long").alias("seq"), F.lit("content_block_start").alias("event"), (F.col("turn") * 1000.0 - 1).alias("t_ms"), F.when(F.col("role") == "user", "text").otherwise("thinking").alias("block_type"), F.lit(None).cast("string").alias("tool_name"), F.lit(None).cast("string").alias("delta_type"), F.lit(None).cast("string").alias("chunk"))
+    words = c.select(
+        F.col("conv_id").alias("session_id"), F.col("turn").alias("block_idx"), "role",
+        F.posexplode(F.split("text", "(?<= )")).alias("seq", "chunk")
+    )
+    e = words.select(
+        "session_id", "block_idx", F.col("seq").cast("long").alias("seq"), F.lit("content_block_delta").alias("event"),
+        (F.col("block_idx") * 1000.0 + F.col("seq")).alias("t_ms"), F.lit(None).cast("string").alias("block_type"),
+        F.lit(None).cast("string").alias("tool_name"),
+        F.when(F.col("role") == "user", "text_delta").otherwise("thinking_delta").alias("delta_type"), "chunk"
+    )
+    start = c.select(
+        F.col("conv_id").alias("session_id"), F.col("turn").alias("block_idx"), F.lit(-1).cast("long").alias("seq"),
+        F.lit("content_block_start").alias("event"), (F.col("turn") * 1000.0 - 1).alias("t_ms"),
+        F.when(F.col("role") == "user", "text").otherwise("thinking").alias("block_type"),
+        F.lit(None).cast("string").alias("tool_name"), F.lit(None).cast("string").alias("delta_type"),
+        F.lit(None).cast("string").alias("chunk")
+    )
     b = logs.assemble_blocks(e.unionByName(start))
-    return b.select("session_id", F.col("block_idx"), "type", "t_first", "t_stop", "text", F.col("chunks").cast("long").alias("chunks"))
+    return b.select(
+        "session_id", F.col("block_idx"), "type", "t_first", "t_stop", "text", F.col("chunks").cast("long").alias("chunks")
+    )
 
 
 def message_blocks(spark, sf):
     """Blocks of message histories, with turns counted over assistant messages and synthetic times."""
-    m = X.table(spark, sf, "conversations").where("role <> 'system'").select(F.col("conv_id").alias("session_id"), F.col("turn").alias("pos"), "role", F.array(F.struct(F.when(F.col("role") == "user", "tool_result").otherwise("text").alias("type"), F.col("text").alias("text"), F.lit(None).cast("string").alias("name"))).alias("content"))
-    return logs.message_blocks(m).select("session_id", "block_seq", "turn", "type", "t_first", "t_stop", F.length("text").alias("n_chars"))
+    m = X.table(spark, sf, "conversations").where("role <> 'system'").select(
+        F.col("conv_id").alias("session_id"), F.col("turn").alias("pos"), "role",
+        F.array(
+            F.struct(
+                F.when(F.col("role") == "user", "tool_result").otherwise("text").alias("type"), F.col("text").alias("text"),
+                F.lit(None).cast("string").alias("name")
+            )
+        ).alias("content")
+    )
+    return logs.message_blocks(m).select(
+        "session_id", "block_seq", "turn", "type", "t_first", "t_stop", F.length("text").alias("n_chars")
+    )
 
 
 def thinking_slack(spark, sf):
     b = X.blocks(spark, sf)
-    return S.slack(b).join(S.thinking(b), "session_id").select("session_id", "slack_ms", "has_thinking", F.col("thinking_chars").cast("long").alias("thinking_chars"))
+    return S.slack(b).join(S.thinking(b), "session_id").select(
+        "session_id", "slack_ms", "has_thinking", F.col("thinking_chars").cast("long").alias("thinking_chars")
+    )
 
 
 def _calls(spark, sf):
@@ -81,7 +134,11 @@ def _calls(spark, sf):
     uses = t.select("session_id", (F.col("turn") / 3).cast("long").alias("turn"), F.col("event_id").alias("id"), "duration_s")
     results = t.where("tool_name <> 'write_file'").select(F.col("event_id").alias("tool_use_id"), "turn", out.alias("content"))
     p = S.pair_results(uses, results)
-    return p.select("session_id", "turn", "id", S.exit_code(F.col("content")).alias("rc"), S.exit_seconds(F.col("content")).cast("decimal(18,2)").alias("seconds"), "duration_s", F.lit(1).cast("decimal(18,2)").alias("last_delta_s"))
+    return p.select(
+        "session_id", "turn", "id", S.exit_code(F.col("content")).alias("rc"),
+        S.exit_seconds(F.col("content")).cast("decimal(18,2)").alias("seconds"), "duration_s",
+        F.lit(1).cast("decimal(18,2)").alias("last_delta_s")
+    )
 
 
 def tool_pairing(spark, sf):
@@ -100,60 +157,100 @@ def selection_stats(spark, sf):
 def path_compliance(spark, sf):
     """Files opened (clicks and signups) against files named before (views), by session."""
     f = X.files(spark, sf).select("doc_id", "path")
-    e = X.table(spark, sf, "events").select(F.col("user_id").alias("session_id"), F.get_json_object("props", "$.k").cast("long").alias("doc_id"), "event_type").join(f, "doc_id")
+    e = X.table(spark, sf, "events").select(
+        F.col("user_id").alias("session_id"), F.get_json_object("props", "$.k").cast("long").alias("doc_id"), "event_type"
+    ).join(f, "doc_id")
     c = S.compliance(e.where("event_type in ('click', 'signup')"), e.where("event_type = 'view'"), ["session_id"])
     return c.select("session_id", "n_accessed", "n_hit", "n_named", F.round("compliance", 4).alias("compliance"))
 
 
 def _runs(spark, sf):
     o = X.table(spark, sf, "orders")
-    return o.select(F.col("o_orderkey").alias("run"), (F.col("o_custkey") % 60).alias("task"), F.col("o_orderpriority").alias("model"), F.when(F.col("o_orderkey") % 2 == 0, "baseline").otherwise("pathful").alias("mode"), F.col("o_totalprice").cast("decimal(18,2)").alias("elapsed"), F.col("o_orderdate").alias("day"))
+    return o.select(
+        F.col("o_orderkey").alias("run"), (F.col("o_custkey") % 60).alias("task"), F.col("o_orderpriority").alias("model"),
+        F.when(F.col("o_orderkey") % 2 == 0, "baseline").otherwise("pathful").alias("mode"),
+        F.col("o_totalprice").cast("decimal(18,2)").alias("elapsed"), F.col("o_orderdate").alias("day")
+    )
 
 
 def paired_prompt_delta(spark, sf):
     p = S.first_pairs(_runs(spark, sf), ["task", "model"], "mode", "baseline", "pathful", "run", "elapsed")
-    return p.select("task", "model", *_d("base", "other", "delta"), F.round(F.col("overhead_pct").cast("double"), 4).alias("overhead_pct"))
+    return p.select(
+        "task", "model", *_d("base", "other", "delta"), F.round(F.col("overhead_pct").cast("double"), 4).alias("overhead_pct")
+    )
 
 
 def against_median(spark, sf):
-    r = S.against_median(_runs(spark, sf).withColumn("elapsed", F.col("elapsed").cast("double")), ["task", "model"], "mode", "baseline", "elapsed")
+    r = S.against_median(
+        _runs(spark, sf).withColumn("elapsed", F.col("elapsed").cast("double")), ["task", "model"], "mode", "baseline", "elapsed"
+    )
     return r.select("run", "task", "model", F.round("overhead_pct", 3).alias("overhead_pct"))
 
 
 def campaign_filter(spark, sf):
     """Sessions by provider family and model key, without the ill-defined task, with defaults for missing fields."""
     o = X.table(spark, sf, "orders")
-    names = F.array(*[F.lit(x) for x in ("claude-haiku-x", "claude-sonnet-y", "gemini-2.5-flash", "Qwen3", "deepseek-v", "other")])
-    s = o.select(F.concat(F.lit("task_"), (100 + F.col("o_custkey") % 5).cast("string")).alias("task"), F.element_at(names, (F.col("o_orderkey") % 6 + 1).cast("int")).alias("model"), F.when(F.col("o_orderkey") % 4 == 0, "openrouter").otherwise("").alias("provider"), F.coalesce(F.nullif(F.col("o_shippriority") if "o_shippriority" in o.columns else F.lit(0), F.lit(0)), F.lit(1)).alias("turn"), F.col("o_totalprice").cast("decimal(18,2)").alias("v"))
+    names = F.array(
+        *[F.lit(x) for x in ("claude-haiku-x", "claude-sonnet-y", "gemini-2.5-flash", "Qwen3", "deepseek-v", "other")]
+    )
+    s = o.select(
+        F.concat(F.lit("task_"), (100 + F.col("o_custkey") % 5).cast("string")).alias("task"),
+        F.element_at(names, (F.col("o_orderkey") % 6 + 1).cast("int")).alias("model"),
+        F.when(F.col("o_orderkey") % 4 == 0, "openrouter").otherwise("").alias("provider"),
+        F.coalesce(
+            F.nullif(F.col("o_shippriority") if "o_shippriority" in o.columns else F.lit(0), F.lit(0)), F.lit(1)
+        ).alias("turn"),
+        F.col("o_totalprice").cast("decimal(18,2)").alias("v")
+    )
     k = s.where(L.is_well_defined(F.col("task"), ("task_101",)))
-    return k.groupBy("task", L.provider_family(F.col("provider"), F.col("model")).alias("family"), L.model_key(F.col("model")).alias("key"), F.col("turn").cast("int").alias("turn")).agg(F.count(F.lit(1)).alias("n"), F.sum("v").cast("double").alias("total"))
+    return k.groupBy(
+        "task", L.provider_family(F.col("provider"), F.col("model")).alias("family"), L.model_key(F.col("model")).alias("key"),
+        F.col("turn").cast("int").alias("turn")
+    ).agg(F.count(F.lit(1)).alias("n"), F.sum("v").cast("double").alias("total"))
 
 
 def segment_time(spark, sf):
     """Times of every hundredth character of a session's text, from the block that holds it."""
     from ..operators.matching import transcript
 
-    t = transcript(X.blocks(spark, sf)).select("session_id", F.col("char_base").alias("start"), (F.col("char_base") + F.length("text")).alias("end"), F.col("t_first").cast("double").alias("t_first"), F.col("t_stop").cast("double").alias("t_stop"))
+    t = transcript(X.blocks(spark, sf)).select(
+        "session_id", F.col("char_base").alias("start"), (F.col("char_base") + F.length("text")).alias("end"),
+        F.col("t_first").cast("double").alias("t_first"), F.col("t_stop").cast("double").alias("t_stop")
+    )
     ends = t.groupBy("session_id").agg(F.max("end").alias("n"))
-    points = ends.select("session_id", F.explode(F.sequence(F.lit(0), F.col("n") + 50, F.lit(100))).alias("pos")).withColumn("point", F.col("pos"))
+    points = ends.select(
+        "session_id", F.explode(F.sequence(F.lit(0), F.col("n") + 50, F.lit(100))).alias("pos")
+    ).withColumn("point", F.col("pos"))
     return S.segment_time(points, t).select("session_id", "point", F.round("t_ms", 4).alias("t_ms"))
 
 
 def pass_fractions(spark, sf):
     """Shares of sessions that meet bounds, by family, where a family has three at least."""
     s = S.shell_split(_money(spark, sf), ["session_id"])
-    return s.groupBy((F.col("session_id") % 7).alias("family")).agg(F.count(F.lit(1)).alias("n"), F.round(T.share(F.col("total_s") >= 3000), 4).alias("long"), F.round(T.share(F.col("shell_s") * 5 >= F.col("total_s")), 4).alias("shell_heavy"), F.percentile(F.col("total_s").cast("double"), 0.5).alias("median_s")).where("n >= 3")
+    return s.groupBy((F.col("session_id") % 7).alias("family")).agg(
+        F.count(F.lit(1)).alias("n"), F.round(T.share(F.col("total_s") >= 3000), 4).alias("long"),
+        F.round(T.share(F.col("shell_s") * 5 >= F.col("total_s")), 4).alias("shell_heavy"),
+        F.percentile(F.col("total_s").cast("double"), 0.5).alias("median_s")
+    ).where("n >= 3")
 
 
 def new_per_turn(spark, sf):
     """Files a session opens for the first time, by turn."""
-    f = X.table(spark, sf, "events").where("event_type = 'click'").select("user_id", F.get_json_object("props", "$.k").cast("long").alias("doc_id"), "ts")
+    f = X.table(spark, sf, "events").where("event_type = 'click'").select(
+        "user_id", F.get_json_object("props", "$.k").cast("long").alias("doc_id"), "ts"
+    )
     turn = f.withColumn("turn", F.row_number().over(Window.partitionBy("user_id").orderBy("ts")) - 1)
     first = turn.groupBy("user_id", "doc_id").agg(F.min("turn").alias("turn"))
     return first.groupBy("user_id", "turn").agg(F.count(F.lit(1)).alias("n_new"))
 
 
-QUERIES = {f.__name__: f for f in (session_shell_split, prefetch_window, wall_split, first_tool_dist, probe_share, timeout_audit, stream_blocks, message_blocks, thinking_slack, tool_pairing, replay_turns, selection_stats, path_compliance, paired_prompt_delta, against_median, campaign_filter, segment_time, pass_fractions, new_per_turn)}
+QUERIES = {
+    f.__name__: f for f in (
+        session_shell_split, prefetch_window, wall_split, first_tool_dist, probe_share, timeout_audit, stream_blocks,
+        message_blocks, thinking_slack, tool_pairing, replay_turns, selection_stats, path_compliance, paired_prompt_delta,
+        against_median, campaign_filter, segment_time, pass_fractions, new_per_turn
+    )
+}
 
 _T = "select session_id, turn, tool_name, cast(duration_s as decimal(18,2)) as d, event_id from fx_turns"
 _SPLIT = f"select session_id, count(*) as n_turns, sum(d) as total_s, coalesce(sum(d) filter (tool_name = 'run_shell_command'), 0) as shell_s from ({_T}) group by session_id"

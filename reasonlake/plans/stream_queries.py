@@ -18,23 +18,33 @@ END = "2261-01-01 00:00:00"
 
 def _folder(spark, name):
     """A new folder that the executors share."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or ("file://" + tempfile.mkdtemp(prefix="spark-reasonlake-") if spark.sparkContext.master.startswith("local[") else spark.conf.get("spark.sql.warehouse.dir"))
+    root = spark.conf.get("spark.checkpoint.dir", None) or (
+        "file://" + tempfile.mkdtemp(prefix="spark-reasonlake-") if spark.sparkContext.master.startswith("local[") else spark.conf.get("spark.sql.warehouse.dir")
+    )
     return f"{root}/{name}-{uuid.uuid4().hex}"
 
 
 def _ended(df, time, **values):
-    """A stream with one more row at ``END``, so that the watermark passes every event once the input ends. What holds that row itself stays open and is never emitted."""
+    """A stream with one more row at ``END``, so that the watermark passes every event once the input ends. What holds
+    that row itself stays open and is never emitted.
+    """
     out = _folder(df.sparkSession, "end")
     values |= {time: END}
-    df.sparkSession.range(1).select(*[F.lit(values.get(f.name)).cast(f.dataType).alias(f.name) for f in df.schema]).write.parquet(out)
+    df.sparkSession.range(1).select(
+        *[F.lit(values.get(f.name)).cast(f.dataType).alias(f.name) for f in df.schema]
+    ).write.parquet(out)
     return df.union(df.sparkSession.readStream.schema(df.schema).parquet(out))
 
 
 def _drained(df, name, mode="append"):
-    """Run a stream over what is there and return what it wrote. Checkpoint and sink are in the folder that the executors share."""
+    """Run a stream over what is there and return what it wrote. Checkpoint and sink are in the folder that the
+    executors share.
+    """
     spark = df.sparkSession
     out = _folder(spark, name)
-    q = df.writeStream.format("parquet").outputMode(mode).option("path", f"{out}/sink").option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start()
+    q = df.writeStream.format("parquet").outputMode(mode).option("path", f"{out}/sink").option(
+        "checkpointLocation", f"{out}/checkpoint"
+    ).trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.schema(df.schema).parquet(f"{out}/sink")
 
@@ -46,32 +56,59 @@ def _stream(spark, sf, name):
 
 def stage_rollup_stream(spark, sf):
     """Events by hour and type, as a stream. The input ends, so the last windows close too."""
-    e = _stream(spark, sf, "events").select(F.col("ts").cast("timestamp").alias("event_ts"), F.col("event_type").alias("outcome"), F.col("user_id").alias("size_bytes"), F.col("value").alias("fetch_ms"))
-    return _drained(live.stage_rollup(_ended(e, "event_ts"), window="1 hour", delay="0 seconds"), "rollup").select("start", "outcome", "n", "bytes", "max_ms")
+    e = _stream(spark, sf, "events").select(
+        F.col("ts").cast("timestamp").alias("event_ts"), F.col("event_type").alias("outcome"),
+        F.col("user_id").alias("size_bytes"), F.col("value").alias("fetch_ms")
+    )
+    return _drained(
+        live.stage_rollup(_ended(e, "event_ts"), window="1 hour", delay="0 seconds"), "rollup"
+    ).select("start", "outcome", "n", "bytes", "max_ms")
 
 
 def stage_rollup_batch(spark, sf):
     """The same rollup over the whole table at once."""
-    e = X.table(spark, sf, "events").select(F.col("ts").alias("event_ts"), F.col("event_type").alias("outcome"), F.col("user_id").alias("size_bytes"), F.col("value").alias("fetch_ms"))
+    e = X.table(spark, sf, "events").select(
+        F.col("ts").alias("event_ts"), F.col("event_type").alias("outcome"), F.col("user_id").alias("size_bytes"),
+        F.col("value").alias("fetch_ms")
+    )
     return live.stage_rollup(e, window="1 hour").select("start", "outcome", "n", "bytes", "max_ms")
 
 
 def live_rule_firing(spark, sf):
-    """Rules over the conversations as streamed deltas, one a turn, in event time. The input ends, so every session closes. A turn's event time is its end: what is not past the first watermark, 0, would be late."""
-    c = _stream(spark, sf, "conversations").where("role <> 'system'").select(F.col("conv_id").cast("string").alias("session_id"), F.col("turn").cast("string").alias("block"), (F.col("turn") * 1000.0).alias("t_ms"), F.col("turn").alias("seq"), F.lit("text").alias("kind"), F.col("text").alias("chunk"), F.timestamp_millis(((F.col("turn") + 1) * 1000).cast("long")).alias("event_ts"))
-    fired = live.fire_live(_ended(c, "event_ts", session_id="end of input", kind="text", t_ms=0.0, seq=0), [(r[1], r[2]) for r in X.RULES], delay="0 seconds", idle_ms=1)
+    """Rules over the conversations as streamed deltas, one a turn, in event time. The input ends, so every session
+    closes. A turn's event time is its end: what is not past the first watermark, 0, would be late.
+    """
+    c = _stream(spark, sf, "conversations").where("role <> 'system'").select(
+        F.col("conv_id").cast("string").alias("session_id"), F.col("turn").cast("string").alias("block"),
+        (F.col("turn") * 1000.0).alias("t_ms"), F.col("turn").alias("seq"), F.lit("text").alias("kind"),
+        F.col("text").alias("chunk"), F.timestamp_millis(((F.col("turn") + 1) * 1000).cast("long")).alias("event_ts")
+    )
+    fired = live.fire_live(
+        _ended(c, "event_ts", session_id="end of input", kind="text", t_ms=0.0, seq=0), [(r[1], r[2]) for r in X.RULES],
+        delay="0 seconds", idle_ms=1
+    )
     return _drained(fired, "fired")
 
 
 def _turns(spark, sf):
     """Conversations as a stream of deltas, one a turn; a user's turn is a tool use, every fourth other one thinking."""
     kind = F.when(F.col("role") == "user", "tool_use").when(F.col("turn") % 4 == 1, "thinking").otherwise("text")
-    return _stream(spark, sf, "conversations").where("role <> 'system'").select(F.col("conv_id").cast("string").alias("session_id"), F.col("turn").cast("string").alias("block"), (F.col("turn") * 1000.0).alias("t_ms"), F.col("turn").alias("seq"), kind.alias("kind"), F.col("text").alias("chunk"), F.timestamp_millis(((F.col("turn") + 1) * 1000).cast("long")).alias("event_ts"))
+    return _stream(spark, sf, "conversations").where("role <> 'system'").select(
+        F.col("conv_id").cast("string").alias("session_id"), F.col("turn").cast("string").alias("block"),
+        (F.col("turn") * 1000.0).alias("t_ms"), F.col("turn").alias("seq"), kind.alias("kind"), F.col("text").alias("chunk"),
+        F.timestamp_millis(((F.col("turn") + 1) * 1000).cast("long")).alias("event_ts")
+    )
 
 
 def slack_stream(spark, sf):
     """Slack of each session, told at its first tool use."""
-    return _drained(live.slack_live(_ended(_turns(spark, sf), "event_ts", session_id="end of input", kind="text", t_ms=0.0, seq=0), delay="0 seconds", idle_ms=1), "slack")
+    return _drained(
+        live.slack_live(
+            _ended(_turns(spark, sf), "event_ts", session_id="end of input", kind="text", t_ms=0.0, seq=0), delay="0 seconds",
+            idle_ms=1
+        ),
+        "slack"
+    )
 
 
 def literal_delta_stream(spark, sf):
@@ -82,19 +119,34 @@ def literal_delta_stream(spark, sf):
     keyed = spark.read.schema(keyed.schema).parquet(out)
     kinds = keyed.agg(F.sort_array(F.collect_set(F.length("gram")))).first()[0] or [1]
     c, turn = F.col("conv_id"), F.col("turn")
-    text = F.concat(F.col("text"), F.lit(" /data/src"), (turn % 20).cast("string"), F.lit("/en/doc_"), (c * 7 % 500).cast("string"), F.lit(".txt, doc_"), ((c + turn) % 90).cast("string"), F.lit("."))
-    e = _stream(spark, sf, "conversations").select(c.alias("session_id"), turn.alias("block"), (turn * 1000.0).alias("t_ms"), text.alias("chunk"), F.timestamp_millis(((turn + 1) * 1000).cast("long")).alias("event_ts"))
+    text = F.concat(
+        F.col("text"), F.lit(" /data/src"), (turn % 20).cast("string"), F.lit("/en/doc_"), (c * 7 % 500).cast("string"),
+        F.lit(".txt, doc_"), ((c + turn) % 90).cast("string"), F.lit(".")
+    )
+    e = _stream(spark, sf, "conversations").select(
+        c.alias("session_id"), turn.alias("block"), (turn * 1000.0).alias("t_ms"), text.alias("chunk"),
+        F.timestamp_millis(((turn + 1) * 1000).cast("long")).alias("event_ts")
+    )
     named = live.literal_stream(e, keyed, kinds, delay="1 hour")
     return _drained(named, "literals").select("session_id", "path")
 
 
 def session_slack_batch(spark, sf):
     """First thinking to first tool use by session window."""
-    b = X.blocks(spark, sf).withColumns({"kind": F.col("type"), "t_ms": F.col("t_first").cast("double"), "event_ts": F.timestamp_millis(F.col("t_first").cast("long"))})
+    b = X.blocks(spark, sf).withColumns(
+        {
+            "kind": F.col("type"), "t_ms": F.col("t_first").cast("double"),
+            "event_ts": F.timestamp_millis(F.col("t_first").cast("long"))
+        }
+    )
     return live.session_slack(b).select("session_id", "slack_ms")
 
 
-QUERIES = {f.__name__: f for f in (stage_rollup_stream, stage_rollup_batch, live_rule_firing, slack_stream, literal_delta_stream, session_slack_batch)}
+QUERIES = {
+    f.__name__: f for f in (
+        stage_rollup_stream, stage_rollup_batch, live_rule_firing, slack_stream, literal_delta_stream, session_slack_batch
+    )
+}
 _ROLLUP = "select date_trunc('hour', ts) as start, event_type as outcome, count(*) as n, cast(sum(user_id) as bigint) as bytes, max(value) as max_ms from events group by 1, 2"
 SQL = {
     "stage_rollup_stream": _ROLLUP,

@@ -39,17 +39,28 @@ TEXT_DELTAS = ("thinking_delta", "text_delta", "input_json_delta")
 
 def read_lines(spark: SparkSession, glob: str, schema: str) -> DataFrame:
     """JSON lines with their file and position; lines that aren't objects of the schema are dropped."""
-    raw = spark.read.text(glob).select("value", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("seq"))
-    parsed = raw.where(F.trim("value") != "").select(F.from_json("value", schema + ", _corrupt string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}).alias("j"), "file", "seq")
+    raw = spark.read.text(glob).select(
+        "value", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("seq")
+    )
+    parsed = raw.where(F.trim("value") != "").select(
+        F.from_json(
+            "value", schema + ", _corrupt string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
+        ).alias("j"),
+        "file", "seq"
+    )
     return parsed.where("j is not null and j._corrupt is null").select("j.*", "file", "seq").drop("_corrupt")
 
 
 def run_and_turn(file: Column) -> dict[str, Column]:
-    return {"session_id": F.regexp_extract(file, r"([^/]+)/turns/", 1), "turn": F.regexp_extract(file, r"turn_(\d+)", 1).try_cast("int")}
+    return {
+        "session_id": F.regexp_extract(file, r"([^/]+)/turns/", 1),
+        "turn": F.regexp_extract(file, r"turn_(\d+)", 1).try_cast("int")
+    }
 
 
 def assemble_blocks(events: DataFrame) -> DataFrame:
-    """Blocks of a stream that opens, extends and stops them: (session_id, block_idx, type, t_first, t_stop, text, chunks, tool_name).
+    """Blocks of a stream that opens, extends and stops them: (session_id, block_idx, type, t_first, t_stop, text,
+    chunks, tool_name).
 
     Events carry ``seq``, their order in the log. A block's text is its text deltas in order;
     its first and last time come from them, or from its stop. Only opened blocks count.
@@ -57,8 +68,15 @@ def assemble_blocks(events: DataFrame) -> DataFrame:
     text = F.col("event").isin("content_block_delta") & F.col("delta_type").isin(*TEXT_DELTAS)
     stop = F.col("event") == "content_block_stop"
     start = F.col("event") == "content_block_start"
-    parts = F.transform(F.sort_array(F.collect_list(F.when(text, F.struct("seq", "chunk")))), lambda x: F.coalesce(x.chunk, F.lit("")))
-    b = events.groupBy("session_id", "block_idx").agg(F.min_by("block_type", F.when(start, F.col("seq"))).alias("type"), F.min(F.when(text, F.col("t_ms"))).alias("t_first"), F.max(F.when(text | stop, F.col("t_ms"))).alias("t_stop"), F.array_join(parts, "").alias("text"), F.count(F.when(text, 1)).alias("chunks"), F.min_by("tool_name", F.when(start, F.col("seq"))).alias("tool_name"), F.min(F.when(start, F.col("seq"))).alias("block_seq"))
+    parts = F.transform(
+        F.sort_array(F.collect_list(F.when(text, F.struct("seq", "chunk")))), lambda x: F.coalesce(x.chunk, F.lit(""))
+    )
+    b = events.groupBy("session_id", "block_idx").agg(
+        F.min_by("block_type", F.when(start, F.col("seq"))).alias("type"), F.min(F.when(text, F.col("t_ms"))).alias("t_first"),
+        F.max(F.when(text | stop, F.col("t_ms"))).alias("t_stop"), F.array_join(parts, "").alias("text"),
+        F.count(F.when(text, 1)).alias("chunks"), F.min_by("tool_name", F.when(start, F.col("seq"))).alias("tool_name"),
+        F.min(F.when(start, F.col("seq"))).alias("block_seq")
+    )
     return b.where("block_seq is not null")
 
 
@@ -67,15 +85,31 @@ def gemini_blocks(events: DataFrame) -> DataFrame:
     kind = F.when(F.col("event") == "thinking_delta", 0).when(F.col("event") == "text_delta", 1).when(F.col("event") == "function_call", 2)
     e = events.withColumn("kind", kind).where("kind is not null")
     key = F.when(F.col("kind") == 2, F.col("seq")).otherwise(F.lit(0).cast("long"))
-    parts = F.transform(F.sort_array(F.collect_list(F.struct("seq", F.when(F.col("kind") < 2, F.col("chunk")).otherwise(F.coalesce("args", F.lit("{}"))).alias("c")))), lambda x: F.coalesce(x.c, F.lit("")))
-    b = e.groupBy("session_id", "kind", key.alias("call")).agg(F.min("t_ms").alias("t_first"), F.max("t_ms").alias("t_stop"), F.array_join(parts, "").alias("text"), F.count(F.lit(1)).alias("chunks"), F.max("tool_name").alias("tool_name"))
+    parts = F.transform(
+        F.sort_array(
+            F.collect_list(
+                F.struct("seq", F.when(F.col("kind") < 2, F.col("chunk")).otherwise(F.coalesce("args", F.lit("{}"))).alias("c"))
+            )
+        ),
+        lambda x: F.coalesce(x.c, F.lit(""))
+    )
+    b = e.groupBy("session_id", "kind", key.alias("call")).agg(
+        F.min("t_ms").alias("t_first"), F.max("t_ms").alias("t_stop"), F.array_join(parts, "").alias("text"),
+        F.count(F.lit(1)).alias("chunks"), F.max("tool_name").alias("tool_name")
+    )
     seq = F.row_number().over(Window.partitionBy("session_id").orderBy("kind", "call")) - 1
-    return b.where("kind = 2 or text <> ''").select("session_id", seq.alias("block_seq"), F.element_at(F.array(F.lit("thinking"), F.lit("text"), F.lit("tool_use")), F.col("kind") + 1).alias("type"), "t_first", "t_stop", "text", "chunks", "tool_name")
+    return b.where("kind = 2 or text <> ''").select(
+        "session_id", seq.alias("block_seq"),
+        F.element_at(F.array(F.lit("thinking"), F.lit("text"), F.lit("tool_use")), F.col("kind") + 1).alias("type"), "t_first",
+        "t_stop", "text", "chunks", "tool_name"
+    )
 
 
 def stream_shape(events: DataFrame) -> DataFrame:
     """(session_id, shape): which of the two shapes a log has, by its first event that tells."""
-    shape = F.when(F.col("event").startswith("content_block"), "anthropic").when(F.col("event").isin("thinking_delta", "text_delta", "function_call"), "gemini")
+    shape = F.when(F.col("event").startswith("content_block"), "anthropic").when(
+        F.col("event").isin("thinking_delta", "text_delta", "function_call"), "gemini"
+    )
     return events.withColumn("shape", shape).where("shape is not null").groupBy("session_id").agg(F.min_by("shape", "seq").alias("shape"))
 
 
@@ -84,7 +118,9 @@ SHAPES = {"anthropic": "anthropic", "openrouter": "anthropic", "azure": "anthrop
 
 
 def parse_stream(events: DataFrame, provider: str | None = None) -> DataFrame:
-    """Blocks of logs of either shape: by the provider's name if that tells, else by the first event of each session that does. Sessions without such an event have none."""
+    """Blocks of logs of either shape: by the provider's name if that tells, else by the first event of each session
+    that does. Sessions without such an event have none.
+    """
     kind = next((v for k, v in SHAPES.items() if provider and k in provider.lower()), None)
     if kind:
         events = events.withColumn("shape", F.lit(kind))
@@ -92,7 +128,13 @@ def parse_stream(events: DataFrame, provider: str | None = None) -> DataFrame:
         events = events.join(stream_shape(events), "session_id")
     names = ["session_id", "block_seq", "type", "t_first", "t_stop", "text", "chunks", "tool_name"]
     a = assemble_blocks(events.where("shape = 'anthropic'")).select(*names)
-    return a.unionByName(gemini_blocks(events.where("shape = 'gemini'").withColumn("args", F.col("args") if "args" in events.columns else F.lit(None).cast("string"))).select(*names))
+    return a.unionByName(
+        gemini_blocks(
+            events.where("shape = 'gemini'").withColumn(
+                "args", F.col("args") if "args" in events.columns else F.lit(None).cast("string")
+            )
+        ).select(*names)
+    )
 
 
 def from_recorder(events: DataFrame) -> DataFrame:
@@ -111,7 +153,8 @@ def recorder_directory(spark: SparkSession, glob: str, turn_ms: float = 10_000.0
     """Blocks of a recorder's turn directories: thinking and text from stream.jsonl, tool results from tool_result.jsonl.
 
     Times count from the start of their turn, and each turn directory of a run begins ``turn_ms`` after the one before it. A tool
-    result stands at ``result_ms`` * (turn + 1/2) of its turn and belongs to the next one. Opened blocks with text count, in order of
+    result stands at ``result_ms`` * (turn + 1/2) of its turn and belongs to the next one. Opened blocks with text
+    count, in order of
     their index, results after them. Turns may lack either file.
     """
     rows = read_lines(spark, f"{glob}/{{stream,tool_result}}.jsonl", RECORDER + ", content string")
@@ -124,13 +167,24 @@ def recorder_directory(spark: SparkSession, glob: str, turn_ms: float = 10_000.0
     said = delta & (F.col("delta_type") == F.concat("kind", F.lit("_delta")))
     of = Window.partitionBy("session_id", "turn", "block_idx")
     b = rows.where(~F.col("result")).withColumn("kind", F.max(F.when(start, F.col("block_type"))).over(of))
-    parts = F.transform(F.sort_array(F.collect_list(F.when(said, F.struct("seq", "chunk")))), lambda x: F.coalesce(x.chunk, F.lit("")))
+    parts = F.transform(
+        F.sort_array(F.collect_list(F.when(said, F.struct("seq", "chunk")))), lambda x: F.coalesce(x.chunk, F.lit(""))
+    )
     first = F.max("base") + F.coalesce(F.min(F.when(start, F.col("t_ms"))), F.lit(0.0))
     b = b.groupBy("session_id", "turn", "block_idx").agg(
-        kind.alias("type"), first.alias("t_first"), (F.max("base") + F.coalesce(F.max(F.when(delta, F.col("t_ms"))), first)).alias("t_stop"), F.array_join(parts, "").alias("text"))
-    b = b.where("type in ('thinking', 'text') and text <> ''").select("session_id", "turn", F.lit(0).alias("rank"), F.col("block_idx").cast("long").alias("at"), "type", "t_first", "t_stop", "text", F.col("turn").alias("stamp"))
+        kind.alias("type"), first.alias("t_first"), (
+            F.max("base") + F.coalesce(F.max(F.when(delta, F.col("t_ms"))), first)
+        ).alias("t_stop"), F.array_join(parts, "").alias("text"))
+    b = b.where("type in ('thinking', 'text') and text <> ''").select(
+        "session_id", "turn", F.lit(0).alias("rank"), F.col("block_idx").cast("long").alias("at"), "type", "t_first", "t_stop",
+        "text", F.col("turn").alias("stamp")
+    )
     at = F.col("base") + result_ms * (F.col("turn") + 0.5)
-    r = rows.where("result").select("session_id", "turn", F.lit(1).alias("rank"), F.col("seq").alias("at"), F.lit("tool_result").alias("type"), at.alias("t_first"), at.alias("t_stop"), F.coalesce(content_text(F.col("content")), F.lit("")).alias("text"), (F.col("turn") + 1).alias("stamp"))
+    r = rows.where("result").select(
+        "session_id", "turn", F.lit(1).alias("rank"), F.col("seq").alias("at"), F.lit("tool_result").alias("type"),
+        at.alias("t_first"), at.alias("t_stop"), F.coalesce(content_text(F.col("content")), F.lit("")).alias("text"),
+        (F.col("turn") + 1).alias("stamp")
+    )
     seq = F.row_number().over(Window.partitionBy("session_id").orderBy("turn", "rank", "at")) - 1
     return b.unionByName(r).withColumn("block_seq", seq).drop("turn", "rank", "at").withColumnRenamed("stamp", "turn")
 
@@ -138,7 +192,9 @@ def recorder_directory(spark: SparkSession, glob: str, turn_ms: float = 10_000.0
 def rebase(events: DataFrame, time: str = "t_ms", least: int = 2) -> DataFrame:
     """Times from the start of each session; sessions with fewer rows are left out."""
     own = Window.partitionBy("session_id")
-    return events.withColumns({"__n": F.count(F.lit(1)).over(own), time: F.col(time) - F.min(time).over(own)}).where(F.col("__n") >= least).drop("__n")
+    return events.withColumns(
+        {"__n": F.count(F.lit(1)).over(own), time: F.col(time) - F.min(time).over(own)}
+    ).where(F.col("__n") >= least).drop("__n")
 
 
 def message_blocks(messages: DataFrame, base_ms: float = 0.0, per_turn_ms: float = 1000.0) -> DataFrame:
@@ -150,12 +206,17 @@ def message_blocks(messages: DataFrame, base_ms: float = 0.0, per_turn_ms: float
     before = Window.partitionBy("session_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
     own = (F.col("role") == "assistant") & (F.size("content") > 0)
     m = messages.withColumn("turn", F.coalesce(F.sum(F.when(own, 1).otherwise(0)).over(before), F.lit(0)).cast("long"))
-    b = m.select("session_id", "pos", "turn", F.posexplode("content").alias("i", "c")).select("session_id", "pos", "i", "turn", "c.type", "c.text", "c.name")
+    b = m.select(
+        "session_id", "pos", "turn", F.posexplode("content").alias("i", "c")
+    ).select("session_id", "pos", "i", "turn", "c.type", "c.text", "c.name")
     start = F.lit(base_ms) + F.col("turn") * per_turn_ms
     half = F.greatest(start - per_turn_ms / 2, F.lit(base_ms))
     result = F.col("type") == "tool_result"
     seq = (F.row_number().over(Window.partitionBy("session_id").orderBy("pos", "i")) - 1).cast("long")
-    return b.select("session_id", seq.alias("block_seq"), "turn", "type", F.when(result, half).otherwise(start).alias("t_first"), F.when(result, half).otherwise(start + per_turn_ms).alias("t_stop"), "text", F.col("name").alias("tool_name"))
+    return b.select(
+        "session_id", seq.alias("block_seq"), "turn", "type", F.when(result, half).otherwise(start).alias("t_first"),
+        F.when(result, half).otherwise(start + per_turn_ms).alias("t_stop"), "text", F.col("name").alias("tool_name")
+    )
 
 
 def turn_directory(spark: SparkSession, glob: str, per_turn_ms: float = 1000.0, result_turn: str = "same") -> DataFrame:
@@ -163,34 +224,57 @@ def turn_directory(spark: SparkSession, glob: str, per_turn_ms: float = 1000.0,
 
     A tool result begins half a turn later. Any of the three files may be missing in any turn.
     """
-    rows = read_lines(spark, f"{glob}/{{thinking,text,tool_result}}.jsonl", "delta string, content string").withColumns(run_and_turn(F.col("file")))
+    rows = read_lines(
+        spark, f"{glob}/{{thinking,text,tool_result}}.jsonl", "delta string, content string"
+    ).withColumns(run_and_turn(F.col("file")))
     kind = F.regexp_extract("file", r"([a-z_]+)\.jsonl$", 1)
     result = F.col("type") == "tool_result"
     rows = rows.withColumn("type", kind).withColumn("c", F.when(result, content_text(F.col("content"))).otherwise(F.col("delta")))
-    parts = F.transform(F.sort_array(F.collect_list(F.when(~result | (F.col("c") != ""), F.struct("seq", "c")))), lambda x: F.coalesce(x.c, F.lit("")))
+    parts = F.transform(
+        F.sort_array(F.collect_list(F.when(~result | (F.col("c") != ""), F.struct("seq", "c")))),
+        lambda x: F.coalesce(x.c, F.lit(""))
+    )
     got = rows.groupBy("session_id", "turn", "type").agg(parts.alias("c"))
-    got = got.select("session_id", "turn", "type", F.when(result, F.array_join("c", "\n")).otherwise(F.array_join("c", "")).alias("text"))
+    got = got.select(
+        "session_id", "turn", "type", F.when(result, F.array_join("c", "\n")).otherwise(F.array_join("c", "")).alias("text")
+    )
     rank = F.when(F.col("type") == "thinking", 0).when(F.col("type") == "text", 1).otherwise(2)
     shift = F.when(result & F.lit(result_turn == "next"), F.col("turn") + 1).otherwise(F.col("turn"))
     seq = F.row_number().over(Window.partitionBy("session_id").orderBy("turn", rank)) - 1
     start = F.col("turn") * per_turn_ms
-    timed = got.where("text <> ''").withColumns({"block_seq": seq, "t_first": F.when(result, start + per_turn_ms / 2).otherwise(start), "t_stop": start + per_turn_ms})
+    timed = got.where("text <> ''").withColumns(
+        {"block_seq": seq, "t_first": F.when(result, start + per_turn_ms / 2).otherwise(start), "t_stop": start + per_turn_ms}
+    )
     return timed.withColumn("turn", shift)
 
 
 def trajectory(deltas: DataFrame) -> DataFrame:
     """Deltas grouped by block within a turn, each in order of time; blocks in order of their last delta."""
     parts = F.transform(F.sort_array(F.collect_list(F.struct("t_ms", "seq", "delta"))), lambda x: F.coalesce(x.delta, F.lit("")))
-    b = deltas.groupBy("session_id", "turn", "kind", "block_id").agg(F.min("t_ms").alias("t_first"), F.max("t_ms").alias("t_stop"), F.array_join(parts, "").alias("text"))
-    return b.withColumn("block_seq", F.row_number().over(Window.partitionBy("session_id").orderBy("turn", "t_stop", "kind", "block_id")) - 1)
+    b = deltas.groupBy("session_id", "turn", "kind", "block_id").agg(
+        F.min("t_ms").alias("t_first"), F.max("t_ms").alias("t_stop"), F.array_join(parts, "").alias("text")
+    )
+    return b.withColumn(
+        "block_seq", F.row_number().over(Window.partitionBy("session_id").orderBy("turn", "t_stop", "kind", "block_id")) - 1
+    )
 
 
 def io_reads(reports: DataFrame, outputs: bool = False, least_bytes: int = 1, least_count: int = 1) -> DataFrame:
     """(file, path, posix_count, bytes_read, metadata_count, posix_time_s) of I/O reports. A report without the view raises."""
     from ..functions.paths import is_output_path
 
-    view = F.coalesce(F.col("file_name_view"), F.raise_error(F.lit("file_name_view is not a list")).cast("array<struct<file_name:string,posix_count_sum:bigint,posix_read_size_sum:bigint,posix_metadata_count_sum:bigint,posix_time_sum:double>>"))
-    r = reports.select("file", F.inline(view)).select("file", F.col("file_name").alias("path"), F.coalesce("posix_count_sum", F.lit(0)).alias("posix_count"), F.coalesce("posix_read_size_sum", F.lit(0)).alias("bytes_read"), F.coalesce("posix_metadata_count_sum", F.lit(0)).alias("metadata_count"), F.coalesce("posix_time_sum", F.lit(0.0)).alias("posix_time_s"))
+    view = F.coalesce(
+        F.col("file_name_view"),
+        F.raise_error(F.lit("file_name_view is not a list")).cast(
+            "array<struct<file_name:string,posix_count_sum:bigint,posix_read_size_sum:bigint,posix_metadata_count_sum:bigint,posix_time_sum:double>>"
+        )
+    )
+    r = reports.select("file", F.inline(view)).select(
+        "file", F.col("file_name").alias("path"), F.coalesce("posix_count_sum", F.lit(0)).alias("posix_count"),
+        F.coalesce("posix_read_size_sum", F.lit(0)).alias("bytes_read"),
+        F.coalesce("posix_metadata_count_sum", F.lit(0)).alias("metadata_count"),
+        F.coalesce("posix_time_sum", F.lit(0.0)).alias("posix_time_s")
+    )
     r = r.where((F.col("bytes_read") >= least_bytes) & (F.col("posix_count") >= least_count))
     return r if outputs else r.where(~is_output_path(F.col("path")))
 
@@ -199,9 +283,17 @@ def io_totals(reports: DataFrame) -> DataFrame:
     """Job time, number of files, POSIX seconds of each report, and a map of seconds by function (the last of a name counts)."""
     seconds = F.transform("func_name_view", lambda x: F.coalesce(x.posix_time_sum, F.lit(0.0)))
     names = F.transform("func_name_view", lambda x: F.coalesce(x.func_name, F.lit("?")))
-    last = F.filter(F.arrays_zip(names.alias("k"), seconds.alias("v"), F.sequence(F.lit(1), F.size(names)).alias("i")), lambda e: ~F.array_contains(F.slice(names, e["i"] + 1, F.size(names)), e["k"]))
-    by = F.when(F.size("func_name_view") > 0, F.map_from_entries(F.transform(last, lambda e: F.struct(e["k"], e["v"])))).otherwise(F.create_map().cast("map<string,double>"))
-    return reports.select("file", F.coalesce("job_time", F.lit(0.0)).alias("job_time"), F.size("file_name_view").alias("n_files"), F.aggregate(seconds, F.lit(0.0), lambda a, x: a + x).alias("posix_s"), by.alias("by_function"))
+    last = F.filter(
+        F.arrays_zip(names.alias("k"), seconds.alias("v"), F.sequence(F.lit(1), F.size(names)).alias("i")),
+        lambda e: ~F.array_contains(F.slice(names, e["i"] + 1, F.size(names)), e["k"])
+    )
+    by = F.when(
+        F.size("func_name_view") > 0, F.map_from_entries(F.transform(last, lambda e: F.struct(e["k"], e["v"])))
+    ).otherwise(F.create_map().cast("map<string,double>"))
+    return reports.select(
+        "file", F.coalesce("job_time", F.lit(0.0)).alias("job_time"), F.size("file_name_view").alias("n_files"),
+        F.aggregate(seconds, F.lit(0.0), lambda a, x: a + x).alias("posix_s"), by.alias("by_function")
+    )
 
 
 def find_report(reports: DataFrame, task: str, model: str, seed: str) -> DataFrame:
@@ -211,7 +303,9 @@ def find_report(reports: DataFrame, task: str, model: str, seed: str) -> DataFra
 
 
 def _below(spark: SparkSession, root: str, name: str, schema: str, levels: tuple[int, ...]) -> DataFrame:
-    """JSON files of a name at some levels below a root, with ``parts``, the path below the root. Levels may be empty; folders that start with an underscore or dot are left out."""
+    """JSON files of a name at some levels below a root, with ``parts``, the path below the root. Levels may be empty;
+    folders that start with an underscore or dot are left out.
+    """
     top = root.rstrip("/")
     df = spark.read.schema(schema).option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", name).json(top)
     file = F.col("_metadata.file_path")
@@ -220,7 +314,8 @@ def _below(spark: SparkSession, root: str, name: str, schema: str, levels: tuple
 
 
 def campaign(spark: SparkSession, root: str) -> DataFrame:
-    """One row for each directory with a summary, one or two levels below the root; older field names fill in for newer ones, and missing fields have defaults.
+    """One row for each directory with a summary, one or two levels below the root; older field names fill in for newer
+    ones, and missing fields have defaults.
 
     Below a directory that has a summary of its own none counts. Turn is 1 and seed 0 where they are missing.
     """
@@ -229,25 +324,40 @@ def campaign(spark: SparkSession, root: str) -> DataFrame:
     s = s.join(tops, (F.size("parts") == 3) & (F.col("parts")[0] == F.col("top")), "left_anti")
     text = {c: F.coalesce(c, F.lit("")) for c in ("model", "provider")}
     flags = {c: F.coalesce(c, F.lit(False)) for c in ("planning_prompt", "via_azure")}
-    numbers = {"turn": F.coalesce(F.nullif("turn", F.lit(0)), F.lit(1)), "seed": F.coalesce("seed", F.lit(0)), "thinking_budget": F.coalesce("thinking_budget", F.lit(0))}
+    numbers = {
+        "turn": F.coalesce(F.nullif("turn", F.lit(0)), F.lit(1)), "seed": F.coalesce("seed", F.lit(0)),
+        "thinking_budget": F.coalesce("thinking_budget", F.lit(0))
+    }
     rest = {
         "task": F.coalesce("task", "task_id", F.lit("")), "session_elapsed_s": F.coalesce("session_elapsed_s", "elapsed_s"),
-        "n_detected_files": F.coalesce("n_detected_files", "n_predicted_files"), "prompt_mode": F.coalesce(F.nullif("prompt_mode", F.lit("")), F.nullif("prompt_variant", F.lit(""))),
+        "n_detected_files": F.coalesce("n_detected_files", "n_predicted_files"), "prompt_mode": F.coalesce(
+            F.nullif("prompt_mode", F.lit("")), F.nullif("prompt_variant", F.lit(""))
+        ),
         "run": F.element_at("parts", -2)}
     return s.withColumns(text | flags | numbers | rest).drop("parts")
 
 
 def replay_cells(spark: SparkSession, root: str) -> DataFrame:
-    """Cells of the results.json lists of all campaigns one level below a root that have both sides; campaigns that start with an underscore are left out."""
+    """Cells of the results.json lists of all campaigns one level below a root that have both sides; campaigns that
+    start with an underscore are left out.
+    """
     c = _below(spark, root, "results.json", CELL, (1,)).withColumn("campaign", F.col("parts")[0]).drop("parts")
-    return c.where(~F.col("campaign").startswith("_") & F.col("cold_elapsed_s").isNotNull() & F.col("staged_elapsed_s").isNotNull())
+    return c.where(
+        ~F.col("campaign").startswith("_") & F.col("cold_elapsed_s").isNotNull() & F.col("staged_elapsed_s").isNotNull()
+    )
 
 
 def measurements(spark: SparkSession, glob: str) -> tuple[DataFrame, DataFrame]:
     """Read measurements: one row a file with its aggregate's fields, and one row for each measured file."""
     m = spark.read.schema(READS).option("multiLine", True).json(glob).withColumn("file", F.col("_metadata.file_path"))
-    flat = [F.col(f"aggregate.{a}.{b}").alias(f"{a}_{b}") for a, bs in (("full_read_ms", ("p50", "p95", "mean", "min", "max")), ("throughput_mbps", ("p50", "p95", "mean"))) for b in bs]
-    whole = m.select("file", "mode", "workload", "bucket", "n_samples", "throttle_mbps", *flat, F.col("aggregate.total_bytes").alias("total_bytes"))
+    flat = [
+        F.col(f"aggregate.{a}.{b}").alias(f"{a}_{b}") for a,
+        bs in (("full_read_ms", ("p50", "p95", "mean", "min", "max")), ("throughput_mbps", ("p50", "p95", "mean"))) for b in bs
+    ]
+    whole = m.select(
+        "file", "mode", "workload", "bucket", "n_samples", "throttle_mbps", *flat,
+        F.col("aggregate.total_bytes").alias("total_bytes")
+    )
     return whole, m.select("file", "mode", "workload", F.inline("per_file"))
 
 
@@ -255,7 +365,8 @@ def filter_campaign(
     runs: DataFrame, *, task: str | None = None, exclude_tasks: tuple[str, ...] = (), model: str | None = None, family: str | None = None,
     planning_prompt: bool | None = None, turn: int | None = None, ill_defined: tuple[str, ...] | None = None, with_thinking: bool | None = None, has_metrics: bool | None = None,
 ) -> DataFrame:
-    """Runs that meet all conditions that are given: the task, none of some tasks, a part of the model's name, the provider's family, prompt, turn, tasks not among the ill-defined ones, and whether they have thinking and metrics.
+    """Runs that meet all conditions that are given: the task, none of some tasks, a part of the model's name, the
+    provider's family, prompt, turn, tasks not among the ill-defined ones, and whether they have thinking and metrics.
 
     ``with_thinking`` reads ``has_thinking`` and ``has_metrics`` the column of that name.
     """
@@ -263,8 +374,12 @@ def filter_campaign(
 
     tests = [~F.col("task").isin(*exclude_tasks)] if exclude_tasks else []
     for value, test in (
-        (task, F.col("task") == task), (model, F.contains("model", F.lit(model or ""))), (family, provider_family(F.col("provider"), F.col("model")) == family),
-        (planning_prompt, F.col("planning_prompt") == F.lit(planning_prompt)), (turn, F.col("turn") == F.lit(turn)), (ill_defined, ~F.col("task").isin(*(ill_defined or ("",))))):
+        (task, F.col("task") == task), (model, F.contains("model", F.lit(model or ""))), (
+            family, provider_family(F.col("provider"), F.col("model")) == family
+        ),
+        (
+            planning_prompt, F.col("planning_prompt") == F.lit(planning_prompt)
+        ), (turn, F.col("turn") == F.lit(turn)), (ill_defined, ~F.col("task").isin(*(ill_defined or ("",))))):
         if value is not None:
             tests.append(test)
     if with_thinking is not None:
@@ -275,27 +390,39 @@ def filter_campaign(
 
 
 def campaign_turns(campaign: DataFrame) -> DataFrame:
-    return campaign.where("not coalesce(crash, false) and session_elapsed_s is not null").select(F.col("run").alias("session_id"), "task", "mode", "model", "session_elapsed_s", F.inline("per_turn"))
+    return campaign.where("not coalesce(crash, false) and session_elapsed_s is not null").select(
+        F.col("run").alias("session_id"), "task", "mode", "model", "session_elapsed_s", F.inline("per_turn")
+    )
 
 
 def staged_paths(reports: DataFrame, excluded: tuple[str, ...] = ()) -> DataFrame:
     """Staged and hit paths of staging reports, without forced rules; the last row of a path counts."""
-    e = reports.select("file", F.posexplode("events").alias("i", "e")).select("file", "i", "e.*").where(F.col("outcome").isin("staged", "hit") & ~F.coalesce(F.col("rule_id"), F.lit("")).isin(*excluded))
-    return e.groupBy("file", "cold_path").agg(F.max_by(F.struct("size_bytes", "outcome", "tier", "t_completed_ms"), "i").alias("x")).select("file", "cold_path", "x.*")
+    e = reports.select("file", F.posexplode("events").alias("i", "e")).select("file", "i", "e.*").where(
+        F.col("outcome").isin("staged", "hit") & ~F.coalesce(F.col("rule_id"), F.lit("")).isin(*excluded)
+    )
+    return e.groupBy("file", "cold_path").agg(
+        F.max_by(F.struct("size_bytes", "outcome", "tier", "t_completed_ms"), "i").alias("x")
+    ).select("file", "cold_path", "x.*")
 
 
 def opened_paths(uses: DataFrame, prefixes: list[tuple[str, str]]) -> DataFrame:
     """Paths that open_file and read_file calls name, resolved, in order of first use."""
     from ..functions.paths import resolve
 
-    o = uses.where(F.col("name").isin("open_file", "read_file")).withColumn("path", resolve(F.col("parsed_input.path"), prefixes)).where("path is not null")
+    o = uses.where(F.col("name").isin("open_file", "read_file")).withColumn(
+        "path", resolve(F.col("parsed_input.path"), prefixes)
+    ).where("path is not null")
     first = o.groupBy("session_id", "path").agg(F.min(F.struct("turn", "seq")).alias("at"))
-    return first.withColumn("pos", F.row_number().over(Window.partitionBy("session_id").orderBy("at")) - 1).select("session_id", "path", "at.turn", "pos")
+    return first.withColumn(
+        "pos", F.row_number().over(Window.partitionBy("session_id").orderBy("at")) - 1
+    ).select("session_id", "path", "at.turn", "pos")
 
 
 def first_tool_line(spark: SparkSession, glob: str) -> DataFrame:
     """The first ``[tool] name`` of each text log, with the parts of its path."""
-    t = spark.read.text(glob).select("value", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("seq"))
+    t = spark.read.text(glob).select(
+        "value", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("seq")
+    )
     named = t.withColumn("tool", F.regexp_extract("value", r"^\s*\[tool\]\s+(\w+)", 1)).where("tool <> ''")
     return named.groupBy("file").agg(F.min_by("tool", "seq").alias("first_tool")).withColumn("parts", F.split("file", "/"))
 
@@ -307,13 +434,18 @@ def tier_bandwidth(spark: SparkSession, glob: str, tool: str = "ior", op: str =
 
 
 def inventory(spark: SparkSession, root: str, *globs: str) -> DataFrame:
-    """(path, bytes) of the files below a root whose names fit any of the globs (all files without one), each once, without reading them."""
-    found = [spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", g).load(root).select("path", F.col("length").alias("bytes")) for g in globs or ("*",)]
+    """(path, bytes) of the files below a root whose names fit any of the globs (all files without one), each once,
+    without reading them.
+    """
+    found = [
+        spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", g).load(root).select("path", F.col("length").alias("bytes")) for g in globs or ("*",)
+    ]
     return reduce(DataFrame.unionAll, found).distinct()
 
 
 def tree_paths(trees: DataFrame, text: str = "tree", root: str = "") -> DataFrame:
-    """(id, pos, path, is_dir) of indented folder trees: a line's depth is half its dashes, from 1; names that end in a slash are directories.
+    """(id, pos, path, is_dir) of indented folder trees: a line's depth is half its dashes, from 1; names that end in a
+    slash are directories.
 
     Lines are read once, with the names above the current one at hand. A tree is one text, so it is read in one task.
     """
@@ -333,7 +465,13 @@ def tree_paths(trees: DataFrame, text: str = "tree", root: str = "") -> DataFram
                     places.append(pos)
                     paths.append(root + "/".join(above))
                     dirs.append(m[2].endswith("/"))
-            yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(ids, pa.int64())), pa.array(places, pa.int32()), pa.array(paths, pa.string()), pa.array(dirs, pa.bool_())], names=["id", "pos", "path", "is_dir"])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    b.column("id").take(pa.array(ids, pa.int64())), pa.array(places, pa.int32()), pa.array(paths, pa.string()),
+                    pa.array(dirs, pa.bool_())
+                ],
+                names=["id", "pos", "path", "is_dir"]
+            )
 
     of = trees.select("id", F.col(text).alias("tree"))
     return of.mapInArrow(batches, f"id {of.schema['id'].dataType.simpleString()}, pos int, path string, is_dir boolean")
@@ -341,7 +479,9 @@ def tree_paths(trees: DataFrame, text: str = "tree", root: str = "") -> DataFram
 
 def detection_report(fired: DataFrame, tiers: DataFrame) -> DataFrame:
     """One row a session, as a report to write: its firings in order, and its files by tier (session_id, path, tier)."""
-    acts = fired.groupBy("session_id").agg(F.sort_array(F.collect_list(F.struct("block_seq", "name", "type", "turn", "match_start"))).alias("activations"))
+    acts = fired.groupBy("session_id").agg(
+        F.sort_array(F.collect_list(F.struct("block_seq", "name", "type", "turn", "match_start"))).alias("activations")
+    )
     of = lambda k: F.sort_array(F.collect_set(F.when(F.col("tier") == k, F.col("path")))).alias(f"tier_{k}")
     return acts.join(tiers.groupBy("session_id").agg(of(1), of(2), of(3)), "session_id", "left")
 
@@ -350,7 +490,9 @@ def staging_report(events: DataFrame, keys: list[str]) -> DataFrame:
     """One row a key, as a report to write: its staging events by time of completion, and their summary."""
     from ..operators.scoring import stage_summary
 
-    each = events.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("t_completed", "cold_path", "size_bytes", "fetch_ms", "outcome"))).alias("events"))
+    each = events.groupBy(*keys).agg(
+        F.sort_array(F.collect_list(F.struct("t_completed", "cold_path", "size_bytes", "fetch_ms", "outcome"))).alias("events")
+    )
     s = stage_summary(events, keys)
     return each.join(s.select(*keys, F.struct(*[c for c in s.columns if c not in keys]).alias("summary")), keys)
 

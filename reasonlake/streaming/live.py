@@ -24,28 +24,43 @@ from ..operators.matching import SCANNED, most_width
 FIRED = "session_id string, block string, name string, fired_at_ms double, match_start long"
 STATE = "t array<double>, seq array<long>, block array<string>, kind array<string>, chunk array<string>, at array<long>, memory string"
 
-#: Takes a session's memory and one delta (t_ms, seq, block, kind, chunk) and gives the rows that follow from it, without the session.
+#: Takes a session's memory and one delta (t_ms, seq, block, kind, chunk) and gives the rows that follow from it,
+#: without the session.
 Fold = Callable[[dict, tuple], Iterator[tuple]]
 
 
 def normalise(events: DataFrame, provider: str) -> DataFrame:
-    """Deltas of one provider in a common form: session_id, block, t_ms, seq, kind, chunk. Reasoning may come under either of two names; fragments of tool arguments have a block for each call."""
+    """Deltas of one provider in a common form: session_id, block, t_ms, seq, kind, chunk. Reasoning may come under
+    either of two names; fragments of tool arguments have a block for each call.
+    """
     c = F.col
     if provider == "openai":
-        kind = F.when(F.coalesce(c("reasoning"), c("reasoning_content")).isNotNull(), "thinking").when(c("content").isNotNull(), "text").when(c("arguments").isNotNull(), "tool_use")
+        kind = F.when(
+            F.coalesce(c("reasoning"), c("reasoning_content")).isNotNull(), "thinking"
+        ).when(c("content").isNotNull(), "text").when(c("arguments").isNotNull(), "tool_use")
         chunk = F.coalesce(c("reasoning"), c("reasoning_content"), c("content"), c("arguments"))
         block = F.concat_ws("-", kind, F.coalesce(c("call_index").cast("string"), F.lit("0")))
     elif provider == "gemini":
-        kind = F.when(c("event") == "thinking_delta", "thinking").when(c("event") == "text_delta", "text").when(c("event") == "function_call", "tool_use")
+        kind = F.when(
+            c("event") == "thinking_delta", "thinking"
+        ).when(c("event") == "text_delta", "text").when(c("event") == "function_call", "tool_use")
         chunk, block = F.coalesce(c("chunk"), c("args")), kind
     else:
-        kind = F.when(c("delta_type") == "thinking_delta", "thinking").when(c("delta_type") == "text_delta", "text").when(c("delta_type") == "input_json_delta", "tool_use")
+        kind = F.when(c("delta_type") == "thinking_delta", "thinking").when(c("delta_type") == "text_delta", "text").when(
+            c("delta_type") == "input_json_delta", "tool_use"
+        )
         chunk, block = c("chunk"), c("block_idx").cast("string")
-    return events.select("session_id", block.alias("block"), "t_ms", "seq", kind.alias("kind"), chunk.alias("chunk")).where("kind is not null")
+    return events.select(
+        "session_id", block.alias("block"), "t_ms", "seq", kind.alias("kind"), chunk.alias("chunk")
+    ).where("kind is not null")
 
 
-def in_order(deltas: DataFrame, fold: Fold, columns: str, start: str, delay: str, idle_ms: int, close: Callable[[dict], Iterator[tuple]] | None = None) -> DataFrame:
-    """Rows (session_id and ``columns``) that ``fold`` gives for the deltas of each session in event order, and ``close`` for its end.
+def in_order(
+    deltas: DataFrame, fold: Fold, columns: str, start: str, delay: str, idle_ms: int,
+    close: Callable[[dict], Iterator[tuple]] | None = None
+) -> DataFrame:
+    """Rows (session_id and ``columns``) that ``fold`` gives for the deltas of each session in event order, and
+    ``close`` for its end.
 
     Rows come when the watermark has passed their delta, so the result does not depend on the order of
     arrival. The memory is kept as JSON; deltas are dropped once they are folded.
@@ -60,7 +75,10 @@ def in_order(deltas: DataFrame, fold: Fold, columns: str, start: str, delay: str
             mark = state.getCurrentWatermarkMs()
             for b in batches:
                 when = b[start].astype("datetime64[ms]").astype("int64")
-                rows += [(float(a), int(s), str(k), str(x), str(c or ""), int(w)) for a, s, k, x, c, w in zip(b.t_ms, b.seq, b.block, b.kind, b.chunk, when, strict=True)]
+                rows += [
+                    (float(a), int(s), str(k), str(x), str(c or ""), int(w)) for a, s, k, x, c,
+                    w in zip(b.t_ms, b.seq, b.block, b.kind, b.chunk, when, strict=True)
+                ]
         rows.sort()
         ready = next((i for i, r in enumerate(rows) if r[5] > mark), len(rows))  # deltas that no earlier one can precede any more
         out = [(key[0], *x) for r in rows[:ready] for x in fold(memory, r[:5])]
@@ -75,8 +93,12 @@ def in_order(deltas: DataFrame, fold: Fold, columns: str, start: str, delay: str
         if out:
             yield pd.DataFrame(out, columns=names)
 
-    told = deltas.select(F.col("session_id").cast("string").alias("session_id"), "block", "t_ms", "seq", "kind", "chunk", start).withWatermark(start, delay)
-    return told.groupBy("session_id").applyInPandasWithState(step, f"session_id string, {columns}", STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    told = deltas.select(
+        F.col("session_id").cast("string").alias("session_id"), "block", "t_ms", "seq", "kind", "chunk", start
+    ).withWatermark(start, delay)
+    return told.groupBy("session_id").applyInPandasWithState(
+        step, f"session_id string, {columns}", STATE, "append", GroupStateTimeout.EventTimeTimeout
+    )
 
 
 def late_rows(query: StreamingQuery) -> int:
@@ -84,7 +106,10 @@ def late_rows(query: StreamingQuery) -> int:
     return sum(o["numRowsDroppedByWatermark"] for p in query.recentProgress for o in p["stateOperators"])
 
 
-def fire_live(deltas: DataFrame, rules: list[tuple[str, str]], start: str = "event_ts", delay: str = "10 seconds", idle_ms: int = 600_000, scope: str = "session") -> DataFrame:
+def fire_live(
+    deltas: DataFrame, rules: list[tuple[str, str]], start: str = "event_ts", delay: str = "10 seconds", idle_ms: int = 600_000,
+    scope: str = "session"
+) -> DataFrame:
     """Each rule (name, pattern) once a session, when its pattern is first found in the text so far.
 
     ``deltas``: session_id, block, t_ms, seq, kind, chunk and the event time ``start``. With scope
@@ -113,10 +138,14 @@ def fire_live(deltas: DataFrame, rules: list[tuple[str, str]], start: str = "eve
 LISTED = re.compile(r"^\s*FILE\s+(\S+)\s+\(\d+\s+bytes\)\s*$", re.MULTILINE)
 
 
-def literal_deltas(deltas: DataFrame, needles: list[tuple[str, str]], start: str = "event_ts", delay: str = "10 seconds", idle_ms: int = 600_000) -> DataFrame:
-    """(session_id, block, path, t_ms, listed): each file once a session, when its path or another needle (needle, path) is first named.
+def literal_deltas(
+    deltas: DataFrame, needles: list[tuple[str, str]], start: str = "event_ts", delay: str = "10 seconds", idle_ms: int = 600_000
+) -> DataFrame:
+    """(session_id, block, path, t_ms, listed): each file once a session, when its path or another needle (needle, path)
+    is first named.
 
-    The files that listings in tool results show join what is looked for, by their paths, from the next delta on (``listed``). Needles of a
+    The files that listings in tool results show join what is looked for, by their paths, from the next delta on
+    (``listed``). Needles of a
     workload are configuration; for needles that grow with the data join a stream with a table of them (``literal_stream``).
     """
     longest = max([len(n) for n, _ in needles], default=0)
@@ -134,20 +163,33 @@ def literal_deltas(deltas: DataFrame, needles: list[tuple[str, str]], start: str
         if kind == "tool_result":
             grown += [p for p in dict.fromkeys(LISTED.findall(chunk)) if p not in grown and p not in seen]
 
-    return in_order(deltas.where(F.col("kind").isin(*SCANNED)), fold, "block string, path string, t_ms double, listed boolean", start, delay, idle_ms)
+    return in_order(
+        deltas.where(F.col("kind").isin(*SCANNED)), fold, "block string, path string, t_ms double, listed boolean", start, delay,
+        idle_ms
+    )
 
 
-def literal_stream(deltas: DataFrame, keyed: DataFrame, kinds: list[int], start: str = "event_ts", delay: str = "10 minutes") -> DataFrame:
-    """Each file once a session, when a delta names it: a stream joined with a table of needles (path, needle, gram, as ``keyed_needles`` gives them; ``kinds`` are the lengths of the grams). Needles across deltas are not seen."""
+def literal_stream(
+    deltas: DataFrame, keyed: DataFrame, kinds: list[int], start: str = "event_ts", delay: str = "10 minutes"
+) -> DataFrame:
+    """Each file once a session, when a delta names it: a stream joined with a table of needles (path, needle, gram, as
+    ``keyed_needles`` gives them; ``kinds`` are the lengths of the grams). Needles across deltas are not seen.
+    """
     from ..operators.scoring import grams
 
     pieces = F.array_distinct(F.flatten(F.array(*[grams(F.col("chunk"), n) for n in kinds])))
-    met = deltas.withWatermark(start, delay).select("session_id", "block", "t_ms", start, "chunk", F.explode(pieces).alias("gram")).join(keyed, "gram")
-    return met.where(F.contains("chunk", F.col("needle"))).select("session_id", "block", "path", "t_ms", start).dropDuplicatesWithinWatermark(["session_id", "path"])
+    met = deltas.withWatermark(start, delay).select(
+        "session_id", "block", "t_ms", start, "chunk", F.explode(pieces).alias("gram")
+    ).join(keyed, "gram")
+    return met.where(F.contains("chunk", F.col("needle"))).select(
+        "session_id", "block", "path", "t_ms", start
+    ).dropDuplicatesWithinWatermark(["session_id", "path"])
 
 
 def slack_live(deltas: DataFrame, start: str = "event_ts", delay: str = "10 seconds", idle_ms: int = 600_000) -> DataFrame:
-    """(session_id, t_ms, slack_ms): at the first tool use of a session, the time since its first thinking; null without any before."""
+    """(session_id, t_ms, slack_ms): at the first tool use of a session, the time since its first thinking; null without
+    any before.
+    """
 
     def fold(memory: dict, delta: tuple) -> Iterator[tuple]:
         t, _, _, kind, _ = delta
@@ -161,7 +203,9 @@ def slack_live(deltas: DataFrame, start: str = "event_ts", delay: str = "10 seco
 
 
 def tool_arguments(deltas: DataFrame, start: str = "event_ts", delay: str = "10 seconds", idle_ms: int = 600_000) -> DataFrame:
-    """(session_id, block, t_ms, arguments): the fragments of each tool call put together, once a delta of another call or kind follows, or the session ends."""
+    """(session_id, block, t_ms, arguments): the fragments of each tool call put together, once a delta of another call
+    or kind follows, or the session ends.
+    """
 
     def done(memory: dict) -> Iterator[tuple]:
         if memory.get("block") is not None:
@@ -180,7 +224,9 @@ def tool_arguments(deltas: DataFrame, start: str = "event_ts", delay: str = "10
 
 def gate(fired: DataFrame, sizes: DataFrame) -> DataFrame:
     """Live firings with the files their targets hold (name, n) and whether they are dispatched: tier 1 alone is."""
-    return fired.join(sizes, "name", "left").withColumn("tier", tier(F.coalesce("n", F.lit(0)), LIVE)).withColumn("dispatch", F.col("tier") == 1)
+    return fired.join(sizes, "name", "left").withColumn(
+        "tier", tier(F.coalesce("n", F.lit(0)), LIVE)
+    ).withColumn("dispatch", F.col("tier") == 1)
 
 
 def requests(fired: DataFrame, targets: DataFrame, time: str, delay: str = "10 minutes") -> DataFrame:
@@ -188,13 +234,21 @@ def requests(fired: DataFrame, targets: DataFrame, time: str, delay: str = "10 m
     return fired.join(targets, "name").withWatermark(time, delay).dropDuplicatesWithinWatermark(["host", "path"])
 
 
-def stage_rollup(events: DataFrame, time: str = "event_ts", window: str = "5 minutes", slide: str | None = None, delay: str = "10 minutes") -> DataFrame:
+def stage_rollup(
+    events: DataFrame, time: str = "event_ts", window: str = "5 minutes", slide: str | None = None, delay: str = "10 minutes"
+) -> DataFrame:
     """Staging events by window and outcome: count, bytes, and approximate percentiles of the fetch time."""
     w = F.window(time, window, slide) if slide else F.window(time, window)
-    return events.withWatermark(time, delay).groupBy(w.alias("w"), "outcome").agg(F.count(F.lit(1)).alias("n"), F.sum("size_bytes").alias("bytes"), F.percentile_approx("fetch_ms", 0.5).alias("p50"), F.max("fetch_ms").alias("max_ms")).select(F.col("w.start").alias("start"), "outcome", "n", "bytes", "p50", "max_ms")
+    return events.withWatermark(time, delay).groupBy(w.alias("w"), "outcome").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("size_bytes").alias("bytes"), F.percentile_approx("fetch_ms", 0.5).alias("p50"),
+        F.max("fetch_ms").alias("max_ms")
+    ).select(F.col("w.start").alias("start"), "outcome", "n", "bytes", "p50", "max_ms")
 
 
 def session_slack(deltas: DataFrame, time: str = "event_ts", gap: str = "10 minutes", delay: str = "10 minutes") -> DataFrame:
     """First thinking delta to first tool use of a session, by session window; null if either is missing."""
-    s = deltas.withWatermark(time, delay).groupBy(F.session_window(time, gap).alias("w"), "session_id").agg(F.min(F.when(F.col("kind") == "thinking", F.col("t_ms"))).alias("a"), F.min(F.when(F.col("kind") == "tool_use", F.col("t_ms"))).alias("b"))
+    s = deltas.withWatermark(time, delay).groupBy(F.session_window(time, gap).alias("w"), "session_id").agg(
+        F.min(F.when(F.col("kind") == "thinking", F.col("t_ms"))).alias("a"),
+        F.min(F.when(F.col("kind") == "tool_use", F.col("t_ms"))).alias("b")
+    )
     return s.select("session_id", F.col("w.start").alias("start"), (F.col("b") - F.col("a")).alias("slack_ms"))

@@ -37,8 +37,12 @@ def test_names(spark):
     assert one(spark, P.stem(F.col("p")), p="/a/.bashrc") == ""
     assert one(spark, P.stem(F.col("p")), p="/a/x.tar.gz") == "x.tar"
     assert one(spark, P.under_root(F.col("p"), F.lit("/cold")), p="/coldX/f") is False
-    assert one(spark, P.path_tokens(F.col("t")), t="see /data/a/b.csv, xdata/c.csv and data/d.nc; data/e") == ["data/a/b.csv", "data/d.nc"]
-    assert one(spark, P.listing_files(F.col("t")), t="  FILE  /a/b.nc  (12 bytes)\n  DIR  /a/\nFILE x (1 bytes)") == ["/a/b.nc", "x"]
+    assert one(
+        spark, P.path_tokens(F.col("t")), t="see /data/a/b.csv, xdata/c.csv and data/d.nc; data/e"
+    ) == ["data/a/b.csv", "data/d.nc"]
+    assert one(
+        spark, P.listing_files(F.col("t")), t="  FILE  /a/b.nc  (12 bytes)\n  DIR  /a/\nFILE x (1 bytes)"
+    ) == ["/a/b.nc", "x"]
     assert one(spark, P.companion_names(F.col("p")), p="/a/x.vcf.gz")[:2] == ["/a/x.vcf.gz.tbi", "/a/x.vcf.tbi"]
     assert one(spark, P.child_of(F.lit("/data/"), F.col("p")), p="/data/w/raw") == "w"
     assert one(spark, P.child_of(F.lit("/data/w"), F.col("p")), p="/data/w") is None
@@ -74,9 +78,14 @@ def test_rule_patterns(spark):
 
 def test_generated_rules_are_ordered(spark):
     w = spark.createDataFrame([("w", "Make out.csv of all bands")], "workload string, task string")
-    b = spark.createDataFrame([("w", i, k) for i, k in enumerate(["all_bands", "band_01", "output_csv", "output_report"])], "workload string, pos int, bucket string")
+    b = spark.createDataFrame(
+        [("w", i, k) for i, k in enumerate(["all_bands", "band_01", "output_csv", "output_report"])],
+        "workload string, pos int, bucket string"
+    )
     r = M.auto_rules(w, b).orderBy("ord").collect()
-    assert [x["name"] for x in r] == ["first_inspect", "all_signal", "band_01", "output_csv_signal", "output_report_signal", "report_out"]
+    assert [x["name"] for x in r] == [
+        "first_inspect", "all_signal", "band_01", "output_csv_signal", "output_report_signal", "report_out"
+    ]
     assert r[0]["target_keys"] == ["all_bands"] and r[5]["target_keys"] == []
     assert r[3]["pattern"] == r"out\.csv" and r[4]["pattern"] == r"\.report\b"
 
@@ -116,13 +125,23 @@ def made_pattern(r, depth=3):
 
 def test_literals_never_lose_a_match():
     r = random.Random(3)
-    fixed = ["all|each|every", "(?i)(the|le).{0,30}one", r"iterate.{0,4}file", r"report\.md", r"colou?r data", r"x+yzz[ab]c", "eau", "abcd{0,1} x"]
+    fixed = [
+        "all|each|every", "(?i)(the|le).{0,30}one", r"iterate.{0,4}file", r"report\.md", r"colou?r data", r"x+yzz[ab]c", "eau",
+        "abcd{0,1} x"
+    ]
     told = 0
     for i in range(4000):
         p = fixed[i % 8] if i % 5 == 0 else made_pattern(r)
         lits = M.literals_of(p)
         for _ in range(6):
-            text = "".join(r.choice(["all", "each ", "the", "one", "iterate", "file", "report.md", "colour data", "ab", "abc", "k", "s", "ist", "a.b", "A", " x", "i", "q"]) for _ in range(5))
+            text = "".join(
+                r.choice(
+                    [
+                        "all", "each ", "the", "one", "iterate", "file", "report.md", "colour data", "ab", "abc", "k", "s", "ist",
+                        "a.b", "A", " x", "i", "q"
+                    ]
+                ) for _ in range(5)
+            )
             if lits is not None and re.search(p, text, re.IGNORECASE):
                 told += 1
                 assert any(x in text.lower() for x in lits), (p, text)
@@ -131,8 +150,14 @@ def test_literals_never_lose_a_match():
 
 def test_no_match_is_lost_to_folding(spark):
     words = ["abc x", "\u017ftart", "m\u0131st", "M\u0130ST", "\u212aelvin", "Start", "none"]
-    blocks = spark.createDataFrame([("s", i, 0, "text", 0.0, 1.0, w) for i, w in enumerate(words)], "session_id string, block_seq int, turn int, type string, t_first double, t_stop double, text string")
-    rules = spark.createDataFrame([(i, p, p, ["k"], "x") for i, p in enumerate(["abcd{0,1} x", "start", "mist", "kelvin"])], "ord int, name string, pattern string, target_keys array<string>, origin string")
+    blocks = spark.createDataFrame(
+        [("s", i, 0, "text", 0.0, 1.0, w) for i, w in enumerate(words)],
+        "session_id string, block_seq int, turn int, type string, t_first double, t_stop double, text string"
+    )
+    rules = spark.createDataFrame(
+        [(i, p, p, ["k"], "x") for i, p in enumerate(["abcd{0,1} x", "start", "mist", "kelvin"])],
+        "ord int, name string, pattern string, target_keys array<string>, origin string"
+    )
     found = {(r["name"], r["text"]) for r in M.matches(blocks, rules).collect()}
     all_pairs = {(r["name"], r["text"]) for r in blocks.join(rules, F.expr("text rlike concat('(?iud)', pattern)")).collect()}
     assert found == all_pairs and ("abcd{0,1} x", "abc x") in found and ("start", "\u017ftart") in found
@@ -140,17 +165,34 @@ def test_no_match_is_lost_to_folding(spark):
 
 def test_many_rules_are_matched_too(spark, monkeypatch):
     monkeypatch.setattr(M, "MOST_RULES", 3)
-    blocks = spark.createDataFrame([("s", i, 0, "text", 0.0, 1.0, f"word{i}") for i in range(6)], "session_id string, block_seq int, turn int, type string, t_first double, t_stop double, text string")
-    rules = spark.createDataFrame([(i, f"r{i}", f"word{i}", ["k"], "x") for i in range(6)], "ord int, name string, pattern string, target_keys array<string>, origin string")
+    blocks = spark.createDataFrame(
+        [("s", i, 0, "text", 0.0, 1.0, f"word{i}") for i in range(6)],
+        "session_id string, block_seq int, turn int, type string, t_first double, t_stop double, text string"
+    )
+    rules = spark.createDataFrame(
+        [(i, f"r{i}", f"word{i}", ["k"], "x") for i in range(6)],
+        "ord int, name string, pattern string, target_keys array<string>, origin string"
+    )
     assert sorted((r["name"], r["block_seq"]) for r in M.matches(blocks, rules).collect()) == [(f"r{i}", i) for i in range(6)]
 
 
 def test_transcript_mode_is_that_of_the_joined_text(spark):
     r = random.Random(9)
     patterns = ["band", "ab.{0,4}c", r"\bab\b", "a+b", "x$", "b{2,3}c"]
-    rows = [(f"s{s}", i, r.choice(["text", "thinking", "tool_result", "tool_use"]), "".join(r.choice(["a", "b", "c", "ba", "nd", " ", "x"]) for _ in range(r.randint(0, 5)))) for s in range(60) for i in range(6)]
-    blocks = spark.createDataFrame([(a, b, b, c, 0.0, 1.0, d) for a, b, c, d in rows], "session_id string, block_seq int, turn int, type string, t_first double, t_stop double, text string")
-    rules = spark.createDataFrame([(i, p, p, ["k"], "x") for i, p in enumerate(patterns)], "ord int, name string, pattern string, target_keys array<string>, origin string")
+    rows = [
+        (
+            f"s{s}", i, r.choice(["text", "thinking", "tool_result", "tool_use"]),
+            "".join(r.choice(["a", "b", "c", "ba", "nd", " ", "x"]) for _ in range(r.randint(0, 5)))
+        ) for s in range(60) for i in range(6)
+    ]
+    blocks = spark.createDataFrame(
+        [(a, b, b, c, 0.0, 1.0, d) for a, b, c, d in rows],
+        "session_id string, block_seq int, turn int, type string, t_first double, t_stop double, text string"
+    )
+    rules = spark.createDataFrame(
+        [(i, p, p, ["k"], "x") for i, p in enumerate(patterns)],
+        "ord int, name string, pattern string, target_keys array<string>, origin string"
+    )
     want = set()
     for s in {x[0] for x in rows}:
         text, known = "", set()
@@ -163,7 +205,11 @@ def test_transcript_mode_is_that_of_the_joined_text(spark):
                 if p not in known and m and m.start() >= base:
                     known.add(p)
                     want.add((s, p, seq, m.start()))
-    got = {(x["session_id"], x["name"], x["block_seq"], x["match_start"]) for x in M.first_fire(M.transcript_matches(blocks, rules)).collect()}
+    got = {
+        (
+            x["session_id"], x["name"], x["block_seq"], x["match_start"]
+        ) for x in M.first_fire(M.transcript_matches(blocks, rules)).collect()
+    }
     assert got == want
 
 
@@ -174,17 +220,30 @@ def test_fingerprints_differ_by_pattern(spark):
 
 
 def test_transcript_mode_suppresses_straddles(spark):
-    rows = [("s", 0, "text", "ba"), ("s", 1, "text", "nd then band"), ("t", 0, "text", "x"), ("t", 1, "tool_use", "band"), ("t", 2, "thinking", "a band")]
-    blocks = spark.createDataFrame([(a, b, b, c, 0.0, 1.0, d) for a, b, c, d in rows], "session_id string, block_seq int, turn int, type string, t_first double, t_stop double, text string")
-    rules = spark.createDataFrame([(0, "r", "band", ["k"], "x")], "ord int, name string, pattern string, target_keys array<string>, origin string")
+    rows = [
+        ("s", 0, "text", "ba"), ("s", 1, "text", "nd then band"), ("t", 0, "text", "x"), ("t", 1, "tool_use", "band"),
+        ("t", 2, "thinking", "a band")
+    ]
+    blocks = spark.createDataFrame(
+        [(a, b, b, c, 0.0, 1.0, d) for a, b, c, d in rows],
+        "session_id string, block_seq int, turn int, type string, t_first double, t_stop double, text string"
+    )
+    rules = spark.createDataFrame(
+        [(0, "r", "band", ["k"], "x")], "ord int, name string, pattern string, target_keys array<string>, origin string"
+    )
     local = {(r["session_id"], r["block_seq"]) for r in M.first_fire(M.matches(blocks, rules)).collect()}
     exact = {(r["session_id"], r["block_seq"]) for r in M.first_fire(M.transcript_matches(blocks, rules)).collect()}
     assert local == {("s", 1), ("t", 2)} and exact == {("t", 2)}
 
 
 def test_offsets_are_code_points(spark):
-    blocks = spark.createDataFrame([("s", 0, 0, "text", 0.0, 1.0, "😀é band")], "session_id string, block_seq int, turn int, type string, t_first double, t_stop double, text string")
-    rules = spark.createDataFrame([(0, "r", "BAND", ["k"], "x")], "ord int, name string, pattern string, target_keys array<string>, origin string")
+    blocks = spark.createDataFrame(
+        [("s", 0, 0, "text", 0.0, 1.0, "😀é band")],
+        "session_id string, block_seq int, turn int, type string, t_first double, t_stop double, text string"
+    )
+    rules = spark.createDataFrame(
+        [(0, "r", "BAND", ["k"], "x")], "ord int, name string, pattern string, target_keys array<string>, origin string"
+    )
     assert M.matches(blocks, rules).first()["match_start"] == 3
 
 
@@ -202,20 +261,37 @@ def test_longest_mount(spark):
 
 
 def test_literal_scan_needs_unique_names(spark):
-    b = spark.createDataFrame([("s", 0, "text", "open x.csv then /d/2/y.csv."), ("s", 1, "text", " and w")], "session_id string, block_seq int, type string, text string")
-    p = spark.createDataFrame([("k", "/d/1/x.csv"), ("k", "/d/1/y.csv"), ("k", "/d/2/y.csv"), ("output_a", "/d/3/w.csv"), ("k", "/output/z.csv")], "bucket string, path string")
+    b = spark.createDataFrame(
+        [("s", 0, "text", "open x.csv then /d/2/y.csv."), ("s", 1, "text", " and w")],
+        "session_id string, block_seq int, type string, text string"
+    )
+    p = spark.createDataFrame(
+        [("k", "/d/1/x.csv"), ("k", "/d/1/y.csv"), ("k", "/d/2/y.csv"), ("output_a", "/d/3/w.csv"), ("k", "/output/z.csv")],
+        "bucket string, path string"
+    )
     assert {(r["path"], r["start"]) for r in S.literal_scan(b, p).collect()} == {("/d/1/x.csv", 5), ("/d/2/y.csv", 16)}
 
 
 def test_sources_and_companions(spark):
-    inv = spark.createDataFrame([("/a", 10, None), ("/b.gz", 10, 50), ("/c.gz", 10, 5), ("/c.xz", 3, None), ("/x.bam.bai", 1, None)], "path string, bytes long, trailer long")
-    got = {r["path"]: (r["source"], r["size_bytes"]) for r in S.source_of(spark.createDataFrame([("/a",), ("/b",), ("/c",), ("/d",)], "path string"), inv).collect()}
+    inv = spark.createDataFrame(
+        [("/a", 10, None), ("/b.gz", 10, 50), ("/c.gz", 10, 5), ("/c.xz", 3, None), ("/x.bam.bai", 1, None)],
+        "path string, bytes long, trailer long"
+    )
+    got = {
+        r["path"]: (r["source"], r["size_bytes"]) for r in S.source_of(
+            spark.createDataFrame([("/a",), ("/b",), ("/c",), ("/d",)], "path string"), inv
+        ).collect()
+    }
     assert got == {"/a": ("/a", 10), "/b": ("/b.gz", 50), "/c": ("/c.gz", 40), "/d": (None, None)}
-    assert [tuple(r) for r in S.companions(spark.createDataFrame([("/x.bam",)], "path string"), inv).collect()] == [("/x.bam", "/x.bam.bai")]
+    assert [
+        tuple(r) for r in S.companions(spark.createDataFrame([("/x.bam",)], "path string"), inv).collect()
+    ] == [("/x.bam", "/x.bam.bai")]
 
 
 def test_placement_lets_small_files_in_later(spark):
-    f = spark.createDataFrame([("h", 1, "a", 6), ("h", 2, "b", 5), ("h", 3, "c", 4)], "host string, ord int, path string, bytes long")
+    f = spark.createDataFrame(
+        [("h", 1, "a", 6), ("h", 2, "b", 5), ("h", 3, "c", 4)], "host string, ord int, path string, bytes long"
+    )
     assert {r["path"]: r["primary"] for r in N.placement(f, ["host"], "ord", 10).collect()} == {"a": True, "b": False, "c": True}
 
 
@@ -234,7 +310,9 @@ def test_queue_identity(spark):
 
 def test_percentile_conventions(spark):
     df = spark.createDataFrame([("g", float(v)) for v in range(1, 11)], "g string, v double")
-    r = T.position_percentiles(df, ["g"], "v", {"a": ("upper_median", 0.5), "b": ("nearest", 0.95), "c": ("floor_count", 0.95), "d": ("quarter", 0.75)}).first()
+    r = T.position_percentiles(
+        df, ["g"], "v", {"a": ("upper_median", 0.5), "b": ("nearest", 0.95), "c": ("floor_count", 0.95), "d": ("quarter", 0.75)}
+    ).first()
     assert (r["a"], r["b"], r["c"], r["d"]) == (6.0, 10.0, 10.0, 8.0)
 
 
@@ -245,14 +323,22 @@ def test_amdahl_without_shell(spark):
 
 
 def test_slack_stops_at_first_tool(spark):
-    rows = [("a", 0, "thinking", 5.0), ("a", 1, "tool_use", 9.0), ("b", 0, "tool_use", 1.0), ("b", 1, "thinking", 2.0), ("b", 2, "tool_use", 7.0)]
+    rows = [
+        ("a", 0, "thinking", 5.0), ("a", 1, "tool_use", 9.0), ("b", 0, "tool_use", 1.0), ("b", 1, "thinking", 2.0),
+        ("b", 2, "tool_use", 7.0)
+    ]
     df = spark.createDataFrame(rows, "session_id string, block_seq int, type string, t_first double")
     assert {r["session_id"]: r["slack_ms"] for r in E.slack(df).collect()} == {"a": 4.0, "b": None}
 
 
 def test_gemini_and_shape(spark):
-    rows = [("s", 0, "thinking_delta", 1.0, "he", None, None), ("s", 1, "text_delta", 2.0, "", None, None), ("s", 2, "function_call", 3.0, None, "f", "{}"), ("s", 3, "thinking_delta", 4.0, "y", None, None)]
-    e = spark.createDataFrame(rows, "session_id string, seq long, event string, t_ms double, chunk string, tool_name string, args string")
+    rows = [
+        ("s", 0, "thinking_delta", 1.0, "he", None, None), ("s", 1, "text_delta", 2.0, "", None, None),
+        ("s", 2, "function_call", 3.0, None, "f", "{}"), ("s", 3, "thinking_delta", 4.0, "y", None, None)
+    ]
+    e = spark.createDataFrame(
+        rows, "session_id string, seq long, event string, t_ms double, chunk string, tool_name string, args string"
+    )
     got = [(r["type"], r["text"]) for r in logs.gemini_blocks(e).orderBy("block_seq").collect()]
     assert got == [("thinking", "hey"), ("tool_use", "{}")]
     assert logs.stream_shape(e).first()["shape"] == "gemini"
@@ -265,7 +351,9 @@ def test_log_reader_skips_broken_lines(spark, tmp_path):
     (d / "text.jsonl").write_text('{"delta": "c"}\n')
     (d / "tool_result.jsonl").write_text('{"content": "x"}\n{"content": "y"}\n')
     b = logs.turn_directory(spark, f"{tmp_path}/*/turns/*", result_turn="next").orderBy("block_seq").collect()
-    assert [(r["session_id"], r["turn"], r["type"], r["text"]) for r in b] == [("run1", 3, "thinking", "ab"), ("run1", 3, "text", "c"), ("run1", 4, "tool_result", "x\ny")]
+    assert [(r["session_id"], r["turn"], r["type"], r["text"]) for r in b] == [
+        ("run1", 3, "thinking", "ab"), ("run1", 3, "text", "c"), ("run1", 4, "tool_result", "x\ny")
+    ]
 
 
 def test_tree(spark):
@@ -276,14 +364,21 @@ def test_tree(spark):
 
 
 def test_live_firing_does_not_depend_on_arrival(spark, tmp_path):
-    deltas = [("s", "0", 0.0, 0, "thinking", "ba"), ("s", "0", 1000.0, 1, "thinking", "nd 08 now"), ("u", "0", 500.0, 0, "text", "band 08"), ("zz", "0", 900000.0, 0, "text", "end")]
+    deltas = [
+        ("s", "0", 0.0, 0, "thinking", "ba"), ("s", "0", 1000.0, 1, "thinking", "nd 08 now"),
+        ("u", "0", 500.0, 0, "text", "band 08"), ("zz", "0", 900000.0, 0, "text", "end")
+    ]
     schema = "session_id string, block string, t_ms double, seq long, kind string, chunk string, event_ts timestamp"
     src = tmp_path / "in"
     for n, part in enumerate(([deltas[1]], [deltas[2], deltas[0]], [deltas[3]])):
         rows = [(*d, dt.datetime.fromtimestamp(1_700_000_000 + d[2] / 1000, dt.timezone.utc)) for d in part]
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(src / f"p{n}"))
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{src}/*")
-    q = live.fire_live(stream, [("band", r"band\s*08")], delay="100 seconds", idle_ms=1000).writeStream.format("memory").queryName("fired_live").outputMode("append").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "ck")).start()
+    q = live.fire_live(
+        stream, [("band", r"band\s*08")], delay="100 seconds", idle_ms=1000
+    ).writeStream.format("memory").queryName("fired_live").outputMode("append").trigger(availableNow=True).option(
+        "checkpointLocation", str(tmp_path / "ck")
+    ).start()
     q.awaitTermination()
     got = {(r["session_id"], r["name"], r["fired_at_ms"], r["match_start"]) for r in spark.table("fired_live").collect()}
     assert got == {("s", "band", 1000.0, 0), ("u", "band", 500.0, 0)}
@@ -292,7 +387,14 @@ def test_live_firing_does_not_depend_on_arrival(spark, tmp_path):
 def test_prefix_firing_is_that_of_every_prefix(spark):
     r = random.Random(9)
     rules = [("id", r"\bHG000\b"), ("conf", r"\bconfig\b(?!\.py)"), ("all", "all|each"), ("far", "b.{0,3}d")]
-    rows = [(f"s{s}", i, i, r.choice(["thinking", "text", "tool_result"]), "".join(r.choice(["HG000", "HG0001 ", "config", ".py", "all", "eac", "h", "b", "d", " "]) for _ in range(r.randint(1, 6)))) for s in range(40) for i in range(4)]
+    rows = [
+        (
+            f"s{s}", i, i, r.choice(["thinking", "text", "tool_result"]),
+            "".join(
+                r.choice(["HG000", "HG0001 ", "config", ".py", "all", "eac", "h", "b", "d", " "]) for _ in range(r.randint(1, 6))
+            )
+        ) for s in range(40) for i in range(4)
+    ]
     want = set()
     for s in {x[0] for x in rows}:
         text, known = "", set()

@@ -33,7 +33,11 @@ def fired(rows):
 
 
 def rules_match(spark, sf):
-    rows = [tuple(r) for r in spark.read.parquet(f"{sf}/conversations.parquet").select("conv_id", "turn", "role", F.coalesce("text", F.lit(""))).collect()]
+    rows = [
+        tuple(r) for r in spark.read.parquet(f"{sf}/conversations.parquet").select(
+            "conv_id", "turn", "role", F.coalesce("text", F.lit(""))
+        ).collect()
+    ]
     got = sorted(map(tuple, entry.queries()["live_rule_firing"](spark, sf).collect()))
     assert got and got == fired(rows)
 
@@ -43,8 +47,14 @@ def test_live_rule_firing_is_whole(spark):
 
 
 def test_live_rule_firing_of_sessions_that_end_together(spark, tmp_path):
-    rows = [(c, t, "user" if t % 2 == 0 else "assistant", "eau" if t == c % 4 else f"all {c}" if t == 3 else "x") for c in range(12) for t in range(4)]
-    spark.createDataFrame(rows, spark.read.parquet(f"{SF}/conversations.parquet").select("conv_id", "turn", "role", "text").schema).coalesce(1).write.parquet(f"{tmp_path}/conversations.parquet")
+    rows = [
+        (
+            c, t, "user" if t % 2 == 0 else "assistant", "eau" if t == c % 4 else f"all {c}" if t == 3 else "x"
+        ) for c in range(12) for t in range(4)
+    ]
+    spark.createDataFrame(
+        rows, spark.read.parquet(f"{SF}/conversations.parquet").select("conv_id", "turn", "role", "text").schema
+    ).coalesce(1).write.parquet(f"{tmp_path}/conversations.parquet")
     rules_match(spark, str(tmp_path))
 
 
