@@ -2,8 +2,8 @@
 
 Each text gets statistics from built-in functions. Sequential covering then learns an
 ordered list of rules, each a conjunction of thresholds, that mark low-quality texts:
-a rule is grown one condition at a time by information gain on two thirds of the labelled rows,
-pruned from its end on the other third, and the rows it covers are set aside. Counts come from one
+a rule is grown one condition at a time by information gain on three fifths of the labelled rows,
+pruned from its end on another fifth, and the rows it covers are set aside; the last fifth tells how good the list is. Counts come from one
 grouped aggregation a step, so the labelled rows stay distributed and only a table of
 (statistic, bin) counts reaches the driver. The list becomes one ordered ``CASE``.
 """
@@ -109,7 +109,8 @@ def learn_rules(train: DataFrame, stats: list[str], most_rules: int = 8, most_co
     """An ordered list from labelled rows: ``stats`` (double), ``bad`` 0/1, ``grow`` boolean.
 
     A rule joins the list if, on the pruning rows that no earlier rule covers, it covers at
-    least ``least_rows`` rows and a share ``least_right`` of them is bad. Without rows of both labels the
+    least ``least_rows`` rows and a share ``least_right`` of them is bad. A threshold stands halfway between the
+    two values that it parts, so that a text just beyond the good ones is not yet bad. Without rows of both labels the
     list is empty. Nulls in a statistic meet no condition.
     """
     bounds = _bounds(train, stats, bins)
@@ -158,7 +159,10 @@ def learn_rules(train: DataFrame, stats: list[str], most_rules: int = 8, most_co
                             best = g, Condition(stats[k], above, bound)
             if best[1] is None:
                 break
-            conditions.append(best[1])
+            c = best[1]
+            own = " AND ".join(["grow", rest, *(x.sql() for x in conditions)])
+            beyond = binned.where(own).agg(F.min(F.when(F.col(c.stat) > c.bound, F.col(c.stat)))).first()[0]
+            conditions.append(c if beyond is None else Condition(c.stat, c.above, (c.bound + beyond) / 2))
         if not conditions:
             break
         tried = judged(conditions, rest)
@@ -181,18 +185,39 @@ def with_stats(counts: DataFrame) -> DataFrame:
     return counts.withColumns({k: F.expr(f"CASE WHEN n_words > 0 THEN cast({v} AS double) END") for k, v in STATS.items()})
 
 
+def counted(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, base counts, statistics and base_failed of each row, written so that texts are read once."""
+    counts = with_stats(base_counts(docs.select(F.col(doc).alias("doc_id"), F.col(text).alias("text")))).withColumn("base_failed", base_failed())
+    return stage_table(counts, "op4-counts")
+
+
+def labelled(counts: DataFrame, labels: DataFrame, doc: str = "doc_id", label: str = "quality") -> DataFrame:
+    """Statistics, ``bad`` and ``part`` (0 to 4, by hash of the id) of the labelled rows that pass the base rules.
+
+    Rows with a null label or id are not used; of several labels of an id the lowest counts.
+    """
+    marks = labels.where(F.col(label).isNotNull() & F.col(doc).isNotNull()).groupBy(F.col(doc).alias("doc_id")).agg(F.min(label).alias("label"))
+    return counts.where("NOT base_failed").join(marks, "doc_id").select(*STATS, F.when(F.col("label") == 0, 1).otherwise(0).alias("bad"), F.pmod(F.xxhash64("doc_id"), F.lit(5)).alias("part"))
+
+
+def learned(rows: DataFrame) -> list[Rule]:
+    """The list from labelled rows: parts 0 to 2 grow it, part 3 prunes it, and part 4 has no say, so that ``list_figures`` can tell how good it is."""
+    return learn_rules(rows.where("part < 4").withColumn("grow", F.col("part") < 3), list(STATS))
+
+
+def list_figures(rows: DataFrame, rules: list[Rule]) -> DataFrame:
+    """(rule, n, n_bad) over the labelled rows that took no part in learning; rule 0 is none."""
+    return rows.where("part = 4").groupBy(list_expression(rules).alias("rule")).agg(F.count(F.lit(1)).alias("n"), F.sum("bad").alias("n_bad"))
+
+
 def judge_quality(docs: DataFrame, labels: DataFrame, doc: str = "doc_id", text: str = "text", label: str = "quality") -> DataFrame:
     """One row per row of ``docs``: doc_id, the base counts and statistics, base_failed, rule (number of the rule met, 0 for none) and kept.
 
-    The list is learned from all labelled rows that pass the base rules (label 0: low
-    quality; rows with a null label or id are not used; of several labels of an id the
-    lowest counts) and applied to every row. A third of the ids, by hash, prunes.
+    The list is learned from the labelled rows that pass the base rules (label 0: low quality) and applied to every row. Null and
+    empty texts have no words, so they fail the base rules; rows with a null id are judged like others.
     """
-    counts = with_stats(base_counts(docs.select(F.col(doc).alias("doc_id"), F.col(text).alias("text")))).withColumn("base_failed", base_failed())
-    table = stage_table(counts, "op4-counts")  # texts are read once
-    marks = labels.where(F.col(label).isNotNull() & F.col(doc).isNotNull()).groupBy(F.col(doc).alias("doc_id")).agg(F.min(label).alias("label"))
-    train = table.where("NOT base_failed").join(marks, "doc_id").select(*STATS, F.when(F.col("label") == 0, 1).otherwise(0).alias("bad"), (F.pmod(F.xxhash64("doc_id"), F.lit(3)) > 0).alias("grow"))
-    rules = learn_rules(train, list(STATS))
+    table = counted(docs, doc, text)
+    rules = learned(labelled(table, labels, doc, label))
     return table.withColumn("rule", list_expression(rules)).withColumn("kept", ~F.col("base_failed") & (F.col("rule") == 0))
 
 
