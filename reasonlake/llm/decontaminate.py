@@ -20,6 +20,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: Hashes that are broadcast: about 40 MB in an executor.
 BROADCAST_KEYS = 1_000_000
+#: Words of a text that are laid out at once.
+PIECE = 4096
 
 
 def norm_words(text: Column) -> Column:
@@ -44,11 +46,16 @@ def _positions(docs: DataFrame, lengths: list[int]) -> DataFrame:
 
     Each text has one more row, without a key, at its end, whose start is its number of words.
     """
-    hashes = docs.select("doc_id", "text_hash", _hashes(norm_words(F.col("text"))).alias("h"))
     most = max(lengths)
+    ended = F.array_append(_hashes(norm_words(F.col("text"))), F.lit(None).cast("long"))
+    hashes = docs.select("doc_id", "text_hash", ended.alias("h"))
+    # long texts go in pieces, so that no row holds their windows side by side
+    pieces = F.transform(F.sequence(F.lit(0), F.size("h") - 1, F.lit(PIECE)), lambda i: F.slice("h", i + 1, PIECE + most - 1))
+    cut = hashes.select("doc_id", "text_hash", F.posexplode(pieces).alias("piece", "c"))
     # the words at each start side by side, null beyond the end
-    side = [F.array_append("h", F.lit(None).cast("long")), *[F.slice("h", i + 1, F.greatest(F.size("h") - i, F.lit(0))) for i in range(1, most)]]
-    heads = hashes.select("doc_id", "text_hash", F.posexplode(F.arrays_zip(*[a.alias(f"w{i}") for i, a in enumerate(side)])).alias("start", "head"))
+    side = F.arrays_zip(*[F.slice("c", i + 1, PIECE).alias(f"w{i}") for i in range(most)])
+    heads = cut.select("doc_id", "text_hash", "piece", F.posexplode(side).alias("at", "head"))
+    heads = heads.select("doc_id", "text_hash", (F.col("piece") * PIECE + F.col("at")).alias("start"), "head")
     w = [F.col(f"head.w{i}") for i in range(most)]
     keys = [F.when(w[n - 1].isNotNull(), F.xxhash64(*w[:n])) for n in lengths]
     if len(keys) == 1:
@@ -97,7 +104,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 13, share:
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, size: int = 13, share: tuple[int, int] = (1, 20), doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns as they are, without contaminated documents."""
+    """The rows of ``docs``, all columns as they are, without contaminated documents. Null and empty texts stay; rows with a null id are judged by their texts."""
     bad = contamination(docs, benchmark, size, share, doc, text).where("contaminated").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
     return docs.join(bad, docs[doc].eqNullSafe(bad["__id"]) & (F.xxhash64(docs[text]) == bad["__hash"]), "left_anti")
 
