@@ -419,7 +419,7 @@ def classes(df: DataFrame, words: int = 5, percent: int = 80, doc: str = "doc_id
 
 
 def keep_one(df: DataFrame, words: int = 5, percent: int = 80, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``df``, all columns as they are, without documents that a smaller id of their class stands for."""
+    """The rows of ``df``, all columns as they are, without documents that a smaller id of their class stands for. Rows with a null id, and null, empty and blank texts, stay."""
     gone = classes(df, words, percent, doc, text).where("NOT kept").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
     return df.join(gone, (df[doc] == gone["__id"]) & (F.xxhash64(df[text]) == gone["__hash"]), "left_anti")
 

@@ -23,7 +23,10 @@ from pyspark.sql import functions as F
 from .common import read, small, stage_table, using
 
 #: Bounds of the fit: labelled texts of either label (about so many, by a hash of their ids), words that are features, and texts of label 1 that a feature needs.
-FIT_TEXTS, FEATURES, LEAST_TEXTS = 10_000, 2_000, 5
+FIT_TEXTS, FEATURES, LEAST_TEXTS = 10_000, 2_000, 3
+#: What a feature must tell of the labels (log-likelihood ratio, in nats): more than chance gives the best of all candidates (at this level), and ``LEAST_GAIN``, or in samples whose labels
+#: hold little this share of all that they hold.
+LEVEL, LEAST_GAIN, LEAST_SHARE = 0.05, 20.0, 0.018
 #: Lengths of the word beginnings that may be features, so that a stem counts whatever follows it. Words whose weight a Python worker remembers.
 STEMS, MEMO_WORDS = range(4, 9), 100_000
 #: Steps of the fit and its penalty on weights.
@@ -88,8 +91,17 @@ def _word_sets(docs: DataFrame) -> DataFrame:
     return docs.select("label", "text").mapInArrow(batches, "label int, words array<string>")
 
 
+def least_gain(candidates: int, n1: int, n0: int) -> float:
+    """What a feature must tell, given how many were tried and how many texts have either label."""
+    held = n1 * math.log((n1 + n0) / n1) + n0 * math.log((n1 + n0) / n0)
+    return max(math.log(max(1, candidates) / LEVEL), min(LEAST_GAIN, LEAST_SHARE * held))
+
+
 def telling_words(docs: DataFrame, most: int = FEATURES, least: int = LEAST_TEXTS) -> list[str]:
-    """The words whose share of texts differs most between the labels (likelihood ratio), at most ``most``, of those that label 1 favours; with beginnings."""
+    """The words whose share of texts differs most between the labels (likelihood ratio), at most ``most``, of those that label 1 favours and ``least`` of its texts have; with beginnings.
+
+    The cut follows the sample (``least_gain``), so that a small one has features too.
+    """
     total = docs.groupBy("label").count().collect()
     n = {r["label"]: r["count"] for r in total}
     n1, n0 = n.get(1, 0), n.get(0, 0)
@@ -100,7 +112,10 @@ def telling_words(docs: DataFrame, most: int = FEATURES, least: int = LEAST_TEXT
     a, b = F.col("a"), F.col("b")
     with_, without = a + b, (n1 + n0) - a - b
     g = part(a, n1, with_, 0) + part(b, n0, with_, 0) + part(n1 - a, n1, without, 0) + part(n0 - b, n0, without, 0)
-    rows = by.where((a >= least) & (a * n0 > b * n1)).withColumn("g", F.round(g, 6)).where("g > 20").orderBy(F.desc("g"), "word").limit(most).select("word").collect()
+    told = by.where((a >= least) & (a * n0 > b * n1)).select("word", F.round(g, 6).alias("g"))
+    told = stage_table(told, "op10-words")
+    cut = least_gain(told.count(), n1, n0)
+    rows = told.where(F.col("g") > cut).orderBy(F.desc("g"), "word").limit(most).select("word").collect()
     return [r["word"] for r in rows]
 
 
@@ -213,6 +228,7 @@ def score_texts(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
 
 def model_for(docs: DataFrame, labels: DataFrame) -> Model:
+    """A model from the labels of documents. Null ids, labels and texts teach nothing; without labels of both kinds all scores are near the only one, or 0."""
     sample, weight = labelled(docs, labels)
     return train(stage_table(sample, "op10-sample"), weight)
 

@@ -304,6 +304,15 @@ def test_shards(spark):
     assert sharding.row_at(r["shard"], r["slot"], 1003, 40) == numbered[r["doc_id"]]
 
 
+def test_sharding_query_columns(spark, tmp_path):
+    rows = [(3, "a"), (1, None), (2, ""), (5, "é😀"), (4, "a")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    out = sharding.op3_sharding(spark, str(tmp_path)).collect()
+    want = {d: (len((t or "").encode()) + 16, zlib.crc32((t or "").encode())) for d, t in rows}
+    assert {r["doc_id"]: (r["size"], r["text_crc32"]) for r in out} == want
+    assert {(r["law"], r["grown_shard"]) for r in out} == {("rows", None)} and all(r["slot"] == 0 for r in out) and len({r["shard"] for r in out}) == 5
+
+
 def test_shards_of_odd_rows(spark):
     out = sharding.shard_rows(odd(spark), ["doc_id", "text"], 4)
     assert sorted((r["shard"], r["slot"]) for r in out.collect()) == sorted((i % 4, i // 4) for i in range(14))
@@ -341,10 +350,46 @@ def test_rules_find_a_planted_threshold(spark):
     assert quality.learn_rules(train.where("bad = 0"), ["x", "y"]) == []
 
 
+def test_quality_verdicts_by_the_list(spark):
+    """Base rules and the learned list against plain loops over the same list; rows that had no say tell how good it is."""
+    r = random.Random(7)
+    rows, labels = [], []
+    for i in range(700):
+        bad = i % 3 == 0
+        w = [f"w{r.randint(0, 4000)}" for _ in range(r.choice([20, 60, 90]))]
+        if bad:
+            w = [x + ("###" if r.random() < 0.8 else "") for x in w]
+        elif i % 5 == 1:
+            w[3] += "$"  # one symbol is not yet bad
+        if i % 11 == 0:
+            w = w[:5] * 15
+        rows.append((i, " ".join(w)))
+        labels.append((i, int(not bad)))
+    table = quality.counted(spark.createDataFrame(rows, "doc_id long, text string"))
+    marked = quality.labelled(table, spark.createDataFrame(labels, "doc_id long, quality int"))
+    rules = quality.learned(marked)
+    figures = {x["rule"]: (x["n"], x["n_bad"]) for x in quality.list_figures(marked, rules).collect()}
+    assert rules and all(n == bad if k else bad == 0 for k, (n, bad) in figures.items()) and sum(n for n, _ in figures.values()) > 50
+    out = {x["doc_id"]: x for x in quality.judge_quality(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int")).collect()}
+    for d, t in rows:
+        n, _, symbols, _, repeats = brute_counts(t)
+        failed = n < 50 or 100 * repeats > 50 * n
+        first = next((i for i, rule in enumerate(rules, 1) if all((out[d][c.stat] > c.bound) == c.above for c in rule.conditions)), 0)
+        assert (out[d]["base_failed"], out[d]["rule"], out[d]["kept"]) == (failed, first, not failed and first == 0)
+        assert failed or out[d]["kept"] == (symbols <= 1), (d, symbols)
+
+
 def test_quality_of_odd_rows(spark):
     labels = spark.createDataFrame([(1, 0), (1, 1), (None, 0), (4, None)], "doc_id long, quality int")
     out = quality.judge_quality(odd(spark), labels).collect()
-    assert len(out) == 14 and all(r["kept"] is not None for r in out)
+    assert len(out) == 14
+    texts = {(r["doc_id"], r["text"]) for r in odd(spark).collect()}
+    for r in out:
+        own = [brute_counts(t) for d, t in texts if d == r["doc_id"]]
+        got = (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"])
+        assert got in own
+        failed = got[0] < 50 or 100 * got[4] > 50 * got[0]
+        assert (r["base_failed"], r["kept"]) == (failed, not failed)
     assert quality.judge_quality(empty(spark), labels).count() == 0
 
 
@@ -379,7 +424,8 @@ def test_token_counts_of_odd_rows(spark):
     first, rest = {t for t in ranks if t[:1] == b" "}, {t for t in ranks if t[:1] != b" "}
     for r in out:
         ws = [b" " + w.encode() for w in words(r["text"])]
-        assert (r["n_words"], r["n_tokens"]) == (len(ws), sum(greedy(first, rest, w) for w in ws)) if len(ws) < 1000 else r["n_words"] == 60_000
+        once = {w: greedy(first, rest, w) for w in set(ws)}
+        assert (r["n_words"], r["n_tokens"]) == (len(ws), sum(once[w] for w in ws))
     assert token_counts.count_tokens(empty(spark)).count() == 0
 
 
@@ -403,8 +449,9 @@ def brute_hits(text, items, size=13):
     return len(w), len(hit), sorted(which)
 
 
-@pytest.mark.parametrize("limit", [0, 10_000])
-def test_contamination(spark, limit, monkeypatch):
+@pytest.mark.parametrize("limit,piece", [(0, 4096), (10_000, 4096), (10_000, 7)])
+def test_contamination(spark, limit, piece, monkeypatch):
+    monkeypatch.setattr(decontaminate, "PIECE", piece)
     r = random.Random(8)
     rows = corpus(11, 60)
     items = [(1, " ".join(f"q{i}" for i in range(30))), (20, rows[4][1] + " zz"), (3, "Short, Item!"), (4, "solo"), (5, None), (6, "..."), (3, "Short, Item!"), (7, "É one two three four")]
@@ -452,7 +499,16 @@ def test_line_dedup_counts_near_the_threshold_exactly(spark):
 
 def test_line_dedup_of_odd_rows(spark):
     out = line_dedup.dedup_lines(odd(spark), min_sites=1)
-    assert out.count() == 14 and line_dedup.dedup_lines(empty(spark)).count() == 0
+    assert line_dedup.dedup_lines(empty(spark)).count() == 0 and set(out.columns) == set(odd(spark).columns)
+    got = collections.Counter((r["doc_id"], r["text"], r["n_removed"]) for r in out.collect())
+    # one site, s1, has the lines of rows 0, 3, 6, 9 and 12; the first of equal lines by id stays
+    texts = collections.Counter()
+    marked = {(r["text"] or "").strip() for r in odd(spark).where("source = 's1'").collect()} - {""}
+    for r in odd(spark).collect():
+        t = r["text"]
+        cut = t is not None and t.strip() in marked and (r["doc_id"] is None or any(o["text"] == t and o["doc_id"] is not None and o["doc_id"] < r["doc_id"] for o in odd(spark).collect()))
+        texts[r["doc_id"], "" if cut else t, int(cut)] += 1
+    assert got == texts
 
 
 # ---- 8
