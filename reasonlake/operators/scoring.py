@@ -199,6 +199,8 @@ def longest_prefix(paths: DataFrame, mounts: DataFrame, path: str = "path") -> D
 
 #: Lengths of the pieces by which needles are looked up in texts.
 GRAMS = (1, 2, 4, 8)
+#: Needles that are broadcast: about 100 MB. More meet the pieces of texts in a shuffle.
+BROADCAST_NEEDLES = 500_000
 
 
 def grams(text: Column, n: int) -> Column:
@@ -245,9 +247,11 @@ def literal_scan(blocks: DataFrame, prior: DataFrame) -> DataFrame:
     from .matching import transcript
 
     needles = keyed_needles(needles_of(prior))
-    longest, kinds = needles.agg(
-        F.coalesce(F.max(F.length("needle")), F.lit(1)), F.sort_array(F.collect_set(F.length("gram")))
+    longest, kinds, n = needles.agg(
+        F.coalesce(F.max(F.length("needle")), F.lit(1)), F.sort_array(F.collect_set(F.length("gram"))), F.count(F.lit(1))
     ).first()
+    if n <= BROADCAST_NEEDLES:
+        needles = F.broadcast(needles)
     after = Window.partitionBy("session_id").orderBy("block_seq").rowsBetween(1, max(1, longest - 1))  # a block has a character at least
     ahead = F.left(F.array_join(F.collect_list(F.left("text", F.lit(longest))).over(after), ""), F.lit(longest - 1))
     told = transcript(blocks).select(
