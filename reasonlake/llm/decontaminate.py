@@ -61,29 +61,53 @@ def _positions(docs: DataFrame, lengths: list[int]) -> DataFrame:
     if len(keys) == 1:
         key = keys[0]
     else:  # the row at the end stays one row
-        key = F.explode(F.when(w[0].isNull(), F.array(F.lit(None).cast("long"))).otherwise(F.filter(F.array(*keys), lambda k: k.isNotNull())))
+        key = F.explode(
+            F.when(w[0].isNull(), F.array(F.lit(None).cast("long"))).otherwise(F.filter(F.array(*keys), lambda k: k.isNotNull()))
+        )
     return heads.select("doc_id", "text_hash", "start", key.alias("key"), w[0].isNull().alias("end"))
 
 
 def hits(docs: DataFrame, windows: DataFrame, broadcast_keys: int = BROADCAST_KEYS) -> tuple[DataFrame, DataFrame]:
-    """Of ``docs`` (doc_id, text_hash, text): the number of words of each row (doc_id, text_hash, n_words), and (doc_id, text_hash, start, n, item) for each occurrence of a window."""
-    windows = stage_table(windows.withColumns({"n": F.size("window"), "key": F.xxhash64(_hashes(F.col("window")))}), "op6-windows")
+    """Of ``docs`` (doc_id, text_hash, text): the number of words of each row (doc_id, text_hash, n_words), and (doc_id,
+    text_hash, start, n, item) for each occurrence of a window.
+    """
+    windows = stage_table(
+        windows.withColumns({"n": F.size("window"), "key": F.xxhash64(_hashes(F.col("window")))}), "op6-windows"
+    )
     keys = windows.select("key", "n").distinct()
     lengths = sorted(r[0] for r in keys.select("n").distinct().collect()) or [1]  # at most the size of a window
     at = _positions(docs, lengths)
     if keys.count() <= broadcast_keys:
         found = at.join(F.broadcast(keys), "key", "left").where("end OR n IS NOT NULL")
     else:
-        found = at.where("end").withColumn("n", F.lit(None).cast("int")).unionByName(at.where("key IS NOT NULL").join(keys, "key"))
+        found = at.where("end").withColumn("n", F.lit(None).cast("int")).unionByName(
+            at.where("key IS NOT NULL").join(keys, "key")
+        )
     found = stage_table(found.select("doc_id", "text_hash", "start", "n"), "op6-found")
     counts = found.where("n IS NULL").select("doc_id", "text_hash", F.col("start").cast("long").alias("n_words"))
-    some = found.where("n IS NOT NULL").groupBy(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).agg(F.collect_set(F.struct("start", "n")).alias("at"))
-    texts = docs.join(some, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_hash") == F.col("__hash"))).select("doc_id", "text_hash", norm_words(F.col("text")).alias("ws"), "at")
-    each = texts.select("doc_id", "text_hash", F.explode(F.transform("at", lambda a: F.struct(a.start.alias("start"), a.n.alias("n"), F.slice("ws", a.start + 1, a.n).alias("window")))).alias("a"))
-    return counts, each.select("doc_id", "text_hash", "a.*").join(windows.select("item", "window"), "window").select("doc_id", "text_hash", "start", "n", "item")
-
-
-def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 13, share: tuple[int, int] = (1, 20), doc: str = "doc_id", text: str = "text") -> DataFrame:
+    some = found.where("n IS NOT NULL").groupBy(
+        F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")
+    ).agg(F.collect_set(F.struct("start", "n")).alias("at"))
+    texts = docs.join(
+        some, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_hash") == F.col("__hash"))
+    ).select("doc_id", "text_hash", norm_words(F.col("text")).alias("ws"), "at")
+    each = texts.select(
+        "doc_id", "text_hash",
+        F.explode(
+            F.transform(
+                "at", lambda a: F.struct(a.start.alias("start"), a.n.alias("n"), F.slice("ws", a.start + 1, a.n).alias("window"))
+            )
+        ).alias("a")
+    )
+    return counts, each.select("doc_id", "text_hash", "a.*").join(windows.select("item", "window"), "window").select(
+        "doc_id", "text_hash", "start", "n", "item"
+    )
+
+
+def contamination(
+    docs: DataFrame, benchmark: DataFrame, size: int = 13, share: tuple[int, int] = (1, 20), doc: str = "doc_id",
+    text: str = "text"
+) -> DataFrame:
     """One row per row of ``docs``: doc_id, text_hash, n_words, n_hit, spans, items, contaminated.
 
     A word inside an occurrence of a benchmark window is hit. ``spans`` are distinct
@@ -95,33 +119,65 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 13, share:
     """
     base = docs.select(F.col(doc).alias("doc_id"), F.xxhash64(F.col(text)).alias("text_hash"), F.col(text).alias("text"))
     counts, found = hits(base, item_windows(benchmark, size))
-    rows = counts.select("doc_id", "text_hash", "n_words", F.lit(None).cast("struct<start:int,n:int>").alias("span"), F.lit(None).cast("string").alias("item"))
-    marks = found.select("doc_id", "text_hash", F.lit(None).cast("long").alias("n_words"), F.struct("start", "n").alias("span"), F.col("item").cast("string").alias("item"))
-    each = rows.unionAll(marks).groupBy("doc_id", "text_hash").agg(F.max("n_words").alias("n_words"), F.count("n_words").cast("int").alias("copies"), F.sort_array(F.collect_set("span")).alias("spans"), F.sort_array(F.collect_set("item")).alias("items"))
-    covered = F.size(F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s.start, s.start + s.n - 1))))).cast("long")
-    judged = each.select("doc_id", "text_hash", "n_words", covered.alias("n_hit"), "spans", "items", F.explode(F.array_repeat(F.lit(0), F.col("copies"))).alias("copy"))
-    return judged.drop("copy").withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * share[1] >= F.col("n_words") * share[0]))
-
-
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, size: int = 13, share: tuple[int, int] = (1, 20), doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns as they are, without contaminated documents. Null and empty texts stay; rows with a null id are judged by their texts."""
-    bad = contamination(docs, benchmark, size, share, doc, text).where("contaminated").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
+    rows = counts.select(
+        "doc_id", "text_hash", "n_words", F.lit(None).cast("struct<start:int,n:int>").alias("span"),
+        F.lit(None).cast("string").alias("item")
+    )
+    marks = found.select(
+        "doc_id", "text_hash", F.lit(None).cast("long").alias("n_words"), F.struct("start", "n").alias("span"),
+        F.col("item").cast("string").alias("item")
+    )
+    each = rows.unionAll(marks).groupBy("doc_id", "text_hash").agg(
+        F.max("n_words").alias("n_words"), F.count("n_words").cast("int").alias("copies"),
+        F.sort_array(F.collect_set("span")).alias("spans"), F.sort_array(F.collect_set("item")).alias("items")
+    )
+    covered = F.size(
+        F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s.start, s.start + s.n - 1))))
+    ).cast("long")
+    judged = each.select(
+        "doc_id", "text_hash", "n_words", covered.alias("n_hit"), "spans", "items",
+        F.explode(F.array_repeat(F.lit(0), F.col("copies"))).alias("copy")
+    )
+    return judged.drop("copy").withColumn(
+        "contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * share[1] >= F.col("n_words") * share[0])
+    )
+
+
+def drop_contaminated(
+    docs: DataFrame, benchmark: DataFrame, size: int = 13, share: tuple[int, int] = (1, 20), doc: str = "doc_id",
+    text: str = "text"
+) -> DataFrame:
+    """The rows of ``docs``, all columns as they are, without contaminated documents. Null and empty texts stay; rows
+    with a null id are judged by their texts.
+    """
+    bad = contamination(docs, benchmark, size, share, doc, text).where("contaminated").select(
+        F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")
+    ).distinct()
     return docs.join(bad, docs[doc].eqNullSafe(bad["__id"]) & (F.xxhash64(docs[text]) == bad["__hash"]), "left_anti")
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, size: int = 13, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` with the hit words cut out of ``text``: what is left of a changed text is its normalised words, joined by blanks.
+    """The rows of ``docs`` with the hit words cut out of ``text``: what is left of a changed text is its normalised
+    words, joined by blanks.
 
     Texts without a hit stay as they are, to the byte.
     """
-    cut = contamination(docs, benchmark, size, doc=doc, text=text).where("n_hit > 0").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s.start, s.start + s.n - 1)))).alias("__cut")).distinct()
+    cut = contamination(docs, benchmark, size, doc=doc, text=text).where("n_hit > 0").select(
+        F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"),
+        F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s.start, s.start + s.n - 1)))).alias("__cut")
+    ).distinct()
     left = F.array_join(F.filter(norm_words(F.col(text)), lambda w, i: ~F.array_contains("__cut", i)), " ")
-    return docs.join(cut, docs[doc].eqNullSafe(cut["__id"]) & (F.xxhash64(docs[text]) == cut["__hash"]), "left").withColumn(text, F.when(F.col("__cut").isNull(), F.col(text)).otherwise(left)).drop("__id", "__hash", "__cut")
+    return docs.join(
+        cut, docs[doc].eqNullSafe(cut["__id"]) & (F.xxhash64(docs[text]) == cut["__hash"]), "left"
+    ).withColumn(text, F.when(F.col("__cut").isNull(), F.col(text)).otherwise(left)).drop("__id", "__hash", "__cut")
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
-    return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), "contaminated")
+    return out.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), "contaminated"
+    )
 
 
 OP6_SQL = r"""

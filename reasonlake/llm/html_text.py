@@ -1,7 +1,8 @@
 """Operator 2: main text of web pages by tag-path ratios.
 
 A page is cut into text blocks, each with the path of block elements from the root to
-it; the text of inline elements is part of their block. Text length and punctuation are summed for each path and divided by its blocks;
+it; the text of inline elements is part of their block. Text length and punctuation are summed for each path and divided
+by its blocks;
 the two ratios are fused with the smoothed ratios along the page, and paths above a
 threshold are content. Names of classes, ids and parts that tell of adverts, menus, comments and the like lower a path's ratio, so
 a path below them is content only if there is hardly any other text.
@@ -10,7 +11,8 @@ Paths select; the main text is what they select with the short blocks that belon
 paragraphs): all that no such name marks in an article or main element with content, or in the
 deepest element that holds nearly all of the content, and content outside but for links. A list, table,
 quote or section is a part of an article: what stands beside it counts too, but for links. A heading outside counts if it stands
-beside an element that holds content, a title (``h1``) in an element of its own too. Elements that are never main text are left out before.
+beside an element that holds content, a title (``h1``) in an element of its own too. Elements that are never main text
+are left out before.
 
 Paths are nodes of a tree, with one parent each; all sums are one pass over the tree, so the time is in
 proportion to the page however deep it is nested.
@@ -43,7 +45,9 @@ SKIP = set(
     "select textarea input label menu dialog fieldset option datalist map".split()
 )
 #: Roles of elements that are never main text.
-SKIP_ROLES = set("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar tablist".split())
+SKIP_ROLES = set(
+    "navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar tablist".split()
+)
 #: Words in class and id names that lower a path: a name counts if it is made of these and of words that tell nothing.
 CUES = set(
     "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner banners nav navbar "
@@ -77,7 +81,8 @@ WHITE = re.compile(r"\s+")
 NAME_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 HIDDEN = re.compile(r"(?:display\s*:\s*none|visibility\s*:\s*hidden)", re.IGNORECASE)
 
-#: Share of the weighted mean ratio that a path must reach; what a cue leaves of a path's ratio; share of content text that the article must hold; spread of the smoothing in blocks.
+#: Share of the weighted mean ratio that a path must reach; what a cue leaves of a path's ratio; share of content text
+#: that the article must hold; spread of the smoothing in blocks.
 LEAST_RATIO, CUED, ARTICLE_SHARE, SPREAD = 0.1, 0.001, 0.8, 1.0
 
 
@@ -94,7 +99,9 @@ def cue(names: str) -> bool:
 
 
 class Page(HTMLParser):
-    """Cuts a page into blocks (path, text, characters in links). Paths are nodes: ``parent`` and ``tag`` hold what each is, ``marked`` whether a cue names it."""
+    """Cuts a page into blocks (path, text, characters in links). Paths are nodes: ``parent`` and ``tag`` hold what each
+    is, ``marked`` whether a cue names it.
+    """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
@@ -186,7 +193,9 @@ class Page(HTMLParser):
 
 
 def ratios(blocks: list[tuple[int, str, int]]) -> dict[int, float]:
-    """Fused ratio of each path, cues apart: text length a block times punctuation a block, less what is in links, and its smoothed neighbours."""
+    """Fused ratio of each path, cues apart: text length a block times punctuation a block, less what is in links, and
+    its smoothed neighbours.
+    """
     size, stops, links, n = defaultdict(int), defaultdict(int), defaultdict(int), defaultdict(int)
     for path, text, linked in blocks:
         size[path] += len(text)

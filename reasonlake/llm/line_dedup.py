@@ -26,8 +26,13 @@ def norm_line(line: Column) -> Column:
 
 def lines_of(df: DataFrame, doc: str, text: str, site: str) -> DataFrame:
     """Rows (doc_id, text_hash, site, line_no, line_hash) of the lines that are not blank."""
-    cut = df.where(F.col(text) != "").select(F.col(doc).alias("doc_id"), F.xxhash64(F.col(text)).alias("text_hash"), F.col(site).cast("string").alias("site"), F.posexplode(F.split(F.col(text), "\n")).alias("line_no", "line"))
-    return cut.withColumn("line", norm_line(F.col("line"))).where("line != ''").select("doc_id", "text_hash", "site", "line_no", F.xxhash64("line").alias("line_hash"))
+    cut = df.where(F.col(text) != "").select(
+        F.col(doc).alias("doc_id"), F.xxhash64(F.col(text)).alias("text_hash"), F.col(site).cast("string").alias("site"),
+        F.posexplode(F.split(F.col(text), "\n")).alias("line_no", "line")
+    )
+    return cut.withColumn("line", norm_line(F.col("line"))).where("line != ''").select(
+        "doc_id", "text_hash", "site", "line_no", F.xxhash64("line").alias("line_hash")
+    )
 
 
 def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES, log_k: int = LOG_K) -> DataFrame:
@@ -35,13 +40,20 @@ def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES, log_k: int = LOG_K
     first = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "text_hash", "line_no")).alias("first")
     spread = lines.groupBy("line_hash").agg(F.hll_sketch_agg("site", log_k).alias("sketch"), first)
     slack = max(1.0, ERRORS * 1.04 / math.sqrt(2**log_k) * min_sites)
-    wide = spread.withColumn("sites", F.hll_sketch_estimate("sketch")).where(F.col("sites") >= min_sites - slack).select("line_hash", "first", (F.col("sites") < min_sites + slack).alias("near"))
+    wide = spread.withColumn("sites", F.hll_sketch_estimate("sketch")).where(F.col("sites") >= min_sites - slack).select(
+        "line_hash", "first", (F.col("sites") < min_sites + slack).alias("near")
+    )
     near = lines.select("line_hash", "site").join(wide.where("near").select("line_hash"), "line_hash", "left_semi")
     exact = near.distinct().groupBy("line_hash").agg(F.count("site").alias("n")).where(F.col("n") >= min_sites).select("line_hash")
-    return wide.where("NOT near").select("line_hash", "first").unionAll(wide.where("near").join(exact, "line_hash", "left_semi").select("line_hash", "first"))
+    return wide.where("NOT near").select("line_hash", "first").unionAll(
+        wide.where("near").join(exact, "line_hash", "left_semi").select("line_hash", "first")
+    )
 
 
-def dedup_lines(df: DataFrame, doc: str = "doc_id", text: str = "text", site: str = "source", min_sites: int = MIN_SITES, keep_first: bool = True) -> DataFrame:
+def dedup_lines(
+    df: DataFrame, doc: str = "doc_id", text: str = "text", site: str = "source", min_sites: int = MIN_SITES,
+    keep_first: bool = True
+) -> DataFrame:
     """``df`` with boilerplate lines cut from ``text``, and ``n_removed`` (long).
 
     Lines are compared without white space at their ends; blank lines are never removed. A null
@@ -55,16 +67,31 @@ def dedup_lines(df: DataFrame, doc: str = "doc_id", text: str = "text", site: st
     found = stage_table(boilerplate(lines, min_sites), "op7-boilerplate")  # a table of its own, so that a line of many documents can be split in the join
     hit = lines.join(found, "line_hash")
     if keep_first:
-        hit = hit.where(~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash")) & (F.col("line_no") == F.col("first.line_no"))))
-    cut = hit.groupBy(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).agg(F.collect_set("line_no").alias("__cut"))
+        hit = hit.where(
+            ~(
+                F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (
+                    F.col("text_hash") == F.col("first.text_hash")
+                ) & (F.col("line_no") == F.col("first.line_no"))
+            )
+        )
+    cut = hit.groupBy(
+        F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")
+    ).agg(F.collect_set("line_no").alias("__cut"))
     left = F.array_join(F.filter(F.split(F.col(text), "\n"), lambda x, i: ~F.array_contains("__cut", i)), "\n")
     out = df.join(cut, df[doc].eqNullSafe(cut["__id"]) & (F.xxhash64(df[text]) == cut["__hash"]), "left")
-    return out.withColumns({text: F.when(F.col("__cut").isNull(), F.col(text)).otherwise(left), "n_removed": F.coalesce(F.size("__cut"), F.lit(0)).cast("long")}).withColumn("n_removed", F.greatest("n_removed", F.lit(0).cast("long"))).drop("__id", "__hash", "__cut")
+    return out.withColumns(
+        {
+            text: F.when(F.col("__cut").isNull(), F.col(text)).otherwise(left),
+            "n_removed": F.coalesce(F.size("__cut"), F.lit(0)).cast("long")
+        }
+    ).withColumn("n_removed", F.greatest("n_removed", F.lit(0).cast("long"))).drop("__id", "__hash", "__cut")
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "source", "text"))
-    return out.select("doc_id", "n_removed", F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256).alias("text_sha256"))
+    return out.select(
+        "doc_id", "n_removed", F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256).alias("text_sha256")
+    )
 
 
 OP7_SQL = r"""

@@ -10,7 +10,8 @@ over that distance with a chance below ``MISS``.
 Keys with several members are clustered by leaders instead of by pairs: a member is tied to the
 leaders within a radius from which, by the triangle inequality, any two signatures
 within the distance end in the same group. Each group is then linked by its full
-sets, with an inverted index of shingles, and only a spanning forest of the links is kept. In a group that is too large for a task, all
+sets, with an inverted index of shingles, and only a spanning forest of the links is kept. In a group that is too large
+for a task, all
 members are first compared with one of them, and only those that it doesn't link are compared with all.
 """
 
@@ -30,7 +31,8 @@ from .common import BASE, BASE_2, CODES, mix, read, signed, small, stage_table,
 
 #: Chance that a pair at the threshold is beyond the distance that the keys guarantee.
 MISS = 1e-6
-#: Members of a key that one task clusters before the key is salted; shingles of a group that one task links before the group is cut into blocks.
+#: Members of a key that one task clusters before the key is salted; shingles of a group that one task links before the
+#: group is cut into blocks.
 KEY_MEMBERS, GROUP_SHINGLES = 4096, 4_000_000
 
 
@@ -112,7 +114,10 @@ def _sets(docs: DataFrame, words: int, index: Index) -> DataFrame:
                     set_a.append(None)
                     set_b.append(None)
                     sig.append(None)
-            cols = [b.column("doc_id"), b.column("text_hash"), pa.array(n, pa.int64()), pa.array(set_a, pa.int64()), pa.array(set_b, pa.int64()), pa.array(sig, pa.binary())]
+            cols = [
+                b.column("doc_id"), b.column("text_hash"), pa.array(n, pa.int64()), pa.array(set_a, pa.int64()),
+                pa.array(set_b, pa.int64()), pa.array(sig, pa.binary())
+            ]
             yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "text_hash", "n", "set_a", "set_b", "sig"])
 
     return docs.mapInArrow(batches, "doc_id long, text_hash long, n long, set_a long, set_b long, sig binary")
@@ -127,7 +132,9 @@ def _keys(items: DataFrame, index: Index) -> DataFrame:
                 sig = np.frombuffer(b"".join(b.column("sig").to_pylist()), np.uint16).reshape(b.num_rows, index.symbols)
                 flat = signed(np.ascontiguousarray(index.keys(sig)).ravel())
                 ends = np.arange(b.num_rows + 1, dtype=np.int32) * (len(flat) // b.num_rows)
-                yield pa.RecordBatch.from_arrays([b.column("node"), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["node", "keys"])
+                yield pa.RecordBatch.from_arrays(
+                    [b.column("node"), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["node", "keys"]
+                )
 
     return items.select("node", "sig").mapInArrow(batches, "node long, keys array<long>").select("node", F.explode("keys").alias("key"))
 
@@ -155,12 +162,14 @@ def _runs(it: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[tuple
 
 
 def _cluster(members: DataFrame, index: Index, keys: list[str], near: int, tie: int) -> DataFrame:
-    """Edges (a, b) that tie each member to all leaders of its key within ``tie`` symbols; a member with no leader within ``near`` becomes one.
+    """Edges (a, b) that tie each member to all leaders of its key within ``tie`` symbols; a member with no leader
+    within ``near`` becomes one.
 
     Members come by falling ``weight``, how many members they meet over all keys, so that the
     centre of a group leads in every key that has it and a member has few leaders. A member
     has one edge, to its first leader; leaders that it ties together have one where they were not tied before, so a key has fewer
-    than twice as many edges as members. Only the leaders of the current key are held. They come out as edges to themselves as well.
+    than twice as many edges as members. Only the leaders of the current key are held. They come out as edges to
+    themselves as well.
     """
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,7 +210,13 @@ def _cluster(members: DataFrame, index: Index, keys: list[str], near: int, tie:
                         if ids[j] != node:
                             made.append((*own, ids[j], ids[first]))
             values = list(zip(*made, strict=True)) or [[] for _ in range(len(keys) + 2)]
-            yield pa.RecordBatch.from_arrays([pa.array(v, b.schema.field(k).type if k in keys else pa.int64()) for v, k in zip(values, [*keys, "a", "b"], strict=True)], names=[*keys, "a", "b"])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(v, b.schema.field(k).type if k in keys else pa.int64()) for v,
+                    k in zip(values, [*keys, "a", "b"], strict=True)
+                ],
+                names=[*keys, "a", "b"]
+            )
 
     kinds = dict(members.dtypes)
     dealt = members.select(*keys, "weight", "node", "sig").repartition(*keys).sortWithinPartitions(*keys, F.desc("weight"), "node")
@@ -209,10 +224,12 @@ def _cluster(members: DataFrame, index: Index, keys: list[str], near: int, tie:
 
 
 def _tie(met: DataFrame, known: DataFrame, index: Index) -> DataFrame:
-    """Edges (a, b) by which members of a key (key, node, salt) within the index's distance of each other end in one group. ``known``: node, weight, sig.
+    """Edges (a, b) by which members of a key (key, node, salt) within the index's distance of each other end in one
+    group. ``known``: node, weight, sig.
 
     A member is within ``near`` of a leader, so one that it is within ``reach`` of is within near + reach of that leader.
-    In a salted key the leaders of two such members are within 2 * near + reach, and one of the leaders of these is within ``near``
+    In a salted key the leaders of two such members are within 2 * near + reach, and one of the leaders of these is
+    within ``near``
     of the one, so within 3 * near + reach of the other.
     """
     near, reach = index.distance // 2, index.distance
@@ -230,7 +247,9 @@ def connected(edges: DataFrame, name: str = "components") -> DataFrame:
     """
 
     def star(e: DataFrame, large: bool) -> DataFrame:
-        both = e.unionAll(e.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+        both = e.unionAll(e.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else e.select(
+            F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")
+        )
         low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
         seen = both.join(low, "a")
         if large:
@@ -238,10 +257,14 @@ def connected(edges: DataFrame, name: str = "components") -> DataFrame:
         return seen.select(F.explode(F.array("a", "b")).alias("a"), F.col("m").alias("b")).where("a != b").distinct()
 
     def state(e: DataFrame) -> tuple:
-        r = e.agg(F.count(F.lit(1)), F.coalesce(F.sum((F.xxhash64("a", "b") % 1_000_000_007).cast("decimal(38,0)")), F.lit(0))).first()
+        r = e.agg(
+            F.count(F.lit(1)), F.coalesce(F.sum((F.xxhash64("a", "b") % 1_000_000_007).cast("decimal(38,0)")), F.lit(0))
+        ).first()
         return r[0], r[1]
 
-    now = stage_table(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name)
+    now = stage_table(
+        edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name
+    )
     was = state(now)
     while was[0]:
         now = stage_table(star(star(now, True), False), name)
@@ -253,7 +276,8 @@ def connected(edges: DataFrame, name: str = "components") -> DataFrame:
 
 
 def link_group(sets: list[np.ndarray], per: int, of: int, only: list[int] | None = None) -> np.ndarray:
-    """Roots of the components of sets, linked where ``of * |a & b| >= per * |a | b|``: for each set the smallest index that it reaches.
+    """Roots of the components of sets, linked where ``of * |a & b| >= per * |a | b|``: for each set the smallest index
+    that it reaches.
 
     One set is compared with all others at a time, through postings of shingles. Sets
     of the largest component found so far need not be compared with each other, so
@@ -303,7 +327,9 @@ def _linked(a: list[int], b: list[int]) -> pa.RecordBatch:
 
 
 def _link(members: DataFrame, words: int, per: int, of: int) -> DataFrame:
-    """Edges (a, b) of a spanning forest of the links in each part (gid, one, two); where it has ``open`` members, of the links that these have."""
+    """Edges (a, b) of a spanning forest of the links in each part (gid, one, two); where it has ``open`` members, of
+    the links that these have.
+    """
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         word_codes()
@@ -325,7 +351,9 @@ def _link(members: DataFrame, words: int, per: int, of: int) -> DataFrame:
 
 
 def _link_hub(members: DataFrame, words: int, per: int, of: int) -> DataFrame:
-    """Edges (a, b) from members of parts (gid, one) to the hub of their group, which each part has (``hub``) and reads first. Members pass through one by one."""
+    """Edges (a, b) from members of parts (gid, one) to the hub of their group, which each part has (``hub``) and reads
+    first. Members pass through one by one.
+    """
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         word_codes()
@@ -352,12 +380,20 @@ def _link_large(docs: DataFrame, members: DataFrame, words: int, percent: int, g
     """Edges of the links in groups that no task holds: members are root, node, doc_id, text_hash, n, weight and blocks.
 
     The member that most keys have is the hub, and all are compared with it first, block by block. Members that link with it
-    are in one class, so only the others, the open ones, are compared with all: every text is sent twice, and once more for each further block of open members.
+    are in one class, so only the others, the open ones, are compared with all: every text is sent twice, and once more
+    for each further block of open members.
     """
     block = F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks")).cast("int")
-    hubs = members.groupBy("root").agg(F.max(F.struct("weight", "node", "doc_id", "text_hash", "blocks")).alias("h")).select("root", "h.*")
-    own = members.join(hubs.select("node"), "node", "left_anti").select("node", F.col("root").alias("gid"), block.alias("one"), "doc_id", "text_hash", F.lit(False).alias("hub"))
-    each = hubs.select("node", F.col("root").alias("gid"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("one"), "doc_id", "text_hash", F.lit(True).alias("hub"))
+    hubs = members.groupBy("root").agg(
+        F.max(F.struct("weight", "node", "doc_id", "text_hash", "blocks")).alias("h")
+    ).select("root", "h.*")
+    own = members.join(hubs.select("node"), "node", "left_anti").select(
+        "node", F.col("root").alias("gid"), block.alias("one"), "doc_id", "text_hash", F.lit(False).alias("hub")
+    )
+    each = hubs.select(
+        "node", F.col("root").alias("gid"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("one"), "doc_id",
+        "text_hash", F.lit(True).alias("hub")
+    )
     near = stage_table(_link_hub(_with_texts(docs, own.unionByName(each), ["one"]), words, percent, 100), "op1-hubs")
     settled = near.select(F.col("a").alias("node")).unionAll(hubs.select("node"))
     rest = stage_table(members.join(settled, "node", "left_anti").select("root", "node", "n"), "op1-open")
@@ -366,13 +402,24 @@ def _link_large(docs: DataFrame, members: DataFrame, words: int, percent: int, g
     keep = ["node", F.col("root").alias("gid"), "doc_id", "text_hash"]
     part = F.pmod(F.xxhash64("node", F.lit(2)), F.col("cuts")).cast("int")
     # an open member is in its own cut, for all blocks, and in its own block, for the other cuts
-    all_ = at.select(*keep, F.col("block").alias("one"), F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("two"), (F.coalesce("open", F.lit(False)) & (part == F.col("two"))).alias("open"))
-    more = at.where("open").select(*keep, F.explode(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: x != F.col("block"))).alias("one"), part.alias("two"), F.lit(True).alias("open"))
-    places = all_.withColumns({c: F.col(c).cast("int") for c in ("one", "two")}).unionByName(more.withColumns({c: F.col(c).cast("int") for c in ("one", "two")}))
+    all_ = at.select(
+        *keep, F.col("block").alias("one"), F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("two"),
+        (F.coalesce("open", F.lit(False)) & (part == F.col("two"))).alias("open")
+    )
+    more = at.where("open").select(
+        *keep, F.explode(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: x != F.col("block"))).alias("one"),
+        part.alias("two"), F.lit(True).alias("open")
+    )
+    places = all_.withColumns({c: F.col(c).cast("int") for c in ("one", "two")}).unionByName(
+        more.withColumns({c: F.col(c).cast("int") for c in ("one", "two")})
+    )
     return near.unionAll(_link(_with_texts(docs, places, ["one", "two"]), words, percent, 100))
 
 
-def classes(df: DataFrame, words: int = 5, percent: int = 80, doc: str = "doc_id", text: str = "text", key_members: int = KEY_MEMBERS, group_shingles: int = GROUP_SHINGLES) -> DataFrame:
+def classes(
+    df: DataFrame, words: int = 5, percent: int = 80, doc: str = "doc_id", text: str = "text", key_members: int = KEY_MEMBERS,
+    group_shingles: int = GROUP_SHINGLES
+) -> DataFrame:
     """One row per row of ``df``: doc_id, text_hash, n_shingles, component_id and kept.
 
     Texts are linked if ``100 * |a & b| >= percent * |a | b|`` over their distinct word shingles;
@@ -382,7 +429,10 @@ def classes(df: DataFrame, words: int = 5, percent: int = 80, doc: str = "doc_id
     with the same id are classed by their own texts. Ids are integers; other columns play no part.
     """
     index = Index.for_similarity(percent / 100)
-    docs = df.select(F.col(doc).cast("long").alias("doc_id"), F.xxhash64(F.col(text)).alias("text_hash"), F.col(text).cast("binary").alias("text"))
+    docs = df.select(
+        F.col(doc).cast("long").alias("doc_id"), F.xxhash64(F.col(text)).alias("text_hash"),
+        F.col(text).cast("binary").alias("text")
+    )
     rows = stage_table(_sets(docs, words, index), "op1-sets")
     first = F.min(F.struct("doc_id", "text_hash", "sig", "n")).alias("f")
     items = rows.where("n > 0 AND doc_id IS NOT NULL").groupBy("set_a", "set_b").agg(first)
@@ -393,7 +443,12 @@ def classes(df: DataFrame, words: int = 5, percent: int = 80, doc: str = "doc_id
     shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("m"), *prints).where("n > 1")
     shared = shared.groupBy("n", "m", "p0", "p1").agg(F.min("key").alias("key")).select("key", "n")  # of keys with the same members one is enough
     salts = F.ceil(F.col("n") / key_members)
-    met = stage_table(keys.join(shared, "key").select("key", "node", "n", F.when(salts > 1, F.pmod(F.xxhash64("node"), salts)).otherwise(-1).cast("int").alias("salt")), "op1-members")
+    met = stage_table(
+        keys.join(shared, "key").select(
+            "key", "node", "n", F.when(salts > 1, F.pmod(F.xxhash64("node"), salts)).otherwise(-1).cast("int").alias("salt")
+        ),
+        "op1-members"
+    )
     known = met.groupBy("node").agg(F.sum("n").alias("weight")).join(items.select("node", "sig"), "node")
     edges = _tie(met, known, index)
     groups = stage_table(connected(edges, "op1-groups"), "op1-groups")
@@ -402,11 +457,16 @@ def classes(df: DataFrame, words: int = 5, percent: int = 80, doc: str = "doc_id
     blocks = grouped.groupBy("root").agg(F.ceil(2 * F.sum("n") / group_shingles).cast("int").alias("blocks"))
     blocks = stage_table(blocks, "op1-blocks")
     fits = grouped.join(blocks.where("blocks <= 2").select("root"), "root", "left_semi")
-    places = fits.select("node", F.col("root").alias("gid"), F.lit(0).alias("one"), F.lit(0).alias("two"), "doc_id", "text_hash", F.lit(None).cast("boolean").alias("open"))
+    places = fits.select(
+        "node", F.col("root").alias("gid"), F.lit(0).alias("one"), F.lit(0).alias("two"), "doc_id", "text_hash",
+        F.lit(None).cast("boolean").alias("open")
+    )
     links = _link(_with_texts(docs, places, ["one", "two"]), words, percent, 100)
     large = bool(blocks.where("blocks > 2").limit(1).count())
     if large:
-        links = links.unionAll(_link_large(docs, grouped.join(blocks.where("blocks > 2"), "root"), words, percent, group_shingles))
+        links = links.unionAll(
+            _link_large(docs, grouped.join(blocks.where("blocks > 2"), "root"), words, percent, group_shingles)
+        )
     links = stage_table(links, "op1-linked")
     roots = connected(links, "op1-links") if large else links.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
@@ -415,12 +475,18 @@ def classes(df: DataFrame, words: int = 5, percent: int = 80, doc: str = "doc_id
     named = part.select("set_a", "set_b", "root").join(low, "root").drop("root")
     out = rows.drop("sig").join(named, ["set_a", "set_b"], "left")
     component = F.when(F.col("n") > 0, F.when(F.col("doc_id").isNotNull(), F.col("component"))).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "text_hash", F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return out.select(
+        "doc_id", "text_hash", F.col("n").alias("n_shingles"), component.alias("component_id")
+    ).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def keep_one(df: DataFrame, words: int = 5, percent: int = 80, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``df``, all columns as they are, without documents that a smaller id of their class stands for. Rows with a null id, and null, empty and blank texts, stay."""
-    gone = classes(df, words, percent, doc, text).where("NOT kept").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
+    """The rows of ``df``, all columns as they are, without documents that a smaller id of their class stands for. Rows
+    with a null id, and null, empty and blank texts, stay.
+    """
+    gone = classes(df, words, percent, doc, text).where("NOT kept").select(
+        F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")
+    ).distinct()
     return df.join(gone, (df[doc] == gone["__id"]) & (F.xxhash64(df[text]) == gone["__hash"]), "left_anti")
 
 

@@ -3,7 +3,8 @@
 Each text gets statistics from built-in functions. Sequential covering then learns an
 ordered list of rules, each a conjunction of thresholds, that mark low-quality texts:
 a rule is grown one condition at a time by information gain on three fifths of the labelled rows,
-pruned from its end on another fifth, and the rows it covers are set aside; the last fifth tells how good the list is. Counts come from one
+pruned from its end on another fifth, and the rows it covers are set aside; the last fifth tells how good the list is.
+Counts come from one
 grouped aggregation a step, so the labelled rows stay distributed and only a table of
 (statistic, bin) counts reaches the driver. The list becomes one ordered ``CASE``.
 """
@@ -34,7 +35,8 @@ STATS = {
 
 
 def base_counts(df: DataFrame, text: str = "text") -> DataFrame:
-    """``df`` without its text, with word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words and counts of lines, distinct words and sentence ends.
+    """``df`` without its text, with word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words and counts of lines,
+    distinct words and sentence ends.
 
     Null counts as empty; all counts of an empty text are 0. Texts are read whole. Columns
     of ``df`` with the names of counts are replaced.
@@ -43,13 +45,23 @@ def base_counts(df: DataFrame, text: str = "text") -> DataFrame:
     keep = [c for c in df.columns if c != text and c not in made]
     t = F.coalesce(F.col(text), F.lit(""))
     lines = F.filter(F.split(t, "\n"), lambda x: F.trim(F.translate(x, "\t\x0b\x0c\r", "    ")) != "")
-    a = df.select(*keep, words_of(t).alias("__w"), lines.alias("__l"), F.regexp_count(t, F.lit("[" + SYMBOLS.replace("&", "\\&") + "]")).alias("n_symbols"), F.regexp_count(t, F.lit("[.!?]")).alias("n_stops"))
+    a = df.select(
+        *keep, words_of(t).alias("__w"), lines.alias("__l"),
+        F.regexp_count(t, F.lit("[" + SYMBOLS.replace("&", "\\&") + "]")).alias("n_symbols"),
+        F.regexp_count(t, F.lit("[.!?]")).alias("n_stops")
+    )
     n = F.size("__w")
-    triple = F.arrays_zip(F.slice("__w", 1, n - 2).alias("a"), F.slice("__w", 2, n - 2).alias("b"), F.slice("__w", 3, n - 2).alias("c"), F.sequence(F.lit(0), n - 3).alias("at"))
+    triple = F.arrays_zip(
+        F.slice("__w", 1, n - 2).alias("a"), F.slice("__w", 2, n - 2).alias("b"), F.slice("__w", 3, n - 2).alias("c"),
+        F.sequence(F.lit(0), n - 3).alias("at")
+    )
     b = a.select(*keep, "__w", "__l", "n_symbols", "n_stops", F.when(n >= 3, F.sort_array(triple)).alias("__s"))
     # equal windows are neighbours now; of each two of them both starts count
     m = F.size("__s")
-    twice = F.filter(F.arrays_zip(F.slice("__s", 1, m - 1).alias("x"), F.slice("__s", 2, m - 1).alias("y")), lambda p: (p.x.c == p.y.c) & (p.x.b == p.y.b) & (p.x.a == p.y.a))
+    twice = F.filter(
+        F.arrays_zip(F.slice("__s", 1, m - 1).alias("x"), F.slice("__s", 2, m - 1).alias("y")),
+        lambda p: (p.x.c == p.y.c) & (p.x.b == p.y.b) & (p.x.a == p.y.a)
+    )
     c = b.select(*keep, "__w", "__l", "n_symbols", "n_stops", F.when(m >= 2, twice).alias("__t"))
     starts = F.array_union(F.transform("__t", lambda p: p.x["at"]), F.transform("__t", lambda p: p.y["at"]))
     covered = F.size(F.array_distinct(F.flatten(F.transform(starts, lambda s: F.array(s, s + 1, s + 2)))))
@@ -105,7 +117,10 @@ def _gain(p: int, n: int, p0: int, n0: int) -> float:
     return p * (math.log2(p / (p + n)) - math.log2(p0 / (p0 + n0))) if p else 0.0
 
 
-def learn_rules(train: DataFrame, stats: list[str], most_rules: int = 8, most_conditions: int = 3, bins: int = 24, least_right: float = 0.8, least_rows: int = 5) -> list[Rule]:
+def learn_rules(
+    train: DataFrame, stats: list[str], most_rules: int = 8, most_conditions: int = 3, bins: int = 24, least_right: float = 0.8,
+    least_rows: int = 5
+) -> list[Rule]:
     """An ordered list from labelled rows: ``stats`` (double), ``bad`` 0/1, ``grow`` boolean.
 
     A rule joins the list if, on the pruning rows that no earlier rule covers, it covers at
@@ -116,11 +131,19 @@ def learn_rules(train: DataFrame, stats: list[str], most_rules: int = 8, most_co
     bounds = _bounds(train, stats, bins)
     if not all(bounds.values()):  # no rows
         return []
-    place = [F.expr(f"CASE WHEN {s} IS NOT NULL THEN size(filter(array({', '.join(f'{v!r}D' for v in bounds[s])}), v -> {s} > v)) END") for s in stats]
+    place = [
+        F.expr(
+            f"CASE WHEN {s} IS NOT NULL THEN size(filter(array({', '.join(f'{v!r}D' for v in bounds[s])}), v -> {s} > v)) END"
+        ) for s in stats
+    ]
     binned = stage_table(train.select(*stats, "bad", "grow", F.array(*place).alias("at")), "op4-train")
 
     def counts(where: str) -> dict[int, list[tuple[int, int, int]]]:
-        rows = binned.where(where).select("bad", F.posexplode("at").alias("stat", "bin")).where("bin is not null").groupBy("stat", "bin").agg(F.sum("bad").alias("p"), F.count(F.lit(1)).alias("n")).collect()
+        rows = binned.where(where).select(
+            "bad", F.posexplode("at").alias("stat", "bin")
+        ).where("bin is not null").groupBy("stat", "bin").agg(
+            F.sum("bad").alias("p"), F.count(F.lit(1)).alias("n")
+        ).collect()
         out: dict[int, list[tuple[int, int, int]]] = {}
         for r in sorted(rows):
             out.setdefault(r["stat"], []).append((r["bin"], r["p"], r["n"] - r["p"]))
@@ -131,7 +154,9 @@ def learn_rules(train: DataFrame, stats: list[str], most_rules: int = 8, most_co
         sums = []
         for k in range(1, len(conditions) + 1):
             hit = " AND ".join(c.sql() for c in conditions[:k])
-            sums += [F.sum(F.expr(f"CASE WHEN {hit} THEN bad ELSE 0 END")), F.sum(F.expr(f"CASE WHEN {hit} THEN 1 - bad ELSE 0 END"))]
+            sums += [
+                F.sum(F.expr(f"CASE WHEN {hit} THEN bad ELSE 0 END")), F.sum(F.expr(f"CASE WHEN {hit} THEN 1 - bad ELSE 0 END"))
+            ]
         row = binned.where(f"NOT grow AND {rest}").agg(*sums).first()
         return [(int(row[2 * i] or 0), int(row[2 * i + 1] or 0)) for i in range(len(conditions))]
 
@@ -177,7 +202,9 @@ def learn_rules(train: DataFrame, stats: list[str], most_rules: int = 8, most_co
 
 def list_expression(rules: list[Rule]) -> Column:
     """The number of the first rule that is met, from 1; 0 if none is."""
-    return F.expr("CASE " + " ".join(f"WHEN {r.sql()} THEN {i}" for i, r in enumerate(rules, 1)) + " ELSE 0 END" if rules else "0")
+    return F.expr(
+        "CASE " + " ".join(f"WHEN {r.sql()} THEN {i}" for i, r in enumerate(rules, 1)) + " ELSE 0 END" if rules else "0"
+    )
 
 
 def with_stats(counts: DataFrame) -> DataFrame:
@@ -187,7 +214,9 @@ def with_stats(counts: DataFrame) -> DataFrame:
 
 def counted(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, base counts, statistics and base_failed of each row, written so that texts are read once."""
-    counts = with_stats(base_counts(docs.select(F.col(doc).alias("doc_id"), F.col(text).alias("text")))).withColumn("base_failed", base_failed())
+    counts = with_stats(
+        base_counts(docs.select(F.col(doc).alias("doc_id"), F.col(text).alias("text")))
+    ).withColumn("base_failed", base_failed())
     return stage_table(counts, "op4-counts")
 
 
@@ -196,22 +225,33 @@ def labelled(counts: DataFrame, labels: DataFrame, doc: str = "doc_id", label: s
 
     Rows with a null label or id are not used; of several labels of an id the lowest counts.
     """
-    marks = labels.where(F.col(label).isNotNull() & F.col(doc).isNotNull()).groupBy(F.col(doc).alias("doc_id")).agg(F.min(label).alias("label"))
-    return counts.where("NOT base_failed").join(marks, "doc_id").select(*STATS, F.when(F.col("label") == 0, 1).otherwise(0).alias("bad"), F.pmod(F.xxhash64("doc_id"), F.lit(5)).alias("part"))
+    marks = labels.where(
+        F.col(label).isNotNull() & F.col(doc).isNotNull()
+    ).groupBy(F.col(doc).alias("doc_id")).agg(F.min(label).alias("label"))
+    return counts.where("NOT base_failed").join(marks, "doc_id").select(
+        *STATS, F.when(F.col("label") == 0, 1).otherwise(0).alias("bad"), F.pmod(F.xxhash64("doc_id"), F.lit(5)).alias("part")
+    )
 
 
 def learned(rows: DataFrame) -> list[Rule]:
-    """The list from labelled rows: parts 0 to 2 grow it, part 3 prunes it, and part 4 has no say, so that ``list_figures`` can tell how good it is."""
+    """The list from labelled rows: parts 0 to 2 grow it, part 3 prunes it, and part 4 has no say, so that
+    ``list_figures`` can tell how good it is.
+    """
     return learn_rules(rows.where("part < 4").withColumn("grow", F.col("part") < 3), list(STATS))
 
 
 def list_figures(rows: DataFrame, rules: list[Rule]) -> DataFrame:
     """(rule, n, n_bad) over the labelled rows that took no part in learning; rule 0 is none."""
-    return rows.where("part = 4").groupBy(list_expression(rules).alias("rule")).agg(F.count(F.lit(1)).alias("n"), F.sum("bad").alias("n_bad"))
+    return rows.where("part = 4").groupBy(list_expression(rules).alias("rule")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum("bad").alias("n_bad")
+    )
 
 
-def judge_quality(docs: DataFrame, labels: DataFrame, doc: str = "doc_id", text: str = "text", label: str = "quality") -> DataFrame:
-    """One row per row of ``docs``: doc_id, the base counts and statistics, base_failed, rule (number of the rule met, 0 for none) and kept.
+def judge_quality(
+    docs: DataFrame, labels: DataFrame, doc: str = "doc_id", text: str = "text", label: str = "quality"
+) -> DataFrame:
+    """One row per row of ``docs``: doc_id, the base counts and statistics, base_failed, rule (number of the rule met, 0
+    for none) and kept.
 
     The list is learned from the labelled rows that pass the base rules (label 0: low quality) and applied to every row. Null and
     empty texts have no words, so they fail the base rules; rows with a null id are judged like others.
@@ -223,4 +263,6 @@ def judge_quality(docs: DataFrame, labels: DataFrame, doc: str = "doc_id", text:
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = judge_quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
+    return out.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule"
+    )

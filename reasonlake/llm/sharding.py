@@ -70,9 +70,13 @@ def number_rows(df: DataFrame, keys: list[str], into: str = "row_number") -> Dat
     buckets = max(1, min(MOST_BUCKETS, -(-n // BUCKET_ROWS)))
     put = df.withColumn("__bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)))
     before = Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = put.groupBy("__bucket").agg(F.count(F.lit(1)).alias("__n")).withColumn("__start", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
+    starts = put.groupBy("__bucket").agg(F.count(F.lit(1)).alias("__n")).withColumn(
+        "__start", F.coalesce(F.sum("__n").over(before), F.lit(0))
+    ).drop("__n")
     place = F.row_number().over(Window.partitionBy("__bucket").orderBy(*keys))
-    return put.withColumn("__place", place).join(F.broadcast(starts), "__bucket").withColumn(into, F.col("__start") + F.col("__place") - 1).drop("__bucket", "__place", "__start")
+    return put.withColumn("__place", place).join(F.broadcast(starts), "__bucket").withColumn(
+        into, F.col("__start") + F.col("__place") - 1
+    ).drop("__bucket", "__place", "__start")
 
 
 def shard_rows(df: DataFrame, keys: list[str], shards: int, seed: int = 0) -> DataFrame:
@@ -87,12 +91,21 @@ def shard_rows(df: DataFrame, keys: list[str], shards: int, seed: int = 0) -> Da
         return pd.Series(permute(rows.to_numpy(), n, seed))
 
     out = number_rows(df, keys, "__row").withColumn("__at", place("__row"))
-    return out.withColumns({"shard": (F.col("__at") % shards).cast("int"), "slot": F.floor(F.col("__at") / shards).cast("long") if n < 2**52 else F.expr(f"__at div {shards}L")}).drop("__row", "__at")
+    return out.withColumns(
+        {
+            "shard": (F.col("__at") % shards).cast("int"),
+            "slot": F.floor(F.col("__at") / shards).cast("long") if n < 2**52 else F.expr(f"__at div {shards}L")
+        }
+    ).drop("__row", "__at")
 
 
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents into 40 shards under the law ``rows``."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    narrow = read(spark, sf_dir, "documents").select("doc_id", (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
+    narrow = read(spark, sf_dir, "documents").select(
+        "doc_id", (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32")
+    )
     rows = stage_table(narrow, "op3-rows")  # from here on no text is read
-    return shard_rows(rows, ["doc_id", "text_crc32", "size"], 40).select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    return shard_rows(rows, ["doc_id", "text_crc32", "size"], 40).select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )

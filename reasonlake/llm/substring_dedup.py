@@ -36,7 +36,8 @@ from .common import BASE_2, CODES, mix, read, signed, small, stage_table, window
 WINDOW, ANCHOR = 13, 5
 #: Bits of an anchor's code. Fewer make the shuffle smaller; clashes only let more windows through to the exact step.
 ANCHOR_BITS = 44
-#: Groups for each shuffle partition at least, suffixes of a group, suffixes of a prefix from which it is split into longer ones, and anchors of a group that are walked at once.
+#: Groups for each shuffle partition at least, suffixes of a group, suffixes of a prefix from which it is split into
+#: longer ones, and anchors of a group that are walked at once.
 GROUPS, GROUP_ROWS, PREFIX_ROWS, GROUP_CODES = 2, 100_000, 20_000, 4_000_000
 
 
@@ -80,7 +81,9 @@ def _encode(codes: np.ndarray, docs: np.ndarray) -> tuple[bytes, bytes]:
     if not len(codes):
         return b"", b""
     gap = np.diff(codes)
-    return codes[:1].tobytes() + (gap.astype("<u4") if len(gap) and int(gap.max()) < 2**32 else gap).tobytes(), (docs.astype("<u4") if docs.min() >= 0 and docs.max() < 2**32 else docs).tobytes()
+    return codes[:1].tobytes() + (gap.astype("<u4") if len(gap) and int(gap.max()) < 2**32 else gap).tobytes(), (
+        docs.astype("<u4") if docs.min() >= 0 and docs.max() < 2**32 else docs
+    ).tobytes()
 
 
 def _decode(n: int, gaps: bytes, ids: bytes) -> Pairs:
@@ -97,9 +100,18 @@ def _pack(shift: int, *kinds: Pairs) -> pa.RecordBatch:
     own = [(c >> np.uint64(shift)).astype(np.int32) for c, _ in kinds]
     groups = np.unique(np.concatenate(own))
     ends = [(np.searchsorted(g, groups), np.searchsorted(g, groups, "right")) for g in own]
-    made = [[_encode(c[s[i] : e[i]], d[s[i] : e[i]]) for (c, d), (s, e) in zip(kinds, ends, strict=True)] for i in range(len(groups))]
+    made = [
+        [_encode(c[s[i] : e[i]], d[s[i] : e[i]]) for (c, d), (s, e) in zip(kinds, ends, strict=True)] for i in range(len(groups))
+    ]
     n = [[int(e[i] - s[i]) for s, e in ends] for i in range(len(groups))]
-    return pa.RecordBatch.from_arrays([pa.array(groups, pa.int32()), pa.array(n, pa.list_(pa.int32())), pa.array([[x[0] for x in m] for m in made], pa.list_(pa.binary())), pa.array([[x[1] for x in m] for m in made], pa.list_(pa.binary()))], names=["grp", "n", "codes", "docs"])
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array(groups, pa.int32()), pa.array(n, pa.list_(pa.int32())),
+            pa.array([[x[0] for x in m] for m in made], pa.list_(pa.binary())),
+            pa.array([[x[1] for x in m] for m in made], pa.list_(pa.binary()))
+        ],
+        names=["grp", "n", "codes", "docs"]
+    )
 
 
 def _concat(pairs: list[Pairs]) -> Pairs:
@@ -122,7 +134,9 @@ def _groups(it: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
 
 
 def _meet(dealt: DataFrame, shift: int, groups: int) -> DataFrame:
-    """(doc_id, codes): the shared anchors of each document that has any. Each group is walked in code order, in parts by further bits if it is large; answers are then gathered by document."""
+    """(doc_id, codes): the shared anchors of each document that has any. Each group is walked in code order, in parts
+    by further bits if it is large; answers are then gathered by document.
+    """
     most, common = GROUP_CODES, PREFIX_ROWS
 
     def part(rows: list[tuple], kind: int, extra: int, at: int) -> Pairs:
@@ -155,7 +169,13 @@ def _meet(dealt: DataFrame, shift: int, groups: int) -> DataFrame:
         codes, docs, to = codes[order], docs[order], to[order]
         heads = [*np.flatnonzero(np.append(True, to[1:] != to[:-1]))[: len(to)].tolist(), len(to)]
         made = [_encode(codes[s:e], docs[s:e]) for s, e in itertools.pairwise(heads)]
-        return pa.RecordBatch.from_arrays([pa.array(to[heads[:-1]], pa.int32()), pa.array(np.diff(heads), pa.int32()), pa.array([m[0] for m in made], pa.binary()), pa.array([m[1] for m in made], pa.binary())], names=["grp", "n", "codes", "docs"])
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array(to[heads[:-1]], pa.int32()), pa.array(np.diff(heads), pa.int32()),
+                pa.array([m[0] for m in made], pa.binary()), pa.array([m[1] for m in made], pa.binary())
+            ],
+            names=["grp", "n", "codes", "docs"]
+        )
 
     def answer(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[Pairs] = []
@@ -172,7 +192,13 @@ def _meet(dealt: DataFrame, shift: int, groups: int) -> DataFrame:
             order = np.argsort(docs, kind="stable")
             codes, docs = codes[order], docs[order]
             heads = np.flatnonzero(np.append(True, docs[1:] != docs[:-1]))
-            yield pa.RecordBatch.from_arrays([pa.array(docs[heads]), pa.ListArray.from_arrays(pa.array(np.append(heads, len(docs)).astype(np.int32)), pa.array(signed(codes)))], names=["doc_id", "codes"])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(docs[heads]),
+                    pa.ListArray.from_arrays(pa.array(np.append(heads, len(docs)).astype(np.int32)), pa.array(signed(codes)))
+                ],
+                names=["doc_id", "codes"]
+            )
 
     sent = dealt.repartition("grp").sortWithinPartitions("grp").mapInArrow(answer, SENT)
     return sent.repartition("grp").sortWithinPartitions("grp").mapInArrow(gather, ANSWERS)
@@ -216,8 +242,15 @@ class WordIds(dict):
         return n
 
 
-SUFFIX_ARROW = pa.schema([("grp", pa.int32()), ("doc_id", pa.int64()), ("text_hash", pa.int64()), ("starts", pa.list_(pa.int32())), ("left", pa.int32()), ("n", pa.int32()), ("words", pa.binary())])
-#: A dealt suffix: its document and row, where its first window starts (in more than one place if its words repeat), words before the anchor, number of windows, and their words. Marks, without words, are ``n`` windows from each start that go.
+SUFFIX_ARROW = pa.schema(
+    [
+        ("grp", pa.int32()), ("doc_id", pa.int64()), ("text_hash", pa.int64()), ("starts", pa.list_(pa.int32())),
+        ("left", pa.int32()), ("n", pa.int32()), ("words", pa.binary())
+    ]
+)
+#: A dealt suffix: its document and row, where its first window starts (in more than one place if its words repeat),
+#: words before the anchor, number of windows, and their words. Marks, without words, are ``n`` windows from each start
+#: that go.
 SUFFIX = "grp int, doc_id long, text_hash long, starts array<int>, left int, n int, words binary"
 MARKS = "doc_id long, text_hash long, start int, n int"
 
@@ -254,7 +287,11 @@ def _nodes(side: np.ndarray) -> np.ndarray:
 def settle(s: Suffixes, window: int, anchor: int) -> np.ndarray:
     """For each window of each suffix, in a row, whether a smaller document has it too."""
     ids, size = WordIds(), s.n + window - 1
-    told = [np.fromiter(map(ids.__getitem__, b" ".join(s.words[i : i + 4096]).split(b" ")), np.int64) for i in range(0, len(s.words), 4096)]
+    told = [
+        np.fromiter(
+            map(ids.__getitem__, b" ".join(s.words[i : i + 4096]).split(b" ")), np.int64
+        ) for i in range(0, len(s.words), 4096)
+    ]
     words = np.concatenate([*told, np.full(1, -1)])
     first = np.cumsum(size) - size  # of each suffix's words
     at = (first + s.left)[:, None]
@@ -277,7 +314,9 @@ def settle(s: Suffixes, window: int, anchor: int) -> np.ndarray:
 
 
 def _marked_runs(s: Suffixes, later: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of settled windows, over suffixes that follow each other in a row: the suffix that a run begins in, its first start, its number of windows."""
+    """Runs of settled windows, over suffixes that follow each other in a row: the suffix that a run begins in, its
+    first start, its number of windows.
+    """
     of = np.repeat(np.arange(len(s.n)), s.n)
     i = np.flatnonzero(later)
     of, at = of[i], (s.start - np.cumsum(s.n) + s.n)[of[i]] + i
@@ -294,7 +333,10 @@ def _rest(s: Suffixes, later: np.ndarray, window: int) -> Suffixes:
     own = of[new]
     low = open_[new] - place[own]
     high = open_[np.append(np.flatnonzero(new)[1:], len(open_)) - 1] - place[own] if len(own) else low
-    words = [s.words[i] if a == 0 and b == n - 1 else b" ".join(s.words[i].split(b" ")[a : b + window]) for i, a, b, n in zip(own.tolist(), low.tolist(), high.tolist(), s.n[own].tolist(), strict=True)]
+    words = [
+        s.words[i] if a == 0 and b == n - 1 else b" ".join(s.words[i].split(b" ")[a : b + window]) for i, a, b,
+        n in zip(own.tolist(), low.tolist(), high.tolist(), s.n[own].tolist(), strict=True)
+    ]
     return Suffixes(s.grp[own], s.doc[own], s.row[own], s.start[own] + low, s.left[own] - low, high - low + 1, words)
 
 
@@ -306,7 +348,9 @@ def _places(s: Suffixes) -> tuple[np.ndarray, list[list[int]]]:
     return np.array([x[0] for x in at.values()], int), [s.start[x].tolist() for x in at.values()]
 
 
-def _cut(docs: np.ndarray, rows: np.ndarray, texts: list[bytes], shared: np.ndarray, window: int, anchor: int, bits: int) -> Suffixes | None:
+def _cut(
+    docs: np.ndarray, rows: np.ndarray, texts: list[bytes], shared: np.ndarray, window: int, anchor: int, bits: int
+) -> Suffixes | None:
     """The suffixes at shared anchors of some texts."""
     split = [t.split() for t in texts]
     flat = list(itertools.chain.from_iterable(split))
@@ -332,7 +376,9 @@ def _cut(docs: np.ndarray, rows: np.ndarray, texts: list[bytes], shared: np.ndar
 
 
 def _repeats(docs: DataFrame, window: int, anchor: int, bits: int) -> DataFrame:
-    """(doc_id, text_hash, start, n): runs of windows of a row that also start in a smaller document, from (doc_id, text_hash, text, shared)."""
+    """(doc_id, text_hash, start, n): runs of windows of a row that also start in a smaller document, from (doc_id,
+    text_hash, text, shared).
+    """
 
     def deal(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         word_codes()
@@ -340,7 +386,12 @@ def _repeats(docs: DataFrame, window: int, anchor: int, bits: int) -> DataFrame:
             cut = []
             for x in small([b], 256):
                 shared = np.unique(x.column("shared").flatten().to_numpy()).view(np.uint64)
-                cut.append(_cut(x.column("doc_id").to_numpy(), x.column("text_hash").to_numpy(), x.column("text").to_pylist(), shared, window, anchor, bits))
+                cut.append(
+                    _cut(
+                        x.column("doc_id").to_numpy(), x.column("text_hash").to_numpy(), x.column("text").to_pylist(), shared,
+                        window, anchor, bits
+                    )
+                )
             cut = [x for x in cut if x is not None]
             if not cut:
                 continue
@@ -349,21 +400,39 @@ def _repeats(docs: DataFrame, window: int, anchor: int, bits: int) -> DataFrame:
             of, start, n = _marked_runs(s, later)
             r = _rest(s, later, window)
             spread = (mix(s.doc[of].view(np.uint64)) >> np.uint64(64 - bits)).astype(np.int32)  # marks belong to no group
-            yield pa.record_batch([spread, s.doc[of], s.row[of], start[:, None].tolist(), pa.nulls(len(of), pa.int32()), n, pa.nulls(len(of), pa.binary())], schema=SUFFIX_ARROW)
+            yield pa.record_batch(
+                [
+                    spread, s.doc[of], s.row[of], start[:, None].tolist(), pa.nulls(len(of), pa.int32()), n,
+                    pa.nulls(len(of), pa.binary())
+                ],
+                schema=SUFFIX_ARROW
+            )
             one, starts = _places(r)
-            yield pa.record_batch([r.grp[one], r.doc[one], r.row[one], starts, r.left[one], r.n[one], [r.words[i] for i in one.tolist()]], schema=SUFFIX_ARROW)
+            yield pa.record_batch(
+                [r.grp[one], r.doc[one], r.row[one], starts, r.left[one], r.n[one], [r.words[i] for i in one.tolist()]],
+                schema=SUFFIX_ARROW
+            )
 
     def told(doc: np.ndarray, row: np.ndarray, starts: pa.ListArray, n: np.ndarray, ahead: np.ndarray) -> pa.RecordBatch:
         """One mark for each start."""
         k = starts.value_lengths().to_numpy()
-        return pa.record_batch([np.repeat(doc, k), np.repeat(row, k), pa.array(starts.flatten().to_numpy() + np.repeat(ahead, k), pa.int32()), pa.array(np.repeat(n, k), pa.int32())], names=["doc_id", "text_hash", "start", "n"])
+        return pa.record_batch(
+            [
+                np.repeat(doc, k), np.repeat(row, k), pa.array(starts.flatten().to_numpy() + np.repeat(ahead, k), pa.int32()),
+                pa.array(np.repeat(n, k), pa.int32())
+            ],
+            names=["doc_id", "text_hash", "start", "n"]
+        )
 
     def trees(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for parts in by_group(it):
             t = pa.Table.from_batches(parts).combine_chunks()
             done, t = t.filter(pc.is_null(t["words"])), t.filter(pc.is_valid(t["words"]))
             if done.num_rows:
-                yield told(*[done[c].to_numpy() for c in ("doc_id", "text_hash")], done["starts"].combine_chunks(), done["n"].to_numpy(), np.zeros(done.num_rows, int))
+                yield told(
+                    *[done[c].to_numpy() for c in ("doc_id", "text_hash")], done["starts"].combine_chunks(), done["n"].to_numpy(),
+                    np.zeros(done.num_rows, int)
+                )
             if t.num_rows:
                 grp, doc, row, left, n = (t[c].to_numpy() for c in ("grp", "doc_id", "text_hash", "left", "n"))
                 base = np.arange(t.num_rows) * 2 * window  # apart, so that no run goes on from one suffix to the next
@@ -391,7 +460,9 @@ def by_group(it: Iterator[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch]]:
 
 
 def marked(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
-    """(doc_id, text_hash, text, marks) of (doc_id, text_hash, text binary), ids not null: the runs of windows to remove, null for none."""
+    """(doc_id, text_hash, text, marks) of (doc_id, text_hash, text binary), ids not null: the runs of windows to
+    remove, null for none.
+    """
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     bits = min(30, (parts * GROUPS - 1).bit_length())
     shared = stage_table(_shared_anchors(docs, window, anchor, bits).withColumnRenamed("codes", "shared"), "op8-anchors")
@@ -412,8 +483,11 @@ def covered(runs: list[tuple[int, int]], n: int, window: int) -> np.ndarray:
     return np.cumsum(edge[:-1]) > 0
 
 
-def dedup_substrings(df: DataFrame, doc: str = "doc_id", text: str = "text", window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
-    """One row per row of ``df``: doc_id, n_words, n_removed, spans (start and length in words of each removed run) and kept_text (the words left, joined by blanks).
+def dedup_substrings(
+    df: DataFrame, doc: str = "doc_id", text: str = "text", window: int = WINDOW, anchor: int = ANCHOR
+) -> DataFrame:
+    """One row per row of ``df``: doc_id, n_words, n_removed, spans (start and length in words of each removed run) and
+    kept_text (the words left, joined by blanks).
 
     Words are cut at \\x20 and \\x09-\\x0D, unchanged otherwise. A word is removed if a window of
     ``window`` words over it also starts in a document with a smaller id; windows are judged on
@@ -422,9 +496,13 @@ def dedup_substrings(df: DataFrame, doc: str = "doc_id", text: str = "text", win
     affect each other; each is cut by its own windows.
     """
     id_ = F.col(doc) if (doc, "bigint") in df.dtypes and doc == "doc_id" else F.col(doc).cast("long").alias("doc_id")  # a needless alias would keep the exchange from being shared
-    docs = df.select(id_, F.xxhash64(F.col(text)).alias("text_hash"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"))
+    docs = df.select(
+        id_, F.xxhash64(F.col(text)).alias("text_hash"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text")
+    )
     named = marked(docs.where("doc_id is not null"), window, anchor)
-    rest = docs.where("doc_id is null").select("doc_id", "text_hash", "text", F.lit(None).cast("array<struct<text_hash:long,start:int,n:int>>").alias("marks"))
+    rest = docs.where("doc_id is null").select(
+        "doc_id", "text_hash", "text", F.lit(None).cast("array<struct<text_hash:long,start:int,n:int>>").alias("marks")
+    )
     spans = pa.list_(pa.struct([("start", pa.int32()), ("n", pa.int32())]))
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -444,10 +522,15 @@ def dedup_substrings(df: DataFrame, doc: str = "doc_id", text: str = "text", win
                     runs.append([])
                     n_gone.append(0)
                 kept.append(b" ".join(words))
-            cols = [b.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(n_gone, pa.int64()), pa.array(runs, spans), pa.array(kept, pa.binary())]
+            cols = [
+                b.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(n_gone, pa.int64()), pa.array(runs, spans),
+                pa.array(kept, pa.binary())
+            ]
             yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_words", "n_removed", "spans", "kept_text"])
 
-    return named.unionByName(rest).mapInArrow(batches, "doc_id long, n_words long, n_removed long, spans array<struct<start:int,n:int>>, kept_text binary").withColumn("kept_text", F.col("kept_text").cast("string"))
+    return named.unionByName(rest).mapInArrow(
+        batches, "doc_id long, n_words long, n_removed long, spans array<struct<start:int,n:int>>, kept_text binary"
+    ).withColumn("kept_text", F.col("kept_text").cast("string"))
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,12 +22,15 @@ from pyspark.sql import functions as F
 
 from .common import read, small, stage_table, using
 
-#: Bounds of the fit: labelled texts of either label (about so many, by a hash of their ids), words that are features, and texts of label 1 that a feature needs.
+#: Bounds of the fit: labelled texts of either label (about so many, by a hash of their ids), words that are features,
+#: and texts of label 1 that a feature needs.
 FIT_TEXTS, FEATURES, LEAST_TEXTS = 10_000, 2_000, 3
-#: What a feature must tell of the labels (log-likelihood ratio, in nats): more than chance gives the best of all candidates (at this level), and ``LEAST_GAIN``, or in samples whose labels
+#: What a feature must tell of the labels (log-likelihood ratio, in nats): more than chance gives the best of all
+#: candidates (at this level), and ``LEAST_GAIN``, or in samples whose labels
 #: hold little this share of all that they hold.
 LEVEL, LEAST_GAIN, LEAST_SHARE = 0.05, 20.0, 0.018
-#: Lengths of the word beginnings that may be features, so that a stem counts whatever follows it. Words whose weight a Python worker remembers.
+#: Lengths of the word beginnings that may be features, so that a stem counts whatever follows it. Words whose weight a
+#: Python worker remembers.
 STEMS, MEMO_WORDS = range(4, 9), 100_000
 #: Steps of the fit and its penalty on weights.
 STEPS, PENALTY = 600, 0.05
@@ -71,7 +74,10 @@ class Model:
 
     def sentence_scores(self, text: str, known: WordWeights | None = None) -> list[tuple[int, int, float]]:
         look = (WordWeights(self.weights) if known is None else known).__getitem__
-        return [(a, b, 1 / (1 + math.exp(-min(max(self.bias + sum(map(look, words(s))), -700.0), 700.0)))) for a, b, s in sentences(text)]
+        return [
+            (a, b, 1 / (1 + math.exp(-min(max(self.bias + sum(map(look, words(s))), -700.0), 700.0)))) for a, b,
+            s in sentences(text)
+        ]
 
     def score(self, scores: list[tuple[int, int, float]]) -> float:
         """Noisy-or of sentence scores; a text without sentences counts as one sentence without words."""
@@ -98,7 +104,8 @@ def least_gain(candidates: int, n1: int, n0: int) -> float:
 
 
 def telling_words(docs: DataFrame, most: int = FEATURES, least: int = LEAST_TEXTS) -> list[str]:
-    """The words whose share of texts differs most between the labels (likelihood ratio), at most ``most``, of those that label 1 favours and ``least`` of its texts have; with beginnings.
+    """The words whose share of texts differs most between the labels (likelihood ratio), at most ``most``, of those
+    that label 1 favours and ``least`` of its texts have; with beginnings.
 
     The cut follows the sample (``least_gain``), so that a small one has features too.
     """
@@ -107,7 +114,9 @@ def telling_words(docs: DataFrame, most: int = FEATURES, least: int = LEAST_TEXT
     n1, n0 = n.get(1, 0), n.get(0, 0)
     if not n1 or not n0:
         return []
-    by = _word_sets(docs).select("label", F.explode("words").alias("word")).groupBy("word").agg(F.sum("label").cast("double").alias("a"), F.sum(1 - F.col("label")).cast("double").alias("b"))
+    by = _word_sets(docs).select("label", F.explode("words").alias("word")).groupBy("word").agg(
+        F.sum("label").cast("double").alias("a"), F.sum(1 - F.col("label")).cast("double").alias("b")
+    )
     part = lambda x, of, all_, rest: F.when(x > 0, x * F.log(x * (n1 + n0) / (F.lit(float(of)) * all_))).otherwise(0.0)
     a, b = F.col("a"), F.col("b")
     with_, without = a + b, (n1 + n0) - a - b
@@ -127,17 +136,27 @@ def _bags(docs: DataFrame, vocabulary: dict[str, int]) -> DataFrame:
             n, rows, cols = [], [], []
             for t in b.column("text").to_pylist():
                 s = sentences(t or "")
-                got = [(i, vocabulary[f]) for i, (_, _, x) in enumerate(s) for w in words(x) for f in features(w) if f in vocabulary]
+                got = [
+                    (i, vocabulary[f]) for i, (_, _, x) in enumerate(s) for w in words(x) for f in features(w) if f in vocabulary
+                ]
                 n.append(max(1, len(s)))
                 rows.append([x for x, _ in got])
                 cols.append([x for _, x in got])
-            yield pa.RecordBatch.from_arrays([b.column("label"), pa.array(n, pa.int32()), pa.array(rows, pa.list_(pa.int32())), pa.array(cols, pa.list_(pa.int32()))], names=["label", "n", "row", "col"])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    b.column("label"), pa.array(n, pa.int32()), pa.array(rows, pa.list_(pa.int32())),
+                    pa.array(cols, pa.list_(pa.int32()))
+                ],
+                names=["label", "n", "row", "col"]
+            )
 
     return docs.select("label", "text").mapInArrow(batches, "label int, n int, row array<int>, col array<int>")
 
 
 def fit(bags: list, n_features: int, weight: dict[int, float]) -> tuple[np.ndarray, float]:
-    """Weights and bias that maximise the likelihood of labels under the noisy-or, by Adam. Sentences without features share one score."""
+    """Weights and bias that maximise the likelihood of labels under the noisy-or, by Adam. Sentences without features
+    share one score.
+    """
     y = np.array([b["label"] for b in bags], float)
     importance = np.array([weight[b["label"]] for b in bags], float)
     importance /= importance.sum()
@@ -161,7 +180,10 @@ def fit(bags: list, n_features: int, weight: dict[int, float]) -> tuple[np.ndarr
         # d log-likelihood / d log(1 - P): for label 0 it is 1, for label 1 it is -(1 - P) / P
         slope = np.where(y == 1, -clean / np.maximum(1 - clean, 1e-9), 1.0) * importance
         each = -slope[doc] * np.exp(z + log_not) if at else np.zeros(0)  # d log(1 - p) / dz = -p
-        grad = np.append(np.bincount(col, each[row], n_features) if at else np.zeros(n_features), each.sum() - (slope * bare).sum() * np.exp(bias + none))
+        grad = np.append(
+            np.bincount(col, each[row], n_features) if at else np.zeros(n_features),
+            each.sum() - (slope * bare).sum() * np.exp(bias + none)
+        )
         grad[:-1] -= PENALTY / len(bags) * w
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
         move = 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-10)
@@ -187,20 +209,27 @@ def held_out(doc: str = "doc_id"):
     return F.crc32(F.coalesce(F.col(doc).cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
-def labelled(docs: DataFrame, labels: DataFrame, doc: str = "doc_id", text: str = "text", label: str = "toxic", fit_texts: int = FIT_TEXTS) -> tuple[DataFrame, dict[int, float]]:
-    """The sample (text, label) to learn from, about ``fit_texts`` ids of either label, and how many rows one row of a label stands for.
+def labelled(
+    docs: DataFrame, labels: DataFrame, doc: str = "doc_id", text: str = "text", label: str = "toxic", fit_texts: int = FIT_TEXTS
+) -> tuple[DataFrame, dict[int, float]]:
+    """The sample (text, label) to learn from, about ``fit_texts`` ids of either label, and how many rows one row of a
+    label stands for.
 
     Held-out ids, null ids and null labels are left out; of several labels of an id the
     highest counts. The sample's ids are broadcast: their number is bounded.
     """
-    marks = labels.where(F.col(label).isNotNull() & F.col(doc).isNotNull()).groupBy(F.col(doc).alias("doc_id")).agg(F.max(F.col(label).cast("int")).alias("label")).where(~held_out())
+    marks = labels.where(
+        F.col(label).isNotNull() & F.col(doc).isNotNull()
+    ).groupBy(F.col(doc).alias("doc_id")).agg(F.max(F.col(label).cast("int")).alias("label")).where(~held_out())
     n = {r["label"]: r["count"] for r in marks.groupBy("label").count().collect()}
     share = {x: min(1.0, fit_texts / k) for x, k in n.items()}
     cut = F.lit(0.0)
     for x, p in share.items():
         cut = F.when(F.col("label") == x, p).otherwise(cut)
     ids = marks.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < cut * 1_000_000)
-    texts = docs.select(F.col(doc).alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(ids), "doc_id").select("text", "label")
+    texts = docs.select(
+        F.col(doc).alias("doc_id"), F.col(text).alias("text")
+    ).join(F.broadcast(ids), "doc_id").select("text", "label")
     return texts, {x: 1 / p for x, p in share.items()}
 
 
@@ -228,7 +257,9 @@ def score_texts(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
 
 def model_for(docs: DataFrame, labels: DataFrame) -> Model:
-    """A model from the labels of documents. Null ids, labels and texts teach nothing; without labels of both kinds all scores are near the only one, or 0."""
+    """A model from the labels of documents. Null ids, labels and texts teach nothing; without labels of both kinds all
+    scores are near the only one, or 0.
+    """
     sample, weight = labelled(docs, labels)
     return train(stage_table(sample, "op10-sample"), weight)
 
@@ -237,4 +268,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     model = model_for(docs, read(spark, sf_dir, "labels"))
     out = score_texts(docs, model)
-    return out.select("doc_id", held_out().alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).cast("int").alias("predicted"), F.size("offending").alias("n_offending"))
+    return out.select(
+        "doc_id", held_out().alias("held_out"), "score",
+        F.when(F.col("score") >= 0.5, 1).otherwise(0).cast("int").alias("predicted"), F.size("offending").alias("n_offending")
+    )

@@ -12,15 +12,22 @@ from pyspark.sql import functions as F
 
 from reasonlake.llm import bpe, common, decontaminate, html_text, line_dedup, near_dedup, quality, sharding, substring_dedup, token_counts, toxicity
 
-#: Odd rows: nulls in all columns, empty and blank texts, repeats, ties, a very long text, and columns whose names operators use themselves.
+#: Odd rows: nulls in all columns, empty and blank texts, repeats, ties, a very long text, and columns whose names
+#: operators use themselves.
 SCHEMA = "doc_id long, text string, source string, n_words long, shard int, score double, kept boolean, n_removed long, `a b` int, word string, sig binary, marks string"
 EXTRA = (1, 2, 3.0, True, 4, 5, "w", b"s", "m")
 LONG = " ".join(f"w{i % 977}x{i % 13}" for i in range(60_000))
 
 
 def odd(spark):
-    rows = [(None, None), (None, "only null id here"), (1, None), (2, ""), (3, " \n\t "), (4, "one"), (5, "one"), (5, "one"), (6, "same id first"), (6, "same id second text"), (7, LONG), (8, LONG), (9, "é😀 x\x00y \x1c z"), (10, "a b c d e f g h i j k l m n o p")]
-    return spark.createDataFrame([(*r, None if i % 3 else "s1", *((None,) * 9 if i % 2 else EXTRA)) for i, r in enumerate(rows)], SCHEMA)
+    rows = [
+        (None, None), (None, "only null id here"), (1, None), (2, ""), (3, " \n\t "), (4, "one"), (5, "one"), (5, "one"),
+        (6, "same id first"), (6, "same id second text"), (7, LONG), (8, LONG), (9, "é😀 x\x00y \x1c z"),
+        (10, "a b c d e f g h i j k l m n o p")
+    ]
+    return spark.createDataFrame(
+        [(*r, None if i % 3 else "s1", *((None,) * 9 if i % 2 else EXTRA)) for i, r in enumerate(rows)], SCHEMA
+    )
 
 
 def empty(spark):
@@ -79,7 +86,9 @@ def brute_classes(rows, k, percent):
     return {d: (len(sets[d]), find(d)) for d in sets}
 
 
-@pytest.mark.parametrize("k,percent,limits", [(3, 85, {}), (5, 80, {"key_members": 3, "group_shingles": 400}), (3, 85, {"group_shingles": 60})])
+@pytest.mark.parametrize(
+    "k,percent,limits", [(3, 85, {}), (5, 80, {"key_members": 3, "group_shingles": 400}), (3, 85, {"group_shingles": 60})]
+)
 def test_near_duplicate_classes(spark, k, percent, limits):
     rows = corpus(k)
     got = near_dedup.classes(spark.createDataFrame(rows, "doc_id long, text string"), k, percent, **limits).collect()
@@ -90,7 +99,9 @@ def test_near_duplicate_classes(spark, k, percent, limits):
 def test_links_of_large_groups(spark):
     """A chain of texts, each near the next alone: nearly all members stay open after the hub."""
     w = [f"w{i}" for i in range(400)]
-    rows = [(i + 1, " ".join(w[3 * i : 3 * i + 60])) for i in range(60)] + [(100 + i, " ".join(w[200:300] + [f"x{i}"])) for i in range(20)]
+    rows = [(i + 1, " ".join(w[3 * i : 3 * i + 60])) for i in range(60)] + [
+        (100 + i, " ".join(w[200:300] + [f"x{i}"])) for i in range(20)
+    ]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     for limits in ({"group_shingles": 300}, {"group_shingles": 90, "key_members": 2}, {}):
         got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dedup.classes(df, 3, 85, **limits).collect()}
@@ -116,8 +127,12 @@ def test_members_of_different_salts_meet(spark, similarity):
     # a chain: a leader of leaders, leader 1, its member, a member of leader 2 within reach, leader 2
     ends = [0, near, 2 * near, 2 * near + reach, 3 * near + reach]
     sigs = [(np.arange(index.symbols) < e).astype(np.uint16).tobytes() for e in ends]
-    met = spark.createDataFrame([(7, node, 5, salt) for node, salt in enumerate([2, 0, 0, 1, 1])], "key long, node long, n long, salt int")
-    known = spark.createDataFrame([(node, w, bytearray(x)) for node, (w, x) in enumerate(zip([9, 8, 1, 1, 8], sigs))], "node long, weight long, sig binary")
+    met = spark.createDataFrame(
+        [(7, node, 5, salt) for node, salt in enumerate([2, 0, 0, 1, 1])], "key long, node long, n long, salt int"
+    )
+    known = spark.createDataFrame(
+        [(node, w, bytearray(x)) for node, (w, x) in enumerate(zip([9, 8, 1, 1, 8], sigs))], "node long, weight long, sig binary"
+    )
     roots = {r["node"]: r["root"] for r in near_dedup.connected(near_dedup._tie(met, known, index)).collect()}
     assert roots[2] == roots[3]
 
@@ -181,14 +196,20 @@ def test_main_text_is_not_one_part_of_the_article(article, inner):
 
 def test_main_text_with_lead_beside_the_body():
     body = "".join(f"<p>{x}</p>" for x in ITEMS)
-    assert html_text.main_text(f"<article><h1>T</h1><div class=lead>Short lead</div><div class=body>{body}</div></article>").split("\n") == ["T", "Short lead", *ITEMS]
-    two = html_text.main_text(f"<body><h1>T</h1><article class=a><p>{ITEMS[0]}</p><div>note</div></article><article class=b>{body}</article></body>")
+    assert html_text.main_text(
+        f"<article><h1>T</h1><div class=lead>Short lead</div><div class=body>{body}</div></article>"
+    ).split("\n") == ["T", "Short lead", *ITEMS]
+    two = html_text.main_text(
+        f"<body><h1>T</h1><article class=a><p>{ITEMS[0]}</p><div>note</div></article><article class=b>{body}</article></body>"
+    )
     assert two.split("\n") == ["T", ITEMS[0], "note", *ITEMS]
 
 
 def test_main_text_leaves_links_beside_a_layout_cell():
     links = "".join(f'<a href="/{i}">item {i}</a> ' for i in range(20))
-    text = html_text.main_text(f"<body><table><tr><td class=l>{links}</td><td class=r>{''.join(f'<p>{x}</p>' for x in ITEMS)}</td></tr></table></body>")
+    text = html_text.main_text(
+        f"<body><table><tr><td class=l>{links}</td><td class=r>{''.join(f'<p>{x}</p>' for x in ITEMS)}</td></tr></table></body>"
+    )
     assert text.split("\n") == ITEMS
 
 
@@ -200,13 +221,25 @@ PROSE = "".join(f"<p>{x}</p>" for x in ITEMS)
     [
         ('<div class="site no-sidebar"><article><h1>T</h1>{}</article></div>', ["T", *ITEMS]),
         ('<div class="post comments-open">{}</div>', ITEMS),
-        ('<header><p>Site, name.</p></header><article><header><h1>Title</h1></header>{}<footer>by me, today.</footer></article>', ["Title", *ITEMS]),
-        ('<article>{}<p style="display: none">hid, this. den.</p><div style="visibility:hidden">And, this.</div></article>', ITEMS),
+        (
+            '<header><p>Site, name.</p></header><article><header><h1>Title</h1></header>{}<footer>by me, today.</footer></article>',
+            ["Title", *ITEMS]
+        ),
+        (
+            '<article>{}<p style="display: none">hid, this. den.</p><div style="visibility:hidden">And, this.</div></article>',
+            ITEMS
+        ),
         ('<div class="promo9"><h2>Buy, now</h2></div><h1>T</h1><div class="a">{}</div>', ["T", *ITEMS]),
         ('<div class="sidebar"><h1>T</h1>{}<div class="ad">Buy, this. Now, please.</div></div>', ["T", *ITEMS]),
         ('<div id="content">{}</div><div id="comments"><p>A long comment, with stops. And more, and more.</p></div>', ITEMS),
-        ('<div role="navigation"><p>This, that. And more, too.</p></div><div class="cookieNotice">Cookies, here. Yes, please.</div>{}', ITEMS),
-        ('<div class="main-nav"><p>One, two. Three, four.</p></div><div class="entry-header"><h1>T</h1></div><div class="entry">{}</div>', ["T", *ITEMS]),
+        (
+            '<div role="navigation"><p>This, that. And more, too.</p></div><div class="cookieNotice">Cookies, here. Yes, please.</div>{}',
+            ITEMS
+        ),
+        (
+            '<div class="main-nav"><p>One, two. Three, four.</p></div><div class="entry-header"><h1>T</h1></div><div class="entry">{}</div>',
+            ["T", *ITEMS]
+        ),
     ],
 )
 def test_main_text_by_paths_and_cues(page, want):
@@ -255,7 +288,10 @@ def test_ratios_of_paths_by_brute_force():
 def test_deep_and_long_pages_take_time_in_proportion():
     import time
 
-    for page in ("<div>x, y." * 20_000, "<p><button>" + "<b>" * 20_000 + "<div></div>" * 20_000 + "</i>" * 20_000, "<li><div>" * 20_000, "<ul>" + "<li>word, and. more" * 60_000):
+    for page in (
+        "<div>x, y." * 20_000, "<p><button>" + "<b>" * 20_000 + "<div></div>" * 20_000 + "</i>" * 20_000, "<li><div>" * 20_000,
+        "<ul>" + "<li>word, and. more" * 60_000
+    ):
         began = time.process_time()
         html_text.main_text(page)
         assert time.process_time() - began < 5
@@ -264,14 +300,25 @@ def test_deep_and_long_pages_take_time_in_proportion():
 
 
 def test_pages_keep_clashing_columns(spark):
-    df = spark.createDataFrame([(1, "u", PAGE, 5, 2, "x", "y"), (2, None, None, None, None, None, None)], "page_id long, url string, html string, n_chars int, path int, parent string, `a b` string")
+    df = spark.createDataFrame(
+        [(1, "u", PAGE, 5, 2, "x", "y"), (2, None, None, None, None, None, None)],
+        "page_id long, url string, html string, n_chars int, path int, parent string, `a b` string"
+    )
     out = html_text.extract_text(df)
     assert out.columns == ["page_id", "url", "n_chars", "path", "parent", "a b", "text"]
-    assert {tuple(r) for r in out.collect()} == {(1, "u", 5, 2, "x", "y", html_text.main_text(PAGE)), (2, None, None, None, None, None, "")}
+    assert {tuple(r) for r in out.collect()} == {
+        (1, "u", 5, 2, "x", "y", html_text.main_text(PAGE)), (2, None, None, None, None, None, "")
+    }
 
 
 def test_pages_of_any_kind(spark):
-    df = spark.createDataFrame([(1, None, "old"), (2, "", "old"), (3, "plain words only.", "old"), (4, "<p>unclosed <b>x", "old"), (5, PAGE, "old"), (5, PAGE, None), (None, "<nav>menu</nav>", "old"), (6, "<" * 5000, "old")], "page_id long, html string, text string")
+    df = spark.createDataFrame(
+        [
+            (1, None, "old"), (2, "", "old"), (3, "plain words only.", "old"), (4, "<p>unclosed <b>x", "old"), (5, PAGE, "old"),
+            (5, PAGE, None), (None, "<nav>menu</nav>", "old"), (6, "<" * 5000, "old")
+        ],
+        "page_id long, html string, text string"
+    )
     got = collections.Counter((r["page_id"], r["text"]) for r in html_text.extract_text(df).collect())
     assert got[1, ""] == 1 and got[2, ""] == 1 and got[3, "plain words only."] == 1 and got[4, "unclosed x"] == 1 and got[None, ""] == 1
     assert got[5, html_text.main_text(PAGE)] == 2
@@ -310,7 +357,9 @@ def test_sharding_query_columns(spark, tmp_path):
     out = sharding.op3_sharding(spark, str(tmp_path)).collect()
     want = {d: (len((t or "").encode()) + 16, zlib.crc32((t or "").encode())) for d, t in rows}
     assert {r["doc_id"]: (r["size"], r["text_crc32"]) for r in out} == want
-    assert {(r["law"], r["grown_shard"]) for r in out} == {("rows", None)} and all(r["slot"] == 0 for r in out) and len({r["shard"] for r in out}) == 5
+    assert {
+        (r["law"], r["grown_shard"]) for r in out
+    } == {("rows", None)} and all(r["slot"] == 0 for r in out) and len({r["shard"] for r in out}) == 5
 
 
 def test_shards_of_odd_rows(spark):
@@ -333,10 +382,14 @@ def brute_counts(text):
 
 def test_base_counts(spark):
     r = random.Random(5)
-    texts = [None, "", " ", "a", "a b", "a b c", "a a a a a", "x\x1cy z", "é😀 # |\n# |\n\n \x0b\n# |", LONG[:9000]] + ["".join(r.choice(["a ", "b ", "c\n", "#", "\t", "é "]) for _ in range(r.randint(0, 80))) for _ in range(150)]
+    texts = [None, "", " ", "a", "a b", "a b c", "a a a a a", "x\x1cy z", "é😀 # |\n# |\n\n \x0b\n# |", LONG[:9000]] + [
+        "".join(r.choice(["a ", "b ", "c\n", "#", "\t", "é "]) for _ in range(r.randint(0, 80))) for _ in range(150)
+    ]
     df = spark.createDataFrame(list(enumerate(texts)), "i int, text string").withColumn("n_words", F.lit("clash"))
     for x in quality.base_counts(df).collect():
-        assert (x["n_words"], x["word_chars"], x["n_symbols"], x["n_dup_lines"], x["n_repeat_words"]) == brute_counts(texts[x["i"]]), repr(texts[x["i"]])
+        assert (
+            x["n_words"], x["word_chars"], x["n_symbols"], x["n_dup_lines"], x["n_repeat_words"]
+        ) == brute_counts(texts[x["i"]]), repr(texts[x["i"]])
 
 
 def test_rules_find_a_planted_threshold(spark):
@@ -369,12 +422,20 @@ def test_quality_verdicts_by_the_list(spark):
     marked = quality.labelled(table, spark.createDataFrame(labels, "doc_id long, quality int"))
     rules = quality.learned(marked)
     figures = {x["rule"]: (x["n"], x["n_bad"]) for x in quality.list_figures(marked, rules).collect()}
-    assert rules and all(n == bad if k else bad == 0 for k, (n, bad) in figures.items()) and sum(n for n, _ in figures.values()) > 50
-    out = {x["doc_id"]: x for x in quality.judge_quality(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int")).collect()}
+    assert rules and all(
+        n == bad if k else bad == 0 for k, (n, bad) in figures.items()
+    ) and sum(n for n, _ in figures.values()) > 50
+    out = {
+        x["doc_id"]: x for x in quality.judge_quality(
+            spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int")
+        ).collect()
+    }
     for d, t in rows:
         n, _, symbols, _, repeats = brute_counts(t)
         failed = n < 50 or 100 * repeats > 50 * n
-        first = next((i for i, rule in enumerate(rules, 1) if all((out[d][c.stat] > c.bound) == c.above for c in rule.conditions)), 0)
+        first = next(
+            (i for i, rule in enumerate(rules, 1) if all((out[d][c.stat] > c.bound) == c.above for c in rule.conditions)), 0
+        )
         assert (out[d]["base_failed"], out[d]["rule"], out[d]["kept"]) == (failed, first, not failed and first == 0)
         assert failed or out[d]["kept"] == (symbols <= 1), (d, symbols)
 
@@ -454,12 +515,25 @@ def test_contamination(spark, limit, piece, monkeypatch):
     monkeypatch.setattr(decontaminate, "PIECE", piece)
     r = random.Random(8)
     rows = corpus(11, 60)
-    items = [(1, " ".join(f"q{i}" for i in range(30))), (20, rows[4][1] + " zz"), (3, "Short, Item!"), (4, "solo"), (5, None), (6, "..."), (3, "Short, Item!"), (7, "É one two three four")]
-    docs = [(d, t + r.choice(["", " short ITEM", " solo", " q1 q2 q3 q4 q5 q6 q7 q8 q9 q10 q11 q12 q13 q14", " é one two three four"])) for d, t in rows] + [(900, None), (901, ""), (902, "x"), (902, "solo"), (902, "solo"), (None, "solo")]
+    items = [
+        (1, " ".join(f"q{i}" for i in range(30))), (20, rows[4][1] + " zz"), (3, "Short, Item!"), (4, "solo"), (5, None),
+        (6, "..."), (3, "Short, Item!"), (7, "É one two three four")
+    ]
+    docs = [
+        (
+            d,
+            t + r.choice(["", " short ITEM", " solo", " q1 q2 q3 q4 q5 q6 q7 q8 q9 q10 q11 q12 q13 q14", " é one two three four"])
+        ) for d,
+        t in rows
+    ] + [(900, None), (901, ""), (902, "x"), (902, "solo"), (902, "solo"), (None, "solo")]
     df = spark.createDataFrame(docs, "doc_id long, text string")
     bench = spark.createDataFrame(items, "item_id long, text string")
     monkeypatch.setattr(decontaminate.hits, "__defaults__", (limit,))
-    got = collections.Counter((x["doc_id"], x["n_words"], x["n_hit"], tuple(x["items"]), x["contaminated"]) for x in decontaminate.contamination(df, bench).collect())
+    got = collections.Counter(
+        (
+            x["doc_id"], x["n_words"], x["n_hit"], tuple(x["items"]), x["contaminated"]
+        ) for x in decontaminate.contamination(df, bench).collect()
+    )
     want = collections.Counter()
     for d, t in docs:
         n, h, i = brute_hits(t, items)
@@ -481,7 +555,10 @@ def test_decontamination_keeps_rows_whole(spark):
 
 
 def test_line_dedup(spark):
-    rows = [(i, f"own {i}\n same \n\nown {i}", f"s{i % 4}") for i in range(12)] + [(50, "rare", "s0"), (51, "rare", "s1"), (52, "rare\nx", "s2"), (60, None, "s9"), (61, "", None), (62, "same", None), (63, "same\nsame", "s1")]
+    rows = [(i, f"own {i}\n same \n\nown {i}", f"s{i % 4}") for i in range(12)] + [
+        (50, "rare", "s0"), (51, "rare", "s1"), (52, "rare\nx", "s2"), (60, None, "s9"), (61, "", None), (62, "same", None),
+        (63, "same\nsame", "s1")
+    ]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("line_no", F.lit(1))
     got = {r["doc_id"]: (r["text"], r["n_removed"]) for r in line_dedup.dedup_lines(df, min_sites=4).collect()}
     assert got[0] == ("own 0\n same \n\nown 0", 0) and got[5] == ("own 5\n\nown 5", 1) and got[52] == ("rare\nx", 0)
@@ -494,7 +571,11 @@ def test_line_dedup_counts_near_the_threshold_exactly(spark):
     rows = [(d, f"line {n}", f"site{d}") for n in (38, 39, 40, 41, 42) for d in range(n)]
     df = spark.createDataFrame([(i, t, s) for i, (_, t, s) in enumerate(rows)], "doc_id long, text string, source string")
     hit = {r["line_hash"] for r in line_dedup.boilerplate(line_dedup.lines_of(df, "doc_id", "text", "source"), 40, 4).collect()}
-    assert hit == {r["h"] for r in spark.createDataFrame([(f"line {n}",) for n in (40, 41, 42)], "t string").select(F.xxhash64("t").alias("h")).collect()}
+    assert hit == {
+        r["h"] for r in spark.createDataFrame(
+            [(f"line {n}",) for n in (40, 41, 42)], "t string"
+        ).select(F.xxhash64("t").alias("h")).collect()
+    }
 
 
 def test_line_dedup_of_odd_rows(spark):
@@ -506,7 +587,11 @@ def test_line_dedup_of_odd_rows(spark):
     marked = {(r["text"] or "").strip() for r in odd(spark).where("source = 's1'").collect()} - {""}
     for r in odd(spark).collect():
         t = r["text"]
-        cut = t is not None and t.strip() in marked and (r["doc_id"] is None or any(o["text"] == t and o["doc_id"] is not None and o["doc_id"] < r["doc_id"] for o in odd(spark).collect()))
+        cut = t is not None and t.strip() in marked and (
+            r["doc_id"] is None or any(
+                o["text"] == t and o["doc_id"] is not None and o["doc_id"] < r["doc_id"] for o in odd(spark).collect()
+            )
+        )
         texts[r["doc_id"], "" if cut else t, int(cut)] += 1
     assert got == texts
 
@@ -525,7 +610,9 @@ def brute_removed(rows, size=13):
     out = collections.Counter()
     for d, t in rows:
         w = words(t)
-        gone = {p for i in range(len(w) - size + 1) if d is not None and first[tuple(w[i : i + size])] < d for p in range(i, i + size)}
+        gone = {
+            p for i in range(len(w) - size + 1) if d is not None and first[tuple(w[i : i + size])] < d for p in range(i, i + size)
+        }
         out[d, len(w), len(gone), " ".join(x for p, x in enumerate(w) if p not in gone)] += 1
     return out
 
@@ -536,7 +623,10 @@ def kept(out):
 
 @pytest.mark.parametrize("groups,codes,common", [(1, 50, 20_000), (16, 4_000_000, 20_000), (16, 50, 1)])
 def test_substring_dedup(spark, groups, codes, common, monkeypatch):
-    rows = corpus(21, 100) + [(500, "a " * 40), (501, "a " * 30), (502, "a " * 12), (7, "b " * 20 + "a " * 14), (None, "a " * 30), (500, "c " * 15), (499, "c " * 14), (503, None), (504, "")]
+    rows = corpus(21, 100) + [
+        (500, "a " * 40), (501, "a " * 30), (502, "a " * 12), (7, "b " * 20 + "a " * 14), (None, "a " * 30), (500, "c " * 15),
+        (499, "c " * 14), (503, None), (504, "")
+    ]
     monkeypatch.setattr(substring_dedup, "GROUPS", groups)
     monkeypatch.setattr(substring_dedup, "GROUP_CODES", codes)
     monkeypatch.setattr(substring_dedup, "PREFIX_ROWS", common)
@@ -550,7 +640,9 @@ def test_trees_compare_words_whatever_their_hashes(code, monkeypatch):
     """Without Spark: the suffixes of a corpus in one tree, when hashes of words clash."""
     monkeypatch.setattr(common.WordCodes, "__missing__", lambda self, w: code(w))
     monkeypatch.setattr(substring_dedup, "CODES", common.WordCodes())
-    rows = [(d, t) for d, t in corpus(31, 80) if words(t)] + [(900, "a " * 40), (901, "a " * 30), (902, "b a a a a a a a a a a a a a")]
+    rows = [(d, t) for d, t in corpus(31, 80) if words(t)] + [
+        (900, "a " * 40), (901, "a " * 30), (902, "b a a a a a a a a a a a a a")
+    ]
     texts, ids = [t.encode() for _, t in rows], np.array([d for d, _ in rows])
     anchors = np.concatenate([substring_dedup.window_anchors(substring_dedup.CODES.array(t.split()), 13, 5)[0] for t in texts])
     s = substring_dedup._cut(ids, ids, texts, np.unique(anchors), 13, 5, 4)
@@ -602,13 +694,19 @@ def test_bpe_is_that_of_the_merges(spark):
 
     for name in ("byte_bpe_multi_50k.tiktoken", "byte_bpe_50k.tiktoken"):
         ranks = bpe.load_ranks(bpe._path(name))
-        c, e = bpe.Codec(ranks, bpe._pattern()), tiktoken.Encoding("t", pat_str=bpe._pattern(), mergeable_ranks=ranks, special_tokens={})
+        c, e = bpe.Codec(ranks, bpe._pattern()), tiktoken.Encoding(
+            "t", pat_str=bpe._pattern(), mergeable_ranks=ranks, special_tokens={}
+        )
         r, tokens = random.Random(6), list(ranks)
         for i in range(4000):
             if i % 4 == 0:
                 t = "".join(r.choice("abcdeth inso") for _ in range(r.randint(0, 40)))
             elif i % 4 == 1:
-                t = "".join(chr(r.choice([r.randint(0, 127), r.randint(0, 0x2FFF), r.randint(0x1F300, 0x1F6FF)])) for _ in range(r.randint(0, 15)))
+                t = "".join(
+                    chr(
+                        r.choice([r.randint(0, 127), r.randint(0, 0x2FFF), r.randint(0x1F300, 0x1F6FF)])
+                    ) for _ in range(r.randint(0, 15))
+                )
             elif i % 4 == 2:
                 t = b"".join(r.choice(tokens) for _ in range(r.randint(1, 6))).decode("utf-8", "ignore")
             else:
@@ -631,7 +729,9 @@ def test_bpe_without_some_merges():
 
 def test_bpe_of_odd_rows(spark):
     out = bpe.bpe_decode(bpe.bpe_encode(odd(spark))).collect()
-    assert len(out) == 14 and all(bytes(r["decoded"]) == (r["text"] or "").encode() and len(r["token_ids"]) == 4 * r["n_tokens"] for r in out)
+    assert len(out) == 14 and all(
+        bytes(r["decoded"]) == (r["text"] or "").encode() and len(r["token_ids"]) == 4 * r["n_tokens"] for r in out
+    )
     assert bpe.bpe_encode(empty(spark)).count() == 0
 
 
@@ -673,6 +773,8 @@ def test_toxicity_of_odd_rows(spark):
 
 def test_words_and_stage_tables(spark):
     df = spark.createDataFrame([(t,) for t in (None, "", " ", " a", "a ", "\ta\x0bb\r\n", "a\x1cb c")], "t string")
-    assert [r["w"] for r in df.select(common.words_of(F.col("t")).alias("w")).collect()] == [words(t) for t in (None, "", " ", " a", "a ", "\ta\x0bb\r\n", "a\x1cb c")]
+    assert [
+        r["w"] for r in df.select(common.words_of(F.col("t")).alias("w")).collect()
+    ] == [words(t) for t in (None, "", " ", " a", "a ", "\ta\x0bb\r\n", "a\x1cb c")]
     assert common.stage_table(df, "t").count() == 7 and common.stage_root(spark).startswith("file://")
     assert hashlib.sha256(b"").hexdigest() == df.limit(1).select(F.sha2(F.lit("").cast("binary"), 256).alias("x")).first()["x"]

@@ -50,11 +50,16 @@ def brute_toxic(rows, labels):
 
     tried = {w: told(a, seen[0][w]) for w, a in seen[1].items() if a >= toxicity.LEAST_TEXTS and a * n0 > seen[0][w] * n1}
     cut = toxicity.least_gain(len(tried), n1, n0)
-    vocabulary = {w: i for i, w in enumerate(sorted((w for w, g in tried.items() if g > cut), key=lambda w: (-round(tried[w], 6), w)))}
+    vocabulary = {
+        w: i for i, w in enumerate(sorted((w for w, g in tried.items() if g > cut), key=lambda w: (-round(tried[w], 6), w)))
+    }
     bags = []
     for t, y in train:
         s = toxicity.sentences(t)
-        got = [(i, vocabulary[f]) for i, (_, _, x) in enumerate(s) for w in toxicity.words(x) for f in toxicity.features(w) if f in vocabulary]
+        got = [
+            (i, vocabulary[f]) for i,
+            (_, _, x) in enumerate(s) for w in toxicity.words(x) for f in toxicity.features(w) if f in vocabulary
+        ]
         bags.append({"label": y, "n": max(1, len(s)), "row": [x for x, _ in got], "col": [x for _, x in got]})
     w, bias = toxicity.fit(bags, len(vocabulary), {0: 1.0, 1: 1.0})
     model = toxicity.Model({x: float(w[i]) for x, i in vocabulary.items()}, bias)
@@ -95,7 +100,9 @@ def test_stages(spark, tmp_path):
             assert gone == brute_toxic(list(before.items()), labels)
             assert gone & {d for d, y in labels if y == 1} and not gone & {d for d, y in labels if y == 0}
         elif name == "line_dedup":
-            assert {r["doc_id"]: r["text"] for r in got} == brute_lines([(r["doc_id"], r["text"], r["source"]) for r in rows_], 10)
+            assert {r["doc_id"]: r["text"] for r in got} == brute_lines(
+                [(r["doc_id"], r["text"], r["source"]) for r in rows_], 10
+            )
             assert all(r["n_chars"] == len(r["text"] or "") for r in got)
         elif name == "near_dedup":
             assert after == {d for d, (_, c) in brute_classes(list(before.items()), 5, 80).items() if c == d}
@@ -104,7 +111,10 @@ def test_stages(spark, tmp_path):
             judged = {d: brute_hits(t, items) for d, t in before.items()}
             assert after == {d for d, (n, h, _) in judged.items() if not (h and 20 * h >= n)}
         elif name == "bpe":
-            known = tiktoken.Encoding("t", pat_str=bpe._pattern(), mergeable_ranks=bpe.load_ranks(bpe._path("byte_bpe_multi_50k.tiktoken")), special_tokens={})
+            known = tiktoken.Encoding(
+                "t", pat_str=bpe._pattern(), mergeable_ranks=bpe.load_ranks(bpe._path("byte_bpe_multi_50k.tiktoken")),
+                special_tokens={}
+            )
             for r in got:
                 ids = known.encode_ordinary(before[r["doc_id"]] or "")
                 assert (r["n_tokens"], r["ids_sha256"]) == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest())
@@ -117,8 +127,12 @@ def test_stages_take_odd_rows(spark, tmp_path, rows_):
     """Nulls in all columns, empty, blank and long texts, repeated rows and ids, clashing columns; and no rows at all."""
     odd_rows = odd(spark).withColumns({"lang": F.when(F.col("doc_id") > 4, "en"), "n_chars": F.length("text").cast("long")})
     docs = odd_rows if rows_ == "odd" else odd_rows.limit(0)
-    spark.createDataFrame([(4, 1, 1), (4, None, 0), (None, 1, 1), (10, 0, 1)], "doc_id long, toxic int, quality int").write.parquet(f"{tmp_path}/labels.parquet")
-    spark.createDataFrame([(1, "one"), (2, None), (None, "")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame(
+        [(4, 1, 1), (4, None, 0), (None, 1, 1), (10, 0, 1)], "doc_id long, toxic int, quality int"
+    ).write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame(
+        [(1, "one"), (2, None), (None, "")], "item_id long, text string"
+    ).write.parquet(f"{tmp_path}/benchmark.parquet")
     want = {"toxicity": 14, "line_dedup": 14, "near_dedup": 11, "decontamination": 11, "bpe": 14}
     for name, stage in pipeline.STAGES:
         out = stage(spark, docs, str(tmp_path))
