@@ -58,10 +58,17 @@ def model_label(model: Column) -> Column:
     return F.coalesce(lookup(model, MODEL_LABELS), model)
 
 
-def bench_of(task: Column) -> Column:
-    """Benchmark of a task by its name."""
-    mle = task.startswith("mle_") | task.contains("integrity")
-    return F.when(task.startswith("aiob_"), "AIOB").when(mle, "MLE").when(task.startswith("kb_"), "KB").otherwise("DSB")
+def bench_of(task: Column, benches: list[tuple[str, str, str]], other: str) -> Column:
+    """Benchmark of a task: of (start of its name, or empty; a part of it, or empty; benchmark) the first of which either fits."""
+    out = F.lit(other)
+    for start, part, name in reversed(benches):
+        fits = F.lit(False)
+        if start:
+            fits = fits | task.startswith(start)
+        if part:
+            fits = fits | task.contains(part)
+        out = F.when(fits, name).otherwise(out)
+    return out
 
 
 def prompt_bucket(mode: Column, variant: Column, baseline: tuple[str, ...], pathful: tuple[str, ...]) -> Column:

@@ -142,12 +142,8 @@ ROLE_ENDINGS = (
     *((e, "", "extra_data") for e in (".tsv", ".parquet", ".feather", ".jsonl", ".npy", ".npz", ".h5", ".hdf5")),
     *((e, "", "media") for e in (".jpg", ".jpeg", ".png", ".tif", ".tiff", ".wav", ".mp3", ".flac")),
 )
-# File endings of a code tree, its buckets by path or start of the path; the first that fits counts.
+# File endings that a code tree's buckets hold.
 CODE_ENDINGS = (".py", ".yaml", ".sh", ".md")
-CODE_BUCKETS = (
-    ("agentiobench/runner.py", "core_runner"), ("agentiobench/tools.py", "core_tools"), ("agentiobench/llm.py", "core_llm"),
-    ("agentiobench/config/", "config_files"), ("agentiobench/", "core_other"), ("paper_evals/", "tests"), ("scripts/", "scripts_dir"), ("dftracer/", "tracing_files"),
-)
 # Patterns whose first group is the instance of a bucket, by the bucket's class.
 INSTANCES = {
     "band": r"M6C(08|09|10)", "day": r"/\d{4}/(\d{3})/\d{2}/", "detector": r"_(nrc[ab][1234])_", "sample": r"/data/([A-Z]{2}\d{5})/",
@@ -175,12 +171,13 @@ def role_bucket(name: Column) -> Column:
     )
 
 
-def code_bucket(relative: Column) -> Column:
-    """Bucket of a file of a code tree by its path below the root; null for others, caches and other kinds of files."""
-    own = first_fit([(relative.startswith(p) if p.endswith("/") else relative == p, v) for p, v in CODE_BUCKETS])
-    return F.when(
-        _any([relative.endswith(e) for e in CODE_ENDINGS]) & ~relative.contains("__pycache__") & ~relative.contains(".git"), own
-    )
+def code_bucket(relative: Column, buckets: list[tuple[str, str]]) -> Column:
+    """Bucket of a file of a code tree by its path below the root: of (path, or start of one that ends in a slash; bucket) the
+    first that fits; null for others, caches and other kinds of files.
+    """
+    own = first_fit([(relative.startswith(p) if p.endswith("/") else relative == p, v) for p, v in buckets])
+    kind = _any([relative.endswith(e) for e in CODE_ENDINGS])
+    return F.when(kind & ~relative.contains("__pycache__") & ~relative.contains(".git"), own)
 
 
 def csv_role(name: Column) -> Column:

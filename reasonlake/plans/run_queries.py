@@ -132,10 +132,13 @@ def rep_medians(spark, sf):
     ).select("task", "base", "other", *_r(("speedup", "saved"), 3))
 
 
+BENCHES = [("io_", "", "IO"), ("ml_", "integrity", "ML"), ("kb_", "", "KB")]
+
+
 def campaign_runs(spark, sf):
     """Runs by benchmark, model and prompt, after the full campaign filter."""
     o = X.table(spark, sf, "orders")
-    tasks = F.array(*[F.lit(x) for x in ("aiob_1", "mle_2", "kb_3", "data_integrity", "other_5", "ill_6", "skip_7")])
+    tasks = F.array(*[F.lit(x) for x in ("io_1", "ml_2", "kb_3", "data_integrity", "other_5", "ill_6", "skip_7")])
     models = F.array(
         *[F.lit(x) for x in ("claude-haiku-4-5", "claude-sonnet-4-5", "gemini-2.5-flash", "Qwen/Qwen3.6-27B", "deepseek-v")]
     )
@@ -154,7 +157,7 @@ def campaign_runs(spark, sf):
     )
     bucket = L.prompt_bucket(F.col("prompt_mode"), F.col("prompt_variant"), ("plain", "hinted"), ("pathful_v4",))
     return kept.groupBy(
-        L.bench_of(F.col("task")).alias("bench"), L.model_label(F.col("model")).alias("label"), bucket.alias("prompt")
+        L.bench_of(F.col("task"), BENCHES, "rest").alias("bench"), L.model_label(F.col("model")).alias("label"), bucket.alias("prompt")
     ).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -174,9 +177,13 @@ def mount_classes(spark, sf):
     return s.select("s_suppkey", "fs", L.device_class(F.col("fs"), F.col("device"), F.col("rotational")).alias("class"))
 
 
+CODE = [
+    ("core/runner.py", "core_runner"), ("core/config/", "config_files"), ("core/", "core_other"), ("evals/", "tests"),
+    ("scripts/", "scripts_dir"), ("trace/", "tracing_files")
+]
 _NAMES = (
-    "agentiobench/runner.py", "agentiobench/config/a.yaml", "agentiobench/x.py", "paper_evals/t.py", "scripts/run.sh",
-    "dftracer/readme.md", "other/x.py", "scripts/pic.png", "scripts/__pycache__/x.py", "train.csv", "test.csv",
+    "core/runner.py", "core/config/a.yaml", "core/x.py", "evals/t.py", "scripts/run.sh",
+    "trace/readme.md", "other/x.py", "scripts/pic.png", "scripts/__pycache__/x.py", "train.csv", "test.csv",
     "sample_submission.csv", "submission.csv", "a-b.c.csv", "cat.7.jpg", "dog.8.jpg"
 )
 
@@ -187,7 +194,7 @@ def name_buckets(spark, sf):
     f = X.files(spark, sf).withColumn("name", n)
     c = F.col("name")
     return f.groupBy(
-        "name", P.code_bucket(c).alias("code"), P.csv_role(c).alias("role"), P.csv_bucket(P.basename(c)).alias("csv"),
+        "name", P.code_bucket(c, CODE).alias("code"), P.csv_role(c).alias("role"), P.csv_bucket(P.basename(c)).alias("csv"),
         P.class_bucket(c, {"cat": "train_cats", "dog": "train_dogs"}).alias("class")
     ).agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes"))
 
@@ -365,11 +372,11 @@ SQL = {
       select workload, count(*) as n_runs, round(avg(j), 3) as mean_job_time, round(avg(f), 3) as mean_io_frac, round(avg(1 / greatest(1e-9, 1 - f)), 3) as mean_elim_speedup, round(avg((j - p + p * (754.5 / 35.0)) / greatest(1e-9, j - p)), 3) as mean_far_speedup from r group by workload""",
     "rep_medians": """with r as (select o_custkey % 80 as task, case when o_orderkey % 3 = 0 then 'b' else 's' end as side, cast(o_totalprice as double) as v from orders where o_orderstatus <> 'P'), o as (select *, row_number() over (partition by task, side order by v) - 1 as i, count(*) over (partition by task, side) as n from r),
       m as (select task, max(v) filter (side = 'b' and i = n // 2) as base, max(v) filter (side = 's' and i = n // 2) as other from o group by task) select task, base, other, round(base / other, 3) as speedup, round(base - other, 3) as saved from m""",
-    "campaign_runs": """with r as (select ['aiob_1', 'mle_2', 'kb_3', 'data_integrity', 'other_5', 'ill_6', 'skip_7'][o_custkey % 7 + 1] as task, ['Haiku', 'Sonnet', 'Flash', 'Qwen', 'x'][o_orderkey % 5 + 1] as label, case when o_orderstatus = 'F' then (case when o_orderpriority = '5-LOW' then 'pathful' else 'baseline' end) else 'baseline' end as prompt from orders where o_orderpriority <> '1-URGENT' and o_orderstatus <> 'P' and o_totalprice > 1000)
-      select case when task like 'aiob%' then 'AIOB' when task in ('mle_2', 'data_integrity') then 'MLE' when task = 'kb_3' then 'KB' else 'DSB' end as bench, label, prompt, count(*) as n from r where task not in ('ill_6', 'skip_7') and label in ('Haiku', 'Sonnet') group by 1, 2, 3""",
+    "campaign_runs": """with r as (select ['io_1', 'ml_2', 'kb_3', 'data_integrity', 'other_5', 'ill_6', 'skip_7'][o_custkey % 7 + 1] as task, ['Haiku', 'Sonnet', 'Flash', 'Qwen', 'x'][o_orderkey % 5 + 1] as label, case when o_orderstatus = 'F' then (case when o_orderpriority = '5-LOW' then 'pathful' else 'baseline' end) else 'baseline' end as prompt from orders where o_orderpriority <> '1-URGENT' and o_orderstatus <> 'P' and o_totalprice > 1000)
+      select case when task like 'io%' then 'IO' when task in ('ml_2', 'data_integrity') then 'ML' when task = 'kb_3' then 'KB' else 'rest' end as bench, label, prompt, count(*) as n from r where task not in ('ill_6', 'skip_7') and label in ('Haiku', 'Sonnet') group by 1, 2, 3""",
     "mount_classes": """with s as (select s_suppkey, ['tmpfs', 'nfs4', 'fuse.s3fs', 'ext4', 'xfs', 'proc', 'overlay'][s_suppkey % 7 + 1] as fs, s_nationkey % 5 as d, s_nationkey % 3 as r from supplier)
       select s_suppkey, fs, case fs when 'tmpfs' then 'memory' when 'nfs4' then 'network' when 'fuse.s3fs' then 'object' else case when d = 4 or r = 2 then 'unknown' when r = 0 then 'hdd' when d = 0 then 'nvme' else 'ssd' end end as class from s where fs not in ('proc', 'overlay')""",
-    "name_buckets": f"""with n as (select {_NAME_SQL}[doc_id % {len(_NAMES)} + 1] as name, bytes from fx_files) select name, case when name like '%.png' or name like '%pycache%' then null when name = 'agentiobench/runner.py' then 'core_runner' when name like 'agentiobench/config/%' then 'config_files' when name like 'agentiobench/%' then 'core_other' when name like 'paper%' then 'tests' when name like 'scripts/%' then 'scripts_dir' when name like 'dftracer/%' then 'tracing_files' end as code,
+    "name_buckets": f"""with n as (select {_NAME_SQL}[doc_id % {len(_NAMES)} + 1] as name, bytes from fx_files) select name, case when name like '%.png' or name like '%pycache%' then null when name = 'core/runner.py' then 'core_runner' when name like 'core/config/%' then 'config_files' when name like 'core/%' then 'core_other' when name like 'evals/%' then 'tests' when name like 'scripts/%' then 'scripts_dir' when name like 'trace/%' then 'tracing_files' end as code,
       case name when 'train.csv' then 'train_csv' when 'test.csv' then 'test_csv' when 'sample_submission.csv' then 'sample_csv' when 'submission.csv' then 'output_submission' end as role, case when name = 'a-b.c.csv' then 'csv_a_b_c' when name like '%.csv' then concat('csv_', replace(name, '.csv', '')) end as csv, case when name like 'cat.%' then 'train_cats' when name like 'dog.%' then 'train_dogs' end as class, count(*) as n, cast(sum(bytes) as bigint) as bytes from n group by name""",
     "instance_buckets": """with b as (select unnest(case doc_id % 5 when 0 then [concat('band_0', cast(8 + doc_id % 2 as varchar)), concat('day_', lpad(cast(doc_id % 366 as varchar), 3, '0'))] when 1 then [concat('month_2024-', lpad(cast(doc_id % 12 + 1 as varchar), 2, '0'))] when 2 then [concat('detector_nrca', cast(doc_id % 4 + 1 as varchar))] when 3 then [concat('sample_HG', lpad(cast(doc_id % 100 as varchar), 5, '0'))] else [concat('subject_sub-', lang)] end) as bucket, bytes from fx_files)
       select bucket, count(*) as n, cast(sum(bytes) as bigint) as bytes from b group by bucket""",

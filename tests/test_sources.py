@@ -290,8 +290,9 @@ def test_projections_and_devices(spark):
         dev("nfs4", "x", None), dev("ext4", "/dev/nvme0n1", False), dev("ext4", "/dev/sda1", False), dev("xfs", "/dev/sdb", True),
         dev("xfs", "123", True), dev("ext4", "/dev/sda", None)
     ] == ["network", "nvme", "ssd", "hdd", "unknown", "unknown"]
-    bench = lambda t: one(L.bench_of(F.lit(t)))
-    assert [bench(t) for t in ("aiob_1", "mle_x", "kb_integrity", "kb_1", "z")] == ["AIOB", "MLE", "MLE", "KB", "DSB"]
+    benches = [("io_", "", "IO"), ("ml_", "integrity", "ML"), ("kb_", "", "KB")]
+    bench = lambda t: one(L.bench_of(F.lit(t), benches, "rest"))
+    assert [bench(t) for t in ("io_1", "ml_x", "kb_integrity", "kb_1", "z")] == ["IO", "ML", "ML", "KB", "rest"]
     bucket = lambda m, v: one(L.prompt_bucket(F.lit(m).cast("string"), F.lit(v).cast("string"), ("b",), ("p",)))
     assert [bucket("b", "p"), bucket("", "p"), bucket(None, None), bucket("x", "p")] == ["baseline", "pathful", None, None]
 
