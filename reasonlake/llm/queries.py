@@ -8,6 +8,7 @@ from .html_text import op2_html_extraction
 from .line_dedup import OP7_SQL, op7_line_dedup
 from .lm_score import op11_lm_score
 from .near_dedup import op1_near_dedup
+from .periodic import op12_periodic_runs
 from .quality import op4_quality
 from .sharding import op3_sharding
 from .substring_dedup import OP8_SQL, op8_substring_dedup
@@ -17,7 +18,8 @@ from .toxicity import op10_toxicity
 QUERIES = {
     f.__name__: f for f in (
         op1_near_dedup, op2_html_extraction, op3_sharding, op4_quality, op5_token_counts, op6_decontamination, op7_line_dedup,
-        op8_substring_dedup, op9_bpe, op10_toxicity, op11_lm_score
+        op8_substring_dedup, op9_bpe, op10_toxicity, op11_lm_score,
+        op12_periodic_runs
     )
 }
 ORACLE_SQL = {"op6_decontamination": OP6_SQL, "op7_line_dedup": OP7_SQL, "op8_substring_dedup": OP8_SQL}
