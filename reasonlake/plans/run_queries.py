@@ -132,27 +132,26 @@ def rep_medians(spark, sf):
     ).select("task", "base", "other", *_r(("speedup", "saved"), 3))
 
 
-BENCHES = [("io_", "", "IO"), ("ml_", "integrity", "ML"), ("kb_", "", "KB")]
+#: Benchmarks of the orders, by the start or a part of their priority's name.
+BENCHES = [("1-", "", "first"), ("4-", "MEDIUM", "middle")]
 
 
 def campaign_runs(spark, sf):
-    """Runs by benchmark, model and prompt, after the full campaign filter."""
+    """Runs by benchmark, model and prompt, after the full campaign filter. A task is a priority and a clerk."""
     o = X.table(spark, sf, "orders")
-    tasks = F.array(*[F.lit(x) for x in ("io_1", "ml_2", "kb_3", "data_integrity", "other_5", "ill_6", "skip_7")])
     models = F.array(
         *[F.lit(x) for x in ("claude-haiku-4-5", "claude-sonnet-4-5", "gemini-2.5-flash", "Qwen/Qwen3.6-27B", "deepseek-v")]
     )
     k = F.col("o_orderkey")
     runs = o.select(
-        F.element_at(
-            tasks, (F.col("o_custkey") % 7 + 1).cast("int")
-        ).alias("task"), F.element_at(models, (k % 5 + 1).cast("int")).alias("model"), F.lit("").alias("provider"),
-        (F.col("o_orderpriority") == "1-URGENT").alias("planning_prompt"), F.lit(1).alias("turn"), (F.col("o_orderstatus") != "P").alias("has_thinking"), (F.col("o_totalprice") > 1000).alias("has_metrics"),
+        F.concat_ws("/", "o_orderpriority", (F.col("o_custkey") % 7).cast("string")).alias("task"),
+        F.element_at(models, (k % 5 + 1).cast("int")).alias("model"), F.lit("").alias("provider"),
+        (F.col("o_custkey") % 11 == 0).alias("planning_prompt"), F.lit(1).alias("turn"), (F.col("o_orderstatus") != "P").alias("has_thinking"), (F.col("o_totalprice") > 1000).alias("has_metrics"),
         F.when(F.col("o_orderstatus") == "F", "").otherwise("hinted").alias("prompt_mode"), F.when(
             F.col("o_orderpriority") == "5-LOW", "pathful_v4"
         ).otherwise("plain").alias("prompt_variant"))
     kept = logs.filter_campaign(
-        runs, exclude_tasks=("skip_7",), ill_defined=("ill_6",), model="-", family="anthropic", planning_prompt=False, turn=1,
+        runs, exclude_tasks=("2-HIGH/3",), ill_defined=("5-LOW/6",), model="-", family="anthropic", planning_prompt=False, turn=1,
         with_thinking=True, has_metrics=True
     )
     bucket = L.prompt_bucket(F.col("prompt_mode"), F.col("prompt_variant"), ("plain", "hinted"), ("pathful_v4",))
@@ -177,25 +176,29 @@ def mount_classes(spark, sf):
     return s.select("s_suppkey", "fs", L.device_class(F.col("fs"), F.col("device"), F.col("rotational")).alias("class"))
 
 
-CODE = [
-    ("core/runner.py", "core_runner"), ("core/config/", "config_files"), ("core/", "core_other"), ("evals/", "tests"),
-    ("scripts/", "scripts_dir"), ("trace/", "tracing_files")
-]
-_NAMES = (
-    "core/runner.py", "core/config/a.yaml", "core/x.py", "evals/t.py", "scripts/run.sh",
-    "trace/readme.md", "other/x.py", "scripts/pic.png", "scripts/__pycache__/x.py", "train.csv", "test.csv",
-    "sample_submission.csv", "submission.csv", "a-b.c.csv", "cat.7.jpg", "dog.8.jpg"
-)
+#: Buckets of the documents' tree, by the start of a path below its root.
+TREE = [("en/src1/", "english_first"), ("en/", "english"), ("de/", "german")]
+_ENDINGS = (".md", ".py", ".csv", ".png")
+_TABLES = ("train", "test", "submission")
+
+
+def _named(spark, sf):
+    """Documents as files of a tree: their folder is lang/source, their name and ending follow from id and size."""
+    d = F.col("doc_id")
+    ending = F.element_at(F.array(*[F.lit(x) for x in _ENDINGS]), (d % len(_ENDINGS) + 1).cast("int"))
+    stem = F.when(d % 9 < 3, F.element_at(F.array(*[F.lit(x) for x in _TABLES]), (d % 9 % 3 + 1).cast("int"))).when(
+        d % 9 < 6, F.concat("lang", F.lit("."), (F.col("bytes") % 50).cast("string"))
+    ).otherwise(F.concat("lang", F.lit("-"), (F.col("bytes") % 50).cast("string")))
+    return X.files(spark, sf).select(F.concat("lang", F.lit("/"), "source", F.lit("/"), stem, ending).alias("relative"), "bytes")
 
 
 def name_buckets(spark, sf):
-    """Buckets of a file's name by each rule, over all documents."""
-    n = F.element_at(F.array(*[F.lit(x) for x in _NAMES]), (F.col("doc_id") % len(_NAMES) + 1).cast("int"))
-    f = X.files(spark, sf).withColumn("name", n)
-    c = F.col("name")
+    """Buckets of all documents' files by each rule."""
+    f = _named(spark, sf)
+    name = P.basename(F.col("relative"))
     return f.groupBy(
-        "name", P.code_bucket(c, CODE).alias("code"), P.csv_role(c).alias("role"), P.csv_bucket(P.basename(c)).alias("csv"),
-        P.class_bucket(c, {"cat": "train_cats", "dog": "train_dogs"}).alias("class")
+        P.code_bucket(F.col("relative"), TREE).alias("code"), P.csv_role(name).alias("role"), P.csv_bucket(name).alias("csv"),
+        P.class_bucket(name, {"en": "class_english", "fr": "class_french"}).alias("class")
     ).agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes"))
 
 
@@ -355,7 +358,6 @@ _VAR = ", ".join(str(v) for v in VARIANTS)
 _COMP = session_queries.SQL["path_compliance"]
 _NAMED = """(select session_id, path, bool_or(a) as a from (select session_id, text, regexp_replace(ltrim(m, '/'), '[.,;:\\-/]+$', '') as path, contains(text, concat('/', regexp_replace(ltrim(m, '/'), '[.,;:\\-/]+$', ''))) as a
   from (select session_id, text, unnest(list_concat(regexp_extract_all(text, '/data/[A-Za-z0-9_./\\-]+'), regexp_extract_all(text, '(?:^|[^A-Za-z0-9_/])(data/[A-Za-z0-9_./\\-]+)', 1))) as m from fx_talk where type = 'thinking')) where regexp_matches(path, '\\.[A-Za-z0-9]{1,6}$') group by session_id, path)"""
-_NAME_SQL = "[" + ", ".join(f"'{n}'" for n in _NAMES) + "]"
 
 SQL = {
     "share_medians": f"""with w as ({_WALL}), s as (select *, session_id % 4 as bench, case when session_id % 2 = 0 then 'baseline' else 'staged' end as mode, (tool_s + other_s) / total_s * 100 as tool_exec_pct, stream_s / total_s * 100 as reasoning_pct, comm_s / total_s * 100 as comm_pct, harness_s / total_s * 100 as harness_pct from w)
@@ -372,12 +374,13 @@ SQL = {
       select workload, count(*) as n_runs, round(avg(j), 3) as mean_job_time, round(avg(f), 3) as mean_io_frac, round(avg(1 / greatest(1e-9, 1 - f)), 3) as mean_elim_speedup, round(avg((j - p + p * (754.5 / 35.0)) / greatest(1e-9, j - p)), 3) as mean_far_speedup from r group by workload""",
     "rep_medians": """with r as (select o_custkey % 80 as task, case when o_orderkey % 3 = 0 then 'b' else 's' end as side, cast(o_totalprice as double) as v from orders where o_orderstatus <> 'P'), o as (select *, row_number() over (partition by task, side order by v) - 1 as i, count(*) over (partition by task, side) as n from r),
       m as (select task, max(v) filter (side = 'b' and i = n // 2) as base, max(v) filter (side = 's' and i = n // 2) as other from o group by task) select task, base, other, round(base / other, 3) as speedup, round(base - other, 3) as saved from m""",
-    "campaign_runs": """with r as (select ['io_1', 'ml_2', 'kb_3', 'data_integrity', 'other_5', 'ill_6', 'skip_7'][o_custkey % 7 + 1] as task, ['Haiku', 'Sonnet', 'Flash', 'Qwen', 'x'][o_orderkey % 5 + 1] as label, case when o_orderstatus = 'F' then (case when o_orderpriority = '5-LOW' then 'pathful' else 'baseline' end) else 'baseline' end as prompt from orders where o_orderpriority <> '1-URGENT' and o_orderstatus <> 'P' and o_totalprice > 1000)
-      select case when task like 'io%' then 'IO' when task in ('ml_2', 'data_integrity') then 'ML' when task = 'kb_3' then 'KB' else 'rest' end as bench, label, prompt, count(*) as n from r where task not in ('ill_6', 'skip_7') and label in ('Haiku', 'Sonnet') group by 1, 2, 3""",
+    "campaign_runs": """with r as (select concat(o_orderpriority, '/', cast(o_custkey % 7 as varchar)) as task, ['Haiku', 'Sonnet', 'Flash', 'Qwen', 'x'][o_orderkey % 5 + 1] as label, case when o_orderstatus = 'F' and o_orderpriority = '5-LOW' then 'pathful' else 'baseline' end as prompt from orders where o_custkey % 11 <> 0 and o_orderstatus <> 'P' and o_totalprice > 1000)
+      select case when task like '1-%' then 'first' when task like '4-%' or task like '%MEDIUM%' then 'middle' else 'rest' end as bench, label, prompt, count(*) as n from r where task not in ('2-HIGH/3', '5-LOW/6') and label in ('Haiku', 'Sonnet') group by 1, 2, 3""",
     "mount_classes": """with s as (select s_suppkey, ['tmpfs', 'nfs4', 'fuse.s3fs', 'ext4', 'xfs', 'proc', 'overlay'][s_suppkey % 7 + 1] as fs, s_nationkey % 5 as d, s_nationkey % 3 as r from supplier)
       select s_suppkey, fs, case fs when 'tmpfs' then 'memory' when 'nfs4' then 'network' when 'fuse.s3fs' then 'object' else case when d = 4 or r = 2 then 'unknown' when r = 0 then 'hdd' when d = 0 then 'nvme' else 'ssd' end end as class from s where fs not in ('proc', 'overlay')""",
-    "name_buckets": f"""with n as (select {_NAME_SQL}[doc_id % {len(_NAMES)} + 1] as name, bytes from fx_files) select name, case when name like '%.png' or name like '%pycache%' then null when name = 'core/runner.py' then 'core_runner' when name like 'core/config/%' then 'config_files' when name like 'core/%' then 'core_other' when name like 'evals/%' then 'tests' when name like 'scripts/%' then 'scripts_dir' when name like 'trace/%' then 'tracing_files' end as code,
-      case name when 'train.csv' then 'train_csv' when 'test.csv' then 'test_csv' when 'sample_submission.csv' then 'sample_csv' when 'submission.csv' then 'output_submission' end as role, case when name = 'a-b.c.csv' then 'csv_a_b_c' when name like '%.csv' then concat('csv_', replace(name, '.csv', '')) end as csv, case when name like 'cat.%' then 'train_cats' when name like 'dog.%' then 'train_dogs' end as class, count(*) as n, cast(sum(bytes) as bigint) as bytes from n group by name""",
+    "name_buckets": """with n as (select lang, source, bytes, case when doc_id % 9 < 3 then ['train', 'test', 'submission'][doc_id % 9 % 3 + 1] when doc_id % 9 < 6 then concat(lang, '.', cast(bytes % 50 as varchar)) else concat(lang, '-', cast(bytes % 50 as varchar)) end as stem, ['.md', '.py', '.csv', '.png'][doc_id % 4 + 1] as ending from fx_files)
+      select case when ending in ('.md', '.py') then case when lang = 'en' and source = 'src1' then 'english_first' when lang = 'en' then 'english' when lang = 'de' then 'german' end end as code, case when ending = '.csv' then case stem when 'train' then 'train_csv' when 'test' then 'test_csv' when 'submission' then 'output_submission' end end as role,
+      case when ending = '.csv' then concat('csv_', replace(replace(stem, '-', '_'), '.', '_')) end as csv, case when stem like 'en.%' then 'class_english' when stem like 'fr.%' then 'class_french' end as class, count(*) as n, cast(sum(bytes) as bigint) as bytes from n group by 1, 2, 3, 4""",
     "instance_buckets": """with b as (select unnest(case doc_id % 5 when 0 then [concat('band_0', cast(8 + doc_id % 2 as varchar)), concat('day_', lpad(cast(doc_id % 366 as varchar), 3, '0'))] when 1 then [concat('month_2024-', lpad(cast(doc_id % 12 + 1 as varchar), 2, '0'))] when 2 then [concat('detector_nrca', cast(doc_id % 4 + 1 as varchar))] when 3 then [concat('sample_HG', lpad(cast(doc_id % 100 as varchar), 5, '0'))] else [concat('subject_sub-', lang)] end) as bucket, bytes from fx_files)
       select bucket, count(*) as n, cast(sum(bytes) as bigint) as bytes from b group by bucket""",
     "merged_prior": """with t as (select distinct source from documents where lang = 'en'), f as (select distinct source, case lang when 'en' then 'train' else 'test' end as k from documents where lang in ('en', 'de') and source in (select source from t)), p as (select source, k, concat('/data/', source, '-a/', k, '.csv') as path from f)
