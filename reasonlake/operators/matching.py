@@ -3,16 +3,22 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
+from functools import lru_cache
 
+import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.labels import OFFLINE, tier
+from .automata import Follower, Literals, dictionary_map, pattern_of
+from .automata import folded as folded_text
 
 _sre = re._constants
 
 SCANNED = ("thinking", "text", "tool_result")
-#: Rules that are broadcast at most. Rule libraries are configuration of a few hundred rows.
+#: Rules that a task holds at a time. Rule libraries are configuration of a few hundred rows; more are dealt in parts.
 MOST_RULES = 20_000
 #: Characters that a match may have for its rule to be searched piece by piece.
 MOST_WIDTH = 2_000
@@ -244,43 +250,81 @@ def _looks_around(items) -> bool:
     return False
 
 
-def compiled(pattern: Column) -> Column:
-    """Flags under which Java matches like the rules' authors expect: case-insensitive in all scripts, only \\n ends a line."""
-    return F.concat(F.lit("(?iud)"), pattern)
+class Rules:
+    """Rules (ord, name, pattern, target_keys) that are searched in texts: one pass over the literals that they need
+    tells which patterns to try.
+    """
 
+    def __init__(self, rules: list[tuple]) -> None:
+        self.rows = [tuple(r) for r in rules]
+        needs = [literals_of(r[2]) for r in self.rows]
+        self.literals = Literals((x, i) for i, need in enumerate(needs) if need for x in need)
+        self.always = [i for i, need in enumerate(needs) if not need]
+        self.widths = [most_width(r[2]) for r in self.rows]
+        self.reaches = [reach_of(r[2]) for r in self.rows]
+        self.needy = [bool(need) for need in needs]
 
-def with_literals(rules: DataFrame) -> DataFrame:
-    """Rules with the literals that let most texts skip the regular expression, as a join side.
+    def search(self, i: int):
+        return expression(self.rows[i][2]).search
+
+    def likely(self, text: str) -> list[int]:
+        """Rules that may match in a text, in order."""
+        return sorted({*self.literals.within(folded_text(text)), *self.always})
+
+
+@lru_cache(maxsize=200_000)
+def expression(pattern: str):
+    """The compiled pattern, case ignored; what Python's own dialect doesn't know is read by the wider one."""
+    try:
+        return re.compile(pattern, re.IGNORECASE)
+    except re.error:
+        return regex.compile(pattern, regex.IGNORECASE | regex.VERSION0)
 
-    Rules are configuration: up to ``MOST_RULES`` are read on the driver and broadcast. More are
-    told their literals by tasks, and the join is left to Spark.
-    """
-    from pyspark.sql import types as T
 
-    schema = T.StructType([*rules.schema.fields, T.StructField("literals", T.ArrayType(T.StringType()))])
-    rows = rules.limit(MOST_RULES + 1).collect()
-    if len(rows) <= MOST_RULES:
-        return F.broadcast(rules.sparkSession.createDataFrame([(*r, literals_of(r["pattern"])) for r in rows], schema))
+_FIRED = [("ord", "ord int"), ("name", "name string"), ("target_keys", "target_keys array<string>")]
 
-    def batches(it):
-        for df in it:
-            yield df.assign(literals=[literals_of(p) for p in df["pattern"]])
 
-    return rules.mapInPandas(batches, schema)
+def _fields(df: DataFrame) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+
+
+def _with_rules(b: pa.RecordBatch, found: list[tuple[int, tuple, int]], extra: list[tuple[str, pa.Array]] = ()) -> pa.RecordBatch:
+    """The rows of a batch that were found, with the rule and the place."""
+    own = b.take(pa.array([f[0] for f in found], pa.int64()))
+    made = [
+        *own.columns, *(x.take(pa.array([f[0] for f in found], pa.int64())) for _, x in extra), pa.array([f[1][0] for f in found], pa.int32()),
+        pa.array([f[1][1] for f in found], pa.string()), pa.array([f[1][3] for f in found], pa.list_(pa.string())),
+        pa.array([f[2] for f in found], pa.int64())
+    ]
+    return pa.RecordBatch.from_arrays(made, names=[*b.schema.names, *(n for n, _ in extra), *(n for n, _ in _FIRED), "match_start"])
+
+
+def _told(blocks: DataFrame) -> DataFrame:
+    return blocks.where(F.col("type").isin(*SCANNED) & (F.col("text") != ""))
 
 
 def matches(blocks: DataFrame, rules: DataFrame) -> DataFrame:
     """Each rule that matches a scanned block, alone (block-local mode).
 
-    Adds ord, name, target_keys and match_start in code points. The join is a nested loop
-    over broadcast rules; the literal test before the pattern decides most pairs.
+    Adds ord, name, target_keys and match_start in code points. A block is read once by the automaton of all literals that
+    rules need (once for each ``MOST_RULES`` rules); only rules whose literal it holds, and those that need none, are tried.
     """
-    scanned = blocks.where(F.col("type").isin(*SCANNED) & (F.col("text") != "")).withColumn("__low", folded(F.col("text")))
-    r = with_literals(rules.select("ord", "name", "pattern", "target_keys"))
-    near = F.col("literals").isNull() | F.exists("literals", lambda x: F.contains(F.col("__low"), x))
-    pairs = scanned.join(r, near & F.expr("text rlike concat('(?iud)', pattern)"))
-    start = F.length(F.expr("regexp_extract(text, concat('(?s)^(.*?)(?-s:', '(?iud)', pattern, ')'), 1)"))
-    return pairs.withColumn("match_start", start).drop("__low", "literals", "pattern")
+    told = _told(blocks)
+    at = told.columns.index("text")
+
+    def work(own: Rules, it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            found = []
+            for row, text in enumerate(b.column(at).to_pylist()):
+                for i in own.likely(text):
+                    m = own.search(i)(text)
+                    if m:
+                        found.append((row, own.rows[i], m.start()))
+            if found:
+                yield _with_rules(b, found)
+
+    schema = ", ".join([_fields(told), *(t for _, t in _FIRED), "match_start long"])
+    return dictionary_map(told, rules.select("ord", "name", "pattern", "target_keys"), Rules, work, schema, MOST_RULES)
 
 
 def transcript(blocks: DataFrame) -> DataFrame:
@@ -291,42 +335,90 @@ def transcript(blocks: DataFrame) -> DataFrame:
     )
 
 
+class _Transcript:
+    """What transcript mode knows of a session and a set of rules before the next block.
+
+    Rules of bounded width need the end of the text only, other regular ones the state of their automaton. For the few that are
+    neither (look-around, references) the whole text is kept.
+    """
+
+    def __init__(self, rules: Rules) -> None:
+        self.rules, self.base, self.tail, self.whole = rules, 0, "", []
+        self.back = max((w for w in rules.widths if w is not None), default=1)
+        self.open = set(range(len(rules.rows)))
+        self.follow, self.odd = {}, set()
+        for i in self.open:
+            if rules.widths[i] is None:
+                p = pattern_of(rules.rows[i][2])
+                if p is None:
+                    self.odd.add(i)
+                else:
+                    self.follow[i] = Follower(p)
+
+    def block(self, text: str) -> Iterator[tuple[tuple, int]]:
+        """Rules that fire at the next block, with the place of their match in the session."""
+        rules, start = self.rules, len(self.tail)
+        seen = self.tail + text
+        if self.odd:
+            self.whole.append(text)
+            all_ = "".join(self.whole)
+        for i in rules.likely(seen):
+            if i not in self.open or i in self.follow or i in self.odd:
+                continue
+            m = rules.search(i)(seen, max(0, start - rules.widths[i]))
+            if m:  # decided: of a match that starts earlier no later block is the first
+                self.open.discard(i)
+                if m.start() >= start:
+                    yield rules.rows[i], m.start() - start + self.base
+        before = seen[max(0, start - 1) : start]
+        for i in sorted(self.follow.keys() & self.open):
+            f = self.follow[i]
+            if f.gone:
+                self.open.discard(i)
+                continue
+            m = rules.search(i)(before + text, len(before))
+            if m and not f.older(text):
+                self.open.discard(i)
+                yield rules.rows[i], m.start() - len(before) + self.base
+            else:
+                f.feed(text)
+        for i in sorted(self.odd & self.open):
+            m = rules.search(i)(all_)
+            if m and m.start() >= self.base:
+                self.open.discard(i)
+                yield rules.rows[i], m.start()
+        self.base += len(text)
+        self.tail = seen[-self.back :]
+
+
 def transcript_matches(blocks: DataFrame, rules: DataFrame) -> DataFrame:
     """Each rule that fires at a block in transcript mode: the leftmost match over all text up to the block's end starts in it.
 
-    A match across two blocks thus keeps its rule from firing later, as reading the running
-    transcript does. A rule whose matches are no longer than ``MOST_WIDTH`` and look at nothing around them is
-    searched in each block and the characters before it that a match may reach back to: the first
-    block with a match decides. Other rules are searched in the joined text, block by block.
+    A match across two blocks thus keeps its rule from firing later, as reading the running transcript does. Adds ord, name,
+    target_keys, char_base (the session's scanned characters before the block) and match_start. Sessions are sorted
+    inside partitions and read once, block after block: a rule of bounded width (``MOST_WIDTH``) looks back as
+    far as a match may reach, any other goes on from the state of its automaton, so that the time follows the text. Only rules with
+    look-around or references are searched in the whole text at each block.
     """
-    told = transcript(blocks)
-    width = {r["pattern"]: most_width(r["pattern"]) for r in rules.select("pattern").distinct().limit(MOST_RULES).collect()}
-    short = [p for p, w in width.items() if w is not None]
-    reach = max([w for w in width.values() if w is not None], default=0)
-    out = None
-    if short:
-        before = Window.partitionBy("session_id").orderBy("block_seq").rowsBetween(-max(1, reach), -1)  # a block has a character at least
-        tail = F.right(F.array_join(F.collect_list(F.right("text", F.lit(reach))).over(before), ""), F.lit(reach))
-        near = told.withColumn("__tail", tail).withColumn("__seen", F.concat("__tail", "text"))
-        found = _found(near, rules.where(F.col("pattern").isin(short)), "__seen")
-        found = found.withColumn("match_start", F.col("match_start") - F.length("__tail") + F.col("char_base"))
-        first = Window.partitionBy("session_id", "ord").orderBy("block_seq")
-        out = found.withColumn("__n", F.row_number().over(first)).where("__n = 1").drop("__n", "__tail", "__seen")
-    if len(short) < len(width) or out is None:
-        upto = Window.partitionBy("session_id").orderBy("block_seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        whole = told.withColumn("__upto", F.array_join(F.collect_list("text").over(upto), ""))
-        found = _found(whole, rules.where(~F.col("pattern").isin(short)), "__upto").drop("__upto")
-        out = found if out is None else out.unionByName(found)
-    return out.where("match_start >= char_base")
-
-
-def _found(blocks: DataFrame, rules: DataFrame, text: str) -> DataFrame:
-    """Rules found in a text column, with match_start in it."""
-    r = with_literals(rules.select("ord", "name", "pattern", "target_keys"))
-    near = F.col("literals").isNull() | F.exists("literals", lambda x: F.contains(F.col("__low"), x))
-    pairs = blocks.withColumn("__low", folded(F.col(text))).join(r, near & F.expr(f"{text} rlike concat('(?iud)', pattern)"))
-    start = F.length(F.expr(f"regexp_extract({text}, concat('(?s)^(.*?)(?-s:', '(?iud)', pattern, ')'), 1)"))
-    return pairs.withColumn("match_start", start).drop("__low", "literals", "pattern")
+    told = _told(blocks)
+    at, who = told.columns.index("text"), told.columns.index("session_id")
+
+    def work(own: Rules, it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, session = object(), None
+        for b in it:
+            found, bases = [], []
+            for row, (key, text) in enumerate(zip(b.column(who).to_pylist(), b.column(at).to_pylist(), strict=True)):
+                if key != now:
+                    now, session = key, _Transcript(own)
+                bases.append(session.base)
+                found += [(row, rule, start) for rule, start in session.block(text)]
+            if found:
+                yield _with_rules(b, found, [("char_base", pa.array(bases, pa.int64()))])
+
+    schema = ", ".join([_fields(told), "char_base long", *(t for _, t in _FIRED), "match_start long"])
+    return dictionary_map(
+        told, rules.select("ord", "name", "pattern", "target_keys"), Rules, work, schema, MOST_RULES, "session_id", "block_seq"
+    )
 
 
 def first_fire(found: DataFrame) -> DataFrame:
@@ -394,57 +486,97 @@ def reach_of(pattern: str) -> int | None:
     return width if width <= MOST_WIDTH else None
 
 
-def prefix_fire(blocks: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
-    """First firing of each rule (name, pattern) in a session when thinking is tested at every character.
+class _Prefixes:
+    """What prefix mode knows of a session and a set of rules before the next block."""
+
+    def __init__(self, rules: Rules) -> None:
+        self.rules, self.base, self.tail, self.whole = rules, 0, "", []
+        self.open = set(range(len(rules.rows)))
+        self.patterns = [pattern_of(r[2]) for r in rules.rows]
+        # a rule that needs a literal and has a bounded reach rests until the literal is near
+        self.rests = {i for i in self.open if self.patterns[i] and rules.needy[i] and rules.reaches[i] is not None}
+        self.follow = {i: Follower(p) for i, p in enumerate(self.patterns) if p and i not in self.rests}
+        self.gone: set[int] = set()
+        self.back = max((rules.reaches[i] + 2 for i in self.rests), default=1)  # an end may stand before a last line break
+        self.keep = any(p is None for p in self.patterns)
+
+    def _follower(self, i: int) -> Follower:
+        if i not in self.rests:
+            return self.follow[i]
+        known = self.tail[-(self.rules.reaches[i] + 2) :]
+        f = Follower(self.patterns[i], known[:1] if len(known) < self.base else "")
+        f.feed(known[1:] if len(known) < self.base else known)
+        f.gone = f.gone or i in self.gone
+        return f
+
+    def block(self, text: str, thinking: bool) -> Iterator[tuple[tuple, int]]:
+        """Rules that fire in the next block, with the characters of the session that are known by then."""
+        rules, start = self.rules, len(self.tail)
+        seen = self.tail + text
+        near = set(rules.likely(seen))
+        if self.keep:
+            self.whole.append(text)
+        before = self.tail[-1:]
+        for i in sorted(self.open):
+            if i in self.rests and i not in near and i not in self.gone:
+                continue
+            if self.patterns[i] is None:
+                at = self._odd(i, thinking)
+            else:
+                f = self._follower(i)
+                if thinking:
+                    at = f.first_end(text)
+                    at = None if at is None else self.base + at
+                else:
+                    m = rules.search(i)(before + text, len(before))
+                    at = self.base + len(text) if m and not f.older(text) else None
+                    if at is None:
+                        f.feed(text)
+                if f.gone:
+                    self.gone.add(i)
+            if at is not None:
+                self.open.discard(i)
+                yield rules.rows[i], at
+        self.base += len(text)
+        self.tail = seen[-self.back :]
+
+    def _odd(self, i: int, thinking: bool) -> int | None:
+        """A pattern that isn't regular: each prefix is searched whole."""
+        whole, search = "".join(self.whole), self.rules.search(i)
+        if thinking:
+            return next((e for e in range(self.base + 1, len(whole) + 1) if search(whole, 0, e)), None)
+        m = search(whole)
+        return len(whole) if m and m.start() >= self.base else None
+
+
+def prefix_fire(blocks: DataFrame, rules: DataFrame) -> DataFrame:
+    """First firing of each rule name in a session when thinking is tested at every character.
 
     Returns session_id, name, block_seq, turn, type and first_known_at, the code points known
     when the rule fires: for thinking the shortest prefix of the transcript that matches, which may match where the full
     text does not (a word border at its end); for other blocks the end of the block, if the leftmost match starts in it.
-    A new match ends where a prefix ends, so for rules of bounded width only that many characters are searched at each
-    one, and the time grows with the text; rules without a bound are searched over each prefix, unless a literal that they
-    need is not there yet. One session is held at a time.
+    Automata of the patterns go on by one character at a time and are asked whether a match may end there, so the time follows the
+    text. Patterns with look-around or references have no automaton and are searched over each prefix.
     """
-    compiled_ = [(n, re.compile(p, re.IGNORECASE), literals_of(p), reach_of(p)) for n, p in rules]
-
-    most = {n: most_width(p) for n, p in rules}
-
-    def session(df):
-        import pandas as pd
-
-        text, known, past, out = "", set(), set(), []
-        for b in df.sort_values("block_seq").itertuples():
-            base, text = len(text), text + b.text
-            low = text.lower()
-            for name, pattern, literals, reach in compiled_:
-                if name in known:
-                    continue
-                if b.type == "thinking":
-                    start = base + 1
-                    if literals is not None and len(low) == len(text):
-                        ends = [low.find(x) + len(x) for x in literals if x in low]
-                        if not ends:
-                            continue
-                        start = max(start, min(ends))
-                    back = len(text) if reach is None else reach + 1  # an end may stand before a last line break
-                    low_ = lambda e: 0 if e == start else max(0, e - back)  # noqa: B023, E731 - an older match, of which no rule was told, counts at once
-                    at = next((e for e in range(start, len(text) + 1) if pattern.search(text, low_(e), e)), None)
-                elif name in past:
-                    at = None
-                else:
-                    m = pattern.search(text, 0 if most[name] is None else max(0, base - most[name]))
-                    at = len(text) if m and m.start() >= base else None
-                    if m and at is None and most[name] is not None:
-                        past.add(name)  # a match across blocks keeps its rule from firing at a later one
-                if at is not None:
-                    known.add(name)
-                    out.append((b.session_id, name, b.block_seq, b.turn, b.type, at))
-        return pd.DataFrame(out, columns=["session_id", "name", "block_seq", "turn", "type", "first_known_at"])
-
-    told = blocks.where(
-        F.col("type").isin(*SCANNED) & (F.col("text") != "")
-    ).select("session_id", "block_seq", "turn", "type", "text")
+    told = _told(blocks).select("session_id", "block_seq", "turn", "type", "text")
+
+    def work(own: Rules, it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, session = object(), None
+        for b in it:
+            found = []
+            columns = zip(b.column(0).to_pylist(), b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True)
+            for row, (key, kind, text) in enumerate(columns):
+                if key != now:
+                    now, session = key, _Prefixes(own)
+                found += [(row, rule[1], at) for rule, at in session.block(text, kind == "thinking")]
+            if found:
+                rows = b.take(pa.array([f[0] for f in found], pa.int64()))
+                made = [rows.column(0), pa.array([f[1] for f in found]), *rows.columns[1:4], pa.array([f[2] for f in found], pa.int64())]
+                yield pa.RecordBatch.from_arrays(made, names=["session_id", "name", "block_seq", "turn", "type", "first_known_at"])
+
     kinds = dict(told.dtypes)
-    return told.groupBy("session_id").applyInPandas(
-        session,
-        f"session_id {kinds['session_id']}, name string, block_seq {kinds['block_seq']}, turn {kinds['turn']}, type string, first_known_at long"
-    )
+    schema = f"session_id {kinds['session_id']}, name string, block_seq {kinds['block_seq']}, turn {kinds['turn']}, type string, first_known_at long"
+    own = rules.select("ord", "name", "pattern", F.array().cast("array<string>").alias("target_keys"))
+    found = dictionary_map(told, own, Rules, work, schema, MOST_RULES, "session_id", "block_seq")
+    first = Window.partitionBy("session_id", "name").orderBy("first_known_at")  # names may have several rules
+    return found.withColumn("__n", F.row_number().over(first)).where("__n = 1").drop("__n")

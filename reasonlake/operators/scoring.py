@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .automata import Literals, dictionary_map
+
 
 def with_sizes(paths: DataFrame, inventory: DataFrame) -> DataFrame:
     """Paths with their bytes from the inventory; 0 where it lacks them."""
@@ -49,17 +52,24 @@ def byte_score(predicted: DataFrame, truth: DataFrame, keys: list[str]) -> DataF
     Truth is shared by all keys: its totals are one small row, and only predicted paths
     are joined with it, so nothing is multiplied by the number of keys.
     """
-    t = truth.groupBy("path").agg(F.max("bytes").alias("tb"))
-    total = t.agg(
-        F.count(F.lit(1)).alias("n_ground_truth"), F.coalesce(F.sum("tb"), F.lit(0)).cast("long").alias("bytes_ground_truth")
-    )
-    p = predicted.groupBy(*keys, "path").agg(F.max("bytes").alias("pb")).join(t, "path", "left")
-    hit = F.col("tb").isNotNull()
-    sums = p.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n_detected"), F.count("tb").alias("n_overlap"), F.sum("pb").cast("long").alias("bytes_detected"),
-        F.sum(F.when(hit, F.col("pb")).otherwise(0)).cast("long").alias("bytes_overlap")
-    )
-    return ratios(sums.crossJoin(F.broadcast(total)))  # one row
+    return byte_scores(predicted, {"": truth}, keys).drop("truth")
+
+
+def byte_scores(predicted: DataFrame, truths: dict[str, DataFrame], keys: list[str]) -> DataFrame:
+    """As ``byte_score``, against several truths (by name, in ``truth``): predicted paths are gathered once and meet each truth."""
+    sums = predicted.groupBy(*keys, "path").agg(F.max("bytes").alias("pb"))
+    totals, aggregates = None, []
+    for i, truth in enumerate(truths.values()):
+        t = truth.groupBy("path").agg(F.max("bytes").alias(f"t{i}"))
+        total = t.agg(F.count(F.lit(1)).alias(f"n{i}"), F.coalesce(F.sum(f"t{i}"), F.lit(0)).cast("long").alias(f"b{i}"))
+        totals = total if totals is None else totals.crossJoin(F.broadcast(total))  # one row
+        sums = sums.join(t, "path", "left")
+        aggregates += [F.count(f"t{i}").alias(f"o{i}"), F.sum(F.when(F.col(f"t{i}").isNotNull(), F.col("pb")).otherwise(0)).cast("long").alias(f"h{i}")]
+    sums = sums.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_detected"), F.sum("pb").cast("long").alias("bytes_detected"), *aggregates)
+    names = ("n_ground_truth", "bytes_ground_truth", "n_overlap", "bytes_overlap")
+    each = [F.struct(F.lit(n).alias("truth"), *[F.col(f"{c}{i}").alias(x) for c, x in zip("nboh", names, strict=True)]) for i, n in enumerate(truths)]
+    wide = sums.crossJoin(F.broadcast(totals)).select(*keys, "n_detected", "bytes_detected", F.inline(F.array(*each)))
+    return ratios(wide.select(*keys, "truth", "n_detected", "n_ground_truth", "n_overlap", "bytes_detected", "bytes_ground_truth", "bytes_overlap"))
 
 
 def ratios(df: DataFrame) -> DataFrame:
@@ -199,8 +209,6 @@ def longest_prefix(paths: DataFrame, mounts: DataFrame, path: str = "path") -> D
 
 #: Lengths of the pieces by which needles are looked up in texts.
 GRAMS = (1, 2, 4, 8)
-#: Needles that are broadcast: about 100 MB. More meet the pieces of texts in a shuffle.
-BROADCAST_NEEDLES = 500_000
 
 
 def grams(text: Column, n: int) -> Column:
@@ -236,33 +244,66 @@ def keyed_needles(needles: DataFrame) -> DataFrame:
     return each.join(n, "gram").groupBy("path", "needle").agg(F.min(F.struct("n", "gram")).alias("g")).select("path", "needle", "g.gram")
 
 
+#: Needles that a task holds at a time: some hundred MB of automaton. More are dealt in parts, and each text meets each part once.
+MOST_NEEDLES = 100_000
+
+
+class _Needles:
+    """An automaton of needles (path, needle), and the longest one."""
+
+    def __init__(self, entries: list[tuple[str, str]]) -> None:
+        self.literals = Literals((needle, i) for i, (_, needle) in enumerate(entries))
+        self.entries = entries
+        self.longest = max((len(n) for _, n in entries), default=1)
+
+
 def literal_scan(blocks: DataFrame, prior: DataFrame) -> DataFrame:
     """(session_id, path, start): files that a session's text names by path, or by a base name, stem or short stem that
     one file has alone; the earliest mention counts.
 
-    Needles are found anywhere in the text, across the borders of blocks too: each block is searched with the
-    characters after it that a needle may reach. Needles are joined with the distinct pieces of a block by
-    their rarest piece, and those that meet are then searched in the block. Offsets are in code points of the session's text.
+    Needles are found anywhere in the text, across the borders of blocks too. Sessions are sorted inside partitions
+    and read once by the automaton of all needles; of the text behind, only as many characters are kept as
+    a needle may reach back. Offsets are in code points of the session's text.
     """
-    from .matching import transcript
-
-    needles = keyed_needles(needles_of(prior))
-    longest, kinds, n = needles.agg(
-        F.coalesce(F.max(F.length("needle")), F.lit(1)), F.sort_array(F.collect_set(F.length("gram"))), F.count(F.lit(1))
-    ).first()
-    if n <= BROADCAST_NEEDLES:
-        needles = F.broadcast(needles)
-    after = Window.partitionBy("session_id").orderBy("block_seq").rowsBetween(1, max(1, longest - 1))  # a block has a character at least
-    ahead = F.left(F.array_join(F.collect_list(F.left("text", F.lit(longest))).over(after), ""), F.lit(longest - 1))
-    told = transcript(blocks).select(
-        "session_id", "block_seq", "char_base", F.length("text").alias("own"), F.concat("text", ahead).alias("seen")
+    from .matching import SCANNED
+
+    told = blocks.where(F.col("type").isin(*SCANNED) & (F.col("text") != "")).select("session_id", "block_seq", "text")
+
+    def work(own: _Needles, it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, base, tail, first = None, 0, "", {}
+        kind = None
+
+        def found() -> pa.RecordBatch:
+            made = [pa.array([now] * len(first), kind), pa.array([*first], pa.string()), pa.array([*first.values()], pa.int64())]
+            return pa.RecordBatch.from_arrays(made, names=["session_id", "path", "start"])
+
+        begun = False
+        for b in it:
+            kind = b.schema.field(0).type
+            for key, text in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True):
+                if not begun or key != now:
+                    if first:
+                        yield found()
+                    begun, now, base, tail, first = True, key, 0, "", {}
+                seen = tail + text
+                for end, keys in own.literals.places(seen):
+                    if end >= len(tail):  # others were found before
+                        for i in keys:
+                            path, needle = own.entries[i]
+                            at = base - len(tail) + end + 1 - len(needle)
+                            if at < first.get(path, at + 1):
+                                first[path] = at
+                base += len(text)
+                tail = seen[len(seen) - own.longest + 1 :] if 1 < own.longest <= len(seen) else "" if own.longest < 2 else seen
+        if first:
+            yield found()
+
+    kind = dict(told.dtypes)["session_id"]
+    hits = dictionary_map(
+        told, needles_of(prior).select("path", "needle"), _Needles, work, f"session_id {kind}, path string, start long", MOST_NEEDLES,
+        "session_id", "block_seq"
     )
-    pieces = F.flatten(F.array(*[grams(F.col("seen"), n) for n in kinds or GRAMS[:1]]))
-    met = told.select(
-        "session_id", "block_seq", F.explode(pieces).alias("gram")
-    ).join(needles, "gram").select("session_id", "block_seq", "path", "needle")
-    hit = met.join(told, ["session_id", "block_seq"]).withColumn("at", F.instr("seen", F.col("needle"))).where("at > 0 AND at <= own")
-    return hit.groupBy("session_id", "path").agg(F.min(F.col("char_base") + F.col("at") - 1).alias("start"))
+    return hits.groupBy("session_id", "path").agg(F.min("start").alias("start"))  # needles of a path may be in two parts
 
 
 def source_of(targets: DataFrame, inventory: DataFrame) -> DataFrame:

@@ -58,8 +58,8 @@ def hot_files(spark, sf):
 def score_grid(spark, sf):
     both, full = layers(spark, sf), X.truth(spark, sf)
     first = full.join(X.prior(spark, sf).where("bucket = 'source_src1'").select("path"), "path", "left_semi")
-    out = _scores(S.byte_score(both, full, ["layer"]), "layer").withColumn("flavour", F.lit("full"))
-    return out.unionByName(_scores(S.byte_score(both, first, ["layer"]), "layer").withColumn("flavour", F.lit("src1")))
+    both = S.byte_scores(both, {"full": full, "src1": first}, ["layer"]).withColumnRenamed("truth", "flavour")
+    return _scores(both, "layer", "flavour")
 
 
 def rule_first_fire(spark, sf):
@@ -79,7 +79,21 @@ def rule_first_fire_transcript(spark, sf):
 
 def rule_prefix_fire(spark, sf):
     """Firing with thinking tested at every character. Java and Python dialects agree on these patterns."""
-    return M.prefix_fire(X.blocks(spark, sf), [(r[1], r[2]) for r in X.RULES])
+    return M.prefix_fire(X.blocks(spark, sf), X.rules(spark))
+
+
+def generated_rule_fires(spark, sf):
+    """First firings in talk of thousands of rules: one for the name of each document, and one for each pair of a language and a last digit."""
+    d = X.files(spark, sf)
+    own = d.select(
+        (F.col("doc_id") + 1000).cast("int").alias("ord"), F.concat(F.lit("doc_"), "doc_id").alias("name"),
+        F.concat(F.lit("doc_"), "doc_id", F.lit("[.](?:txt|csv)")).alias("pattern"), F.array(F.concat(F.lit("lang_"), "lang")).alias("target_keys")
+    )
+    groups = d.select("lang", (F.col("doc_id") % 10).alias("digit")).distinct().select(
+        F.col("digit").cast("int").alias("ord"), F.concat("lang", F.lit("_"), "digit").alias("name"),
+        F.concat(F.lit("/"), "lang", F.lit("/doc_[0-9]*"), "digit", F.lit("[.]txt")).alias("pattern"), F.array(F.concat(F.lit("lang_"), "lang")).alias("target_keys")
+    )
+    return M.first_fire(M.matches(X.talk(spark, sf), own.unionByName(groups))).select("session_id", "name", "block_seq", "match_start")
 
 
 def activation_summary(spark, sf):
@@ -298,7 +312,7 @@ def hit_files_by_family(spark, sf):
 
 QUERIES = {
     f.__name__: f for f in (
-        tier1_byte_score, score_grid, rule_first_fire, rule_first_fire_transcript, rule_prefix_fire, activation_summary,
+        tier1_byte_score, score_grid, rule_first_fire, rule_first_fire_transcript, rule_prefix_fire, generated_rule_fires, activation_summary,
         tier_cumulative_files, live_tiers, naive_overfetch, subset_metrics, falsepos_report, loo_rules, loo_robustness, loo_top,
         rule_origin_counts, auto_rules, rule_fingerprint, enrich_policies, staged_before_open, stage_report, hit_files_by_family
     )
@@ -319,6 +333,10 @@ SQL = {
     "rule_first_fire_transcript": r"""with s as (select *, coalesce(sum(length(text)) over (partition by session_id order by block_seq rows between unbounded preceding and 1 preceding), 0) as char_base, string_agg(text, '') over (partition by session_id order by block_seq rows between unbounded preceding and current row) as upto from fx_blocks where type in ('thinking', 'text', 'tool_result')),
       m as (select s.session_id, s.block_seq, s.char_base, r.name, r.ord, length(regexp_extract(upto, '(?s)^(.*?)(?-s:(?i)' || r.pattern || ')', 1)) as o from s join fx_rules r on regexp_matches(upto, '(?i)' || r.pattern))
       select session_id, name, block_seq, cast(o as bigint) as char_offset, cast(char_base as bigint) as char_base from m where o >= char_base qualify row_number() over (partition by session_id, name order by block_seq, o, ord) = 1""",
+    "generated_rule_fires": r"""with d as (select distinct session_id, block_seq, text, unnest(list_distinct(regexp_extract_all(text, 'doc_([0-9]+)[.](?:txt|csv)', 1))) as k from fx_talk),
+      own as (select session_id, concat('doc_', k) as name, block_seq, instr(text, concat('doc_', k, '.')) - 1 as match_start from d where k in (select cast(doc_id as varchar) from documents)),
+      g as (select distinct lang, cast(doc_id % 10 as varchar) as digit from documents), far as (select session_id, concat(lang, '_', digit) as name, block_seq, length(regexp_extract(text, concat('(?s)^(.*?)(?:/', lang, '/doc_[0-9]*', digit, '[.]txt)'), 1)) as match_start from fx_talk join g on regexp_matches(text, concat('/', lang, '/doc_[0-9]*', digit, '[.]txt')))
+      select * from (select * from own union all select * from far) qualify row_number() over (partition by session_id, name order by block_seq) = 1""",
     "rule_prefix_fire": r"""with s as (select *, coalesce(string_agg(text, '') over (partition by session_id order by block_seq rows between unbounded preceding and 1 preceding), '') as before from fx_blocks where type in ('thinking', 'text', 'tool_result') and text <> ''),
       e as (select session_id, block_seq, turn, type, before, text, unnest(case when type = 'thinking' then range(1, length(text) + 1) else [length(text)] end) as n from s),
       m as (select e.session_id, r.name, e.block_seq, e.turn, e.type, length(before) + n as k, length(before) as base, length(regexp_extract(before || left(text, n), '(?s)^(.*?)(?-s:(?i)' || r.pattern || ')', 1)) as o from e join fx_rules r on regexp_matches(before || left(text, n), '(?i)' || r.pattern))

@@ -411,4 +411,5 @@ def test_prefix_firing_is_that_of_every_prefix(spark):
                     known.add(name)
             text += t
     df = spark.createDataFrame(rows, "session_id string, block_seq int, turn int, type string, text string")
-    assert {(x["session_id"], x["name"], x["block_seq"], x["first_known_at"]) for x in M.prefix_fire(df, rules).collect()} == want
+    table = spark.createDataFrame([(i, *r) for i, r in enumerate(rules)], "ord int, name string, pattern string")
+    assert {(x["session_id"], x["name"], x["block_seq"], x["first_known_at"]) for x in M.prefix_fire(df, table).collect()} == want
