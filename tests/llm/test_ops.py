@@ -269,7 +269,6 @@ def test_ratios_of_paths_by_brute_force():
         html, want = made("", 5)
         page = html_text.Page()
         page.feed(html)
-        page.close()
         assert [(t, k) for _, t, k in page.blocks] == [(t, k) for _, t, k in want]
         first = {}
         for p, t, k in want:
