@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.staging import staged
+from . import blocks as B
+
 #: Position (from 0) of a percentile p among n sorted values, by convention.
 POSITIONS = {
     "upper_median": lambda n, p: F.floor(n / 2),
@@ -21,30 +26,67 @@ BETWEEN = {
 
 
 def counted(df: DataFrame, group: list[str], value: str) -> DataFrame:
-    """Distinct values of each group with ``n`` rows, ``upto`` rows at or below, and the group's ``total``. Nulls are left out.
+    """Distinct values of each group with ``n`` rows. Nulls are left out. Repeated values cost one row each."""
+    return df.where(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count(F.lit(1)).alias("n"))
+
 
-    Rows are counted by value before anything is sorted, so repeated values cost one row each.
+def _wanted(asked: dict[str, tuple[str, float]], total: Column) -> dict[str, tuple[Column, Column | None]]:
+    """For each name the position of its value among ``total`` sorted ones; between two, the lower one and the share of the higher."""
+    out = {}
+    for name, (kind, p) in asked.items():
+        if kind in BETWEEN:
+            where = BETWEEN[kind](total, p)
+            out[name] = F.floor(where).cast("long"), where - F.floor(where)
+        else:
+            out[name] = POSITIONS[kind](total, p).cast("long"), None
+    return out
+
+
+def _narrowed(rows: DataFrame, group: list[str], value: str, positions: list[Column]) -> DataFrame:
+    """Of counted values with their group's ``total`` those near the asked positions, with ``before``, the rows below their ``cell``.
+
+    Distributed selection: while more than a block of values is left, a sketch cuts them into blocks, rows are counted between
+    cuts, and only blocks that hold an asked position stay. So at most a block of values is sorted in one place.
     """
-    n = df.where(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count(F.lit(1)).alias("n"))
-    own = Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0))
-    return n.withColumns({"upto": F.sum("n").over(own.orderBy(value)), "total": F.sum("n").over(own)})
+    rows = rows.withColumns({"cell": F.lit(0).cast("long"), "before": F.lit(0).cast("long")})
+    while at := B.cuts(rows, value):
+        rows = rows.withColumn("__block", B.block_of(F.col(value), at))
+        own = Window.partitionBy(*group, "cell").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+        sums = rows.groupBy(*group, "cell", "__block").agg(F.sum("n").alias("__n"), F.max("total").alias("total"), F.max("before").alias("before"))
+        sums = sums.withColumn("before", F.col("before") + F.coalesce(F.sum("__n").over(own), F.lit(0)))
+        hit = [(F.col("before") <= p) & (p < F.col("before") + F.col("__n")) for p in positions]
+        kept = sums.where(reduce(lambda a, b: a | b, hit)).select(*group, "cell", "__block", "before")
+        left = B.joined(rows.drop("before"), kept, [*group, "cell", "__block"])
+        left = left.withColumn("cell", F.col("cell") * (len(at) + 1) + F.col("__block")).drop("__block")
+        left = staged(left, "selection")
+        if left.count() >= rows.count():  # all that is left is wanted, or equal
+            return left
+        rows = left
+    return rows
 
 
 def position_percentiles(df: DataFrame, group: list[str], value: str, asked: dict[str, tuple[str, float]]) -> DataFrame:
-    """One row a group with one column for each (convention, p) asked."""
+    """One row a group with one column for each (convention, p) asked. Exact; groups of any size."""
+    n = counted(df, group, value)
+    totals = n.groupBy(*group).agg(F.sum("n").alias("total"))
+    n = B.joined(n, totals, group) if group else n.crossJoin(F.broadcast(totals))  # one row
+    wanted = _wanted(asked, F.col("total"))
+    positions = [p for low, part in wanted.values() for p in ([low] if part is None else [low, F.least(low + 1, F.col("total") - 1)])]
+    rows = _narrowed(n, group, value, positions)
+    upto = F.col("before") + F.sum("n").over(Window.partitionBy(*group, "cell").orderBy(value))
+    rows = rows.withColumn("upto", upto)
 
     def at(position: Column) -> Column:
         return F.max(F.when((F.col("upto") - F.col("n") <= position) & (position < F.col("upto")), F.col(value)))
 
     picks = []
-    for name, (kind, p) in asked.items():
-        if kind in BETWEEN:
-            where = BETWEEN[kind](F.col("total"), p)
-            low, high = at(F.floor(where).cast("long")), at(F.ceil(where).cast("long"))
-            picks.append((low + (high - low) * F.max(where - F.floor(where))).alias(name))
+    for name, (low, part) in wanted.items():
+        if part is None:
+            picks.append(at(low).alias(name))
         else:
-            picks.append(at(POSITIONS[kind](F.col("total"), p).cast("long")).alias(name))
-    return counted(df, group, value).groupBy(*group).agg(*picks)
+            high = F.coalesce(at(F.least(low + 1, F.col("total") - 1)), at(low))
+            picks.append((at(low) + (high - at(low)) * F.max(part)).alias(name))
+    return rows.groupBy(*group).agg(*picks)
 
 
 def medians(df: DataFrame, group: list[str], columns: list[str], prefix: str = "") -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import stats as T
+from ..functions.blocks import block_of, cuts, joined, running
 
 
 def pivot_modes(
@@ -154,12 +155,10 @@ def attributed(cells: DataFrame, saved: str, base: str, staged: str) -> DataFram
 
 def ecdf(df: DataFrame, keys: list[str], value: str, least: int = 1) -> DataFrame:
     """Each distinct value with the share of rows at or below it; keys with few rows are left out. Counts come before
-    the running sum, so ties and large groups are cheap.
+    the running sum, which is taken block by block, so ties and large groups are cheap.
     """
-    n = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
-    own = Window.partitionBy(*keys)
-    run = n.withColumns({"__total": F.sum("n").over(own), "__upto": F.sum("n").over(own.orderBy(value))})
-    return run.where(F.col("__total") >= least).select(*keys, value, "n", (F.col("__upto") / F.col("__total")).alias("ecdf"))
+    run = running(T.counted(df, keys, value), keys, [value], {"n": "n"})
+    return run.where(F.col("total_n") >= least).select(*keys, value, "n", (F.col("upto_n") / F.col("total_n")).alias("ecdf"))
 
 
 def ks_statistic(df: DataFrame, keys: list[str], side: str, one: str, other: str, value: str) -> DataFrame:
@@ -167,18 +166,29 @@ def ks_statistic(df: DataFrame, keys: list[str], side: str, one: str, other: str
     n = df.where(F.col(side).isin(one, other) & F.col(value).isNotNull()).groupBy(*keys, value).agg(
         F.count(F.when(F.col(side) == one, 1)).alias("a"), F.count(F.when(F.col(side) == other, 1)).alias("b")
     )
-    own = Window.partitionBy(*keys)
-    up = own.orderBy(value)
-    d = n.select(*keys, F.abs(F.sum("a").over(up) / F.sum("a").over(own) - F.sum("b").over(up) / F.sum("b").over(own)).alias("d"))
+    d = running(n, keys, [value], {"a": "a", "b": "b"})
+    d = d.select(*keys, F.abs(F.try_divide("upto_a", "total_a") - F.try_divide("upto_b", "total_b")).alias("d"))
     return d.groupBy(*keys).agg(F.max("d").alias("ks"))
 
 
 def delivery(queue: DataFrame, keys: list[str], order: str, emit: str, proc: str) -> DataFrame:
     """Delivery times of a serial queue, recv = max(emit, previous recv) + proc, without a loop.
 
-    With S the running sum of proc, recv = S + the largest (emit - S + proc) so far.
+    Each row maps the time at which the queue is free to max(emit, it) + proc. Such maps compose: those of a block are one map, (work, floor),
+    time to max(time + work, floor). The blocks' maps are scanned, and each block starts from what the blocks before it leave.
     """
-    upto = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    s = queue.withColumn("__s", F.sum(proc).over(upto))
-    got = s.withColumn("recv", F.col("__s") + F.max(F.col(emit) - (F.col("__s") - F.col(proc))).over(upto))
-    return got.withColumn("delay", F.col("recv") - F.col(emit)).drop("__s")
+    rows = queue.drop("recv", "delay")
+    work = lambda: F.sum(proc)
+    # with S the running sum of proc, the floor of a block is S at its end plus the largest (emit - S before the row)
+    inside = Window.partitionBy(*keys, "__block").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    own = rows.withColumn("__block", block_of(F.col(order), cuts(rows, order)))
+    own = own.withColumn("__s", F.sum(proc).over(inside)).withColumn("__room", F.col(emit) - (F.col("__s") - F.col(proc)))
+    sums = own.groupBy(*keys, "__block").agg(work().alias("__work"), F.max("__room").alias("__most"))
+    blocks = Window.partitionBy(*keys).orderBy("__block")
+    upto, before = blocks.rowsBetween(Window.unboundedPreceding, Window.currentRow), blocks.rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.withColumn("__done", F.sum("__work").over(upto)).withColumn("__past", F.col("__done") - F.col("__work"))
+    free = F.col("__past") + F.max(F.col("__most") - F.col("__past")).over(before)  # when the queue is free at the block's start
+    own = joined(own, sums.select(*keys, "__block", free.alias("__free")), [*keys, "__block"])
+    recv = F.col("__s") + F.greatest(F.max("__room").over(inside), F.col("__free"))
+    got = own.withColumn("recv", recv).drop("__s", "__room", "__block", "__free")
+    return got.withColumn("delay", F.col("recv") - F.col(emit))

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.blocks import running
+
 
 def placement(files: DataFrame, keys: list[str], order: str, capacity: int, path: str = "path", size: str = "bytes") -> DataFrame:
     """``files`` with ``primary``, whether each is placed there in order: while it fits; a later smaller file may still fit.
@@ -39,14 +41,10 @@ def retention(
     possible. Protected files stay.
     """
     free = files if protected is None else files.where(~protected)
-    own = Window.partitionBy(*keys)
-    before = own.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    need = free.withColumns(
-        {"__before": F.coalesce(F.sum(size).over(before), F.lit(0)), "__all": F.sum(size).over(own), "__need": to_free}
-    )
+    need = running(free.withColumn("__need", to_free), keys, order, {"size": size}, strict=True)
     return need.withColumns(
-        {"evict": F.col("__before") < F.col("__need"), "possible": F.col("__all") >= F.col("__need")}
-    ).drop("__before", "__all", "__need")
+        {"evict": F.col("upto_size") < F.col("__need"), "possible": F.col("total_size") >= F.col("__need")}
+    ).drop("upto_size", "total_size", "__need")
 
 
 def cap_per_rule(requests: DataFrame, keys: list[str], rule_order: str, path: str, cap: int) -> DataFrame:

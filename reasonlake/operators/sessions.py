@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import stats as T
+
 SHELL = "run_shell_command"
 
 
@@ -197,7 +199,9 @@ def first_pairs(runs: DataFrame, keys: list[str], mode: str, left: str, right: s
 
 def against_median(runs: DataFrame, keys: list[str], mode: str, base: str, value: str) -> DataFrame:
     """Runs of other modes against the median of the base runs with the same keys."""
-    m = runs.where(F.col(mode) == base).groupBy(*keys).agg(F.percentile(value, 0.5).alias("base_median"))
+    m = T.position_percentiles(
+        runs.where(F.col(mode) == base).withColumn(value, F.col(value).cast("double")), keys, value, {"base_median": ("linear", 0.5)}
+    )
     return runs.where(F.col(mode) != base).join(m, keys).withColumn(
         "overhead_pct", (F.col(value) - F.col("base_median")) / F.greatest(F.lit(1.0), F.col("base_median")) * 100
     )

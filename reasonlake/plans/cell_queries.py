@@ -88,9 +88,9 @@ def cell_medians(spark, sf):
 
 def speedup_quantiles(spark, sf):
     c = C.cell_speedup(_orders(spark, sf), ["task", "model"], "mode", "v", [F.desc("run")], "baseline")
-    return c.groupBy("model").agg(
-        F.count(F.lit(1)).alias("n"),
-        *[F.round(F.percentile("speedup", q), 3).alias(f"q{int(q * 100)}") for q in (0.25, 0.5, 0.75)],
+    q = T.position_percentiles(c, ["model"], "speedup", {f"q{p}": ("linear", p / 100) for p in (25, 50, 75)})
+    return c.join(q, "model").groupBy("model").agg(
+        F.count(F.lit(1)).alias("n"), *[F.round(F.first(f"q{p}"), 3).alias(f"q{p}") for p in (25, 50, 75)],
         F.round(F.max("speedup"), 4).alias("best"), F.count(F.when(F.col("outcome") == "win", 1)).alias("wins"),
         F.count(F.when(F.col("outcome") == "loss", 1)).alias("losses")
     )

@@ -182,7 +182,7 @@ _ENDINGS = (".md", ".py", ".csv", ".png")
 _TABLES = ("train", "test", "submission")
 
 
-def _named(spark, sf):
+def _tree_files(spark, sf):
     """Documents as files of a tree: their folder is lang/source, their name and ending follow from id and size."""
     d = F.col("doc_id")
     ending = F.element_at(F.array(*[F.lit(x) for x in _ENDINGS]), (d % len(_ENDINGS) + 1).cast("int"))
@@ -194,7 +194,7 @@ def _named(spark, sf):
 
 def name_buckets(spark, sf):
     """Buckets of all documents' files by each rule."""
-    f = _named(spark, sf)
+    f = _tree_files(spark, sf)
     name = P.basename(F.col("relative"))
     return f.groupBy(
         P.code_bucket(F.col("relative"), TREE).alias("code"), P.csv_role(name).alias("role"), P.csv_bucket(name).alias("csv"),

@@ -226,11 +226,14 @@ def segment_time(spark, sf):
 
 def pass_fractions(spark, sf):
     """Shares of sessions that meet bounds, by family, where a family has three at least."""
-    s = S.shell_split(_money(spark, sf), ["session_id"])
-    return s.groupBy((F.col("session_id") % 7).alias("family")).agg(
+    s = S.shell_split(_money(spark, sf), ["session_id"]).select(
+        "*", (F.col("session_id") % 7).alias("family"), F.col("total_s").cast("double").alias("x")
+    )
+    m = T.position_percentiles(s, ["family"], "x", {"median_s": ("linear", 0.5)})
+    return s.join(m, "family").groupBy("family").agg(
         F.count(F.lit(1)).alias("n"), F.round(T.share(F.col("total_s") >= 3000), 4).alias("long"),
         F.round(T.share(F.col("shell_s") * 5 >= F.col("total_s")), 4).alias("shell_heavy"),
-        F.percentile(F.col("total_s").cast("double"), 0.5).alias("median_s")
+        F.first("median_s").alias("median_s")
     ).where("n >= 3")
 
 

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..operators import scoring as S
+from ..sources.staging import shared_folder
 from ..streaming import live
 from . import fixtures as X
 
@@ -16,19 +14,11 @@ from . import fixtures as X
 END = "2261-01-01 00:00:00"
 
 
-def _folder(spark, name):
-    """A new folder that the executors share."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or (
-        "file://" + tempfile.mkdtemp(prefix="spark-reasonlake-") if spark.sparkContext.master.startswith("local[") else spark.conf.get("spark.sql.warehouse.dir")
-    )
-    return f"{root}/{name}-{uuid.uuid4().hex}"
-
-
 def _ended(df, time, **values):
     """A stream with one more row at ``END``, so that the watermark passes every event once the input ends. What holds
     that row itself stays open and is never emitted.
     """
-    out = _folder(df.sparkSession, "end")
+    out = shared_folder(df.sparkSession, "end")
     values |= {time: END}
     df.sparkSession.range(1).select(
         *[F.lit(values.get(f.name)).cast(f.dataType).alias(f.name) for f in df.schema]
@@ -41,7 +31,7 @@ def _drained(df, name, mode="append"):
     executors share.
     """
     spark = df.sparkSession
-    out = _folder(spark, name)
+    out = shared_folder(spark, name)
     q = df.writeStream.format("parquet").outputMode(mode).option("path", f"{out}/sink").option(
         "checkpointLocation", f"{out}/checkpoint"
     ).trigger(availableNow=True).start()
@@ -114,7 +104,7 @@ def slack_stream(spark, sf):
 def literal_delta_stream(spark, sf):
     """Files that a session's turns name, each once: a stream joined with a table of needles."""
     keyed = S.keyed_needles(S.needles_of(X.prior(spark, sf).where("bucket = 'all_files'")))
-    out = _folder(spark, "needles")
+    out = shared_folder(spark, "needles")
     keyed.write.parquet(out)
     keyed = spark.read.schema(keyed.schema).parquet(out)
     kinds = keyed.agg(F.sort_array(F.collect_set(F.length("gram")))).first()[0] or [1]
