@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import cell_queries, detection_queries, path_queries, run_queries, session_queries, stream_queries
+from . import cell_queries, detection_queries, path_queries, run_queries, session_queries, source_queries, stream_queries
 
-MODULES = (detection_queries, path_queries, session_queries, cell_queries, run_queries, stream_queries)
+MODULES = (detection_queries, path_queries, session_queries, cell_queries, run_queries, source_queries, stream_queries)
 
 
 def queries() -> dict:

@@ -113,6 +113,8 @@ def stream_shape(events: DataFrame) -> DataFrame:
     return events.withColumn("shape", shape).where("shape is not null").groupBy("session_id").agg(F.min_by("shape", "seq").alias("shape"))
 
 
+#: Columns of events of either shape.
+_EVENT = {"block_idx": "int", "block_type": "string", "delta_type": "string", "chunk": "string", "tool_name": "string", "args": "string"}
 #: Parts of provider names that tell a log's shape.
 SHAPES = {"anthropic": "anthropic", "openrouter": "anthropic", "azure": "anthropic", "gemini": "gemini", "google": "gemini"}
 
@@ -122,19 +124,15 @@ def parse_stream(events: DataFrame, provider: str | None = None) -> DataFrame:
     that does. Sessions without such an event have none.
     """
     kind = next((v for k, v in SHAPES.items() if provider and k in provider.lower()), None)
+    lacks = {c: F.lit(None).cast(t) for c, t in _EVENT.items() if c not in events.columns}  # logs of one shape have its columns alone
+    events = events.withColumns(lacks) if lacks else events
     if kind:
         events = events.withColumn("shape", F.lit(kind))
     else:
         events = events.join(stream_shape(events), "session_id")
     names = ["session_id", "block_seq", "type", "t_first", "t_stop", "text", "chunks", "tool_name"]
-    a = assemble_blocks(events.where("shape = 'anthropic'")).select(*names)
-    return a.unionByName(
-        gemini_blocks(
-            events.where("shape = 'gemini'").withColumn(
-                "args", F.col("args") if "args" in events.columns else F.lit(None).cast("string")
-            )
-        ).select(*names)
-    )
+    made = {"anthropic": assemble_blocks, "gemini": gemini_blocks}
+    return reduce(DataFrame.unionByName, [f(events.where(F.col("shape") == k)).select(*names) for k, f in made.items() if kind in (None, k)])
 
 
 def from_recorder(events: DataFrame) -> DataFrame:
@@ -506,3 +504,25 @@ def write_reports(tables: dict[str, DataFrame], root: str, fmt: str = "parquet",
     """One table for each report key below a root; Spark's commit protocol keeps each whole."""
     for key, df in tables.items():
         df.write.format(fmt).mode(mode).save(f"{root}/{key}")
+
+
+def write_files(files: DataFrame, root: str) -> int:
+    """Rows (path, content) as files below a root that all executors share, written by the tasks; the number of files.
+
+    A task that runs again writes the same files again. Each content is held whole.
+    """
+
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        store, top = fs.FileSystem.from_uri(root)
+        for b in it:
+            for path, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                at = f"{top.rstrip('/')}/{path}"
+                store.create_dir(at.rsplit("/", 1)[0], recursive=True)
+                with store.open_output_stream(at) as out:
+                    out.write((content or "").encode())
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], names=["n"])
+
+    done = files.select("path", "content").mapInArrow(batches, "n long").agg(F.sum("n")).first()[0]
+    return done or 0
