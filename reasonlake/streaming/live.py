@@ -1,32 +1,34 @@
 """Live work over streams of text deltas, and rollups of staging events.
 
 Arrival order is not event order, so a session's state holds the deltas that an earlier one may still precede, and
-folds the others into a small memory, in order of (t_ms, seq), once the watermark has passed them. Deltas behind the
-watermark are late: Spark leaves them out and counts them (``late_rows``). A session that is idle for long is closed
-and its state dropped.
+takes the others, in order of (t_ms, seq), once the watermark has passed them: a timer at the earliest held delta wakes the
+session. What it remembers is in typed state (lists, maps and values in the state store), of which a delta touches a few
+entries; nothing is rewritten whole. Deltas behind the watermark are late: Spark leaves them out and counts them
+(``LateRows``). A session that is idle for long is closed by a timer and its state dropped.
+
+The operators need the RocksDB state store and set it for the session when they are built.
 """
 
 from __future__ import annotations
 
-import json
 import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor, StreamingQuery, StreamingQueryListener
 
 from ..functions.labels import LIVE, tier
-from ..operators.matching import SCANNED, most_width
+from ..operators.automata import Follower, Literals, pattern_of
+from ..operators.matching import SCANNED, Rules
 
 FIRED = "session_id string, block string, name string, fired_at_ms double, match_start long"
-STATE = "t array<double>, seq array<long>, block array<string>, kind array<string>, chunk array<string>, at array<long>, memory string"
+STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
-#: Takes a session's memory and one delta (t_ms, seq, block, kind, chunk) and gives the rows that follow from it,
-#: without the session.
-Fold = Callable[[dict, tuple], Iterator[tuple]]
+#: A delta without its session: (t_ms, seq, block, kind, chunk) and its event time in milliseconds.
+Delta = tuple[float, int, str, str, str, int]
 
 
 def normalise(events: DataFrame, provider: str) -> DataFrame:
@@ -55,118 +57,254 @@ def normalise(events: DataFrame, provider: str) -> DataFrame:
     ).where("kind is not null")
 
 
-def in_order(
-    deltas: DataFrame, fold: Fold, columns: str, start: str, delay: str, idle_ms: int,
-    close: Callable[[dict], Iterator[tuple]] | None = None
-) -> DataFrame:
-    """Rows (session_id and ``columns``) that ``fold`` gives for the deltas of each session in event order, and
-    ``close`` for its end.
+_TYPES = {
+    "string": T.StringType(), "long": T.LongType(), "double": T.DoubleType(), "int": T.IntegerType(), "boolean": T.BooleanType(),
+    "array<int>": T.ArrayType(T.IntegerType())
+}
+
+
+def _struct(columns: str) -> T.StructType:
+    """A schema of names and types; states are opened in workers, which have no session to parse one."""
+    return T.StructType([T.StructField(n, _TYPES[k]) for n, k in (c.split() for c in columns.split(", "))])
 
-    Rows come when the watermark has passed their delta, so the result does not depend on the order of
-    arrival. The memory is kept as JSON; deltas are dropped once they are folded.
+
+class InOrder(StatefulProcessor):
+    """Gives ``take`` the deltas of each session in event order, and ends it with ``done``. Both give rows without the session.
+
+    A subclass opens its own state in ``open`` and names it in ``parts``, so that the end of a session clears it.
     """
-    names = ["session_id", *(x.split()[0] for x in columns.split(","))]
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        *held, memory = state.get if state.exists else ([], [], [], [], [], [], "{}")
-        rows, memory = [*zip(*held, strict=True)], json.loads(memory)
-        mark = float("inf")  # a closing session takes all it has
-        if not state.hasTimedOut:
-            mark = state.getCurrentWatermarkMs()
-            for b in batches:
-                when = b[start].astype("datetime64[ms]").astype("int64")
-                rows += [
-                    (float(a), int(s), str(k), str(x), str(c or ""), int(w)) for a, s, k, x, c,
-                    w in zip(b.t_ms, b.seq, b.block, b.kind, b.chunk, when, strict=True)
-                ]
-        rows.sort()
+
+    columns = ""
+
+    def __init__(self, start: str, idle_ms: int) -> None:
+        self.start, self.idle_ms = start, idle_ms
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.held = handle.getListState("held", _struct("t double, seq long, block string, kind string, chunk string, at long"))
+        self.last = handle.getValueState("last", _struct("at long"))
+        self.parts: list = []
+        self.open(handle)
+
+    def open(self, handle) -> None: ...
+
+    def take(self, delta: Delta) -> Iterator[tuple]: ...
+
+    def done(self) -> Iterator[tuple]:
+        return iter(())
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        new: list[Delta] = []
+        for b in rows:
+            when = b[self.start].astype("datetime64[ms]").astype("int64")
+            new += [
+                (float(t), int(s), str(k), str(x), str(c or ""), int(w)) for t, s, k, x, c, w in zip(b.t_ms, b.seq, b.block, b.kind, b.chunk, when, strict=True)
+            ]
+        if new:
+            self.held.appendList(new)
+            last = max(d[5] for d in new)
+            if self.last.exists():
+                last = max(last, self.last.get()[0])
+            self.last.update((last,))
+            self.handle.registerTimer(min(d[5] for d in new))
+            self.handle.registerTimer(last + self.idle_ms)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        if not self.last.exists():  # closed already
+            return
+        mark = timerValues.getCurrentWatermarkInMs()
+        rows = sorted(tuple(r) for r in self.held.get()) if self.held.exists() else []
         ready = next((i for i, r in enumerate(rows) if r[5] > mark), len(rows))  # deltas that no earlier one can precede any more
-        out = [(key[0], *x) for r in rows[:ready] for x in fold(memory, r[:5])]
-        last = max([int(mark) if mark != float("inf") else 0, *(r[5] for r in rows)])
-        if state.hasTimedOut:
-            out += [(key[0], *x) for x in close(memory)] if close else []
-            state.remove()
-        else:
-            left = rows[ready:]
-            state.update((*([x[i] for x in left] for i in range(6)), json.dumps(memory)))
-            state.setTimeoutTimestamp(last + idle_ms)
+        out = [(key[0], *x) for r in rows[:ready] for x in self.take(r)]
+        if self.last.get()[0] + self.idle_ms <= mark:
+            out += [(key[0], *x) for x in self.done()]
+            for state in (self.held, self.last, *self.parts):
+                state.clear()
+        elif ready:
+            self.held.clear()
+            if rows[ready:]:
+                self.held.put(rows[ready:])
+                self.handle.registerTimer(min(r[5] for r in rows[ready:]))
         if out:
-            yield pd.DataFrame(out, columns=names)
+            yield pd.DataFrame(out, columns=["session_id", *(c.split()[0] for c in self.columns.split(", "))])
 
+    def close(self) -> None: ...
+
+
+def in_order(deltas: DataFrame, processor: InOrder, delay: str) -> DataFrame:
+    """Rows (session_id and the processor's columns) that follow from the deltas of each session in event order.
+
+    Rows come when the watermark has passed their delta, so the result does not depend on the order of arrival.
+    """
+    deltas.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
     told = deltas.select(
-        F.col("session_id").cast("string").alias("session_id"), "block", "t_ms", "seq", "kind", "chunk", start
-    ).withWatermark(start, delay)
-    return told.groupBy("session_id").applyInPandasWithState(
-        step, f"session_id string, {columns}", STATE, "append", GroupStateTimeout.EventTimeTimeout
+        F.col("session_id").cast("string").alias("session_id"), "block", "t_ms", "seq", "kind", "chunk", processor.start
+    ).withWatermark(processor.start, delay)
+    return told.groupBy("session_id").transformWithStateInPandas(
+        processor, f"session_id string, {processor.columns}", "Append", "EventTime"
     )
 
 
+class LateRows(StreamingQueryListener):
+    """Counts the deltas that each query left out because they came behind its watermark, from its start on:
+    ``spark.streams.addListener`` it, then ask by ``query.runId``.
+    """
+
+    def __init__(self) -> None:
+        self.by_run: dict[str, int] = {}
+
+    def onQueryStarted(self, event) -> None: ...  # noqa: N802
+
+    def onQueryProgress(self, event) -> None:  # noqa: N802
+        p = event.progress
+        late = sum(o.numRowsDroppedByWatermark for o in p.stateOperators)
+        self.by_run[str(p.runId)] = self.by_run.get(str(p.runId), 0) + late
+
+    def onQueryIdle(self, event) -> None: ...  # noqa: N802
+
+    def onQueryTerminated(self, event) -> None: ...  # noqa: N802
+
+
 def late_rows(query: StreamingQuery) -> int:
-    """Deltas that a query left out because they came behind its watermark, over its recent progress."""
+    """Late deltas over a query's recent progress (the last hundred reports); a ``LateRows`` listener counts all."""
     return sum(o["numRowsDroppedByWatermark"] for p in query.recentProgress for o in p["stateOperators"])
 
 
+class Firing(InOrder):
+    """Rules over a session's text. Of the text only the end is kept, as far as rules of bounded width reach back; other
+    rules keep the state of their automaton, and the text in pieces that are read again only when such a rule fires.
+    """
+
+    columns = FIRED.split(", ", 1)[1]
+
+    def __init__(self, rules: list[tuple[str, str]], start: str, idle_ms: int, scope: str) -> None:
+        super().__init__(start, idle_ms)
+        self.plain, self.scope = rules, scope
+
+    def open(self, handle) -> None:
+        self.rules = Rules([(i, n, p, []) for i, (n, p) in enumerate(self.plain)])
+        self.patterns = {i: pattern_of(p) for i, (_, p) in enumerate(self.plain) if self.rules.widths[i] is None}
+        self.back = max((w for w in self.rules.widths if w is not None), default=0)
+        self.known = handle.getMapState("known", _struct("name string"), _struct("t double"))
+        self.tails = handle.getMapState("tails", _struct("own string"), _struct("text string, size long, pieces long"))
+        self.automata = handle.getMapState("automata", _struct("own string, name string"), _struct("nodes array<int>, before int, last boolean, gone boolean"))
+        self.texts = handle.getMapState("texts", _struct("own string, i long"), _struct("text string"))
+        self.parts = [self.known, self.tails, self.automata, self.texts]
+
+    def take(self, delta: Delta) -> Iterator[tuple]:
+        t, _, block, _, chunk, _ = delta
+        own = block if self.scope == "block" else ""
+        tail, size, pieces = self.tails.getValue((own,)) if self.tails.containsKey((own,)) else ("", 0, 0)
+        seen = tail + chunk
+        likely = set(self.rules.likely(seen))
+        if self.patterns:
+            self.texts.updateValue((own, pieces), (chunk,))
+        for i, (name, pattern) in enumerate(self.plain):
+            unbounded = i in self.patterns
+            if not unbounded and i not in likely or self.known.containsKey((name,)):
+                continue
+            if not unbounded:
+                m = self.rules.search(i)(seen, max(0, len(tail) - self.rules.widths[i]))
+                start = m.start() - len(tail) + size if m else None
+            else:
+                start = self._whole(i, own, pieces) if self._met(i, own, chunk) else None
+            if start is not None:
+                self.known.updateValue((name,), (t,))
+                yield block, name, t, start
+        self.tails.updateValue((own,), (seen[-self.back :] if self.back else "", size + len(chunk), pieces + 1))
+
+    def _met(self, i: int, own: str, chunk: str) -> bool:
+        """Whether an unbounded rule has a match in the text so far; patterns that aren't regular are always tried."""
+        pattern, key = self.patterns[i], (own, self.plain[i][0])
+        if pattern is None:
+            return True
+        f = Follower(pattern)
+        if self.automata.containsKey(key):
+            nodes, before, last, f.gone = self.automata.getValue(key)
+            f.known = frozenset(nodes), before, last
+        f.feed(chunk)
+        nodes, before, last = f.known
+        self.automata.updateValue(key, (sorted(nodes), before, last, f.gone))
+        return f.gone or pattern.ends(pattern.number(f.known))
+
+    def _whole(self, i: int, own: str, pieces: int) -> int | None:
+        m = self.rules.search(i)("".join(self.texts.getValue((own, k))[0] for k in range(pieces + 1)))
+        return m.start() if m else None
+
+
 def fire_live(
     deltas: DataFrame, rules: list[tuple[str, str]], start: str = "event_ts", delay: str = "10 seconds", idle_ms: int = 600_000,
     scope: str = "session"
 ) -> DataFrame:
     """Each rule (name, pattern) once a session, when its pattern is first found in the text so far.
 
-    ``deltas``: session_id, block, t_ms, seq, kind, chunk and the event time ``start``. With scope
-    ``block`` each block's text is searched alone. A new match ends in the new delta, so for rules of bounded width only
-    as many characters before it are kept and searched; rules without a bound are searched in the whole text.
+    ``deltas``: session_id, block, t_ms, seq, kind, chunk and the event time ``start``. With scope ``block`` each block's text is
+    searched alone.
     """
-    compiled = [(n, re.compile(p, re.IGNORECASE), most_width(p)) for n, p in rules]
-    reach = None if any(w is None for _, _, w in compiled) else max([w for _, _, w in compiled], default=0)
+    return in_order(deltas.where(F.col("kind").isin(*SCANNED)), Firing(rules, start, idle_ms, scope), delay)
 
-    def fold(memory: dict, delta: tuple) -> Iterator[tuple]:
-        t, _, block, _, chunk = delta
-        known, texts = memory.setdefault("known", []), memory.setdefault("texts", {})
-        own = block if scope == "block" else ""
-        text, cut = texts.get(own, ("", 0))
-        before, text = len(text), text + chunk
-        for name, pattern, width in compiled:
-            if name not in known and (m := pattern.search(text, 0 if width is None else max(0, before - width))):
-                known.append(name)
-                yield block, name, t, cut + m.start()
-        drop = 0 if reach is None else max(0, len(text) - reach)
-        texts[own] = text[drop:], cut + drop
 
-    return in_order(deltas.where(F.col("kind").isin(*SCANNED)), fold, FIRED.split(", ", 1)[1], start, delay, idle_ms)
+LISTED = re.compile(r"^\s*FILE\s+(\S+)\s+\(\d+\s+bytes\)\s*$", re.MULTILINE)
 
 
-LISTED = re.compile(r"^\s*FILE\s+(\S+)\s+\(\d+\s+bytes\)\s*$", re.MULTILINE)
+class Mentions(InOrder):
+    """Needles and listed files in a session's text; mentions may lie across deltas."""
+
+    columns = "block string, path string, t_ms double, listed boolean"
+
+    def __init__(self, needles: list[tuple[str, str]], start: str, idle_ms: int) -> None:
+        super().__init__(start, idle_ms)
+        self.needles = needles
+
+    def open(self, handle) -> None:
+        self.literals = Literals((n, i) for i, (n, _) in enumerate(self.needles))
+        self.longest = max((len(n) for n, _ in self.needles), default=1)
+        self.seen = handle.getMapState("seen", _struct("path string"), _struct("t double"))
+        self.grown = handle.getMapState("grown", _struct("path string"), _struct("t double"))
+        self.tail = handle.getValueState("tail", _struct("text string, reach int"))
+        self.parts = [self.seen, self.grown, self.tail]
+
+    def take(self, delta: Delta) -> Iterator[tuple]:
+        t, _, block, kind, chunk, _ = delta
+        tail, reach = self.tail.get() if self.tail.exists() else ("", self.longest)
+        text = tail + chunk
+        found = {self.needles[i][1]: False for i in sorted(self.literals.within(text))}
+        if reach:  # what listings have shown is looked for as well
+            found = {p: True for (p,) in self.grown.keys() if p in text} | found
+        for path, listed in found.items():
+            if not self.seen.containsKey((path,)):
+                self.seen.updateValue((path,), (t,))
+                yield block, path, t, listed
+        if kind == "tool_result":
+            for path in dict.fromkeys(LISTED.findall(chunk)):
+                if not self.seen.containsKey((path,)):
+                    self.grown.updateValue((path,), (t,))
+                    reach = max(reach, len(path))
+        self.tail.update((text[-(reach - 1) :] if reach > 1 else "", reach))
 
 
 def literal_deltas(
     deltas: DataFrame, needles: list[tuple[str, str]], start: str = "event_ts", delay: str = "10 seconds", idle_ms: int = 600_000
 ) -> DataFrame:
     """(session_id, block, path, t_ms, listed): each file once a session, when its path or another needle (needle, path)
-    is first named.
+    is first named, across deltas too.
 
     The files that listings in tool results show join what is looked for, by their paths, from the next delta on
-    (``listed``). Needles of a
-    workload are configuration; for needles that grow with the data join a stream with a table of them (``literal_stream``).
+    (``listed``). Needles are one automaton in each worker, so they are configuration or a table of counted size
+    (``needle_list``); for more of them join the stream with a table (``literal_stream``).
     """
-    longest = max([len(n) for n, _ in needles], default=0)
-
-    def fold(memory: dict, delta: tuple) -> Iterator[tuple]:
-        t, _, block, kind, chunk = delta
-        seen, grown = memory.setdefault("seen", []), memory.setdefault("grown", [])
-        most = max([longest, *map(len, grown)])
-        text = memory.get("text", "") + chunk
-        for needle, path, listed in [*((n, p, False) for n, p in needles), *((p, p, True) for p in grown)]:
-            if path not in seen and needle in text:
-                seen.append(path)
-                yield block, path, t, listed
-        memory["text"] = text[-(most - 1) :] if most > 1 else ""
-        if kind == "tool_result":
-            grown += [p for p in dict.fromkeys(LISTED.findall(chunk)) if p not in grown and p not in seen]
+    return in_order(deltas.where(F.col("kind").isin(*SCANNED)), Mentions(needles, start, idle_ms), delay)
 
-    return in_order(
-        deltas.where(F.col("kind").isin(*SCANNED)), fold, "block string, path string, t_ms double, listed boolean", start, delay,
-        idle_ms
-    )
+
+def needle_list(prior: DataFrame) -> list[tuple[str, str]]:
+    """(needle, path) of a prior's input files, for ``literal_deltas``; raises if there are more than a worker should hold."""
+    from ..operators.scoring import MOST_NEEDLES, needles_of
+
+    rows = needles_of(prior).select("needle", "path").limit(MOST_NEEDLES + 1).collect()
+    if len(rows) > MOST_NEEDLES:
+        raise ValueError(f"over {MOST_NEEDLES} needles: use literal_stream")
+    return [tuple(r) for r in rows]
 
 
 def literal_stream(
@@ -186,40 +324,60 @@ def literal_stream(
     ).dropDuplicatesWithinWatermark(["session_id", "path"])
 
 
+class Slack(InOrder):
+    columns = "t_ms double, slack_ms double"
+
+    def open(self, handle) -> None:
+        self.thought = handle.getValueState("thought", _struct("t double"))
+        self.told = handle.getValueState("told", _struct("t double"))
+        self.parts = [self.thought, self.told]
+
+    def take(self, delta: Delta) -> Iterator[tuple]:
+        t, kind = delta[0], delta[3]
+        if kind == "thinking" and not self.thought.exists():
+            self.thought.update((t,))
+        if kind == "tool_use" and not self.told.exists():
+            self.told.update((t,))
+            yield t, t - self.thought.get()[0] if self.thought.exists() else None
+
+
 def slack_live(deltas: DataFrame, start: str = "event_ts", delay: str = "10 seconds", idle_ms: int = 600_000) -> DataFrame:
     """(session_id, t_ms, slack_ms): at the first tool use of a session, the time since its first thinking; null without
     any before.
     """
+    return in_order(deltas, Slack(start, idle_ms), delay)
 
-    def fold(memory: dict, delta: tuple) -> Iterator[tuple]:
-        t, _, _, kind, _ = delta
-        if kind == "thinking":
-            memory.setdefault("thought", t)
-        if kind == "tool_use" and not memory.get("told"):
-            memory["told"] = True
-            yield t, None if memory.get("thought") is None else t - memory["thought"]
 
-    return in_order(deltas, fold, "t_ms double, slack_ms double", start, delay, idle_ms)
+class Arguments(InOrder):
+    columns = "block string, t_ms double, arguments string"
+
+    def open(self, handle) -> None:
+        self.call = handle.getValueState("call", _struct("block string, t double"))
+        self.fragments = handle.getListState("fragments", _struct("text string"))
+        self.parts = [self.call, self.fragments]
+
+    def done(self) -> Iterator[tuple]:
+        if self.call.exists():
+            block, t = self.call.get()
+            yield block, t, "".join(x[0] for x in self.fragments.get())
+            self.call.clear()
+            self.fragments.clear()
+
+    def take(self, delta: Delta) -> Iterator[tuple]:
+        t, _, block, kind, chunk, _ = delta
+        if kind != "tool_use" or self.call.exists() and self.call.get()[0] != block:
+            yield from self.done()
+        if kind == "tool_use":
+            if not self.call.exists():
+                self.call.update((block, t))
+            self.fragments.appendValue((chunk,))
 
 
 def tool_arguments(deltas: DataFrame, start: str = "event_ts", delay: str = "10 seconds", idle_ms: int = 600_000) -> DataFrame:
     """(session_id, block, t_ms, arguments): the fragments of each tool call put together, once a delta of another call
     or kind follows, or the session ends.
     """
-
-    def done(memory: dict) -> Iterator[tuple]:
-        if memory.get("block") is not None:
-            yield memory["block"], memory["t"], memory["text"]
-        memory.clear()
-
-    def fold(memory: dict, delta: tuple) -> Iterator[tuple]:
-        t, _, block, kind, chunk = delta
-        if kind != "tool_use" or block != memory.get("block"):
-            yield from done(memory)
-        if kind == "tool_use":
-            memory.update(block=block, t=memory.get("t", t), text=memory.get("text", "") + chunk)
-
-    return in_order(deltas, fold, "block string, t_ms double, arguments string", start, delay, idle_ms, done)
+    return in_order(deltas, Arguments(start, idle_ms), delay)
 
 
 def gate(fired: DataFrame, sizes: DataFrame) -> DataFrame:
@@ -230,10 +388,36 @@ def gate(fired: DataFrame, sizes: DataFrame) -> DataFrame:
 
 
 def requests(fired: DataFrame, targets: DataFrame, time: str, delay: str = "10 minutes") -> DataFrame:
-    """One staging request for each host and path, however often it is asked for."""
+    """Staging requests for each host and path, repeats within the delay left out; ``send_requests`` leaves out all others too."""
     return fired.join(targets, "name").withWatermark(time, delay).dropDuplicatesWithinWatermark(["host", "path"])
 
 
+def sent_requests(spark: SparkSession, table: str) -> DataFrame:
+    """(host, path, batch): all requests that were sent so far."""
+    return spark.read.schema("host string, path string, batch long").parquet(table)
+
+
+def send_requests(asked: DataFrame, table: str, checkpoint: str, send: Callable[[DataFrame, int], None] | None = None) -> StreamingQuery:
+    """Start sending each (host, path) of a stream once for good, however much later or after how many restarts it is asked for again.
+
+    The folder ``table`` holds what was sent, a part for each batch. A batch's new requests are those that no earlier batch has;
+    they are written under the batch's number, over what a failed attempt of it left, before ``send`` gets them. So a batch
+    that is run again sends the same requests again, and no others: ``send`` must bear that for its last batch.
+    """
+
+    def batch(df: DataFrame, number: int) -> None:
+        spark = df.sparkSession
+        own = df.select("host", "path").distinct()
+        if number:
+            spark.createDataFrame([], "host string, path string").write.mode("ignore").parquet(f"{table}/batch=-1")  # a table to read
+            own = own.join(sent_requests(spark, table).where(F.col("batch") < number), ["host", "path"], "left_anti")
+        own.write.mode("overwrite").parquet(f"{table}/batch={number}")
+        if send:
+            send(spark.read.schema("host string, path string").parquet(f"{table}/batch={number}"), number)
+
+    return asked.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def stage_rollup(
     events: DataFrame, time: str = "event_ts", window: str = "5 minutes", slide: str | None = None, delay: str = "10 minutes"
 ) -> DataFrame:
