@@ -223,19 +223,25 @@ def _cluster(members: DataFrame, index: Index, keys: list[str], near: int, tie:
     return dealt.mapInArrow(batches, "".join(f"{k} {kinds[k]}, " for k in keys) + "a long, b long")
 
 
-def _tie(met: DataFrame, known: DataFrame, index: Index) -> DataFrame:
+def _tie(met: DataFrame, known: DataFrame, index: Index, key_members: int = KEY_MEMBERS) -> DataFrame:
     """Edges (a, b) by which members of a key (key, node, salt) within the index's distance of each other end in one
     group. ``known``: node, weight, sig.
 
     A member is within ``near`` of a leader, so one that it is within ``reach`` of is within near + reach of that leader.
     In a salted key the leaders of two such members are within 2 * near + reach, and one of the leaders of these is
     within ``near``
-    of the one, so within 3 * near + reach of the other.
+    of the one, so within 3 * near + reach of the other. Leaders that are too many for a task are dealt in blocks, and every two blocks
+    meet in a task of their own: no two leaders fail to meet, and no task has more than ``key_members`` of them or so.
     """
     near, reach = index.distance // 2, index.distance
     tied = stage_table(_cluster(met.join(known, "node"), index, ["key", "salt"], near, near + reach), "op1-tied")
-    heads = tied.where("salt >= 0 AND a = b").select("key", F.col("a").alias("node")).join(known, "node")
-    return tied.select("a", "b").unionAll(_cluster(heads, index, ["key"], near, 3 * near + reach).select("a", "b"))
+    heads = tied.where("salt >= 0 AND a = b").select("key", F.col("a").alias("node"))
+    sizes = heads.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / key_members).cast("int").alias("parts"))
+    blocks = F.when(F.col("parts") > 1, 2 * F.col("parts")).otherwise(1)
+    own = heads.join(sizes, "key").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node", F.lit(3)), F.col("blocks")).cast("int"))
+    each = own.select("key", "node", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    pairs = each.select("key", "node", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"))
+    return tied.select("a", "b").unionAll(_cluster(pairs.join(known, "node"), index, ["key", "one", "two"], near, 3 * near + reach).select("a", "b"))
 
 
 def connected(edges: DataFrame, name: str = "components") -> DataFrame:
@@ -256,21 +262,16 @@ def connected(edges: DataFrame, name: str = "components") -> DataFrame:
             return seen.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         return seen.select(F.explode(F.array("a", "b")).alias("a"), F.col("m").alias("b")).where("a != b").distinct()
 
-    def state(e: DataFrame) -> tuple:
-        r = e.agg(
-            F.count(F.lit(1)), F.coalesce(F.sum((F.xxhash64("a", "b") % 1_000_000_007).cast("decimal(38,0)")), F.lit(0))
-        ).first()
-        return r[0], r[1]
-
     now = stage_table(
         edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name
     )
-    was = state(now)
-    while was[0]:
-        now = stage_table(star(star(now, True), False), name)
-        if (new := state(now)) == was:
+    n = now.count()
+    while n:
+        was, before = now, n
+        now = stage_table(star(star(was, True), False), name)
+        n = now.count()
+        if n == before and now.join(was, ["a", "b"], "left_anti").isEmpty():
             break
-        was = new
     roots = now.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return roots.unionAll(roots.select(F.col("root").alias("node"), "root").distinct())
 
@@ -450,7 +451,7 @@ def classes(
         "op1-members"
     )
     known = met.groupBy("node").agg(F.sum("n").alias("weight")).join(items.select("node", "sig"), "node")
-    edges = _tie(met, known, index)
+    edges = _tie(met, known, index, key_members)
     groups = stage_table(connected(edges, "op1-groups"), "op1-groups")
 
     grouped = groups.join(items.select("node", "doc_id", "text_hash", "n"), "node").join(known.select("node", "weight"), "node")
