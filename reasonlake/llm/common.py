@@ -63,6 +63,15 @@ def words_of(text: Column, gap: str = SPACE) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), gap), "")
 
 
+def without(items: str, places: str) -> Column:
+    """An array column without the elements at some places (from 0, ascending, each once): the slices between them, so that
+    the time follows the elements. Both are columns that exist, as what a lambda holds is computed for each of its elements.
+    """
+    at = F.concat(F.array(F.lit(-1)), F.col(places).cast("array<int>"), F.array(F.size(items)))
+    ends = F.arrays_zip(F.slice(at, F.lit(1), F.size(at) - 1).alias("a"), F.slice(at, F.lit(2), F.size(at) - 1).alias("b"))
+    return F.flatten(F.transform(ends, lambda x: F.slice(F.col(items), x["a"] + 2, x["b"] - x["a"] - 1)))
+
+
 class WordCodes(dict):
     """64-bit codes of words, kept for reuse while a Python worker lives; bounded."""
 

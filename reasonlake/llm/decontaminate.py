@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read, stage_table, words_of
+from .common import read, stage_table, without, words_of
 
 #: Everything but digits, a-z and bytes above 127 parts words, after A-Z is lower-cased.
 GAP = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
@@ -164,12 +164,12 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, size: int = 13, doc: str
     """
     cut = contamination(docs, benchmark, size, doc=doc, text=text).where("n_hit > 0").select(
         F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"),
-        F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s.start, s.start + s.n - 1)))).alias("__cut")
+        F.array_sort(F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s.start, s.start + s.n - 1))))).alias("__cut")
     ).distinct()
-    left = F.array_join(F.filter(norm_words(F.col(text)), lambda w, i: ~F.array_contains("__cut", i)), " ")
-    return docs.join(
-        cut, docs[doc].eqNullSafe(cut["__id"]) & (F.xxhash64(docs[text]) == cut["__hash"]), "left"
-    ).withColumn(text, F.when(F.col("__cut").isNull(), F.col(text)).otherwise(left)).drop("__id", "__hash", "__cut")
+    out = docs.join(cut, docs[doc].eqNullSafe(cut["__id"]) & (F.xxhash64(docs[text]) == cut["__hash"]), "left")
+    out = out.withColumn("__words", F.when(F.col("__cut").isNotNull(), norm_words(F.col(text))))
+    left = F.array_join(without("__words", "__cut"), " ")
+    return out.withColumn(text, F.when(F.col("__cut").isNull(), F.col(text)).otherwise(left)).drop("__id", "__hash", "__cut", "__words")
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read, stage_table
+from .common import read, stage_table, without
 
 #: Sites from which a line is boilerplate; log2 of a sketch's registers; standard errors within which an estimate is checked.
 MIN_SITES, LOG_K, ERRORS = 10, 10, 4.0
@@ -26,10 +26,10 @@ def norm_line(line: Column) -> Column:
 
 def lines_of(df: DataFrame, doc: str, text: str, site: str) -> DataFrame:
     """Rows (doc_id, text_hash, site, line_no, line_hash) of the lines that are not blank."""
-    cut = df.where(F.col(text) != "").select(
-        F.col(doc).alias("doc_id"), F.xxhash64(F.col(text)).alias("text_hash"), F.col(site).cast("string").alias("site"),
-        F.posexplode(F.split(F.col(text), "\n")).alias("line_no", "line")
-    )
+    whole = df.where(F.col(text) != "").select(
+        F.col(doc).alias("doc_id"), F.xxhash64(F.col(text)).alias("text_hash"), F.col(site).cast("string").alias("site"), F.split(F.col(text), "\n").alias("__lines")
+    )  # below the explosion, or a text would be hashed for each of its lines
+    cut = whole.select("doc_id", "text_hash", "site", F.posexplode("__lines").alias("line_no", "line"))
     return cut.withColumn("line", norm_line(F.col("line"))).where("line != ''").select(
         "doc_id", "text_hash", "site", "line_no", F.xxhash64("line").alias("line_hash")
     )
@@ -76,15 +76,16 @@ def dedup_lines(
         )
     cut = hit.groupBy(
         F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")
-    ).agg(F.collect_set("line_no").alias("__cut"))
-    left = F.array_join(F.filter(F.split(F.col(text), "\n"), lambda x, i: ~F.array_contains("__cut", i)), "\n")
+    ).agg(F.sort_array(F.collect_set("line_no")).alias("__cut"))
     out = df.join(cut, df[doc].eqNullSafe(cut["__id"]) & (F.xxhash64(df[text]) == cut["__hash"]), "left")
+    out = out.withColumn("__lines", F.when(F.col("__cut").isNotNull(), F.split(F.col(text), "\n")))
+    left = F.array_join(without("__lines", "__cut"), "\n")
     return out.withColumns(
         {
             text: F.when(F.col("__cut").isNull(), F.col(text)).otherwise(left),
             "n_removed": F.coalesce(F.size("__cut"), F.lit(0)).cast("long")
         }
-    ).withColumn("n_removed", F.greatest("n_removed", F.lit(0).cast("long"))).drop("__id", "__hash", "__cut")
+    ).withColumn("n_removed", F.greatest("n_removed", F.lit(0).cast("long"))).drop("__id", "__hash", "__cut", "__lines")
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

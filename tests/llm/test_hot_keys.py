@@ -42,3 +42,26 @@ def test_components_end_when_no_edge_changes(spark):
     got = {x.node: x.root for x in near_dedup.connected(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert set(got.values()) == {200} and len(got) == 61 + 40
     assert near_dedup.connected(spark.createDataFrame([(3, 3)], "a long, b long")).count() == 0
+
+
+def test_lines_of_a_long_text_go_in_time_in_proportion(spark):
+    """Two hundred thousand lines, of which every second one is cut."""
+    import time
+
+    from reasonlake.llm import line_dedup
+
+    text = "\n".join(f"common line {i}" if i % 2 else f"own {i}" for i in range(200_000))
+    rows = [(0, "s0", text)] + [(1 + i, f"s{1 + i}", "\n".join(f"common line {j}" for j in range(1, 200_000, 2))) for i in range(2)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    began = time.time()
+    got = {x.doc_id: (x.n_removed, x.text) for x in line_dedup.dedup_lines(df, min_sites=3, keep_first=False).collect()}
+    assert got[0] == (100_000, "\n".join(f"own {i}" for i in range(0, 200_000, 2))) and got[1] == (100_000, "")
+    assert time.time() - began < 60
+
+
+def test_without(spark):
+    from reasonlake.llm.common import without
+
+    rows = [(list("abcdef"), [0, 2, 5]), (list("ab"), []), (list("ab"), [0, 1]), ([], [])]
+    got = spark.createDataFrame(rows, "x array<string>, at array<int>").select(without("x", "at").alias("y")).collect()
+    assert [r.y for r in got] == [["b", "d", "e"], ["a", "b"], [], []]
