@@ -13,21 +13,36 @@ def tier(n: Column, bounds: tuple[int, int] = OFFLINE) -> Column:
     return F.when(n <= bounds[0], 1).when(n <= bounds[1], 2).otherwise(3)
 
 
+# What tells a provider's family, in order: the column, a part of it in lower case, the family.
+FAMILIES = (
+    ("provider", "anthropic", "anthropic"), ("model", "claude", "anthropic"), ("provider", "gemini", "gemini"), ("provider", "google", "gemini"),
+    ("model", "gemini", "gemini"), ("provider", "openrouter", "openrouter"), ("model", "deepseek", "openrouter"),
+)
+# What tells a model's key, in order, and the family of all other models.
+MODEL_KEYS = (
+    ("claude-haiku", "haiku"), ("claude-sonnet", "sonnet"), ("gemini-2.5-flash", "flash"), ("gemini-flash", "flash"), ("qwen", "qwen3"),
+)
+OTHER_FAMILY = "oss"
+
+
 def provider_family(provider: Column, model: Column) -> Column:
-    p, m = F.lower(provider), F.lower(model)
-    return (
-        F.when(p.contains("anthropic") | m.contains("claude") | (p.contains("azure") & m.contains("anthropic")), "anthropic")
-        .when(p.contains("gemini") | p.contains("google") | m.contains("gemini"), "gemini")
-        .when(p.contains("openrouter") | m.contains("deepseek"), "openrouter")
-        .otherwise("oss")
-    )
+    """Family of a provider, or of its model where the provider only passes it on."""
+    of = {"provider": F.lower(provider), "model": F.lower(model)}
+    out = F.when(of["provider"].contains("azure") & of["model"].contains("anthropic"), FAMILIES[0][2])
+    for column, part, family in FAMILIES[:2]:
+        out = F.when(of[column].contains(part), family).otherwise(out)
+    rest = F.lit(OTHER_FAMILY)
+    for column, part, family in reversed(FAMILIES[2:]):
+        rest = F.when(of[column].contains(part), family).otherwise(rest)
+    return F.coalesce(out, rest)
 
 
 def model_key(model: Column) -> Column:
-    m = F.lower(F.coalesce(model, F.lit("")))
-    return F.when(m.contains("claude-haiku"), "haiku").when(m.contains("claude-sonnet"), "sonnet").when(
-        m.contains("gemini-2.5-flash") | m.contains("gemini-flash"), "flash"
-    ).when(m.contains("qwen"), "qwen3")
+    """Short key of a model; null for others."""
+    name, out = F.lower(F.coalesce(model, F.lit(""))), F.lit(None).cast("string")
+    for part, key in reversed(MODEL_KEYS):
+        out = F.when(name.contains(part), key).otherwise(out)
+    return out
 
 
 # Display names of models.

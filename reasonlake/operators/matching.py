@@ -165,12 +165,26 @@ def filter_origin(rules: DataFrame, dropped: list[str]) -> DataFrame:
     return rules.where((F.col("origin") == "general") | ~F.col("origin").isin(*dropped))
 
 
+def canonical(rules: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """``rules`` of each key in order as one canonical JSON text: names of fields sorted, nothing between tokens."""
+    rule = F.to_json(F.struct("name", "origin", "pattern", "target_keys"))
+    each = F.transform(F.sort_array(F.collect_list(F.struct("ord", rule.alias("rule")))), lambda x: x.rule)
+    return rules.groupBy(*keys).agg(F.concat(F.lit("["), F.array_join(each, ","), F.lit("]")).alias("rules"), F.count(F.lit(1)).alias("n_rules"))
+
+
 def fingerprint(rules: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
-    """SHA-256 of the rules of each key in order, one line of tab-separated fields each: name, pattern, targets, origin."""
-    line = F.concat_ws("\t", "name", "pattern", F.array_join("target_keys", ","), "origin")
-    lines = F.transform(F.sort_array(F.collect_list(F.struct("ord", line.alias("line")))), lambda x: x.line)
-    return rules.groupBy(*keys).agg(
-        F.sha2(F.array_join(lines, "\n").cast("binary"), 256).alias("fingerprint"), F.count(F.lit(1)).alias("n_rules")
+    """SHA-256 of the canonical JSON of the rules of each key, and their number."""
+    return canonical(rules, keys).select(*keys, F.sha2(F.col("rules").cast("binary"), 256).alias("fingerprint"), "n_rules")
+
+
+def library_fingerprint(rules: DataFrame, workload: str = "workload") -> DataFrame:
+    """One row: SHA-256 of all workloads' fingerprints by name, and the numbers of workloads and rules. Any change of any
+    rule changes it.
+    """
+    own = fingerprint(rules, (workload,))
+    lines = F.transform(F.sort_array(F.collect_list(F.struct(workload, "fingerprint"))), lambda x: F.concat(x[workload], F.lit(":"), x.fingerprint))
+    return own.agg(
+        F.sha2(F.array_join(lines, "\n").cast("binary"), 256).alias("fingerprint"), F.count(F.lit(1)).alias("n_workloads"), F.sum("n_rules").alias("n_rules")
     )
 
 
@@ -257,6 +271,7 @@ class Rules:
 
     def __init__(self, rules: list[tuple]) -> None:
         self.rows = [tuple(r) for r in rules]
+        self.workloads = [r[4] if len(r) > 4 else None for r in self.rows]
         needs = [literals_of(r[2]) for r in self.rows]
         self.literals = Literals((x, i) for i, need in enumerate(needs) if need for x in need)
         self.always = [i for i, need in enumerate(needs) if not need]
@@ -303,20 +318,25 @@ def _told(blocks: DataFrame) -> DataFrame:
     return blocks.where(F.col("type").isin(*SCANNED) & (F.col("text") != ""))
 
 
-def matches(blocks: DataFrame, rules: DataFrame) -> DataFrame:
+def matches(blocks: DataFrame, rules: DataFrame, workload: str | None = None) -> DataFrame:
     """Each rule that matches a scanned block, alone (block-local mode).
 
     Adds ord, name, target_keys and match_start in code points. A block is read once by the automaton of all literals that
-    rules need (once for each ``MOST_RULES`` rules); only rules whose literal it holds, and those that need none, are tried.
+    rules need (once for each ``MOST_RULES`` rules); only rules whose literal it holds, and those that need none, are tried. With
+    ``workload``, a column of both, blocks meet the rules of their own workload alone, so one pass serves many workloads.
     """
     told = _told(blocks)
     at = told.columns.index("text")
+    whose = told.columns.index(workload) if workload else None
 
     def work(own: Rules, it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             found = []
-            for row, text in enumerate(b.column(at).to_pylist()):
+            workloads = b.column(whose).to_pylist() if workload else [None] * b.num_rows
+            for row, (text, of) in enumerate(zip(b.column(at).to_pylist(), workloads, strict=True)):
                 for i in own.likely(text):
+                    if workload and own.workloads[i] != of:
+                        continue
                     m = own.search(i)(text)
                     if m:
                         found.append((row, own.rows[i], m.start()))
@@ -324,7 +344,8 @@ def matches(blocks: DataFrame, rules: DataFrame) -> DataFrame:
                 yield _with_rules(b, found)
 
     schema = ", ".join([_fields(told), *(t for _, t in _FIRED), "match_start long"])
-    return dictionary_map(told, rules.select("ord", "name", "pattern", "target_keys"), Rules, work, schema, MOST_RULES)
+    entries = rules.select("ord", "name", "pattern", "target_keys", *([workload] if workload else []))
+    return dictionary_map(told, entries, Rules, work, schema, MOST_RULES)
 
 
 def transcript(blocks: DataFrame) -> DataFrame:

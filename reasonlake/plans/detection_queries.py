@@ -197,11 +197,13 @@ def loo_top(spark, sf):
 
 
 def rule_origin_counts(spark, sf):
-    w = X.table(spark, sf, "documents").select(F.col("source").alias("workload")).distinct()
-    kept = M.filter_origin(X.rules(spark), ["fx"]).withColumn("variant", F.lit("general")).unionByName(
-        X.rules(spark).withColumn("variant", F.lit("all"))
-    )
-    return w.crossJoin(F.broadcast(kept)).groupBy("workload", "variant", "origin").agg(F.count(F.lit(1)).alias("n"))
+    """Rules of each workload by origin: generated ones of its own, hand rules of its source and general ones, with and without those of one origin."""
+    auto = _auto(spark, sf).select("workload", "origin", "name")
+    hand = X.rules(spark).select("origin", "name", F.explode("target_keys").alias("key"))
+    w = X.table(spark, sf, "documents").select(F.col("source").alias("workload"), F.explode(F.array(F.lit("first_file"), F.lit("all_files"), F.concat(F.lit("source_"), "source"), F.concat(F.lit("lang_"), "lang"))).alias("key")).distinct()
+    own = auto.unionByName(w.join(F.broadcast(hand), "key").select("workload", "origin", "name"))
+    every = M.filter_origin(own, ["fx"]).withColumn("variant", F.lit("without fx")).unionByName(own.withColumn("variant", F.lit("all")))
+    return every.groupBy("workload", "variant", "origin").agg(F.count(F.lit(1)).alias("n"))
 
 
 def rule_fingerprint(spark, sf):
@@ -209,6 +211,40 @@ def rule_fingerprint(spark, sf):
     return M.fingerprint(_auto(spark, sf), ("workload",))
 
 
+def rule_library_fingerprint(spark, sf):
+    """One fingerprint over the rules of all sources."""
+    return M.library_fingerprint(_auto(spark, sf)).select("fingerprint", F.col("n_workloads").cast("long").alias("n_workloads"), F.col("n_rules").cast("long").alias("n_rules"))
+
+
+def _workload_blocks(spark, sf):
+    """Conversations dealt to workloads, with texts that name days, bands and a subject."""
+    c, turn = F.col("session_id"), F.col("block_seq")
+    day = (c * 7 + turn * 5) % 40
+    text = F.concat(
+        F.col("text"), F.lit(" look at day "), day.cast("string"), F.lit(" and band 0"), (turn % 8).cast("string"), F.lit(", then /"),
+        F.lpad(((day + 3) % 40).cast("string"), 3, "0"), F.lit("/ of subject sub-enx.")
+    )
+    return X.blocks(spark, sf).select("session_id", "block_seq", "type", text.alias("text"), F.concat(F.lit("src"), (c % 30).cast("string")).alias("workload"))
+
+
+def workload_scores(spark, sf):
+    """All workloads at once: the rules of each over its own sessions, and the files they point to against what is needed."""
+    fired = M.matches(_workload_blocks(spark, sf), _auto(spark, sf), workload="workload")
+    hit = fired.select("workload", "name", F.explode("target_keys").alias("bucket")).distinct()
+    d = X.table(spark, sf, "documents").select(
+        F.col("source").alias("workload"), "doc_id", F.explode(_bucket_names()).alias("bucket"), X.doc_path().alias("path"), F.col("n_chars").alias("bytes")
+    )
+    predicted = hit.select("workload", "bucket").distinct().join(d, ["workload", "bucket"]).select("workload", "path", "bytes").distinct()
+    good = X.table(spark, sf, "labels").where("quality = 1").select("doc_id")
+    truth = d.join(good, "doc_id", "left_semi").select("workload", "path", "bytes").distinct()
+    both = S.overlap(predicted, truth, ["workload"])
+    scores = both.groupBy("workload").agg(
+        F.sum("in_p").cast("long").alias("n_detected"), F.sum("in_t").cast("long").alias("n_needed"), F.sum(F.col("in_p") * F.col("in_t")).cast("long").alias("n_hits")
+    )
+    n = hit.groupBy("workload").agg(F.count_distinct("name").alias("n_rules"))
+    return scores.join(n, "workload", "left").select("workload", F.coalesce("n_rules", F.lit(0)).alias("n_rules"), "n_detected", "n_needed", "n_hits")
+
+
 _TASK = "concat('Read every csv and NetCDF file of ', source, ' and write result/report.md and out/', source, '_table.csv')"
 
 
@@ -218,16 +254,20 @@ def auto_rules(spark, sf):
     )
 
 
-def _auto(spark, sf):
-    """Rules of a workload for each source: its buckets are days by document number, languages and aggregates."""
-    d = X.table(spark, sf, "documents")
-    w = d.select(F.col("source").alias("workload"), F.expr(_TASK).alias("task")).distinct()
-    names = F.array(
+def _bucket_names():
+    """Buckets of a document: a day and a band by its number, its language, and aggregates."""
+    return F.array(
         F.concat(F.lit("day_"), F.lpad((F.col("doc_id") % 40).cast("string"), 3, "0")),
         F.concat(F.lit("band_0"), (F.col("doc_id") % 8).cast("string")),
         F.concat(F.lit("subject_sub-"), F.col("lang"), F.lit("x")), F.lit("all_files"), F.lit("output_csv"), F.lit("output_png")
     )
-    b = d.select(F.col("source").alias("workload"), F.explode(names).alias("bucket")).distinct()
+
+
+def _auto(spark, sf):
+    """Rules of a workload for each source: its buckets are days by document number, languages and aggregates."""
+    d = X.table(spark, sf, "documents")
+    w = d.select(F.col("source").alias("workload"), F.expr(_TASK).alias("task")).distinct()
+    b = d.select(F.col("source").alias("workload"), F.explode(_bucket_names()).alias("bucket")).distinct()
     b = b.withColumn("pos", F.expr("row_number() over (partition by workload order by bucket)"))
     return M.auto_rules(w, b)
 
@@ -249,6 +289,11 @@ a as (select workload, cast(row_number() over (partition by workload order by pa
 """
 
 
+#: Fingerprints over the rules as canonical JSON.
+_PRINT_SQL = """j as (select workload, ord, to_json({'name': name, 'origin': origin, 'pattern': pattern, 'target_keys': case when targets = '' then [] else string_split(targets, ',') end}) as rule from a),
+prints as (select workload, sha256(concat('[', string_agg(rule, ',' order by ord), ']')) as fingerprint, count(*) as n_rules from j group by workload)"""
+
+
 def enrich_policies(spark, sf):
     """Listings are what a session viewed; policies keep all, the first three a session, one extension, or names that a
     list of good documents mentions.
@@ -312,7 +357,7 @@ def hit_files_by_family(spark, sf):
 
 QUERIES = {
     f.__name__: f for f in (
-        tier1_byte_score, score_grid, rule_first_fire, rule_first_fire_transcript, rule_prefix_fire, generated_rule_fires, activation_summary,
+        tier1_byte_score, score_grid, rule_first_fire, rule_first_fire_transcript, rule_prefix_fire, generated_rule_fires, workload_scores, rule_library_fingerprint, activation_summary,
         tier_cumulative_files, live_tiers, naive_overfetch, subset_metrics, falsepos_report, loo_rules, loo_robustness, loo_top,
         rule_origin_counts, auto_rules, rule_fingerprint, enrich_policies, staged_before_open, stage_report, hit_files_by_family
     )
@@ -356,9 +401,18 @@ SQL = {
     "loo_rules": f"with {_LOO_SQL} select dropped, hits, round(hits / n, 4) as recall, round((full_hits - hits) / n, 4) as delta, (full_hits - hits) / n >= 0.10 as load_bearing from k, n, f",
     "loo_robustness": f"with {_LOO_SQL} select round(min(hits / n), 4) as min_recall, count(*) filter ((full_hits - hits) / n >= 0.10) as n_load_bearing, min(hits / n) >= 0.80 as robust from k, n, f",
     "loo_top": f"with {_LOO_SQL} select dropped, round(hits / n, 4) as recall, round((full_hits - hits) / n, 4) as delta from k, n, f order by (full_hits - hits) / n desc, dropped limit 5",
-    "rule_origin_counts": "with w as (select distinct source as workload from documents), r as (select 'all' as variant, origin from fx_rules union all select 'general', origin from fx_rules where origin = 'general') select workload, variant, origin, count(*) as n from w, r group by workload, variant, origin",
+    "rule_origin_counts": f"""with {_AUTO_SQL}, k as (select distinct source as workload, unnest(['first_file', 'all_files', concat('source_', source), concat('lang_', lang)]) as key from documents),
+      o as (select workload, origin, name from a union all select k.workload, r.origin, r.name from k join fx_rules r on r.target_key = k.key)
+      select workload, variant, origin, count(*) as n from (select *, 'all' as variant from o union all select *, 'without fx' from o where origin <> 'fx') group by 1, 2, 3""",
     "auto_rules": f"with {_AUTO_SQL} select * from a",
-    "rule_fingerprint": f"with {_AUTO_SQL} select workload, sha256(string_agg(concat_ws(chr(9), name, pattern, targets, origin), chr(10) order by ord)) as fingerprint, count(*) as n_rules from a group by workload",
+    "rule_fingerprint": f"with {_AUTO_SQL}, {_PRINT_SQL} select * from prints",
+    "rule_library_fingerprint": f"with {_AUTO_SQL}, {_PRINT_SQL} select sha256(string_agg(concat(workload, ':', fingerprint), chr(10) order by workload)) as fingerprint, count(*) as n_workloads, cast(sum(n_rules) as bigint) as n_rules from prints",
+    "workload_scores": f"""with {_AUTO_SQL}, t as (select concat('src', cast(session_id % 30 as varchar)) as workload, concat(text, ' look at day ', cast((session_id * 7 + block_seq * 5) % 40 as varchar), ' and band 0', cast(block_seq % 8 as varchar), ', then /', lpad(cast(((session_id * 7 + block_seq * 5) % 40 + 3) % 40 as varchar), 3, '0'), '/ of subject sub-enx.') as text from fx_blocks where type in ('thinking', 'text', 'tool_result') and text <> ''),
+      h as (select distinct a.workload, a.name, a.targets as bucket from a join t on t.workload = a.workload and regexp_matches(t.text, '(?i)' || a.pattern) where a.targets <> ''),
+      f as (select f.source as workload, f.doc_id, f.path, unnest([concat('day_', lpad(cast(f.doc_id % 40 as varchar), 3, '0')), concat('band_0', cast(f.doc_id % 8 as varchar)), concat('subject_sub-', f.lang, 'x'), 'all_files', 'output_csv', 'output_png']) as bucket from fx_files f),
+      p as (select distinct f.workload, f.path from f join h on h.workload = f.workload and h.bucket = f.bucket), g as (select distinct f.workload, f.path from f join labels l on l.doc_id = f.doc_id where l.quality = 1),
+      m as (select coalesce(p.workload, g.workload) as workload, p.path is not null as in_p, g.path is not null as in_t from p full join g on g.workload = p.workload and g.path = p.path)
+      select m.workload, coalesce(max(k.n), 0) as n_rules, count(*) filter (in_p) as n_detected, count(*) filter (in_t) as n_needed, count(*) filter (in_p and in_t) as n_hits from m left join (select workload, count(distinct name) as n from h group by 1) k on k.workload = m.workload group by 1""",
     "enrich_policies": """with d as (select doc_id, concat(path, case when lang = 'en' then '.csv' else '' end) as path, bytes from fx_files),
       e as (select e.event_type, e.user_id as session_id, e.event_id as seq, d.path, d.bytes from events e join d on d.doc_id = cast(json_extract_string(e.props, '$.k') as bigint)),
       l as (select session_id, seq, path, bytes from e where event_type = 'view'), o as (select distinct path from e where event_type in ('click', 'signup')),

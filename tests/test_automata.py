@@ -179,3 +179,29 @@ def test_needles_in_parts(spark, monkeypatch, most):
                 want[s, path] = min(at, want.get((s, path), at))
     got = {(x.session_id, x.path): x.start for x in S.literal_scan(blocks_of(spark, rows), prior).collect()}
     assert got == want and len(want) > 20
+
+
+@pytest.mark.parametrize("most", [1, 100])
+def test_rules_of_many_workloads_in_one_pass(spark, monkeypatch, most):
+    """Blocks meet the rules of their own workload alone; blocks of none meet none."""
+    monkeypatch.setattr(M, "MOST_RULES", most)
+    rows = [("s", 0, "text", "foo bar", "a"), ("s", 1, "text", "foo bar", "b"), ("t", 0, "text", "foo bar", None), ("t", 1, "text", "foo", "c")]
+    blocks = spark.createDataFrame(rows, "session_id string, block_seq int, type string, text string, workload string")
+    rules = spark.createDataFrame([("a", 0, "x", "fo+", ["k"]), ("b", 0, "x", "ba.", ["k"]), ("b", 1, "y", "zzz", ["k"])], "workload string, ord int, name string, pattern string, target_keys array<string>")
+    got = {(r.session_id, r.block_seq, r.workload, r.name, r.match_start) for r in M.matches(blocks, rules, workload="workload").collect()}
+    assert got == {("s", 0, "a", "x", 0), ("s", 1, "b", "x", 4)}
+
+
+def test_fingerprints_are_of_canonical_json(spark):
+    import hashlib
+    import json
+
+    rules = [("b", 1, 'q"x', "\\bday\\b|/7/", ["k", "l"], "auto"), ("b", 0, "n", "a", [], "general"), ("a", 0, "n", "a", ["k"], "auto")]
+    df = spark.createDataFrame(rules, "workload string, ord int, name string, pattern string, target_keys array<string>, origin string")
+    prints = {}
+    for w in "ab":
+        own = [{"name": n, "pattern": p, "target_keys": t, "origin": o} for x, _, n, p, t, o in sorted(rules) if x == w]
+        prints[w] = hashlib.sha256(json.dumps(own, sort_keys=True, separators=(",", ":")).encode()).hexdigest()
+    assert {r.workload: r.fingerprint for r in M.fingerprint(df, ("workload",)).collect()} == prints
+    one = M.library_fingerprint(df).first()
+    assert one["fingerprint"] == hashlib.sha256("\n".join(f"{w}:{p}" for w, p in sorted(prints.items())).encode()).hexdigest() and one["n_rules"] == 3
