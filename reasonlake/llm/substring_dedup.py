@@ -4,9 +4,10 @@ A word goes if a window of ``window`` words over it also starts in a document wi
 sampled by content: of every window the k-word piece with the smallest hash is its anchor
 (the first of equal ones), and the suffix that starts there stands for all windows that have it.
 Equal windows have equal anchors, so no repeat is lost; about one position in five is a suffix. A suffix travels
-with the words of its windows, those before the anchor too. Suffixes are dealt to groups by their prefix, the words of
-the anchor; where many documents have a prefix, by longer ones, up to a whole window. The number of
-groups follows from the counted suffixes, so that each fits in memory.
+with the words of its windows, those before the anchor too. Suffixes are dealt to groups by their prefix: the words of
+the anchor, and where many suffixes are counted at an anchor as many words more as would part them into groups that fit, a word for
+each doubling, up to a whole window. A window that ends before its prefix does is dealt by the words before the anchor in place of those
+that it lacks. The number of groups follows from the counted suffixes, so that each fits in memory.
 
 In a group suffixes are sorted by their words, and the common prefixes of neighbours give the nodes of the tree; the
 words before the anchor, read backwards, make a second one. A node of each, whose depths are
@@ -38,7 +39,7 @@ WINDOW, ANCHOR = 13, 5
 ANCHOR_BITS = 44
 #: Groups for each shuffle partition at least, suffixes of a group, suffixes of a prefix from which it is split into
 #: longer ones, and anchors of a group that are walked at once.
-GROUPS, GROUP_ROWS, PREFIX_ROWS, GROUP_CODES = 2, 100_000, 20_000, 4_000_000
+GROUPS, GROUP_ROWS, PREFIX_ROWS, GROUP_CODES = 2, 100_000, 1_000, 4_000_000
 
 
 def _leftmost_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -71,8 +72,9 @@ SENT = "grp int, n int, codes binary, docs binary"
 ANSWERS = "doc_id long, codes array<long>"
 
 Pairs = tuple[np.ndarray, np.ndarray]
-#: Set in the code of a shared anchor that so many documents or batches have that it is split into longer prefixes.
-MANY = np.uint64(1 << ANCHOR_BITS)
+#: Above the bits of a shared anchor's code stands the number of words that its prefix has more than the anchor.
+LONGER = np.uint64(ANCHOR_BITS)
+ONLY = np.uint64((1 << ANCHOR_BITS) - 1)
 NONE: Pairs = (np.empty(0, np.uint64), np.empty(0, np.int64))
 
 
@@ -133,7 +135,12 @@ def _groups(it: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
         yield rows
 
 
-def _meet(dealt: DataFrame, shift: int, groups: int) -> DataFrame:
+def longer(n: np.ndarray, fits: int, most: int) -> np.ndarray:
+    """Words by which the prefix of ``n`` suffixes grows so that groups of ``fits`` come of it, if each word parts them in two."""
+    return np.minimum(np.ceil(np.log2(np.maximum(n / fits, 1.0))), most).astype(np.int64)
+
+
+def _meet(dealt: DataFrame, shift: int, groups: int, most_words: int) -> DataFrame:
     """(doc_id, codes): the shared anchors of each document that has any. Each group is walked in code order, in parts
     by further bits if it is large; answers are then gathered by document.
     """
@@ -155,7 +162,12 @@ def _meet(dealt: DataFrame, shift: int, groups: int) -> DataFrame:
             known, asks, marks = (part(rows, kind, extra, at) for kind in (ANSWER, ASK, MARK))
             met, n = np.unique(np.concatenate([asks[0], marks[0]]), return_counts=True)
             shared = np.union1d(met[n > 1], marks[0])
-            flags = np.where(np.isin(shared, met[n > common]), MANY, np.uint64(0))
+            count = np.zeros(len(shared), np.int64)
+            own = np.searchsorted(met, shared)
+            own[own == len(met)] = 0
+            if len(met):
+                count = np.where(met[own] == shared, n[own], 0)
+            flags = longer(count, common, most_words).astype(np.uint64) << LONGER
             for codes, docs in (known, asks):
                 i = np.searchsorted(shared, codes)
                 i[i == len(shared)] = 0
@@ -165,9 +177,10 @@ def _meet(dealt: DataFrame, shift: int, groups: int) -> DataFrame:
     def send(held: list[Pairs]) -> pa.RecordBatch:
         codes, docs = _concat(held)
         to = (mix(docs.view(np.uint64)) % np.uint64(groups)).astype(np.int32)
-        order = np.lexsort((docs, codes, to))
-        codes, docs, to = codes[order], docs[order], to[order]
-        heads = [*np.flatnonzero(np.append(True, to[1:] != to[:-1]))[: len(to)].tolist(), len(to)]
+        grown = codes > ONLY  # apart, as gaps between codes with and without longer prefixes don't fit four bytes
+        order = np.lexsort((docs, codes, grown, to))
+        codes, docs, to, grown = codes[order], docs[order], to[order], grown[order]
+        heads = [*np.flatnonzero(np.append(True, (to[1:] != to[:-1]) | (grown[1:] != grown[:-1])))[: len(to)].tolist(), len(to)]
         made = [_encode(codes[s:e], docs[s:e]) for s, e in itertools.pairwise(heads)]
         return pa.RecordBatch.from_arrays(
             [
@@ -231,7 +244,7 @@ def _shared_anchors(docs: DataFrame, window: int, anchor: int, bits: int) -> Dat
             one = np.unique(codes[many])
             yield _pack(shift, (codes[~many], own[~many]), (codes[many], own[many]), (one, np.zeros(len(one), np.int64)))
 
-    return _meet(docs.select("doc_id", "text").mapInArrow(deal, DEALT), shift, 2**bits)
+    return _meet(docs.select("doc_id", "text").mapInArrow(deal, DEALT), shift, 2**bits, window - anchor)
 
 
 class WordIds(dict):
@@ -362,14 +375,23 @@ def _cut(
     codes = CODES.array(flat)
     anchors, at = window_anchors(codes, window, anchor)
     start = np.arange(len(anchors))
-    known = np.unique(shared & (MANY - np.uint64(1)))
+    known, first = np.unique(shared & ONLY, return_index=True)
+    grown = (shared[first] >> LONGER).astype(np.int64)
     live = np.flatnonzero((start + window <= end[doc_of[start]]) & np.isin(anchors, known))
-    many = np.isin(anchors[live], shared[shared >= MANY] & (MANY - np.uint64(1)))
-    new = np.append(True, (np.diff(live) > 1) | (at[live[1:]] != at[live[:-1]]) | many[1:])[: len(live)]
+    more = grown[np.searchsorted(known, anchors[live])] if len(live) else np.empty(0, np.int64)  # words of the prefix behind the anchor
+    lacks = np.maximum(more - (window - anchor - (at[live] - live)), 0)  # those that the window does not have
+    new = np.append(True, (np.diff(live) > 1) | (at[live[1:]] != at[live[:-1]]) | (lacks[:-1] > 0))[: len(live)]
     low, n = live[new], np.diff(np.append(np.flatnonzero(new), len(live)))
-    grp = anchors[low] >> np.uint64(ANCHOR_BITS - bits)
-    if many.any():  # longer prefixes: the whole window
-        grp = np.where(many[new], windows(codes, window, BASE_2)[low] >> np.uint64(64 - bits), grp)
+    code = anchors[low] << np.uint64(64 - ANCHOR_BITS)
+    more, lacks, before = more[new], lacks[new], at[low] - low
+    for k in np.unique(more[more > 0]).tolist():  # a window that lacks words is dealt with those before the anchor, and by its place
+        own = np.flatnonzero(more == k)
+        place = at[low[own]] - lacks[own]
+        h = codes[place]
+        for j in range(1, anchor + k):
+            h = h * BASE_2 + codes[place + j]
+        code[own] = mix(h + np.where(lacks[own] > 0, before[own] + 1, 0).astype(np.uint64))
+    grp = code >> np.uint64(64 - bits)
     of = doc_of[low]
     words = [b" ".join(flat[a:b]) for a, b in zip(low.tolist(), (low + n + window - 1).tolist(), strict=True)]
     return Suffixes(grp.astype(np.int32), docs[of], rows[of], low - (end - size)[of], at[low] - low, n, words)
