@@ -43,8 +43,9 @@ def dictionary_map(
         sent, name = rows.sparkSession.sparkContext.broadcast([tuple(r) for r in few]), uuid.uuid4().hex
 
         def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            if name not in _built:  # workers are reused
-                _built.clear()
+            if name not in _built:  # workers are reused, and a plan may have two dictionaries
+                for old in [*_built][:-1]:
+                    del _built[old]
                 _built[name] = build(sent.value)
             yield from work(_built[name], it)
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import pyarrow as pa
 import regex
@@ -216,6 +216,7 @@ def _best(needs: list[list[str]]) -> list[str] | None:
     return max(needs, key=lambda n: (min(map(len, n)), -len(n)), default=None)
 
 
+@lru_cache(maxsize=100_000)
 def parsed(pattern: str):
     """The pattern as Python's parser reads it; null for what only Java knows, or reads otherwise."""
     if "\\0" in pattern:
@@ -275,10 +276,16 @@ class Rules:
         needs = [literals_of(r[2]) for r in self.rows]
         self.literals = Literals((x, i) for i, need in enumerate(needs) if need for x in need)
         self.always = [i for i, need in enumerate(needs) if not need]
-        self.widths = [most_width(r[2]) for r in self.rows]
-        self.reaches = [reach_of(r[2]) for r in self.rows]
         self.needy = [bool(need) for need in needs]
 
+    @cached_property
+    def widths(self) -> list[int | None]:
+        return [most_width(r[2]) for r in self.rows]
+
+    @cached_property
+    def reaches(self) -> list[int | None]:
+        return [reach_of(r[2]) for r in self.rows]
+
     def search(self, i: int):
         return expression(self.rows[i][2]).search
 
