@@ -64,7 +64,7 @@ def window_anchors(codes: np.ndarray, window: int, anchor: int) -> tuple[np.ndar
 
 
 #: A dealt row: what one batch has for one group, as sorted codes and their documents. Asks (0) wait for an
-#: answer, answers (1) have it, marks (2) tell that a code has documents already.
+#: answer, answers (1) have it, marks (2) tell how many documents of the batch a code has.
 DEALT = "grp int, n array<int>, codes array<binary>, docs array<binary>"
 ASK, ANSWER, MARK = range(3)
 #: Answers on their way to their documents, and the documents with theirs.
@@ -162,12 +162,9 @@ def _meet(dealt: DataFrame, shift: int, groups: int, most_words: int) -> DataFra
             known, asks, marks = (part(rows, kind, extra, at) for kind in (ANSWER, ASK, MARK))
             met, n = np.unique(np.concatenate([asks[0], marks[0]]), return_counts=True)
             shared = np.union1d(met[n > 1], marks[0])
-            count = np.zeros(len(shared), np.int64)
-            own = np.searchsorted(met, shared)
-            own[own == len(met)] = 0
-            if len(met):
-                count = np.where(met[own] == shared, n[own], 0)
-            flags = longer(count, common, most_words).astype(np.uint64) << LONGER
+            of = np.concatenate(([1.0] * len(asks[0]), marks[1]))  # documents with each code
+            count = np.bincount(np.searchsorted(met, np.concatenate([asks[0], marks[0]])), of, len(met))
+            flags = longer(count[np.searchsorted(met, shared)], common, most_words).astype(np.uint64) << LONGER
             for codes, docs in (known, asks):
                 i = np.searchsorted(shared, codes)
                 i[i == len(shared)] = 0
@@ -241,8 +238,8 @@ def _shared_anchors(docs: DataFrame, window: int, anchor: int, bits: int) -> Dat
             per = [np.unique(window_anchors(CODES.array(t.split()), window, anchor)[0]) for t in b.column("text").to_pylist()]
             codes, own = _pairs(per, b.column("doc_id").to_numpy())
             many = _runs(codes)[1] > 1
-            one = np.unique(codes[many])
-            yield _pack(shift, (codes[~many], own[~many]), (codes[many], own[many]), (one, np.zeros(len(one), np.int64)))
+            one, n = np.unique(codes[many], return_counts=True)
+            yield _pack(shift, (codes[~many], own[~many]), (codes[many], own[many]), (one, n.astype(np.int64)))
 
     return _meet(docs.select("doc_id", "text").mapInArrow(deal, DEALT), shift, 2**bits, window - anchor)
 
