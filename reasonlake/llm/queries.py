@@ -14,7 +14,7 @@ from .sharding import op3_sharding
 from .substring_dedup import OP8_SQL, op8_substring_dedup
 from .token_counts import op5_token_counts
 from .toxicity import op10_toxicity
-from .vector_codes import op13_vector_codes
+from .vector_codes import OP13_SQL, op13_vector_codes
 
 QUERIES = {
     f.__name__: f for f in (
@@ -23,4 +23,4 @@ QUERIES = {
         op12_periodic_runs, op13_vector_codes
     )
 }
-ORACLE_SQL = {"op6_decontamination": OP6_SQL, "op7_line_dedup": OP7_SQL, "op8_substring_dedup": OP8_SQL}
+ORACLE_SQL = {"op6_decontamination": OP6_SQL, "op7_line_dedup": OP7_SQL, "op8_substring_dedup": OP8_SQL, "op13_vector_codes": OP13_SQL}

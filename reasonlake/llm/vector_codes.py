@@ -260,3 +260,23 @@ def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.join(sums, F.col("label").eqNullSafe(F.col("of")), "left").select(
         "vec_id", F.lower(F.hex("code")).alias("code"), "error", "label_error", F.lit(digest(codebooks)).alias("codebooks_sha256")
     )
+
+
+#: One assignment, and one move of the entries, of ``OP13_SQL``.
+_ASSIGN = """a{r} as (select i, p, min(list_sum(list_transform(range(1, len(x) + 1), lambda j: (x[j] - y[j]) * (x[j] - y[j]))) * 64 + k) as m from parts join c{r} using (p) group by i, p)"""
+_MOVE = """s{n} as (select p, m % 64 as k, j, sum(x[j]) as s, count(*) as n from a{r} join parts using (i, p), unnest(range(1, len(x) + 1)) as u(j) group by 1, 2, 3),
+t{n} as (select p, k, list(cast((s - ((s % n) + n) % n) // n as bigint) order by j) as y from s{n} group by 1, 2),
+c{n} as (select c{r}.p, c{r}.k, coalesce(t{n}.y, c{r}.y) as y from c{r} left join t{n} on t{n}.p = c{r}.p and t{n}.k = c{r}.k)"""
+OP13_SQL = f"""
+with e as (
+  select row_number() over (order by vec_id) - 1 as i, vec_id, label, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as v
+  from embeddings where embedding is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+parts as (select i, p, v[p * (len(v) // 16) + 1 : (p + 1) * (len(v) // 16)] as x from e, unnest(range(16)) as u(p)),
+c0 as (select p, i as k, x as y from parts where i < 64),
+{_ASSIGN.format(r=0)}, {_MOVE.format(r=0, n=1)},
+{_ASSIGN.format(r=1)}, {_MOVE.format(r=1, n=2)},
+{_ASSIGN.format(r=2)},
+coded as (select i, string_agg(lpad(lower(to_hex(m % 64)), 2, '0'), '' order by p) as code, cast(sum(m // 64) as bigint) as error from a2 group by i),
+books as (select sha256(string_agg(cast(y[j] as varchar), ',' order by p, k, j)) as codebooks_sha256 from c2, unnest(range(1, len(y) + 1)) as u(j))
+select vec_id, code, error, cast(sum(error) over (partition by label) as bigint) as label_error, codebooks_sha256 from e join coded using (i), books
+"""

@@ -112,3 +112,15 @@ def test_exact_roots():
     d = np.array([0, 1, 2, 3, 4, (1 << 30) ** 2, (1 << 30) ** 2 - 1, (1 << 30) ** 2 + 1, (1 << 62) - 1], np.int64)
     low, high = vector_codes._low_root(d), vector_codes._high_root(d)
     assert all(a * a <= v <= c * c for a, v, c in zip(low.tolist(), d.tolist(), high.tolist(), strict=True))
+
+
+def test_sql_gives_the_same_rows(spark):
+    import duckdb
+
+    sf = "/root/testdata/sf0.01"
+    con = duckdb.connect()
+    con.execute(f"create view embeddings as select * from '{sf}/embeddings.parquet'")
+    got = vector_codes.op13_vector_codes(spark, sf)
+    want = con.execute(vector_codes.OP13_SQL)
+    assert got.columns == [c[0] for c in want.description]
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want.fetchall())
