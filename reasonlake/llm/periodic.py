@@ -165,3 +165,23 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("best.period").alias("period"), F.expr("(1000 * best.length) div best.period").alias("exponent_milli"),
         F.sha2(F.array_join(line, ""), 256).alias("runs_sha256"), F.sha2(F.col("collapsed"), 256).alias("collapsed_sha256")
     )
+
+
+OP12_SQL = r"""
+with d as (
+  select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as ws,
+    xor(list_reduce(list_transform(string_split(cast(doc_id as varchar), ''), lambda c: cast(ascii(c) as bigint)), lambda crc, b: list_reduce(range(8), lambda x, k: xor(x >> 1, 3988292384 * (x & 1)), xor(crc, b)), cast(4294967295 as bigint)), 4294967295) as h from documents),
+f as (select *, len(ws) as n, (h // 10) % greatest(len(ws), 1) as a from d),
+g as (select *, 1 + (n - a) // (3 + (h // 10) % 8) as p from f),
+l as (select doc_id, n, case when h % 10 = 0 and n > 0 then list_transform(range(n), lambda i: ws[1 + case when i < a then i else a + (i - a) % p end]) else ws end as ws from g),
+u as (select doc_id, n, i, ws[i + 1] as word from (select *, unnest(range(n)) as i from l)),
+e as (select x.doc_id, y.i - x.i as q, x.i as i from u x join u y on y.doc_id = x.doc_id and y.word = x.word and y.i > x.i and 4 * (y.i - x.i) <= x.n),
+s as (select doc_id, q, min(i) as s, count(*) + q as n from (select *, i - row_number() over (partition by doc_id, q order by i) as part from e) group by doc_id, q, part having count(*) + q >= greatest(6, 4 * q)),
+r as (select * from s where not exists (select 1 from s o where o.doc_id = s.doc_id and o.q < s.q and o.s <= s.s and o.s + o.n >= s.s + s.n)),
+k as (select doc_id, count(*) as n_runs, string_agg(concat(s, ',', n, ',', q, chr(10)), '' order by s, q) as runs from r group by doc_id),
+b as (select * from r qualify row_number() over (partition by doc_id order by cast(n as double) / q desc, s, q) = 1),
+gone as (select distinct doc_id, unnest(range(s + q, s + n)) as i from r),
+c as (select u.doc_id, string_agg(word, ' ' order by u.i) as kept from u left join gone on gone.doc_id = u.doc_id and gone.i = u.i where gone.i is null group by u.doc_id)
+select l.doc_id, coalesce(n_runs, 0) as n_runs, b.s as start, b.n as length, b.q as period, 1000 * b.n // b.q as exponent_milli, sha256(coalesce(runs, '')) as runs_sha256, sha256(coalesce(kept, '')) as collapsed_sha256
+from l left join k using (doc_id) left join b using (doc_id) left join c using (doc_id)
+"""

@@ -8,7 +8,7 @@ from .html_text import op2_html_extraction
 from .line_dedup import OP7_SQL, op7_line_dedup
 from .lm_score import op11_lm_score
 from .near_dedup import op1_near_dedup
-from .periodic import op12_periodic_runs
+from .periodic import OP12_SQL, op12_periodic_runs
 from .quality import op4_quality
 from .sharding import op3_sharding
 from .substring_dedup import OP8_SQL, op8_substring_dedup
@@ -23,4 +23,4 @@ QUERIES = {
         op12_periodic_runs, op13_vector_codes
     )
 }
-ORACLE_SQL = {"op6_decontamination": OP6_SQL, "op7_line_dedup": OP7_SQL, "op8_substring_dedup": OP8_SQL, "op13_vector_codes": OP13_SQL}
+ORACLE_SQL = {"op6_decontamination": OP6_SQL, "op7_line_dedup": OP7_SQL, "op8_substring_dedup": OP8_SQL, "op12_periodic_runs": OP12_SQL, "op13_vector_codes": OP13_SQL}

@@ -105,3 +105,15 @@ def test_odd_rows(spark):
         assert [tuple(y) for y in x.runs] == runs and (runs or x.collapsed == " ".join(w))
     assert periodic.periodic_runs(empty(spark)).count() == 0
     assert periodic.periodic_runs(rows.withColumn("runs", F.lit(1)).select("text", "runs")).columns == ["text", "n_words", "runs", "collapsed"]
+
+
+def test_sql_gives_the_same_rows(spark):
+    import duckdb
+
+    sf = "/root/testdata/sf0.01"
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{sf}/documents.parquet'")
+    got = periodic.op12_periodic_runs(spark, sf)
+    want = con.execute(periodic.OP12_SQL)
+    assert got.columns == [c[0] for c in want.description]
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want.fetchall(), key=str)
