@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reasonlake.llm.bpe import bpe_decode, bpe_encode, digest
-from reasonlake.llm.common import read, stage_table
+from reasonlake.llm.common import bounded_batches, read, stage_table
 from reasonlake.llm.decontaminate import drop_contaminated
 from reasonlake.llm.line_dedup import dedup_lines
 from reasonlake.llm.near_dedup import keep_one
@@ -21,6 +21,7 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below 0.5, by a model learned from their own labels."""
+    bounded_batches(spark)
     model = model_for(docs.select("doc_id", "text"), read(spark, sf_dir, "labels"))
     return score_texts(docs, model).where("score < 0.5").select(*COLUMNS)
 
@@ -32,6 +33,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies (word 5-shingles, similarity 0.8 or more) the document with the smallest id."""
+    bounded_batches(spark)
     return keep_one(docs).select(*COLUMNS)
 
 
@@ -42,6 +44,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of what is left, and digests of them and of their decoding."""
+    bounded_batches(spark)
     return digest(bpe_decode(bpe_encode(docs.select("doc_id", "text")).select("doc_id", "token_ids", "n_tokens")))
 
 

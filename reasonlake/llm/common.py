@@ -6,14 +6,12 @@ Word rules are stated in bytes: ``bytes.split`` cuts at \\x20 and \\x09-\\x0D, a
 
 from __future__ import annotations
 
-import ctypes
 import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -101,29 +99,26 @@ _memos: dict[str, Callable[[], None]] = {}
 
 def using(name: str, clear: Callable[[], None]) -> None:
     """Say at the start of a task which memo it uses. Python workers are reused, so those of other operators are dropped first."""
-    others = [n for n in _memos if n != name]
-    for other in others:
+    for other in [n for n in _memos if n != name]:
         _memos.pop(other)()
-    if others:
-        trim()
     _memos[name] = clear
 
 
-def trim() -> None:
-    """Give memory that is free back to the system: a worker that waits for its next task shares the executor's with others."""
-    pa.default_memory_pool().release_unused()
-    try:
-        ctypes.CDLL(None).malloc_trim(0)
-    except AttributeError:  # another C library
-        pass
+#: Bytes of an Arrow batch of texts. Spark's own 64 MB are held some four times a task, in the JVM and in its worker.
+BATCH_BYTES, _BATCH = "8m", "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches of the session hold ``BATCH_BYTES`` from now on, unless it has a size of its own."""
+    if spark.conf.get(_BATCH, "67108864b") == "67108864b":
+        spark.conf.set(_BATCH, BATCH_BYTES)
 
 
 def small(it: Iterator, rows: int = 512) -> Iterator:
-    """Slices of Arrow batches, so that few texts are Python objects at a time. Free memory is given back after the last."""
+    """Slices of Arrow batches, so that few texts are Python objects at a time."""
     for b in it:
         for i in range(0, b.num_rows, rows):
             yield b.slice(i, rows)
-    trim()
 
 
 def mix(x: np.ndarray) -> np.ndarray:
