@@ -39,7 +39,7 @@ WINDOW, ANCHOR = 13, 5
 ANCHOR_BITS = 44
 #: Groups for each shuffle partition at least, suffixes of a group, suffixes of a prefix from which it is split into
 #: longer ones, and anchors of a group that are walked at once.
-GROUPS, GROUP_ROWS, PREFIX_ROWS, GROUP_CODES = 2, 100_000, 1_000, 4_000_000
+GROUPS, GROUP_ROWS, PREFIX_ROWS, GROUP_CODES = 2, 100_000, 4_000, 4_000_000
 
 
 def _leftmost_min(x: np.ndarray, width: int) -> np.ndarray:
