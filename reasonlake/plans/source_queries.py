@@ -213,7 +213,7 @@ def prefetched_paths(spark, sf):
     return logs.staged_paths(r, excluded=("forced",)).select("file", "cold_path", "size_bytes", "outcome", "tier")
 
 
-def opened_in_order(spark, sf):
+def first_opens(spark, sf):
     """Paths that open_file and read_file name, resolved, in the order of their first use."""
     name = F.when(F.col("event_type") == "click", "open_file").when(F.col("event_type") == "signup", "read_file").otherwise("list_dir")
     uses = X.table(spark, sf, "events").select(
@@ -223,7 +223,7 @@ def opened_in_order(spark, sf):
     return logs.opened_paths(uses, [("/cold/1", "/warm/1"), ("/cold/", "/data/")]).select("session_id", "path", "turn", F.col("pos").cast("long").alias("pos"))
 
 
-def opened_sizes(spark, sf):
+def sizes_of_opened(spark, sf):
     """Opened files with their bytes; 0 for those that the inventory lacks."""
     e = X.table(spark, sf, "events").where("event_type = 'click'").select(
         F.col("user_id").alias("session_id"), F.concat(F.lit("doc_"), F.get_json_object("props", "$.k")).alias("path")
@@ -343,7 +343,7 @@ def reencoded_lines(spark, sf):
 QUERIES = {
     f.__name__: f for f in (
         gemini_blocks, mixed_blocks, trajectory_blocks, rebased_events, turn_directory_blocks, recorder_blocks, campaign_summaries, report_found, replay_results,
-        prefetched_paths, opened_in_order, opened_sizes, first_tools, bandwidth_samples, read_measurements, measured_files, tree_listing, listed_inventory,
+        prefetched_paths, first_opens, sizes_of_opened, first_tools, bandwidth_samples, read_measurements, measured_files, tree_listing, listed_inventory,
         written_staging_report, written_detection_report, reencoded_lines
     )
 }
@@ -372,9 +372,9 @@ SQL = {
     "replay_results": "select concat(left(o_orderpriority, 1), '-', cast(o_custkey % 20 as varchar)) as campaign, concat('o', cast(o_orderkey as varchar)) as cell, o_orderstatus as task, o_totalprice as cold_elapsed_s, o_totalprice / 2 as staged_elapsed_s from orders where o_orderpriority <> '5-LOW' and o_orderkey % 4 > 0",
     "prefetched_paths": """select l_orderkey as file, concat('/p', cast(l_partkey % 50 as varchar)) as cold_path, cast(floor(l_extendedprice) as bigint) as size_bytes, case when l_returnflag = 'A' then 'staged' else 'hit' end as outcome, cast(l_linenumber as integer) as tier from lineitem where l_returnflag in ('A', 'N') and l_suppkey % 7 <> 0
       qualify row_number() over (partition by l_orderkey, l_partkey % 50 order by l_linenumber desc, floor(l_extendedprice) desc) = 1""",
-    "opened_in_order": """with u as (select user_id as session_id, event_id, json_extract_string(props, '$.k') as k from events where event_type in ('click', 'signup')), f as (select session_id, case when k like '1%' then concat('/warm/', k) else concat('/data/', k) end as path, min(event_id) as turn from u group by 1, 2)
+    "first_opens": """with u as (select user_id as session_id, event_id, json_extract_string(props, '$.k') as k from events where event_type in ('click', 'signup')), f as (select session_id, case when k like '1%' then concat('/warm/', k) else concat('/data/', k) end as path, min(event_id) as turn from u group by 1, 2)
       select session_id, path, turn, cast(row_number() over (partition by session_id order by turn) - 1 as bigint) as pos from f""",
-    "opened_sizes": "with e as (select distinct user_id as session_id, cast(json_extract_string(props, '$.k') as bigint) as k from events where event_type = 'click') select session_id, concat('doc_', cast(k as varchar)) as path, coalesce(f.bytes, 0) as bytes from e left join fx_files f on f.doc_id = e.k and f.lang <> 'fr'",
+    "sizes_of_opened": "with e as (select distinct user_id as session_id, cast(json_extract_string(props, '$.k') as bigint) as k from events where event_type = 'click') select session_id, concat('doc_', cast(k as varchar)) as path, coalesce(f.bytes, 0) as bytes from e left join fx_files f on f.doc_id = e.k and f.lang <> 'fr'",
     "first_tools": "select concat('g', cast(user_id % 5 as varchar)) as grp, concat('u', cast(user_id as varchar)) as run, arg_min(event_type, event_id) as first_tool from events where event_type <> 'error' group by user_id",
     "bandwidth_samples": """with s as (select year(l_shipdate) as y, month(l_shipdate) as m, sum(cast(l_quantity as decimal(12,2))) as q, count(*) as n from lineitem where l_returnflag <> 'R' and l_linenumber < 5 group by 1, 2)
       select concat('h', lpad(cast(m as varchar), 2, '0')) as host, n as tasks, case when m % 5 > 0 then cast(q as double) end as mib_s from s where y = (select max(year(l_shipdate)) from lineitem)""",
