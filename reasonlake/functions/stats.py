@@ -43,33 +43,27 @@ def _wanted(asked: dict[str, tuple[str, float]], total: Column) -> dict[str, tup
 
 
 def _narrowed(rows: DataFrame, group: list[str], value: str, positions: list[Column]) -> DataFrame:
-    """Of counted values with their group's ``total`` those near the asked positions, with ``before``, the rows below their ``cell``.
+    """Of counted values with the ``total`` of their group those near the asked positions, with ``before``, the rows below their ``cell``.
 
-    Distributed selection: while more than a block of values is left, a sketch cuts them into blocks, rows are counted between
-    cuts, and only blocks that hold an asked position stay. So at most a block of values is sorted in one place.
+    Distributed selection: more than a block of values are dealt in order into cells of about a block, cells are counted, and only
+    those that hold an asked position stay. So one round is enough, and about a block of values is sorted in one place.
     """
-    rows = rows.withColumns({"cell": F.lit(0).cast("long"), "before": F.lit(0).cast("long")})
-    while at := B.cuts(rows, value):
-        rows = rows.withColumn("__block", B.block_of(F.col(value), at))
-        own = Window.partitionBy(*group, "cell").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
-        sums = rows.groupBy(*group, "cell", "__block").agg(F.sum("n").alias("__n"), F.max("total").alias("total"), F.max("before").alias("before"))
-        sums = sums.withColumn("before", F.col("before") + F.coalesce(F.sum("__n").over(own), F.lit(0)))
-        hit = [(F.col("before") <= p) & (p < F.col("before") + F.col("__n")) for p in positions]
-        kept = sums.where(reduce(lambda a, b: a | b, hit)).select(*group, "cell", "__block", "before")
-        left = B.joined(rows.drop("before"), kept, [*group, "cell", "__block"])
-        left = left.withColumn("cell", F.col("cell") * (len(at) + 1) + F.col("__block")).drop("__block")
-        left = staged(left, "selection")
-        if left.count() >= rows.count():  # all that is left is wanted, or equal
-            return left
-        rows = left
-    return rows
+    own = Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0))
+    cells = -(-rows.count() // B.BLOCK)
+    if cells <= 1:
+        return rows.withColumns({"cell": F.lit(0), "before": F.lit(0).cast("long"), "total": F.sum("n").over(own)})
+    rows = staged(rows.repartitionByRange(cells, *group, value).withColumn("cell", F.spark_partition_id()), "selection")
+    sums = rows.groupBy(*group, "cell").agg(F.sum("n").alias("__n"))
+    before = F.sum("__n").over(own.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1))
+    sums = sums.withColumns({"before": F.coalesce(before, F.lit(0)), "total": F.sum("__n").over(own)})
+    hit = [(F.col("before") <= p) & (p < F.col("before") + F.col("__n")) for p in positions]
+    kept = sums.where(reduce(lambda a, b: a | b, hit)).drop("__n")
+    return B.joined(rows, kept, [*group, "cell"])
 
 
 def position_percentiles(df: DataFrame, group: list[str], value: str, asked: dict[str, tuple[str, float]]) -> DataFrame:
     """One row a group with one column for each (convention, p) asked. Exact; groups of any size."""
-    n = counted(df, group, value)
-    totals = n.groupBy(*group).agg(F.sum("n").alias("total"))
-    n = B.joined(n, totals, group) if group else n.crossJoin(F.broadcast(totals))  # one row
+    n = staged(counted(df, group, value), "counted")
     wanted = _wanted(asked, F.col("total"))
     positions = [p for low, part in wanted.values() for p in ([low] if part is None else [low, F.least(low + 1, F.col("total") - 1)])]
     rows = _narrowed(n, group, value, positions)

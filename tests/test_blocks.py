@@ -47,6 +47,23 @@ def test_percentiles_of_every_convention(spark, monkeypatch, block, blocks):
             assert got[g][name] == pytest.approx(loop(vs, kind, p)), (g, name)
 
 
+def test_percentiles_are_selected_in_one_round(spark, monkeypatch):
+    """However many blocks of values there are, they are cut once: rounds that drop little each went on until cell numbers ran over."""
+    monkeypatch.setattr(B, "BLOCK", 50)
+    written = []
+    staged = T.staged
+    monkeypatch.setattr(T, "staged", lambda df, name: written.append(name) or staged(df, name))
+    r = random.Random(6)
+    groups = {g: [r.uniform(-1e6, 1e6) for _ in range(300)] for g in range(7)}
+    rows = [(g, v) for g, vs in groups.items() for v in vs]
+    asked = {k: ASKED[k] for k in ("nearest_25", "floor_last_50", "linear_75", "exclusive_99")}
+    got = {x["g"]: x for x in T.position_percentiles(spark.createDataFrame(rows, "g int, v double"), ["g"], "v", asked).collect()}
+    assert len(written) <= 2
+    for g, vs in groups.items():
+        for name, (kind, p) in asked.items():
+            assert got[g][name] == pytest.approx(loop(vs, kind, p)), (g, name)
+
+
 def test_percentiles_without_groups(spark, monkeypatch):
     monkeypatch.setattr(B, "BLOCK", 10)
     df = spark.range(300).selectExpr("cast(id as decimal(10, 2)) as v")
