@@ -137,3 +137,15 @@ def test_requests_are_sent_once_for_good(spark, tmp_path, restart):
     live.send_requests(asked(), table, f"{checkpoint}-{uuid.uuid4().hex}", send).awaitTermination()  # all batches again, under their numbers
     assert [x for _, x in sent[3:]] == [x for _, x in sent[:3]]
     assert live.sent_requests(spark, table).count() == 4
+
+
+def test_requests_look_each_name_up_once(spark, tmp_path):
+    """What a batch's rows ask for is told by its distinct names: rows are not multiplied by their targets."""
+    targets = spark.createDataFrame([("r1", "h"), ("r2", "h")], "name string, host string")
+    d = source(spark, tmp_path / "in")
+    put(spark, tmp_path / "in", "p0", [(f"s{i}", "r1" if i % 2 else "none", 0.0, i, "r", "x") for i in range(40)])
+    table = f"file://{tmp_path}/table"
+    targets = targets.crossJoin(spark.range(50)).select("name", "host", F.concat(F.lit("/"), "name", F.col("id")).alias("path"))
+    q = live.send_requests(d.withColumnRenamed("block", "name"), table, f"file://{tmp_path}/ck", targets=targets)
+    q.awaitTermination()
+    assert sorted(r.path for r in live.sent_requests(spark, table).collect()) == sorted(f"/r1{i}" for i in range(50))
