@@ -110,6 +110,25 @@ def test_literals_and_listed_files(spark, tmp_path):
     }
 
 
+def test_literals_of_more_needles_than_a_task_holds(spark, tmp_path, monkeypatch):
+    """Needles are dealt in parts: mentions across deltas and batches, each once a session, none over the seam of two pieces."""
+    monkeypatch.setattr(S, "MOST_NEEDLES", 2)
+    prior = spark.createDataFrame([("k", f"/d/{x}.csv") for x in ("alpha", "beta", "gamma", "ab")], "bucket string, path string")
+    parts = [
+        [("s", "0", 0.0, 0, "text", "see al"), ("s", "1", 1000.0, 1, "text", "pha, ga"), ("t", "0", 0.0, 0, "text", "a")],
+        [("s", "2", 90_000.0, 2, "text", "mma alpha"), ("t", "1", 90_000.0, 1, "thinking", "xb beta")],
+        [("s", "3", 180_000.0, 3, "text", "alpha /d/ab.csv")]
+    ]
+    table = f"file://{tmp_path}/named"
+    live.write_literals(
+        stream(spark, tmp_path, parts), prior, table, str(tmp_path / "ck"), delay="1 second", idle_ms=1_000_000
+    ).awaitTermination()
+    assert sorted(tuple(r)[:4] for r in live.written_literals(spark, table).collect()) == [
+        ("s", "1", "/d/alpha.csv", 1000.0), ("s", "2", "/d/gamma.csv", 90_000.0), ("s", "3", "/d/ab.csv", 180_000.0),
+        ("t", "1", "/d/beta.csv", 90_000.0)
+    ]
+
+
 def test_literals_by_a_table_of_needles(spark, tmp_path):
     prior = spark.createDataFrame([("k", "/d/alpha.csv"), ("k", "/e/beta.txt")], "bucket string, path string")
     keyed = S.keyed_needles(S.needles_of(prior))
