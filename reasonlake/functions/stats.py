@@ -25,9 +25,11 @@ BETWEEN = {
 }
 
 
-def counted(df: DataFrame, group: list[str], value: str) -> DataFrame:
-    """Distinct values of each group with ``n`` rows. Nulls are left out. Repeated values cost one row each."""
-    return df.where(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count(F.lit(1)).alias("n"))
+def counted(df: DataFrame, group: list[str], value: str, rows: str | None = None) -> DataFrame:
+    """Distinct values of each group with ``n`` rows. Nulls are left out. Repeated values cost one row each. Each row of ``df`` is one,
+    or as many as its column ``rows`` says.
+    """
+    return df.where(F.col(value).isNotNull()).groupBy(*group, value).agg((F.sum(rows) if rows else F.count(F.lit(1))).alias("n"))
 
 
 def _wanted(asked: dict[str, tuple[str, float]], total: Column) -> dict[str, tuple[Column, Column | None]]:
@@ -61,14 +63,14 @@ def _narrowed(rows: DataFrame, group: list[str], value: str, positions: list[Col
     return B.joined(rows, kept, [*group, "cell"])
 
 
-def position_percentiles(df: DataFrame, group: list[str], value: str, asked: dict[str, tuple[str, float]]) -> DataFrame:
-    """One row a group with one column for each (convention, p) asked. Exact; groups of any size."""
-    n = staged(counted(df, group, value), "counted")
+def position_percentiles(df: DataFrame, group: list[str], value: str, asked: dict[str, tuple[str, float]], rows: str | None = None) -> DataFrame:
+    """One row a group with one column for each (convention, p) asked. Exact; groups of any size. ``rows`` as in ``counted``."""
+    n = staged(counted(df, group, value, rows), "counted")
     wanted = _wanted(asked, F.col("total"))
     positions = [p for low, part in wanted.values() for p in ([low] if part is None else [low, F.least(low + 1, F.col("total") - 1)])]
-    rows = _narrowed(n, group, value, positions)
+    near = _narrowed(n, group, value, positions)
     upto = F.col("before") + F.sum("n").over(Window.partitionBy(*group, "cell").orderBy(value))
-    rows = rows.withColumn("upto", upto)
+    near = near.withColumn("upto", upto)
 
     def at(position: Column) -> Column:
         return F.max(F.when((F.col("upto") - F.col("n") <= position) & (position < F.col("upto")), F.col(value)))
@@ -80,7 +82,7 @@ def position_percentiles(df: DataFrame, group: list[str], value: str, asked: dic
         else:
             high = F.coalesce(at(F.least(low + 1, F.col("total") - 1)), at(low))
             picks.append((at(low) + (high - at(low)) * F.max(part)).alias(name))
-    return rows.groupBy(*group).agg(*picks)
+    return near.groupBy(*group).agg(*picks)
 
 
 def medians(df: DataFrame, group: list[str], columns: list[str], prefix: str = "") -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import stats as T
 from ..functions.blocks import block_of, cuts, joined, running
+from ..sources.staging import staged as kept_table
 
 
 def pivot_modes(
@@ -26,7 +27,8 @@ def speedup_block(cells: DataFrame, sets: list[list[str]], cold: str = "cold_amt
     """n, arithmetic, geometric and median mean, ratio of sums and maximum of cold / staged, for each grouping set;
     other keys are null.
 
-    Medians come from counts by value, as no buffer may hold the ratios of all cells.
+    Medians come from counts by value, as no buffer may hold the ratios of all cells. Cells are made once, and values counted
+    before the sets repeat them.
     """
     cols = sorted({c for s in sets for c in s})
     kinds = dict(cells.dtypes)
@@ -35,16 +37,16 @@ def speedup_block(cells: DataFrame, sets: list[list[str]], cold: str = "cold_amt
         s in enumerate(sets)
     ]
     c, s = F.col(cold).cast("double"), F.col(staged).cast("double")
-    x = cells.select(
-        (c / s).alias("__x"), c.alias("__c"), s.alias("__s"), F.explode(F.array(*own)).alias("g")
-    ).select("g.*", "__x", "__c", "__s")
+    each = kept_table(cells.select(*cols, (c / s).alias("__x"), c.alias("__c"), s.alias("__s")), "cells")
+    x = each.select(F.explode(F.array(*own)).alias("g"), "__x", "__c", "__s").select("g.*", "__x", "__c", "__s")
+    values = each.groupBy(*cols, "__x").agg(F.count(F.lit(1)).alias("__n")).select(F.explode(F.array(*own)).alias("g"), "__x", "__n")
     gm = F.exp(F.avg(F.when(F.col("__x") > 0, F.log("__x"))))
     keys = ["__set", *cols]
     main = x.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"), F.avg("__x").alias("am"), gm.alias("gm"), (F.sum("__c") / F.sum("__s")).alias("agg"),
         F.max("__x").alias("max")
     )
-    med = T.position_percentiles(x, keys, "__x", {"med": ("linear", 0.5)}).withColumnsRenamed({k: f"__m_{k}" for k in keys})
+    med = T.position_percentiles(values.select("g.*", "__x", "__n"), keys, "__x", {"med": ("linear", 0.5)}, "__n").withColumnsRenamed({k: f"__m_{k}" for k in keys})
     same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__m_{k}")) for k in keys])
     return main.join(med, same, "left").select(*cols, "n", "am", "gm", "med", "agg", "max")
 

@@ -140,3 +140,15 @@ def test_against_the_exact_median(spark, monkeypatch):
     got = S.against_median(spark.createDataFrame(rows, "k string, m string, v double"), ["k"], "m", "base", "v").first()
     median = statistics.median(v for _, m, v in rows if m == "base")
     assert got["base_median"] == median and got["overhead_pct"] == pytest.approx((12.0 - median) / max(1.0, median) * 100)
+
+
+def test_speedups_count_values_before_sets_repeat_them(spark, monkeypatch):
+    """Equal ratios come to the sets as one row with their count; cells are read once."""
+    seen = []
+    of = T.position_percentiles
+    monkeypatch.setattr(T, "position_percentiles", lambda df, *a: seen.append(df.count()) or of(df, *a))
+    rows = [("t", "m", float(2 + i % 2), 1.0) for i in range(9)] + [("t", None, 8.0, 2.0), ("u", "m", 1.0, 2.0)]
+    df = spark.createDataFrame(rows, "task string, model string, cold_amt double, staged_amt double")
+    got = {(r["task"], r["model"], r["n"]): r["med"] for r in C.speedup_block(df, [["task"], ["task", "model"], []]).collect()}
+    assert got == {("t", None, 10): 2.5, ("u", None, 1): 0.5, ("t", "m", 9): 2.0, ("t", None, 1): 4.0, ("u", "m", 1): 0.5, (None, None, 11): 2.0}
+    assert seen == [12]
