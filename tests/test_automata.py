@@ -205,3 +205,33 @@ def test_fingerprints_are_of_canonical_json(spark):
     assert {r.workload: r.fingerprint for r in M.fingerprint(df, ("workload",)).collect()} == prints
     one = M.library_fingerprint(df).first()
     assert one["fingerprint"] == hashlib.sha256("\n".join(f"{w}:{p}" for w, p in sorted(prints.items())).encode()).hexdigest() and one["n_rules"] == 3
+
+
+def test_rows_meet_a_large_dictionary_once(spark, monkeypatch):
+    """However many rules there are, a text is sent on once; rules without a literal, of equal entries and over chunks stay."""
+    monkeypatch.setattr(M, "MOST_RULES", 100)
+    words = [(i, f"r{i}", f"Word{i:04}x|say{i:04}", ["k"], "o") for i in range(2_000)]
+    odd = [(5_000, "odd", "[0-9]+q", ["k"], "o"), (5_001, "twin", "word0007x", [], "o"), (5_001, "twin", "word0007x", [], "o"), (5_002, "short", "zé", [], "o")]
+    rules = spark.createDataFrame(words + odd, "ord int, name string, pattern string, target_keys array<string>, origin string")
+    blocks = blocks_of(spark, [("s", i, "text", f"a WORD{i * 7:04}x, ſay{i:04} 5q ZÉ") for i in range(200)])
+    found = M.matches(blocks, rules)
+    plan = planned(found)
+    assert plan.count("(sequence(0, (__parts") == 1 and "sequence(0, 20" not in plan
+    got = sorted((x.name, x.block_seq) for x in found.collect())
+    want = [(f"r{i * 7}", i) for i in range(200)] + [(f"r{i}", i) for i in range(1, 200)] + [("odd", i) for i in range(200)] + [("short", i) for i in range(200)] + [("twin", 1)] * 2
+    assert got == sorted(want)
+
+
+def test_pieces_of_literals_are_found_in_texts():
+    import numpy as np
+
+    from reasonlake.operators import grams
+
+    words = ["a", "né", "abc", "path", "doc_123.", "/data/a/doc_1234567.txt", "\U0001f600x\U0001f600y"]
+    keys = grams.rarest(words, np.zeros(1 << grams.COUNTED, np.uint32))
+    at = grams.bucket(keys, grams.SIEVE)
+    sieve = np.zeros(1 << (grams.SIEVE - 6), np.uint64)
+    np.bitwise_or.at(sieve, at >> 6, np.uint64(1) << (at & 63).astype(np.uint64))
+    for word, key in zip(words, keys, strict=True):
+        assert key in grams.sifted("??" + word + "!", sieve) and key in grams.sifted("q" * (grams.STEP - 2) + word, sieve)
+    assert len(grams.sifted("qqqqqqqqqqqq", sieve)) == 0
