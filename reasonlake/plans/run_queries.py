@@ -14,6 +14,7 @@ from ..operators import runs as R
 from ..operators import scoring as S
 from ..operators import sessions as E
 from ..sources import logs
+from ..sources.staging import staged
 from . import cell_queries, session_queries
 from . import detection_queries as D
 from . import fixtures as X
@@ -291,7 +292,7 @@ def semantic_lift(spark, sf):
     truth = X.truth(spark, sf)
     t1 = S.byte_score(M.tier_files(D.fired(spark, sf), D.sizes(spark, sf), X.prior(spark, sf), 1), truth, ["session_id"])
     hot = S.byte_score(D.hot_files(spark, sf), truth, ["session_id"])
-    lift = R.lift(t1, hot, ["session_id"])
+    lift = staged(R.lift(t1, hot, ["session_id"]).select("lift"), "lift")  # read by several jobs
     n = lift.agg(F.count(F.lit(1)).alias("n"))
     q = T.position_percentiles(
         lift, [], "lift", {"p25": ("quarter", 0.25), "median": ("upper_median", 0.5), "p75": ("quarter", 0.75)}

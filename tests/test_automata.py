@@ -235,3 +235,17 @@ def test_pieces_of_literals_are_found_in_texts():
     for word, key in zip(words, keys, strict=True):
         assert key in grams.sifted("??" + word + "!", sieve) and key in grams.sifted("q" * (grams.STEP - 2) + word, sieve)
     assert len(grams.sifted("qqqqqqqqqqqq", sieve)) == 0
+
+
+def test_sessions_meet_many_needles_once(spark, monkeypatch):
+    """However many needles there are, a session's text is sent on once; needles over the seam of two blocks are found."""
+    monkeypatch.setattr(S, "MOST_NEEDLES", 50)
+    prior = spark.createDataFrame([("k", f"/d/src{i % 7}/file_{i:04}.csv") for i in range(1_000)], "bucket string, path string")
+    rows = [(f"s{i}", k, "text", t) for i in range(40) for k, t in enumerate([f"see file_{i * 9:04}", f".csv and /d/src{i % 7}/fi", f"le_{i:04}.csv"])]
+    found = S.literal_scan(blocks_of(spark, rows), prior)
+    plan = planned(found)
+    assert plan.count("(sequence(0, (__parts") == 1 and "sequence(0, 39" not in plan
+    got = {(x.session_id, x.path): x.start for x in found.collect()}
+    want = {(f"s{i}", f"/d/src{i % 7}/file_{i:04}.csv"): 22 for i in range(40)}
+    want |= {(f"s{i}", f"/d/src{i * 9 % 7}/file_{i * 9:04}.csv"): 4 for i in range(40)}
+    assert got == want
