@@ -249,3 +249,17 @@ def test_sessions_meet_many_needles_once(spark, monkeypatch):
     want = {(f"s{i}", f"/d/src{i % 7}/file_{i:04}.csv"): 22 for i in range(40)}
     want |= {(f"s{i}", f"/d/src{i * 9 % 7}/file_{i * 9:04}.csv"): 4 for i in range(40)}
     assert got == want
+
+
+def test_batches_are_matched_in_portions(spark):
+    """Rows that many rules match are copied for a portion at a time, and none is lost."""
+    import pyarrow as pa
+    from pyspark.sql import functions as F
+
+    texts = ["x" * n for n in (5, M.PORTION_BYTES + 1, 1, 2)] + ["né"] * 2_500
+    b = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["i", "text"]).slice(1)
+    got = list(M.portions(b, 1))
+    assert [i for x in got for i in x.column(0).to_pylist()] == list(range(1, len(texts))) and max(x.num_rows for x in got) == M.PORTION
+    assert all(x.num_rows == 1 or sum(len(t.encode()) for t in x.column(1).to_pylist()) <= M.PORTION_BYTES for x in got)
+    found = M.matches(blocks_of(spark, [("s", i, "text", "fo bar") for i in range(2_500)]), rules_of(spark, ["fo", "ba", "z"]))
+    assert {(x.n, x.k) for x in found.groupBy("name").agg(F.count("*").alias("n"), F.count_distinct("block_seq").alias("k")).collect()} == {(2_500, 2_500)}
